@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardlight.llm import chat, decontaminate, packing, quality, urls
+from wardlight.llm import chat, decontaminate, langid, packing, pii, quality, substrings, urls
 
 QUERIES = {
     "op2_url_filters": urls.op2_url_filters,
@@ -10,6 +10,9 @@ QUERIES = {
     "op4_token_packing": packing.op4_token_packing,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
+    "op7_language_id": langid.op7_language_id,
+    "op8_pii_pseudonyms": pii.op8_pii_pseudonyms,
+    "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
@@ -18,4 +21,5 @@ ORACLE_SQL = {
     "op3_quality_rules": quality.OP3_SQL,
     "op5_chat_formatting": chat.OP5_SQL,
     "op6_benchmark_decontamination": decontaminate.OP6_SQL,
+    "op9_substring_dedup": substrings.OP9_SQL,
 }
