@@ -211,30 +211,36 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, max_covera
     Documents without a hit are returned as they are; a cut leaves the characters between the remaining words. Columns
     of docs are kept; n_chars, where there is one, follows the text.
     """
-    schema = docs.schema
-    base = docs
-    shards = list(_shards(items, max_bytes))
+    schema, names = docs.schema, docs.columns
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    alone = total <= max_bytes // 2
+    shard = next(_shards(items, max_bytes)) if alone else []
+    if not alone:  # a pass for each shard of items finds the spans, which then meet their documents
+        spans = contamination(docs, items, width, max_bytes).select("doc_id", F.col("spans").alias("_spans"))
+        docs = docs.join(spans.where(F.size("_spans") > 0), "doc_id", "left").select(*names, "_spans")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        autos = [SuffixAutomaton([(i, normal_words(t)) for i, t in shard], width) for shard in shards]
+        auto = SuffixAutomaton([(i, normal_words(t)) for i, t in shard], width)
         for batch in slices(batches, limit=4 << 20):
             keep, texts, changed = [], [], False
-            for raw in batch.column("text").cast(pa.binary()).to_pylist():
+            told = [None] * batch.num_rows if alone else batch.column("_spans").to_pylist()
+            for raw, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), told, strict=True):
                 plain = (raw or b"").translate(TABLE)
                 words = plain.split()
-                spans = unite([s for a in autos for s in a.scan([a.words.get(w, -1) for w in words])[0]])
+                spans = unite(auto.scan([auto.words.get(w, -1) for w in words])[0] if alone else [(x["a"], x["b"]) for x in found or ()])
                 hit = sum(b - a for a, b in spans)
                 keep.append(not words or hit <= max_coverage * len(words))
                 if hit and keep[-1]:
                     raw, changed = _without(raw, plain, words, spans), True
                 texts.append(raw)
+            batch = batch.select(names)
             if changed:
                 at = batch.schema.get_field_index("text")
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.binary()).cast(batch.schema.field(at).type))
             yield batch.filter(pa.array(keep))
 
-    out = base.mapInArrow(clean, schema)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = docs.mapInArrow(clean, schema)
+    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
 def _without(raw: bytes, plain: bytes, words: list[bytes], spans: list[tuple[int, int]]) -> bytes:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from wardlight.llm import chat, decontaminate, langid, packing, pii, quality, substrings, urls
+from wardlight.llm import chat, decontaminate, jaccard, langid, packing, pii, quality, substrings, urls
 
 QUERIES = {
+    "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
     "op2_url_filters": urls.op2_url_filters,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_token_packing": packing.op4_token_packing,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_ngram_jaccard_join": jaccard.OP1_SQL,
     "op2_url_filters": urls.OP2_SQL,
     "op3_quality_rules": quality.OP3_SQL,
     "op5_chat_formatting": chat.OP5_SQL,
