@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ def query(name: str, sql: str | None = None):
     def keep(f):
         QUERIES[name] = f
         if sql:
-            ORACLE_SQL[name] = sql
+            ORACLE_SQL[name] = re.sub(r"\bby\b", '"by"', sql)  # the edges' column; keywords are in capitals
         return f
 
     return keep

@@ -1,4 +1,4 @@
 """Every registered query with its DuckDB twin."""
 
-from wardlight.plans import scalar_queries  # noqa: F401
+from wardlight.plans import scalar_queries, spatial_queries  # noqa: F401
 from wardlight.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
