@@ -38,11 +38,11 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
 
 
 def canonical_url(url: Column) -> Column:
-    """The address that stands for a page's variants: no scheme, fragment, tracking parameter or closing slash doubled."""
+    """The address that stands for a page's variants: no scheme, fragment or tracking parameter, and one closing slash."""
     host = host_of(url)
     query = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
     kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(f"^{TRACKING}(=|$)")), "&")
-    path = F.regexp_replace(path_of(url), r"/*$", "/")
+    path = F.concat(F.regexp_replace(path_of(url), "/+$", ""), F.lit("/"))
     return F.when(host != "", F.concat(host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
@@ -98,8 +98,8 @@ WITH p AS (SELECT page_id, url, translate(regexp_extract(coalesce(url,''), '^.*?
   regexp_extract(coalesce(url,''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
 q AS (SELECT *, array_to_string(list_filter(string_split(regexp_extract(coalesce(url,''), '^[^?#]*\?([^#]*)', 1, 's'), '&'),
   lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|fbclid|gclid|ref)(=|$)')), '&') AS kept FROM p),
-n AS (SELECT *, CASE WHEN host <> '' THEN host || regexp_replace(path, '/*$', '/') || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS canon FROM q),
-every AS (SELECT host, path, canon FROM n WHERE canon IS NOT NULL UNION ALL SELECT host, regexp_replace(path, '/*$', '/'), canon FROM n WHERE canon IS NOT NULL),
+n AS (SELECT *, CASE WHEN host <> '' THEN host || regexp_replace(path, '/+$', '') || '/' || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS canon FROM q),
+every AS (SELECT host, path, canon FROM n WHERE canon IS NOT NULL UNION ALL SELECT host, regexp_replace(path, '/+$', '') || '/', canon FROM n WHERE canon IS NOT NULL),
 rules(verdict, rule) AS (VALUES ('allow','com/'), ('block','example.com/en/'), ('allow','www.example.com/en/'), ('block','net/es/'), ('block','net/fr/')),
 r AS (SELECT verdict, rule, split_part(rule, '/', 1) AS rh, substr(rule, strpos(rule, '/')) AS rp FROM rules),
 told AS (SELECT canon, CASE WHEN bool_or(v = 'allow') THEN 'allow' ELSE 'block' END AS vote FROM
