@@ -218,3 +218,9 @@ def fabric(spark, d):
     bad = R.reconcile_partition(comp, comp).selectExpr("-1 as district", "cast(null as bigint) as pop", "cast(null as bigint) as printed", "false as ok")
     printed = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).groupBy(F.col("n_regionkey").alias("district")).agg(F.count("*").alias("pop"))
     return R.population_rollup(u, comp, printed).unionByName(bad)
+
+
+@query("u05_merge_fresh_and_kept", sql("SELECT id, CASE WHEN id % 6 = 0 THEN upper(name) ELSE name END AS name, id % 6 = 0 AS carried FROM p WHERE id % 3 = 0 OR id % 2 = 0"))
+def merged(spark, d):
+    fresh = _p(spark, d, "id", "name").where("id % 6 <> 0 and (id % 3 = 0 or id % 2 = 0)")
+    return Q.carry_forward(fresh, _p(spark, d, "id", "upper(name) as name").where("id % 3 = 0 or id % 2 = 0"), "id")[0].select("id", "name", "carried")

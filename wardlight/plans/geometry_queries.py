@@ -226,10 +226,15 @@ def extent(spark, d):
     return G.check_extent(units(spark, d), _shift(units(spark, d), 0.3), 0.1).withColumn("differ", F.round("differ", 9))
 
 
-@query("g22_check_disjoint_sources", f"WITH {EDGES}, l AS (SELECT feature_id, min(ay)+(max(ay)-min(ay))*0.4997::DOUBLE AS y FROM edges GROUP BY 1), xs AS (SELECT feature_id, y, (bx-ax)*(y-ay)/(by-ay)+ax AS x FROM edges JOIN l USING (feature_id) WHERE (ay > y) <> (by > y)), sp AS (SELECT feature_id, y, x, lead(x) OVER w AS x2, row_number() OVER w AS k FROM xs WINDOW w AS (PARTITION BY feature_id ORDER BY x)), ip AS (SELECT feature_id AS p, arg_max(struct_pack(x := (x+x2)/2, y := y), x2-x) AS q FROM sp WHERE k%2=1 AND x2 IS NOT NULL GROUP BY 1), pr AS (SELECT p, p%2 AS ps, q.x + (p%3)*0.4::DOUBLE AS x, q.y AS y FROM ip) SELECT p::INT AS probe, feature_id FROM pr JOIN edges ON (ay > y) <> (by > y) AND x < (bx-ax)*(y-ay)/(by-ay)+ax GROUP BY p, feature_id, ps HAVING count(*)%2 = 1 AND feature_id%2 <> ps AND false")
+_IP = "l AS (SELECT feature_id, min(ay)+(max(ay)-min(ay))*0.4997::DOUBLE AS y FROM edges GROUP BY 1), xs AS (SELECT feature_id, y, (bx-ax)*(y-ay)/(by-ay)+ax AS x FROM edges JOIN l USING (feature_id) WHERE (ay > y) <> (by > y)), sp AS (SELECT feature_id, y, x, lead(x) OVER w AS x2, row_number() OVER w AS k FROM xs WINDOW w AS (PARTITION BY feature_id ORDER BY x)), ip AS (SELECT feature_id AS p, arg_max(struct_pack(x := (x+x2)/2, y := y), x2-x) AS q FROM sp WHERE k%2=1 AND x2 IS NOT NULL GROUP BY 1)"
+
+
+@query("g22_check_disjoint_sources", f"WITH {EDGES}, {_IP}, two AS (SELECT feature_id, 'a' AS source, ax, ay, bx, by FROM edges UNION ALL SELECT feature_id + 100, 'b', ax+0.3::DOUBLE, ay+0.3::DOUBLE, bx+0.3::DOUBLE, by+0.3::DOUBLE FROM edges WHERE feature_id < 10), pr AS (SELECT p, 'a' AS ps, q.x AS x, q.y AS y FROM ip UNION ALL SELECT p + 100, 'b', q.x + 0.3::DOUBLE, q.y + 0.3::DOUBLE FROM ip WHERE p < 10) SELECT p AS probe, ps AS probe_source, feature_id, source FROM pr JOIN two ON (ay > y) <> (by > y) AND x < (bx-ax)*(y-ay)/(by-ay)+ax AND ps <> source GROUP BY p, ps, feature_id, source HAVING count(*)%2 = 1")
 def disjoint(spark, d):
-    # A tiling dealt to two sources: no source's feature reaches into the other's, so there is nothing to report.
-    return G.check_disjoint_sources(units(spark, d).withColumn("source", F.col("feature_id") % 2)).select("probe", "feature_id")
+    # The units as one source and ten of them, moved, as another: the moved ones reach into the first.
+    u = units(spark, d).select("feature_id", "polygons")
+    two = u.withColumn("source", F.lit("a")).unionByName(_shift(u.where("feature_id < 10"), 0.3).select((F.col("feature_id") + 100).alias("feature_id"), "polygons", F.lit("b").alias("source")))
+    return G.check_disjoint_sources(two)
 
 
 @query("g23_corridor_median", "WITH s AS (SELECT s_suppkey AS k, ((s_suppkey*7919)%100003)*5.0::DOUBLE/100003 AS x, (s_suppkey%7)/10.0::DOUBLE AS y FROM supplier), l AS (SELECT k, x AS ax, y AS ay, x+1 AS bx, y+0.2 AS by FROM s), c AS (SELECT unnest(range(ceil(ax/0.25)::BIGINT, floor(bx/0.25)::BIGINT + 1)) AS k, ax, ay, bx, by FROM l) SELECT k, round(median(ay+(by-ay)*(k*0.25::DOUBLE-ax)/(bx-ax)), 9) AS y, count(*) AS n FROM c GROUP BY k")
