@@ -123,55 +123,61 @@ def envelope_filter(points: DataFrame, min_x: float, min_y: float, max_x: float,
     return points.where(F.col("x").between(min_x, max_x) & F.col("y").between(min_y, max_y))
 
 
-def _expanding(points: DataFrame, items: DataFrame, boxes: list[Column], distance: Column, tie: str, n: int, cell: float, reach: Column, rounds: int) -> DataFrame:
-    """The n nearest items of each point, by rings of cells: a point is settled when its n-th item is nearer than anything outside the rings can be.
+def _expanding(points: DataFrame, items: DataFrame, boxes: list[Column], distance: Callable[[Column], Column], tie: str, n: int, cell: float, reach: Column, rounds: int) -> DataFrame:
+    """points (pid, x, y) → pid, best: the n nearest items as an array of (dist, tie), nearest first, ties by `tie`.
 
-    Each round doubles the rings for the points not settled; the last one meets all items left to meet. Rows: points' columns, items'
-    columns, dist, rank.
+    Each cell lists the items whose box comes within `ring` cells of it; a point meets its own cell's list in one row
+    and sorts it there, so points are neither multiplied nor grouped, and a short list of cells is broadcast. A point is
+    settled when its n-th item is nearer than anything outside the rings can be; rings double for the others. After the
+    last round a point keeps what it has found, fewer than n where there are no more.
     """
-    item_cells = items.withColumn("cx", F.explode(F.sequence(*(cell_of(c, cell) for c in boxes[:2])))).withColumn("cy", F.explode(F.sequence(*(cell_of(c, cell) for c in boxes[2:]))))
+    x0, x1, y0, y1 = (cell_of(c, cell) for c in boxes)
     todo, done, ring = points, None, 1
-    w = Window.partitionBy("pid").orderBy("dist", tie)
-    for _ in range(rounds):
-        around = F.sequence(F.lit(-ring), F.lit(ring))
-        keyed = todo.withColumn("cx", F.explode(F.transform(around, lambda k: cell_of(F.col("x"), cell) + k))).withColumn("cy", F.explode(F.transform(around, lambda k: cell_of(F.col("y"), cell) + k)))
-        met = keyed.join(item_cells, ["cx", "cy"]).drop("cx", "cy").withColumn("dist", distance)
-        if len(boxes) and str(boxes[0]) != str(boxes[1]):
-            met = met.dropDuplicates(["pid", tie])
-        best = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-        settled = best.groupBy("pid").agg(F.count("*").alias("k"), F.max("dist").alias("far")).where((F.col("k") == n) & (F.col("far") <= reach * ring)).select("pid")
-        part = best.join(settled, "pid", "left_semi")
+    for k in range(rounds):
+        cells = items.withColumn("cx", F.explode(F.sequence(x0 - ring, x1 + ring))).withColumn("cy", F.explode(F.sequence(y0 - ring, y1 + ring)))
+        lists = cells.groupBy("cx", "cy").agg(F.collect_list(F.struct(*items.columns)).alias("near"))
+        keyed = todo.withColumns({"cx": cell_of(F.col("x"), cell), "cy": cell_of(F.col("y"), cell)})
+        sorted_ = F.array_sort(F.transform("near", lambda s: F.struct(distance(s).alias("dist"), s[tie].alias(tie))))
+        met = keyed.join(lists, ["cx", "cy"], "left").select("pid", "x", "y", F.slice(sorted_, 1, n).alias("best"))
+        sure = (F.size("best") == n) & (F.try_element_at("best", F.lit(n))["dist"] <= reach * ring)
+        met = met.withColumn("sure", F.coalesce(sure, F.lit(False))).persist()
+        last = k == rounds - 1
+        part = met.where("best is not null" if last else "sure").select("pid", "best")
         done = part if done is None else done.unionByName(part)
-        todo = todo.join(settled, "pid", "left_anti").persist()
-        if todo.isEmpty():
-            return done
+        todo = met.where(~F.col("sure")).select("pid", "x", "y")
+        if last or todo.isEmpty():
+            break
         ring *= 2
     return done
 
 
 def nearest_n(points: DataFrame, sites: DataFrame, n: int = 3, cell: float = 0.5, rounds: int = 6) -> DataFrame:
     """points (pid, x, y) × sites (sid, sx, sy) → pid, rank, sid, dist: the n nearest, ties by sid, planar distance."""
-    dist = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
-    sx, sy = F.col("sx"), F.col("sy")
-    return _expanding(points.select("pid", "x", "y"), sites.select("sid", "sx", "sy"), [sx, sx, sy, sy], dist, "sid", n, cell, F.lit(cell), rounds).select("pid", "rank", "sid", "dist")
+    far = lambda s: F.hypot(F.col("x") - s["sx"], F.col("y") - s["sy"])
+    return _ranked(points, sites, far, n, cell, F.lit(cell), rounds)
 
 
 def nearest_n_globe(points: DataFrame, sites: DataFrame, n: int = 3, cell: float = 0.5, rounds: int = 6) -> DataFrame:
     """nearest_n for degrees (x: longitude, y: latitude), by great-circle metres.
 
-    A ring of cells is at least as wide as its narrower side at the point's latitude, which bounds what lies outside.
+    A ring of cells is at least as wide as its narrower side at 60 degrees of latitude, which bounds what lies outside.
     """
-    dist = haversine(F.col("y"), F.col("x"), F.col("sy"), F.col("sx"))
-    reach = F.lit(cell * 110_000.0) * F.cos(F.radians(F.lit(60.0)))
+    far = lambda s: haversine(F.col("y"), F.col("x"), s["sy"], s["sx"])
+    return _ranked(points, sites, far, n, cell, F.lit(cell * 110_000.0) * F.cos(F.radians(F.lit(60.0))), rounds)
+
+
+def _ranked(points: DataFrame, sites: DataFrame, far: Callable[[Column], Column], n: int, cell: float, reach: Column, rounds: int) -> DataFrame:
     sx, sy = F.col("sx"), F.col("sy")
-    return _expanding(points.select("pid", "x", "y"), sites.select("sid", "sx", "sy"), [sx, sx, sy, sy], dist, "sid", n, cell, reach, rounds).select("pid", "rank", "sid", "dist")
+    best = _expanding(points.select("pid", "x", "y"), sites.select("sid", "sx", "sy"), [sx, sx, sy, sy], far, "sid", n, cell, reach, rounds)
+    return best.select("pid", F.posexplode("best").alias("rank", "b")).select("pid", (F.col("rank") + 1).alias("rank"), "b.sid", "b.dist")
 
 
 def nearest_segment(points: DataFrame, edges: DataFrame, cell: float = 0.5, rounds: int = 5) -> DataFrame:
     """points × edges (eid, ax, ay, bx, by) → pid, eid, dist: the nearest segment, ties by eid."""
-    dist = segment_foot(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))["dist"]
+    far = lambda s: segment_foot(F.col("x"), F.col("y"), s["ax"], s["ay"], s["bx"], s["by"])["dist"]
     boxes = [F.least("ax", "bx"), F.greatest("ax", "bx"), F.least("ay", "by"), F.greatest("ay", "by")]
-    return _expanding(points.select("pid", "x", "y"), edges.select("eid", "ax", "ay", "bx", "by"), boxes, dist, "eid", 1, cell, F.lit(cell), rounds).select("pid", "eid", "dist")
+    best = _expanding(points.select("pid", "x", "y"), edges.select("eid", "ax", "ay", "bx", "by"), boxes, far, "eid", 1, cell, F.lit(cell), rounds)
+    return best.select("pid", F.col("best")[0]["eid"].alias("eid"), F.col("best")[0]["dist"].alias("dist"))
 
 
 def area_share(samples: DataFrame, units: DataFrame, districts: DataFrame, cell: float = 0.5) -> DataFrame:

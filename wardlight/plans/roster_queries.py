@@ -280,7 +280,7 @@ def results(spark, d):
     return out.select("district", F.array_join("units", ",").alias("units"), F.size("candidates").alias("candidates"))
 
 
-@query("a17_unanimous", sql("SELECT body, CASE WHEN body % 3 = 0 THEN 'one' END AS stamp FROM p GROUP BY 1"))
+@query("a17_unanimous", sql(", q AS (SELECT body, CASE WHEN body % 3 = 0 THEN 'one' WHEN body % 3 = 1 THEN 'v' || (id % 2)::VARCHAR WHEN id % 5 > 0 THEN 'one' END AS stamp FROM p) SELECT body, CASE WHEN count(DISTINCT stamp) = 1 AND count(*) = count(stamp) THEN min(stamp) END AS stamp FROM q GROUP BY 1"))
 def stamps(spark, d):
     return R.unanimous(_p(spark, d, "body", "CASE WHEN body % 3 = 0 THEN 'one' WHEN body % 3 = 1 THEN concat('v', id % 2) WHEN id % 5 > 0 THEN 'one' END as stamp"), "body", "stamp")
 
