@@ -19,7 +19,9 @@ M64 = (1 << 64) - 1
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this library wherever the session was started."""
+    """Lets Python workers import this library wherever the session was started, and keeps a batch of long texts within their memory."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in have.split(os.pathsep):
@@ -61,7 +63,7 @@ def drop(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts record batches into runs of whole rows with about `limit` bytes of the text column."""
     for batch in batches:
         if not batch.num_rows:
