@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardlight.llm.common import cut, gram_hashes, mix, ragged, read, row_of, row_sums, slices, word_hashes, words_of
@@ -119,12 +119,12 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "ats").mapInArrow(locate, f"phrase long, doc_id {id_type}, first int, windows array<long>")
 
 
-def _contest(rows: DataFrame, final: bool) -> DataFrame:
+def _contest(rows: DataFrame) -> DataFrame:
     """Within each (phrase, salt) the least doc_id of each window hash keeps the window; later ones lose it.
 
     rows are dealt by (phrase, salt) and sorted with doc_id, so that the first row with a hash has the least doc_id: a
-    task streams, holding the hashes of one phrase's windows. Gives rows of lost windows (kind 0) and, unless final, of
-    the windows kept (kind 1) for the next round.
+    task streams, holding the hashes of one phrase's windows. Gives rows of lost windows (kind 0) and, for phrases with
+    several salts, of the windows kept (kind 1), whose salts have yet to meet.
     """
     id_type = dict(rows.dtypes)["doc_id"]
 
@@ -134,7 +134,7 @@ def _contest(rows: DataFrame, final: bool) -> DataFrame:
             if not batch.num_rows:
                 continue
             groups = list(zip(batch.column("phrase").to_pylist(), batch.column("salt").to_pylist(), strict=True))
-            docs = batch.column("doc_id").to_pylist()
+            docs, salts = batch.column("doc_id").to_pylist(), batch.column("salts").to_pylist()
             lists = batch.column("windows").to_pylist()
             lost_rows, lost, kept_rows, kept = [], [], [], []
             for r, (group, doc, values) in enumerate(zip(groups, docs, lists, strict=True)):
@@ -152,7 +152,7 @@ def _contest(rows: DataFrame, final: bool) -> DataFrame:
                     lost_rows.append(r)
                     gone = set(out)
                     lost.append([1 if k in gone else None for k in range(len(values))])
-                if own and not final:
+                if own and salts[r] > 1:
                     kept_rows.append(r)
                     have = set(own)
                     kept.append([h if k in have else None for k, h in enumerate(values)])
@@ -186,13 +186,14 @@ def lost_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Data
     shards = cut(docs.select("doc_id", "text").join(again.hint("shuffle_hash"), "doc_id"))
     found = _occurrences(shards)
     salted = found.join(held, "phrase").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts").cast("long")).cast("int"))
-    first = cut(_contest(salted, final=False))
-    # Phrases with several salts meet in a second round, which only the first of each salt enter.
-    second = _contest(first.where("kind = 1 and salts > 1").withColumn("salt", F.lit(0)), final=True)
-    columns = ["doc_id", "first", "windows"]
-    rows = first.where("kind = 0").select(*columns).unionByName(second.select(*columns))
+    first = cut(_contest(salted))
     starts = F.filter(F.transform("windows", lambda w, k: F.when(w.isNotNull(), k + F.col("first"))), lambda x: x.isNotNull())
-    return base, reps, shards, rows.groupBy("doc_id").agg(F.flatten(F.collect_list(starts)).alias("starts"))
+    once = first.where("kind = 0").select("doc_id", starts.alias("starts"))
+    # What the salts of one phrase kept meets window by window: at most one document a salt, so no group grows with the phrase.
+    left = first.where("kind = 1").select("phrase", "doc_id", "first", F.posexplode("windows").alias("k", "w")).where("w is not null")
+    least = F.min("doc_id").over(Window.partitionBy("phrase", "w"))
+    twice = left.withColumn("least", least).where("doc_id <> least").select("doc_id", F.array(F.col("first") + F.col("k")).alias("starts"))
+    return base, reps, shards, once.unionByName(twice).groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def kept_words(docs: DataFrame, texts: bool = False) -> DataFrame:
@@ -225,7 +226,7 @@ def kept_words(docs: DataFrame, texts: bool = False) -> DataFrame:
                 texts_.append(left)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(row_sums((~keep).astype(np.int64), offsets)), pa.array(digests), pa.array(texts_, pa.binary()).cast(pa.string()) if texts else pa.nulls(len(digests), pa.string())], names=["doc_id", "n_removed", "kept_sha256", "kept_text"])
 
-    part = shards.mapInArrow(remove, f"doc_id {id_type}, n_removed long, kept_sha256 string, kept_text string")
+    part = shards.mapInArrow(remove, f"doc_id {id_type}, n_removed long, kept_sha256 string, kept_text string").dropDuplicates(["doc_id"])
     # base without its phrases; copies of an earlier document first.
     own = base.select("doc_id", "n_words", "digest").join(reps, "digest", "left")
     copy = F.coalesce(F.col("rep") < F.col("doc_id"), F.lit(False))
@@ -238,7 +239,7 @@ def kept_words(docs: DataFrame, texts: bool = False) -> DataFrame:
         F.when(copy, empty).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),
     ]
     if texts:
-        whole = docs.select(F.col("doc_id"), F.array_join(F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda x: x != ""), " ").alias("whole"))
+        whole = docs.select(F.col("doc_id"), F.array_join(F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda x: x != ""), " ").alias("whole")).dropDuplicates(["doc_id"])
         out = out.join(whole, "doc_id")
         cols.append(F.when(copy, "").otherwise(F.coalesce("kept_text", "whole")).alias("kept_text"))
     return out.select(*cols)
