@@ -198,6 +198,13 @@ def luhn(s):
     return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
 
 
+def test_most_frequent_grams(spark):
+    counts = spark.createDataFrame([("a", i, n) for i, n in enumerate([1] * 50 + [2] * 20 + [40] * 5 + [1000])], "lang string, gram long, n long")
+    got = lambda most: sorted(x.n for x in langid.most_frequent(counts, most).collect())
+    assert len(got(76)) == 76 and got(75) == [2] * 20 + [40] * 5 + [1000] and got(25) == [40] * 5 + [1000] and got(1) == [1000]
+    assert got(0) == [] and langid.most_frequent(counts.where("n > 5000"), 3).count() == 0
+
+
 def test_pseudonyms(spark):
     a = "card 4041894974608795, again 4041-8949-7460-8795; not 4041894974608796. Mail a.b@mail1.example.com at 10.0.0.1, born 1984-02-29 or 29.2.1984, never 1985-02-29. +1 (988) 555-2485 ssn 123-45-6789 000-12-3456 DE89370400440532013000 999.1.1.1"
     rows = pii.pseudonymize(docs(spark, [a, "plain words only 12", "x " + a, None, ""])).orderBy("doc_id").collect()
