@@ -123,50 +123,41 @@ def _contest(rows: DataFrame) -> DataFrame:
     """Within each (phrase, salt) the least doc_id of each window hash keeps the window; later ones lose it.
 
     rows are dealt by (phrase, salt) and sorted with doc_id, so that the first row with a hash has the least doc_id: a
-    task streams, holding the hashes of one phrase's windows. Gives rows of lost windows (kind 0) and, for phrases with
-    several salts, of the windows kept (kind 1), whose salts have yet to meet.
+    task streams, holding the hashes of one phrase's windows. Gives phrase, doc_id, w, starts: the windows lost in a
+    place (w null) and, for phrases with several salts, which have yet to meet, one row for each window hash w that a
+    document keeps, with all its starts there.
     """
     id_type = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, least = None, {}
+        group, least, doc, held, kind = None, {}, None, {}, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            groups = list(zip(batch.column("phrase").to_pylist(), batch.column("salt").to_pylist(), strict=True))
-            docs, salts = batch.column("doc_id").to_pylist(), batch.column("salts").to_pylist()
-            lists = batch.column("windows").to_pylist()
-            lost_rows, lost, kept_rows, kept = [], [], [], []
-            for r, (group, doc, values) in enumerate(zip(groups, docs, lists, strict=True)):
-                if group != now:
-                    now, least = group, {}
-                out, own = [], []
-                for k, h in enumerate(values):
-                    if h is None:
-                        continue
-                    if least.setdefault(h, doc) != doc:
-                        out.append(k)
-                    else:
-                        own.append(k)
-                if out:
-                    lost_rows.append(r)
-                    gone = set(out)
-                    lost.append([1 if k in gone else None for k in range(len(values))])
-                if own and salts[r] > 1:
-                    kept_rows.append(r)
-                    have = set(own)
-                    kept.append([h if k in have else None for k, h in enumerate(values)])
-            if lost_rows:
-                yield pick(batch, lost_rows, 0, lost)
-            if kept_rows:
-                yield pick(batch, kept_rows, 1, kept)
-
-    def pick(batch: pa.RecordBatch, at: list[int], kind: int, windows: list) -> pa.RecordBatch:
-        part = batch.take(pa.array(at))
-        return pa.RecordBatch.from_arrays([part.column("phrase"), part.column("doc_id"), part.column("first"), pa.array(windows, pa.list_(pa.int64())), part.column("salts"), pa.array([kind] * len(at), pa.int32())], names=["phrase", "doc_id", "first", "windows", "salts", "kind"])
+            kind, out = batch.schema.field("doc_id").type, []
+            for *g, d, first, values, salts in zip(*(batch.column(c).to_pylist() for c in ("phrase", "salt", "doc_id", "first", "windows", "salts")), strict=True):
+                if g != group or d != doc:
+                    out.extend((group[0], doc, h, starts) for h, starts in held.items())
+                    least, group, doc, held = least if g == group else {}, g, d, {}
+                lost = []
+                for at, h in enumerate(values, first):
+                    if least.setdefault(h, d) != d:
+                        lost.append(at)
+                    elif salts > 1:
+                        held.setdefault(h, []).append(at)
+                if lost:
+                    out.append((g[0], d, None, lost))
+            if out:
+                yield told(out, kind)
+        if held:
+            yield told([(group[0], doc, h, starts) for h, starts in held.items()], kind)
+
+    def told(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        kinds = [pa.int64(), kind, pa.int64(), pa.list_(pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["phrase", "doc_id", "w", "starts"])
 
     own = rows.select("phrase", "salt", "doc_id", "first", "windows", "salts")
-    return own.repartition("phrase", "salt").sortWithinPartitions("phrase", "salt", "doc_id").mapInArrow(run, f"phrase long, doc_id {id_type}, first int, windows array<long>, salts int, kind int")
+    return own.repartition("phrase", "salt").sortWithinPartitions("phrase", "salt", "doc_id").mapInArrow(run, f"phrase long, doc_id {id_type}, w long, starts array<int>")
 
 
 def lost_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -187,12 +178,10 @@ def lost_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Data
     found = _occurrences(shards)
     salted = found.join(held, "phrase").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts").cast("long")).cast("int"))
     first = cut(_contest(salted))
-    starts = F.filter(F.transform("windows", lambda w, k: F.when(w.isNotNull(), k + F.col("first"))), lambda x: x.isNotNull())
-    once = first.where("kind = 0").select("doc_id", starts.alias("starts"))
-    # What the salts of one phrase kept meets window by window: at most one document a salt, so no group grows with the phrase.
-    left = first.where("kind = 1").select("phrase", "doc_id", "first", F.posexplode("windows").alias("k", "w")).where("w is not null")
+    once = first.where("w is null").select("doc_id", "starts")
+    # What the salts of one phrase kept meets window by window: at most one row a salt, so no group grows with the phrase.
     least = F.min("doc_id").over(Window.partitionBy("phrase", "w"))
-    twice = left.withColumn("least", least).where("doc_id <> least").select("doc_id", F.array(F.col("first") + F.col("k")).alias("starts"))
+    twice = first.where("w is not null").withColumn("least", least).where("doc_id <> least").select("doc_id", "starts")
     return base, reps, shards, once.unionByName(twice).groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
