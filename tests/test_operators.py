@@ -1,5 +1,8 @@
 """Edge cases of the civic operators on small fixtures."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,10 +52,26 @@ def test_dispatch_says_none_only_when_every_source_answered(spark):
 
 def test_nearest_ties_by_id_and_far_sites(spark):
     s = spark.createDataFrame([(2, 1.0, 0.0), (1, -1.0, 0.0), (3, 40.0, 40.0)], "sid int, sx double, sy double")
-    got = [(r.rank, r.sid) for r in P.nearest_n(at(spark, (0, 0)), s, 3, rounds=8).orderBy("rank").collect()]
+    got = [(r.rank, r.sid) for r in P.nearest_n(at(spark, (0, 0)), s, 3).orderBy("rank").collect()]
     assert got == [(1, 1), (2, 2), (3, 3)]
 
 
+def test_nearest_in_clusters_and_far_away(spark):
+    r = random.Random(1)
+    places = [(i, r.random() * 1e-3, r.random() * 1e-3) for i in range(60)] + [(60 + i, 1000 + r.random(), -500.0 * i) for i in range(5)]
+    spots = [(0.0, 0.0), (900.0, -700.0), (-5e4, 3.0), (5e-4, 5e-4), (1000.5, -2000.0)]
+    s = spark.createDataFrame(places, "sid int, sx double, sy double")
+    for n in (1, 3, 70):
+        got = {}
+        for x in P.nearest_n(at(spark, *spots), s, n).collect():
+            got.setdefault(x.pid, []).append((x.rank, x.sid))
+        for pid, (px, py) in enumerate(spots):
+            near = sorted((math.hypot(px - x, py - y), i) for i, x, y in places)[:n]
+            assert sorted(got[pid]) == [(k + 1, i) for k, (_, i) in enumerate(near)]
+    assert P.nearest_n(at(spark, (0, 0)), s.where("sid < 0"), 2).count() == 0
+    assert P.nearest_n(at(spark, (float("nan"), 0.0), (float("inf"), 1.0)), s, 2).count() == 0
+
+
 def test_open_chain_raises(spark):
     e = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 0.0)], "district int, x1 double, y1 double, x2 double, y2 double")
     with pytest.raises(Exception, match="open chain"):

@@ -251,9 +251,8 @@ def population_rollup(units: DataFrame, composition: DataFrame, printed: DataFra
 def balance(district_pop: DataFrame, seats: Column | None = None) -> DataFrame:
     """Deviation of each district from the ideal per seat, in percent."""
     s = seats if seats is not None else F.lit(1)
-    w = Window.partitionBy(F.lit(1))
-    ideal = F.sum("pop").over(w) / F.sum(s).over(w)
-    return district_pop.withColumn("deviation", 100 * (F.col("pop") / s / ideal - 1))
+    ideal = district_pop.agg((F.sum("pop") / F.sum(s)).alias("_ideal"))
+    return district_pop.join(F.broadcast(ideal)).withColumn("deviation", 100 * (F.col("pop") / s / F.col("_ideal") - 1)).drop("_ideal")  # one row by construction
 
 
 def balance_summary(district_pop: DataFrame) -> DataFrame:

@@ -123,60 +123,80 @@ def envelope_filter(points: DataFrame, min_x: float, min_y: float, max_x: float,
     return points.where(F.col("x").between(min_x, max_x) & F.col("y").between(min_y, max_y))
 
 
-def _expanding(points: DataFrame, items: DataFrame, boxes: list[Column], distance: Callable[[Column], Column], tie: str, n: int, cell: float, reach: Column, rounds: int) -> DataFrame:
+def fitted_cell(items: DataFrame, boxes: list[Column], per_cell: int) -> float:
+    """Side of a square cell that holds about per_cell items over their bounding box, no smaller than the average item.
+
+    boxes: the items' least x, greatest x, least y and greatest y. One row of aggregates comes to the driver.
+    """
+    x0, x1, y0, y1 = boxes
+    r = items.agg(F.count("*").alias("n"), (F.max(x1) - F.min(x0)).alias("w"), (F.max(y1) - F.min(y0)).alias("h"), F.avg(F.greatest(x1 - x0, y1 - y0)).alias("own")).first()
+    span = max(r.w or 0.0, r.h or 0.0)
+    if not span:
+        return 1.0
+    return max((max(r.w, span / 1000) * max(r.h, span / 1000) * per_cell / r.n) ** 0.5, r.own)
+
+
+def _expanding(points: DataFrame, items: DataFrame, boxes: list[Column], distance: Callable[[Column], Column], tie: str, n: int, cell: float | None, reach: Column) -> DataFrame:
     """points (pid, x, y) → pid, best: the n nearest items as an array of (dist, tie), nearest first, ties by `tie`.
 
-    Each cell lists the items whose box comes within `ring` cells of it; a point meets its own cell's list in one row
-    and sorts it there, so points are neither multiplied nor grouped, and a short list of cells is broadcast. A point is
-    settled when its n-th item is nearer than anything outside the rings can be; rings double for the others. After the
-    last round a point keeps what it has found, fewer than n where there are no more.
+    Each cell lists the items whose box comes within one cell of it; a point meets its own cell's list in one row and
+    sorts it there, so points are neither multiplied nor grouped, and a short list of cells is broadcast. A point is
+    settled when its n-th item is nearer than one cell (`reach`: the distance that a side of 1 stands for); the grid
+    doubles its side for the others, until one cell and its neighbours hold every item and what a point has is all there
+    is. The first side is fitted to the number of items, so that lists stay short however many there are. Points without
+    finite coordinates have no neighbours.
     """
-    x0, x1, y0, y1 = (cell_of(c, cell) for c in boxes)
-    todo, done, ring = points, None, 1
-    for k in range(rounds):
-        cells = items.withColumn("cx", F.explode(F.sequence(x0 - ring, x1 + ring))).withColumn("cy", F.explode(F.sequence(y0 - ring, y1 + ring)))
-        lists = cells.groupBy("cx", "cy").agg(F.collect_list(F.struct(*items.columns)).alias("near"))
-        keyed = todo.withColumns({"cx": cell_of(F.col("x"), cell), "cy": cell_of(F.col("y"), cell)})
+    x0, x1, y0, y1 = boxes
+    items = items.where(" and ".join(f"{c} - {c} = 0" for c in items.columns if c != tie))
+    side = cell or fitted_cell(items, boxes, 2 * n)
+    todo, done, bounds = points.where("x - x = 0 and y - y = 0"), None, None
+    while True:
+        lists = items.withColumn("cx", F.explode(F.sequence(cell_of(x0, side) - 1, cell_of(x1, side) + 1))).withColumn("cy", F.explode(F.sequence(cell_of(y0, side) - 1, cell_of(y1, side) + 1)))
+        lists = lists.groupBy("cx", "cy").agg(F.collect_list(F.struct(*items.columns)).alias("near"))
+        keyed = todo.withColumns({"cx": cell_of(F.col("x"), side), "cy": cell_of(F.col("y"), side)})
         sorted_ = F.array_sort(F.transform("near", lambda s: F.struct(distance(s).alias("dist"), s[tie].alias(tie))))
         met = keyed.join(lists, ["cx", "cy"], "left").select("pid", "x", "y", F.slice(sorted_, 1, n).alias("best"))
-        sure = (F.size("best") == n) & (F.try_element_at("best", F.lit(n))["dist"] <= reach * ring)
+        sure = (F.size("best") == n) & (F.try_element_at("best", F.lit(n))["dist"] <= reach * side)
         met = met.withColumn("sure", F.coalesce(sure, F.lit(False))).persist()
-        last = k == rounds - 1
-        part = met.where("best is not null" if last else "sure").select("pid", "best")
-        done = part if done is None else done.unionByName(part)
         todo = met.where(~F.col("sure")).select("pid", "x", "y")
-        if last or todo.isEmpty():
-            break
-        ring *= 2
-    return done
+        left = todo.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+        everything = False
+        if left.n:
+            bounds = bounds or items.agg(F.min(x0).alias("x0"), F.max(x1).alias("x1"), F.min(y0).alias("y0"), F.max(y1).alias("y1")).first()
+            everything = bounds.x0 is None or side >= max(max(left.x1, bounds.x1) - min(left.x0, bounds.x0), max(left.y1, bounds.y1) - min(left.y0, bounds.y0))
+        part = met.where("best is not null" if everything else "sure").select("pid", "best")
+        done = part if done is None else done.unionByName(part)
+        if everything or not left.n:
+            return done
+        side *= 2
 
 
-def nearest_n(points: DataFrame, sites: DataFrame, n: int = 3, cell: float = 0.5, rounds: int = 6) -> DataFrame:
-    """points (pid, x, y) × sites (sid, sx, sy) → pid, rank, sid, dist: the n nearest, ties by sid, planar distance."""
+def nearest_n(points: DataFrame, sites: DataFrame, n: int = 3, cell: float | None = None) -> DataFrame:
+    """points (pid, x, y) × sites (sid, sx, sy) → pid, rank, sid, dist: the n nearest, ties by sid, planar distance; fewer where there are no more."""
     far = lambda s: F.hypot(F.col("x") - s["sx"], F.col("y") - s["sy"])
-    return _ranked(points, sites, far, n, cell, F.lit(cell), rounds)
+    return _ranked(points, sites, far, n, cell, F.lit(1.0))
 
 
-def nearest_n_globe(points: DataFrame, sites: DataFrame, n: int = 3, cell: float = 0.5, rounds: int = 6) -> DataFrame:
+def nearest_n_globe(points: DataFrame, sites: DataFrame, n: int = 3, cell: float | None = None) -> DataFrame:
     """nearest_n for degrees (x: longitude, y: latitude), by great-circle metres.
 
-    A ring of cells is at least as wide as its narrower side at 60 degrees of latitude, which bounds what lies outside.
+    A cell is at least as wide as its narrower side at 60 degrees of latitude, which bounds what lies outside.
     """
     far = lambda s: haversine(F.col("y"), F.col("x"), s["sy"], s["sx"])
-    return _ranked(points, sites, far, n, cell, F.lit(cell * 110_000.0) * F.cos(F.radians(F.lit(60.0))), rounds)
+    return _ranked(points, sites, far, n, cell, F.lit(110_000.0) * F.cos(F.radians(F.lit(60.0))))
 
 
-def _ranked(points: DataFrame, sites: DataFrame, far: Callable[[Column], Column], n: int, cell: float, reach: Column, rounds: int) -> DataFrame:
+def _ranked(points: DataFrame, sites: DataFrame, far: Callable[[Column], Column], n: int, cell: float | None, reach: Column) -> DataFrame:
     sx, sy = F.col("sx"), F.col("sy")
-    best = _expanding(points.select("pid", "x", "y"), sites.select("sid", "sx", "sy"), [sx, sx, sy, sy], far, "sid", n, cell, reach, rounds)
+    best = _expanding(points.select("pid", "x", "y"), sites.select("sid", "sx", "sy"), [sx, sx, sy, sy], far, "sid", n, cell, reach)
     return best.select("pid", F.posexplode("best").alias("rank", "b")).select("pid", (F.col("rank") + 1).alias("rank"), "b.sid", "b.dist")
 
 
-def nearest_segment(points: DataFrame, edges: DataFrame, cell: float = 0.5, rounds: int = 5) -> DataFrame:
+def nearest_segment(points: DataFrame, edges: DataFrame, cell: float | None = None) -> DataFrame:
     """points × edges (eid, ax, ay, bx, by) → pid, eid, dist: the nearest segment, ties by eid."""
     far = lambda s: segment_foot(F.col("x"), F.col("y"), s["ax"], s["ay"], s["bx"], s["by"])["dist"]
     boxes = [F.least("ax", "bx"), F.greatest("ax", "bx"), F.least("ay", "by"), F.greatest("ay", "by")]
-    best = _expanding(points.select("pid", "x", "y"), edges.select("eid", "ax", "ay", "bx", "by"), boxes, far, "eid", 1, cell, F.lit(cell), rounds)
+    best = _expanding(points.select("pid", "x", "y"), edges.select("eid", "ax", "ay", "bx", "by"), boxes, far, "eid", 1, cell, F.lit(1.0))
     return best.select("pid", F.col("best")[0]["eid"].alias("eid"), F.col("best")[0]["dist"].alias("dist"))
 
 
@@ -212,7 +232,7 @@ def assign_labels(features: DataFrame, labels: DataFrame, tolerance: float, cell
     sure = ranked.groupBy("feature_id").agg(F.count("*").alias("k"), F.min("pid").alias("label")).where("k = 1").select("feature_id", "label", F.lit("inside").alias("how"))
     left_f = bounding_boxes(features.select("feature_id", "polygons")).join(sure, "feature_id", "left_anti")
     left_l = labels.join(sure, "label", "left_anti")
-    one = lambda df: df.withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(1)))).where("_n = 1").drop("_n")
+    one = lambda df: df.agg(F.count("*").alias("_n"), F.first(F.struct(*df.columns)).alias("_r")).where("_n = 1").select("_r.*")
     dx = F.greatest(F.col("min_x") - F.col("x"), F.col("x") - F.col("max_x"), F.lit(0.0))
     dy = F.greatest(F.col("min_y") - F.col("y"), F.col("y") - F.col("max_y"), F.lit(0.0))
     pair = one(left_f).withColumn("_k", F.lit(1)).join(one(left_l).withColumn("_k", F.lit(1)), "_k").where(F.hypot(dx, dy) <= tolerance)
