@@ -64,7 +64,10 @@ def drop(df: DataFrame) -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts record batches into runs of whole rows with about `limit` bytes of the text column."""
+    """Cuts record batches into runs of whole rows with about `limit` bytes of the text column.
+
+    After each batch the memory that Arrow holds unused goes back, since a worker outlives its task.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -73,6 +76,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:], strict=False):
             yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:

@@ -32,7 +32,7 @@ class Encoder:
     is kept for the worker's next batch, up to `most` entries, and then begun anew.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         import os
 
         import regex
