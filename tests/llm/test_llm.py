@@ -222,6 +222,12 @@ def test_pseudonyms(spark):
     assert d1 == "-".join(reversed(d2.split(".")))
 
 
+def test_pseudonym_of_a_mail_address_without_a_digit(spark):
+    texts = ["write to jane.doe@example.com", "room 7, jane.doe@example.com", "at @ noon", "no data"]
+    got = [r.text for r in pii.pseudonymize(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert "jane.doe" not in got[0] and got[0].split()[-1] == got[1].split()[-1] and got[2:] == texts[2:]
+
+
 def test_date_permutation_is_one_to_one(spark):
     n = spark.range(pii.DAYS).select(pii.feistel_number(F.col("id"), *pii.PARTS, "date").alias("p"))
     got = n.agg(F.countDistinct("p"), F.min("p"), F.max("p")).first()

@@ -160,8 +160,8 @@ def pseudonymize(docs: DataFrame) -> DataFrame:
     found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     between = F.split(text, CANDIDATE, -1)
     swapped = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size(found)), F.transform(found, pseudonym), lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1))
-    # The cheap test first: every form has a digit, or is a stated secret.
-    out = docs.withColumn("text", F.when(text.rlike(r"[0-9]|AKIA|(?i:password|passwd|pwd|secret|token|api[_-]?key) ?[=:]") & text.rlike(CANDIDATE), swapped).otherwise(text))
+    # The cheap test first: every form has a digit or an @, or is a stated secret.
+    out = docs.withColumn("text", F.when(text.rlike(r"[0-9@]|AKIA|(?i:password|passwd|pwd|secret|token|api[_-]?key) ?[=:]") & text.rlike(CANDIDATE), swapped).otherwise(text))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
