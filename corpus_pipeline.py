@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from wardlight.llm.common import cut, read, ready
+from wardlight.llm.common import cut, numbered, read, ready
 from wardlight.llm.decontaminate import decontaminate
-from wardlight.llm.jaccard import near_duplicates
+from wardlight.llm.jaccard import near_duplicate_rows
 from wardlight.llm.langid import keep_identified, train
 from wardlight.llm.packing import pack_documents
 from wardlight.llm.pii import pseudonymize
@@ -20,10 +19,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays."""
+    """Of each group of linked documents one row stays, that with the least doc_id; rows are told apart by a key of their own."""
     ready(spark)
-    first = near_duplicates(docs).where(F.col("class_id") == F.col("doc_id")).select("doc_id")
-    return docs.join(first.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    rows = numbered(docs)
+    first = near_duplicate_rows(rows.select("row", "doc_id", "text")).where("first").select("row")
+    return rows.join(first.hint("shuffle_hash"), "row", "left_semi").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -176,6 +176,32 @@ def test_decontamination_against_brute_force(spark):
     assert one == many and all(one[k] == texts[k] for k in one if not want[k][1]) and one[60] is None
 
 
+@pytest.mark.parametrize("max_bytes", [1 << 20, 200])
+def test_decontamination_of_null_and_repeated_ids(spark, max_bytes):
+    passage, other = " ".join(words(30, 1, 4000)), " ".join(words(30, 2, 4000))
+    items = spark.createDataFrame([(1, passage), (2, other)], "item_id long, text string")
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(40))
+    rows = [(None, a), (None, f"{b} {other} {a}"), (7, f"{a} {passage} {b}"), (7, f"{a} {passage} {b}"), (7, b), (7, f"{passage} {a}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(x.doc_id, x.text.split()) for x in decontaminate.decontaminate(df, items, max_bytes=max_bytes).collect()]
+    want = [(k, t.replace(passage, "").replace(other, "").split()) for k, t in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    found = decontaminate.contamination(df, items, max_bytes=max_bytes).withColumn("n", decontaminate.hit_count(F.col("spans"))).collect()
+    assert sorted(str((x.doc_id, x.n_words, x.n)) for x in found) == sorted(str((k, len(t.split()), 30 * ("w" in t))) for k, t in rows)
+
+
+def test_one_row_stays_of_near_duplicates_with_null_and_repeated_ids(spark, sf):
+    import corpus_pipeline as cp
+
+    one, two, three = (" ".join(words(120, s, 3000)) for s in (11, 12, 13))
+    rows = [(None, one), (None, one), (5, two), (5, two), (5, three), (4, three + " x"), (None, None), (None, "two words"), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(str((x.doc_id, x.text)) for x in cp.ngram_jaccard(spark, df, sf).collect())
+    assert got == sorted(str(x) for x in [rows[0], rows[2], rows[5], *rows[6:]])
+    told = sorted(str(tuple(x)) for x in jaccard.near_duplicates(df).select("doc_id", "class_id", "n_links").collect())
+    assert told == sorted(map(str, [(None, None, 1)] * 2 + [(5, 5, 1)] * 2 + [(5, 4, 1), (4, 4, 1), (None, None, 0), (None, None, 0), (6, 6, 0)]))
+
+
 def test_language_models(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     models = langid.train(d.where(~langid.held_out(F.col("doc_id"))))

@@ -54,6 +54,11 @@ def cut(df: DataFrame) -> DataFrame:
     return back
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with a key of each row, row (long); written once, so that every reader sees the same keys."""
+    return cut(df.withColumn("row", F.monotonically_increasing_id()))
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a table made by cut() that nothing reads any more."""
     path = getattr(df, "_cut_path", None)

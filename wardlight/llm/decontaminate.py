@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import read, slices
+from wardlight.llm.common import numbered, read, slices
 
 #: Bytes of words: digits, letters, and everything outside ASCII; A-Z become a-z and the other bytes a blank.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -154,8 +154,8 @@ def _shards(items: DataFrame, max_bytes: int) -> Iterator[list[tuple[str, str]]]
         yield sorted((r.item_id, r.text) for r in rows)
 
 
-def contaminated_spans(docs: DataFrame, items: DataFrame, width: int = 10, max_bytes: int = 16 << 20) -> DataFrame:
-    """docs (doc_id, text) × items (item_id, text) → doc_id, n_words, spans of words hit, items, longest_match: one row per document and shard.
+def contaminated_spans(docs: DataFrame, items: DataFrame, width: int = 10, max_bytes: int = 16 << 20, key: str = "doc_id") -> DataFrame:
+    """docs (key, text) × items (item_id, text) → key, n_words, spans of words hit, items, longest_match: one row per document and shard.
 
     Words are runs of ASCII letters and digits and of anything outside ASCII, A-Z lower-cased. A window is `width`
     consecutive words of an item, or the whole of a shorter item; a word inside an occurrence of a window is hit.
@@ -165,7 +165,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, width: int = 10, max_b
     Null and blank texts have no words and no hits, repeated documents repeat their result, items without words and an
     empty benchmark hit nothing. Rows with one item_id and different texts count as one item. Texts are never cut.
     """
-    id_type = dict(docs.dtypes)["doc_id"]
+    id_type = dict(docs.dtypes)[key]
     out = None
     for shard in _shards(items, max_bytes):
 
@@ -182,20 +182,26 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, width: int = 10, max_b
                     found.append(sorted(who))
                     most.append(longest)
                 kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(found, pa.list_(pa.string())), pa.array(most, pa.int64())], names=["doc_id", "n_words", "spans", "items", "longest_match"])
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(found, pa.list_(pa.string())), pa.array(most, pa.int64())], names=[key, "n_words", "spans", "items", "longest_match"])
 
-        part = docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {id_type}, n_words long, spans array<struct<a:long,b:long>>, items array<string>, longest_match long")
+        part = docs.select(key, "text").mapInArrow(scan, f"{key} {id_type}, n_words long, spans array<struct<a:long,b:long>>, items array<string>, longest_match long")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, max_bytes: int = 16 << 20) -> DataFrame:
-    """contaminated_spans of all shards together: one row per doc_id (rows with equal doc_id are taken as one document when there are several shards)."""
-    found = contaminated_spans(docs, items, width, max_bytes)
+    """contaminated_spans of all shards together: one row per input row, by a key of its own where there are several shards."""
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if total <= max_bytes // 2:
-        return found
-    return found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest_match").alias("longest_match"))
+        return contaminated_spans(docs, items, width, max_bytes)
+    rows = numbered(docs.select("doc_id", "text"))
+    return rows.select("row", "doc_id").join(_row_spans(rows, items, width, max_bytes), "row").drop("row")
+
+
+def _row_spans(rows: DataFrame, items: DataFrame, width: int, max_bytes: int) -> DataFrame:
+    """contaminated_spans of all shards together, by row."""
+    found = contaminated_spans(rows, items, width, max_bytes, "row")
+    return found.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest_match").alias("longest_match"))
 
 
 def hit_count(spans):
@@ -216,8 +222,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, max_covera
     alone = total <= max_bytes // 2
     shard = next(_shards(items, max_bytes)) if alone else []
     if not alone:  # a pass for each shard of items finds the spans, which then meet their documents
-        spans = contamination(docs, items, width, max_bytes).select("doc_id", F.col("spans").alias("_spans"))
-        docs = docs.join(spans.where(F.size("_spans") > 0), "doc_id", "left").select(*names, "_spans")
+        rows = numbered(docs)
+        spans = _row_spans(rows, items, width, max_bytes).select("row", F.col("spans").alias("_spans"))
+        docs = rows.join(spans.where(F.size("_spans") > 0), "row", "left").select(*names, "_spans")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = SuffixAutomaton([(i, normal_words(t)) for i, t in shard], width)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import cut, drop, gram_hashes, mix, read, row_of, slices, word_hashes, words_of
+from wardlight.llm.common import cut, drop, gram_hashes, mix, numbered, read, row_of, slices, word_hashes, words_of
 from wardlight.llm.components import connected_components
 
 SHINGLE = 5
@@ -55,7 +55,7 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) → doc_id, size, h1, h2 (digest of the shingle set), sketch (COORDINATES unsigned 32-bit tokens)."""
+    """docs (row, doc_id, text) → row, doc_id, size, h1, h2 (digest of the shingle set), sketch (COORDINATES unsigned 32-bit tokens)."""
     id_type = dict(docs.dtypes)["doc_id"]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,9 +73,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                     tokens[full, i] = np.minimum.reduceat((spread * factors[i]) >> np.uint64(32), at)
                 digests[0, full] = np.add.reduceat(spread, at)
                 digests[1, full] = np.add.reduceat(mix(spread), at)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), *(pa.array(d.view(np.int64)) for d in digests), pa.array([t.tobytes() for t in tokens], pa.binary())], names=["doc_id", "size", "h1", "h2", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(size), *(pa.array(d.view(np.int64)) for d in digests), pa.array([t.tobytes() for t in tokens], pa.binary())], names=["row", "doc_id", "size", "h1", "h2", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, f"doc_id {id_type}, size long, h1 long, h2 long, sketch binary")
+    return docs.select("row", "doc_id", "text").mapInArrow(sketch, f"row long, doc_id {id_type}, size long, h1 long, h2 long, sketch binary")
 
 
 def _children(nodes: DataFrame) -> DataFrame:
@@ -322,19 +322,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     A pair at the threshold is missed only if all four runs miss it and no third set connects it: a run misses it with
     probability 0.04 at its first level and 0.07 in all, so that the target recall of 0.9999 is met. Null and blank
-    texts have no shingle, no link, and are a class of their own; a text under five words is one shingle. Repeated rows
-    are copies, doc_id should be unique; other columns are not read.
+    texts have no shingle, no link, and are a class of their own; a text under five words is one shingle. Each row is a
+    document by a key of its own, whether its doc_id is null or repeated; other columns are not read.
+    """
+    return near_duplicate_rows(numbered(docs.select("doc_id", "text"))).select("doc_id", "class_id", "n_links")
+
+
+def near_duplicate_rows(docs: DataFrame) -> DataFrame:
+    """near_duplicates of docs (row, doc_id, text), row being unique → row, doc_id, class_id, n_links, first.
+
+    first: the row is the one of its class that stays, with the least doc_id (null last), then the least row.
     """
     sk = cut(sketches(docs))
     own = sk.where("size > 0")
-    reps = cut(own.groupBy("h1", "h2", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")).alias("least")
+    reps = own.groupBy("h1", "h2", "size").agg(least, F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
+    reps = cut(reps.withColumn("rep", F.col("least.row")))
     edges = candidate_edges(reps)
     groups = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
     groups = cut(groups)
     sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
     who = groups.join(sizes, "grp").join(reps.select("rep", "copies"), "rep")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(who.hint("shuffle_hash"), "rep")
-    id_type = dict(docs.dtypes)["doc_id"]
+    texts = docs.select(F.col("row").alias("rep"), "text").join(who.hint("shuffle_hash"), "rep")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=2 << 20):
@@ -342,13 +351,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sets.view(np.int64)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "grp", "n", "copies")), lists], names=["rep", "grp", "n", "copies", "shingles"])
 
-    sets = texts.select("rep", "grp", "n", "copies", "text").mapInArrow(sets_of, f"rep {id_type}, grp {id_type}, n long, copies long, shingles array<long>")
+    sets = texts.select("rep", "grp", "n", "copies", "text").mapInArrow(sets_of, "rep long, grp long, n long, copies long, shingles array<long>")
     checked = cut(_verify(in_blocks(sets, "grp", "n", "rep", BUCKET)))
     links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = connected_components(checked.select(F.col("rep").alias("u"), F.col("label").alias("v"))).select(F.col("node").alias("rep"), F.col("component").alias("cls"))
-    told = reps.select("h1", "h2", "size", "rep", "copies").join(links, "rep", "left").join(classes, "rep", "left")
-    found = sk.select("doc_id", "size", "h1", "h2").join(told, ["h1", "h2", "size"], "left")
-    return found.select("doc_id", F.coalesce("cls", "rep", "doc_id").alias("class_id"), F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"))
+    classes = cut(classes.join(reps.select("rep", "least"), "rep"))
+    best = classes.groupBy("cls").agg(F.min("least").alias("best"))
+    told = reps.select("h1", "h2", "size", "rep", "copies", "least").join(links, "rep", "left").join(classes.select("rep", "cls").join(best, "cls"), "rep", "left")
+    told = told.select("h1", "h2", "size", "copies", "links", F.coalesce("best", "least").alias("best"))
+    found = sk.select("row", "doc_id", "size", "h1", "h2").join(told, ["h1", "h2", "size"], "left")
+    n_links = F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long")
+    alone = F.col("best").isNull()
+    return found.select("row", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("class_id"), n_links.alias("n_links"), (alone | (F.col("best.row") == F.col("row"))).alias("first"))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
