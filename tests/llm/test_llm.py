@@ -254,6 +254,18 @@ def test_pseudonym_of_a_mail_address_without_a_digit(spark):
     assert "jane.doe" not in got[0] and got[0].split()[-1] == got[1].split()[-1] and got[2:] == texts[2:]
 
 
+def test_pseudonyms_of_cards_and_ibans_beside_other_numbers(spark):
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    texts = [card, f"{card} 12/25", f"{card} 123", f"15 {card}", f"15 12 {card}", f"{'7 ' * 30}{card} end", f"{card} 123-45-6789", f"{card} 2024-01-15", iban, f"{iban} 2024", f"born 25/12/2024, {card}-1@x.org", "4111 1111 1111 1112 12/25", "31/31/2024"]
+    got = [r.text for r in pii.pseudonymize(docs(spark, texts)).orderBy("doc_id").collect()]
+    new, new_iban = got[0], got[8]
+    assert luhn(new.replace(" ", "")) and new != card and new_iban != iban
+    assert got[1:5] == [f"{new} 12/25", f"{new} 123", f"15 {new}", f"15 12 {new}"]
+    assert card not in got[5] and got[5].endswith(" end") and got[9] == f"{new_iban} 2024"
+    assert got[6].startswith(new) and "123-45-6789" not in got[6] and got[7].startswith(new) and "2024-01-15" not in got[7]
+    assert "25/12/2024" not in got[10] and got[11:] == texts[11:]
+
+
 def test_date_permutation_is_one_to_one(spark):
     n = spark.range(pii.DAYS).select(pii.feistel_number(F.col("id"), *pii.PARTS, "date").alias("p"))
     got = n.agg(F.countDistinct("p"), F.min("p"), F.max("p")).first()

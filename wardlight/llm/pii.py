@@ -13,17 +13,30 @@ ROUNDS = 8
 FIRST_DAY, DAYS, PARTS = "1900-01-01", 73_049, (17, 4_297)
 
 EMAIL = r"(?<![._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){1,8}"
-IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+#: Lengths of the countries' IBANs; a country that isn't listed has what its capitals and digits give.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+IBAN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items()) + r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 SECRET = r"AKIA[A-Z0-9]{16}|(?i:password|passwd|pwd|secret|token|api[_-]?key) ?[=:] ?\x22?[^\s\x22]{6,}"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{8,15}"
 IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"
+#: A card found within a run of digit groups stands between these two, which are no characters of any text.
+MARKS = "\ufdd0\ufdd1"
+MARKED = f"{MARKS[0]}[0-9 -]+{MARKS[1]}"
 #: The order decides at one place: the earlier form wins.
 FORMS = (("secret", SECRET), ("email", EMAIL), ("iban", IBAN), ("ip", IPV4), ("date", DATE), ("ssn", SSN), ("phone", PHONE), ("card", CARD))
 #: Not inside a longer run of letters and digits.
-CANDIDATE = r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for _, p in FORMS) + r")(?![A-Za-z0-9])"
+CANDIDATE = rf"(?<![A-Za-z0-9])(?:{MARKED}|" + "|".join(f"(?:{p})" for _, p in FORMS) + r")(?![A-Za-z0-9])"
+#: What is tried before a card at one place, and a run of digit groups of any length, from 13 digits on.
+EARLIER = "(?:" + "|".join(f"(?:{p})" for name, p in FORMS if name != "card") + ")(?![A-Za-z0-9])"
+RUN = r"(?=[0-9](?:[ -]?[0-9]){12})[0-9 -]*[0-9](?![A-Za-z0-9]|[A-Za-z0-9._%+-]*+@)"
+EARLIER_OR_RUN = rf"(?<![A-Za-z0-9])(?:{EARLIER}|{RUN})"
 
 
 def _number(*parts: Column) -> Column:
@@ -101,15 +114,54 @@ def _mod97(text: Column) -> Column:
 
 
 def _day(text: Column) -> Column:
-    """The date that text writes, year first, or day and month; null if there is none from 1900 to 2099."""
-    parsed = F.when(text.rlike("^[0-9]{4}-"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))).when(F.contains(text, F.lit("/")), F.try_to_timestamp(text, F.lit("M/d/yyyy"))).otherwise(F.try_to_timestamp(text, F.lit("d.M.yyyy"))).cast("date")
+    """The date that text writes, year first, or day and month, with slashes month and day if that is a date; null if there is none from 1900 to 2099."""
+    parsed = F.when(text.rlike("^[0-9]{4}-"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))).when(F.contains(text, F.lit("/")), F.coalesce(F.try_to_timestamp(text, F.lit("M/d/yyyy")), F.try_to_timestamp(text, F.lit("d/M/yyyy")))).otherwise(F.try_to_timestamp(text, F.lit("d.M.yyyy"))).cast("date")
     return F.when(F.year(parsed).between(1900, 2099), parsed)
 
 
+def _mark_cards(run: Column) -> Column:
+    """run with each card in it between MARKS: the whole run, or else parts of whole digit groups that pass Luhn's check.
+
+    Dates and numbers that are tried before cards are no parts of a card. Of parts that overlap, those of 16 digits
+    come first, then 15, then the longer, then the earlier.
+    """
+    groups = F.regexp_extract_all(run, F.lit(f"({EARLIER}[ -]*|[0-9]+[ -]*)"), F.lit(1))
+    n = F.size(groups)
+
+    def part(i: Column, k: Column) -> Column:
+        text = F.regexp_replace(F.array_join(F.slice(groups, i, k), ""), "[ -]+$", "")
+        size = F.length(_digits(text))
+        rank = F.when(k == n, 0).when(size == 16, 1).when(size == 15, 2).otherwise(30 - size)
+        return F.struct(rank.alias("rank"), i.alias("i"), k.alias("k"), text.alias("text"))
+
+    plain = lambda i, k: F.forall(F.slice(groups, i, k), lambda g: g.rlike("^[0-9]+[ -]*$"))
+    lengths = lambda i: F.filter(F.sequence(F.lit(1), F.least(n - i + 1, F.lit(19))), lambda k: plain(i, k))
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(lengths(i), lambda k: part(i, k))))
+    valid = F.array_sort(F.filter(parts, lambda p: p["text"].rlike(f"^{CARD}$") & (luhn_sum(_digits(p["text"])) % 10 == 0)))
+    none = F.filter(valid, lambda p: F.lit(False))
+    free = lambda taken, p: F.forall(taken, lambda t: (t["i"] + t["k"] <= p["i"]) | (p["i"] + p["k"] <= t["i"]))
+    taken = F.aggregate(valid, none, lambda s, p: F.when(free(s, p), F.array_append(s, p)).otherwise(s))
+
+    def written(cards: Column) -> Column:
+        starts = lambda i: F.exists(cards, lambda t: t["i"] == i)
+        ends = lambda i: F.exists(cards, lambda t: t["i"] + t["k"] - 1 == i)
+        digits = lambda g: F.regexp_extract(g, "^[0-9]+", 0)
+        one = lambda g, at: F.concat(F.when(starts(at + 1), F.lit(MARKS[0])).otherwise(F.lit("")), F.when(ends(at + 1), F.concat(digits(g), F.lit(MARKS[1]), F.regexp_replace(g, "^[0-9]+", ""))).otherwise(g))
+        return F.array_join(F.transform(groups, one), "")
+
+    return F.element_at(F.transform(F.array(taken), written), 1)
+
+
+def _swap(text: Column, pattern: str, new) -> Column:
+    """text with new(match) for each match of pattern."""
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    return F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size(found)), F.transform(found, new), lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1))
+
+
 def pseudonym(value: Column) -> Column:
     """The pseudonym of one candidate, or the candidate itself where it isn't valid.
 
-    Cards of 13 to 19 digits must pass Luhn's check and IBANs the remainder by 97, and so do their pseudonyms; spaces
+    Cards of 13 to 19 digits must pass Luhn's check (digit groups beside a card are not its own) and IBANs the remainder by 97, and so do their pseudonyms; spaces
     and dashes stay where they are and do not matter for the value, so that one number is linked in all its spellings.
     Dates from 1900 to 2099 are permuted among the days, IPv4 addresses with parts up to 255 among all addresses, other
     values among those with the same classes of characters.
@@ -134,7 +186,7 @@ def pseudonym(value: Column) -> Column:
     ip = F.when(F.forall(parts, lambda x: x <= 255), quad).otherwise(value)
     day = _day(value)
     moved = F.date_add(F.lit(FIRST_DAY).cast("date"), feistel_number(F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long"), *PARTS, "date").cast("int"))
-    written = F.when(value.rlike("^[0-9]{4}-"), F.date_format(moved, "yyyy-MM-dd")).when(F.contains(value, F.lit("/")), F.date_format(moved, "MM/dd/yyyy")).otherwise(F.date_format(moved, "dd.MM.yyyy"))
+    written = F.when(value.rlike("^[0-9]{4}-"), F.date_format(moved, "yyyy-MM-dd")).when(F.contains(value, F.lit("/")), F.when(F.try_to_timestamp(value, F.lit("M/d/yyyy")).isNotNull(), F.date_format(moved, "MM/dd/yyyy")).otherwise(F.date_format(moved, "dd/MM/yyyy"))).otherwise(F.date_format(moved, "dd.MM.yyyy"))
     date = F.when(day.isNotNull(), written).otherwise(value)
     flat = F.regexp_replace(value, " ", "")
     account = feistel_text(F.substr(flat, F.lit(5), F.length(flat)), F.lit("iban"))
@@ -157,11 +209,12 @@ def pseudonymize(docs: DataFrame) -> DataFrame:
     a candidate is returned as it is. A null text stays null, an empty one empty; texts are searched whole.
     """
     text = F.col("text")
-    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    between = F.split(text, CANDIDATE, -1)
-    swapped = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size(found)), F.transform(found, pseudonym), lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1))
+    # Cards within longer runs of digits are marked first, so that what is beside them is searched for the other forms.
+    run = lambda v: v.rlike(f"^(?:{RUN})$") & ~v.rlike(f"^(?:{EARLIER})$")
+    marked = F.when(text.rlike(rf"(?<![A-Za-z0-9]){RUN}"), _swap(text, EARLIER_OR_RUN, lambda v: F.when(run(v), _mark_cards(v)).otherwise(v))).otherwise(text)
+    swapped = _swap(F.col("_marked"), CANDIDATE, lambda v: pseudonym(F.translate(v, MARKS, "")))
     # The cheap test first: every form has a digit or an @, or is a stated secret.
-    out = docs.withColumn("text", F.when(text.rlike(r"[0-9@]|AKIA|(?i:password|passwd|pwd|secret|token|api[_-]?key) ?[=:]") & text.rlike(CANDIDATE), swapped).otherwise(text))
+    out = docs.withColumn("_marked", marked).withColumn("text", F.when(text.rlike(r"[0-9@]|AKIA|(?i:password|passwd|pwd|secret|token|api[_-]?key) ?[=:]") & F.col("_marked").rlike(CANDIDATE), swapped).otherwise(text)).drop("_marked")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
