@@ -296,6 +296,39 @@ def test_substrings_against_brute_force(spark, monkeypatch):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), len(gone), hashlib.sha256(left.encode()).hexdigest()), i
 
 
+def windows_lost(rows, order):
+    """Brute force: for each row (doc_id, text) the places of its words that an earlier doc_id's windows cover."""
+    seqs = [(t or "").split() for _, t in rows]
+    first = {}
+    for (d, _), w in zip(rows, seqs, strict=True):
+        for a in range(len(w) - 49):
+            k = tuple(w[a : a + 50])
+            first[k] = min(first.get(k, order(d)), order(d))
+    return [{p for a in range(len(w) - 49) if first[tuple(w[a : a + 50])] < order(d) for p in range(a, a + 50)} for (d, _), w in zip(rows, seqs, strict=True)]
+
+
+def test_substrings_with_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "PER_SALT", 1)
+    monkeypatch.setattr(substrings, "BLOCK", 2_000)  # so that there are many automata
+    one, two = words(80, 901, 3000), words(90, 902, 3000)
+    text = lambda *parts: " ".join(x for p in parts for x in p)
+    rows = [(2, text(one, ["x"])), (2, text(["y"], one, two)), (2, text(one, ["x"])), (1, text(two)), (None, text(two, one)), (None, text(two, one)), (None, text(one)), (3, None), (None, ""), (4, text(one, ["x"]))]
+    order = lambda d: (d is None, d or 0)
+    want = [(d, len((t or "").split()), len(gone)) for (d, t), gone in zip(rows, windows_lost(rows, order), strict=True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("x")).withColumn("block", F.lit(1))
+    got = [(x.doc_id, x.n_words, x.n_removed) for x in substrings.kept_words(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and any(g for _, _, g in want)
+
+
+def test_the_automata_alone_locate_passages(spark, monkeypatch):
+    shared = words(60, 903, 3000)
+    df = docs(spark, [" ".join(["a", *shared]), " ".join([*shared, "b"])])
+    assert [x.n_removed for x in substrings.kept_words(df).orderBy("doc_id").collect()] == [0, 60]
+    found = substrings._occurrences
+    monkeypatch.setattr(substrings, "_occurrences", lambda rows: found(rows.where("kind <> 1")))  # automata without phrases
+    assert [x.n_removed for x in substrings.kept_words(df).orderBy("doc_id").collect()] == [0, 0]
+
+
 def test_repeated_rows(spark):
     long_text = " ".join(words(120, 7, 3000))
     df = docs(spark, [long_text, "b " + long_text, long_text + " c"])

@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import cut, gram_hashes, mix, ragged, read, row_of, row_sums, slices, word_hashes, words_of
+from wardlight.llm.common import cut, gram_hashes, ragged, read, row_of, row_sums, slices, word_hashes, words_of
 
 WINDOW = 50
-PHRASE = 20  # words of a phrase; any WINDOW words hold at least one phrase chosen by their content alone
-PER_SALT = 2_000  # occurrences of a phrase that one group of a round takes
+PHRASE = 8  # words of a phrase; any WINDOW words hold at least one phrase chosen by their content alone
+PER_SALT = 2_000  # documents with one phrase that one group of a round takes
+BLOCK = 8 << 20  # bytes of text that share one automaton
+LETTERS = 1_000_000  # words that single characters can stand for
 
 
 def sliding(values: np.ndarray, width: int, fold) -> np.ndarray:
@@ -51,7 +53,7 @@ def window_phrases(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    """Per row of docs: words, digests of the word sequence, and the phrases chosen in its windows."""
+    """Per row of docs (doc_id, h: hash of text, text): words, digest of the word sequence, and the phrases chosen in its windows."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=4 << 20):
@@ -62,83 +64,156 @@ def _base(docs: DataFrame) -> DataFrame:
             digests = [hashlib.sha256(b" ".join([raw[i] for i in at[a:b]])).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             _, chosen = window_phrases(hashes, offsets)
             chosen = np.unique(chosen)
-            rows = row_of(offsets)[chosen]
-            per_row = np.bincount(rows, minlength=batch.num_rows)
-            grams = gram_hashes(hashes, PHRASE)[chosen].view(np.int64)
-            ends = np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)
-            pairs = pa.StructArray.from_arrays([pa.array(grams), pa.array((chosen - offsets[:-1][rows]).astype(np.int32))], names=["phrase", "at"])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pairs)], names=["doc_id", "n_words", "digest", "phrases"])
+            rows, grams = row_of(offsets)[chosen], gram_hashes(hashes, PHRASE)[chosen]
+            order = np.lexsort((grams, rows))
+            chosen, rows, grams = chosen[order], rows[order], grams[order]
+            if len(chosen):  # a phrase once a row
+                fresh = np.concatenate([[True], (rows[1:] != rows[:-1]) | (grams[1:] != grams[:-1])])
+                chosen, rows, grams = chosen[fresh], rows[fresh], grams[fresh]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=batch.num_rows))]).astype(np.int32)
+            written = pa.array([b" ".join([raw[i] for i in at[p : p + PHRASE]]) for p in chosen.tolist()], pa.binary()).cast(pa.string())
+            pairs = pa.StructArray.from_arrays([pa.array(grams.view(np.int64)), written], names=["phrase", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), batch.column("size"), pa.array(np.diff(offsets)), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pairs)], names=["doc_id", "h", "size", "n_words", "digest", "phrases"])
 
     id_type = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {id_type}, n_words long, digest binary, phrases array<struct<phrase:long,at:int>>")
+    own = docs.select("doc_id", "h", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "text")
+    return own.mapInArrow(scan, f"doc_id {id_type}, h long, size long, n_words long, digest binary, phrases array<struct<phrase:long,words:string>>")
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ats: places of recurring phrases) → one row for each place where an automaton finds one: phrase, doc_id, at, first, windows.
+class _Phrases:
+    """An Aho-Corasick automaton over phrases of words, each word being one character (two, where there are very many words)."""
 
-    An automaton is compiled for each shard of documents from the recurring phrases of those documents, words being
-    single characters, and all documents of the shard stream through it. windows: hashes of the windows from `first`
-    on whose chosen phrase is this one.
-    """
+    def __init__(self):
+        self.codes: dict[bytes, int] = {}
+        self.told: list[tuple[int, int]] = []
+        self.spelt: list[list[int]] = []
+        self.automaton = None
 
-    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(self, phrase: int, salts: int, words: bytes) -> None:
+        self.spelt.append([self.codes.setdefault(w, len(self.codes) + 1) for w in words.split(b" ")])
+        self.told.append((phrase, salts))
+
+    def letters(self, numbers: np.ndarray) -> str:
+        parts = [numbers] if not self.wide else [numbers >> 12, numbers & 0xFFF]
+        own = np.stack(parts, axis=1).ravel() + 0x100
+        return (own + 0x800 * (own >= 0xD800)).astype(np.uint32).tobytes().decode("utf-32-le")  # no surrogates
+
+    def compile(self) -> None:
         import ahocorasick
 
-        for batch in slices(batches, limit=2 << 20):
-            words, distinct, offsets = words_of(batch.column("text"))
-            letters = (words + 0x100 + 0x800 * (words + 0x100 >= 0xD800)).astype(np.uint32)  # no surrogates
-            text = letters.tobytes().decode("utf-32-le")
-            ats = batch.column("ats")
-            of = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(ats.offsets)))
-            places = (ats.flatten().to_numpy() + offsets[:-1][of]).tolist()
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-            for p in places:
-                automaton.add_word(text[p : p + PHRASE])
-            if not len(automaton):
-                continue
-            automaton.make_automaton()
-            bounds = offsets.tolist()
-            found = np.array([a + end + 1 - PHRASE for a, b in zip(bounds, bounds[1:], strict=False) if b - a >= WINDOW for end, _ in automaton.iter(text[a:b])], np.int64)
-            if not len(found):
-                continue
-            hashes = word_hashes(distinct)[words]
-            grams = gram_hashes(hashes, PHRASE)
-            windows, chosen = window_phrases(hashes, offsets)
-            sums = gram_hashes(word_hashes(distinct, 1)[words], WINDOW)
-            # Windows are in order and so are their chosen phrases: those of one place are a run.
-            a, b = np.searchsorted(chosen, found), np.searchsorted(chosen, found, side="right")
-            found, a, b = found[b > a], a[b > a], b[b > a]
-            if not len(found):
-                continue
-            rows = row_of(offsets)[found]
-            ends = np.concatenate([[0], np.cumsum(b - a)]).astype(np.int32)
-            values = sums[windows[ragged(a, b - a)]].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(grams[found].view(np.int64)), batch.column("doc_id").take(pa.array(rows)), pa.array((windows[a] - offsets[:-1][rows]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["phrase", "doc_id", "first", "windows"])
+        self.wide = len(self.codes) > LETTERS
+        self.automaton = ahocorasick.Automaton()
+        for k, spelt in enumerate(self.spelt):
+            self.automaton.add_word(self.letters(np.array(spelt)), k)
+        self.spelt = []
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def find(self, words: np.ndarray, distinct: list[bytes], offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where phrases begin in texts that are rows of word numbers, and which."""
+        if not len(self.automaton):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        known = np.fromiter((self.codes.get(w, 0) for w in distinct), np.int64, len(distinct))
+        text = self.letters(known[words])
+        n = 2 if self.wide else 1
+        bounds = (offsets * n).tolist()
+        hits = [(a + end + 1 - n * PHRASE, k) for a, b in zip(bounds, bounds[1:], strict=False) if b - a >= n * WINDOW for end, k in self.automaton.iter(text[a:b])]
+        found = np.array(hits, np.int64).reshape(-1, 2)
+        found = found[found[:, 0] % n == 0]
+        return found[:, 0] // n, found[:, 1]
+
+
+def _occurrences(rows: DataFrame) -> DataFrame:
+    """Blocks of rows (block, kind, doc_id, h, digest, phrase, salts, text) → places of confirmed phrases, found by an automaton for each block.
+
+    kind 0: the documents to be searched (doc_id, h, digest); 1: the confirmed phrases (phrase, salts, text: its words)
+    that some document of the block chose; 2: the documents' texts. A block's phrases are compiled into one automaton
+    and all its documents stream through. Where a phrase lies, and in which documents, is known from the automaton's
+    hits alone. Gives phrase, salts, digest, doc_id, first, windows (hashes of the windows from `first` on whose chosen
+    phrase is this one), and for each document with a hit one row with its text (phrase null).
+    """
+    id_type = dict(rows.dtypes)["doc_id"]
+    names = ["phrase", "salts", "digest", "doc_id", "first", "windows", "text"]
 
-    id_type = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text", "ats").mapInArrow(locate, f"phrase long, doc_id {id_type}, first int, windows array<long>")
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, phrases, firsts = None, None, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            blocks, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                part, kind = batch.slice(lo, hi - lo), kinds[lo]
+                if blocks[lo] != block:
+                    block, phrases, firsts = blocks[lo], _Phrases(), {}
+                if kind == 0:
+                    firsts.update(zip(zip(part.column("doc_id").to_pylist(), part.column("h").to_pylist(), strict=True), part.column("digest").to_pylist(), strict=True))
+                elif kind == 1:
+                    for told in zip(part.column("phrase").to_pylist(), part.column("salts").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                        phrases.add(*told)
+                else:
+                    if phrases.automaton is None:
+                        phrases.compile()
+                    digests = [firsts.pop(k, None) for k in zip(part.column("doc_id").to_pylist(), part.column("h").to_pylist(), strict=True)]
+                    mine = np.flatnonzero([d is not None for d in digests])
+                    taken = part.take(pa.array(mine)).set_column(part.schema.get_field_index("digest"), "digest", pa.array([digests[i] for i in mine], pa.binary()))
+                    for own in slices(iter([taken]), limit=2 << 20):
+                        yield from places(own, phrases)
+
+    def places(own: pa.RecordBatch, phrases: _Phrases) -> Iterator[pa.RecordBatch]:
+        words, distinct, offsets = words_of(own.column("text"))
+        found, which = phrases.find(words, distinct.cast(pa.binary()).to_pylist(), offsets)
+        if not len(found):
+            return
+        hashes = word_hashes(distinct)[words]
+        windows, chosen = window_phrases(hashes, offsets)
+        sums = gram_hashes(word_hashes(distinct, 1)[words], WINDOW)
+        # Windows are in order and so are their chosen phrases: those of one place are a run.
+        a, b = np.searchsorted(chosen, found), np.searchsorted(chosen, found, side="right")
+        found, which, a, b = found[b > a], which[b > a], a[b > a], b[b > a]
+        if not len(found):
+            return
+        row = row_of(offsets)[found]
+        ends = np.concatenate([[0], np.cumsum(b - a)]).astype(np.int32)
+        values = sums[windows[ragged(a, b - a)]].view(np.int64)
+        told = np.array(phrases.told, np.int64)[which]
+        of = pa.array(row)
+        kind, digest = own.column("doc_id").type, own.column("digest")
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(told[:, 0]), pa.array(told[:, 1].astype(np.int32)), digest.take(of), own.column("doc_id").take(of), pa.array((windows[a] - offsets[:-1][row]).astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.nulls(len(row), pa.string()),
+            ],
+            names=names,
+        )
+        held = pa.array(np.unique(row))
+        n = len(held)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), digest.take(held), pa.nulls(n, kind), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64())), own.column("text").take(held).cast(pa.string())], names=names)
+
+    dealt = rows.repartition("block").sortWithinPartitions("block", "kind")
+    return dealt.mapInArrow(locate, f"phrase long, salts int, digest binary, doc_id {id_type}, first int, windows array<long>, text string")
 
 
 def _contest(rows: DataFrame) -> DataFrame:
     """Within each (phrase, salt) the least doc_id of each window hash keeps the window; later ones lose it.
 
-    rows are dealt by (phrase, salt) and sorted with doc_id, so that the first row with a hash has the least doc_id: a
-    task streams, holding the hashes of one phrase's windows. Gives phrase, doc_id, w, starts: the windows lost in a
-    place (w null) and, for phrases with several salts, which have yet to meet, one row for each window hash w that a
-    document keeps, with all its starts there.
+    rows are dealt by (phrase, salt) and sorted with doc_id (null last), so that the first row with a hash has the least
+    doc_id: a task streams, holding the hashes of one phrase's windows. Gives phrase, digest, doc_id, w, starts: the
+    windows lost in a place (w null) and, for phrases with several salts, which have yet to meet, one row for each window
+    hash w that a text keeps, with all its starts there.
     """
     id_type = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, least, doc, held, kind = None, {}, None, {}, None
+        group, least, text, held, kind = None, {}, None, {}, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             kind, out = batch.schema.field("doc_id").type, []
-            for *g, d, first, values, salts in zip(*(batch.column(c).to_pylist() for c in ("phrase", "salt", "doc_id", "first", "windows", "salts")), strict=True):
-                if g != group or d != doc:
-                    out.extend((group[0], doc, h, starts) for h, starts in held.items())
-                    least, group, doc, held = least if g == group else {}, g, d, {}
+            for *g, d, t, first, values, salts in zip(*(batch.column(c).to_pylist() for c in ("phrase", "salt", "doc_id", "digest", "first", "windows", "salts")), strict=True):
+                if g != group or (d, t) != text:
+                    out.extend((group[0], text[1], text[0], h, starts) for h, starts in held.items())
+                    least, group, text, held = least if g == group else {}, g, (d, t), {}
                 lost = []
                 for at, h in enumerate(values, first):
                     if least.setdefault(h, d) != d:
@@ -146,43 +221,60 @@ def _contest(rows: DataFrame) -> DataFrame:
                     elif salts > 1:
                         held.setdefault(h, []).append(at)
                 if lost:
-                    out.append((g[0], d, None, lost))
+                    out.append((g[0], t, d, None, lost))
             if out:
                 yield told(out, kind)
         if held:
-            yield told([(group[0], doc, h, starts) for h, starts in held.items()], kind)
+            yield told([(group[0], text[1], text[0], h, starts) for h, starts in held.items()], kind)
 
     def told(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-        kinds = [pa.int64(), kind, pa.int64(), pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["phrase", "doc_id", "w", "starts"])
+        kinds = [pa.int64(), pa.binary(), kind, pa.int64(), pa.list_(pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["phrase", "digest", "doc_id", "w", "starts"])
+
+    own = rows.select("phrase", "salt", "doc_id", "digest", "first", "windows", "salts")
+    dealt = own.repartition("phrase", "salt").sortWithinPartitions("phrase", "salt", F.col("doc_id").asc_nulls_last(), "digest")
+    return dealt.mapInArrow(run, f"phrase long, digest binary, doc_id {id_type}, w long, starts array<int>")
+
 
-    own = rows.select("phrase", "salt", "doc_id", "first", "windows", "salts")
-    return own.repartition("phrase", "salt").sortWithinPartitions("phrase", "salt", "doc_id").mapInArrow(run, f"phrase long, doc_id {id_type}, w long, starts array<int>")
+def _missing(doc_id: str = "doc_id"):
+    """A doc_id as it is compared: null after all others."""
+    return F.struct(F.col(doc_id).isNull().alias("missing"), F.col(doc_id).alias("doc_id"))
 
 
 def lost_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """docs (doc_id, text) → (base, reps, shards, lost).
+    """docs (doc_id, h, text) → (base, reps, texts, lost).
 
-    base: figures of each row. reps (digest, rep): the first document of each word sequence of a window or more. shards:
-    the texts of those first documents that hold a recurring phrase. lost (doc_id, starts): the starts of the windows of
-    WINDOW words in them whose sequence starts in a document with a smaller doc_id too.
+    base: figures of each row. reps (digest, doc_id, h): the first document of each word sequence of a window or more.
+    texts (digest, text): the texts of those that hold a recurring phrase. lost (digest, starts): the starts of the
+    windows of WINDOW words in them whose sequence starts in a document with a smaller doc_id too.
     """
-    base = cut(_base(docs.select("doc_id", "text")))
-    reps = base.where(F.col("n_words") >= WINDOW).groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    firsts = reps.select(F.col("digest").alias("d"), "rep")
-    chosen = base.join(firsts, (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")), "left_semi").select("doc_id", F.inline("phrases"))
+    base = cut(_base(docs))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "h")).alias("least")
+    reps = cut(base.where(F.col("n_words") >= WINDOW).groupBy("digest").agg(first, F.first("size").alias("size")).select("digest", "least.doc_id", "least.h", "size"))
+    blocks = max(1, -(-(reps.agg(F.sum("size")).first()[0] or 0) // BLOCK))
+    block = F.pmod(F.xxhash64("doc_id", "h"), F.lit(blocks)).cast("int").alias("block")
+    firsts = reps.select(F.col("digest").alias("d"), F.col("doc_id").alias("i"), F.col("h").alias("k"))
+    same = (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k"))
+    text = F.xxhash64("digest").alias("t")
+    chosen = base.join(firsts, same, "left_semi").select(text, block, F.inline("phrases"))
     # Confirmed: the phrase is chosen in two documents with different words.
-    held = cut(chosen.groupBy("phrase").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("phrase", F.ceil(F.col("n") / PER_SALT).cast("int").alias("salts")))
-    again = chosen.join(held.select("phrase"), "phrase").groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
-    shards = cut(docs.select("doc_id", "text").join(again.hint("shuffle_hash"), "doc_id"))
-    found = _occurrences(shards)
-    salted = found.join(held, "phrase").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts").cast("long")).cast("int"))
-    first = cut(_contest(salted))
-    once = first.where("w is null").select("doc_id", "starts")
-    # What the salts of one phrase kept meets window by window: at most one row a salt, so no group grows with the phrase.
-    least = F.min("doc_id").over(Window.partitionBy("phrase", "w"))
-    twice = first.where("w is not null").withColumn("least", least).where("doc_id <> least").select("doc_id", "starts")
-    return base, reps, shards, once.unionByName(twice).groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    counts = chosen.groupBy("phrase").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    held = cut(counts.select("phrase", F.ceil(F.col("n") / PER_SALT).cast("int").alias("salts")))
+    wanted = chosen.groupBy("block", "phrase").agg(F.min("words").alias("text")).join(held, "phrase")
+    id_type = dict(docs.dtypes)["doc_id"]
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    rows = reps.select(block, F.lit(0).alias("kind"), "doc_id", "h", "digest", none("long", "phrase"), none("int", "salts"), none("string", "text"))
+    rows = rows.unionByName(wanted.select("block", F.lit(1).alias("kind"), none(id_type, "doc_id"), none("long", "h"), none("binary", "digest"), "phrase", "salts", "text"))
+    rows = rows.unionByName(docs.select(block, F.lit(2).alias("kind"), "doc_id", "h", none("binary", "digest"), none("long", "phrase"), none("int", "salts"), "text"))
+    found = cut(_occurrences(rows))
+    salted = found.where("phrase is not null").withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("salts").cast("long")).cast("int"))
+    kept = cut(_contest(salted))
+    once = kept.where("w is null").select("digest", "starts")
+    # What the salts of one phrase kept meets window by window: at most one row a salt and doc_id, so no group grows with the phrase.
+    least = F.min(_missing()).over(Window.partitionBy("phrase", "w"))
+    twice = kept.where("w is not null").withColumn("least", least).where(_missing() != F.col("least")).select("digest", "starts")
+    lost = once.unionByName(twice).groupBy("digest").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return base, reps, found.where("phrase is null").select("digest", "text"), lost
 
 
 def kept_words(docs: DataFrame, texts: bool = False) -> DataFrame:
@@ -192,12 +284,14 @@ def kept_words(docs: DataFrame, texts: bool = False) -> DataFrame:
     sequence that also starts in a document with a smaller doc_id; windows are those of the input. Documents with the
     same words as one with a smaller doc_id lose all of them, if they have a window; only the first of them is searched.
 
-    doc_id should be unique; rows that share one and the same words are alike. Null and blank texts have no words. Ties
-    cannot arise: the least doc_id keeps a passage. A phrase in very many documents is dealt over salted groups.
+    Each row is a document, also where its doc_id is repeated or null: rows with one doc_id take nothing from each other,
+    and a null doc_id comes after all others. Repeated rows have the same result. Null and blank texts have no words; an
+    empty table gives an empty one; texts of any length are searched whole; ties cannot arise, as the least doc_id keeps
+    a passage; other columns are not read, so that their names do not matter. A phrase in very many documents is dealt
+    over salted groups.
     """
-    base, reps, shards, lost = lost_windows(docs)
-    shards = shards.select("doc_id", "text").join(lost.hint("shuffle_hash"), "doc_id")
-    id_type = dict(docs.dtypes)["doc_id"]
+    docs = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    base, reps, held, lost = lost_windows(docs)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=4 << 20):
@@ -208,18 +302,16 @@ def kept_words(docs: DataFrame, texts: bool = False) -> DataFrame:
             gone = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + WINDOW, minlength=len(words) + 1)
             keep = np.cumsum(gone[:-1]) == 0
             raw = distinct.cast(pa.binary()).to_pylist()
-            texts_, digests = [], []
-            for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                left = b" ".join([raw[i] for i in words[lo:hi][keep[lo:hi]].tolist()])
-                digests.append(hashlib.sha256(left).hexdigest())
-                texts_.append(left)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(row_sums((~keep).astype(np.int64), offsets)), pa.array(digests), pa.array(texts_, pa.binary()).cast(pa.string()) if texts else pa.nulls(len(digests), pa.string())], names=["doc_id", "n_removed", "kept_sha256", "kept_text"])
-
-    part = shards.mapInArrow(remove, f"doc_id {id_type}, n_removed long, kept_sha256 string, kept_text string").dropDuplicates(["doc_id"])
-    # base without its phrases; copies of an earlier document first.
-    own = base.select("doc_id", "n_words", "digest").join(reps, "digest", "left")
-    copy = F.coalesce(F.col("rep") < F.col("doc_id"), F.lit(False))
-    out = own.join(part, "doc_id", "left")
+            left = [b" ".join([raw[i] for i in words[lo:hi][keep[lo:hi]].tolist()]) for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            digests = [hashlib.sha256(x).hexdigest() for x in left]
+            kept = pa.array(left, pa.binary()).cast(pa.string()) if texts else pa.nulls(len(left), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(row_sums((~keep).astype(np.int64), offsets)), pa.array(digests), kept], names=["digest", "n_removed", "kept_sha256", "kept_text"])
+
+    part = held.join(lost.hint("shuffle_hash"), "digest").mapInArrow(remove, "digest binary, n_removed long, kept_sha256 string, kept_text string")
+    # A row a distinct text, written, so that many copies of one text are dealt as a skewed join.
+    told = cut(reps.select("digest", F.col("doc_id").alias("rep"), F.lit(True).alias("long")).join(part, "digest", "left"))
+    out = base.select("doc_id", "h", "n_words", "digest").join(told, "digest", "left")
+    copy = F.col("long").isNotNull() & ~F.col("rep").eqNullSafe(F.col("doc_id"))
     empty = F.lit(hashlib.sha256(b"").hexdigest())
     cols = [
         "doc_id",
@@ -228,8 +320,9 @@ def kept_words(docs: DataFrame, texts: bool = False) -> DataFrame:
         F.when(copy, empty).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),
     ]
     if texts:
-        whole = docs.select(F.col("doc_id"), F.array_join(F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda x: x != ""), " ").alias("whole")).dropDuplicates(["doc_id"])
-        out = out.join(whole, "doc_id")
+        whole = F.array_join(F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda x: x != ""), " ")
+        same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k"))
+        out = out.join(docs.select(F.col("doc_id").alias("i"), F.col("h").alias("k"), whole.alias("whole")).dropDuplicates(["i", "k"]), same)
         cols.append(F.when(copy, "").otherwise(F.coalesce("kept_text", "whole")).alias("kept_text"))
     return out.select(*cols)
 
