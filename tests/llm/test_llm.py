@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wardlight.llm import chat, components, decontaminate, jaccard, langid, packing, pii, quality, registry, substrings, urls
 
+KEY = "a key of the tests"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rank string, path string"
 
 
@@ -33,7 +34,7 @@ def test_against_sql(name, spark, sf, duck):
 EDGE = [None, "", " \t\n", "a", "a b c", " ".join(words(30_000)), "same text here for all of us", "same text here for all of us"]
 
 
-@pytest.mark.parametrize("run", [jaccard.near_duplicates, quality.quality_rules, packing.pack_documents, packing.packed_matrices, pii.pseudonymize, substrings.kept_words], ids=lambda f: f.__name__)
+@pytest.mark.parametrize("run", [jaccard.near_duplicates, quality.quality_rules, packing.pack_documents, packing.packed_matrices, lambda d: pii.pseudonymize(d, KEY), substrings.kept_words], ids="op1 op3 op10 op4 op8 op9".split())
 def test_edge_rows_and_empty_tables(run, spark):
     df = docs(spark, EDGE)
     assert run(df).count() >= (1 if run is packing.packed_matrices else len(EDGE))
@@ -231,9 +232,115 @@ def test_most_frequent_grams(spark):
     assert got(0) == [] and langid.most_frequent(counts.where("n > 5000"), 3).count() == 0
 
 
+def masked(df):
+    return pii.pseudonymize(df, KEY)
+
+
+def sha(n, *parts):
+    return getattr(hashlib, f"sha{n}")("|".join(map(str, parts)).encode()).hexdigest()
+
+
+def turned(text, other, kind, k, sign):
+    """One half shifted by what the other half draws, or back."""
+    out = []
+    for i, c in enumerate(text):
+        add = sign * int(sha(512, KEY, kind, k, other, len(text), i // 32)[i % 32 * 4 :][:4], 16)
+        first, n = ("0", 10) if c in "0123456789" else ("a", 6 if kind == "hex" else 26) if "a" <= c <= "z" else ("A", 6 if kind == "hex" else 26) if "A" <= c <= "Z" else (None, 0)
+        out.append(c if not n else chr(ord(first) + (ord(c) - ord(first) + add) % n))
+    return "".join(out)
+
+
+def feistel(text, kind, back=False):
+    left, right = text[: len(text) // 2], text[len(text) // 2 :]
+    for k in range(7, -1, -1) if back else range(8):
+        if k % 2 == 0:
+            left = turned(left, right, kind, k, -1 if back else 1)
+        else:
+            right = turned(right, left, kind, k, -1 if back else 1)
+    return left + right
+
+
+def feistel_of(value, a, b, kind, back=False):
+    left, right = divmod(value, b)
+    for k in range(7, -1, -1) if back else range(8):
+        add = lambda other: (-1 if back else 1) * int(sha(256, KEY, kind, k, other)[:8], 16)  # noqa: E731, B023
+        if k % 2 == 0:
+            left = (left + add(right)) % a
+        else:
+            right = (right + add(left)) % b
+    return left * b + right
+
+
+def ssn_place(s):
+    a, g, n = map(int, s.split("-"))
+    return ((a - (2 if a > 666 else 1)) * 99 + g - 1) * 9999 + n - 1
+
+
+def national(n, back=False):
+    first, many = ([v if x < "2" else w for x in (n[0], n[3])] for v, w in ((0, 200), (200, 800)))
+    place = (int(n[:3]) - first[0]) * many[1] * 10_000 + (int(n[3:6]) - first[1]) * 10_000 + int(n[6:])
+    rest, line = divmod(feistel_of(place, many[0], many[1] * 10_000, "phone", back), 10_000)
+    return f"{rest // many[1] + first[0]:03}{rest % many[1] + first[1]:03}{line:04}"
+
+
+def test_pseudonyms_and_their_inverse_in_plain_python(spark):
+    r = random.Random(12)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    mails = [f"{''.join(r.choice('abcXYZ019') for _ in range(r.randint(1, 40)))}@h{digits(2)}.org" for _ in range(40)]
+    hexes = ["token=" + "".join(r.choice("0123456789abcdef") for _ in range(r.randint(6, 70))) for _ in range(40)]
+    ssns = [f"{a:03}-{r.randint(1, 99):02}-{r.randint(1, 9999):04}" for a in [1, 665, 667, 899, *(r.choice([x for x in range(1, 900) if x != 666]) for _ in range(200))]]
+    ips = [".".join(str(r.randint(0, 255)) for _ in range(4)) for _ in range(40)]
+    phones = [f"({r.randint(0, 999):03}) {r.randint(0, 999):03}-{digits(4)}" for _ in range(100)] + [f"+44 {digits(3)} {digits(3)} {digits(4)}" for _ in range(20)]
+    dates = [f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1900, 2099)}" for _ in range(40)]
+    values = mails + hexes + ssns + ips + phones + dates
+    got = [x.text for x in masked(docs(spark, values)).orderBy("doc_id").collect()]
+    place = lambda ip: sum(int(x) << k for x, k in zip(ip.split("."), (24, 16, 8, 0), strict=True))
+    day = lambda d: (datetime.date(*map(int, reversed(d.split(".")))) - datetime.date(1900, 1, 1)).days
+    plain = lambda t: "".join(c for c in t if c.isdigit())
+    for v, g in zip(values, got, strict=True):
+        if "@" in v:
+            assert g == feistel(v[:-4], "email") + ".org" and feistel(g[:-4], "email", True) == v[:-4]
+        elif v.startswith("token="):
+            assert g == "token=" + feistel(v[6:], "hex") and feistel(g[6:], "hex", True) == v[6:]
+        elif v in ssns:
+            a, group, serial = map(int, g.split("-"))
+            assert 1 <= a <= 899 and a != 666 and 1 <= group <= 99 and 1 <= serial <= 9999 and [len(x) for x in g.split("-")] == [3, 2, 4]
+            assert ssn_place(g) == feistel_of(ssn_place(v), 898 * 99, 9999, "ssn") and feistel_of(ssn_place(g), 898 * 99, 9999, "ssn", True) == ssn_place(v)
+        elif v in ips:
+            assert place(g) == feistel_of(place(v), 65536, 65536, "ip") and max(map(int, g.split("."))) < 256
+        elif v in dates:
+            assert day(g) == feistel_of(day(v), *pii.PARTS, "date") and ("0" in (v[0], v.split(".")[1][0]) or (min(map(len, v.split(".")[:2])) == 1) == all(str(int(x)) == x for x in g.split(".")[:2]) or min(map(int, g.split(".")[:2])) > 9)
+        else:
+            n, m = plain(v.removeprefix("+44")), plain(g.removeprefix("+44"))
+            assert len(n) == len(m) and n != m
+            if v[0] == "(":
+                assert national(n) == m and national(m, True) == n and (g[0], g[4:6], g[9]) == ("(", ") ", "-")
+            else:
+                assert g.startswith("+44 ") and [len(x) for x in g.split()] == [3, 3, 3, 4]
+    assert len(set(got)) == len(set(values))
+
+
+def test_forms_stay_and_plain_numbers_are_left_alone(spark):
+    texts = ["9.2.1984", "09.02.1984", "2/9/1984", "02/09/1984", "rows 100 200 3000", "rows 200 300 4000", "tel: 200 300 4000", "200-300-4000", "100-200-3000", "version 1.2.3 of a: b = c"]
+    got = [x.text for x in masked(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got[4:6] == texts[4:6] and got[8:] == texts[8:] and got[6] == f"tel: {got[7].replace('-', ' ')}" and got[7] != texts[7]
+    split = [[int(x) for x in g.replace("/", ".").split(".")] for g in got[:4]]
+    assert got[0] == ".".join(map(str, split[0])) and got[2] == "/".join(map(str, split[2])) and len(got[1]) == len(got[3]) == 10
+    assert split[0] == split[1] and split[2] == split[3] and split[0][:2] == split[2][:2][::-1]
+
+
+def test_the_key_is_the_sessions_own(spark):
+    spark.conf.unset(pii.KEY_SETTING)
+    key = pii.session_key(spark)
+    assert len(key) == 64 and pii.session_key(spark) == key
+    df = docs(spark, ["a.b@c.org"])
+    assert pii.pseudonymize(df, key).first().text != pii.pseudonymize(df, KEY).first().text
+    spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_pseudonyms(spark):
     a = "card 4041894974608795, again 4041-8949-7460-8795; not 4041894974608796. Mail a.b@mail1.example.com at 10.0.0.1, born 1984-02-29 or 29.2.1984, never 1985-02-29. +1 (988) 555-2485 ssn 123-45-6789 000-12-3456 DE89370400440532013000 999.1.1.1"
-    rows = pii.pseudonymize(docs(spark, [a, "plain words only 12", "x " + a, None, ""])).orderBy("doc_id").collect()
+    rows = masked(docs(spark, [a, "plain words only 12", "x " + a, None, ""])).orderBy("doc_id").collect()
     one, two = rows[0].text, rows[2].text
     assert two == "x " + one and rows[1].text == "plain words only 12" and rows[3].text is None and rows[4].text == "" and rows[0].n_chars == len(one)
     for gone in ("4041894974608795", "4041-8949-7460-8795", "a.b@", "10.0.0.1", "1984-02-29", "29.2.1984", "555-2485", "123-45-6789", "DE89370400440532013000"):
@@ -250,14 +357,14 @@ def test_pseudonyms(spark):
 
 def test_pseudonym_of_a_mail_address_without_a_digit(spark):
     texts = ["write to jane.doe@example.com", "room 7, jane.doe@example.com", "at @ noon", "no data"]
-    got = [r.text for r in pii.pseudonymize(docs(spark, texts)).orderBy("doc_id").collect()]
+    got = [r.text for r in masked(docs(spark, texts)).orderBy("doc_id").collect()]
     assert "jane.doe" not in got[0] and got[0].split()[-1] == got[1].split()[-1] and got[2:] == texts[2:]
 
 
 def test_pseudonyms_of_cards_and_ibans_beside_other_numbers(spark):
     card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
     texts = [card, f"{card} 12/25", f"{card} 123", f"15 {card}", f"15 12 {card}", f"{'7 ' * 30}{card} end", f"{card} 123-45-6789", f"{card} 2024-01-15", iban, f"{iban} 2024", f"born 25/12/2024, {card}-1@x.org", "4111 1111 1111 1112 12/25", "31/31/2024"]
-    got = [r.text for r in pii.pseudonymize(docs(spark, texts)).orderBy("doc_id").collect()]
+    got = [r.text for r in masked(docs(spark, texts)).orderBy("doc_id").collect()]
     new, new_iban = got[0], got[8]
     assert luhn(new.replace(" ", "")) and new != card and new_iban != iban
     assert got[1:5] == [f"{new} 12/25", f"{new} 123", f"15 {new}", f"15 12 {new}"]
@@ -267,7 +374,7 @@ def test_pseudonyms_of_cards_and_ibans_beside_other_numbers(spark):
 
 
 def test_date_permutation_is_one_to_one(spark):
-    n = spark.range(pii.DAYS).select(pii.feistel_number(F.col("id"), *pii.PARTS, "date").alias("p"))
+    n = spark.range(pii.DAYS).select(pii.feistel_number(F.lit(KEY), F.col("id"), *pii.PARTS, "date").alias("p"))
     got = n.agg(F.countDistinct("p"), F.min("p"), F.max("p")).first()
     assert tuple(got) == (pii.DAYS, 0, pii.DAYS - 1) and datetime.date(1900, 1, 1) + datetime.timedelta(pii.DAYS - 1) == datetime.date(2099, 12, 31)
 

@@ -34,29 +34,49 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share, spark.checkpoint.dir; only where that is unset on a single machine, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables in the shared one: what cut() writes, and all that clear() deletes."""
+    return f"{shared_dir(spark).rstrip('/')}/wardlight-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes every table that cut() wrote in this application; for its end, when no result is left to be computed."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again, so that a lost executor costs no earlier stage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/wardlight-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._cut_path = path
     return back
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """df with a key of each row, row (long); written once, so that every reader sees the same keys."""
-    return cut(df.withColumn("row", F.monotonically_increasing_id()))
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it where df has such a column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
+def numbered(df: DataFrame, name: str = "row") -> DataFrame:
+    """df with a key of each row (long), which is no column of df; written once, so that every reader sees the same keys."""
+    return cut(df.withColumn(name, F.monotonically_increasing_id()))
 
 
 def drop(df: DataFrame) -> None:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import read
+from wardlight.llm.common import free_name, read
 
-KEY = "wardlight"
+#: The session setting that holds the secret key. Without it a session draws a key of its own.
+KEY_SETTING = "spark.wardlight.pii.key"
 ROUNDS = 8
+HEXES = 32  # amounts, of four hex digits each, that one digest gives
 #: Days from 1900-01-01 to 2099-12-31, and two factors of their number: dates are permuted among exactly these days.
 FIRST_DAY, DAYS, PARTS = "1900-01-01", 73_049, (17, 4_297)
 
@@ -23,7 +27,14 @@ IBAN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n //
 SECRET = r"AKIA[A-Z0-9]{16}|(?i:password|passwd|pwd|secret|token|api[_-]?key) ?[=:] ?\x22?[^\s\x22]{6,}"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{8,15}"
+#: With a country code or an area code in parentheses; else with dashes or dots and no code that begins with 0 or 1; with
+#: blanks alone only after a word for telephone, since three numbers in a row are mostly no telephone number.
+PHONE = (
+    r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}"
+    r"|[2-9][0-9]{2}-[2-9][0-9]{2}-[0-9]{4}|[2-9][0-9]{2}\.[2-9][0-9]{2}\.[0-9]{4}"
+    r"|(?<=(?i:tel|phone|telephone|call|fax|mobile|cell)[:. ]{1,2})[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}|\+[0-9]{8,15}"
+)
+PHONE_SHAPE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{8,15}"
 IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"
 #: A card found within a run of digit groups stands between these two, which are no characters of any text.
@@ -36,53 +47,97 @@ CANDIDATE = rf"(?<![A-Za-z0-9])(?:{MARKED}|" + "|".join(f"(?:{p})" for _, p in F
 #: What is tried before a card at one place, and a run of digit groups of any length, from 13 digits on.
 EARLIER = "(?:" + "|".join(f"(?:{p})" for name, p in FORMS if name != "card") + ")(?![A-Za-z0-9])"
 RUN = r"(?=[0-9](?:[ -]?[0-9]){12})[0-9 -]*[0-9](?![A-Za-z0-9]|[A-Za-z0-9._%+-]*+@)"
-EARLIER_OR_RUN = rf"(?<![A-Za-z0-9])(?:{EARLIER}|{RUN})"
+#: What any form begins with, so that the forms are tried at few words: a digit, letters up to a digit or an @, or a label.
+BEGIN = r"(?=[0-9]|[+(][0-9]|(?<![._%+-])[A-Za-z._%+-]++[0-9@]|[A-Za-z][A-Za-z_-]{1,7}+ ?[0-9=:]|AKIA)"
+EARLIER_OR_RUN = rf"(?<![A-Za-z0-9]){BEGIN}(?:{EARLIER}|{RUN})"
+
+
+def _once(value: Column, f) -> Column:
+    """f(value), value being evaluated once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def _number(*parts: Column) -> Column:
+def _number(key: Column, *parts: Column) -> Column:
     """A keyed number below 2^32."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(KEY), *parts), 256), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", key, *parts), 256), 1, 8), 16, 10).cast("long")
 
 
-def _shift(text: Column, other: Column, kind: Column, round_: Column) -> Column:
-    """Adds a keyed amount to each digit, lower and upper case letter within its class; other characters stay."""
+def _shift(key: Column, text: Column, other: Column, kind: str, round_: Column) -> Column:
+    """Adds a keyed amount to each digit, lower and upper case letter within its class; other characters stay.
+
+    The amounts are parts of a digest for each HEXES characters, which depends on the key, the kind, the round, the
+    other half and this half's length.
+    """
+    n = F.length(text)
+    letters = 6 if kind == "hex" else 26
+    digest = lambda b: F.sha2(F.concat_ws("|", key, F.lit(kind), round_.cast("string"), other, n.cast("string"), b.cast("string")), 512)
+    digests = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / HEXES).cast("int")), digest)
 
-    def one(i: Column) -> Column:
-        c = F.substr(text, i, F.lit(1))
-        add = _number(kind, round_.cast("string"), other, i.cast("string"), F.length(text).cast("string"))
-        turned = lambda first, n: F.char(F.lit(ord(first)) + F.pmod(F.ascii(c) - ord(first) + add, F.lit(n)))
-        hexes = kind == "hex"
-        return (
-            F.when(c.rlike("^[0-9]$"), turned("0", 10)).when(c.rlike("^[a-z]$"), F.when(hexes, turned("a", 6)).otherwise(turned("a", 26))).when(c.rlike("^[A-Z]$"), F.when(hexes, turned("A", 6)).otherwise(turned("A", 26))).otherwise(c)
-        )
+    def one(all_: Column, i: Column) -> Column:
+        hexes = F.substr(F.element_at(all_, F.floor(i / HEXES).cast("int") + 1), (i % HEXES) * 4 + 1, F.lit(4))
+        add, c = F.conv(hexes, 16, 10).cast("int"), F.substr(text, i + 1, F.lit(1))
+        code = F.ascii(c)
+        turned = lambda first, m: F.char(F.lit(ord(first)) + F.pmod(code - ord(first) + add, F.lit(m)))
+        within = lambda first, last: code.between(ord(first), ord(last))
+        return F.when(within("0", "9"), turned("0", 10)).when(within("a", "z"), turned("a", letters)).when(within("A", "Z"), turned("A", letters)).otherwise(c)
 
-    return F.when(F.length(text) == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), one), ""))
+    shifted = _once(digests, lambda all_: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: one(all_, i)), ""))
+    return F.when(n == 0, F.lit("")).otherwise(shifted)
 
 
-def feistel_text(text: Column, kind: Column) -> Column:
+def feistel_text(key: Column, text: Column, kind: str) -> Column:
     """Keyed permutation of the strings with the same characters' classes: halves are shifted in turn by amounts drawn from the other half."""
     half = F.floor(F.length(text) / 2).cast("int")
     start = F.struct(F.substr(text, F.lit(1), half).alias("l"), F.substr(text, half + 1, F.length(text)).alias("r"))
 
     def step(s: Column, k: Column) -> Column:
         even = k % 2 == 0
-        return F.struct(F.when(even, _shift(s["l"], s["r"], kind, k)).otherwise(s["l"]).alias("l"), F.when(even, s["r"]).otherwise(_shift(s["r"], s["l"], kind, k)).alias("r"))
+        return F.struct(F.when(even, _shift(key, s["l"], s["r"], kind, k)).otherwise(s["l"]).alias("l"), F.when(even, s["r"]).otherwise(_shift(key, s["r"], s["l"], kind, k)).alias("r"))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(s["l"], s["r"]))
 
 
-def feistel_number(value: Column, a: int, b: int, kind: str) -> Column:
+def feistel_number(key: Column, value: Column, a: int | Column, b: int | Column, kind: str) -> Column:
     """Keyed permutation of 0 .. a*b - 1 by an unbalanced network over value div b and value mod b."""
-    start = F.struct(F.floor(value / b).cast("long").alias("l"), F.pmod(value, F.lit(b)).cast("long").alias("r"))
+    a, b = (F.lit(x).cast("long") for x in (a, b))
+    start = F.struct(F.floor(value / b).cast("long").alias("l"), F.pmod(value, b).cast("long").alias("r"))
 
     def step(s: Column, k: Column) -> Column:
         even = k % 2 == 0
-        mixed = lambda own, other, n: F.pmod(own + _number(F.lit(kind), k.cast("string"), other.cast("string")), F.lit(n))
+        mixed = lambda own, other, n: F.pmod(own + _number(key, F.lit(kind), k.cast("string"), other.cast("string")), n)
         return F.struct(F.when(even, mixed(s["l"], s["r"], a)).otherwise(s["l"]).alias("l"), F.when(even, s["r"]).otherwise(mixed(s["r"], s["l"], b)).alias("r"))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: s["l"] * b + s["r"])
 
 
+def social_number(key: Column, number: Column) -> Column:
+    """Keyed permutation of the valid social security numbers (nine digits): areas 001 to 899 but 666, groups and serials from 1."""
+    part = lambda at, n: F.substr(number, F.lit(at), F.lit(n)).cast("long")
+    area = part(1, 3) - F.when(part(1, 3) > 666, 2).otherwise(1)
+    moved = feistel_number(key, (area * 99 + part(4, 2) - 1) * 9_999 + part(6, 4) - 1, 898 * 99, 9_999, "ssn")
+
+    def written(m: Column) -> Column:
+        place = F.floor(m / (99 * 9_999)).cast("long")
+        places = [place + F.when(place >= 665, 2).otherwise(1), F.floor(m / 9_999).cast("long") % 99 + 1, m % 9_999 + 1]
+        return F.concat(*[F.lpad(p.cast("string"), n, "0") for p, n in zip(places, (3, 2, 4), strict=True)])
+
+    return _once(moved, written)
+
+
+def national_number(key: Column, number: Column) -> Column:
+    """Keyed permutation of telephone numbers of ten digits, in which codes that begin with 0 or 1, which aren't assigned, and others stay apart."""
+    part = lambda at, n: F.substr(number, F.lit(at), F.lit(n)).cast("long")
+    low = [part(1, 3) < 200, part(4, 3) < 200]
+    first, many = ([F.when(x, v).otherwise(w) for x in low] for v, w in ((0, 200), (200, 800)))
+    moved = feistel_number(key, (part(1, 3) - first[0]) * many[1] * 10_000 + (part(4, 3) - first[1]) * 10_000 + part(7, 4), many[0], many[1] * 10_000, "phone")
+
+    def written(m: Column) -> Column:
+        places = [F.floor(m / (many[1] * 10_000)).cast("long") + first[0], F.floor(m / 10_000).cast("long") % many[1] + first[1], m % 10_000]
+        return F.concat(*[F.lpad(p.cast("string"), n, "0") for p, n in zip(places, (3, 3, 4), strict=True)])
+
+    return _once(moved, written)
+
+
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
@@ -152,71 +207,93 @@ def _mark_cards(run: Column) -> Column:
     return F.element_at(F.transform(F.array(taken), written), 1)
 
 
-def _swap(text: Column, pattern: str, new) -> Column:
-    """text with new(match) for each match of pattern."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    return F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size(found)), F.transform(found, new), lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1))
+def _woven(text: Column, pattern: str, found: Column) -> Column:
+    """text with its matches of pattern replaced by found, in order."""
+    return _once(F.split(text, pattern, -1), lambda between: F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size(found)), found, lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1)))
 
 
-def pseudonym(value: Column) -> Column:
+def pseudonym(key: Column, value: Column) -> Column:
     """The pseudonym of one candidate, or the candidate itself where it isn't valid.
 
-    Cards of 13 to 19 digits must pass Luhn's check (digit groups beside a card are not its own) and IBANs the remainder by 97, and so do their pseudonyms; spaces
-    and dashes stay where they are and do not matter for the value, so that one number is linked in all its spellings.
-    Dates from 1900 to 2099 are permuted among the days, IPv4 addresses with parts up to 255 among all addresses, other
-    values among those with the same classes of characters.
+    Cards of 13 to 19 digits must pass Luhn's check (digit groups beside a card are not its own) and IBANs the remainder
+    by 97, and so do their pseudonyms; spaces and dashes stay where they are and do not matter for the value, so that one
+    number is linked in all its spellings. Social security numbers are permuted among the valid ones, telephone numbers
+    without a country code or with +1 among those whose codes are as valid, others within their country. Dates from 1900
+    to 2099 are permuted among the days and written in the form they had, with leading zeros or without; IPv4 addresses
+    with parts up to 255 among all addresses, other values among those with the same classes of characters.
     """
     is_ = lambda p: value.rlike(f"^(?:{p})$")
     label = F.regexp_extract(value, r"^(?i:(?:password|passwd|pwd|secret|token|api[_-]?key) ?[=:] ?\x22?|AKIA)", 0)
     bare = F.substr(value, F.length(label) + 1, F.length(value))
-    secret = F.concat(label, F.when(bare.rlike("^[0-9a-f]+$"), feistel_text(bare, F.lit("hex"))).otherwise(feistel_text(bare, F.lit("secret"))))
+    secret = F.concat(label, F.when(bare.rlike("^[0-9a-f]+$"), feistel_text(key, bare, "hex")).otherwise(feistel_text(key, bare, "secret")))
     last = F.regexp_extract(value, r"\.[A-Za-z0-9-]+$", 0)
-    email = F.concat(feistel_text(F.substr(value, F.lit(1), F.length(value) - F.length(last)), F.lit("email")), last)
+    email = F.concat(feistel_text(key, F.substr(value, F.lit(1), F.length(value) - F.length(last)), "email"), last)
     number = _digits(value)
-    body = feistel_text(F.substr(number, F.lit(1), F.length(number) - 1), F.lit("card"))
-    check = F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string")
-    card = F.when(luhn_sum(number) % 10 == 0, _refill(value, F.concat(body, check))).otherwise(value)
-    country = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
+    body = feistel_text(key, F.substr(number, F.lit(1), F.length(number) - 1), "card")
+    check = lambda b: F.pmod(10 - luhn_sum(F.concat(b, F.lit("0"))) % 10, F.lit(10)).cast("string")
+    card = F.when(luhn_sum(number) % 10 == 0, _refill(value, _once(body, lambda b: F.concat(b, check(b))))).otherwise(value)
+    # A country code of its own, +1 before ten digits, or the first digit of a number without blanks stays.
+    country = F.regexp_extract(value, r"^\+(?:[0-9]{1,3}(?=[ .(-])|1(?=[0-9]{10}$)|[0-9])", 0)
     rest = F.substr(value, F.length(country) + 1, F.length(value))
-    phone = F.concat(country, _refill(rest, feistel_text(_digits(rest), F.lit("phone"))))
-    ssn = F.when(value.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), _refill(value, feistel_text(number, F.lit("ssn")))).otherwise(value)
+    national = country.isin("", "+1") & (F.length(_digits(rest)) == 10)
+    phone = F.concat(country, _refill(rest, F.when(national, national_number(key, _digits(rest))).otherwise(feistel_text(F.concat(key, country), _digits(rest), "phone"))))
+    ssn = F.when(value.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), _refill(value, social_number(key, number))).otherwise(value)
     parts = F.transform(F.split(value, r"\."), lambda x: x.cast("long"))
-    address = feistel_number(F.aggregate(parts, F.lit(0).cast("long"), lambda s, x: s * 256 + x), 65_536, 65_536, "ip")
-    quad = F.array_join(F.transform(F.array(*map(F.lit, (24, 16, 8, 0))), lambda k: F.pmod(F.floor(address / F.pow(F.lit(2), k)).cast("long"), F.lit(256)).cast("string")), ".")
-    ip = F.when(F.forall(parts, lambda x: x <= 255), quad).otherwise(value)
+    address = feistel_number(key, F.aggregate(parts, F.lit(0).cast("long"), lambda s, x: s * 256 + x), 65_536, 65_536, "ip")
+    quad = lambda a: F.array_join(F.transform(F.array(*map(F.lit, (24, 16, 8, 0))), lambda k: F.pmod(F.floor(a / F.pow(F.lit(2), k)).cast("long"), F.lit(256)).cast("string")), ".")
+    ip = F.when(F.forall(parts, lambda x: x <= 255), _once(address, quad)).otherwise(value)
     day = _day(value)
-    moved = F.date_add(F.lit(FIRST_DAY).cast("date"), feistel_number(F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long"), *PARTS, "date").cast("int"))
-    written = F.when(value.rlike("^[0-9]{4}-"), F.date_format(moved, "yyyy-MM-dd")).when(F.contains(value, F.lit("/")), F.when(F.try_to_timestamp(value, F.lit("M/d/yyyy")).isNotNull(), F.date_format(moved, "MM/dd/yyyy")).otherwise(F.date_format(moved, "dd/MM/yyyy"))).otherwise(F.date_format(moved, "dd.MM.yyyy"))
-    date = F.when(day.isNotNull(), written).otherwise(value)
+    moved = F.date_add(F.lit(FIRST_DAY).cast("date"), feistel_number(key, F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long"), *PARTS, "date").cast("int"))
+    short = value.rlike(r"^[0-9][./]|[./][0-9][./]")  # a day or month without a leading zero
+    form = lambda m, padded, plain: F.when(short, F.date_format(m, plain)).otherwise(F.date_format(m, padded))
+    slashes = lambda m: F.when(F.try_to_timestamp(value, F.lit("M/d/yyyy")).isNotNull(), form(m, "MM/dd/yyyy", "M/d/yyyy")).otherwise(form(m, "dd/MM/yyyy", "d/M/yyyy"))
+    written = lambda m: F.when(value.rlike("^[0-9]{4}-"), F.date_format(m, "yyyy-MM-dd")).when(F.contains(value, F.lit("/")), slashes(m)).otherwise(form(m, "dd.MM.yyyy", "d.M.yyyy"))
+    date = F.when(day.isNotNull(), _once(moved, written)).otherwise(value)
     flat = F.regexp_replace(value, " ", "")
-    account = feistel_text(F.substr(flat, F.lit(5), F.length(flat)), F.lit("iban"))
-    digits2 = F.lpad((98 - _mod97(F.concat(account, F.substr(flat, F.lit(1), F.lit(2)), F.lit("00")))).cast("string"), 2, "0")
-    new_iban = F.concat(F.substr(flat, F.lit(1), F.lit(2)), digits2, account)
+    account = feistel_text(key, F.substr(flat, F.lit(5), F.length(flat)), "iban")
+    digits2 = lambda a: F.lpad((98 - _mod97(F.concat(a, F.substr(flat, F.lit(1), F.lit(2)), F.lit("00")))).cast("string"), 2, "0")
+    new_iban = _once(account, lambda a: F.concat(F.substr(flat, F.lit(1), F.lit(2)), digits2(a), a))
     spaced = F.when(F.contains(value, F.lit(" ")), F.trim(F.regexp_replace(new_iban, "(.{4})", "$1 "))).otherwise(new_iban)
     iban = F.when(_mod97(F.concat(F.substr(flat, F.lit(5), F.length(flat)), F.substr(flat, F.lit(1), F.lit(4)))) == 1, spaced).otherwise(value)
     forms = {"secret": secret, "email": email, "iban": iban, "ip": ip, "date": date, "ssn": ssn, "phone": phone, "card": card}
     out = value
     for name, pattern in reversed(FORMS):
-        out = F.when(is_(pattern), forms[name]).otherwise(out)
+        out = F.when(is_(PHONE_SHAPE if name == "phone" else pattern), forms[name]).otherwise(out)
     return out
 
 
-def pseudonymize(docs: DataFrame) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key that the session states under KEY_SETTING; where it states none, one is drawn and kept for the session.
+
+    Pseudonyms are linked where the key is the same. Who knows the key can invert them, so it is no part of this library.
+    """
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """docs with every valid e-mail address, card, IBAN, phone, social security and IPv4 number, date and stated secret in text replaced by its pseudonym.
 
     One row per input row, in the input's columns; n_chars, where there is one, follows the text. Equal values have
     equal pseudonyms in all documents, by the key alone: nothing is shuffled, collected or looked up, and a text without
-    a candidate is returned as it is. A null text stays null, an empty one empty; texts are searched whole.
+    a candidate is returned as it is. A null text stays null, an empty one empty, an empty table empty; texts of any
+    length are searched whole, once; repeated rows have equal results; of forms that begin at one place the first in
+    FORMS wins, and of cards that overlap those of 16 digits; columns of any name are kept.
     """
-    text = F.col("text")
-    # Cards within longer runs of digits are marked first, so that what is beside them is searched for the other forms.
+    text, secret = F.col("text"), F.lit(key)
+    # A run of digits may hold cards beside other numbers: they are marked first, and the run is searched once more.
     run = lambda v: v.rlike(f"^(?:{RUN})$") & ~v.rlike(f"^(?:{EARLIER})$")
-    marked = F.when(text.rlike(rf"(?<![A-Za-z0-9]){RUN}"), _swap(text, EARLIER_OR_RUN, lambda v: F.when(run(v), _mark_cards(v)).otherwise(v))).otherwise(text)
-    swapped = _swap(F.col("_marked"), CANDIDATE, lambda v: pseudonym(F.translate(v, MARKS, "")))
-    # The cheap test first: every form has a digit or an @, or is a stated secret.
-    out = docs.withColumn("_marked", marked).withColumn("text", F.when(text.rlike(r"[0-9@]|AKIA|(?i:password|passwd|pwd|secret|token|api[_-]?key) ?[=:]") & F.col("_marked").rlike(CANDIDATE), swapped).otherwise(text)).drop("_marked")
+    plain = lambda v: pseudonym(secret, F.translate(v, MARKS, ""))
+    in_run = lambda m: _woven(m, CANDIDATE, F.transform(F.regexp_extract_all(m, F.lit(CANDIDATE), F.lit(0)), plain))
+    new = lambda v: F.when(run(v), _once(_mark_cards(v), in_run)).otherwise(pseudonym(secret, v))
+    found = free_name(docs, "found")
+    out = docs.withColumn(found, F.regexp_extract_all(text, F.lit(EARLIER_OR_RUN), F.lit(0)))
+    out = out.withColumn("text", F.when(F.size(found) > 0, _woven(text, EARLIER_OR_RUN, F.transform(found, new))).otherwise(text)).drop(found)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(read(spark, sf_dir, "documents"))
+    return pseudonymize(read(spark, sf_dir, "documents"), session_key(spark))
