@@ -9,7 +9,7 @@ from wardlight.llm.decontaminate import decontaminate
 from wardlight.llm.jaccard import near_duplicate_rows
 from wardlight.llm.langid import keep_identified, train
 from wardlight.llm.packing import pack_documents
-from wardlight.llm.pii import pseudonymize
+from wardlight.llm.pii import pseudonymize, session_key
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become pseudonyms of the same format."""
     ready(spark)
-    return pseudonymize(docs)
+    return pseudonymize(docs, session_key(spark))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
