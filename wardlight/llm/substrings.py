@@ -16,7 +16,7 @@ WINDOW = 50
 PHRASE = 8  # words of a phrase; any WINDOW words hold at least one phrase chosen by their content alone
 PER_SALT = 2_000  # documents with one phrase that one group of a round takes
 BLOCK = 8 << 20  # bytes of text that share one automaton
-LETTERS = 1_000_000  # words that single characters can stand for
+DIGITS = 32  # of an automaton's letters; a node's children are searched one by one, so they must be few
 
 
 def sliding(values: np.ndarray, width: int, fold) -> np.ndarray:
@@ -81,31 +81,41 @@ def _base(docs: DataFrame) -> DataFrame:
 
 
 class _Phrases:
-    """An Aho-Corasick automaton over phrases of words, each word being one character (two, where there are very many words)."""
+    """An Aho-Corasick automaton over phrases of words, each word being a number of as many digits as are needed.
+
+    First digits are letters of their own, so that matches begin at words.
+    """
 
     def __init__(self):
         self.codes: dict[bytes, int] = {}
-        self.told: list[tuple[int, int]] = []
-        self.spelt: list[list[int]] = []
+        self.told: dict[int, tuple[int, list[int]]] = {}
         self.automaton = None
 
     def add(self, phrase: int, salts: int, words: bytes) -> None:
-        self.spelt.append([self.codes.setdefault(w, len(self.codes) + 1) for w in words.split(b" ")])
-        self.told.append((phrase, salts))
+        if phrase not in self.told:
+            self.told[phrase] = salts, [self.codes.setdefault(w, len(self.codes)) for w in words.split(b" ")]
 
     def letters(self, numbers: np.ndarray) -> str:
-        parts = [numbers] if not self.wide else [numbers >> 12, numbers & 0xFFF]
-        own = np.stack(parts, axis=1).ravel() + 0x100
-        return (own + 0x800 * (own >= 0xD800)).astype(np.uint32).tobytes().decode("utf-32-le")  # no surrogates
+        """A row of digits for each number, or of a letter of its own for -1."""
+        own = np.empty((len(numbers), self.width), np.uint32)
+        for k in range(self.width):
+            own[:, k] = numbers // DIGITS ** (self.width - 1 - k) % DIGITS + 0x30 + DIGITS * (k == 0)
+        own[numbers < 0] = 0x20
+        return own.tobytes().decode("utf-32-le")
 
     def compile(self) -> None:
         import ahocorasick
 
-        self.wide = len(self.codes) > LETTERS
-        self.automaton = ahocorasick.Automaton()
-        for k, spelt in enumerate(self.spelt):
-            self.automaton.add_word(self.letters(np.array(spelt)), k)
-        self.spelt = []
+        self.width = 1
+        while DIGITS**self.width < len(self.codes):
+            self.width += 1
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        each = PHRASE * self.width
+        spelt = self.letters(np.array([x for _, words in self.told.values() for x in words], np.int64))
+        for k in range(len(self.told)):
+            self.automaton.add_word(spelt[k * each : (k + 1) * each], k)
+        self.figures = np.array([(phrase, salts) for phrase, (salts, _) in self.told.items()], np.int64).reshape(-1, 2)
+        self.told = {}
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -113,14 +123,12 @@ class _Phrases:
         """Where phrases begin in texts that are rows of word numbers, and which."""
         if not len(self.automaton):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        known = np.fromiter((self.codes.get(w, 0) for w in distinct), np.int64, len(distinct))
+        known = np.fromiter((self.codes.get(w, -1) for w in distinct), np.int64, len(distinct))
         text = self.letters(known[words])
-        n = 2 if self.wide else 1
-        bounds = (offsets * n).tolist()
-        hits = [(a + end + 1 - n * PHRASE, k) for a, b in zip(bounds, bounds[1:], strict=False) if b - a >= n * WINDOW for end, k in self.automaton.iter(text[a:b])]
+        bounds = (offsets * self.width).tolist()
+        hits = [(a + end + 1, k) for a, b in zip(bounds, bounds[1:], strict=False) if b - a >= self.width * WINDOW for end, k in self.automaton.iter(text[a:b])]
         found = np.array(hits, np.int64).reshape(-1, 2)
-        found = found[found[:, 0] % n == 0]
-        return found[:, 0] // n, found[:, 1]
+        return found[:, 0] // self.width - PHRASE, found[:, 1]
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
@@ -129,11 +137,12 @@ def _occurrences(rows: DataFrame) -> DataFrame:
     kind 0: the documents to be searched (doc_id, h, digest); 1: the confirmed phrases (phrase, salts, text: its words)
     that some document of the block chose; 2: the documents' texts. A block's phrases are compiled into one automaton
     and all its documents stream through. Where a phrase lies, and in which documents, is known from the automaton's
-    hits alone. Gives phrase, salts, digest, doc_id, first, windows (hashes of the windows from `first` on whose chosen
-    phrase is this one), and for each document with a hit one row with its text (phrase null).
+    hits alone. Gives a row for each phrase of a document: phrase, salts, digest, doc_id, windows (hashes of the windows
+    at the phrase's places whose chosen phrase is this one) and the starts of each; and for each document with a hit one
+    row with its text (phrase null).
     """
     id_type = dict(rows.dtypes)["doc_id"]
-    names = ["phrase", "salts", "digest", "doc_id", "first", "windows", "text"]
+    names = ["phrase", "salts", "digest", "doc_id", "windows", "starts", "text"]
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, phrases, firsts = None, None, {}
@@ -165,33 +174,42 @@ def _occurrences(rows: DataFrame) -> DataFrame:
         found, which = phrases.find(words, distinct.cast(pa.binary()).to_pylist(), offsets)
         if not len(found):
             return
-        hashes = word_hashes(distinct)[words]
-        windows, chosen = window_phrases(hashes, offsets)
-        sums = gram_hashes(word_hashes(distinct, 1)[words], WINDOW)
+        # Only the texts with a hit from here on.
+        row = row_of(offsets)[found]
+        rows_hit, place = np.unique(row, return_inverse=True)
+        size = np.diff(offsets)[rows_hit]
+        begin = offsets[:-1][rows_hit]
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        used, words = np.unique(words[ragged(begin, size)], return_inverse=True)
+        found, distinct = found - begin[place] + offsets[place], distinct.take(pa.array(used))
+        windows, chosen = window_phrases(word_hashes(distinct)[words], offsets)
+        sums = gram_hashes(word_hashes(distinct, 1)[words], WINDOW).view(np.int64)
         # Windows are in order and so are their chosen phrases: those of one place are a run.
         a, b = np.searchsorted(chosen, found), np.searchsorted(chosen, found, side="right")
-        found, which, a, b = found[b > a], which[b > a], a[b > a], b[b > a]
-        if not len(found):
+        n = b - a
+        at = windows[ragged(a, n)]
+        if not len(at):
             return
-        row = row_of(offsets)[found]
-        ends = np.concatenate([[0], np.cumsum(b - a)]).astype(np.int32)
-        values = sums[windows[ragged(a, b - a)]].view(np.int64)
-        told = np.array(phrases.told, np.int64)[which]
-        of = pa.array(row)
+        # A row for each phrase of a text: its windows, and the starts of each.
+        row, which, w = np.repeat(place, n), np.repeat(which, n), sums[at]
+        start = (at - offsets[row]).astype(np.int32)
+        order = np.lexsort((start, w, which, row))
+        row, which, w, start = row[order], which[order], w[order], start[order]
+        fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (which[1:] != which[:-1])])
+        other = fresh | np.concatenate([[True], w[1:] != w[:-1]])
+        first, of_w = np.flatnonzero(fresh), np.flatnonzero(other)
+        ends = pa.array(np.append(np.searchsorted(of_w, first), len(of_w)).astype(np.int32))
+        each = pa.ListArray.from_arrays(pa.array(np.append(of_w, len(w)).astype(np.int32)), pa.array(start))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(w[of_w])), pa.ListArray.from_arrays(ends, each)]
+        figures, of = phrases.figures[which[first]], pa.array(rows_hit[row[first]])
         kind, digest = own.column("doc_id").type, own.column("digest")
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(told[:, 0]), pa.array(told[:, 1].astype(np.int32)), digest.take(of), own.column("doc_id").take(of), pa.array((windows[a] - offsets[:-1][row]).astype(np.int32)),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.nulls(len(row), pa.string()),
-            ],
-            names=names,
-        )
-        held = pa.array(np.unique(row))
+        yield pa.RecordBatch.from_arrays([pa.array(figures[:, 0]), pa.array(figures[:, 1].astype(np.int32)), digest.take(of), own.column("doc_id").take(of), *lists, pa.nulls(len(of), pa.string())], names=names)
+        held = pa.array(rows_hit)
         n = len(held)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), digest.take(held), pa.nulls(n, kind), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64())), own.column("text").take(held).cast(pa.string())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), digest.take(held), pa.nulls(n, kind), pa.nulls(n, lists[0].type), pa.nulls(n, lists[1].type), own.column("text").take(held).cast(pa.string())], names=names)
 
     dealt = rows.repartition("block").sortWithinPartitions("block", "kind")
-    return dealt.mapInArrow(locate, f"phrase long, salts int, digest binary, doc_id {id_type}, first int, windows array<long>, text string")
+    return dealt.mapInArrow(locate, f"phrase long, salts int, digest binary, doc_id {id_type}, windows array<long>, starts array<array<int>>, text string")
 
 
 def _contest(rows: DataFrame) -> DataFrame:
@@ -205,33 +223,30 @@ def _contest(rows: DataFrame) -> DataFrame:
     id_type = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, least, text, held, kind = None, {}, None, {}, None
+        group, least = None, {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            kind, out = batch.schema.field("doc_id").type, []
-            for *g, d, t, first, values, salts in zip(*(batch.column(c).to_pylist() for c in ("phrase", "salt", "doc_id", "digest", "first", "windows", "salts")), strict=True):
-                if g != group or (d, t) != text:
-                    out.extend((group[0], text[1], text[0], h, starts) for h, starts in held.items())
-                    least, group, text, held = least if g == group else {}, g, (d, t), {}
+            out = []
+            for *g, d, text, windows, starts, salts in zip(*(batch.column(c).to_pylist() for c in ("phrase", "salt", "doc_id", "digest", "windows", "starts", "salts")), strict=True):
+                if g != group:
+                    group, least = g, {}
                 lost = []
-                for at, h in enumerate(values, first):
+                for h, at in zip(windows, starts, strict=True):
                     if least.setdefault(h, d) != d:
-                        lost.append(at)
+                        lost += at
                     elif salts > 1:
-                        held.setdefault(h, []).append(at)
+                        out.append((g[0], text, d, h, at))
                 if lost:
-                    out.append((g[0], t, d, None, lost))
+                    out.append((g[0], text, d, None, lost))
             if out:
-                yield told(out, kind)
-        if held:
-            yield told([(group[0], text[1], text[0], h, starts) for h, starts in held.items()], kind)
+                yield told(out, batch.schema.field("doc_id").type)
 
     def told(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.binary(), kind, pa.int64(), pa.list_(pa.int32())]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["phrase", "digest", "doc_id", "w", "starts"])
 
-    own = rows.select("phrase", "salt", "doc_id", "digest", "first", "windows", "salts")
+    own = rows.select("phrase", "salt", "doc_id", "digest", "windows", "starts", "salts")
     dealt = own.repartition("phrase", "salt").sortWithinPartitions("phrase", "salt", F.col("doc_id").asc_nulls_last(), "digest")
     return dealt.mapInArrow(run, f"phrase long, digest binary, doc_id {id_type}, w long, starts array<int>")
 
@@ -260,12 +275,13 @@ def lost_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Data
     # Confirmed: the phrase is chosen in two documents with different words.
     counts = chosen.groupBy("phrase").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     held = cut(counts.select("phrase", F.ceil(F.col("n") / PER_SALT).cast("int").alias("salts")))
-    wanted = chosen.groupBy("block", "phrase").agg(F.min("words").alias("text")).join(held, "phrase")
+    wanted = chosen.join(held, "phrase").withColumnRenamed("words", "text")
     id_type = dict(docs.dtypes)["doc_id"]
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     rows = reps.select(block, F.lit(0).alias("kind"), "doc_id", "h", "digest", none("long", "phrase"), none("int", "salts"), none("string", "text"))
     rows = rows.unionByName(wanted.select("block", F.lit(1).alias("kind"), none(id_type, "doc_id"), none("long", "h"), none("binary", "digest"), "phrase", "salts", "text"))
-    rows = rows.unionByName(docs.select(block, F.lit(2).alias("kind"), "doc_id", "h", none("binary", "digest"), none("long", "phrase"), none("int", "salts"), "text"))
+    whole = docs.where(F.octet_length("text") >= 2 * WINDOW - 1)  # fewer bytes have no window
+    rows = rows.unionByName(whole.select(block, F.lit(2).alias("kind"), "doc_id", "h", none("binary", "digest"), none("long", "phrase"), none("int", "salts"), "text"))
     found = cut(_occurrences(rows))
     salted = found.where("phrase is not null").withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("salts").cast("long")).cast("int"))
     kept = cut(_contest(salted))
