@@ -211,13 +211,81 @@ def test_language_models(spark, sf):
     edge = {x.doc_id: x for x in langid.identify(docs(spark, [None, "", "12 !? 34", "the and of that"]), models).collect()}
     assert [edge[i].lang_pred for i in range(3)] == ["und"] * 3 and all(edge[i].rejected for i in range(3)) and edge[3].lang_pred == "en"
     # Probabilities of all known characters after a known context sum to 1, less what one unknown character is left.
-    ctx = models.contexts[1][models.contexts[1] != 32][0]
-    last = np.unique(models.grams[1])
+    part = models.parts[0]
+    ctx = part.gaps[1].keys[part.gaps[1].keys != 32][0]
+    last = part.grams[1].keys
     gram = (np.uint64(32) << np.uint64(48)) | (np.uint64(32) << np.uint64(32)) | (ctx << np.uint64(16)) | last
-    assert (np.exp(models.score(gram)).sum(axis=0) <= 1.0001).all() and np.exp(models.score(gram)).sum(axis=0).max() > 0.99
-    assert langid.train(d.where("lang is null")) is None and langid.identify(d, None).count() == d.count()
+    assert (np.exp(part.score(gram)).sum(axis=0) <= 1.0001).all() and np.exp(part.score(gram)).sum(axis=0).max() > 0.99
     kept = langid.keep_identified(docs(spark, [None, "the and of that with this", "0 0"]), models).collect()
     assert [x.doc_id for x in kept] == [1]
+    empty = d.where("doc_id < 0")
+    assert langid.identify(empty, models).count() == langid.keep_identified(empty, models).count() == 0
+    # Models in several parts give the same.
+    parts = langid.train(d.where(~langid.held_out(F.col("doc_id"))), part=2_000)
+    assert len(parts.parts) > 1
+    show = lambda m: sorted((x.doc_id, x.lang_pred, round(x.score, 6), x.rejected) for x in langid.identify(d, m).collect())
+    assert show(models) == show(parts)
+    assert sorted(x.doc_id for x in langid.keep_identified(d, models).collect()) == sorted(x.doc_id for x in langid.keep_identified(d, parts).collect())
+
+
+def test_documents_without_labels_are_kept(spark):
+    df = docs(spark, ["plain words", "漢字", "12 34", "", None, "ok"]).withColumn("lang", F.lit(None).cast("string"))
+    models = langid.train(df)
+    assert models is None
+    assert sorted(x.doc_id for x in langid.keep_identified(df, models).collect()) == [0, 1, 5]
+    got = {x.doc_id: x for x in langid.identify(df, models).collect()}
+    assert {x.lang_pred for x in got.values()} == {"und"} and [got[i].rejected for i in range(6)] == [False, False, True, True, True, False]
+    assert langid.train(df.where("doc_id < 0")) is None
+
+
+def slow_kneser_ney(texts):
+    """Interpolated Kneser-Ney probabilities of each language by dictionaries: texts by language → p(language, context, character)."""
+    counts = {}
+    for lang, own in texts.items():
+        c = counts[lang] = [None, {}, {}, {}, {}]
+        for t in own:
+            for w in t.lower().split():
+                marked = "".join(x if x.isalpha() else " " for x in w) + " "
+                for i, x in enumerate(marked):
+                    if x == " " and (i == 0 or marked[i - 1] == " "):
+                        continue
+                    before = marked[:i][-3:]
+                    before = before[before.rfind(" ") + 1 :].rjust(3)
+                    c[4][before + x] = c[4].get(before + x, 0) + 1
+        for k in (3, 2, 1):
+            for g in c[k + 1]:
+                c[k][g[1:]] = c[k].get(g[1:], 0) + 1
+    letters = len({g for c in counts.values() for g in c[1]}) + 1
+
+    def p(lang, gram):
+        k, table = len(gram), counts[lang][len(gram)]
+        n1, n2 = (sum(v == n for v in table.values()) for n in (1, 2))
+        d = min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.95) if n1 + n2 else 0.5
+        after = [v for g, v in table.items() if g[:-1] == gram[:-1]]
+        below = p(lang, gram[1:]) if k > 1 else 1 / letters
+        return max(table.get(gram, 0) - d, 0) / sum(after) + d * len(after) / sum(after) * below if after else below
+
+    return p
+
+
+def test_language_models_against_a_slow_version(spark):
+    r = random.Random(6)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(1, 7)))
+    texts = {"aa": [" ".join(word("abcde") for _ in range(60)) for _ in range(6)], "bb": [" ".join(word("abxyé") for _ in range(40)) + " d'x 7a" for _ in range(4)], "cc": ["ab ab"]}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, own in texts.items() for t in own)]
+    number = {x: i for i, x in enumerate(sorted(texts))}
+    counts = langid.gram_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = counts.replace({k: str(v) for k, v in number.items()}, subset=["lang"]).withColumn("lang", F.col("lang").cast("int"))
+    table, _, unseen = langid.kneser_ney(counts, 3)
+    p = slow_kneser_ney(texts)
+    for part in langid.in_parts(table, unseen, 10_000) + langid.in_parts(table, unseen, 300):
+        grams = ["   a", "  ab", " abc", "abcd", "xyé ", "  é ", "edcb", "abab", "   z", "zzzz", "   7", "  b "]
+        coded = np.array([sum(ord(c) << (16 * (3 - i)) for i, c in enumerate(g)) for g in grams], np.uint64)
+        got = np.exp(part.score(coded))
+        for i, g in enumerate(grams):
+            for j, l in enumerate(part.langs):
+                # A context with a gap in it is one that begins after the gap.
+                assert abs(got[i, j] - p(sorted(texts)[l], g)) < 1e-6, (g, l)
 
 
 def luhn(s):
@@ -225,13 +293,6 @@ def luhn(s):
     return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
 
 
-def test_most_frequent_grams(spark):
-    counts = spark.createDataFrame([("a", i, n) for i, n in enumerate([1] * 50 + [2] * 20 + [40] * 5 + [1000])], "lang string, gram long, n long")
-    got = lambda most: sorted(x.n for x in langid.most_frequent(counts, most).collect())
-    assert len(got(76)) == 76 and got(75) == [2] * 20 + [40] * 5 + [1000] and got(25) == [40] * 5 + [1000] and got(1) == [1000]
-    assert got(0) == [] and langid.most_frequent(counts.where("n > 5000"), 3).count() == 0
-
-
 def masked(df):
     return pii.pseudonymize(df, KEY)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import cut, read, row_sums, slices, words_of
+from wardlight.llm.common import cut, free_name, numbered, ragged, read, row_of, row_sums, slices, words_of
 
 ORDER = 4
 EDGE = 32  # the code that stands for whatever is not a letter
@@ -54,43 +55,77 @@ def grams_of(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return gram[told], word[told], letter[told]
 
 
+@dataclass
+class SparseTable:
+    """Sorted keys, and for each the languages that have it with their values: a hash array in compressed rows."""
+
+    keys: np.ndarray
+    ends: np.ndarray
+    langs: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, langs: np.ndarray, values: np.ndarray) -> SparseTable:
+        order = np.lexsort((langs, keys))
+        keys = keys[order]
+        uniq, first = np.unique(keys, return_index=True)
+        return cls(uniq, np.append(first, len(keys)), langs[order].astype(np.int16), values[order].astype(np.float32))
+
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in keys, language, value) of every entry whose key is asked for."""
+        if not len(self.keys) or not len(keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(0, np.float32)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        asked = np.flatnonzero(self.keys[at] == keys)
+        begin, size = self.ends[at[asked]], self.ends[at[asked] + 1] - self.ends[at[asked]]
+        entry = ragged(begin, size)
+        return np.repeat(asked, size), self.langs[entry], self.values[entry]
+
+
 @dataclass
 class LanguageModels:
-    """Sorted hash arrays: grams[k] are the k-grams known in any language (packed codes, sorted), logs[k][i, l] their interpolated log
-    probability in language l; contexts[k] and gaps[k] likewise the log of the share that a context of k characters
-    leaves to the next shorter one. means, spreads: calibration of the cross-entropy, by language."""
-
-    langs: list[str]
-    grams: list[np.ndarray]
-    logs: list[np.ndarray]
-    contexts: list[np.ndarray]
-    gaps: list[np.ndarray]
-    unseen: float
-    means: np.ndarray | None = None
-    limits: np.ndarray | None = None
+    """Interpolated Kneser-Ney models of some languages, as sorted hash arrays.
+
+    grams[k]: the log probability of each k-gram (packed codes) in each language that has it; gaps[k]: the log of the
+    share that a context of k characters leaves to the next shorter one. unseen: log probability of a character that a
+    language has never shown. An entry takes 6 bytes and a distinct key 16: 200 languages of 100,000 4-grams each (some
+    27 million entries of all orders) take about 300 MB.
+    """
 
-    def _at(self, keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(known):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return at, known[at] == keys
+    langs: list[int]
+    grams: list[SparseTable]
+    gaps: list[SparseTable]
+    unseen: np.ndarray
 
     def score(self, gram: np.ndarray) -> np.ndarray:
         """Log probability of each gram's last character after the others: one row a gram, one column a language."""
         uniq, back = np.unique(gram, return_inverse=True)
         out = np.zeros((len(uniq), len(self.langs)), np.float32)
-        left = np.arange(len(uniq))
+        open_ = np.ones(out.shape, bool)
         for k in range(ORDER, 0, -1):
+            left = np.flatnonzero(open_.any(axis=1))
             keys = uniq[left] & np.uint64((1 << (16 * k)) - 1)
-            at, hit = self._at(keys, self.grams[k])
-            out[left[hit]] += self.logs[k][at[hit]]
-            left, keys = left[~hit], keys[~hit]
-            if k > 1:
-                at, hit = self._at(keys >> np.uint64(16), self.contexts[k - 1])
-                out[left[hit]] += self.gaps[k - 1][at[hit]]
-        out[left] += self.unseen
+            for table, closes in ((self.grams[k], True), (self.gaps[k - 1], False)) if k > 1 else ((self.grams[k], True),):
+                at, lang, value = table.look_up(keys if closes else keys >> np.uint64(16))
+                row = left[at]
+                own = open_[row, lang]
+                row, lang = row[own], lang[own]
+                out[row, lang] += value[own]
+                if closes:
+                    open_[row, lang] = False
+        out += np.where(open_, self.unseen[None, :], np.float32(0))
         return out[back]
 
+
+@dataclass
+class LanguageIdentifier:
+    """Names of the languages, their models in parts of bounded size, and for each language the calibration of the cross-entropy."""
+
+    names: list[str]
+    parts: list[LanguageModels]
+    means: np.ndarray | None = None
+    limits: np.ndarray | None = None
+
     def strange(self, entropy: np.ndarray, best: np.ndarray, scored: np.ndarray) -> np.ndarray:
         """Whether texts of that cross-entropy and length lie beyond the calibrated limit of their best language."""
         if self.means is None:
@@ -98,55 +133,64 @@ class LanguageModels:
         return (entropy - self.means[best]) * np.sqrt(np.minimum(scored, 400)) > self.limits[best]
 
 
-def kneser_ney(lang: np.ndarray, gram: np.ndarray, count: np.ndarray, langs: list[str]) -> LanguageModels:
-    """Interpolated Kneser-Ney models from counts of 4-grams by language (lang: numbers in langs).
+def kneser_ney(counts: DataFrame, n_langs: int) -> tuple[DataFrame, float, list[float]]:
+    """Interpolated Kneser-Ney models from all counts of 4-grams (lang: a number, gram, n), computed on Spark.
 
-    The highest order has counts, the lower ones numbers of distinct characters before; each order has its discount
-    n1 / (n1 + 2 n2), and the lowest is interpolated with a uniform distribution over the characters seen and one more.
+    The highest order has counts, the lower ones numbers of distinct characters before; each order of a language has its
+    discount n1 / (n1 + 2 n2), and the lowest is interpolated with a uniform distribution over the characters seen and
+    one more. Gives the table (k, context, lang, key, value) of logarithms, that of the uniform probability, and each
+    language's log share of what it has not seen. Only figures of languages and orders come to the driver.
     """
-    n = len(langs)
-    low = lambda k: np.uint64((1 << (16 * k)) - 1)
-    alphabet = len(np.unique(gram & low(1))) + 1
-    probs: list[dict] = [None] * (ORDER + 1)
-    known = [np.zeros(0, np.uint64)] * (ORDER + 1)
-    contexts = [np.zeros(0, np.uint64)] * ORDER
-    gaps: list[np.ndarray] = [np.zeros((0, n))] * ORDER
-    tables = []
-    own_l, own_g, own_c = lang, gram, count.astype(np.float64)
-    for k in range(ORDER, 0, -1):
-        tables.append((k, own_l, own_g, own_c))
-        if k > 1:
-            pairs = np.stack([own_l.astype(np.uint64), own_g & low(k - 1)], axis=1)
-            uniq, n_before = np.unique(pairs, axis=0, return_counts=True)
-            own_l, own_g, own_c = uniq[:, 0].astype(np.int64), uniq[:, 1], n_before.astype(np.float64)
-    below = None
-    for k, ls, gs, cs in reversed(tables):
-        keys = np.unique(gs)
-        value = np.zeros((len(keys), n))
-        at = np.searchsorted(keys, gs)
-        value[at, ls] = cs
-        ctx = keys >> np.uint64(16)
-        ctx_keys, ctx_of = np.unique(ctx, return_inverse=True)
-        total = np.zeros((len(ctx_keys), n))
-        np.add.at(total, ctx_of, value)
-        kinds = np.zeros((len(ctx_keys), n))
-        np.add.at(kinds, ctx_of, value > 0)
-        n1, n2 = (value == 1).sum(0), (value == 2).sum(0)
-        discount = np.where(n1 + n2 > 0, n1 / np.maximum(n1 + 2 * n2, 1), 0.5)
-        discount = np.clip(discount, 0.1, 0.95)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gap = np.where(total > 0, discount * kinds / total, 1.0)
-            first = np.where(total[ctx_of] > 0, np.maximum(value - discount, 0) / total[ctx_of], 0.0)
+    low = lambda c, k: F.col(c).bitwiseAND(F.lit((1 << (16 * k)) - 1).cast("long"))
+    orders = {ORDER: counts.select("lang", "gram", F.col("n").cast("double").alias("n"))}
+    for k in range(ORDER - 1, 0, -1):
+        orders[k] = cut(orders[k + 1].groupBy("lang", low("gram", k).alias("gram")).agg(F.count("*").cast("double").alias("n")))
+    once = [t.groupBy("lang").agg(F.lit(k).alias("k"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.sum("n").alias("total"), F.count("*").alias("kinds")) for k, t in orders.items()]
+    discount = {k: [0.5] * n_langs for k in orders}
+    unseen = [0.0] * n_langs
+    alphabet = orders[1].select("gram").distinct().count() + 1
+    for r in reduce(DataFrame.unionByName, once).collect():
+        if r.n1 + r.n2:
+            discount[r.k][r.lang] = min(max(r.n1 / max(r.n1 + 2 * r.n2, 1), 0.1), 0.95)
+        if r.k == 1:
+            unseen[r.lang] = float(np.log(discount[1][r.lang] * r.kinds / r.total / alphabet))
+    found, below = [], None
+    for k in range(1, ORDER + 1):
+        own = F.element_at(F.array(*[F.lit(float(x)) for x in discount[k]]), F.col("lang") + 1)
+        own_context = F.shiftrightunsigned("gram", 16)
+        rows = orders[k].select("lang", "gram", "n", own_context.alias("context"), own.alias("d"))
+        gaps = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.first("d") * F.count("*") / F.sum("n")).alias("gap"))
+        rows = rows.join(gaps, ["lang", "context"])
+        first = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")
         if k == 1:
-            lower = np.full((len(keys), n), 1.0 / alphabet)
-            base = float(np.log(1.0 / alphabet))
-            gap_one = gap[0]
+            rows = rows.withColumn("p", first + F.col("gap") / alphabet)
         else:
-            lower = below[np.searchsorted(known[k - 1], keys & low(k - 1))]
-            contexts[k - 1], gaps[k - 1] = ctx_keys, np.log(gap).astype(np.float32)
-        below = first + gap[ctx_of] * lower
-        known[k], probs[k] = keys, np.log(below).astype(np.float32)
-    return LanguageModels(langs, known, [None, *probs[1:]], contexts, gaps, base + float(np.log(gap_one).mean()))
+            found.append(gaps.select(F.lit(k - 1).alias("k"), F.lit(True).alias("context"), "lang", F.col("context").alias("key"), F.log("gap").alias("value")))
+            rows = rows.withColumn("lower", low("gram", k - 1)).join(below.select("lang", F.col("gram").alias("lower"), F.col("p").alias("q")), ["lang", "lower"]).withColumn("p", first + F.col("gap") * F.col("q"))
+        below = cut(rows.select("lang", "gram", "p"))
+        found.append(below.select(F.lit(k).alias("k"), F.lit(False).alias("context"), "lang", F.col("gram").alias("key"), F.log("p").alias("value")))
+    return reduce(DataFrame.unionByName, found), float(np.log(1.0 / alphabet)), unseen
+
+
+def in_parts(table: DataFrame, unseen: list[float], most: int) -> list[LanguageModels]:
+    """The models of all languages, brought to the driver in parts of at most `most` entries, or of one larger language."""
+    sizes = {r.lang: r.n for r in table.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    groups: list[list[int]] = []
+    room = 0
+    for lang in sorted(sizes):
+        if not groups or room < sizes[lang]:
+            groups.append([])
+            room = most
+        groups[-1].append(lang)
+        room -= sizes[lang]
+    parts = []
+    for langs in groups:
+        rows = table.where(F.col("lang").isin(langs)).toArrow()
+        k, context, lang, key, value = (rows.column(c).to_numpy() for c in ("k", "context", "lang", "key", "value"))
+        lang, key = np.searchsorted(np.array(langs), lang), key.view(np.uint64)
+        of = lambda at: SparseTable.of(key[at], lang[at], value[at])  # noqa: E731, B023
+        parts.append(LanguageModels(langs, [of((k == i) & ~context) for i in range(ORDER + 1)], [of((k == i) & context) for i in range(ORDER)], np.array([unseen[x] for x in langs], np.float32)))
+    return parts
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -172,22 +216,6 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """Rows of counts (…, n) with the largest n, `most` at most: all of n at or above the least limit that leaves no more.
-
-    The limit comes from a histogram of n (sixteen classes to a doubling, a thousand in all at most), so that nothing is
-    sorted and no task takes all rows; rows with equal n are kept or left together.
-    """
-    level = F.floor(F.log2("n") * 16)
-    total, limit = 0, None
-    for row in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r.level):
-        total += row.rows
-        if total > most:
-            break
-        limit = row.level
-    return counts.where(level >= limit) if limit is not None else counts.where(F.lit(False))
-
-
 def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys, weights = keys[order], weights[order]
@@ -195,101 +223,156 @@ def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[first], np.add.reduceat(weights, first) if len(first) else np.zeros(0, np.int64)
 
 
-def entropies(texts: pa.Array, models: LanguageModels) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Length-normalised cross-entropy of each text by language (nats a character), characters scored, and letters."""
+def entropies(texts: pa.Array, models: LanguageModels, most: int = 1 << 23) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Length-normalised cross-entropy of each text by language (nats a character), characters scored, and letters.
+
+    The distinct words are scored some at a time, so that there are about `most` figures at once however many languages.
+    """
     words, distinct, offsets = words_of(texts)
     gram, word, letter = grams_of(distinct)
     v, n = len(distinct), len(models.langs)
-    scores = models.score(gram)
-    per_word = np.stack([np.bincount(word, scores[:, l], minlength=v) for l in range(n)], axis=1) if v else np.zeros((0, n))
     chars, letters = np.bincount(word, minlength=v), np.bincount(word[letter], minlength=v)
     scored = row_sums(chars[words], offsets)
-    total = np.stack([row_sums(per_word[words, l], offsets) for l in range(n)], axis=1)
+    total = np.zeros((len(offsets) - 1, n))
+    step = max(1, most // max(n, 1))
+    cuts = sorted({0, v, *word[step::step].tolist()})  # a chunk has whole words
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        a, b = np.searchsorted(word, [lo, hi])
+        scores = models.score(gram[a:b])
+        one = len(cuts) == 2
+        here = words if one else words[(words >= lo) & (words < hi)]
+        row = None if one else row_of(offsets)[(words >= lo) & (words < hi)]
+        for l in range(n):
+            own = np.bincount(word[a:b] - lo, scores[:, l], minlength=hi - lo)[here - lo]
+            total[:, l] += row_sums(own, offsets) if one else np.bincount(row, own, minlength=len(total))
     return -total / np.maximum(scored, 1)[:, None], scored, row_sums(letters[words], offsets)
 
 
-def train(docs: DataFrame, max_grams: int = 2_000_000, calibration_docs: int = 4_000, quantile: float = 0.999, slack: float = 2.0) -> LanguageModels | None:
+def train(docs: DataFrame, calibration_docs: int = 2_000, quantile: float = 0.999, slack: float = 2.0, part: int = 16_000_000) -> LanguageIdentifier | None:
     """Models from labelled docs (doc_id, text, lang); None where no document has a language and text.
 
-    About calibration_docs documents drawn by hash of doc_id, a fifth of all at most, are set aside to calibrate the
-    rejection limit: for each language, how far a document's cross-entropy lies above the median, times the root of its
-    length, at `quantile`, times `slack`. The counts are of all other documents. Of the counted (language, 4-gram) pairs
-    the max_grams most frequent are kept (see most_frequent): the model's size is bounded by that, whatever the corpus.
+    For each language about calibration_docs documents drawn by hash of doc_id, a fifth of all at most, are set aside to
+    calibrate the rejection limit: how far a document's cross-entropy lies above the median, times the root of its
+    length, at `quantile`, times `slack`. A language with fewer than 20 such documents has the limit of all languages
+    together. The counts are of all other documents, and none is left out: discounts and continuation counts are of all
+    counts. The models grow with the corpus; they are held and scored in parts of `part` entries (see in_parts), each
+    part being a pass over the documents.
     """
     labelled = docs.where("lang is not null and text is not null")
-    share = max(5, labelled.count() // calibration_docs)
-    aside = F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0
-    rows = most_frequent(cut(gram_counts(labelled.where(~aside))), max_grams).toArrow()
-    if not rows.num_rows:
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return None
+    names = sorted(sizes)
+    number = F.element_at(F.create_map(*[F.lit(x) for i, name in enumerate(names) for x in (name, i)]), F.col("lang"))
+    share = F.element_at(F.array(*[F.lit(max(5, sizes[x] // calibration_docs)) for x in names]), number + 1)
+    aside = F.pmod(F.xxhash64("doc_id"), share) == 0
+    counts = cut(gram_counts(labelled.where(~aside)).select(number.alias("lang"), "gram", "n"))
+    table, _, unseen = kneser_ney(counts, len(names))
+    models = LanguageIdentifier(names, in_parts(cut(table), unseen, part))
+    if not models.parts:
         return None
-    coded = rows.column("lang").combine_chunks().dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    langs = sorted(names)
-    number = np.array([langs.index(x) for x in names])
-    models = kneser_ney(number[coded.indices.to_numpy()], rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy(), langs)
     told = _scored(labelled.where(aside).select("doc_id", "text", "lang"), models, with_lang=True).where("letters > 0").toArrow()
-    which = np.array([langs.index(x) if x in langs else -1 for x in told.column("lang").to_pylist()], np.int64)
-    h, size = told.column("entropy").to_numpy(), np.minimum(told.column("scored").to_numpy(), 400)
-    models.means, models.limits = np.zeros(len(langs)), np.full(len(langs), np.inf)
-    for l in range(len(langs)):
-        own = (which == l) & (told.column("best").to_numpy() == l)
+    place = {x: i for i, x in enumerate(names)}
+    which = np.array([place[x] for x in told.column("lang").to_pylist()], np.int64)
+    h, size, best = told.column("entropy").to_numpy(), np.minimum(told.column("scored").to_numpy(), 400), told.column("best").to_numpy()
+    models.means, models.limits = np.zeros(len(names)), np.full(len(names), np.inf)
+    over = lambda own, mean: slack * max(np.quantile((h[own] - mean) * np.sqrt(size[own]), quantile), 1.0)
+    right = which == best
+    for l in range(len(names)):
+        own = right & (which == l) if (right & (which == l)).sum() >= 20 else right
         if own.sum() >= 20:
             models.means[l] = np.median(h[own])
-            models.limits[l] = slack * max(np.quantile((h[own] - models.means[l]) * np.sqrt(size[own]), quantile), 1.0)
+            models.limits[l] = over(own, models.means[l])
     return models
 
 
-def _scored(docs: DataFrame, models: LanguageModels, with_lang: bool = False) -> DataFrame:
-    id_type = dict(docs.dtypes)["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in slices(batches):
-            h, scored, letters = entropies(batch.column("text"), m)
-            best = h.argmin(axis=1)
-            rows = np.arange(len(best))
-            ratio = np.exp(-np.minimum((h - h[rows, best][:, None]) * np.minimum(scored, 200)[:, None], 700))
-            strange = m.strange(h[rows, best], best, scored)
-            arrays = [batch.column("doc_id"), pa.array(best, pa.int32()), pa.array(h[rows, best]), pa.array(1 / ratio.sum(axis=1)), pa.array(strange), pa.array(scored, pa.int64()), pa.array(letters, pa.int64())]
-            names = ["doc_id", "best", "entropy", "confidence", "strange", "scored", "letters"]
-            if with_lang:
-                arrays, names = [*arrays, batch.column("lang")], [*names, "lang"]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    more = ", lang string" if with_lang else ""
-    return docs.mapInArrow(score, f"doc_id {id_type}, best int, entropy double, confidence double, strange boolean, scored long, letters long{more}")
-
-
-def identify(docs: DataFrame, models: LanguageModels | None) -> DataFrame:
+def _judged(batch: pa.RecordBatch, models: LanguageModels) -> list[np.ndarray]:
+    """best (its number among all languages), its entropy, the sum of all languages' likelihoods as a multiple of its own, characters scored, letters."""
+    h, scored, letters = entropies(batch.column("text"), models)
+    best = h.argmin(axis=1)
+    rows = np.arange(len(best))
+    ratio = np.exp(-np.minimum((h - h[rows, best][:, None]) * np.minimum(scored, 200)[:, None], 700))
+    return [np.array(models.langs)[best], h[rows, best], ratio.sum(axis=1), scored, letters]
+
+
+def _scored(docs: DataFrame, models: LanguageIdentifier, with_lang: bool = False) -> DataFrame:
+    """docs (doc_id, text[, lang]) → doc_id, best, entropy, confidence, scored, letters[, lang], over all parts of the models."""
+    others = ["doc_id", *["lang"] * with_lang]
+    several = len(models.parts) > 1
+    if several:
+        docs = numbered(docs.select(*others, "text"), "_row")
+        others = ["_row", *others]
+    kinds, out = dict(docs.dtypes), None
+    for part in models.parts:
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                best, entropy, likely, scored, letters = _judged(batch, shared.value)
+                told = [pa.array(best, pa.int32()), pa.array(entropy), pa.array(likely), pa.array(scored, pa.int64()), pa.array(letters, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *told], names=[*others, "best", "entropy", "likely", "scored", "letters"])
+
+        schema = ", ".join(f"{c} {kinds[c]}" for c in others)
+        found = docs.select(*others, "text").mapInArrow(score, f"{schema}, best int, entropy double, likely double, scored long, letters long")
+        out = found if out is None else out.unionByName(found)
+    if several:  # the best of the parts, and the likelihoods of all as a multiple of its own
+        each = F.struct("entropy", "best", "likely", F.least("scored", F.lit(200)).alias("length"))
+        out = out.groupBy("_row").agg(F.array_sort(F.collect_list(each)).alias("e"), *[F.first(c).alias(c) for c in (*others[1:], "scored", "letters")])
+        least = F.col("e")[0]
+        total = F.aggregate("e", F.lit(0.0), lambda s, x: s + x["likely"] * F.exp(-F.least((x["entropy"] - least["entropy"]) * x["length"], F.lit(700.0))))
+        out = out.select(*others[1:], least["best"].alias("best"), least["entropy"].alias("entropy"), total.alias("likely"), "scored", "letters")
+    return out.withColumn("confidence", 1 / F.col("likely")).drop("likely")
+
+
+def _strange(models: LanguageIdentifier) -> Column:
+    """LanguageIdentifier.strange as a column over entropy, best and scored."""
+    if models.means is None:
+        return F.lit(False)
+    at = lambda values: F.element_at(F.array(*[F.lit(float(x)) for x in values]), F.col("best") + 1)
+    return (F.col("entropy") - at(models.means)) * F.sqrt(F.least("scored", F.lit(400))) > at(models.limits)
+
+
+def identify(docs: DataFrame, models: LanguageIdentifier | None) -> DataFrame:
     """docs (doc_id, text) → doc_id, lang_pred, score, entropy, rejected: one row per input row.
 
     The language of lowest cross-entropy a character; score is its share among the languages, over at most 200
     characters. A text that is null or has no letter is `und` with score 0 and is rejected; a text whose cross-entropy
-    exceeds its language's calibrated limit keeps its language and is rejected. Without models every text is `und`.
-    Nothing is shuffled; texts of any length are scored whole; ties go to the first language by name; columns other
-    than doc_id and text are not read.
+    exceeds its language's calibrated limit keeps its language and is rejected. Without models every text is `und`, and
+    only those without a letter are rejected. Texts of any length are scored whole; ties go to the first language by
+    name; repeated rows and ids have a row each; an empty table gives an empty one; other columns are not read.
     """
     if models is None:
-        return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"), F.lit(True).alias("rejected"))
+        return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"), (~_lettered()).alias("rejected"))
     found = _scored(docs.select("doc_id", "text"), models)
-    names = F.array(*[F.lit(x) for x in models.langs])
+    names = F.array(*[F.lit(x) for x in models.names])
     blank = F.col("letters") == 0
-    return found.select("doc_id", F.when(blank, "und").otherwise(F.element_at(names, F.col("best") + 1)).alias("lang_pred"), F.when(blank, 0.0).otherwise(F.col("confidence")).alias("score"), F.when(~blank, F.col("entropy")).alias("entropy"), (blank | F.col("strange")).alias("rejected"))
+    return found.select("doc_id", F.when(blank, "und").otherwise(F.element_at(names, F.col("best") + 1)).alias("lang_pred"), F.when(blank, 0.0).otherwise(F.col("confidence")).alias("score"), F.when(~blank, F.col("entropy")).alias("entropy"), (blank | _strange(models)).alias("rejected"))
+
 
+def _lettered() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
-def keep_identified(docs: DataFrame, models: LanguageModels | None) -> DataFrame:
-    """The rows of docs, in its columns, that identify() does not reject; each task scores and filters what it reads."""
+
+def keep_identified(docs: DataFrame, models: LanguageIdentifier | None) -> DataFrame:
+    """The rows of docs, in its columns, that identify() does not reject; each task scores and filters what it reads.
+
+    Without models, so without a labelled document, only texts without a letter go. Rows are kept or dropped each by its
+    own text, whether an id is null or repeated.
+    """
     if models is None:
-        return docs.where(F.lit(False))
+        return docs.where(_lettered())
+    if len(models.parts) > 1:
+        key = free_name(docs, "row")
+        rows = numbered(docs, key)
+        found = _scored(rows.select(F.col(key).alias("doc_id"), "text"), models).where((F.col("letters") > 0) & ~_strange(models))
+        return rows.join(found.select(F.col("doc_id").alias(key)), key, "left_semi").select(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in slices(batches):
-            h, scored, letters = entropies(batch.column("text"), m)
-            best = h.argmin(axis=1)
-            yield batch.filter(pa.array((letters > 0) & ~m.strange(h[np.arange(len(best)), best], best, scored)))
+            best, entropy, _, scored, letters = _judged(batch, m.parts[0])
+            yield batch.filter(pa.array((letters > 0) & ~m.strange(entropy, best, scored)))
 
     return docs.mapInArrow(keep, docs.schema)
 
