@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import cut, gram_hashes, ragged, read, row_of, row_sums, slices, word_hashes, words_of
+from wardlight.llm.common import cut, drop, gram_hashes, ragged, read, row_of, row_sums, slices, word_hashes, words_of
 
 WINDOW = 50
 PHRASE = 8  # words of a phrase; any WINDOW words hold at least one phrase chosen by their content alone
-PER_SALT = 2_000  # documents with one phrase that one group of a round takes
-BLOCK = 8 << 20  # bytes of text that share one automaton
+PER_SALT = 500  # documents with one phrase that one group of a round takes
+BLOCK = 4 << 20  # bytes of text that share one automaton
 DIGITS = 32  # of an automaton's letters; a node's children are searched one by one, so they must be few
 
 
@@ -268,14 +268,13 @@ def lost_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Data
     reps = cut(base.where(F.col("n_words") >= WINDOW).groupBy("digest").agg(first, F.first("size").alias("size")).select("digest", "least.doc_id", "least.h", "size"))
     blocks = max(1, -(-(reps.agg(F.sum("size")).first()[0] or 0) // BLOCK))
     block = F.pmod(F.xxhash64("doc_id", "h"), F.lit(blocks)).cast("int").alias("block")
-    firsts = reps.select(F.col("digest").alias("d"), F.col("doc_id").alias("i"), F.col("h").alias("k"))
-    same = (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k"))
-    text = F.xxhash64("digest").alias("t")
-    chosen = base.join(firsts, same, "left_semi").select(text, block, F.inline("phrases"))
-    # Confirmed: the phrase is chosen in two documents with different words.
-    counts = chosen.groupBy("phrase").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    chosen = base.where(F.col("n_words") >= WINDOW).select("digest", "doc_id", "h", F.inline("phrases"))
+    # Confirmed: the phrase is chosen in two documents with different words. Only then are its words sent anywhere.
+    text = F.xxhash64("digest")
+    counts = chosen.groupBy("phrase").agg(F.min(text).alias("lo"), F.max(text).alias("hi"), F.count("*").alias("n")).where("lo < hi")
     held = cut(counts.select("phrase", F.ceil(F.col("n") / PER_SALT).cast("int").alias("salts")))
-    wanted = chosen.join(held, "phrase").withColumnRenamed("words", "text")
+    same = (F.col("c.digest") == F.col("r.digest")) & F.col("c.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("c.h") == F.col("r.h"))
+    wanted = chosen.join(held, "phrase").alias("c").join(reps.alias("r"), same, "left_semi").withColumnRenamed("words", "text").withColumn("block", block)
     id_type = dict(docs.dtypes)["doc_id"]
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     rows = reps.select(block, F.lit(0).alias("kind"), "doc_id", "h", "digest", none("long", "phrase"), none("int", "salts"), none("string", "text"))
@@ -283,6 +282,8 @@ def lost_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Data
     whole = docs.where(F.octet_length("text") >= 2 * WINDOW - 1)  # fewer bytes have no window
     rows = rows.unionByName(whole.select(block, F.lit(2).alias("kind"), "doc_id", "h", none("binary", "digest"), none("long", "phrase"), none("int", "salts"), "text"))
     found = cut(_occurrences(rows))
+    rows_of = cut(base.select("doc_id", "h", "n_words", "digest"))
+    drop(base)  # with the phrases' words
     salted = found.where("phrase is not null").withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("salts").cast("long")).cast("int"))
     kept = cut(_contest(salted))
     once = kept.where("w is null").select("digest", "starts")
@@ -290,7 +291,7 @@ def lost_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Data
     least = F.min(_missing()).over(Window.partitionBy("phrase", "w"))
     twice = kept.where("w is not null").withColumn("least", least).where(_missing() != F.col("least")).select("digest", "starts")
     lost = once.unionByName(twice).groupBy("digest").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    return base, reps, found.where("phrase is null").select("digest", "text"), lost
+    return rows_of, reps, found.where("phrase is null").select("digest", "text"), lost
 
 
 def kept_words(docs: DataFrame, texts: bool = False) -> DataFrame:
