@@ -15,11 +15,15 @@ HEADS = ("mayor", "president", "village president", "acting president")
 BOARDS = ("trustee", "alderperson", "alderman", "alderwoman", "council member", "commissioner", "councilman", "councilwoman", "councilperson")
 OFFICERS = ("clerk", "treasurer", "village clerk", "city clerk")
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v", "vi", "md", "phd", "dds", "esq", "cpa", "ret")
-VACANT = ("vacant", "vacancy", "unassigned", "open", "tbd", "none")
+VACANT = ("vacant", "vacancy", "unassigned", "open", "tbd", "none", "n/a", "na", "-")
 KEEP_CAPS = ("ES", "MS", "HS", "PS", "IS", "NE", "NW", "SE", "SW", "IL", "NY", "CA", "US")
 GRADES = ("PK", "K", "1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "11", "12")
-STREETS = {"street": "st", "avenue": "ave", "road": "rd", "drive": "dr", "boulevard": "blvd", "lane": "ln", "court": "ct", "place": "pl", "highway": "hwy"}
-DIRECTIONS = ("n", "s", "e", "w", "north", "south", "east", "west")
+STREETS = {
+    "street": "st", "avenue": "ave", "av": "ave", "road": "rd", "drive": "dr", "boulevard": "blvd", "lane": "ln", "court": "ct", "place": "pl", "highway": "hwy", "circle": "cir", "square": "sq", "terrace": "ter",
+    "parkway": "pkwy", "trail": "trl",
+}
+DIRECTIONS = ("n", "s", "e", "w", "ne", "nw", "se", "sw", "north", "south", "east", "west", "northeast", "northwest", "southeast", "southwest")
+UNITS = ("box", "suite", "ste", "room", "rm", "unit", "apt", "apartment", "floor", "fl")
 MAILBOXES = ("gmail.com", "yahoo.com", "hotmail.com", "aol.com", "outlook.com", "icloud.com", "comcast.net")
 
 
@@ -107,10 +111,9 @@ def slug(c: Column, overrides: Mapping[str, str] | None = None) -> Column:
 
 
 def street_key(c: Column) -> Column:
-    """House number and the sorted street words, without units, floors and directions; null for a PO box or no number."""
-    text = F.lower(F.regexp_replace(F.trim(c), "^#", ""))
-    text = F.regexp_replace(text, r"\b([0-9]+(st|nd|rd|th) floor|floor [0-9]+)\b", " ")
-    text = F.regexp_replace(text, r"\b(suite|ste|unit|room|rm|apt)\b\.? *#?[a-z0-9-]+|#[a-z0-9-]+", " ")
+    """House number and the sorted street words, without directions and whatever follows a unit, floor or box; null for a PO box or no number."""
+    text = F.lower(F.regexp_replace(F.trim(c), r"^#\s*(?=[0-9])", ""))
+    text = F.regexp_replace(text, rf"\b(?:[0-9]+\s*(?:st|nd|rd|th)?\s*floor|p\.?\s?o\.?\s+box|{'|'.join(UNITS)}|#)\b.*", " ")
     text = F.trim(F.regexp_replace(F.regexp_replace(text, "[.,]", " "), r"\s+", " "))
     number, rest = F.regexp_extract(text, "^([0-9]+[a-z]?) (.*)$", 1), F.regexp_extract(text, "^([0-9]+[a-z]?) (.*)$", 2)
     names = F.create_map(*[F.lit(x) for kv in STREETS.items() for x in kv])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlight.functions.scalars import MAILBOXES, fold_letters, host_of
-from wardlight.operators.rosters import blank, enrich_people, field_coverage
+from wardlight.operators.rosters import blank, enrich_people, field_coverage, without_two
 
 
 def retention(old: DataFrame, new: DataFrame, fields: Sequence[str], accepted: DataFrame | None = None) -> DataFrame:
@@ -224,11 +224,11 @@ def seat_mailbox(df: DataFrame) -> DataFrame:
 
 
 def domain_typo(df: DataFrame) -> DataFrame:
-    """Mail domains seen once within two edits of one seen three times or more: domain, near. Lengths within two block the pairs."""
+    """Mail domains seen once within two edits of one seen three times or more: domain, near. Pairs have the domain less up to two characters in common."""
     d = df.select(F.lower(F.substring_index("email", "@", -1)).alias("domain")).groupBy("domain").agg(F.count("*").alias("n"))
-    rare = d.where("n = 1").select("domain", F.explode(F.sequence(F.length("domain") - 2, F.length("domain") + 2)).alias("len"))
-    known = d.where("n >= 3").select(F.col("domain").alias("near"), F.length("domain").alias("len"))
-    return rare.join(known, "len").where(F.levenshtein("domain", "near", 2) > 0).groupBy("domain").agg(F.min("near").alias("near"))
+    rare = d.where("n = 1").select("domain", F.explode(without_two(F.col("domain"))).alias("k"))
+    known = d.where("n >= 3").select(F.col("domain").alias("near"), F.explode(without_two(F.col("domain"))).alias("k"))
+    return rare.join(known, "k").where(F.levenshtein("domain", "near", 2) > 0).groupBy("domain").agg(F.min("near").alias("near"))
 
 
 def verdict_counts(df: DataFrame, key: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from wardlight.functions.scalars import chord_deviation, densify
+from wardlight.functions.scalars import chord_deviation, densify, norm_alnum
+from wardlight.operators.rosters import population_rollup, reconcile_partition
 from wardlight.operators.spatial import bounding_boxes, classify, classify_status, edge_measures, interior_points, nearest_segment, ring_edges, ring_measures
 
 RING = ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))
@@ -29,37 +31,57 @@ def dissolve(units: DataFrame, composition: DataFrame) -> DataFrame:
 
 
 def chain_rings(edges: DataFrame) -> DataFrame:
-    """district boundary edges → district, ring_no, ring (closed). An open chain raises. One group is one district's boundary."""
+    """district boundary edges → district, ring_no, ring (closed, counter-clockwise, from its least vertex). One group is one district's boundary.
+
+    Where a boundary meets itself, edges that are neighbours by angle belong together, so that rings touch but never
+    cross. A vertex with an odd number of edges raises: the chain is open there.
+    """
 
     def chain(key, pdf):
         import pandas as pd
 
-        ends: dict = {}
-        rows = sorted(zip(pdf.x1, pdf.y1, pdf.x2, pdf.y2, strict=True))
-        for i, (x1, y1, x2, y2) in enumerate(rows):
-            ends.setdefault((x1, y1), []).append((i, (x2, y2)))
-            ends.setdefault((x2, y2), []).append((i, (x1, y1)))
-        used, rings = set(), []
-        for i, (x1, y1, x2, y2) in enumerate(rows):
-            if i in used:
-                continue
-            used.add(i)
-            ring, at = [(x1, y1), (x2, y2)], (x2, y2)
-            while at != ring[0]:
-                step = next(((j, p) for j, p in ends[at] if j not in used), None)
-                if step is None:
-                    raise ValueError(f"open chain in district {key[0]}")
-                used.add(step[0])
-                at = step[1]
-                ring.append(at)
-            rings.append([{"x": x, "y": y} for x, y in ring])
-        return pd.DataFrame({"district": [key[0]] * len(rings), "ring_no": range(len(rings)), "ring": rings})
+        rings = rings_of(np.stack([pdf[["x1", "y1"]].to_numpy(float), pdf[["x2", "y2"]].to_numpy(float)], axis=1), key[0])
+        return pd.DataFrame({"district": [key[0]] * len(rings), "ring_no": range(len(rings)), "ring": [[{"x": x, "y": y} for x, y in r] for r in rings]})
 
     kind = dict(edges.dtypes)["district"]
     return edges.groupBy("district").applyInPandas(chain, f"district {kind}, ring_no int, ring array<struct<x:double,y:double>>")
 
 
-def nest_rings(rings: DataFrame, cell: float = 0.5) -> DataFrame:
+def rings_of(edges: np.ndarray, name) -> list[list[list[float]]]:
+    """Closed rings of undirected edges (n, 2 ends, 2 coordinates).
+
+    Each edge has two half-edges, one leaving either end. The half-edges of a vertex are sorted by angle and paired with
+    their neighbour; the walk from a half-edge to the mate of its other end is a permutation, whose cycles are the rings.
+    """
+    own = edges.reshape(-1, 2)
+    twin = np.arange(len(own)) ^ 1
+    _, vertex, degree = np.unique(own, axis=0, return_inverse=True, return_counts=True)
+    if (degree % 2).any():
+        raise ValueError(f"open chain in district {name}")
+    away = own[twin] - own
+    by_angle = np.lexsort((np.arctan2(away[:, 1], away[:, 0]), vertex.ravel()))
+    mate = np.empty(len(own), np.int64)
+    mate[by_angle[0::2]], mate[by_angle[1::2]] = by_angle[1::2], by_angle[0::2]
+    after = mate[twin].tolist()
+    waiting = np.ones(len(own), bool)
+    rings = []
+    for start in np.lexsort((own[:, 1], own[:, 0])).tolist():
+        if not waiting[start]:
+            continue
+        cycle, at = [start], after[start]
+        while at != start:
+            cycle.append(at)
+            at = after[at]
+        waiting[cycle] = waiting[twin[cycle]] = False  # the other direction is the same ring
+        ring = own[cycle]
+        nxt = np.roll(ring, -1, axis=0)
+        if (ring[:, 0] * nxt[:, 1] - nxt[:, 0] * ring[:, 1]).sum() < 0:
+            ring = np.roll(ring[::-1], 1, axis=0)
+        rings.append([*ring.tolist(), ring[0].tolist()])
+    return rings
+
+
+def nest_rings(rings: DataFrame, cell: float | None = None) -> DataFrame:
     """rings (feature_id, ring_no, ring) → with area, depth (larger rings of the feature that contain its first vertex) and hole (odd depth)."""
     as_feature = rings.select(F.concat_ws("/", "feature_id", "ring_no").alias("feature_id"), F.col("feature_id").alias("owner"), F.col("ring_no").alias("outer_no"), F.array(F.array("ring")).alias("polygons"))
     areas = ring_measures(as_feature).select(F.col("feature_id").alias("k"), F.abs("area").alias("area"))
@@ -71,27 +93,25 @@ def nest_rings(rings: DataFrame, cell: float = 0.5) -> DataFrame:
     return out.withColumn("hole", F.col("depth") % 2 == 1)
 
 
-def _dp(ring: list, tol: float) -> list:
-    """Douglas-Peucker on an open chain of (x, y), iterative."""
-    keep = [False] * len(ring)
-    keep[0] = keep[-1] = True
-    stack = [(0, len(ring) - 1)]
-    while stack:
-        a, b = stack.pop()
-        (ax, ay), (bx, by) = ring[a], ring[b]
-        dx, dy = bx - ax, by - ay
-        span = dx * dx + dy * dy
-        far, at = -1.0, -1
-        for i in range(a + 1, b):
-            px, py = ring[i][0] - ax, ring[i][1] - ay
-            t = max(0.0, min(1.0, (px * dx + py * dy) / span)) if span else 0.0
-            d = (px - t * dx) ** 2 + (py - t * dy) ** 2
-            if d > far:
-                far, at = d, i
-        if far > tol * tol:
-            keep[at] = True
-            stack += [(a, at), (at, b)]
-    return [p for p, k in zip(ring, keep, strict=True) if k]
+def _farthest_kept(line: np.ndarray, tol: float) -> np.ndarray:
+    """Which points of an open line (n, 2) Douglas and Peucker's rule keeps: spans are split at their farthest point while it is beyond tol."""
+    keep = np.zeros(len(line), bool)
+    keep[[0, -1]] = True
+    spans = [(0, len(line) - 1)]
+    while spans:
+        lo, hi = spans.pop()
+        inner = line[lo + 1 : hi] - line[lo]
+        if not len(inner):
+            continue
+        along = line[hi] - line[lo]
+        length = along @ along
+        share = np.clip(inner @ along / length, 0, 1) if length else np.zeros(len(inner))
+        off = ((inner - share[:, None] * along) ** 2).sum(axis=1)
+        far = int(off.argmax())
+        if off[far] > tol * tol:
+            keep[lo + 1 + far] = True
+            spans += [(lo, lo + 1 + far), (lo + 1 + far, hi)]
+    return keep
 
 
 def _ring_udf(f):
@@ -110,9 +130,10 @@ def simplify_dp(rings: DataFrame, tol: float) -> DataFrame:
     def one(ring):
         if len(ring) < 4:
             return ring
-        far = max(range(len(ring)), key=lambda i: (ring[i][0] - ring[0][0]) ** 2 + (ring[i][1] - ring[0][1]) ** 2)
-        out = _dp(ring[: far + 1], tol)[:-1] + _dp(ring[far:], tol)
-        return out if len(out) >= 4 else ring
+        line = np.array(ring)
+        far = int(((line - line[0]) ** 2).sum(axis=1).argmax())
+        keep = np.concatenate([_farthest_kept(line[: far + 1], tol)[:-1], _farthest_kept(line[far:], tol)])
+        return [ring[i] for i in np.flatnonzero(keep)] if keep.sum() >= 4 else ring
 
     return rings.withColumn("ring", _ring_udf(one)("ring"))
 
@@ -161,7 +182,7 @@ def despike(rings: DataFrame, deviation: float, chord: float) -> DataFrame:
             off = abs((bx - ax) * (ay - py) - (ax - px) * (by - ay)) / length if length else hypot(px - ax, py - ay)
             if off > deviation and length < chord:
                 del pts[i]
-                i = 0
+                i = 0 if i == len(pts) else max(i - 1, 0)  # only the neighbours have changed: the first, after the last, else the one before
             else:
                 i += 1
         return [*pts, pts[0]]
@@ -414,5 +435,18 @@ def largest_part(features: DataFrame) -> DataFrame:
     return ring_measures(features).where("ring_idx = 0").groupBy("feature_id").agg(F.max_by("polygon_idx", F.struct(F.abs("area").alias("a"), (-F.col("polygon_idx")).alias("p"))).alias("polygon_idx"), F.max(F.abs("area")).alias("area"))
 
 
+def check_fabric(units: DataFrame, composition: DataFrame, printed: DataFrame) -> DataFrame:
+    """units (unit, pop), composition (district, unit) and the parents' printed totals (district, pop) → findings (problem, subject, got, expected).
+
+    The fabric holds when names are one to one (a unit neither absent, unclaimed nor claimed twice) and each district's
+    population is its printed total; then there is no finding. Units listed twice are counted once.
+    """
+    names = reconcile_partition(composition, units).select("problem", F.col("unit").alias("subject"), F.lit(None).cast("long").alias("got"), F.lit(None).cast("long").alias("expected"))
+    key = lambda df, *others: df.select(norm_alnum(F.col("unit").cast("string")).alias("unit"), *others)
+    sums = population_rollup(key(units, "pop").distinct(), key(composition, "district").distinct(), printed).where("not ok")
+    told = sums.select(F.lit("population").alias("problem"), F.col("district").cast("string").alias("subject"), F.col("pop").cast("long").alias("got"), F.col("printed").cast("long").alias("expected"))
+    return names.unionByName(told)
+
+
 def district_areas(edges: DataFrame) -> DataFrame:
     return edge_measures(edges, ["district"]).select("district", "area")

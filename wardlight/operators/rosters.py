@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlight.functions.scalars import HEADS, VACANT, fold_letters, name_parts, name_tokens, norm_alnum, norm_census_place, norm_source_place, office_class, within_one_edit
+from wardlight.tables import written
 
 
 def attach_roster(hits: DataFrame, roster: DataFrame, key: str) -> DataFrame:
@@ -98,19 +99,36 @@ def enrich_people(base: DataFrame, extra: DataFrame, fields: Sequence[str]) -> D
     sure = sure.withColumn("_m", F.count("*").over(Window.partitionBy("body", "name"))).where("_m = 1")
     told = sure.select("body", "name", *["_" + f for f in fields], F.when(F.col("_strong"), "name").otherwise("surname").alias("matched_by"))
     out = base.join(told, ["body", "name"], "left")
-    filled = {f: F.when(blank(f), F.col("_" + f)).otherwise(F.col(f)) for f in fields}
+    filled = {f: F.coalesce(F.when(blank(f), F.col("_" + f)), F.col(f)) for f in fields}
     return out.withColumns(filled).select(*base.columns, "matched_by")
 
 
+def without_one(c: Column) -> Column:
+    """The text and all texts with one character less: texts within one edit of each other have one in common."""
+    shorter = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1, F.length(c))))
+    return F.array_distinct(F.concat(F.array(c), shorter))
+
+
+def without_two(c: Column) -> Column:
+    """The same for two characters and two edits."""
+    return F.array_distinct(F.flatten(F.transform(without_one(c), without_one)))
+
+
 def match_unique(names: DataFrame, candidates: DataFrame) -> DataFrame:
-    """names (id, block, name) × candidates (block, cid, name) → id, cid, n: surname within one edit; several are narrowed by the given name; null unless one is left."""
-    a = names.select("id", "block", name_parts(F.col("name")).alias("p"))
-    b = candidates.select("block", "cid", name_parts(F.col("name")).alias("q"))
-    hits = a.join(b, "block").where((F.col("p.last") != "") & within_one_edit(F.col("p.last"), F.col("q.last")))
-    g, h = F.col("p.first"), F.col("q.first")
+    """names (id, block, name) × candidates (block, cid, name) → id, cid, n: surname within one edit; several are narrowed by the given name; null unless one is left.
+
+    Distinct names of a block meet on the surname or the surname less one letter, so that pairs are tested only where
+    surnames are near, and equal names of many people are one pair.
+    """
+    a = names.select("id", "block", name_parts(F.col("name")).alias("p")).select("id", "block", "p.first", "p.last")
+    b = candidates.select("block", "cid", name_parts(F.col("name")).alias("q")).groupBy("block", F.col("q.first").alias("g"), F.col("q.last").alias("l")).agg(F.count("*").alias("c"), F.min("cid").alias("m"))
+    keyed = lambda df, last: df.withColumn("k", F.explode(without_one(F.col(last))))
+    own = a.where("last <> ''").select("block", "first", "last").distinct()
+    pairs = keyed(own, "last").join(keyed(b, "l"), ["block", "k"]).where(within_one_edit(F.col("last"), F.col("l"))).drop("k").distinct()
+    g, h = F.col("first"), F.col("g")
     close = (g == h) | F.startswith(g, h) | F.startswith(h, g) | (F.substring(g, 1, 1) == F.substring(h, 1, 1))
-    n = hits.groupBy("id").agg(F.count("*").alias("n"), F.min("cid").alias("one"), F.count_if(close).alias("k"), F.min(F.when(close, F.col("cid"))).alias("two"))
-    out = names.select("id").join(n, "id", "left")
+    n = pairs.groupBy("block", "first", "last").agg(F.sum("c").alias("n"), F.min("m").alias("one"), F.sum(F.when(close, F.col("c")).otherwise(0)).alias("k"), F.min(F.when(close, F.col("m"))).alias("two"))
+    out = a.join(n, ["block", "first", "last"], "left")
     return out.select("id", F.when(F.col("n") == 1, F.col("one")).when(F.col("k") == 1, F.col("two")).alias("cid"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -409,6 +427,24 @@ def attach_to_header(lines: DataFrame, is_header: Column, value: Column) -> Data
 # Orders and sets
 
 
+def numeric_key_order(df: DataFrame, key: str) -> DataFrame:
+    """key (text), at: the place of each distinct key by its number, equal numbers having one place; keys that are no number come first, as one.
+
+    Numbers are sorted in ranges; a range's places begin after all numbers of the ranges before it, so that no task sorts
+    everything. Only the ranges' sizes come to the driver.
+    """
+    keys = df.select(F.col(key).alias("key"), F.col(key).try_cast("decimal(38,9)").alias("no")).distinct()
+    ranged = written(keys.select("no").distinct().repartitionByRange("no").withColumn("part", F.spark_partition_id()))
+    sizes = {r.part: r.n for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for part in range(max(sizes, default=0) + 1):
+        before.append(total)
+        total += sizes.get(part, 0)
+    start = F.element_at(F.array(*map(F.lit, before)), F.col("part") + 1)
+    places = ranged.select("no", (F.row_number().over(Window.partitionBy("part").orderBy("no")) + start).cast("int").alias("at"))
+    return keys.join(places, keys.no.eqNullSafe(places.no)).select("key", "at")
+
+
 def natural_seat_key(seat: Column, name: Column) -> Column:
     """Sort key: Ward 1 < 2 < 10, seats without a number last, then by name."""
     no = F.nullif(F.regexp_extract(seat, "([0-9]+)", 1), F.lit("")).cast("int")

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlight.functions.scalars import haversine, segment_foot
+from wardlight.tables import written
+
+PART = 4_096  # items of a cell's list that one row holds
 
 
 def ring_pairs(ring: Column) -> Column:
@@ -50,11 +53,35 @@ def inside(parts: Column, x: Column, y: Column) -> Column:
     return F.exists(parts, odd)
 
 
-def cell_of(v: Column, cell: float) -> Column:
+def cell_of(v: Column, cell: float | Column) -> Column:
     return F.floor(v / cell).cast("long")
 
 
-def cell_index(features: DataFrame, cell: float) -> DataFrame:
+def fitted_side(boxes: DataFrame, per_box: int = 16) -> Column:
+    """Side of square cells so that boxes (min_x, min_y, max_x, max_y) meet some per_box of them on average, whatever the coordinates' units.
+
+    A scalar subquery over the boxes: Spark evaluates it before the query that holds it.
+    """
+    w, h = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")
+    n = F.count("*") * F.lit(per_box)
+    side = F.greatest(F.sqrt(F.sum(w * h) / n), F.sum(w + h) / n)
+    return boxes.agg(F.when(side > 0, side).otherwise(1.0).alias("side")).scalar()
+
+
+def boxes_by_cell(boxes: DataFrame, side: float | Column) -> DataFrame:
+    """boxes once for each cell (cx, cy) that they meet, with the side as _side."""
+    spans = boxes.withColumn("_side", side if isinstance(side, Column) else F.lit(float(side)))
+    for c, lo, hi in (("cx", "min_x", "max_x"), ("cy", "min_y", "max_y")):
+        spans = spans.withColumn(c, F.explode(F.sequence(cell_of(F.col(lo), F.col("_side")), cell_of(F.col(hi), F.col("_side")))))
+    return spans
+
+
+def _keyed(points: DataFrame, side: float | Column) -> DataFrame:
+    side = side if isinstance(side, Column) else F.lit(float(side))
+    return points.withColumns({"cx": cell_of(F.col("x"), side), "cy": cell_of(F.col("y"), side)})
+
+
+def cell_index(features: DataFrame, cell: float | Column) -> DataFrame:
     """features → rows (cx, cy, …, parts): for each cell that a bounding box meets, the edges a ray from the cell can cross.
 
     A cell keeps the edges that reach its band and do not lie wholly to its left, so that a point tests few edges
@@ -62,40 +89,41 @@ def cell_index(features: DataFrame, cell: float) -> DataFrame:
     """
     others = [c for c in features.columns if c != "polygons"]
     boxed = features.select(*others, F.transform("polygons", lambda rings: F.flatten(F.transform(rings, ring_pairs))).alias("parts"), *_bounds(F.flatten(F.flatten("polygons"))))
-    spans = boxed.withColumn("cx", F.explode(F.sequence(cell_of(F.col("min_x"), cell), cell_of(F.col("max_x"), cell)))).withColumn("cy", F.explode(F.sequence(cell_of(F.col("min_y"), cell), cell_of(F.col("max_y"), cell))))
-    x0, y0, y1 = F.col("cx") * F.lit(cell), F.col("cy") * F.lit(cell), (F.col("cy") + 1) * F.lit(cell)
+    spans = boxes_by_cell(boxed, cell)
+    x0, y0, y1 = F.col("cx") * F.col("_side"), F.col("cy") * F.col("_side"), (F.col("cy") + 1) * F.col("_side")
     near = lambda e: (F.greatest(e["ay"], e["by"]) >= y0) & (F.least(e["ay"], e["by"]) <= y1) & (F.greatest(e["ax"], e["bx"]) >= x0)
     return spans.select("cx", "cy", *others, F.transform("parts", lambda p: F.filter(p, near)).alias("parts"))
 
 
-def classify(points: DataFrame, features: DataFrame, cell: float = 0.5) -> DataFrame:
+def classify(points: DataFrame, features: DataFrame, cell: float | None = None) -> DataFrame:
     """Every (point, feature that contains it): the points' columns and the features' columns but polygons.
 
     Points meet the cells of the features by an equi-join on (cx, cy) and test the cell's edges within the row, so that
     nothing is grouped afterwards: with a small layer, which adaptive execution broadcasts, points are never shuffled.
+    The cells' side is fitted to the features' boxes unless it is given, so that the index has a bounded number of rows
+    for each feature on average.
     """
     others = [c for c in features.columns if c != "polygons"]
-    keyed = points.withColumns({"cx": cell_of(F.col("x"), cell), "cy": cell_of(F.col("y"), cell)})
-    met = keyed.join(cell_index(features, cell), ["cx", "cy"])
+    side = cell or fitted_side(bounding_boxes(features.select("polygons")))
+    met = _keyed(points, side).join(cell_index(features, side), ["cx", "cy"])
     return met.where(inside(F.col("parts"), F.col("x"), F.col("y"))).select(*points.columns, *others)
 
 
-def bbox_prereject(points: DataFrame, features: DataFrame, cell: float = 0.5) -> DataFrame:
+def bbox_prereject(points: DataFrame, features: DataFrame, cell: float | None = None) -> DataFrame:
     """(point, feature) pairs whose bounding box holds the point: the cheap reject before the ring test."""
     boxes = bounding_boxes(features)
-    spans = boxes.withColumn("cx", F.explode(F.sequence(cell_of(F.col("min_x"), cell), cell_of(F.col("max_x"), cell)))).withColumn("cy", F.explode(F.sequence(cell_of(F.col("min_y"), cell), cell_of(F.col("max_y"), cell))))
-    keyed = points.withColumns({"cx": cell_of(F.col("x"), cell), "cy": cell_of(F.col("y"), cell)})
-    return keyed.join(spans, ["cx", "cy"]).where("x between min_x and max_x and y between min_y and max_y").select("pid", "x", "y", "feature_id")
+    side = cell or fitted_side(boxes)
+    return _keyed(points, side).join(boxes_by_cell(boxes, side), ["cx", "cy"]).where("x between min_x and max_x and y between min_y and max_y").select("pid", "x", "y", "feature_id")
 
 
-def classify_status(points: DataFrame, features: DataFrame, cell: float = 0.5) -> DataFrame:
+def classify_status(points: DataFrame, features: DataFrame, cell: float | None = None) -> DataFrame:
     """pid, n, status NONE / OK / MULTI, feature_id where it is the only one."""
     hits = classify(points.select("pid", "x", "y"), features.select("feature_id", "polygons"), cell).groupBy("pid").agg(F.count("*").alias("n"), F.min("feature_id").alias("one"))
     n = F.coalesce("n", F.lit(0))
     return points.select("pid").join(hits, "pid", "left").select("pid", n.alias("n"), F.when(n == 0, "NONE").when(n == 1, "OK").otherwise("MULTI").alias("status"), F.when(n == 1, F.col("one")).alias("feature_id"))
 
 
-def dispatch(points: DataFrame, entries: DataFrame, cell: float = 0.5) -> DataFrame:
+def dispatch(points: DataFrame, entries: DataFrame, cell: float | None = None) -> DataFrame:
     """entries: features with entry_order, source, available. The first containing entry wins.
 
     An entry that is not available is skipped; a point that no available entry contains is ERROR while any entry is
@@ -108,12 +136,12 @@ def dispatch(points: DataFrame, entries: DataFrame, cell: float = 0.5) -> DataFr
     return out.select("pid", F.when(F.col("won").isNotNull(), "OK").when(F.col("gap"), "ERROR").otherwise("NONE").alias("status"), "won.source", "won.feature_id")
 
 
-def covered(points: DataFrame, outlines: DataFrame, cell: float = 0.5) -> DataFrame:
+def covered(points: DataFrame, outlines: DataFrame, cell: float | None = None) -> DataFrame:
     """Points inside any outline."""
     return points.join(classify(points.select("pid", "x", "y"), outlines.select("feature_id", "polygons"), cell).select("pid").distinct(), "pid", "left_semi")
 
 
-def carve_out(points: DataFrame, include: DataFrame, exclude: DataFrame, cell: float = 0.5) -> DataFrame:
+def carve_out(points: DataFrame, include: DataFrame, exclude: DataFrame, cell: float | None = None) -> DataFrame:
     """Points in an outline of include and in none of exclude."""
     out = classify(points.select("pid", "x", "y"), exclude.select("feature_id", "polygons"), cell).select("pid")
     return covered(points, include, cell).join(out, "pid", "left_anti")
@@ -139,25 +167,37 @@ def fitted_cell(items: DataFrame, boxes: list[Column], per_cell: int) -> float:
 def _expanding(points: DataFrame, items: DataFrame, boxes: list[Column], distance: Callable[[Column], Column], tie: str, n: int, cell: float | None, reach: Column) -> DataFrame:
     """points (pid, x, y) → pid, best: the n nearest items as an array of (dist, tie), nearest first, ties by `tie`.
 
-    Each cell lists the items whose box comes within one cell of it; a point meets its own cell's list in one row and
-    sorts it there, so points are neither multiplied nor grouped, and a short list of cells is broadcast. A point is
-    settled when its n-th item is nearer than one cell (`reach`: the distance that a side of 1 stands for); the grid
-    doubles its side for the others, until one cell and its neighbours hold every item and what a point has is all there
-    is. The first side is fitted to the number of items, so that lists stay short however many there are. Points without
-    finite coordinates have no neighbours.
+    Each cell lists the items whose box comes within one cell of it, in parts of about PART items; a point meets the
+    parts of its own cell's list and keeps the n nearest of each, so that no row grows with the items of a dense place.
+    Where the list is one part, as it is where the grid fits, points are neither multiplied nor grouped, and a short list
+    of cells is broadcast. A point is settled when its n-th item is nearer than one cell (`reach`: the distance that a
+    side of 1 stands for); the grid doubles its side for the others, and only for the cells that they lie in, until one
+    cell and its neighbours hold every item and what a point has is all there is. The first side is fitted to the number
+    of items, so that lists stay short however many there are. Each round is written to the shared folder. Points
+    without finite coordinates have no neighbours.
     """
     x0, x1, y0, y1 = boxes
     items = items.where(" and ".join(f"{c} - {c} = 0" for c in items.columns if c != tie))
     side = cell or fitted_cell(items, boxes, 2 * n)
-    todo, done, bounds = points.where("x - x = 0 and y - y = 0"), None, None
+    todo, done, bounds, first = points.where("x - x = 0 and y - y = 0"), None, None, True
     while True:
-        lists = items.withColumn("cx", F.explode(F.sequence(cell_of(x0, side) - 1, cell_of(x1, side) + 1))).withColumn("cy", F.explode(F.sequence(cell_of(y0, side) - 1, cell_of(y1, side) + 1)))
-        lists = lists.groupBy("cx", "cy").agg(F.collect_list(F.struct(*items.columns)).alias("near"))
-        keyed = todo.withColumns({"cx": cell_of(F.col("x"), side), "cy": cell_of(F.col("y"), side)})
+        near = items.withColumn("cx", F.explode(F.sequence(cell_of(x0, side) - 1, cell_of(x1, side) + 1))).withColumn("cy", F.explode(F.sequence(cell_of(y0, side) - 1, cell_of(y1, side) + 1)))
+        keyed = _keyed(todo, side)
+        if not first:  # few points are left: only their cells' lists are made
+            near = near.join(keyed.select("cx", "cy").distinct(), ["cx", "cy"], "left_semi")
+        parts = near.groupBy("cx", "cy").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+        dealt = near.join(parts, ["cx", "cy"]).withColumn("part", F.pmod(F.xxhash64(tie), F.col("parts")).cast("int"))
+        lists = dealt.groupBy("cx", "cy", "part").agg(F.first("parts").alias("parts"), F.collect_list(F.struct(*items.columns)).alias("near"))
         sorted_ = F.array_sort(F.transform("near", lambda s: F.struct(distance(s).alias("dist"), s[tie].alias(tie))))
-        met = keyed.join(lists, ["cx", "cy"], "left").select("pid", "x", "y", F.slice(sorted_, 1, n).alias("best"))
+        best = F.slice(sorted_, 1, n).alias("best")
+        met = keyed.join(lists, ["cx", "cy"], "left").select("pid", "x", "y", F.coalesce("parts", F.lit(1)).alias("parts"), best)
+        if parts.where("parts > 1").isEmpty():
+            met = met.select("pid", "x", "y", "best")
+        else:
+            several = met.where("parts > 1").groupBy("pid", "x", "y").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, n).alias("best"))
+            met = met.where("parts = 1").select("pid", "x", "y", "best").unionByName(several)
         sure = (F.size("best") == n) & (F.try_element_at("best", F.lit(n))["dist"] <= reach * side)
-        met = met.withColumn("sure", F.coalesce(sure, F.lit(False))).persist()
+        met = written(met.withColumn("sure", F.coalesce(sure, F.lit(False))))
         todo = met.where(~F.col("sure")).select("pid", "x", "y")
         left = todo.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
         everything = False
@@ -168,7 +208,7 @@ def _expanding(points: DataFrame, items: DataFrame, boxes: list[Column], distanc
         done = part if done is None else done.unionByName(part)
         if everything or not left.n:
             return done
-        side *= 2
+        side, first = side * 2, False
 
 
 def nearest_n(points: DataFrame, sites: DataFrame, n: int = 3, cell: float | None = None) -> DataFrame:
@@ -200,7 +240,7 @@ def nearest_segment(points: DataFrame, edges: DataFrame, cell: float | None = No
     return best.select("pid", F.col("best")[0]["eid"].alias("eid"), F.col("best")[0]["dist"].alias("dist"))
 
 
-def area_share(samples: DataFrame, units: DataFrame, districts: DataFrame, cell: float = 0.5) -> DataFrame:
+def area_share(samples: DataFrame, units: DataFrame, districts: DataFrame, cell: float | None = None) -> DataFrame:
     """Share of each unit's sample points in each district: unit, district, n, n_unit, share."""
     both = classify(samples.select("pid", "x", "y"), units.select(F.col("feature_id").alias("unit"), "polygons"), cell)
     placed = classify(both, districts.select(F.col("feature_id").alias("district"), "polygons"), cell)
@@ -208,17 +248,16 @@ def area_share(samples: DataFrame, units: DataFrame, districts: DataFrame, cell:
     return placed.groupBy("unit", "district").agg(F.count("*").alias("n")).join(n_unit, "unit").withColumn("share", F.col("n") / F.col("n_unit"))
 
 
-def bbox_region(points: DataFrame, boxes: DataFrame, cell: float = 0.5) -> DataFrame:
+def bbox_region(points: DataFrame, boxes: DataFrame, cell: float | None = None) -> DataFrame:
     """The box (box_id, min_x, min_y, max_x, max_y) that holds a point, of several the one with the nearest centre; malformed boxes are skipped."""
     good = boxes.where("min_x < max_x and min_y < max_y")
-    spans = good.withColumn("cx", F.explode(F.sequence(cell_of(F.col("min_x"), cell), cell_of(F.col("max_x"), cell)))).withColumn("cy", F.explode(F.sequence(cell_of(F.col("min_y"), cell), cell_of(F.col("max_y"), cell))))
-    keyed = points.withColumns({"cx": cell_of(F.col("x"), cell), "cy": cell_of(F.col("y"), cell)})
-    met = keyed.join(spans, ["cx", "cy"]).where("x between min_x and max_x and y between min_y and max_y")
+    side = cell or fitted_side(good)
+    met = _keyed(points, side).join(boxes_by_cell(good, side), ["cx", "cy"]).where("x between min_x and max_x and y between min_y and max_y")
     far = F.pow(F.col("x") - (F.col("min_x") + F.col("max_x")) / 2, 2) + F.pow(F.col("y") - (F.col("min_y") + F.col("max_y")) / 2, 2)
     return met.groupBy("pid").agg(F.min_by("box_id", F.struct(far.alias("d"), F.col("box_id").alias("b"))).alias("box_id"))
 
 
-def assign_labels(features: DataFrame, labels: DataFrame, tolerance: float, cell: float = 0.5) -> DataFrame:
+def assign_labels(features: DataFrame, labels: DataFrame, tolerance: float, cell: float | None = None) -> DataFrame:
     """labels (label, x, y) → feature_id, label, how: a bijection, or nulls.
 
     A feature takes the label inside it, of several the nearest to its centroid (a tie gives none). If exactly one

@@ -71,20 +71,36 @@ def keyed_documents(df: DataFrame, group: str, key: str) -> DataFrame:
 
 
 def walk_records(documents: DataFrame, depth: int = 5) -> DataFrame:
-    """documents (text) → path, record (variant): every nested object that has a name; deeper nesting than `depth` raises."""
-    level = documents.select(F.lit("$").alias("path"), F.parse_json("text").alias("v"))
-    out = None
-    for d in range(depth + 1):
-        found = level.where(F.try_variant_get("v", "$.name", "string").isNotNull() & (F.schema_of_variant("v").startswith("OBJECT")))
-        out = found if out is None else out.unionByName(found)
-        level.createOrReplaceTempView("_walk_level")
-        nested = level.sparkSession.sql("SELECT concat(path, '/', coalesce(x.key, cast(x.pos as string))) AS path, x.value AS v FROM _walk_level, LATERAL variant_explode(v) AS x")
+    """documents (text) → path, record (variant): every nested object that has a name; deeper nesting than `depth` raises.
+
+    A document is parsed once; each step puts the members of objects and arrays beside the record they are in.
+    """
+    member = "array<struct<path:string,v:variant,open:boolean>>"
+    rows = documents.select(F.array(F.struct(F.lit("$").alias("path"), F.parse_json("text").alias("v"), F.lit(True).alias("open"))).alias("r"))
+    one = lambda path, v, open_: F.struct(path.alias("path"), v.alias("v"), open_.alias("open"))
+    for _ in range(depth + 1):
+        at = rows.select(F.explode("r").alias("r")).select("r.*")
+        fields = F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))
+        of_object = F.transform(fields, lambda e: one(F.concat(F.col("path"), F.lit("/"), e["key"]), e["value"], F.lit(True)))
+        of_array = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda e, i: one(F.concat(F.col("path"), F.lit("/"), i.cast("string")), e, F.lit(True)))
         kind = F.schema_of_variant("v")
-        level = nested.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-        if d == depth:
-            level = level.select(F.assert_true(F.lit(False), "nested too deep").cast("string").alias("path"), "v")
-            out = out.unionByName(level)
-    return out.select("path", F.col("v").alias("record"))
+        inner = F.when(kind.startswith("OBJECT"), of_object).when(kind.startswith("ARRAY"), of_array).otherwise(F.array().cast(member))
+        inner = F.filter(inner, lambda e: F.schema_of_variant(e["v"]).startswith("OBJECT") | F.schema_of_variant(e["v"]).startswith("ARRAY"))
+        itself = F.array(one(F.col("path"), F.col("v"), F.lit(False)))
+        rows = at.select(F.when(F.col("open"), F.concat(itself, inner)).otherwise(itself).alias("r"))
+    found = rows.select(F.explode("r").alias("r")).select("r.*")
+    found = found.withColumn("_deep", F.assert_true(~F.col("open"), F.lit("nested too deep"))).where("_deep is null")
+    named = F.try_variant_get("v", "$.name", "string").isNotNull() & F.schema_of_variant("v").startswith("OBJECT")
+    return found.where(named).select("path", F.col("v").alias("record"))
+
+
+def write_keyed_json(df: DataFrame, path: str, group: str, key: str) -> DataFrame:
+    """Writes one {key: entry} document a group and line under path, keys in order, and returns the keys whose entry does not read back (none, if all is well)."""
+    fields = [(c, t) for c, t in df.dtypes if c not in (group, key)]
+    keyed_documents(df, group, key).select("text").write.mode("error").text(path)
+    back = keyed_json(df.sparkSession.read.text(path).withColumnRenamed("value", "text"), ",".join(f"`{c}`:{t}" for c, t in fields))
+    own = df.select(F.col(key).cast("string").alias("key"), *[c for c, _ in fields])
+    return own.exceptAll(back.select("key", *[c for c, _ in fields])).select("key")
 
 
 def read_delimited(spark: SparkSession, path: str, key: str, keep: Column | None = None, sep: str = "|") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from wardlight.operators.spatial import classify
 
 
-def classify_stream(points: DataFrame, features: DataFrame, cell: float = 0.5) -> DataFrame:
+def classify_stream(points: DataFrame, features: DataFrame, cell: float | None = None) -> DataFrame:
     """A stream of points (pid, x, y, …) against static features. Parity is tested within the row, so there is no state."""
     return classify(points, features, cell)
 
