@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wardlight.operators import geometry as G
 from wardlight.operators import spatial as P
-from wardlight.plans.base import EDGES, HITS, POINTS, points, query, sites, table, units
+from wardlight.plans.base import EDGES, HITS, POINTS, VERTS, points, query, sites, table, units
 from wardlight.plans.spatial_queries import _OVER, _overlaid
 
 _KEYED = "SELECT *, CASE WHEN (ax, ay) < (bx, by) THEN ax ELSE bx END AS x1, CASE WHEN (ax, ay) < (bx, by) THEN ay ELSE by END AS y1, CASE WHEN (ax, ay) < (bx, by) THEN bx ELSE ax END AS x2, CASE WHEN (ax, ay) < (bx, by) THEN by ELSE ay END AS y2 FROM edges"
@@ -45,23 +45,56 @@ def chained_areas(spark, d):
     return nested.groupBy(F.col("feature_id").alias("district")).agg(F.round(F.sum(F.when(F.col("hole"), -F.col("area")).otherwise(F.col("area"))), 9).alias("area"))
 
 
-@query("g02_nest_rings", f"WITH {EDGES} SELECT n_nationkey AS feature_id, k::INT AS ring_no, k % 2 = 1 AS hole FROM nation, range(3) t(k)")
+@query(
+    "g02_nest_rings",
+    f"""WITH {EDGES}, a AS (SELECT feature_id, abs(sum(ax*by-bx*ay)/2) AS area FROM edges GROUP BY 1)
+SELECT feature_id, k::INT AS ring_no, k::BIGINT AS depth, k % 2 = 1 AS hole, round(area / pow(4, k), 9) AS area FROM a, range(3) t(k)""",
+)
 def nest(spark, d):
     u = units(spark, d)
     inner = lambda k: F.transform(F.col("polygons")[0][0], lambda v: F.struct((v["x"] * k + (F.col("cx") * (1 - k))).alias("x"), (v["y"] * k + F.col("cy") * (1 - k)).alias("y")))
     m = P.ring_measures(u).select("feature_id", "cx", "cy")
     rings = u.join(m, "feature_id").select("feature_id", F.posexplode(F.array(inner(1.0), inner(0.5), inner(0.25))).alias("ring_no", "ring"))
-    return G.nest_rings(rings).select("feature_id", "ring_no", "hole")
+    return G.nest_rings(rings).select("feature_id", "ring_no", F.col("depth").cast("long").alias("depth"), "hole", F.round("area", 9).alias("area"))
 
 
-@query("g03_simplify_dp")
+def _vertices(rings):
+    """Vertices of rings (feature_id, ring), without the closing one."""
+    v = rings.select("feature_id", F.explode(F.slice("ring", 1, F.size("ring") - 1)).alias("v"))
+    return v.select("feature_id", F.round("v.x", 9).alias("x"), F.round("v.y", 9).alias("y"))
+
+
+# A side's midpoint lies off its side by as much as it was pushed; corners are far from every chord.
+_PUSHED = "CASE s WHEN 1 THEN abs(y - j) WHEN 3 THEN abs(x - (i + 1)) WHEN 5 THEN abs(y - (j + 1)) WHEN 7 THEN abs(x - i) END"
+
+
+@query("g03_simplify_dp", f"WITH {VERTS} SELECT feature_id, round(x, 9) AS x, round(y, 9) AS y FROM verts JOIN nat USING (feature_id) WHERE s % 2 = 0 OR {_PUSHED} > 0.15")
 def simplify(spark, d):
-    return G.simplify_dp(ring_rows(spark, d), 0.15).select("feature_id", F.size("ring").alias("vertices"), (F.col("ring")[0] == F.element_at("ring", -1)).alias("closed"))
+    return _vertices(G.simplify_dp(ring_rows(spark, d), 0.15))
+
+
+_TRIANGLE = "abs((x - px) * (ny - py) - (nx - px) * (y - py)) / 2"
+_AROUND = "lag(x, 1, lx) OVER w AS px, lag(y, 1, ly) OVER w AS py, lead(x, 1, fx) OVER w AS nx, lead(y, 1, fy) OVER w AS ny"
+_ENDS = "first_value(x) OVER v AS fx, first_value(y) OVER v AS fy, last_value(x) OVER v AS lx, last_value(y) OVER v AS ly"
+_OVER_RING = "WINDOW v AS (PARTITION BY feature_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+
 
+def _removal(ring: str, least: str) -> str:
+    """SQL: the ring's vertices with the areas of their triangles, no smaller than what was removed before."""
+    ends = f"SELECT *, {_ENDS} FROM {ring} {_OVER_RING}"
+    around = f"SELECT *, {_AROUND} FROM ({ends}) WINDOW w AS (PARTITION BY feature_id ORDER BY s)"
+    return f"SELECT feature_id, s, x, y, greatest({_TRIANGLE}, {least}) AS area, row_number() OVER (PARTITION BY feature_id ORDER BY greatest({_TRIANGLE}, {least}), s) AS r FROM ({around})"
 
-@query("g04_simplify_area", "SELECT n_nationkey AS feature_id, 7 AS vertices, true AS closed FROM nation")
+
+@query(
+    "g04_simplify_area",
+    f"""WITH {VERTS}, r0 AS (SELECT feature_id, s, x, y, 0.0::DOUBLE AS gone FROM verts), a1 AS ({_removal("r0", "gone")}),
+r1 AS (SELECT feature_id, s, x, y, min(area) OVER (PARTITION BY feature_id) AS gone, r FROM a1), r2 AS (SELECT feature_id, s, x, y, gone FROM r1 WHERE r > 1), a2 AS ({_removal("r2", "gone")})
+SELECT feature_id, round(x, 9) AS x, round(y, 9) AS y FROM a2 WHERE r > 1""",
+)
 def simplify_area(spark, d):
-    return G.simplify_area(ring_rows(spark, d), 0.75).select("feature_id", F.size("ring").alias("vertices"), (F.col("ring")[0] == F.element_at("ring", -1)).alias("closed"))
+    # Six of eight vertices are left: the two smallest triangles go, the second as the ring is without the first.
+    return _vertices(G.simplify_area(ring_rows(spark, d), 0.75))
 
 
 def _spiked(spark, d):
@@ -71,15 +104,15 @@ def _spiked(spark, d):
     return r.withColumn("ring", F.concat(F.slice("ring", 1, 1), F.array(tip, near), F.slice("ring", 2, 100)))
 
 
-@query("g20_despike", "SELECT n_nationkey AS feature_id, 10 AS vertices FROM nation")
+@query("g20_despike", f"WITH {VERTS} SELECT feature_id, round(x, 9) AS x, round(y, 9) AS y FROM verts UNION ALL SELECT feature_id, round(x + 0.02, 9), round(y, 9) FROM verts WHERE s = 0")
 def despiked(spark, d):
-    return G.despike(_spiked(spark, d), 0.3, 0.1).select("feature_id", F.size("ring").alias("vertices"))
+    return _vertices(G.despike(_spiked(spark, d), 0.3, 0.1))
 
 
-@query("w09_spikes", "SELECT n_nationkey AS feature_id, 1 AS seq FROM nation")
+@query("w09_spikes", f"WITH {VERTS} SELECT feature_id, 1 AS seq, round(x + 0.01, 9) AS x, round(y + 0.4, 9) AS y FROM verts WHERE s = 0")
 def spiked(spark, d):
     f = _spiked(spark, d).select("feature_id", F.array(F.array("ring")).alias("polygons"))
-    return G.spikes(P.ring_edges(f), 0.3, 0.1).select("feature_id", "seq")
+    return G.spikes(P.ring_edges(f), 0.3, 0.1).select("feature_id", "seq", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
 @query("g05_check_anchors", f"WITH {HITS} SELECT p.pid, CASE WHEN p.pid % 7 = 0 THEN NULL ELSE (p.pid % 25)::INT END AS expected, CASE WHEN p.pid % 7 = 0 THEN false ELSE feature_id = p.pid % 25 END AS ok FROM pts p LEFT JOIN hits h ON p.pid = h.pid")
@@ -126,17 +159,17 @@ _DIST = "min(sqrt(pow(x-(ax+t*(bx-ax)),2)+pow(y-(ay+t*(by-ay)),2)))"
 _FOOT = "greatest(0, least(1, ((x-ax)*(bx-ax)+(y-ay)*(by-ay))/((bx-ax)*(bx-ax)+(by-ay)*(by-ay)))) AS t"
 
 
-@query("g09_fill_gaps", f"WITH {EDGES}, {POINTS}, s AS (SELECT * FROM pts WHERE pid % 9 = 0), own AS (SELECT * FROM edges WHERE feature_id < 20), h AS (SELECT pid FROM s JOIN own ON (ay > y) <> (by > y) AND x < (bx-ax)*(y-ay)/(by-ay)+ax GROUP BY pid, feature_id HAVING count(*)%2 = 1), f AS (SELECT pid, x, y, ax, ay, bx, by, {_FOOT} FROM s, own WHERE pid NOT IN (SELECT pid FROM h)) SELECT pid, round({_DIST}, 9) AS dist FROM f GROUP BY pid")
+@query("g09_fill_gaps", f"WITH {EDGES}, {POINTS}, s AS (SELECT * FROM pts), own AS (SELECT * FROM edges WHERE feature_id < 20), h AS (SELECT pid FROM s JOIN own ON (ay > y) <> (by > y) AND x < (bx-ax)*(y-ay)/(by-ay)+ax GROUP BY pid, feature_id HAVING count(*)%2 = 1), f AS (SELECT pid, x, y, ax, ay, bx, by, {_FOOT} FROM s, own WHERE pid NOT IN (SELECT pid FROM h)) SELECT pid, round({_DIST}, 9) AS dist FROM f GROUP BY pid")
 def gaps(spark, d):
-    # The ground of the top row of units is unowned; every ninth sample point stands for a cell.
-    return G.fill_gaps(points(spark, d).where("pid % 9 = 0"), units(spark, d).where("feature_id < 20")).select("pid", F.round("dist", 9).alias("dist"))
+    # The ground of the top row of units is unowned.
+    return G.fill_gaps(points(spark, d), units(spark, d).where("feature_id < 20")).select("pid", F.round("dist", 9).alias("dist"))
 
 
-_CELLS = HITS + ", cells AS (SELECT DISTINCT h.district, floor(x*12)::BIGINT AS cx, floor(y*12)::BIGINT AS cy FROM hits h JOIN pts p ON h.pid = p.pid WHERE h.pid % 3 = 0)"
+_CELLS = HITS + ", cells AS (SELECT DISTINCT h.district, floor(x*12)::BIGINT AS cx, floor(y*12)::BIGINT AS cy FROM hits h JOIN pts p ON h.pid = p.pid)"
 
 
 def cells(spark, d):
-    return P.classify(points(spark, d), units(spark, d)).where("pid % 3 = 0").select("district", F.floor(F.col("x") * 12).alias("cx"), F.floor(F.col("y") * 12).alias("cy")).distinct()
+    return P.classify(points(spark, d), units(spark, d)).select("district", F.floor(F.col("x") * 12).alias("cx"), F.floor(F.col("y") * 12).alias("cy")).distinct()
 
 
 @query("g10_close_voids", f"WITH {_CELLS}, o AS (SELECT i, j FROM range(-2, 3) a(i), range(-2, 3) b(j) WHERE i*i+j*j <= 4), wide AS (SELECT DISTINCT district, cx+i AS cx, cy+j AS cy FROM cells, o), cl AS (SELECT district, cx+i AS cx, cy+j AS cy FROM wide, o GROUP BY 1, 2, 3 HAVING count(*) = (SELECT count(*) FROM o)), sole AS (SELECT min(district) AS district, cx, cy FROM cl GROUP BY cx, cy HAVING count(*) = 1) SELECT * FROM cells UNION SELECT * FROM sole")
@@ -193,14 +226,37 @@ def outlines(spark, d):
     return G.outline_difference(points(spark, d), u, _shift(u, 0.3))
 
 
-@query("g14_check_interior_points", "SELECT n_nationkey AS unit, n_regionkey AS district, 'OK' AS status, n_regionkey AS got, true AS ok FROM nation")
+_IP = "l AS (SELECT feature_id, min(ay)+(max(ay)-min(ay))*0.4997::DOUBLE AS y FROM edges GROUP BY 1), xs AS (SELECT feature_id, y, (bx-ax)*(y-ay)/(by-ay)+ax AS x FROM edges JOIN l USING (feature_id) WHERE (ay > y) <> (by > y)), sp AS (SELECT feature_id, y, x, lead(x) OVER w AS x2, row_number() OVER w AS k FROM xs WINDOW w AS (PARTITION BY feature_id ORDER BY x)), ip AS (SELECT feature_id AS p, arg_max(struct_pack(x := (x+x2)/2, y := y), x2-x) AS q FROM sp WHERE k%2=1 AND x2 IS NOT NULL GROUP BY 1)"
+
+
+@query(
+    "g14_check_interior_points",
+    f"""WITH {EDGES}, {_IP}, got AS (SELECT p, any_value(u.district) AS district FROM ip JOIN edges u ON (ay > q.y) <> (by > q.y) AND q.x < (bx-ax)*(q.y-ay)/(by-ay)+ax GROUP BY p, u.feature_id HAVING count(*)%2 = 1),
+c AS (SELECT n_nationkey AS unit, CASE WHEN n_nationkey % 6 = 1 THEN (n_regionkey + 1) % 5 ELSE n_regionkey END AS district FROM nation)
+SELECT unit, c.district, CASE WHEN got.p IS NULL THEN 'NONE' ELSE 'OK' END AS status, got.district AS got, coalesce(got.district = c.district, false) AS ok FROM c LEFT JOIN got ON got.p = unit""",
+)
 def interiors(spark, d):
-    return G.check_interior_points(units(spark, d), districts(spark, d), composition(spark, d))
+    # Every sixth unit is claimed for a district that does not hold it.
+    claimed = composition(spark, d).withColumn("district", F.when(F.col("unit") % 6 == 1, (F.col("district") + 1) % 5).otherwise(F.col("district")))
+    return G.check_interior_points(units(spark, d), districts(spark, d), claimed)
 
 
-@query("g15_check_whole_units")
+# Probes of districts: their vertices, once for each boundary edge that begins there, drawn to the box's centre, and a grid over the box.
+_PROBES = f"""{_DISS}, ends AS (SELECT district, x1 AS x, y1 AS y FROM diss UNION ALL SELECT district, x2, y2 FROM diss),
+box AS (SELECT district, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM ends GROUP BY 1),
+vert AS (SELECT district, x, y, unnest(range((count(*) // 2)::BIGINT)) AS k FROM ends GROUP BY 1, 2, 3),
+probe AS (SELECT district, x + ((x0 + x1) / 2 - x) * 0.03 AS x, y + ((y0 + y1) / 2 - y) * 0.03 AS y FROM vert JOIN box USING (district)
+ UNION ALL SELECT district, x0 + (x1 - x0) * (i + 0.5) / 12, y0 + (y1 - y0) * (j + 0.5) / 12 FROM box, range(12) a(i), range(12) b(j)),
+numbered AS (SELECT *, row_number() OVER () AS no FROM probe),
+held AS (SELECT n.no, n.district AS own, u.feature_id, any_value(u.district) AS district FROM numbered n JOIN edges u ON (ay > n.y) <> (by > n.y) AND n.x < (bx-ax)*(n.y-ay)/(by-ay)+ax GROUP BY n.no, n.district, u.feature_id HAVING count(*)%2 = 1),
+told AS (SELECT no, bool_or(district = own) AS a, bool_or(CASE WHEN feature_id = 7 THEN own = 0 ELSE district = own END) AS b FROM held GROUP BY no)"""
+
+
+@query("g15_check_whole_units", f"WITH {_PROBES} SELECT n.district AS coarse, count(*) AS probes, count(*) FILTER (coalesce(a, false) <> coalesce(b, false)) AS differ FROM numbered n LEFT JOIN told USING (no) GROUP BY 1")
 def whole(spark, d):
-    return G.check_whole_units(units(spark, d), districts(spark, d), composition(spark, d).select(F.col("district").alias("coarse"), F.col("unit").alias("fine")))
+    # Unit 7 is listed for district 0, whose ground it isn't.
+    parts = composition(spark, d).select(F.when(F.col("unit") == 7, 0).otherwise(F.col("district")).alias("coarse"), F.col("unit").alias("fine"))
+    return G.check_whole_units(units(spark, d), districts(spark, d), parts)
 
 
 @query("g17_adjudicate_blocks", f"WITH {HITS} SELECT feature_id AS piece, sum(pid % 100)::BIGINT AS pop, count(*) AS blocks, CASE WHEN feature_id = 3 THEN 0 ELSE sum(pid % 100) END::BIGINT AS expected, feature_id <> 3 AS ok FROM hits GROUP BY 1")
@@ -221,12 +277,11 @@ def descriptions(spark, d):
     return G.check_descriptions(units(spark, d), r)
 
 
-@query("g21_check_extent", f"WITH {EDGES} SELECT 0.3::DOUBLE AS differ, false AS ok")
+@query("g21_check_extent", f"WITH {EDGES}, m AS (SELECT greatest(abs(min(ax + 0.3) - min(ax)), abs(max(ax + 0.3) - max(ax)), abs(min(ay + 0.3) - min(ay)), abs(max(ay + 0.3) - max(ay))) AS m FROM edges) SELECT round(m, 9) AS differ, m <= 0.1 AS ok FROM m")
 def extent(spark, d):
     return G.check_extent(units(spark, d), _shift(units(spark, d), 0.3), 0.1).withColumn("differ", F.round("differ", 9))
 
 
-_IP = "l AS (SELECT feature_id, min(ay)+(max(ay)-min(ay))*0.4997::DOUBLE AS y FROM edges GROUP BY 1), xs AS (SELECT feature_id, y, (bx-ax)*(y-ay)/(by-ay)+ax AS x FROM edges JOIN l USING (feature_id) WHERE (ay > y) <> (by > y)), sp AS (SELECT feature_id, y, x, lead(x) OVER w AS x2, row_number() OVER w AS k FROM xs WINDOW w AS (PARTITION BY feature_id ORDER BY x)), ip AS (SELECT feature_id AS p, arg_max(struct_pack(x := (x+x2)/2, y := y), x2-x) AS q FROM sp WHERE k%2=1 AND x2 IS NOT NULL GROUP BY 1)"
 
 
 @query("g22_check_disjoint_sources", f"WITH {EDGES}, {_IP}, two AS (SELECT feature_id, 'a' AS source, ax, ay, bx, by FROM edges UNION ALL SELECT feature_id + 100, 'b', ax+0.3::DOUBLE, ay+0.3::DOUBLE, bx+0.3::DOUBLE, by+0.3::DOUBLE FROM edges WHERE feature_id < 10), pr AS (SELECT p, 'a' AS ps, q.x AS x, q.y AS y FROM ip UNION ALL SELECT p + 100, 'b', q.x + 0.3::DOUBLE, q.y + 0.3::DOUBLE FROM ip WHERE p < 10) SELECT p AS probe, ps AS probe_source, feature_id, source FROM pr JOIN two ON (ay > y) <> (by > y) AND x < (bx-ax)*(y-ay)/(by-ay)+ax AND ps <> source GROUP BY p, ps, feature_id, source HAVING count(*)%2 = 1")

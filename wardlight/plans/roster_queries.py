@@ -78,7 +78,7 @@ e AS (SELECT body, substr(given, 1, 4) || ' ' || sur AS name, lower(substr(any_v
 m AS (SELECT b.body, b.name AS bn, e.name AS en, e.phone, (b.g = e.g OR (length(b.g) >= 3 AND length(e.g) >= 3 AND (starts_with(b.g, e.g) OR starts_with(e.g, b.g)))) AS strong, count(*) OVER (PARTITION BY b.body, e.name) AS allhits FROM b JOIN e ON b.body = e.body AND b.s = e.s),
 k AS (SELECT *, count(*) FILTER (strong) OVER (PARTITION BY body, en) AS n FROM m),
 u AS (SELECT *, count(*) OVER (PARTITION BY body, bn) AS c FROM k WHERE (strong AND n = 1) OR (n = 0 AND allhits = 1))
-SELECT b.body, b.name, CASE WHEN b.id % 5 = 0 THEN 'own' ELSE u.phone END AS phone, CASE WHEN u.bn IS NULL THEN NULL WHEN strong THEN 'name' ELSE 'surname' END AS matched_by FROM b LEFT JOIN u ON u.body = b.body AND u.bn = b.name AND u.c = 1"""
+SELECT b.body, b.name, CASE WHEN b.id % 5 = 0 THEN 'own' ELSE coalesce(u.phone, ' ') END AS phone, CASE WHEN u.bn IS NULL THEN NULL WHEN strong THEN 'name' ELSE 'surname' END AS matched_by FROM b LEFT JOIN u ON u.body = b.body AND u.bn = b.name AND u.c = 1"""
 
 
 @query("j08_enrich_people", sql(_ENRICH))
@@ -138,9 +138,9 @@ def aliased(spark, d):
     return R.apply_aliases(c.where("c_custkey % 9 <> 0").selectExpr("concat('u', c_custkey) as unit"), a)[0]
 
 
-@query("j17_sole_numbered_aliases", "WITH u AS (SELECT 'B' || (c_custkey // 3)::VARCHAR || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE ' ' || (c_custkey % 3)::VARCHAR END AS unit FROM customer), b AS (SELECT split_part(unit, ' ', 1) AS base, min(unit) AS source, count(*) AS n FROM u WHERE strpos(unit, ' ') > 0 GROUP BY 1) SELECT source, base AS target FROM b WHERE n = 1 AND base NOT IN (SELECT unit FROM u)")
+@query("j17_sole_numbered_aliases", "WITH k AS (SELECT c_custkey // 3 AS b, c_custkey % 3 AS m FROM customer), u AS (SELECT CASE WHEN m = 0 OR b % 2 = 0 AND m = 1 THEN 'B' || b::VARCHAR || ' ' || (m + 1)::VARCHAR WHEN m = 2 AND b % 5 = 0 THEN 'B' || b::VARCHAR ELSE 'C' || m::VARCHAR || 'x' || b::VARCHAR END AS unit FROM k), b AS (SELECT split_part(unit, ' ', 1) AS base, min(unit) AS source, count(*) AS n FROM u WHERE strpos(unit, ' ') > 0 GROUP BY 1) SELECT source, base AS target FROM b WHERE n = 1 AND base NOT IN (SELECT unit FROM u)")
 def numbered(spark, d):
-    return R.sole_numbered_aliases(table(spark, d, "customer").selectExpr("concat('B', c_custkey div 3, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE concat(' ', c_custkey % 3) END) as unit"))
+    return R.sole_numbered_aliases(table(spark, d, "customer").selectExpr("c_custkey div 3 as b", "c_custkey % 3 as m").selectExpr("CASE WHEN m = 0 OR b % 2 = 0 AND m = 1 THEN concat('B', b, ' ', m + 1) WHEN m = 2 AND b % 5 = 0 THEN concat('B', b) ELSE concat('C', m, 'x', b) END as unit"))
 
 
 @query("j20_blocklist", sql("SELECT id, CASE WHEN seg = 'BUILDING' THEN NULL ELSE seg END AS seg, 0 AS retired FROM p UNION ALL SELECT -1, 'GONE', 1 WHERE EXISTS (SELECT 1 FROM p)"))
@@ -235,9 +235,9 @@ def nested(spark, d):
     return R.nest_roster(rows).select("district", "heads", "head", F.array_join("board", ",").alias("board"), "seats", "vacancies")
 
 
-@query("a06_coverage_matrix", sql("SELECT body AS county, string_agg(DISTINCT seg, ',' ORDER BY seg) AS layers, count(DISTINCT seg) AS n FROM p WHERE id % 40 = 0 GROUP BY 1"))
+@query("a06_coverage_matrix", sql(", q AS (SELECT body, CASE WHEN id % 40 = 0 THEN seg ELSE 'base' END AS seg FROM p) SELECT body AS county, string_agg(DISTINCT seg, ',' ORDER BY seg) AS layers, count(DISTINCT seg) AS n FROM q GROUP BY 1"))
 def matrix(spark, d):
-    return R.coverage_matrix(_p(spark, d, "body as county", "seg as layer", "id").where("id % 40 = 0")).withColumn("layers", F.array_join("layers", ","))
+    return R.coverage_matrix(_p(spark, d, "body as county", "CASE WHEN id % 40 = 0 THEN seg ELSE 'base' END as layer")).withColumn("layers", F.array_join("layers", ","))
 
 
 @query("a10_distance_quality", "SELECT round(avg((v <= 50)::INT), 9) AS within, round(median(v) FILTER (v < 100), 9) AS median, count(*) AS n FROM (SELECT abs(l_extendedprice) % 150 AS v FROM lineitem)")
@@ -260,9 +260,9 @@ def repeated(spark, d):
     return R.duplicates(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query("a14_modal_value", sql(", v AS (SELECT body, seg, count(*) AS n, count(DISTINCT name) AS h, min(id) AS f FROM p WHERE id % 12 = 0 GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY n DESC, f) AS r FROM v) SELECT body, CASE WHEN n >= 2 AND h >= 2 THEN seg END AS seg, n FROM b WHERE r = 1"))
+@query("a14_modal_value", sql(", v AS (SELECT body, seg, count(*) AS n, count(DISTINCT name) AS h, min(id) AS f FROM p WHERE id % 12 = 0 GROUP BY 1, 2 /* the others carry no value */), b AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY n DESC, f) AS r FROM v) SELECT body, CASE WHEN n >= 2 AND h >= 2 THEN seg END AS seg, coalesce(n, 0)::BIGINT AS n FROM (SELECT DISTINCT body FROM p) LEFT JOIN (SELECT * FROM b WHERE r = 1) USING (body)"))
 def modal(spark, d):
-    return R.modal_value(_p(spark, d, "body", "seg", "name", "id").where("id % 12 = 0"), "body", "seg", "name", "id")
+    return R.modal_value(_p(spark, d, "body", "CASE WHEN id % 12 = 0 THEN seg ELSE ' ' END as seg", "name", "id"), "body", "seg", "name", "id")
 
 
 _VOTES = "SELECT c_custkey // 3 AS district, c_name AS candidate, CASE WHEN c_custkey % 17 = 0 THEN 'n/a' ELSE '1,' || lpad((c_custkey % 4)::VARCHAR, 3, '0') END AS votes FROM customer WHERE c_custkey % 7 <> 0"
@@ -345,9 +345,7 @@ def headed(spark, d):
 
 @query("s01_numeric_key_order", sql("SELECT DISTINCT id::VARCHAR AS key, dense_rank() OVER (ORDER BY id)::INT AS at FROM p"))
 def numeric_order(spark, d):
-    from pyspark.sql import Window
-
-    return _p(spark, d, "cast(id as string) as key", "body").select("key", F.dense_rank().over(Window.orderBy(F.col("key").cast("int"))).alias("at")).distinct()
+    return R.numeric_key_order(_p(spark, d, "cast(id as string) as key", "body"), "key")
 
 
 @query("s02_natural_seat_order", sql(", q AS (SELECT id, body, name, CASE WHEN id % 5 = 0 THEN NULL ELSE id % 12 END AS no FROM p) SELECT id, row_number() OVER (PARTITION BY body ORDER BY no NULLS LAST, name, id)::INT AS at FROM q"))

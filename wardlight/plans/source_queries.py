@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from wardlight.operators import layers as L
@@ -14,12 +11,7 @@ from wardlight.plans.roster_queries import health_input
 from wardlight.plans.spatial_queries import _OVER, _overlaid
 from wardlight.sources import features as X
 from wardlight.streaming import streams as T
-
-
-def _scratch(spark) -> str:
-    """A fresh folder under the shared one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base.rstrip('/')}/wardlight-{uuid.uuid4().hex}"
+from wardlight.tables import scratch as _scratch
 
 
 @query("x01_read_features", f"WITH {EDGES} SELECT feature_id::VARCHAR AS feature_id, name, count(*)::BIGINT AS edges, round(sum(ax*by-bx*ay)/2, 6) AS area FROM edges GROUP BY 1, 2")
@@ -30,10 +22,21 @@ def read_features(spark, d):
     return e.groupBy("feature_id", "name").agg(F.count("*").alias("edges"), F.round(F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")) / 2, 6).alias("area"))
 
 
-@query("x10_write_features", "SELECT 'bad' AS feature_id WHERE false")
+@query("x10_write_features", "SELECT n_nationkey::VARCHAR AS feature_id FROM nation WHERE n_nationkey % 5 = 2")
 def write_features(spark, d):
-    """Keys that do not read back after writing: none."""
-    return X.write_features(units(spark, d).withColumn("g", F.col("district")), _scratch(spark), "g")
+    """Keys that do not read back after writing: those of features whose rings were taken away."""
+    shape = F.when(F.col("feature_id") % 5 == 2, F.slice("polygons", 1, 0)).otherwise(F.col("polygons"))
+    return X.write_features(units(spark, d).withColumns({"g": F.col("district"), "polygons": shape}), _scratch(spark), "g")
+
+
+@query("x10_write_keyed_json", "SELECT c_custkey::VARCHAR AS key, c_name AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS seg, true AS ok FROM customer")
+def write_keyed(spark, d):
+    """What was written, read again, and beside it the keys that the writer's own check would refuse: none."""
+    rows_, path = table(spark, d, "customer").selectExpr("c_nationkey as g", "c_custkey as k", "c_name as name", "CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END as seg"), _scratch(spark)
+    bad = X.write_keyed_json(rows_, path, "g", "k")
+    back = X.keyed_json(spark.read.text(path).withColumnRenamed("value", "text"), "name:string,seg:string")
+    none = F.lit(None).cast("string")
+    return back.withColumn("ok", F.lit(True)).unionByName(bad.select("key", none.alias("name"), none.alias("seg"), F.lit(False).alias("ok")))
 
 
 @query("x02_extract_links", "SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1))), ' ') AS links FROM pages")
@@ -77,13 +80,15 @@ def delimited(spark, d):
     return X.read_delimited(spark, path, "k", F.col("size").cast("int") % 2 == 0).select("k", "brand")
 
 
-@query("x07_read_placemarks", "SELECT n_regionkey::VARCHAR AS folder, n_name AS name, n_nationkey::VARCHAR AS code, 2 AS rings FROM nation")
+@query("x07_read_placemarks", "SELECT n_regionkey::VARCHAR AS folder, n_name AS name, n_nationkey::VARCHAR AS code, k::INT AS ring, 3 * k + n_nationkey AS x, round(CASE k WHEN 0 THEN 8 + n_nationkey * 4 / 2 ELSE 0.5 END, 9)::DOUBLE AS area FROM nation, range(2) t(k)")
 def placemarks(spark, d):
     path = _scratch(spark)
-    pm = F.expr("concat('<Placemark><name>', n_name, '</name><ExtendedData><Data name=\"code\"><value>', n_nationkey, '</value></Data></ExtendedData><Polygon><outerBoundaryIs><LinearRing><coordinates>0,0 4,0 4,4 0,0</coordinates></LinearRing></outerBoundaryIs><innerBoundaryIs><LinearRing><coordinates>1,1 2,1 2,2 1,1</coordinates></LinearRing></innerBoundaryIs></Polygon></Placemark>')")
+    pm = F.expr("concat('<Placemark><name>', n_name, '</name><ExtendedData><Data name=\"code\"><value>', n_nationkey, '</value></Data></ExtendedData><Polygon><outerBoundaryIs><LinearRing><coordinates>', n_nationkey, ',0 ', n_nationkey + 4, ',0 ', n_nationkey + 4, ',', n_nationkey + 4, ' ', n_nationkey, ',0</coordinates></LinearRing></outerBoundaryIs><innerBoundaryIs><LinearRing><coordinates>', n_nationkey + 3, ',1 ', n_nationkey + 4, ',1,0 ', n_nationkey + 4, ',2 ', n_nationkey + 3, ',1</coordinates></LinearRing></innerBoundaryIs></Polygon></Placemark>')")
     g = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.collect_list(pm), "").alias("b"))
     g.select(F.concat(F.lit("<kml><Document><Folder><name>"), "n_regionkey", F.lit("</name>"), "b", F.lit("</Folder></Document></kml>")).alias("value")).write.text(path)
-    return X.read_placemarks(spark, path).select("folder", "name", F.col("props")["code"].alias("code"), F.size(F.flatten("polygons")).alias("rings"))
+    read = X.read_placemarks(spark, path).select("folder", "name", F.col("props")["code"].alias("code"), F.posexplode(F.flatten("polygons")).alias("ring", "r"))
+    e = F.aggregate(P.ring_pairs(F.col("r")), F.lit(0.0), lambda s, e: s + (e["ax"] * e["by"] - e["bx"] * e["ay"]) / 2)
+    return read.select("folder", "name", "code", "ring", F.col("r")[0]["x"].cast("long").alias("x"), F.round(e, 9).alias("area"))
 
 
 @query("x08_read_keyed_json", "SELECT c_custkey::VARCHAR AS key, c_name AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS seg FROM customer")
@@ -97,13 +102,14 @@ def documents(spark, d):
     return X.keyed_documents(table(spark, d, "customer").selectExpr("c_nationkey as g", "c_custkey as k", "c_mktsegment as seg"), "g", "k")
 
 
-@query("x09_normalise_flat_rings", "SELECT n_nationkey AS feature_id, 2 AS polygons, 3 AS rings FROM nation")
+@query("x09_normalise_flat_rings", f"WITH {EDGES}, a AS (SELECT feature_id, abs(sum(ax*by-bx*ay)/2) AS area FROM edges GROUP BY 1) SELECT feature_id, p::INT AS polygon_idx, r::INT AS ring_idx, round(area * f, 9) AS area FROM a, (VALUES (0, 0, 1.0), (0, 1, 0.25), (1, 0, 0.04)) t(p, r, f)")
 def flat_rings(spark, d):
     u = units(spark, d)
     m = P.ring_measures(u).select("feature_id", "cx", "cy")
     part = lambda k, dx=0.0: F.transform(F.col("polygons")[0][0], lambda v: F.struct((v["x"] * k + F.col("cx") * (1 - k) + dx).alias("x"), (v["y"] * k + F.col("cy") * (1 - k)).alias("y")))
     rings = u.join(m, "feature_id").select("feature_id", F.posexplode(F.array(part(0.5), part(1.0), part(0.001, 9.0), part(0.2))).alias("ring_no", "ring"))
-    return X.normalise_flat_rings(rings, 0.001)[0].select("feature_id", F.size("polygons").alias("polygons"), F.size(F.flatten("polygons")).alias("rings"))
+    found = P.ring_measures(X.normalise_flat_rings(rings, 0.001)[0])
+    return found.select("feature_id", "polygon_idx", "ring_idx", F.round(F.abs("area"), 9).alias("area"))
 
 
 # Layers

@@ -139,9 +139,10 @@ def rounded(spark, d):
     return out.select("feature_id", total("x").alias("sx"), total("y").alias("sy"), F.size("r").alias("n"))
 
 
-@query("f33_flatten_rings", "SELECT n_nationkey AS feature_id, 1 AS rings, 9 AS vertices FROM nation")
+@query("f33_flatten_rings", f"WITH {VERTS} SELECT feature_id, s::INT AS at, x, y FROM verts UNION ALL SELECT feature_id, 8, x, y FROM verts WHERE s = 0")
 def flat(spark, d):
     from wardlight.functions.scalars import flatten_rings
 
     u = units(spark, d).withColumn("rings", flatten_rings(F.col("polygons")))
-    return u.select("feature_id", F.size("rings").alias("rings"), F.size(F.flatten("rings")).alias("vertices"))
+    each = u.select("feature_id", F.explode("rings").alias("ring")).select("feature_id", F.posexplode("ring").alias("at", "v"))
+    return each.select("feature_id", "at", "v.x", "v.y")
