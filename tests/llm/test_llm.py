@@ -46,13 +46,14 @@ def jac(a, b):
 
 
 def test_jaccard_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BUCKET", 8)  # so that buckets split, and groups are verified in pairs of blocks
+    monkeypatch.setattr(jaccard, "BUCKET", 8)  # so that buckets split, pivots stand for sets, and groups are verified by their centres
     r = random.Random(5)
-    base = [words(120, s, 5000) for s in range(6)]
+    base = [words(120, s, 5000) for s in range(4)]
+    base += [base[0][:60] + base[1][60:], base[2][:108] + base[3][108:]]  # chains, and groups without a centre
     texts = []
     for k in range(90):
         w = list(base[k % 6])
-        for _ in range(r.randrange(0, 6)):
+        for _ in range(r.choice([0, 0, 1, 2, 4, 6])):
             w[r.randrange(len(w))] = f"x{r.randrange(99)}"
         texts.append(" ".join(w))
     texts += [texts[0], None, "", "one two", "one two", "one  two"]
@@ -64,6 +65,10 @@ def test_jaccard_against_brute_force(spark, monkeypatch):
         cls = [min([cls[i], *(cls[j] for j in links[i])]) for i in range(n)]
     got = {x.doc_id: (x.class_id, x.n_links) for x in jaccard.near_duplicates(docs(spark, texts)).collect()}
     assert got == {i: (cls[i], len(links[i])) for i in range(n)}
+    # Ids below zero are told apart too.
+    less = docs(spark, texts).withColumn("doc_id", F.col("doc_id") - 3)
+    got = {x.doc_id + 3: (x.class_id + 3, x.n_links) for x in jaccard.near_duplicates(less).collect()}
+    assert got == {i: (cls[i], len(links[i])) for i in range(n)}
 
 
 def test_components(spark):

@@ -16,11 +16,15 @@ from wardlight.llm.components import connected_components
 SHINGLE = 5
 THRESHOLD = 0.8
 COORDINATES = 64  # tokens that stand for a set: (i, least hash under function i)
-RUNS = 4
+FIRST_RUNS = 2  # runs before the recall is measured by a further one
+TARGET = 0.999  # share of a further run's groups that have to be known already
 CHOSEN = 2  # tokens a set samples at a node: 1 / 0.5, so that a pair at the threshold meets at 1.6 children on average
 BUCKET = 1_500  # sets that one brute force takes
 LEVELS = 4
 CANDIDATE = 0.55  # agreement of the 64 tokens from which a pair is verified: five deviations below the threshold
+APART = COORDINATES - -int(-CANDIDATE * COORDINATES // 1)  # tokens in which a candidate pair differs at most
+TIGHT = 8  # tokens in which a set differs from its node's pivot at most to be represented by it
+BINS = 200  # classes of a set's distance from its group's centre
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -190,37 +194,110 @@ def in_blocks(df: DataFrame, key: str, n: str, order: str, limit: int) -> DataFr
     return out.withColumn("bucket", F.xxhash64(key, "_b.i", "_b.j")).withColumn("side", F.col("_b.side")).drop("_b")
 
 
-def candidate_edges(reps: DataFrame) -> DataFrame:
-    """reps (rep, sketch) → edges (u, v) that connect the sets whose tokens agree, by RUNS runs of the chosen-path recursion.
+def _from_pivot(members: DataFrame) -> DataFrame:
+    """members (path, rep, n, sketch, pivot, pivot_sketch) → path, rep, n, pivot, off: the tokens in which a set differs from its node's pivot."""
+    id_type = dict(members.dtypes)["rep"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, pivot = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, COORDINATES) for c in ("sketch", "pivot_sketch"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "rep", "n", "pivot")), pa.array((own != pivot).sum(axis=1).astype(np.int32))], names=["path", "rep", "n", "pivot", "off"])
+
+    return members.select("path", "rep", "n", "sketch", "pivot", "pivot_sketch").mapInArrow(count, f"path long, rep {id_type}, n long, pivot {id_type}, off int")
+
+
+def _collapsed(large: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Sets of large nodes (path, rep, n) with their node's pivot, its least set, and how far they are from it.
+
+    The tokens in which two sets differ are a metric. A set that differs from the pivot in TIGHT tokens at most is
+    represented by it from here on: whatever may be similar to it and not to the pivot differs from the pivot in
+    APART + TIGHT at most, and is compared with the represented ones. A node's sets meet the pivot by path and a salt.
+    """
+    parts = F.ceil(F.col("n") / BUCKET).cast("int")
+    pivots = large.groupBy("path").agg(F.min("rep").alias("pivot"), F.max("n").alias("n")).join(sketch.select(F.col("rep").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
+    pivots = cut(pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n"))
+    own = large.join(sketch, "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+    return cut(_from_pivot(own.join(pivots, ["path", "salt"])))
+
+
+def _doubtful(near: DataFrame) -> DataFrame:
+    """Of collapsed sets (path, rep, off), those that may be similar to represented ones only, and these, as (bucket, side, rep): in pairs of blocks."""
+    kind = F.when((F.col("off") > APART) & (F.col("off") <= APART + TIGHT), 1).when(F.col("off") <= TIGHT, 2)
+    both = near.select("path", "rep", kind.alias("side")).where("side is not null")
+    sizes = cut(both.groupBy("path").agg(F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == 2).alias("b")).where("a > 0"))
+    n = F.when(F.col("side") == 1, F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    own = F.pmod(F.xxhash64("rep"), F.ceil(n["a"] / BUCKET))
+    met = both.join(sizes, "path").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(n["b"] / BUCKET) - 1)))
+    first, second = (F.when(F.col("side") == k, F.col("own")).otherwise(F.col("other")) for k in (1, 2))
+    return met.select(F.xxhash64("path", F.lit("doubtful"), first, second).alias("bucket"), F.col("side").cast("int").alias("side"), "rep")
+
+
+def _runs(sketch: DataFrame, runs: range) -> DataFrame:
+    """sketch (rep, sketch) → edges (u, v) that connect the sets whose tokens agree, as some runs of the chosen-path recursion find them.
 
     At each node a set chooses tokens by the node's path, so that sets meet in a child when they share a token chosen
-    there. A child with one set ends; one with up to BUCKET sets is brute-forced; a larger one is split again. What is
-    larger still after LEVELS is brute-forced in blocks.
+    there. A child with one set ends; one with up to BUCKET sets is brute-forced; of a larger one the sets that its pivot
+    represents leave, and the rest is brute-forced or split again. What is larger still after LEVELS is brute-forced in
+    blocks.
     """
-    sketch = reps.select("rep", "sketch")
-    runs = F.explode(F.array(*[F.lit(r + 1).cast("long") for r in range(RUNS)]))
-    nodes = sketch.withColumn("path", runs)
-    leaves, made = [], []
+    nodes = sketch.withColumn("path", F.explode(F.array(*[F.lit(r + 1).cast("long") for r in runs])))
+    leaves, buckets, edges, made = [], [], [], []
     for level in range(1, LEVELS + 1):
         children = cut(_children(nodes))
-        counted = children.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+        counted = cut(children.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
         kept = cut(children.join(counted, "path"))
         drop(children)
-        made.append(kept)
-        large = F.col("n") > BUCKET
+        made += [counted, kept]
+        large = kept.where(F.col("n") > BUCKET)
+        leaves.append(kept.where(F.col("n") <= BUCKET))
+        if large.isEmpty():
+            break
+        near = _collapsed(large, sketch)
+        made.append(near)
+        edges.append(near.where((F.col("off") <= APART) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
+        buckets.append(_doubtful(near))
+        rest = near.where((F.col("off") > TIGHT) | (F.col("rep") == F.col("pivot"))).select("path", "rep")
+        sizes = cut(rest.groupBy("path").agg(F.count("*").alias("n")))
+        rest = cut(rest.join(sizes, "path"))
+        made += [sizes, rest]
         if level == LEVELS:
-            leaves.append(kept)
+            leaves.append(rest)
             break
-        leaves.append(kept.where(~large))
-        if kept.where(large).isEmpty():
+        leaves.append(rest.where(F.col("n") <= BUCKET))
+        large = rest.where(F.col("n") > BUCKET)
+        if large.isEmpty():
             break
-        nodes = kept.where(large).select("path", "rep").join(sketch, "rep")
-    leaves = reduce(DataFrame.unionByName, leaves)
-    members = in_blocks(leaves, "path", "n", "rep", BUCKET).select("bucket", "side", "rep").join(sketch, "rep")
-    edges = cut(_brute_force(members).distinct())
+        nodes = large.select("path", "rep").join(sketch, "rep")
+    buckets.append(in_blocks(reduce(DataFrame.unionByName, leaves), "path", "n", "rep", BUCKET).select("bucket", "side", "rep"))
+    members = reduce(DataFrame.unionByName, buckets).join(sketch, "rep")
+    found = cut(reduce(DataFrame.unionByName, [_brute_force(members), *edges]).distinct())
     for table in made:
         drop(table)
-    return edges
+    return found
+
+
+def candidate_edges(reps: DataFrame) -> DataFrame:
+    """reps (rep, sketch) → edges (u, v) that connect the sets whose tokens agree, by runs of the chosen-path recursion.
+
+    Runs are repeated until one finds next to nothing: a further run is drawn, and of the groups that it finds the share
+    that the runs before had not connected is their measured loss. The edges of the further run count too. Runs end when
+    that share is at most 1 - TARGET; there is no fixed number of them.
+    """
+    sketch = reps.select("rep", "sketch")
+    edges, run = _runs(sketch, range(FIRST_RUNS)), FIRST_RUNS
+    while True:
+        groups = cut(connected_components(edges))
+        label = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias("c" + c))  # noqa: E731, B023
+        further = _runs(sketch, range(run, run + 1))
+        told = cut(further.join(label("u"), "u", "left").join(label("v"), "v", "left").select("u", "v", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")))
+        fresh = F.col("cu") != F.col("cv")
+        each = told.groupBy(F.least("cu", "cv").alias("g")).agg(F.bool_or(fresh).alias("fresh"))
+        n = each.agg(F.count("*").alias("all"), F.count_if("fresh").alias("fresh")).first()
+        stars = groups.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        edges = cut(stars.unionByName(told.where(fresh).select("u", "v")))
+        run += 1
+        if n.fresh <= (1 - TARGET) * n.all:
+            return edges
 
 
 def _verify(members: DataFrame) -> DataFrame:
@@ -233,11 +310,6 @@ def _verify(members: DataFrame) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _grouped(batches, "bucket", most=512):
             bucket, side = batch.column("bucket").to_numpy(), batch.column("side").to_numpy()
-            place = np.array([hash(x) for x in batch.column("rep").to_pylist()])
-            fresh = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (place[1:] != place[:-1]) | (side[1:] != side[:-1])])
-            if not fresh.all():  # rows that repeat a doc_id are one set
-                batch = batch.filter(pa.array(fresh))
-                bucket, side = bucket[fresh], side[fresh]
             copies = batch.column("copies").to_numpy()
             lists = batch.column("shingles")
             offsets = np.asarray(lists.offsets, np.int64)
@@ -311,19 +383,57 @@ def _similar(values: np.ndarray, offsets: np.ndarray, side: np.ndarray) -> tuple
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
+def _by_centre(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sets (rep, grp, n, copies, shingles) of large groups → (pairs known from distances: rep, links, label; the rest: bucket, side, rep, copies, shingles).
+
+    A group's centre is the set of shingles that more than half of its sets hold. One minus the similarity is a metric:
+    two sets whose distances from the centre add up to no more than 1 - THRESHOLD are linked, and two whose distances
+    differ by more are not. Sets are dealt into blocks by their distance from the centre, and only pairs of blocks of
+    which neither is known are compared. In a group of near copies of one text next to none is, so that its links cost no
+    more than counting it.
+    """
+    parts = F.ceil(F.col("n") / BUCKET).cast("int")
+    salt = F.pmod(F.xxhash64("rep"), parts).cast("int").alias("salt")
+    each = F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt")
+    often = sets.select("grp", "n", F.explode("shingles").alias("s")).groupBy("grp", "s").agg(F.count("*").alias("c"), F.max("n").alias("n")).where("2 * c > n")
+    centres = cut(often.groupBy("grp").agg(F.collect_list("s").alias("centre"), F.max("n").alias("n")).select("grp", "centre", each))
+    met = sets.select("*", salt).join(centres, ["grp", "salt"], "left")
+    shared = F.size(F.array_intersect("shingles", F.coalesce("centre", F.array().cast("array<long>"))))
+    off = 1 - shared / (F.size("shingles") + F.coalesce(F.size("centre"), F.lit(0)) - shared)
+    placed = cut(met.select("rep", "grp", "n", "copies", "shingles", "salt", F.floor(off * BINS).cast("int").alias("bin")))
+    bins = placed.groupBy("grp", "bin").agg(F.count("*").alias("sets"), F.sum("copies").alias("copies"), F.min("rep").alias("least"), F.max("n").alias("n"))
+    plans = bins.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("bin", "sets", "copies", "least"))).alias("plan"), F.max("n").alias("n"))
+    placed = placed.drop("n").join(cut(plans.select("grp", "plan", each)), ["grp", "salt"])
+    reach = int((1 - THRESHOLD) * BINS + 1e-9)
+    sure = lambda b: b["bin"] + F.col("bin") + 2 <= reach
+    apart = lambda b: F.abs(b["bin"] - F.col("bin")) > reach
+    linked = F.aggregate(F.filter("plan", sure), F.lit(0).cast("long"), lambda x, b: x + b["copies"])
+    known = placed.select("rep", (linked - F.when(2 * F.col("bin") + 2 <= reach, F.col("copies")).otherwise(0)).alias("links"), F.when(sure(F.col("plan")[0]), F.col("plan")[0]["least"]).otherwise(F.col("rep")).alias("label"))
+    blocks = lambda b: F.transform(F.sequence(F.lit(0), F.ceil(b["sets"] / BUCKET).cast("int") - 1), lambda k: F.struct(b["bin"].alias("bin"), k.alias("k")))
+    others = F.flatten(F.transform(F.filter("plan", lambda b: ~sure(b) & ~apart(b)), blocks))
+    own_bin = F.filter("plan", lambda b: b["bin"] == F.col("bin"))[0]
+    own = F.struct(F.col("bin").alias("bin"), F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(own_bin["sets"] / BUCKET)).cast("int").alias("k"))
+    rest = placed.select("grp", "rep", "copies", "shingles", own.alias("own"), F.explode(others).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return known, rest.select(F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), side.alias("side"), "rep", "copies", "shingles")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) → doc_id, class_id, n_links: one row per input row.
 
     Two documents are linked when the Jaccard similarity of their sets of 5-word shingles is 0.8 or more. n_links: how
     many other documents are linked to this one, copies counted. class_id: the least doc_id of the documents connected
     by links. Documents with equal sets are one set with a number of copies; sets meet by the chosen-path recursion on
-    64 sampled tokens; those that may be similar are connected, and in each connected group every pair of sets is
-    compared exactly, over their whole shingle sets, a large group in pairs of blocks. No pair of documents is emitted.
-
-    A pair at the threshold is missed only if all four runs miss it and no third set connects it: a run misses it with
-    probability 0.04 at its first level and 0.07 in all, so that the target recall of 0.9999 is met. Null and blank
-    texts have no shingle, no link, and are a class of their own; a text under five words is one shingle. Each row is a
-    document by a key of its own, whether its doc_id is null or repeated; other columns are not read.
+    64 sampled tokens; those that may be similar are connected, and in each connected group every pair of sets is judged
+    exactly, over their whole shingle sets: in a small group all pairs are compared, in a large one those that the sets'
+    distances from a centre leave open (see _by_centre). No pair of documents is emitted.
+
+    A pair at the threshold is missed only if all runs miss it and no third set connects it: a run misses it with
+    probability 0.04 at its first level and 0.07 in all. Runs are repeated until a further one shows that TARGET is met
+    (see candidate_edges). Null and blank texts have no shingle, no link, and are a class of their own; a text under five
+    words is one shingle; texts of any length are taken whole. Each row is a document by a key of its own, whether its
+    doc_id is null or repeated, and ties between ids go to the earlier row; an empty table gives an empty one; other
+    columns are not read.
     """
     return near_duplicate_rows(numbered(docs.select("doc_id", "text"))).select("doc_id", "class_id", "n_links")
 
@@ -333,6 +443,7 @@ def near_duplicate_rows(docs: DataFrame) -> DataFrame:
 
     first: the row is the one of its class that stays, with the least doc_id (null last), then the least row.
     """
+    docs = docs.select("row", "doc_id", "text")
     sk = cut(sketches(docs))
     own = sk.where("size > 0")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")).alias("least")
@@ -352,7 +463,14 @@ def near_duplicate_rows(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "grp", "n", "copies")), lists], names=["rep", "grp", "n", "copies", "shingles"])
 
     sets = texts.select("rep", "grp", "n", "copies", "text").mapInArrow(sets_of, "rep long, grp long, n long, copies long, shingles array<long>")
-    checked = cut(_verify(in_blocks(sets, "grp", "n", "rep", BUCKET)))
+    if sizes.where(F.col("n") > BUCKET).isEmpty():
+        checked = cut(_verify(in_blocks(sets, "grp", "n", "rep", BUCKET)))
+    else:
+        sets = cut(sets)
+        known, rest = _by_centre(sets.where(F.col("n") > BUCKET))
+        small = in_blocks(sets.where(F.col("n") <= BUCKET), "grp", "n", "rep", BUCKET).select("bucket", "side", "rep", "copies", "shingles")
+        checked = cut(_verify(small.unionByName(rest)).unionByName(known))
+        drop(sets)
     links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = connected_components(checked.select(F.col("rep").alias("u"), F.col("label").alias("v"))).select(F.col("node").alias("rep"), F.col("component").alias("cls"))
     classes = cut(classes.join(reps.select("rep", "least"), "rep"))
