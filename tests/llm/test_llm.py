@@ -196,6 +196,20 @@ def test_decontamination_of_null_and_repeated_ids(spark, max_bytes):
     assert sorted(str((x.doc_id, x.n_words, x.n)) for x in found) == sorted(str((k, len(t.split()), 30 * ("w" in t))) for k, t in rows)
 
 
+@pytest.mark.parametrize("max_bytes", [1 << 20, 200])
+def test_decontamination_with_items_without_an_id_and_clashing_columns(spark, max_bytes):
+    one, two = " ".join(words(30, 1, 4000)), " ".join(words(30, 2, 4000))
+    items = spark.createDataFrame([(None, one), (None, two), ("b", two), ("b", two)], "item_id string, text string")
+    rows = [(1, f"x {one} y z", 5, "s"), (2, f"x {two} y z", 6, "s"), (3, None, 7, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row long, spans string").withColumn("_spans", F.lit(1))
+    got = {x.doc_id: (x.n_words, list(x["items"])) for x in decontaminate.contamination(df, items, max_bytes=max_bytes).collect()}
+    assert got == {1: (33, []), 2: (33, ["b"]), 3: (0, [])}
+    left = {x.doc_id: (x.text, x.row, x.spans, x._spans) for x in decontaminate.decontaminate(df, items, max_coverage=0.95, max_bytes=max_bytes).collect()}
+    assert {k: ((v[0] or "").split(), *v[1:]) for k, v in left.items()} == {1: (["x", "y", "z"], 5, "s", 1), 2: (["x", "y", "z"], 6, "s", 1), 3: ([], 7, "s", 1)} and left[3][0] is None
+    assert decontaminate.contamination(df.where("doc_id > 9"), items, max_bytes=max_bytes).count() == 0
+    assert decontaminate.decontaminate(df, items.where("text is null"), max_bytes=max_bytes).count() == 3
+
+
 def test_one_row_stays_of_near_duplicates_with_null_and_repeated_ids(spark, sf):
     import corpus_pipeline as cp
 

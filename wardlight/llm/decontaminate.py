@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import numbered, read, slices
+from wardlight.llm.common import free_name, numbered, read, slices
 
 #: Bytes of words: digits, letters, and everything outside ASCII; A-Z become a-z and the other bytes a blank.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -23,16 +25,16 @@ def normal_words(text: str | bytes | None) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton over word numbers; every item is added from the root.
+    """Generalised suffix automaton over word numbers; every item is added from the root. Built once, then packed.
 
     step[s]: word → state; size[s]: the longest string of state s; link[s]: its suffix link. For windows of `width`
     words (or a whole shorter item) exact[s] has the windows of state s, up[s] the nearest such state on the link path.
     """
 
-    def __init__(self, items: Sequence[tuple[str, list[bytes]]], width: int):
+    def __init__(self, items: Sequence[tuple[str | None, list[bytes]]], width: int):
         self.width, self.words = width, {}
         self.step, self.link, self.size = [{}], [-1], [0]
-        self.marks: dict[int, set[str]] = {}  # state of a window → its items
+        self.marks: dict[tuple[int, int], set[str]] = {}  # state and length of a window → its items
         paths = []
         for item, words in items:
             if words:
@@ -76,7 +78,7 @@ class SuffixAutomaton:
             p = self.link[p]
         return new
 
-    def _mark(self, item: str, ids: list[int]) -> None:
+    def _mark(self, item: str | None, ids: list[int]) -> None:
         """Marks the states of the item's windows: those that hold a string of exactly the window's length."""
         width = min(self.width, len(ids))
         state = 0
@@ -87,7 +89,7 @@ class SuffixAutomaton:
             s = state
             while self.size[self.link[s]] >= width:
                 s = self.link[s]
-            self.marks.setdefault((s, width), set()).add(item)
+            self.marks.setdefault((s, width), set()).update(() if item is None else (item,))
 
     def _windows(self) -> None:
         by_state: dict[int, list[tuple[int, set]]] = {}
@@ -100,12 +102,40 @@ class SuffixAutomaton:
         for s in order:
             self.up[s] = s if self.exact[s] else self.up[self.link[s]] if s else 0
 
+    def packed(self) -> PackedAutomaton:
+        begin, word, to = array("i", [0]), array("i"), array("i")
+        for step in self.step:
+            for w in sorted(step):
+                word.append(w)
+                to.append(step[w])
+            begin.append(len(word))
+        exact = {s: e for s, e in enumerate(self.exact) if e}
+        return PackedAutomaton(self.words, self.step[0], begin, word, to, array("i", self.link), array("i", self.size), array("i", self.up), exact)
+
+
+@dataclass
+class PackedAutomaton:
+    """The automaton as flat arrays: the transitions of state s are at begin[s] to begin[s + 1], sorted by word.
+
+    About 8 bytes a transition and 16 a state, next to the dictionary of words; it is broadcast, and a worker holds one.
+    """
+
+    words: dict[bytes, int]
+    root: dict[int, int]
+    begin: array
+    word: array
+    to: array
+    link: array
+    size: array
+    up: array
+    exact: dict[int, tuple]
+
     def scan(self, ids: list[int]) -> tuple[list[tuple[int, int]], set[str], int]:
         """Word spans [a, b) of windows that occur in a text, the items they come from, and the longest match.
 
         ids: numbers of the text's words, -1 for a word of no item. The state's match length follows the text.
         """
-        step, link, size, up, exact = self.step, self.link, self.size, self.up, self.exact
+        root, begin, word, to, link, size, up, exact = self.root, self.begin, self.word, self.to, self.link, self.size, self.up, self.exact
         spans: list[tuple[int, int]] = []
         items: set[str] = set()
         state = length = most = 0
@@ -113,15 +143,17 @@ class SuffixAutomaton:
             if w < 0:
                 state = length = 0
                 continue
-            nxt = step[state].get(w)
-            while nxt is None and state:
+            while state:
+                end = begin[state + 1]
+                at = bisect_left(word, w, begin[state], end)
+                if at < end and word[at] == w:
+                    state, length = to[at], length + 1
+                    break
                 state = link[state]
                 length = size[state]
-                nxt = step[state].get(w)
-            if nxt is None:
-                length = 0
-                continue
-            state, length = nxt, length + 1
+            else:
+                state = root.get(w, 0)
+                length = 1 if state else 0
             if length > most:
                 most = length
             s = up[state]
@@ -144,94 +176,103 @@ def unite(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _shards(items: DataFrame, max_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The items, brought to the driver a shard at a time; a shard has max_bytes of text at most, or one longer item."""
+def _shards(items: DataFrame, max_bytes: int, width: int) -> Iterator[PackedAutomaton]:
+    """An automaton of each shard of the items, which comes to the driver; a shard has max_bytes of text at most, or one longer item."""
     own = items.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // max(1, max_bytes // 2)))
     for part in range(parts):
-        rows = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
-        yield sorted((r.item_id, r.text) for r in rows)
+        rows = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect() if parts > 1 else own.collect()
+        rows.sort(key=lambda r: (r.item_id is None, r.item_id or "", r.text))
+        yield SuffixAutomaton([(r.item_id, normal_words(r.text)) for r in rows], width).packed()
 
 
-def contaminated_spans(docs: DataFrame, items: DataFrame, width: int = 10, max_bytes: int = 16 << 20, key: str = "doc_id") -> DataFrame:
-    """docs (key, text) × items (item_id, text) → key, n_words, spans of words hit, items, longest_match: one row per document and shard.
+def contaminated_spans(docs: DataFrame, shard: PackedAutomaton, key: str = "doc_id", hits_only: bool = False) -> DataFrame:
+    """docs (key, text) → key, n_words, spans of words hit, items, longest_match by one shard: one row per document, or per document with a hit."""
+    id_type = dict(docs.dtypes)[key]
+    shared = docs.sparkSession.sparkContext.broadcast(shard)
 
-    Words are runs of ASCII letters and digits and of anything outside ASCII, A-Z lower-cased. A window is `width`
-    consecutive words of an item, or the whole of a shorter item; a word inside an occurrence of a window is hit.
-    The automaton of a shard of items goes to the executors with the task; a shard is bounded by max_bytes, and more
-    items give more shards, each a pass over the documents.
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = shared.value
+        number = auto.words.get
+        for batch in slices(batches, limit=4 << 20):
+            n, spans, found, most = [], [], [], []
+            for raw in pc.fill_null(batch.column("text").cast(pa.binary()), b"").to_pylist():
+                words = raw.translate(TABLE).split()
+                hits, who, longest = auto.scan([number(w, -1) for w in words])
+                n.append(len(words))
+                spans.append([{"a": a, "b": b} for a, b in unite(hits)])
+                found.append(sorted(who))
+                most.append(longest)
+            kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+            out = pa.RecordBatch.from_arrays([batch.column(key), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(found, pa.list_(pa.string())), pa.array(most, pa.int64())], names=[key, "n_words", "spans", "items", "longest_match"])
+            yield out.filter(pa.array([bool(x) for x in spans])) if hits_only else out
 
-    Null and blank texts have no words and no hits, repeated documents repeat their result, items without words and an
-    empty benchmark hit nothing. Rows with one item_id and different texts count as one item. Texts are never cut.
-    """
-    id_type = dict(docs.dtypes)[key]
-    out = None
-    for shard in _shards(items, max_bytes):
-
-        def scan(batches: Iterator[pa.RecordBatch], shard=shard) -> Iterator[pa.RecordBatch]:
-            auto = SuffixAutomaton([(i, normal_words(t)) for i, t in shard], width)
-            number = auto.words.get
-            for batch in slices(batches, limit=4 << 20):
-                n, spans, found, most = [], [], [], []
-                for raw in pc.fill_null(batch.column("text").cast(pa.binary()), b"").to_pylist():
-                    words = raw.translate(TABLE).split()
-                    hits, who, longest = auto.scan([number(w, -1) for w in words])
-                    n.append(len(words))
-                    spans.append([{"a": a, "b": b} for a, b in unite(hits)])
-                    found.append(sorted(who))
-                    most.append(longest)
-                kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(found, pa.list_(pa.string())), pa.array(most, pa.int64())], names=[key, "n_words", "spans", "items", "longest_match"])
-
-        part = docs.select(key, "text").mapInArrow(scan, f"{key} {id_type}, n_words long, spans array<struct<a:long,b:long>>, items array<string>, longest_match long")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return docs.select(key, "text").mapInArrow(scan, f"`{key}` {id_type}, n_words long, spans array<struct<a:long,b:long>>, items array<string>, longest_match long")
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = 10, max_bytes: int = 16 << 20) -> DataFrame:
-    """contaminated_spans of all shards together: one row per input row, by a key of its own where there are several shards."""
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total <= max_bytes // 2:
-        return contaminated_spans(docs, items, width, max_bytes)
+def contamination(docs: DataFrame, items: DataFrame, width: int = 10, max_bytes: int = 8 << 20) -> DataFrame:
+    """docs (doc_id, text) × items (item_id, text) → doc_id, n_words, spans of words hit, items, longest_match: one row per input row.
+
+    Words are runs of ASCII letters and digits and of anything outside ASCII, A-Z lower-cased. A window is `width`
+    consecutive words of an item, or the whole of a shorter item; a word inside an occurrence of a window is hit.
+    A shard of items has max_bytes / 2 of text at most; its automaton is built once, on the driver, and broadcast. More
+    items give more shards, each a pass over the documents; the results of a row meet by a key of its own, so that they
+    do not depend on the number of shards.
+
+    Null and blank texts have no words and no hits; repeated rows and ids have a row each; items without words and an
+    empty benchmark hit nothing, and no documents give no rows. Rows with one item_id and different texts count as one
+    item; items without an id hit words, and are not among the items told. Ties cannot arise. Texts are never cut; other
+    columns are not read.
+    """
+    shards = _shards(items, max_bytes, width)
+    first, second = next(shards), next(shards, None)
+    if second is None:
+        return contaminated_spans(docs, first)
     rows = numbered(docs.select("doc_id", "text"))
-    return rows.select("row", "doc_id").join(_row_spans(rows, items, width, max_bytes), "row").drop("row")
+    return rows.select("row", "doc_id").join(_row_spans(rows, [first, second], shards, "row"), "row").drop("row")
 
 
-def _row_spans(rows: DataFrame, items: DataFrame, width: int, max_bytes: int) -> DataFrame:
-    """contaminated_spans of all shards together, by row."""
-    found = contaminated_spans(rows, items, width, max_bytes, "row")
-    return found.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest_match").alias("longest_match"))
+def _row_spans(rows: DataFrame, begun: list[PackedAutomaton], shards: Iterator[PackedAutomaton], key: str) -> DataFrame:
+    """contaminated_spans of all shards together, by row: of all but the first shard only what is hit."""
+    found = contaminated_spans(rows, begun[0], key)
+    for shard in chain(begun[1:], shards):
+        found = found.unionByName(contaminated_spans(rows, shard, key, hits_only=True))
+    told = [F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest_match").alias("longest_match")]
+    return found.groupBy(key).agg(*told)
 
 
-def hit_count(spans):
+def hit_count(spans: Column) -> Column:
     """Words in the union of spans that may overlap."""
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     step = lambda s, x: F.struct((s["n"] + F.greatest(x["b"] - F.greatest(x["a"], s["end"]), F.lit(0))).alias("n"), F.greatest(s["end"], x["b"]).alias("end"))
     return F.aggregate(F.array_sort(spans), zero, step, lambda s: s["n"])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, max_coverage: float = 0.5, max_bytes: int = 16 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, max_coverage: float = 0.5, max_bytes: int = 8 << 20) -> DataFrame:
     """docs with spans of test items of `width` words or more cut out; documents with more than max_coverage of their words hit are dropped.
 
-    Documents without a hit are returned as they are; a cut leaves the characters between the remaining words. Columns
-    of docs are kept; n_chars, where there is one, follows the text.
+    Documents without a hit are returned as they are, null and blank texts too; a cut leaves the characters between the
+    remaining words. Each row is judged by its own text, whether its id is null or repeated, and alike for any number of
+    shards (see contamination). Columns of docs are kept, whatever their names; n_chars, where there is one, follows the text.
     """
     schema, names = docs.schema, docs.columns
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    alone = total <= max_bytes // 2
-    shard = next(_shards(items, max_bytes)) if alone else []
+    shards = _shards(items, max_bytes, width)
+    first, second = next(shards), next(shards, None)
+    alone = second is None
+    key, told = free_name(docs, "row"), free_name(docs, "spans")
     if not alone:  # a pass for each shard of items finds the spans, which then meet their documents
-        rows = numbered(docs)
-        spans = _row_spans(rows, items, width, max_bytes).select("row", F.col("spans").alias("_spans"))
-        docs = rows.join(spans.where(F.size("_spans") > 0), "row", "left").select(*names, "_spans")
+        rows = numbered(docs, key)
+        spans = _row_spans(rows, [first, second], shards, key).select(key, F.col("spans").alias(told))
+        docs = rows.join(spans.where(F.size(told) > 0), key, "left").select(*names, told)
+    shared = docs.sparkSession.sparkContext.broadcast(first if alone else None)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = SuffixAutomaton([(i, normal_words(t)) for i, t in shard], width)
+        auto = shared.value
         for batch in slices(batches, limit=4 << 20):
             keep, texts, changed = [], [], False
-            told = [None] * batch.num_rows if alone else batch.column("_spans").to_pylist()
-            for raw, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), told, strict=True):
+            known = [None] * batch.num_rows if alone else batch.column(told).to_pylist()
+            for raw, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), known, strict=True):
                 plain = (raw or b"").translate(TABLE)
                 words = plain.split()
                 spans = unite(auto.scan([auto.words.get(w, -1) for w in words])[0] if alone else [(x["a"], x["b"]) for x in found or ()])
@@ -268,7 +309,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     hit = hit_count(F.col("spans"))
     ids = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.size("items") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
 OP6_SQL = r"""
