@@ -101,6 +101,22 @@ def test_url_aliases(spark):
     assert (got[6].host, got[6].path, got[7].host) == ("", "", "")
 
 
+def test_links_are_resolved_and_targets_meet_by_their_canonical_forms(spark):
+    told = {
+        "https://h.org/x": "https://h.org/x", "//k.org/y": "http://k.org/y", "/a/b": "http://www.p.net/a/b", "c": "http://www.p.net/d/c", "../e/./f": "http://www.p.net/e/f", "?q=1&amp;r=2": "http://www.p.net/d/page?q=1&r=2",
+        "mailto:a@b": None, "": None, "..": "http://www.p.net/", "g/": "http://www.p.net/d/g/",
+    }
+    got = spark.createDataFrame([(k,) for k in told], "t string").select("t", urls.resolved(F.col("t"), F.lit("http://www.p.net/d/page#x")).alias("r"))
+    assert {x.t: x.r for x in got.collect()} == told
+    link = lambda href: f'<LINK REL=CANONICAL HREF="{href}">'
+    rows = [(0, "http://a.org/1", link("https://bad.example.com/en/1")), (1, "http://b.org/2", '<meta HTTP-EQUIV="REFRESH" content="0; URL=//bad.example.com/en/1/#top">'), (2, "http://bad.example.com/q", link("/en/1")), (3, "http://c.org/", link("http://c.org/"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {x.page_id: x.verdict for x in urls.judge_urls(pages.where("page_id <> 2")).collect()} == {0: "block", 1: "block", 3: "allow"}
+    assert {x.verdict for x in urls.judge_urls(pages).collect()} == {"allow"}  # page 2 is allowed by com/ and in the others' class
+    assert {x.page_id: x.verdict for x in urls.judge_urls(pages, rules=[("block", "bad.example.com/en/")]).collect()} == {0: "block", 1: "block", 2: "block", 3: "allow"}
+    assert urls.judge_urls(pages.where("page_id > 9")).count() == 0 and urls.judge_urls(pages.drop("html")).count() == 4
+
+
 def naive_repeats(w):
     n, best = len(w), [0] * len(w)
     for i in range(n):
@@ -145,6 +161,11 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.where("turn > 99")).count() == 0
 
 
+def test_chats_with_ids_of_other_types(spark):
+    df = spark.createDataFrame([("c", 0, "user", "a"), ("c", 1, "assistant", "b"), (None, 0, "user", "x")], "conv_id string, turn long, role string, text string")
+    assert {x.conv_id: (x.n_turns, x.loss_chars, x.valid) for x in chat.read_chats(chat.format_chats(df)).collect()} == {"c": (2, 1, True), None: (1, 0, False)}
+
+
 def test_decontamination_against_brute_force(spark):
     r = random.Random(8)
     items = [" ".join(words(n, 100 + i, 60)) for i, n in enumerate([25, 10, 4, 1, 12, 0, 30])] + [None]
@@ -566,6 +587,38 @@ def test_packed_matrices_read_back(spark):
         assert [y for k in sorted(p for d, p in back if d == i) for y in back[i, k]] == own
 
 
+def test_pieces_with_clashing_columns_and_equal_rows(spark):
+    rows = [(None, 60, 7, "g")] * 40 + [(5, 40, 7, "g")] * 40 + [(6, 100, 7, "g")]
+    df = spark.createDataFrame(rows, "doc_id long, length long, offset long, group_no string")
+    got = packing.pack_pieces(df, capacity=100, per_group=20).collect()
+    assert len(got) == 81 and got[0].group_no == "g"
+    seqs = {}
+    for x in got:
+        seqs.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    assert all(sum(n for _, n in v) <= 100 and min(v)[0] == 0 for v in seqs.values()) and 41 <= len(seqs) <= 60
+    df = docs(spark, ["a b c", "d"]).withColumn("doc_id", F.col("doc_id").cast("decimal(9,2)"))
+    assert sorted(str(i) for x in packing.packed_matrices(df).collect() for i in x.doc_ids) == ["0.00", "1.00"]
+
+
+def quadratic_best_fit(lengths, cap):
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fit = [r for r in range(len(rooms)) if rooms[r] >= n]
+        if fit:
+            rooms[min(fit, key=lambda r: rooms[r])] -= n
+        else:
+            rooms.append(cap - n)
+    return sorted(rooms)
+
+
+def test_best_fit_decreasing_against_a_quadratic_version():
+    for seed in range(60):
+        r = random.Random(seed)
+        lengths = [r.randint(1, 100) for _ in range(r.randint(0, 150))]
+        bins = packing.best_fit_decreasing(lengths, 100)
+        assert sorted(100 - sum(lengths[i] for i in b) for b in bins) == quadratic_best_fit(lengths, 100)
+
+
 def fewest(lengths, cap):
     lengths = sorted(lengths, reverse=True)
     best = [len(lengths)]

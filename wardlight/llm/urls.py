@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,13 +47,30 @@ def canonical_url(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
+def resolved(target: Column, url: Column) -> Column:
+    """The address that a link names on the page of url: whole, without its scheme, from the host's root, or beside the page; null for mailto: and the like."""
+    t = F.replace(F.trim(target), F.lit("&amp;"), F.lit("&"))
+    root = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = F.regexp_extract(t, r"(?s)^([^?#]*)", 1)
+    folder = F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1)
+    whole = F.when(F.startswith(t, F.lit("/")), path).when(path == "", path_of(url)).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    parts = F.slice(F.split(whole, "/"), 2, F.greatest(F.size(F.split(whole, "/")) - 1, F.lit(0)))
+    step = lambda up, x: F.when(x == "..", F.slice(up, 1, F.greatest(F.size(up) - 1, F.lit(0)))).when(x == ".", up).otherwise(F.array_append(up, x))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    last = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    here = F.concat(root, F.when(whole == "", F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.size(kept) > 0, last).otherwise(F.lit("")))), F.substr(t, F.length(path) + 1, F.length(t)))
+    scheme = F.regexp_extract(url, r"(?s)^(.*?):", 1)
+    return F.when(F.contains(t, F.lit("://")), t).when(F.startswith(t, F.lit("//")), F.concat(scheme, F.lit(":"), t)).when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (t == "") | (root == ""), None).otherwise(here)
+
+
 def html_links(pages: DataFrame) -> DataFrame:
-    """Alias edges (a, b) that pages state: rel=canonical links and meta refresh targets with a full address."""
+    """Alias edges (a, b) that pages state: rel=canonical links and meta refresh targets, resolved against the page's address."""
     tag = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
     fresh = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
-    told = pages.where(F.col("html").contains("canonical") | F.col("html").contains("efresh"))
+    html = F.lower("html")
+    told = pages.where(F.contains(html, F.lit("canonical")) | F.contains(html, F.lit("refresh")))
     both = told.select("url", F.explode(F.array(F.regexp_extract("html", tag, 1), F.regexp_extract("html", fresh, 1))).alias("b"))
-    return both.where(F.col("b").contains("://")).select(F.col("url").alias("a"), "b")
+    return both.where("b <> ''").select(F.col("url").alias("a"), resolved(F.col("b"), F.col("url")).alias("b"))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -64,18 +82,19 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, redir
     address, or null for an address without an alias.
 
     One row per input row, repeated rows included; a null or malformed url has an empty host and path, no rule and is
-    allowed. Other columns of the input are ignored. Classes come from distributed star contraction over distinct
-    addresses, so many pages that redirect to one address are combined before the shuffle.
+    allowed; urls of any length are taken whole; of rules that fit, the longest wins, of equally long ones the later in
+    the alphabet. An empty table gives an empty one, and without html or redirects only canonical forms join addresses.
+    Other columns of the input are ignored. Classes come from distributed star contraction over distinct addresses, so
+    many pages that redirect to one address are combined before the shuffle.
     """
     html = "html" in pages.columns
     base = pages.select("page_id", "url", *["html"] * html)
     found = [redirects.select("a", "b")] if redirects is not None else []
     if html:
         found.append(html_links(base))
-    found.append(base.select(F.col("url").alias("a"), F.concat(F.lit("http://"), canonical_url(F.col("url"))).alias("b")))
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more)
+    # Every address that occurs, as a page's or as a target, is joined to its canonical form.
+    every = reduce(DataFrame.unionByName, [base.select("url"), *(f.select(F.explode(F.array("a", "b")).alias("url")) for f in found)])
+    edges = reduce(DataFrame.unionByName, [every.select(F.col("url").alias("a"), F.concat(F.lit("http://"), canonical_url(F.col("url"))).alias("b")), *found])
     edges = edges.where("a is not null and b is not null").where(F.contains(F.col("a"), F.lit("://")))
     edges = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     classes = cut(connected_components(edges))
