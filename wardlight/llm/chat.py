@@ -85,7 +85,7 @@ class ChatTemplate:
         return out
 
 
-SEGMENTS = "conv_id long, turn_no long, segment_no long, segment string, loss boolean, state string, valid boolean"
+SEGMENTS = "turn_no long, segment_no long, segment string, loss boolean, state string, valid boolean"
 
 
 def format_chats(turns: DataFrame, template: ChatTemplate | None = None) -> DataFrame:
@@ -95,19 +95,20 @@ def format_chats(turns: DataFrame, template: ChatTemplate | None = None) -> Data
     of their own. A null text or role is empty. A role that the template does not know is written with its name.
     state is the machine's state after the turn, `error` from the first turn out of order on; valid, on a turn's rows,
     says whether the conversation could end there. Every conversation is written, valid or not, and reads back exactly.
-    An empty table gives no rows; other columns are ignored. A null conv_id is a conversation of its own.
+    An empty table gives no rows; other columns are ignored. A null conv_id is a conversation of its own; ids may be of
+    any type that sorts.
 
     One shuffle by conv_id; a task streams over its sorted rows and holds one record batch, so that a conversation of
     any length is written in bounded memory. Conversations are never split over tasks: their order is the result.
     """
     template = template or ChatTemplate()
-    schema = pa.schema([("conv_id", pa.int64()), ("turn_no", pa.int64()), ("segment_no", pa.int64()), ("segment", pa.string()), ("loss", pa.bool_()), ("state", pa.string()), ("valid", pa.bool_())])
+    schema = pa.schema([("turn_no", pa.int64()), ("segment_no", pa.int64()), ("segment", pa.string()), ("loss", pa.bool_()), ("state", pa.string()), ("valid", pa.bool_())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, turn_no, segment_no = object(), "start", 0, 0
         for batch in batches:
-            rows = []
-            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
+            rows, of = [], []
+            for i, (conv, role, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True)):
                 if conv != now:
                     now, state, turn_no, segment_no = conv, "start", 0, 0
                     pieces = [(template.start, False)]
@@ -115,51 +116,59 @@ def format_chats(turns: DataFrame, template: ChatTemplate | None = None) -> Data
                     pieces = []
                 state = template.order.get(state, {}).get(role, "error")
                 for piece, loss in [*pieces, *template.segments(role, text)]:
-                    rows.append((conv, turn_no, segment_no, piece, loss, state, state in template.final))
+                    rows.append((turn_no, segment_no, piece, loss, state, state in template.final))
+                    of.append(i)
                     segment_no += 1
                 turn_no += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column("conv_id").take(pa.array(of)), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True))], names=["conv_id", *schema.names])
 
-    own = turns.select(F.col("conv_id").cast("long"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(write, SEGMENTS)
+    own = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(write, f"conv_id {dict(turns.dtypes)['conv_id']}, {SEGMENTS}")
 
 
 def read_chats(segments: DataFrame, template: ChatTemplate | None = None, in_order: bool = False) -> DataFrame:
-    """Segments → one row per conversation: what its formatted text and loss mask give back.
+    """Segments → one row per conversation: what its formatted text and loss mask give back. A task holds one conversation at a time.
 
     in_order: the rows come straight from format_chats; else they are dealt out and sorted by conv_id and segment_no.
     """
     template = template or ChatTemplate()
-    out = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_())])
+    out = pa.schema([("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_())])
 
-    def close(conv, pieces, valid):
+    def close(pieces, valid):
         text = "".join(p for p, _ in pieces)
         turns = template.parse(text)
         told = [template.unescape(p) for p, loss in pieces if loss]
         digest = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
-        return (conv, len(turns), digest("".join(f"{r}\n{t}\n" for r, t in turns)), sum(map(len, told)), digest("".join(told)), len(text), valid)
+        return (len(turns), digest("".join(f"{r}\n{t}\n" for r, t in turns)), sum(map(len, told)), digest("".join(told)), len(text), valid)
+
+    def told(ids, done, kind):
+        return pa.RecordBatch.from_arrays([pa.array(ids, kind), *(pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), out, strict=True))], names=["conv_id", *out.names])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, pieces, valid, done = object(), [], False, []
+        now, pieces, valid, ids, done, kind = object(), [], False, [], [], None
         for batch in batches:
+            kind = batch.schema.field("conv_id").type
             for conv, piece, loss, ok in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "loss", "valid")), strict=True):
                 if conv != now:
                     if pieces:
-                        done.append(close(now, pieces, valid))
+                        ids.append(now)
+                        done.append(close(pieces, valid))
                     now, pieces = conv, []
                 pieces.append((piece, loss))
                 valid = ok
             if len(done) >= 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), out, strict=True)], schema=out)
-                done = []
+                yield told(ids, done, kind)
+                ids, done = [], []
         if pieces:
-            done.append(close(now, pieces, valid))
+            ids.append(now)
+            done.append(close(pieces, valid))
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), out, strict=True)], schema=out)
+            yield told(ids, done, kind)
 
     if not in_order:
         segments = segments.repartition("conv_id").sortWithinPartitions("conv_id", "segment_no")
-    return segments.mapInArrow(check, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    return segments.mapInArrow(check, f"conv_id {dict(segments.dtypes)['conv_id']}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,7 +121,8 @@ def quality_rules(docs: DataFrame, least: int = 10, max_covered: float = 0.6, ma
 
     Each text is judged on its own, so nothing is shuffled and repeated rows give repeated results. Null and blank
     texts have no words: all figures are 0 and base_failed is true. Very long texts are held one at a time. Columns of
-    the input other than doc_id and text are ignored.
+    the input other than doc_id and text are ignored; an empty table gives an empty one; ties cannot arise, as figures
+    are of all repeats together.
     """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
