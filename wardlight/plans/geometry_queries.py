@@ -9,7 +9,8 @@ from wardlight.operators import spatial as P
 from wardlight.plans.base import EDGES, HITS, POINTS, VERTS, points, query, sites, table, units
 from wardlight.plans.spatial_queries import _OVER, _overlaid
 
-_KEYED = "SELECT *, CASE WHEN (ax, ay) < (bx, by) THEN ax ELSE bx END AS x1, CASE WHEN (ax, ay) < (bx, by) THEN ay ELSE by END AS y1, CASE WHEN (ax, ay) < (bx, by) THEN bx ELSE ax END AS x2, CASE WHEN (ax, ay) < (bx, by) THEN by ELSE ay END AS y2 FROM edges"
+_KEYED = """SELECT *, CASE WHEN (ax, ay) < (bx, by) THEN ax ELSE bx END AS x1, CASE WHEN (ax, ay) < (bx, by) THEN ay ELSE by END AS y1, CASE
+  WHEN (ax, ay) < (bx, by) THEN bx ELSE ax END AS x2, CASE WHEN (ax, ay) < (bx, by) THEN by ELSE ay END AS y2 FROM edges"""
 _DISS = EDGES + f", ke AS ({_KEYED}), diss AS (SELECT district, x1, y1, x2, y2 FROM ke GROUP BY ALL HAVING count(*) = 1)"
 
 
@@ -104,7 +105,8 @@ def _spiked(spark, d):
     return r.withColumn("ring", F.concat(F.slice("ring", 1, 1), F.array(tip, near), F.slice("ring", 2, 100)))
 
 
-@query("g20_despike", f"WITH {VERTS} SELECT feature_id, round(x, 9) AS x, round(y, 9) AS y FROM verts UNION ALL SELECT feature_id, round(x + 0.02, 9), round(y, 9) FROM verts WHERE s = 0")
+@query("g20_despike", f"""WITH {VERTS} SELECT feature_id, round(x, 9) AS x, round(y, 9) AS y FROM verts
+UNION ALL SELECT feature_id, round(x + 0.02, 9), round(y, 9) FROM verts WHERE s = 0""")
 def despiked(spark, d):
     return _vertices(G.despike(_spiked(spark, d), 0.3, 0.1))
 
@@ -115,13 +117,17 @@ def spiked(spark, d):
     return G.spikes(P.ring_edges(f), 0.3, 0.1).select("feature_id", "seq", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
-@query("g05_check_anchors", f"WITH {HITS} SELECT p.pid, CASE WHEN p.pid % 7 = 0 THEN NULL ELSE (p.pid % 25)::INT END AS expected, CASE WHEN p.pid % 7 = 0 THEN false ELSE feature_id = p.pid % 25 END AS ok FROM pts p LEFT JOIN hits h ON p.pid = h.pid")
+@query("g05_check_anchors", f"""WITH {HITS} SELECT p.pid, CASE WHEN p.pid % 7 = 0 THEN NULL ELSE (p.pid % 25)::INT END AS expected, CASE
+  WHEN p.pid % 7 = 0 THEN false ELSE feature_id = p.pid % 25 END AS ok FROM pts p LEFT JOIN hits h ON p.pid = h.pid""")
 def anchors(spark, d):
     a = points(spark, d).withColumn("expected", F.when(F.col("pid") % 7 != 0, (F.col("pid") % 25).cast("int")))
     return G.check_anchors(a, units(spark, d)).select("pid", "expected", "ok")
 
 
-@query("g06_check_envelope", f"WITH {EDGES} SELECT 'west' AS side, min(ax) AS reach, 0.0::DOUBLE AS declared, min(ax) >= 0 AS ok FROM edges UNION ALL SELECT 'south', min(ay), 0.5, min(ay) >= 0.5 FROM edges UNION ALL SELECT 'east', max(ax), 5, max(ax) <= 5 FROM edges UNION ALL SELECT 'north', max(ay), 4.5, max(ay) <= 4.5 FROM edges")
+@query("g06_check_envelope", f"""WITH {EDGES} SELECT 'west' AS side, min(ax) AS reach, 0.0::DOUBLE AS declared, min(ax) >= 0 AS ok FROM edges
+UNION ALL SELECT 'south', min(ay), 0.5, min(ay) >= 0.5 FROM edges
+UNION ALL SELECT 'east', max(ax), 5, max(ax) <= 5 FROM edges
+UNION ALL SELECT 'north', max(ay), 4.5, max(ay) <= 4.5 FROM edges""")
 def envelope(spark, d):
     return G.check_envelope(units(spark, d), (0.0, 0.5, 5.0, 4.5))
 
@@ -133,24 +139,36 @@ def simplification(spark, d):
     return G.check_simplification(points(spark, d), u, thin)
 
 
-@query("a08_agreement", f"WITH {EDGES}, {POINTS}, e2 AS (SELECT feature_id, ax+0.05::DOUBLE AS ax, ay+0.05::DOUBLE AS ay, bx+0.05::DOUBLE AS bx, by+0.05::DOUBLE AS by FROM edges), h1 AS (SELECT pid, feature_id FROM pts JOIN edges ON (ay > y) <> (by > y) AND x < (bx-ax)*(y-ay)/(by-ay)+ax GROUP BY 1, 2 HAVING count(*)%2 = 1), h2 AS (SELECT pid, feature_id FROM pts JOIN e2 ON (ay > y) <> (by > y) AND x < (bx-ax)*(y-ay)/(by-ay)+ax GROUP BY 1, 2 HAVING count(*)%2 = 1) SELECT count(*) AS n, round(avg((h1.feature_id IS NOT DISTINCT FROM h2.feature_id)::INT), 9) AS share, 0::BIGINT AS doubles FROM pts LEFT JOIN h1 USING (pid) LEFT JOIN h2 USING (pid)")
+@query("a08_agreement", f"""WITH {EDGES}, {POINTS},
+e2 AS (SELECT feature_id, ax+0.05::DOUBLE AS ax, ay+0.05::DOUBLE AS ay, bx+0.05::DOUBLE AS bx, by+0.05::DOUBLE AS by FROM edges),
+h1 AS (SELECT pid, feature_id FROM pts JOIN edges ON (ay > y) <> (by > y) AND x < (bx-ax)*(y-ay)/(by-ay)+ax GROUP BY 1, 2 HAVING count(*)%2 = 1),
+h2 AS (SELECT pid, feature_id FROM pts JOIN e2 ON (ay > y) <> (by > y) AND x < (bx-ax)*(y-ay)/(by-ay)+ax GROUP BY 1, 2 HAVING count(*)%2 = 1)
+SELECT count(*) AS n, round(avg((h1.feature_id IS NOT DISTINCT FROM h2.feature_id)::INT), 9) AS share, 0::BIGINT AS doubles FROM pts LEFT JOIN h1 USING (pid)
+  LEFT JOIN h2 USING (pid)""")
 def agree(spark, d):
     return G.agreement(points(spark, d), units(spark, d), _shift(units(spark, d), 0.05)).withColumn("share", F.round("share", 9))
 
 
-@query("g08_tiling_edges", f"WITH {EDGES}, ke AS ({_KEYED}) SELECT n, turn, count(*) AS edges FROM (SELECT count(*) AS n, sum(CASE WHEN (ax, ay) < (bx, by) THEN 1 ELSE -1 END)::BIGINT AS turn FROM ke GROUP BY x1, y1, x2, y2) GROUP BY 1, 2")
+@query("g08_tiling_edges", f"""WITH {EDGES},
+ke AS ({_KEYED})
+SELECT n, turn, count(*) AS edges FROM (SELECT count(*) AS n, sum(CASE WHEN (ax, ay) < (bx, by) THEN 1 ELSE -1 END)::BIGINT AS turn FROM ke
+  GROUP BY x1, y1, x2, y2) GROUP BY 1, 2""")
 def tiling_edges(spark, d):
     return G.edge_multiplicity(units(spark, d)).groupBy("n", "turn").agg(F.count("*").alias("edges"))
 
 
-@query("g08_tiling_report", f"WITH {_OVER}, par AS (SELECT pid, bool_or(x BETWEEN 0 AND 5 AND y < 4) AS inside FROM (SELECT *, y AS yy FROM pts) GROUP BY pid), c AS (SELECT p.pid, count(o.feature_id) AS n FROM pts p LEFT JOIN oh o ON p.pid = o.pid GROUP BY 1) SELECT count(*) FILTER (inside) AS parent, count(*) FILTER (inside AND n = 1) AS once, count(*) FILTER (inside AND n = 0) AS cracks, count(*) FILTER (n > 1) AS overlaps, count(*) FILTER (NOT inside AND n > 0) AS spill FROM c JOIN par USING (pid)")
+@query("g08_tiling_report", f"""WITH {_OVER},
+par AS (SELECT pid, bool_or(x BETWEEN 0 AND 5 AND y < 4) AS inside FROM (SELECT *, y AS yy FROM pts) GROUP BY pid),
+c AS (SELECT p.pid, count(o.feature_id) AS n FROM pts p LEFT JOIN oh o ON p.pid = o.pid GROUP BY 1)
+SELECT count(*) FILTER (inside) AS parent, count(*) FILTER (inside AND n = 1) AS once, count(*) FILTER (inside AND n = 0) AS cracks,
+  count(*) FILTER (n > 1) AS overlaps, count(*) FILTER (NOT inside AND n > 0) AS spill FROM c JOIN par USING (pid)""")
 def tiling(spark, d):
     p = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
     box = table(spark, d, "region").agg(F.min("r_regionkey").alias("feature_id")).select("feature_id", F.array(F.array(F.array(p(-1, -1), p(6, -1), p(6, 4), p(-1, 4), p(-1, -1)))).alias("polygons"))
     return G.tiling_report(points(spark, d), _overlaid(spark, d), box)
 
 
-@query("g08_overlap_pairs", f"WITH {_OVER} SELECT a.feature_id AS a, b.feature_id AS b, count(*) AS n FROM oh a JOIN oh b ON a.pid = b.pid AND a.feature_id < b.feature_id GROUP BY 1, 2")
+@query("g08_overlap_pairs", f"""WITH {_OVER} SELECT a.feature_id AS a, b.feature_id AS b, count(*) AS n FROM oh a JOIN oh b ON a.pid = b.pid AND a.feature_id < b.feature_id GROUP BY 1, 2""")
 def overlaps(spark, d):
     return G.overlap_pairs(points(spark, d), _overlaid(spark, d))
 
@@ -159,7 +177,12 @@ _DIST = "min(sqrt(pow(x-(ax+t*(bx-ax)),2)+pow(y-(ay+t*(by-ay)),2)))"
 _FOOT = "greatest(0, least(1, ((x-ax)*(bx-ax)+(y-ay)*(by-ay))/((bx-ax)*(bx-ax)+(by-ay)*(by-ay)))) AS t"
 
 
-@query("g09_fill_gaps", f"WITH {EDGES}, {POINTS}, s AS (SELECT * FROM pts), own AS (SELECT * FROM edges WHERE feature_id < 20), h AS (SELECT pid FROM s JOIN own ON (ay > y) <> (by > y) AND x < (bx-ax)*(y-ay)/(by-ay)+ax GROUP BY pid, feature_id HAVING count(*)%2 = 1), f AS (SELECT pid, x, y, ax, ay, bx, by, {_FOOT} FROM s, own WHERE pid NOT IN (SELECT pid FROM h)) SELECT pid, round({_DIST}, 9) AS dist FROM f GROUP BY pid")
+@query("g09_fill_gaps", f"""WITH {EDGES}, {POINTS},
+s AS (SELECT * FROM pts),
+own AS (SELECT * FROM edges WHERE feature_id < 20),
+h AS (SELECT pid FROM s JOIN own ON (ay > y) <> (by > y) AND x < (bx-ax)*(y-ay)/(by-ay)+ax GROUP BY pid, feature_id HAVING count(*)%2 = 1),
+f AS (SELECT pid, x, y, ax, ay, bx, by, {_FOOT} FROM s, own WHERE pid NOT IN (SELECT pid FROM h))
+SELECT pid, round({_DIST}, 9) AS dist FROM f GROUP BY pid""")
 def gaps(spark, d):
     # The ground of the top row of units is unowned.
     return G.fill_gaps(points(spark, d), units(spark, d).where("feature_id < 20")).select("pid", F.round("dist", 9).alias("dist"))
@@ -172,7 +195,12 @@ def cells(spark, d):
     return P.classify(points(spark, d), units(spark, d)).select("district", F.floor(F.col("x") * 12).alias("cx"), F.floor(F.col("y") * 12).alias("cy")).distinct()
 
 
-@query("g10_close_voids", f"WITH {_CELLS}, o AS (SELECT i, j FROM range(-2, 3) a(i), range(-2, 3) b(j) WHERE i*i+j*j <= 4), wide AS (SELECT DISTINCT district, cx+i AS cx, cy+j AS cy FROM cells, o), cl AS (SELECT district, cx+i AS cx, cy+j AS cy FROM wide, o GROUP BY 1, 2, 3 HAVING count(*) = (SELECT count(*) FROM o)), sole AS (SELECT min(district) AS district, cx, cy FROM cl GROUP BY cx, cy HAVING count(*) = 1) SELECT * FROM cells UNION SELECT * FROM sole")
+@query("g10_close_voids", f"""WITH {_CELLS},
+o AS (SELECT i, j FROM range(-2, 3) a(i), range(-2, 3) b(j) WHERE i*i+j*j <= 4),
+wide AS (SELECT DISTINCT district, cx+i AS cx, cy+j AS cy FROM cells, o),
+cl AS (SELECT district, cx+i AS cx, cy+j AS cy FROM wide, o GROUP BY 1, 2, 3 HAVING count(*) = (SELECT count(*) FROM o)),
+sole AS (SELECT min(district) AS district, cx, cy FROM cl GROUP BY cx, cy HAVING count(*) = 1)
+SELECT * FROM cells UNION SELECT * FROM sole""")
 def voids(spark, d):
     return G.close_voids(cells(spark, d), 2)
 
@@ -182,7 +210,10 @@ def owners(spark, d):
     return G.first_owner(cells(spark, d))
 
 
-@query("g11_drop_slivers", f"WITH {EDGES}, a AS (SELECT feature_id, abs(sum(ax*by-bx*ay)/2) AS area FROM edges GROUP BY 1) SELECT feature_id, k::INT AS polygon_idx, round(area*f, 9) AS area, area*f >= 0.8 AS kept, area < 0.8 AS vanished FROM a, (VALUES (0, 1.0::DOUBLE), (1, 0.01::DOUBLE)) t(k, f)")
+@query("g11_drop_slivers", f"""WITH {EDGES},
+a AS (SELECT feature_id, abs(sum(ax*by-bx*ay)/2) AS area FROM edges GROUP BY 1)
+SELECT feature_id, k::INT AS polygon_idx, round(area*f, 9) AS area, area*f >= 0.8 AS kept, area < 0.8 AS vanished
+  FROM a, (VALUES (0, 1.0::DOUBLE), (1, 0.01::DOUBLE)) t(k, f)""")
 def slivers(spark, d):
     small = F.transform(F.col("polygons")[0], lambda r: F.transform(r, lambda v: F.struct((v["x"] * 0.1).alias("x"), (v["y"] * 0.1).alias("y"))))
     two = units(spark, d).withColumn("polygons", F.array(F.col("polygons")[0], small))
@@ -208,25 +239,33 @@ def largest(spark, d):
 _PAIR = _OVER + ", ua AS (SELECT pid, feature_id FROM oh WHERE feature_id < 10), ub AS (SELECT pid, feature_id-100 AS feature_id FROM oh WHERE feature_id >= 100)"
 
 
-@query("g12_clip_report", f"WITH {_PAIR} SELECT ub.feature_id, count(*) AS n, round(avg((ua.pid IS NULL)::INT), 9) AS outside FROM ub LEFT JOIN (SELECT DISTINCT pid FROM ua) ua ON ua.pid = ub.pid GROUP BY 1")
+@query("g12_clip_report", f"""WITH {_PAIR} SELECT ub.feature_id, count(*) AS n, round(avg((ua.pid IS NULL)::INT), 9) AS outside FROM ub LEFT JOIN (SELECT DISTINCT pid
+  FROM ua) ua ON ua.pid = ub.pid GROUP BY 1""")
 def clip(spark, d):
     u = units(spark, d).where("feature_id < 10")
     return G.clip_report(points(spark, d), _shift(u, 0.3), u).withColumn("outside", F.round("outside", 9))
 
 
-@query("g13_iou", f"WITH {_PAIR}, f AS (SELECT coalesce(ua.feature_id, ub.feature_id) AS feature_id, ua.pid IS NOT NULL AND ub.pid IS NOT NULL AS b FROM ua FULL JOIN ub ON ua.pid = ub.pid AND ua.feature_id = ub.feature_id) SELECT feature_id, count(*) FILTER (b) AS both, count(*) AS either, round(count(*) FILTER (b) / count(*), 9) AS iou FROM f GROUP BY 1")
+@query("g13_iou", f"""WITH {_PAIR},
+f AS (SELECT coalesce(ua.feature_id, ub.feature_id) AS feature_id, ua.pid IS NOT NULL AND ub.pid IS NOT NULL AS b FROM ua FULL JOIN ub ON ua.pid = ub.pid
+  AND ua.feature_id = ub.feature_id)
+SELECT feature_id, count(*) FILTER (b) AS both, count(*) AS either, round(count(*) FILTER (b) / count(*), 9) AS iou FROM f GROUP BY 1""")
 def overlap(spark, d):
     u = units(spark, d).where("feature_id < 10")
     return G.iou(points(spark, d), u, _shift(u, 0.3)).withColumn("iou", F.round("iou", 9))
 
 
-@query("g29_outline_difference", f"WITH {_PAIR} SELECT count(*) AS n, count(*) FILTER ((a.pid IS NULL) <> (b.pid IS NULL)) AS differ FROM pts LEFT JOIN (SELECT DISTINCT pid FROM ua) a USING (pid) LEFT JOIN (SELECT DISTINCT pid FROM ub) b USING (pid)")
+@query("g29_outline_difference", f"""WITH {_PAIR} SELECT count(*) AS n, count(*) FILTER ((a.pid IS NULL) <> (b.pid IS NULL)) AS differ FROM pts LEFT JOIN (SELECT DISTINCT pid
+  FROM ua) a USING (pid) LEFT JOIN (SELECT DISTINCT pid FROM ub) b USING (pid)""")
 def outlines(spark, d):
     u = units(spark, d).where("feature_id < 10")
     return G.outline_difference(points(spark, d), u, _shift(u, 0.3))
 
 
-_IP = "l AS (SELECT feature_id, min(ay)+(max(ay)-min(ay))*0.4997::DOUBLE AS y FROM edges GROUP BY 1), xs AS (SELECT feature_id, y, (bx-ax)*(y-ay)/(by-ay)+ax AS x FROM edges JOIN l USING (feature_id) WHERE (ay > y) <> (by > y)), sp AS (SELECT feature_id, y, x, lead(x) OVER w AS x2, row_number() OVER w AS k FROM xs WINDOW w AS (PARTITION BY feature_id ORDER BY x)), ip AS (SELECT feature_id AS p, arg_max(struct_pack(x := (x+x2)/2, y := y), x2-x) AS q FROM sp WHERE k%2=1 AND x2 IS NOT NULL GROUP BY 1)"
+_IP = """l AS (SELECT feature_id, min(ay)+(max(ay)-min(ay))*0.4997::DOUBLE AS y FROM edges GROUP BY 1),
+xs AS (SELECT feature_id, y, (bx-ax)*(y-ay)/(by-ay)+ax AS x FROM edges JOIN l USING (feature_id) WHERE (ay > y) <> (by > y)),
+sp AS (SELECT feature_id, y, x, lead(x) OVER w AS x2, row_number() OVER w AS k FROM xs WINDOW w AS (PARTITION BY feature_id ORDER BY x)),
+ip AS (SELECT feature_id AS p, arg_max(struct_pack(x := (x+x2)/2, y := y), x2-x) AS q FROM sp WHERE k%2=1 AND x2 IS NOT NULL GROUP BY 1)"""
 
 
 @query(
@@ -252,39 +291,57 @@ held AS (SELECT n.no, n.district AS own, u.feature_id, any_value(u.district) AS
 told AS (SELECT no, bool_or(district = own) AS a, bool_or(CASE WHEN feature_id = 7 THEN own = 0 ELSE district = own END) AS b FROM held GROUP BY no)"""
 
 
-@query("g15_check_whole_units", f"WITH {_PROBES} SELECT n.district AS coarse, count(*) AS probes, count(*) FILTER (coalesce(a, false) <> coalesce(b, false)) AS differ FROM numbered n LEFT JOIN told USING (no) GROUP BY 1")
+@query("g15_check_whole_units", f"""WITH {_PROBES} SELECT n.district AS coarse, count(*) AS probes, count(*) FILTER (coalesce(a, false) <> coalesce(b, false)) AS differ FROM numbered n LEFT
+  JOIN told USING (no) GROUP BY 1""")
 def whole(spark, d):
     # Unit 7 is listed for district 0, whose ground it isn't.
     parts = composition(spark, d).select(F.when(F.col("unit") == 7, 0).otherwise(F.col("district")).alias("coarse"), F.col("unit").alias("fine"))
     return G.check_whole_units(units(spark, d), districts(spark, d), parts)
 
 
-@query("g17_adjudicate_blocks", f"WITH {HITS} SELECT feature_id AS piece, sum(pid % 100)::BIGINT AS pop, count(*) AS blocks, CASE WHEN feature_id = 3 THEN 0 ELSE sum(pid % 100) END::BIGINT AS expected, feature_id <> 3 AS ok FROM hits GROUP BY 1")
+@query("g17_adjudicate_blocks", f"""WITH {HITS} SELECT feature_id AS piece, sum(pid % 100)::BIGINT AS pop, count(*) AS blocks, CASE
+  WHEN feature_id = 3 THEN 0 ELSE sum(pid % 100) END::BIGINT AS expected, feature_id <> 3 AS ok FROM hits GROUP BY 1""")
 def blocks(spark, d):
     b = points(spark, d).withColumn("pop", F.col("pid") % 100)
     told = P.classify(b, units(spark, d)).groupBy(F.col("feature_id").alias("piece")).agg(F.when(F.col("feature_id") == 3, F.lit(0)).otherwise(F.sum("pop")).alias("pop"))
     return G.adjudicate_blocks(b, units(spark, d), told)
 
 
-@query("g18_shared_borders", f"WITH {EDGES}, ke AS ({_KEYED}) SELECT p.feature_id AS a, q.feature_id AS b, round(sum(sqrt(pow(p.x2-p.x1,2)+pow(p.y2-p.y1,2))), 9) AS length FROM ke p JOIN ke q ON p.feature_id < q.feature_id AND p.x1=q.x1 AND p.y1=q.y1 AND p.x2=q.x2 AND p.y2=q.y2 GROUP BY 1, 2")
+@query("g18_shared_borders", f"""WITH {EDGES},
+ke AS ({_KEYED})
+SELECT p.feature_id AS a, q.feature_id AS b, round(sum(sqrt(pow(p.x2-p.x1,2)+pow(p.y2-p.y1,2))), 9) AS length FROM ke p
+  JOIN ke q ON p.feature_id < q.feature_id AND p.x1=q.x1 AND p.y1=q.y1 AND p.x2=q.x2 AND p.y2=q.y2 GROUP BY 1, 2""")
 def borders(spark, d):
     return G.shared_borders(units(spark, d)).withColumn("length", F.round("length", 9))
 
 
-@query("g19_check_descriptions", f"WITH {EDGES}, m AS (SELECT feature_id, sum((ax+bx)*(ax*by-bx*ay))/(3*sum(ax*by-bx*ay)) AS x, sum((ay+by)*(ax*by-bx*ay))/(3*sum(ax*by-bx*ay)) AS y FROM edges GROUP BY 1), r AS (SELECT n_nationkey AS a, (n_nationkey*7+3)%25 AS b, CASE n_nationkey%4 WHEN 0 THEN 'north' WHEN 1 THEN 'south' WHEN 2 THEN 'east' ELSE 'west' END AS side FROM nation) SELECT a, b, side, CASE side WHEN 'north' THEN p.y > q.y WHEN 'south' THEN p.y < q.y WHEN 'east' THEN p.x > q.x ELSE p.x < q.x END AS ok FROM r JOIN m p ON p.feature_id = a JOIN m q ON q.feature_id = b WHERE a <> b")
+@query("g19_check_descriptions", f"""WITH {EDGES},
+m AS (SELECT feature_id, sum((ax+bx)*(ax*by-bx*ay))/(3*sum(ax*by-bx*ay)) AS x, sum((ay+by)*(ax*by-bx*ay))/(3*sum(ax*by-bx*ay)) AS y FROM edges GROUP BY 1),
+r AS (SELECT n_nationkey AS a, (n_nationkey*7+3)%25 AS b, CASE n_nationkey%4 WHEN 0 THEN 'north' WHEN 1 THEN 'south'
+  WHEN 2 THEN 'east' ELSE 'west' END AS side FROM nation)
+SELECT a, b, side, CASE side WHEN 'north' THEN p.y > q.y WHEN 'south' THEN p.y < q.y WHEN 'east' THEN p.x > q.x ELSE p.x < q.x END AS ok FROM r
+  JOIN m p ON p.feature_id = a JOIN m q ON q.feature_id = b WHERE a <> b""")
 def descriptions(spark, d):
     r = table(spark, d, "nation").selectExpr("n_nationkey as a", "(n_nationkey*7+3)%25 as b", "CASE n_nationkey%4 WHEN 0 THEN 'north' WHEN 1 THEN 'south' WHEN 2 THEN 'east' ELSE 'west' END as side").where("a <> b")
     return G.check_descriptions(units(spark, d), r)
 
 
-@query("g21_check_extent", f"WITH {EDGES}, m AS (SELECT greatest(abs(min(ax + 0.3) - min(ax)), abs(max(ax + 0.3) - max(ax)), abs(min(ay + 0.3) - min(ay)), abs(max(ay + 0.3) - max(ay))) AS m FROM edges) SELECT round(m, 9) AS differ, m <= 0.1 AS ok FROM m")
+@query("g21_check_extent", f"""WITH {EDGES},
+m AS (SELECT greatest(abs(min(ax + 0.3) - min(ax)), abs(max(ax + 0.3) - max(ax)), abs(min(ay + 0.3) - min(ay)), abs(max(ay + 0.3) - max(ay))) AS m FROM edges)
+SELECT round(m, 9) AS differ, m <= 0.1 AS ok FROM m""")
 def extent(spark, d):
     return G.check_extent(units(spark, d), _shift(units(spark, d), 0.3), 0.1).withColumn("differ", F.round("differ", 9))
 
 
 
 
-@query("g22_check_disjoint_sources", f"WITH {EDGES}, {_IP}, two AS (SELECT feature_id, 'a' AS source, ax, ay, bx, by FROM edges UNION ALL SELECT feature_id + 100, 'b', ax+0.3::DOUBLE, ay+0.3::DOUBLE, bx+0.3::DOUBLE, by+0.3::DOUBLE FROM edges WHERE feature_id < 10), pr AS (SELECT p, 'a' AS ps, q.x AS x, q.y AS y FROM ip UNION ALL SELECT p + 100, 'b', q.x + 0.3::DOUBLE, q.y + 0.3::DOUBLE FROM ip WHERE p < 10) SELECT p AS probe, ps AS probe_source, feature_id, source FROM pr JOIN two ON (ay > y) <> (by > y) AND x < (bx-ax)*(y-ay)/(by-ay)+ax AND ps <> source GROUP BY p, ps, feature_id, source HAVING count(*)%2 = 1")
+@query("g22_check_disjoint_sources", f"""WITH {EDGES}, {_IP},
+two AS (SELECT feature_id, 'a' AS source, ax, ay, bx, by FROM edges
+UNION ALL SELECT feature_id + 100, 'b', ax+0.3::DOUBLE, ay+0.3::DOUBLE, bx+0.3::DOUBLE, by+0.3::DOUBLE FROM edges WHERE feature_id < 10),
+pr AS (SELECT p, 'a' AS ps, q.x AS x, q.y AS y FROM ip
+UNION ALL SELECT p + 100, 'b', q.x + 0.3::DOUBLE, q.y + 0.3::DOUBLE FROM ip WHERE p < 10)
+SELECT p AS probe, ps AS probe_source, feature_id, source FROM pr JOIN two ON (ay > y) <> (by > y) AND x < (bx-ax)*(y-ay)/(by-ay)+ax AND ps <> source
+  GROUP BY p, ps, feature_id, source HAVING count(*)%2 = 1""")
 def disjoint(spark, d):
     # The units as one source and ten of them, moved, as another: the moved ones reach into the first.
     u = units(spark, d).select("feature_id", "polygons")
@@ -292,26 +349,34 @@ def disjoint(spark, d):
     return G.check_disjoint_sources(two)
 
 
-@query("g23_corridor_median", "WITH s AS (SELECT s_suppkey AS k, ((s_suppkey*7919)%100003)*5.0::DOUBLE/100003 AS x, (s_suppkey%7)/10.0::DOUBLE AS y FROM supplier), l AS (SELECT k, x AS ax, y AS ay, x+1 AS bx, y+0.2 AS by FROM s), c AS (SELECT unnest(range(ceil(ax/0.25)::BIGINT, floor(bx/0.25)::BIGINT + 1)) AS k, ax, ay, bx, by FROM l) SELECT k, round(median(ay+(by-ay)*(k*0.25::DOUBLE-ax)/(bx-ax)), 9) AS y, count(*) AS n FROM c GROUP BY k")
+@query("g23_corridor_median", """WITH s AS (SELECT s_suppkey AS k, ((s_suppkey*7919)%100003)*5.0::DOUBLE/100003 AS x, (s_suppkey%7)/10.0::DOUBLE AS y FROM supplier),
+l AS (SELECT k, x AS ax, y AS ay, x+1 AS bx, y+0.2 AS by FROM s),
+c AS (SELECT unnest(range(ceil(ax/0.25)::BIGINT, floor(bx/0.25)::BIGINT + 1)) AS k, ax, ay, bx, by FROM l)
+SELECT k, round(median(ay+(by-ay)*(k*0.25::DOUBLE-ax)/(bx-ax)), 9) AS y, count(*) AS n FROM c GROUP BY k""")
 def corridor(spark, d):
     lines = sites(spark, d).selectExpr("sx as ax", "(sid % 7) / 10.0D as ay", "sx + 1 as bx", "(sid % 7) / 10.0D + 0.2D as by")
     return G.corridor_median(lines, 0.25).select("k", F.round("y", 9).alias("y"), "n")
 
 
-@query("w08_sample_gaps", "WITH s AS (SELECT l_orderkey % 50 AS path, CAST(l_orderkey * 8 + l_linenumber AS DOUBLE) AS x FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) SELECT path, before, after FROM (SELECT path, lag(x) OVER (PARTITION BY path ORDER BY x) AS before, x AS after FROM s) WHERE after - before > 450")
+@query("w08_sample_gaps", """WITH s AS (SELECT l_orderkey % 50 AS path, CAST(l_orderkey * 8 + l_linenumber AS DOUBLE) AS x FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem))
+SELECT path, before, after FROM (SELECT path, lag(x) OVER (PARTITION BY path ORDER BY x) AS before, x AS after FROM s) WHERE after - before > 450""")
 def gaps_in_samples(spark, d):
     s = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct().selectExpr("l_orderkey % 50 as path", "cast(l_orderkey * 8 + l_linenumber as double) as x")
     return G.sample_gaps(s, 300.0)
 
 
-@query("g24_split_by_line", f"WITH {HITS}, c AS (SELECT h.feature_id AS unit, x, y, round(x*4)::BIGINT AS lk FROM hits h JOIN pts p ON h.pid = p.pid), ln AS (SELECT k AS lk, 1 + k*0.15::DOUBLE AS ly FROM range(0, 19) t(k)) SELECT unit, CASE WHEN ly IS NULL THEN 'off' WHEN y > ly THEN 'above' ELSE 'below' END AS side, count(*) AS cells FROM c LEFT JOIN ln USING (lk) GROUP BY 1, 2")
+@query("g24_split_by_line", f"""WITH {HITS},
+c AS (SELECT h.feature_id AS unit, x, y, round(x*4)::BIGINT AS lk FROM hits h JOIN pts p ON h.pid = p.pid),
+ln AS (SELECT k AS lk, 1 + k*0.15::DOUBLE AS ly FROM range(0, 19) t(k))
+SELECT unit, CASE WHEN ly IS NULL THEN 'off' WHEN y > ly THEN 'above' ELSE 'below' END AS side, count(*) AS cells FROM c LEFT JOIN ln USING (lk) GROUP BY 1, 2""")
 def split_line(spark, d):
     cells_ = P.classify(points(spark, d), units(spark, d)).select(F.col("feature_id").alias("unit"), "x", "y")
     line = spark.range(19).select(F.col("id").alias("k"), (1 + F.col("id") * F.lit(0.15)).alias("y"))
     return G.split_by_line(cells_, line, 0.25)
 
 
-@query("g25_merge_same_name", "SELECT CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE 'D' || (n_nationkey % 4)::VARCHAR END AS name, count(*) AS rows, count(*)::INT AS parts FROM nation GROUP BY 1")
+@query("g25_merge_same_name", """SELECT CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE 'D' || (n_nationkey % 4)::VARCHAR END AS name, count(*) AS rows, count(*)::INT AS parts FROM nation
+  GROUP BY 1""")
 def same_name(spark, d):
     f = units(spark, d).withColumn("name", F.when(F.col("feature_id") % 6 == 0, " ").otherwise(F.concat(F.lit("D"), F.col("feature_id") % 4)))
     return G.merge_same_name(f).select("name", "rows", F.size("polygons").alias("parts"))
@@ -323,7 +388,9 @@ def shifted(spark, d):
     return G.boundary_shift(units(spark, d), units(spark, d), 0.1).select("feature_id", F.round("median", 9).alias("median"), F.round("greatest", 9).alias("greatest"))
 
 
-_SHARE = _PAIR + ", sh AS (SELECT ua.feature_id AS unit, ub.feature_id AS district, count(*)::DOUBLE / any_value(n) AS share FROM ua JOIN ub USING (pid) JOIN (SELECT feature_id, count(*) AS n FROM ua GROUP BY 1) c ON c.feature_id = ua.feature_id GROUP BY 1, 2)"
+_SHARE = _PAIR + """,
+sh AS (SELECT ua.feature_id AS unit, ub.feature_id AS district, count(*)::DOUBLE / any_value(n) AS share FROM ua JOIN ub USING (pid) JOIN (SELECT feature_id,
+  count(*) AS n FROM ua GROUP BY 1) c ON c.feature_id = ua.feature_id GROUP BY 1, 2)"""
 
 
 def _shares(spark, d):
@@ -336,7 +403,7 @@ def best(spark, d):
     return G.best_share(_shares(spark, d), 0.55).withColumn("share", F.round("share", 9))
 
 
-@query("j14_membership", f"WITH {_SHARE} SELECT unit, max(CASE WHEN share >= 0.5 THEN district END) AS home, string_agg(district::VARCHAR, ',' ORDER BY district) FILTER (share > 0.1) AS districts FROM sh GROUP BY 1")
+@query("j14_membership", f"""WITH {_SHARE} SELECT unit, max(CASE WHEN share >= 0.5 THEN district END) AS home, string_agg(district::VARCHAR, ',' ORDER BY district) FILTER (share > 0.1) AS districts FROM sh GROUP BY 1""")
 def members(spark, d):
     return G.membership(_shares(spark, d)).withColumn("districts", F.array_join("districts", ","))
 

@@ -44,7 +44,8 @@ def links(spark, d):
     return X.extract_links(table(spark, d, "pages")).withColumn("links", F.array_join("links", " "))
 
 
-@query("x02_extract_table_rows", "SELECT c_nationkey::BIGINT AS page_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)::INT AS row_no, c_name || '|' || c_mktsegment AS cells FROM customer")
+@query("x02_extract_table_rows", """SELECT c_nationkey::BIGINT AS page_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)::INT AS row_no, c_name || '|' || c_mktsegment AS cells
+  FROM customer""")
 def rows(spark, d):
     tr = F.concat(F.lit("<tr class=x><td> <b>"), "c_name", F.lit("</b></td>\n<td>"), "c_mktsegment", F.lit(" </td></tr>"))
     g = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", tr.alias("t")))).alias("ts"))
@@ -52,7 +53,8 @@ def rows(spark, d):
     return X.extract_table_rows(g.select("page_id", html.alias("html")), "Name").withColumn("cells", F.array_join("cells", "|"))
 
 
-@query("x03_split_terminated", "SELECT c_nationkey AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN 'Hall' WHEN c_custkey % 3 = 1 THEN 'Hall East' END AS label, CASE WHEN c_custkey % 3 = 2 THEN 'Room ' ELSE '' END || c_custkey::VARCHAR || ' Elm St' AS rest FROM customer")
+@query("x03_split_terminated", """SELECT c_nationkey AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN 'Hall' WHEN c_custkey % 3 = 1 THEN 'Hall East' END AS label, CASE
+  WHEN c_custkey % 3 = 2 THEN 'Room ' ELSE '' END || c_custkey::VARCHAR || ' Elm St' AS rest FROM customer""")
 def notices(spark, d):
     row = F.expr("concat(CASE WHEN c_custkey % 3 = 0 THEN 'Hall ' WHEN c_custkey % 3 = 1 THEN 'HALL EAST ' ELSE 'Room ' END, c_custkey, ' Elm St; 6 am')")
     docs = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("doc_id")).agg(F.concat(F.lit("x BEGIN "), F.array_join(F.collect_list(row), "\n"), F.lit(" END y")).alias("text"))
@@ -60,13 +62,17 @@ def notices(spark, d):
     return X.split_terminated(docs, labels, "BEGIN", "END", r"; 6 am\s*").select("doc_id", "label", "rest")
 
 
-@query("x04_expand_grouped_labels", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'N. Field ' || k::VARCHAR WHEN c_custkey % 3 = 1 THEN CASE k WHEN 2 THEN 'East Fork 2' ELSE 'Grand 3' END ELSE 'Plain' END AS label FROM customer, (VALUES (2), (3), (5)) t(k) WHERE CASE WHEN c_custkey % 3 = 0 THEN true WHEN c_custkey % 3 = 1 THEN k <= 3 ELSE k = 2 END")
+@query("x04_expand_grouped_labels", """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'N. Field ' || k::VARCHAR WHEN c_custkey % 3 = 1 THEN CASE k
+  WHEN 2 THEN 'East Fork 2' ELSE 'Grand 3' END ELSE 'Plain' END AS label FROM customer, (VALUES (2), (3), (5)) t(k) WHERE CASE
+  WHEN c_custkey % 3 = 0 THEN true WHEN c_custkey % 3 = 1 THEN k <= 3 ELSE k = 2 END""")
 def expanded(spark, d):
     rows_ = table(spark, d, "customer").selectExpr("c_custkey", "CASE WHEN c_custkey % 3 = 0 THEN 'N. Field 2,3 & 5' WHEN c_custkey % 3 = 1 THEN 'East Fork 2 & Grand 3' ELSE ' Plain ' END as t")
     return X.expand_grouped_labels(rows_, "t").select("c_custkey", "label")
 
 
-@query("x05_walk_records", "SELECT c_name AS name, '$/' || c_nationkey::VARCHAR || '/members/' || (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::VARCHAR AS path FROM customer UNION ALL SELECT 'body' || n_nationkey::VARCHAR, '$/' || n_nationkey::VARCHAR FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)")
+@query("x05_walk_records", """SELECT c_name AS name, '$/' || c_nationkey::VARCHAR || '/members/' || (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::VARCHAR AS path
+  FROM customer
+UNION ALL SELECT 'body' || n_nationkey::VARCHAR, '$/' || n_nationkey::VARCHAR FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)""")
 def walked(spark, d):
     m = table(spark, d, "customer").groupBy("c_nationkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: F.struct(x["c_name"].alias("name"), x["c_custkey"].alias("no"))).alias("members"))
     docs = X.keyed_documents(m.select(F.lit("all").alias("g"), F.col("c_nationkey").alias("k"), F.concat(F.lit("body"), "c_nationkey").alias("name"), "members"), "g", "k")
@@ -80,7 +86,8 @@ def delimited(spark, d):
     return X.read_delimited(spark, path, "k", F.col("size").cast("int") % 2 == 0).select("k", "brand")
 
 
-@query("x07_read_placemarks", "SELECT n_regionkey::VARCHAR AS folder, n_name AS name, n_nationkey::VARCHAR AS code, k::INT AS ring, 3 * k + n_nationkey AS x, round(CASE k WHEN 0 THEN 8 + n_nationkey * 4 / 2 ELSE 0.5 END, 9)::DOUBLE AS area FROM nation, range(2) t(k)")
+@query("x07_read_placemarks", """SELECT n_regionkey::VARCHAR AS folder, n_name AS name, n_nationkey::VARCHAR AS code, k::INT AS ring, 3 * k + n_nationkey AS x, round(CASE k
+  WHEN 0 THEN 8 + n_nationkey * 4 / 2 ELSE 0.5 END, 9)::DOUBLE AS area FROM nation, range(2) t(k)""")
 def placemarks(spark, d):
     path = _scratch(spark)
     pm = F.expr("concat('<Placemark><name>', n_name, '</name><ExtendedData><Data name=\"code\"><value>', n_nationkey, '</value></Data></ExtendedData><Polygon><outerBoundaryIs><LinearRing><coordinates>', n_nationkey, ',0 ', n_nationkey + 4, ',0 ', n_nationkey + 4, ',', n_nationkey + 4, ' ', n_nationkey, ',0</coordinates></LinearRing></outerBoundaryIs><innerBoundaryIs><LinearRing><coordinates>', n_nationkey + 3, ',1 ', n_nationkey + 4, ',1,0 ', n_nationkey + 4, ',2 ', n_nationkey + 3, ',1</coordinates></LinearRing></innerBoundaryIs></Polygon></Placemark>')")
@@ -97,12 +104,14 @@ def keyed(spark, d):
     return X.keyed_json(docs, "name:string,seg:string")
 
 
-@query("x10_keyed_documents", "SELECT c_nationkey AS g, '{' || string_agg('\"' || c_custkey::VARCHAR || '\":{\"seg\":\"' || c_mktsegment || '\"}', ',' ORDER BY c_custkey::VARCHAR) || '}' AS text FROM customer GROUP BY 1")
+@query("x10_keyed_documents", """SELECT c_nationkey AS g, '{' || string_agg('\"' || c_custkey::VARCHAR || '\":{\"seg\":\"' || c_mktsegment || '\"}', ',' ORDER BY c_custkey::VARCHAR) || '}' AS text FROM customer GROUP BY 1""")
 def documents(spark, d):
     return X.keyed_documents(table(spark, d, "customer").selectExpr("c_nationkey as g", "c_custkey as k", "c_mktsegment as seg"), "g", "k")
 
 
-@query("x09_normalise_flat_rings", f"WITH {EDGES}, a AS (SELECT feature_id, abs(sum(ax*by-bx*ay)/2) AS area FROM edges GROUP BY 1) SELECT feature_id, p::INT AS polygon_idx, r::INT AS ring_idx, round(area * f, 9) AS area FROM a, (VALUES (0, 0, 1.0), (0, 1, 0.25), (1, 0, 0.04)) t(p, r, f)")
+@query("x09_normalise_flat_rings", f"""WITH {EDGES},
+a AS (SELECT feature_id, abs(sum(ax*by-bx*ay)/2) AS area FROM edges GROUP BY 1)
+SELECT feature_id, p::INT AS polygon_idx, r::INT AS ring_idx, round(area * f, 9) AS area FROM a, (VALUES (0, 0, 1.0), (0, 1, 0.25), (1, 0, 0.04)) t(p, r, f)""")
 def flat_rings(spark, d):
     u = units(spark, d)
     m = P.ring_measures(u).select("feature_id", "cx", "cy")
@@ -119,7 +128,8 @@ def _roster(spark, d):
     return table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").alias("district")).agg(F.min("c_name").alias("holder"))
 
 
-_STATUS = "s AS (SELECT p.pid, CASE WHEN h.pid IS NULL THEN 'NONE' ELSE 'OK' END AS status, feature_id::VARCHAR AS district, feature_id, name FROM pts p LEFT JOIN hits h ON h.pid = p.pid)"
+_STATUS = """s AS (SELECT p.pid, CASE WHEN h.pid IS NULL THEN 'NONE' ELSE 'OK' END AS status, feature_id::VARCHAR AS district, feature_id, name FROM pts p LEFT
+  JOIN hits h ON h.pid = p.pid)"""
 
 
 @query("l01_polygon_layer", f"WITH {HITS}, {_STATUS} SELECT pid, status, district, name AS holder FROM s")
@@ -127,7 +137,8 @@ def l01(spark, d):
     return L.polygon_layer("unit", units(spark, d)).query(points(spark, d))
 
 
-@query("l02_school_zone_layer", f"WITH {HITS}, {_STATUS} SELECT pid, status, district, CASE WHEN district IS NOT NULL THEN 'Zone' || CASE WHEN feature_id % 2 = 0 THEN ' HS (9–12)' ELSE ' Elementary (K, 2)' END END AS holder FROM s")
+@query("l02_school_zone_layer", f"""WITH {HITS}, {_STATUS} SELECT pid, status, district, CASE WHEN district IS NOT NULL THEN 'Zone' || CASE
+  WHEN feature_id % 2 = 0 THEN ' HS (9–12)' ELSE ' Elementary (K, 2)' END END AS holder FROM s""")
 def l02(spark, d):
     f = units(spark, d).withColumns({"school": F.when(F.col("feature_id") % 2 == 0, "ZONE HS").otherwise("ZONE ELEMENTARY"), "grades": F.when(F.col("feature_id") % 2 == 0, "9, 10, 11, 12").otherwise("K, 2")})
     return L.school_zone_layer("school", f).query(points(spark, d))
@@ -146,19 +157,25 @@ def l04(spark, d):
     return L.chamber_layer("chamber", units(spark, d), _roster(spark, d)).query(points(spark, d))
 
 
-@query("l05_nearest_layer", f"WITH {POINTS}, {SITES} SELECT pid, 'OK' AS status, string_agg(sid::VARCHAR, ',' ORDER BY r) AS district, NULL::VARCHAR AS holder FROM (SELECT pid, sid, row_number() OVER (PARTITION BY pid ORDER BY sqrt((x-sx)*(x-sx)+(y-sy)*(y-sy)), sid) AS r FROM pts, sites) WHERE r <= 3 GROUP BY pid")
+@query("l05_nearest_layer", f"""WITH {POINTS}, {SITES} SELECT pid, 'OK' AS status, string_agg(sid::VARCHAR, ',' ORDER BY r) AS district, NULL::VARCHAR AS holder
+  FROM (SELECT pid, sid, row_number() OVER (PARTITION BY pid ORDER BY sqrt((x-sx)*(x-sx)+(y-sy)*(y-sy)), sid) AS r FROM pts, sites) WHERE r <= 3 GROUP BY pid""")
 def l05(spark, d):
     return L.nearest_layer("sites", sites(spark, d)).query(points(spark, d))
 
 
-@query("l06_dispatched_layer", f"WITH {_OVER}, w AS (SELECT pid, arg_min(feature_id, (feature_id % 4) * 1000 + feature_id) AS f FROM oh GROUP BY pid), c AS (SELECT DISTINCT pid FROM oh WHERE feature_id < 10) SELECT c.pid, 'OK' AS status, f::VARCHAR AS district, 'src' || (f % 4)::VARCHAR AS holder FROM c JOIN w USING (pid)")
+@query("l06_dispatched_layer", f"""WITH {_OVER},
+w AS (SELECT pid, arg_min(feature_id, (feature_id % 4) * 1000 + feature_id) AS f FROM oh GROUP BY pid),
+c AS (SELECT DISTINCT pid FROM oh WHERE feature_id < 10)
+SELECT c.pid, 'OK' AS status, f::VARCHAR AS district, 'src' || (f % 4)::VARCHAR AS holder FROM c JOIN w USING (pid)""")
 def l06(spark, d):
     k = F.col("feature_id")
     entries = _overlaid(spark, d).withColumns({"entry_order": k % 4, "source": F.concat(F.lit("src"), (k % 4).cast("string")), "available": F.lit(True)})
     return L.dispatched_layer("wards", entries, units(spark, d).where("feature_id < 10")).query(points(spark, d))
 
 
-@query("l07_identity_layer", f"WITH {HITS}, {_STATUS}, o AS (SELECT c_nationkey, string_agg(c_name, ', ' ORDER BY c_name) AS holder FROM customer WHERE c_custkey % 100 = 0 GROUP BY 1) SELECT pid, status, district, holder FROM s LEFT JOIN o ON c_nationkey = feature_id")
+@query("l07_identity_layer", f"""WITH {HITS}, {_STATUS},
+o AS (SELECT c_nationkey, string_agg(c_name, ', ' ORDER BY c_name) AS holder FROM customer WHERE c_custkey % 100 = 0 GROUP BY 1)
+SELECT pid, status, district, holder FROM s LEFT JOIN o ON c_nationkey = feature_id""")
 def l07(spark, d):
     officers = table(spark, d, "customer").where("c_custkey % 100 = 0").selectExpr("c_nationkey as district", "c_name as name")
     return L.identity_layer("unit", units(spark, d), officers).query(points(spark, d))
@@ -170,7 +187,9 @@ def l08(spark, d):
     return L.sub_layer(L.polygon_layer("unit", units(spark, d)), parent).query(points(spark, d))
 
 
-@query("l09_civic_profile", f"WITH {HITS}, {_STATUS}, {_BUILD} SELECT pid, 'unit' AS layer, status, district, name AS holder FROM s UNION ALL SELECT pid, 'chamber', status, district, holder FROM s LEFT JOIN r ON c_nationkey = feature_id UNION ALL SELECT pid, 'broken', 'ERROR', NULL, NULL FROM pts")
+@query("l09_civic_profile", f"""WITH {HITS}, {_STATUS}, {_BUILD} SELECT pid, 'unit' AS layer, status, district, name AS holder FROM s
+UNION ALL SELECT pid, 'chamber', status, district, holder FROM s LEFT JOIN r ON c_nationkey = feature_id
+UNION ALL SELECT pid, 'broken', 'ERROR', NULL, NULL FROM pts""")
 def l09(spark, d):
     def broken(p):
         raise ValueError("the source is away")
@@ -219,7 +238,7 @@ def t03(spark, d):
     return spark.read.parquet(out).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query("t04_health_stream", "SELECT 'job' || (user_id % 60)::VARCHAR AS job, count(*) AS runs, count(*) FILTER (event_id % 5 = 0) AS failures FROM events WHERE event_id % 9 <> 0 GROUP BY 1")
+@query("t04_health_stream", """SELECT 'job' || (user_id % 60)::VARCHAR AS job, count(*) AS runs, count(*) FILTER (event_id % 5 = 0) AS failures FROM events WHERE event_id % 9 <> 0 GROUP BY 1""")
 def t04(spark, d):
     runs, _ = health_input(spark, d)
     out = _scratch(spark)
