@@ -194,3 +194,33 @@ def test_records_nested_too_deep_raise(spark):
     assert sorted(r.path for r in X.walk_records(df).select("path").collect()) == ["$", "$/kids/0", "$/kids/0/kids/0", "$/more/x"]
     with pytest.raises(Exception, match="nested too deep"):
         X.walk_records(df, depth=2).count()
+
+
+def test_overlay_areas_with_holes_parts_and_touching_sides(spark):
+    from wardlight.operators.overlay import overlay_areas
+
+    box = lambda x, y, w, h: [[x, y], [x + w, y], [x + w, y + h], [x, y + h], [x, y]]
+    a = layer(spark, (1, [[box(0.0, 0.0, 4.0, 4.0), box(1.0, 1.0, 1.0, 1.0)]]), (2, [[box(4.0, 0.0, 4.0, 4.0)], [box(100.0, 0.0, 1.0, 1.0)]]))
+    b = layer(spark, (7, [[box(0.5, 0.5, 2.0, 5.0)]]), (8, [[[[3.0, 0.0], [7.0, 4.0], [3.0, 4.0], [3.0, 0.0]]]]), (9, [[box(8.0, 0.0, 1.0, 1.0)], [box(100.5, 0.5, 9.0, 9.0)]]))
+    got = {(r.a_id, r.b_id): round(r.shared, 9) for r in overlay_areas(a, b).collect()}
+    assert got == {(1, 7): 2 * 3.5 - 1, (1, 8): 3.5, (2, 8): 4.5, (2, 9): 0.25}
+    assert overlay_areas(a, b.where("feature_id > 99")).count() == 0
+
+
+def test_overlay_areas_against_sample_points(spark):
+    import numpy as np
+
+    from wardlight.operators.overlay import shared_area
+
+    r = random.Random(3)
+
+    def star(cx, cy):
+        at = [(k * math.tau / 30, r.uniform(0.3, 1.0)) for k in range(30)]
+        pts = [(cx + f * math.cos(t), cy + f * math.sin(t)) for t, f in at]
+        return np.array([(*p, *q) for p, q in zip(pts, pts[1:] + pts[:1], strict=True)])
+
+    inside = lambda e, x, y: (((e[:, 1] > y) != (e[:, 3] > y)) & (x < (e[:, 2] - e[:, 0]) * (y - e[:, 1]) / (e[:, 3] - e[:, 1]) + e[:, 0])).sum() % 2 == 1
+    for _ in range(4):
+        a, b = star(0, 0), star(r.uniform(-0.5, 0.5), 0.2)
+        n = sum(inside(a, x, y) and inside(b, x, y) for x, y in ((-1 + (i + 0.5) / 50, -1 + (j + 0.5) / 50) for i in range(100) for j in range(100)))
+        assert abs(shared_area(a, b) - n * 4e-4) < 0.02

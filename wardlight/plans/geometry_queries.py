@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wardlight.operators import geometry as G
 from wardlight.operators import spatial as P
+from wardlight.operators.overlay import overlay_areas
 from wardlight.plans.base import EDGES, HITS, POINTS, VERTS, points, query, sites, table, units
 from wardlight.plans.spatial_queries import _OVER, _overlaid
 
@@ -255,6 +256,32 @@ def overlap(spark, d):
     return G.iou(points(spark, d), u, _shift(u, 0.3)).withColumn("iou", F.round("iou", 9))
 
 
+# Bands between all heights of vertices and crossings of a pair; at a band's middle the edges' order is that of the whole band.
+_CROSS = "(m.bx-m.ax)*(n.by-n.ay)-(m.by-m.ay)*(n.bx-n.ax)"
+_OVERLAY = f"""{EDGES}, ea AS (SELECT feature_id AS a, ax, ay, bx, by FROM edges WHERE feature_id < 10),
+eb AS (SELECT feature_id AS b, ax+0.3::DOUBLE AS ax, ay+0.3::DOUBLE AS ay, bx+0.3::DOUBLE AS bx, by+0.3::DOUBLE AS by FROM edges WHERE feature_id < 10),
+p AS (SELECT a, b FROM (SELECT DISTINCT a FROM ea), (SELECT DISTINCT b FROM eb)),
+el AS (SELECT a, b, 1 AS s, ax, ay, bx, by FROM p JOIN ea USING (a) UNION ALL SELECT a, b, 2, ax, ay, bx, by FROM p JOIN eb USING (b)),
+mn AS (SELECT m.a, m.b, m.ay AS y0, m.by AS y1, {_CROSS} AS d, (n.ax-m.ax)*(n.by-n.ay)-(n.ay-m.ay)*(n.bx-n.ax) AS t, (n.ax-m.ax)*(m.by-m.ay)-(n.ay-m.ay)*(m.bx-m.ax) AS u
+ FROM el m JOIN el n ON m.a = n.a AND m.b = n.b AND m.s = 1 AND n.s = 2),
+ys AS (SELECT a, b, ay AS y FROM el UNION SELECT a, b, y0 + t / d * (y1 - y0) FROM mn WHERE d <> 0 AND t / d BETWEEN 0 AND 1 AND u / d BETWEEN 0 AND 1),
+sl AS (SELECT a, b, y AS y0, lead(y) OVER (PARTITION BY a, b ORDER BY y) AS y1 FROM ys),
+ev AS (SELECT sl.a, sl.b, y0, y1, s, ax + (bx-ax)*((y0+y1)/2-ay)/(by-ay) AS x FROM sl JOIN el ON sl.a = el.a AND sl.b = el.b WHERE y1 IS NOT NULL AND (ay > (y0+y1)/2) <> (by > (y0+y1)/2)),
+w AS (SELECT a, b, y1 - y0 AS h, lead(x) OVER q - x AS wide, sum((s = 1)::INT) OVER q % 2 AS ia, sum((s = 2)::INT) OVER q % 2 AS ib FROM ev WINDOW q AS (PARTITION BY a, b, y0 ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+sh AS (SELECT a, b, sum(h * wide) AS shared FROM w WHERE ia = 1 AND ib = 1 AND wide IS NOT NULL GROUP BY 1, 2),
+ar AS (SELECT feature_id, abs(sum(ax*by-bx*ay)/2) AS area FROM edges GROUP BY 1)"""
+
+
+@query(
+    "g13_overlay_areas",
+    f"""WITH {_OVERLAY} SELECT sh.a AS a_id, sh.b AS b_id, round(shared, 7) AS shared, round(shared / (x.area + y.area - shared), 7) AS iou, round(shared / x.area, 7) AS share_a
+FROM sh JOIN ar x ON x.feature_id = sh.a JOIN ar y ON y.feature_id = sh.b WHERE shared > 1e-9""",
+)
+def overlay(spark, d):
+    u = units(spark, d).where("feature_id < 10")
+    return overlay_areas(u, _shift(u, 0.3), 1e-9).select("a_id", "b_id", *[F.round(c, 7).alias(c) for c in ("shared", "iou", "share_a")])
+
+
 @query("g29_outline_difference", f"""WITH {_PAIR} SELECT count(*) AS n, count(*) FILTER ((a.pid IS NULL) <> (b.pid IS NULL)) AS differ FROM pts LEFT JOIN (SELECT DISTINCT pid
   FROM ua) a USING (pid) LEFT JOIN (SELECT DISTINCT pid FROM ub) b USING (pid)""")
 def outlines(spark, d):
