@@ -673,3 +673,24 @@ def test_pipeline_stages(spark, sf):
         if name == "benchmark_decontamination" and 10_002 in kept:
             assert bench not in now.where("doc_id = 10002").first().text
     assert now.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+def test_pipeline_stages_on_empty_tables_nulls_and_clashing_columns(spark, sf):
+    import corpus_pipeline as cp
+
+    d = spark.read.parquet(f"{sf}/documents.parquet").withColumns({"row": F.lit(1), "spans": F.lit("s"), "found": F.lit("f"), "offset": F.lit(2), "digest": F.lit("d")})
+    odd = d.limit(3).withColumn("doc_id", F.lit(None).cast("long")).unionByName(d.limit(2).withColumn("text", F.lit(None).cast("string"))).unionByName(d.limit(2).withColumn("text", F.lit(" ")))
+    some = d.where("doc_id < 60").unionByName(odd).unionByName(d.where("doc_id < 5"))
+    for name, stage in cp.STAGES:
+        out = stage(spark, some.where("doc_id < 0"), sf)
+        assert out.count() == 0, name
+        out = stage(spark, some, sf)
+        n = out.count()
+        if name == "best_fit_packing":
+            assert n >= some.count()
+        else:
+            assert out.schema == some.schema and n > 50, name
+        if name in ("pii", "benchmark_decontamination"):
+            assert out.where("doc_id is null").count() == 3 and out.where("text is null").count() == 2
+        if name == "ngram_jaccard_join":
+            assert n < some.count() and out.where("doc_id < 5").groupBy("doc_id").count().where("count > 2").count() == 0

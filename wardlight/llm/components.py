@@ -16,7 +16,10 @@ def _hang(pairs: DataFrame) -> DataFrame:
 def _large(edges: DataFrame) -> DataFrame:
     """Hangs every larger neighbour of a node on the node's least neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    hung = both.join(_hang(both), "u").where(F.col("v") > F.col("u"))
+    # least(u, u): this side is shuffled anew, since adaptive execution splits a hub's partition only where both sides of a
+    # join come straight from a shuffle.
+    least = _hang(both).select(F.least("u", "u").alias("u"), "m")
+    hung = both.join(least, "u").where(F.col("v") > F.col("u"))
     return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
@@ -30,9 +33,9 @@ def _small(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (u, v), undirected, of any ordered type → (node, component), component being the least node.
 
-    Nulls and loops are ignored, repeated edges count once; nodes without an edge do not appear. The least neighbour
-    is a partial aggregate, so a hub with very many edges is combined before its shuffle; the join after it has no
-    other demand on its partitioning, so that adaptive execution may split a hub's partition. Each round is written
+    Nulls and loops are ignored, repeated edges count once; nodes without an edge do not appear; no edges give no rows.
+    The least neighbour is a partial aggregate, so a hub with very many edges is combined before its shuffle, and the
+    join after it is one whose skewed partitions adaptive execution splits. Each round is written
     to the shared folder and the round before it is deleted. Nothing is collected but two numbers a round.
     """
     u, v = F.greatest("u", "v"), F.least("u", "v")

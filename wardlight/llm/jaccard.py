@@ -16,7 +16,7 @@ from wardlight.llm.components import connected_components
 SHINGLE = 5
 THRESHOLD = 0.8
 COORDINATES = 64  # tokens that stand for a set: (i, least hash under function i)
-FIRST_RUNS = 2  # runs before the recall is measured by a further one
+FIRST_RUNS = 4  # runs that are drawn at once; the last of them measures the recall of the others
 TARGET = 0.999  # share of a further run's groups that have to be known already
 CHOSEN = 2  # tokens a set samples at a node: 1 / 0.5, so that a pair at the threshold meets at 1.6 children on average
 BUCKET = 1_500  # sets that one brute force takes
@@ -83,7 +83,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _children(nodes: DataFrame) -> DataFrame:
-    """nodes (path, rep, sketch) → the children (path, rep) each set chooses: CHOSEN tokens, sampled by the node's path alone."""
+    """nodes (path, rep, last, sketch) → the children (path, rep, last) each set chooses: CHOSEN tokens, sampled by the node's path alone."""
     id_type = dict(nodes.dtypes)["rep"]
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,9 +100,9 @@ def _children(nodes: DataFrame) -> DataFrame:
                 picked.append((picked[0] + 1 + more.astype(np.int64)) % COORDINATES)
             for at in picked:
                 token = tokens[rows, at].astype(np.uint64) | (at.astype(np.uint64) << np.uint64(32))
-                yield pa.RecordBatch.from_arrays([pa.array(mix(path + mix(token)).view(np.int64)), batch.column("rep")], names=["path", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(mix(path + mix(token)).view(np.int64)), batch.column("rep"), batch.column("last")], names=["path", "rep", "last"])
 
-    return nodes.select("path", "rep", "sketch").mapInArrow(choose, f"path long, rep {id_type}")
+    return nodes.select("path", "rep", "last", "sketch").mapInArrow(choose, f"path long, rep {id_type}, last boolean")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: str, most: int = 4_096) -> Iterator[pa.RecordBatch]:
@@ -147,7 +147,7 @@ def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _brute_force(members: DataFrame) -> DataFrame:
-    """members (bucket, side, rep, sketch) → edges (u, v) that join the sets of a bucket whose tokens agree, a forest for each bucket.
+    """members (bucket, side, rep, last, sketch) → edges (u, v, last) that join the sets of a bucket whose tokens agree, a forest for each bucket.
 
     side 0: a whole bucket, all against all; sides 1 and 2: the two halves of a pair of blocks.
     """
@@ -171,10 +171,10 @@ def _brute_force(members: DataFrame) -> DataFrame:
                 label = _least_labels(n, np.concatenate(firsts), np.concatenate(seconds))
                 hung = np.flatnonzero(label != np.arange(n))
                 reps = batch.column("rep")
-                yield pa.RecordBatch.from_arrays([reps.take(pa.array(hung)), reps.take(pa.array(label[hung]))], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([reps.take(pa.array(hung)), reps.take(pa.array(label[hung])), batch.column("last").take(pa.array(hung))], names=["u", "v", "last"])
 
     dealt = members.repartition("bucket").sortWithinPartitions("bucket", "side", "rep")
-    return dealt.select("bucket", "side", "rep", "sketch").mapInArrow(force, f"u {id_type}, v {id_type}")
+    return dealt.select("bucket", "side", "rep", "last", "sketch").mapInArrow(force, f"u {id_type}, v {id_type}, last boolean")
 
 
 def in_blocks(df: DataFrame, key: str, n: str, order: str, limit: int) -> DataFrame:
@@ -195,15 +195,15 @@ def in_blocks(df: DataFrame, key: str, n: str, order: str, limit: int) -> DataFr
 
 
 def _from_pivot(members: DataFrame) -> DataFrame:
-    """members (path, rep, n, sketch, pivot, pivot_sketch) → path, rep, n, pivot, off: the tokens in which a set differs from its node's pivot."""
+    """members (path, rep, last, sketch, pivot, pivot_sketch) → path, rep, last, pivot, off: the tokens in which a set differs from its node's pivot."""
     id_type = dict(members.dtypes)["rep"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, pivot = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, COORDINATES) for c in ("sketch", "pivot_sketch"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "rep", "n", "pivot")), pa.array((own != pivot).sum(axis=1).astype(np.int32))], names=["path", "rep", "n", "pivot", "off"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "rep", "last", "pivot")), pa.array((own != pivot).sum(axis=1).astype(np.int32))], names=["path", "rep", "last", "pivot", "off"])
 
-    return members.select("path", "rep", "n", "sketch", "pivot", "pivot_sketch").mapInArrow(count, f"path long, rep {id_type}, n long, pivot {id_type}, off int")
+    return members.select("path", "rep", "last", "sketch", "pivot", "pivot_sketch").mapInArrow(count, f"path long, rep {id_type}, last boolean, pivot {id_type}, off int")
 
 
 def _collapsed(large: DataFrame, sketch: DataFrame) -> DataFrame:
@@ -221,26 +221,27 @@ def _collapsed(large: DataFrame, sketch: DataFrame) -> DataFrame:
 
 
 def _doubtful(near: DataFrame) -> DataFrame:
-    """Of collapsed sets (path, rep, off), those that may be similar to represented ones only, and these, as (bucket, side, rep): in pairs of blocks."""
+    """Of collapsed sets (path, rep, off), those that may be similar to represented ones only, and these, as (bucket, side, rep, last): in pairs of blocks."""
     kind = F.when((F.col("off") > APART) & (F.col("off") <= APART + TIGHT), 1).when(F.col("off") <= TIGHT, 2)
-    both = near.select("path", "rep", kind.alias("side")).where("side is not null")
+    both = near.select("path", "rep", "last", kind.alias("side")).where("side is not null")
     sizes = cut(both.groupBy("path").agg(F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == 2).alias("b")).where("a > 0"))
     n = F.when(F.col("side") == 1, F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     own = F.pmod(F.xxhash64("rep"), F.ceil(n["a"] / BUCKET))
     met = both.join(sizes, "path").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(n["b"] / BUCKET) - 1)))
     first, second = (F.when(F.col("side") == k, F.col("own")).otherwise(F.col("other")) for k in (1, 2))
-    return met.select(F.xxhash64("path", F.lit("doubtful"), first, second).alias("bucket"), F.col("side").cast("int").alias("side"), "rep")
+    return met.select(F.xxhash64("path", F.lit("doubtful"), first, second).alias("bucket"), F.col("side").cast("int").alias("side"), "rep", "last")
 
 
 def _runs(sketch: DataFrame, runs: range) -> DataFrame:
-    """sketch (rep, sketch) → edges (u, v) that connect the sets whose tokens agree, as some runs of the chosen-path recursion find them.
+    """sketch (rep, sketch) → edges (u, v, last) that connect the sets whose tokens agree, as some runs of the chosen-path recursion find them.
 
+    last: whether the last of the runs finds the edge.
     At each node a set chooses tokens by the node's path, so that sets meet in a child when they share a token chosen
     there. A child with one set ends; one with up to BUCKET sets is brute-forced; of a larger one the sets that its pivot
     represents leave, and the rest is brute-forced or split again. What is larger still after LEVELS is brute-forced in
     blocks.
     """
-    nodes = sketch.withColumn("path", F.explode(F.array(*[F.lit(r + 1).cast("long") for r in runs])))
+    nodes = sketch.withColumn("path", F.explode(F.array(*[F.lit(r + 1).cast("long") for r in runs]))).withColumn("last", F.col("path") == runs[-1] + 1)
     leaves, buckets, edges, made = [], [], [], []
     for level in range(1, LEVELS + 1):
         children = cut(_children(nodes))
@@ -254,9 +255,9 @@ def _runs(sketch: DataFrame, runs: range) -> DataFrame:
             break
         near = _collapsed(large, sketch)
         made.append(near)
-        edges.append(near.where((F.col("off") <= APART) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
+        edges.append(near.where((F.col("off") <= APART) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("u"), F.col("pivot").alias("v"), "last"))
         buckets.append(_doubtful(near))
-        rest = near.where((F.col("off") > TIGHT) | (F.col("rep") == F.col("pivot"))).select("path", "rep")
+        rest = near.where((F.col("off") > TIGHT) | (F.col("rep") == F.col("pivot"))).select("path", "rep", "last")
         sizes = cut(rest.groupBy("path").agg(F.count("*").alias("n")))
         rest = cut(rest.join(sizes, "path"))
         made += [sizes, rest]
@@ -267,8 +268,8 @@ def _runs(sketch: DataFrame, runs: range) -> DataFrame:
         large = rest.where(F.col("n") > BUCKET)
         if large.isEmpty():
             break
-        nodes = large.select("path", "rep").join(sketch, "rep")
-    buckets.append(in_blocks(reduce(DataFrame.unionByName, leaves), "path", "n", "rep", BUCKET).select("bucket", "side", "rep"))
+        nodes = large.select("path", "rep", "last").join(sketch, "rep")
+    buckets.append(in_blocks(reduce(DataFrame.unionByName, leaves), "path", "n", "rep", BUCKET).select("bucket", "side", "rep", "last"))
     members = reduce(DataFrame.unionByName, buckets).join(sketch, "rep")
     found = cut(reduce(DataFrame.unionByName, [_brute_force(members), *edges]).distinct())
     for table in made:
@@ -276,28 +277,30 @@ def _runs(sketch: DataFrame, runs: range) -> DataFrame:
     return found
 
 
-def candidate_edges(reps: DataFrame) -> DataFrame:
-    """reps (rep, sketch) → edges (u, v) that connect the sets whose tokens agree, by runs of the chosen-path recursion.
+def candidate_groups(reps: DataFrame) -> DataFrame:
+    """reps (rep, sketch) → node, component: the sets whose tokens agree, connected by runs of the chosen-path recursion.
 
-    Runs are repeated until one finds next to nothing: a further run is drawn, and of the groups that it finds the share
-    that the runs before had not connected is their measured loss. The edges of the further run count too. Runs end when
-    that share is at most 1 - TARGET; there is no fixed number of them.
+    Runs are repeated until one finds next to nothing: of the groups that a further run finds, the share that the runs
+    before had not connected is their measured loss. What the further run finds counts too. Runs end when that share is
+    at most 1 - TARGET; there is no fixed number of them.
     """
     sketch = reps.select("rep", "sketch")
-    edges, run = _runs(sketch, range(FIRST_RUNS)), FIRST_RUNS
+    found, run = _runs(sketch, range(FIRST_RUNS)), FIRST_RUNS
+    groups = cut(connected_components(found.where("not last").select("u", "v")))
+    further = found.where("last")
     while True:
-        groups = cut(connected_components(edges))
         label = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias("c" + c))  # noqa: E731, B023
-        further = _runs(sketch, range(run, run + 1))
-        told = cut(further.join(label("u"), "u", "left").join(label("v"), "v", "left").select("u", "v", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")))
-        fresh = F.col("cu") != F.col("cv")
-        each = told.groupBy(F.least("cu", "cv").alias("g")).agg(F.bool_or(fresh).alias("fresh"))
+        told = cut(further.join(label("u"), "u", "left").join(label("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
+        each = told.groupBy(F.least("u", "v").alias("g")).agg(F.bool_or(F.col("u") != F.col("v")).alias("fresh"))
         n = each.agg(F.count("*").alias("all"), F.count_if("fresh").alias("fresh")).first()
-        stars = groups.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-        edges = cut(stars.unionByName(told.where(fresh).select("u", "v")))
-        run += 1
+        if n.fresh:  # components of components, and sets that had been in none
+            merged = cut(connected_components(told))
+            moved = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+            alone = merged.join(groups, "node", "left_anti")
+            groups = cut(groups.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(alone))
         if n.fresh <= (1 - TARGET) * n.all:
-            return edges
+            return groups
+        further, run = _runs(sketch, range(run, run + 1)), run + 1
 
 
 def _verify(members: DataFrame) -> DataFrame:
@@ -430,7 +433,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     A pair at the threshold is missed only if all runs miss it and no third set connects it: a run misses it with
     probability 0.04 at its first level and 0.07 in all. Runs are repeated until a further one shows that TARGET is met
-    (see candidate_edges). Null and blank texts have no shingle, no link, and are a class of their own; a text under five
+    (see candidate_groups). Null and blank texts have no shingle, no link, and are a class of their own; a text under five
     words is one shingle; texts of any length are taken whole. Each row is a document by a key of its own, whether its
     doc_id is null or repeated, and ties between ids go to the earlier row; an empty table gives an empty one; other
     columns are not read.
@@ -449,10 +452,8 @@ def near_duplicate_rows(docs: DataFrame) -> DataFrame:
     least = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")).alias("least")
     reps = own.groupBy("h1", "h2", "size").agg(least, F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
     reps = cut(reps.withColumn("rep", F.col("least.row")))
-    edges = candidate_edges(reps)
-    groups = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
-    groups = cut(groups)
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
+    groups = candidate_groups(reps).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+    sizes = cut(groups.groupBy("grp").agg(F.count("*").alias("n")))
     who = groups.join(sizes, "grp").join(reps.select("rep", "copies"), "rep")
     texts = docs.select(F.col("row").alias("rep"), "text").join(who.hint("shuffle_hash"), "rep")
 
@@ -463,19 +464,21 @@ def near_duplicate_rows(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "grp", "n", "copies")), lists], names=["rep", "grp", "n", "copies", "shingles"])
 
     sets = texts.select("rep", "grp", "n", "copies", "text").mapInArrow(sets_of, "rep long, grp long, n long, copies long, shingles array<long>")
-    if sizes.where(F.col("n") > BUCKET).isEmpty():
-        checked = cut(_verify(in_blocks(sets, "grp", "n", "rep", BUCKET)))
+    if sizes.where(F.col("n") > BUCKET).isEmpty():  # a group is one bucket, where links and the least set connected are known
+        links = cut(_verify(in_blocks(sets, "grp", "n", "rep", BUCKET)))
+        classes = links.select("rep", F.col("label").alias("cls"))
     else:
         sets = cut(sets)
         known, rest = _by_centre(sets.where(F.col("n") > BUCKET))
-        small = in_blocks(sets.where(F.col("n") <= BUCKET), "grp", "n", "rep", BUCKET).select("bucket", "side", "rep", "copies", "shingles")
-        checked = cut(_verify(small.unionByName(rest)).unionByName(known))
+        one = cut(_verify(in_blocks(sets.where(F.col("n") <= BUCKET), "grp", "n", "rep", BUCKET)))
+        several = cut(_verify(rest).unionByName(known))
         drop(sets)
-    links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = connected_components(checked.select(F.col("rep").alias("u"), F.col("label").alias("v"))).select(F.col("node").alias("rep"), F.col("component").alias("cls"))
+        links = one.unionByName(several.groupBy("rep").agg(F.sum("links").alias("links"), F.min("label").alias("label")))
+        joined = connected_components(several.select(F.col("rep").alias("u"), F.col("label").alias("v")))
+        classes = one.select("rep", F.col("label").alias("cls")).unionByName(joined.select(F.col("node").alias("rep"), F.col("component").alias("cls")))
     classes = cut(classes.join(reps.select("rep", "least"), "rep"))
-    best = classes.groupBy("cls").agg(F.min("least").alias("best"))
-    told = reps.select("h1", "h2", "size", "rep", "copies", "least").join(links, "rep", "left").join(classes.select("rep", "cls").join(best, "cls"), "rep", "left")
+    best = cut(classes.groupBy("cls").agg(F.min("least").alias("best")))
+    told = reps.select("h1", "h2", "size", "rep", "copies", "least").join(links.select("rep", "links"), "rep", "left").join(classes.select("rep", "cls").join(best, "cls"), "rep", "left")
     told = told.select("h1", "h2", "size", "copies", "links", F.coalesce("best", "least").alias("best"))
     found = sk.select("row", "doc_id", "size", "h1", "h2").join(told, ["h1", "h2", "size"], "left")
     n_links = F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long")
