@@ -65,10 +65,13 @@ def test_jaccard_against_brute_force(spark, monkeypatch):
         cls = [min([cls[i], *(cls[j] for j in links[i])]) for i in range(n)]
     got = {x.doc_id: (x.class_id, x.n_links) for x in jaccard.near_duplicates(docs(spark, texts)).collect()}
     assert got == {i: (cls[i], len(links[i])) for i in range(n)}
-    # Ids below zero are told apart too.
-    less = docs(spark, texts).withColumn("doc_id", F.col("doc_id") - 3)
-    got = {x.doc_id + 3: (x.class_id + 3, x.n_links) for x in jaccard.near_duplicates(less).collect()}
-    assert got == {i: (cls[i], len(links[i])) for i in range(n)}
+
+
+def test_ids_below_zero_are_told_apart(spark):
+    w = words(120, 3, 5000)
+    rows = [(-2, " ".join(w)), (-1, " ".join([*w, "x"])), (3, " ".join(["y", *w])), (4, "other words are here")]
+    got = {x.doc_id: (x.class_id, x.n_links) for x in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {-2: (-2, 2), -1: (-2, 2), 3: (-2, 2), 4: (4, 0)}
 
 
 def test_components(spark):
