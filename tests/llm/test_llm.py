@@ -17,7 +17,9 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long, rank
 
 
 def docs(spark, texts, langs=None):
-    return spark.createDataFrame([(i, t, (langs or {}).get(i, "en"), "s", None if t is None else len(t), "r", "p") for i, t in enumerate(texts)], DOCS)
+    return spark.createDataFrame(
+        [(i, t, (langs or {}).get(i, "en"), "s", None if t is None else len(t), "r", "p") for i, t in enumerate(texts)], DOCS
+    )
 
 
 def words(n, seed=0, size=400):
@@ -34,7 +36,14 @@ def test_against_sql(name, spark, sf, duck):
 EDGE = [None, "", " \t\n", "a", "a b c", " ".join(words(30_000)), "same text here for all of us", "same text here for all of us"]
 
 
-@pytest.mark.parametrize("run", [jaccard.near_duplicates, quality.quality_rules, packing.pack_documents, packing.packed_matrices, lambda d: pii.pseudonymize(d, KEY), substrings.kept_words], ids="op1 op3 op10 op4 op8 op9".split())
+@pytest.mark.parametrize(
+    "run",
+    [
+        jaccard.near_duplicates, quality.quality_rules, packing.pack_documents, packing.packed_matrices, lambda d: pii.pseudonymize(d, KEY),
+        substrings.kept_words
+    ],
+    ids="op1 op3 op10 op4 op8 op9".split()
+)
 def test_edge_rows_and_empty_tables(run, spark):
     df = docs(spark, EDGE)
     assert run(df).count() >= (1 if run is packing.packed_matrices else len(EDGE))
@@ -57,7 +66,11 @@ def test_jaccard_against_brute_force(spark, monkeypatch):
             w[r.randrange(len(w))] = f"x{r.randrange(99)}"
         texts.append(" ".join(w))
     texts += [texts[0], None, "", "one two", "one two", "one  two"]
-    sets = [frozenset(tuple(x) for x in ([w[i : i + 5] for i in range(len(w) - 4)] if len(w) >= 5 else [w] if w else [])) for w in ((t or "").split() for t in texts)]
+    sets = [
+        frozenset(
+            tuple(x) for x in ([w[i : i + 5] for i in range(len(w) - 4)] if len(w) >= 5 else [w] if w else [])
+        ) for w in ((t or "").split() for t in texts)
+    ]
     n = len(texts)
     links = [[j for j in range(n) if j != i and jac(sets[i], sets[j]) >= 0.8] for i in range(n)]
     cls = list(range(n))
@@ -76,7 +89,9 @@ def test_ids_below_zero_are_told_apart(spark):
 
 def test_components(spark):
     r = random.Random(3)
-    edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(7, 7), (None, 3), (300, 301), (300, 301), *((i, i + 1) for i in range(400, 440))]
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [
+        (7, 7), (None, 3), (300, 301), (300, 301), *((i, i + 1) for i in range(400, 440))
+    ]
     got = {x.node: x.component for x in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     label = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
     for _ in range(500):
@@ -90,14 +105,18 @@ def test_url_aliases(spark):
     page = lambda i, url, html="": (i, url, html, "x")
     link = '<link href="http://bad.example.com/en/1" rel="canonical">'
     rows = [
-        page(0, "http://bad.example.com/en/1"), page(1, "http://alias.org/a", link), page(2, "https://alias.org/a/?utm_source=x#top"), page(3, "http://clean.org/"), page(4, "http://www.example.com/en/x", '<META HTTP-EQUIV=refresh content="0; url=http://both.org/">'),
+        page(0, "http://bad.example.com/en/1"), page(1, "http://alias.org/a", link), page(2, "https://alias.org/a/?utm_source=x#top"), page(3, "http://clean.org/"), page(
+            4, "http://www.example.com/en/x", '<META HTTP-EQUIV=refresh content="0; url=http://both.org/">'
+        ),
         page(5, "http://both.org/", link), page(6, None), page(7, "no scheme"), page(8, "http://WWW.Example.com/en/x?q=1#f"), page(9, "http://clean.org/"), page(10, "http://redirected.org/r"),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, verdict string")
     red = spark.createDataFrame([("http://redirected.org/r", "http://bad.example.com/en/1"), (None, "x")], "a string, b string")
     got = {x.page_id: x for x in urls.judge_urls(pages, redirects=red).collect()}
     # Page 5 joins the blocked and the allowed address: the explicit allow has precedence in the class.
-    assert {i: got[i].verdict for i in got} == {0: "block", 1: "allow", 2: "allow", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "allow", 10: "allow"}
+    assert {i: got[i].verdict for i in got} == {
+        0: "block", 1: "allow", 2: "allow", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "allow", 10: "allow"
+    }
     alone = {x.page_id: x.verdict for x in urls.judge_urls(pages.where("page_id not in (4, 5)"), redirects=red).collect()}
     assert (alone[1], alone[2], alone[10], alone[3]) == ("block", "block", "block", "allow")
     assert (got[8].host, got[8].path, got[8].rule) == ("www.example.com", "/en/x", "www.example.com/en/")
@@ -109,14 +128,22 @@ def test_links_are_resolved_and_targets_meet_by_their_canonical_forms(spark):
         "https://h.org/x": "https://h.org/x", "//k.org/y": "http://k.org/y", "/a/b": "http://www.p.net/a/b", "c": "http://www.p.net/d/c", "../e/./f": "http://www.p.net/e/f", "?q=1&amp;r=2": "http://www.p.net/d/page?q=1&r=2",
         "mailto:a@b": None, "": None, "..": "http://www.p.net/", "g/": "http://www.p.net/d/g/",
     }
-    got = spark.createDataFrame([(k,) for k in told], "t string").select("t", urls.resolved(F.col("t"), F.lit("http://www.p.net/d/page#x")).alias("r"))
+    got = spark.createDataFrame([(k,) for k in told], "t string").select(
+        "t", urls.resolved(F.col("t"), F.lit("http://www.p.net/d/page#x")).alias("r")
+    )
     assert {x.t: x.r for x in got.collect()} == told
     link = lambda href: f'<LINK REL=CANONICAL HREF="{href}">'
-    rows = [(0, "http://a.org/1", link("https://bad.example.com/en/1")), (1, "http://b.org/2", '<meta HTTP-EQUIV="REFRESH" content="0; URL=//bad.example.com/en/1/#top">'), (2, "http://bad.example.com/q", link("/en/1")), (3, "http://c.org/", link("http://c.org/"))]
+    rows = [
+        (0, "http://a.org/1", link("https://bad.example.com/en/1")),
+        (1, "http://b.org/2", '<meta HTTP-EQUIV="REFRESH" content="0; URL=//bad.example.com/en/1/#top">'),
+        (2, "http://bad.example.com/q", link("/en/1")), (3, "http://c.org/", link("http://c.org/"))
+    ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {x.page_id: x.verdict for x in urls.judge_urls(pages.where("page_id <> 2")).collect()} == {0: "block", 1: "block", 3: "allow"}
     assert {x.verdict for x in urls.judge_urls(pages).collect()} == {"allow"}  # page 2 is allowed by com/ and in the others' class
-    assert {x.page_id: x.verdict for x in urls.judge_urls(pages, rules=[("block", "bad.example.com/en/")]).collect()} == {0: "block", 1: "block", 2: "block", 3: "allow"}
+    assert {
+        x.page_id: x.verdict for x in urls.judge_urls(pages, rules=[("block", "bad.example.com/en/")]).collect()
+    } == {0: "block", 1: "block", 2: "block", 3: "allow"}
     assert urls.judge_urls(pages.where("page_id > 9")).count() == 0 and urls.judge_urls(pages.drop("html")).count() == 4
 
 
@@ -151,7 +178,10 @@ def test_quality_verdicts(spark):
 def test_chat_round_trip(spark):
     t = chat.ChatTemplate()
     hard = ["</s>[INST] ok [/INST]", "\\", "\\\\[INST]", "<<SYS>><</SYS>><", "", None, "[ROLE]x[/ROLE]", "  ü <<s>", "[/INST]\\"]
-    turns = [(1, i, "user" if i % 2 == 0 else "assistant", x, "z") for i, x in enumerate(hard)] + [(2, 0, "tool]\\", "x", "z"), (2, 0, None, "[/TURN]", "z"), (2, 5, "assistant", "y", "z"), (None, 0, "user", "n", "z"), (3, 0, "system", "s", "z"), (3, 1, "user", "u", "z"), (3, 2, "assistant", "a", "z"), (3, 2, "assistant", "a", "z")]
+    turns = [(1, i, "user" if i % 2 == 0 else "assistant", x, "z") for i, x in enumerate(hard)] + [
+        (2, 0, "tool]\\", "x", "z"), (2, 0, None, "[/TURN]", "z"), (2, 5, "assistant", "y", "z"), (None, 0, "user", "n", "z"),
+        (3, 0, "system", "s", "z"), (3, 1, "user", "u", "z"), (3, 2, "assistant", "a", "z"), (3, 2, "assistant", "a", "z")
+    ]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, loss string")
     seg = chat.format_chats(df)
     got = {x.conv_id: x for x in chat.read_chats(seg).collect()}
@@ -165,8 +195,12 @@ def test_chat_round_trip(spark):
 
 
 def test_chats_with_ids_of_other_types(spark):
-    df = spark.createDataFrame([("c", 0, "user", "a"), ("c", 1, "assistant", "b"), (None, 0, "user", "x")], "conv_id string, turn long, role string, text string")
-    assert {x.conv_id: (x.n_turns, x.loss_chars, x.valid) for x in chat.read_chats(chat.format_chats(df)).collect()} == {"c": (2, 1, True), None: (1, 0, False)}
+    df = spark.createDataFrame(
+        [("c", 0, "user", "a"), ("c", 1, "assistant", "b"), (None, 0, "user", "x")], "conv_id string, turn long, role string, text string"
+    )
+    assert {
+        x.conv_id: (x.n_turns, x.loss_chars, x.valid) for x in chat.read_chats(chat.format_chats(df)).collect()
+    } == {"c": (2, 1, True), None: (1, 0, False)}
 
 
 def test_decontamination_against_brute_force(spark):
@@ -228,8 +262,12 @@ def test_decontamination_with_items_without_an_id_and_clashing_columns(spark, ma
     df = spark.createDataFrame(rows, "doc_id long, text string, row long, spans string").withColumn("_spans", F.lit(1))
     got = {x.doc_id: (x.n_words, list(x["items"])) for x in decontaminate.contamination(df, items, max_bytes=max_bytes).collect()}
     assert got == {1: (33, []), 2: (33, ["b"]), 3: (0, [])}
-    left = {x.doc_id: (x.text, x.row, x.spans, x._spans) for x in decontaminate.decontaminate(df, items, max_coverage=0.95, max_bytes=max_bytes).collect()}
-    assert {k: ((v[0] or "").split(), *v[1:]) for k, v in left.items()} == {1: (["x", "y", "z"], 5, "s", 1), 2: (["x", "y", "z"], 6, "s", 1), 3: ([], 7, "s", 1)} and left[3][0] is None
+    left = {
+        x.doc_id: (x.text, x.row, x.spans, x._spans) for x in decontaminate.decontaminate(df, items, max_coverage=0.95, max_bytes=max_bytes).collect()
+    }
+    assert {k: ((v[0] or "").split(), *v[1:]) for k, v in left.items()} == {
+        1: (["x", "y", "z"], 5, "s", 1), 2: (["x", "y", "z"], 6, "s", 1), 3: ([], 7, "s", 1)
+    } and left[3][0] is None
     assert decontaminate.contamination(df.where("doc_id > 9"), items, max_bytes=max_bytes).count() == 0
     assert decontaminate.decontaminate(df, items.where("text is null"), max_bytes=max_bytes).count() == 3
 
@@ -268,7 +306,9 @@ def test_language_models(spark, sf):
     assert len(parts.parts) > 1
     show = lambda m: sorted((x.doc_id, x.lang_pred, round(x.score, 6), x.rejected) for x in langid.identify(d, m).collect())
     assert show(models) == show(parts)
-    assert sorted(x.doc_id for x in langid.keep_identified(d, models).collect()) == sorted(x.doc_id for x in langid.keep_identified(d, parts).collect())
+    assert sorted(
+        x.doc_id for x in langid.keep_identified(d, models).collect()
+    ) == sorted(x.doc_id for x in langid.keep_identified(d, parts).collect())
 
 
 def test_documents_without_labels_are_kept(spark):
@@ -314,7 +354,10 @@ def slow_kneser_ney(texts):
 def test_language_models_against_a_slow_version(spark):
     r = random.Random(6)
     word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(1, 7)))
-    texts = {"aa": [" ".join(word("abcde") for _ in range(60)) for _ in range(6)], "bb": [" ".join(word("abxyé") for _ in range(40)) + " d'x 7a" for _ in range(4)], "cc": ["ab ab"]}
+    texts = {
+        "aa": [" ".join(word("abcde") for _ in range(60)) for _ in range(6)],
+        "bb": [" ".join(word("abxyé") for _ in range(40)) + " d'x 7a" for _ in range(4)], "cc": ["ab ab"]
+    }
     rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, own in texts.items() for t in own)]
     number = {x: i for i, x in enumerate(sorted(texts))}
     counts = langid.gram_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
@@ -392,9 +435,15 @@ def test_pseudonyms_and_their_inverse_in_plain_python(spark):
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     mails = [f"{''.join(r.choice('abcXYZ019') for _ in range(r.randint(1, 40)))}@h{digits(2)}.org" for _ in range(40)]
     hexes = ["token=" + "".join(r.choice("0123456789abcdef") for _ in range(r.randint(6, 70))) for _ in range(40)]
-    ssns = [f"{a:03}-{r.randint(1, 99):02}-{r.randint(1, 9999):04}" for a in [1, 665, 667, 899, *(r.choice([x for x in range(1, 900) if x != 666]) for _ in range(200))]]
+    ssns = [
+        f"{a:03}-{r.randint(1, 99):02}-{r.randint(1, 9999):04}" for a in [
+            1, 665, 667, 899, *(r.choice([x for x in range(1, 900) if x != 666]) for _ in range(200))
+        ]
+    ]
     ips = [".".join(str(r.randint(0, 255)) for _ in range(4)) for _ in range(40)]
-    phones = [f"({r.randint(0, 999):03}) {r.randint(0, 999):03}-{digits(4)}" for _ in range(100)] + [f"+44 {digits(3)} {digits(3)} {digits(4)}" for _ in range(20)]
+    phones = [
+        f"({r.randint(0, 999):03}) {r.randint(0, 999):03}-{digits(4)}" for _ in range(100)
+    ] + [f"+44 {digits(3)} {digits(3)} {digits(4)}" for _ in range(20)]
     dates = [f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1900, 2099)}" for _ in range(40)]
     values = mails + hexes + ssns + ips + phones + dates
     got = [x.text for x in masked(docs(spark, values)).orderBy("doc_id").collect()]
@@ -409,11 +458,17 @@ def test_pseudonyms_and_their_inverse_in_plain_python(spark):
         elif v in ssns:
             a, group, serial = map(int, g.split("-"))
             assert 1 <= a <= 899 and a != 666 and 1 <= group <= 99 and 1 <= serial <= 9999 and [len(x) for x in g.split("-")] == [3, 2, 4]
-            assert ssn_place(g) == feistel_of(ssn_place(v), 898 * 99, 9999, "ssn") and feistel_of(ssn_place(g), 898 * 99, 9999, "ssn", True) == ssn_place(v)
+            assert ssn_place(g) == feistel_of(ssn_place(v), 898 * 99, 9999, "ssn") and feistel_of(
+                ssn_place(g), 898 * 99, 9999, "ssn", True
+            ) == ssn_place(v)
         elif v in ips:
             assert place(g) == feistel_of(place(v), 65536, 65536, "ip") and max(map(int, g.split("."))) < 256
         elif v in dates:
-            assert day(g) == feistel_of(day(v), *pii.PARTS, "date") and ("0" in (v[0], v.split(".")[1][0]) or (min(map(len, v.split(".")[:2])) == 1) == all(str(int(x)) == x for x in g.split(".")[:2]) or min(map(int, g.split(".")[:2])) > 9)
+            assert day(g) == feistel_of(day(v), *pii.PARTS, "date") and (
+                "0" in (v[0], v.split(".")[1][0]) or (min(map(len, v.split(".")[:2])) == 1) == all(
+                    str(int(x)) == x for x in g.split(".")[:2]
+                ) or min(map(int, g.split(".")[:2])) > 9
+            )
         else:
             n, m = plain(v.removeprefix("+44")), plain(g.removeprefix("+44"))
             assert len(n) == len(m) and n != m
@@ -425,7 +480,10 @@ def test_pseudonyms_and_their_inverse_in_plain_python(spark):
 
 
 def test_forms_stay_and_plain_numbers_are_left_alone(spark):
-    texts = ["9.2.1984", "09.02.1984", "2/9/1984", "02/09/1984", "rows 100 200 3000", "rows 200 300 4000", "tel: 200 300 4000", "200-300-4000", "100-200-3000", "version 1.2.3 of a: b = c"]
+    texts = [
+        "9.2.1984", "09.02.1984", "2/9/1984", "02/09/1984", "rows 100 200 3000", "rows 200 300 4000", "tel: 200 300 4000", "200-300-4000",
+        "100-200-3000", "version 1.2.3 of a: b = c"
+    ]
     got = [x.text for x in masked(docs(spark, texts)).orderBy("doc_id").collect()]
     assert got[4:6] == texts[4:6] and got[8:] == texts[8:] and got[6] == f"tel: {got[7].replace('-', ' ')}" and got[7] != texts[7]
     split = [[int(x) for x in g.replace("/", ".").split(".")] for g in got[:4]]
@@ -447,7 +505,10 @@ def test_pseudonyms(spark):
     rows = masked(docs(spark, [a, "plain words only 12", "x " + a, None, ""])).orderBy("doc_id").collect()
     one, two = rows[0].text, rows[2].text
     assert two == "x " + one and rows[1].text == "plain words only 12" and rows[3].text is None and rows[4].text == "" and rows[0].n_chars == len(one)
-    for gone in ("4041894974608795", "4041-8949-7460-8795", "a.b@", "10.0.0.1", "1984-02-29", "29.2.1984", "555-2485", "123-45-6789", "DE89370400440532013000"):
+    for gone in (
+        "4041894974608795", "4041-8949-7460-8795", "a.b@", "10.0.0.1", "1984-02-29", "29.2.1984", "555-2485", "123-45-6789",
+        "DE89370400440532013000"
+    ):
         assert gone not in one
     for kept in ("4041894974608796", "1985-02-29", "000-12-3456", "999.1.1.1", ".com at "):
         assert kept in one
@@ -467,7 +528,10 @@ def test_pseudonym_of_a_mail_address_without_a_digit(spark):
 
 def test_pseudonyms_of_cards_and_ibans_beside_other_numbers(spark):
     card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
-    texts = [card, f"{card} 12/25", f"{card} 123", f"15 {card}", f"15 12 {card}", f"{'7 ' * 30}{card} end", f"{card} 123-45-6789", f"{card} 2024-01-15", iban, f"{iban} 2024", f"born 25/12/2024, {card}-1@x.org", "4111 1111 1111 1112 12/25", "31/31/2024"]
+    texts = [
+        card, f"{card} 12/25", f"{card} 123", f"15 {card}", f"15 12 {card}", f"{'7 ' * 30}{card} end", f"{card} 123-45-6789",
+        f"{card} 2024-01-15", iban, f"{iban} 2024", f"born 25/12/2024, {card}-1@x.org", "4111 1111 1111 1112 12/25", "31/31/2024"
+    ]
     got = [r.text for r in masked(docs(spark, texts)).orderBy("doc_id").collect()]
     new, new_iban = got[0], got[8]
     assert luhn(new.replace(" ", "")) and new != card and new_iban != iban
@@ -515,7 +579,10 @@ def windows_lost(rows, order):
         for a in range(len(w) - 49):
             k = tuple(w[a : a + 50])
             first[k] = min(first.get(k, order(d)), order(d))
-    return [{p for a in range(len(w) - 49) if first[tuple(w[a : a + 50])] < order(d) for p in range(a, a + 50)} for (d, _), w in zip(rows, seqs, strict=True)]
+    return [
+        {p for a in range(len(w) - 49) if first[tuple(w[a : a + 50])] < order(d) for p in range(a, a + 50)} for (d, _),
+        w in zip(rows, seqs, strict=True)
+    ]
 
 
 def test_substrings_with_null_and_repeated_ids(spark, monkeypatch):
@@ -523,7 +590,10 @@ def test_substrings_with_null_and_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(substrings, "BLOCK", 2_000)  # so that there are many automata
     one, two = words(80, 901, 3000), words(90, 902, 3000)
     text = lambda *parts: " ".join(x for p in parts for x in p)
-    rows = [(2, text(one, ["x"])), (2, text(["y"], one, two)), (2, text(one, ["x"])), (1, text(two)), (None, text(two, one)), (None, text(two, one)), (None, text(one)), (3, None), (None, ""), (4, text(one, ["x"]))]
+    rows = [
+        (2, text(one, ["x"])), (2, text(["y"], one, two)), (2, text(one, ["x"])), (1, text(two)), (None, text(two, one)),
+        (None, text(two, one)), (None, text(one)), (3, None), (None, ""), (4, text(one, ["x"]))
+    ]
     order = lambda d: (d is None, d or 0)
     want = [(d, len((t or "").split()), len(gone)) for (d, t), gone in zip(rows, windows_lost(rows, order), strict=True)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("x")).withColumn("block", F.lit(1))
@@ -557,7 +627,10 @@ def ids_of(texts, end=1):
     return [t.encode(x or "", add_special_tokens=False).ids + [end] for x in texts]
 
 
-TEXTS = ["It's İstanbul ẞtraße ΟΔΟΣ x́é don't<|endoftext|> hi", None, "", "a b  c 12½ ³ <b>&amp;", " ".join(words(9000, 3)), "漢字 と かな x y", *[" ".join(words(n, n)) for n in range(1, 60)]]
+TEXTS = [
+    "It's İstanbul ẞtraße ΟΔΟΣ x́é don't<|endoftext|> hi", None, "", "a b  c 12½ ³ <b>&amp;", " ".join(words(9000, 3)), "漢字 と かな x y",
+    *[" ".join(words(n, n)) for n in range(1, 60)]
+]
 
 
 def test_packed_pieces(spark):
@@ -661,7 +734,13 @@ def test_pipeline_stages(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     bench = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
     text = " ".join(words(200, 1, 9000)).replace("w", "the ")
-    extra = spark.createDataFrame([(10_001, "!!! 123 ###", "en", "x", 11), (10_002, text + " " + bench + " the and", "en", "x", 1), (10_003, text + " " + bench + " the and", "en", "x", 1), (10_004, None, None, None, None)], d.schema)
+    extra = spark.createDataFrame(
+        [
+            (10_001, "!!! 123 ###", "en", "x", 11), (10_002, text + " " + bench + " the and", "en", "x", 1),
+            (10_003, text + " " + bench + " the and", "en", "x", 1), (10_004, None, None, None, None)
+        ],
+        d.schema
+    )
     now, columns = d.unionByName(extra), set(d.columns)
     for name, stage in cp.STAGES:
         before = now
@@ -681,8 +760,12 @@ def test_pipeline_stages(spark, sf):
 def test_pipeline_stages_on_empty_tables_nulls_and_clashing_columns(spark, sf):
     import corpus_pipeline as cp
 
-    d = spark.read.parquet(f"{sf}/documents.parquet").withColumns({"row": F.lit(1), "spans": F.lit("s"), "found": F.lit("f"), "offset": F.lit(2), "digest": F.lit("d")})
-    odd = d.limit(3).withColumn("doc_id", F.lit(None).cast("long")).unionByName(d.limit(2).withColumn("text", F.lit(None).cast("string"))).unionByName(d.limit(2).withColumn("text", F.lit(" ")))
+    d = spark.read.parquet(f"{sf}/documents.parquet").withColumns(
+        {"row": F.lit(1), "spans": F.lit("s"), "found": F.lit("f"), "offset": F.lit(2), "digest": F.lit("d")}
+    )
+    odd = d.limit(3).withColumn("doc_id", F.lit(None).cast("long")).unionByName(
+        d.limit(2).withColumn("text", F.lit(None).cast("string"))
+    ).unionByName(d.limit(2).withColumn("text", F.lit(" ")))
     some = d.where("doc_id < 60").unionByName(odd).unionByName(d.where("doc_id < 5"))
     for name, stage in cp.STAGES:
         out = stage(spark, some.where("doc_id < 0"), sf)

@@ -29,9 +29,16 @@ class ChatTemplate:
     other: for roles without a turn of their own, {} being the role's name. order: state → role → next state."""
 
     start: str = "<s>"
-    turns: dict = field(default_factory=lambda: {"system": Turn("<<SYS>>", "<</SYS>>"), "user": Turn("[INST]", "[/INST]"), "assistant": Turn("", "</s>", True)})
+    turns: dict = field(
+        default_factory=lambda: {"system": Turn("<<SYS>>", "<</SYS>>"), "user": Turn("[INST]", "[/INST]"), "assistant": Turn("", "</s>", True)}
+    )
     other: tuple = ("[ROLE]", "[/ROLE]", "[/TURN]")
-    order: dict = field(default_factory=lambda: {"start": {"system": "system", "user": "user"}, "system": {"user": "user"}, "user": {"assistant": "assistant"}, "assistant": {"user": "user"}})
+    order: dict = field(
+        default_factory=lambda: {
+            "start": {"system": "system", "user": "user"}, "system": {"user": "user"}, "user": {"assistant": "assistant"},
+            "assistant": {"user": "user"}
+        }
+    )
     final: tuple = ("assistant",)
 
     def controls(self) -> list[str]:
@@ -102,7 +109,12 @@ def format_chats(turns: DataFrame, template: ChatTemplate | None = None) -> Data
     any length is written in bounded memory. Conversations are never split over tasks: their order is the result.
     """
     template = template or ChatTemplate()
-    schema = pa.schema([("turn_no", pa.int64()), ("segment_no", pa.int64()), ("segment", pa.string()), ("loss", pa.bool_()), ("state", pa.string()), ("valid", pa.bool_())])
+    schema = pa.schema(
+        [
+            ("turn_no", pa.int64()), ("segment_no", pa.int64()), ("segment", pa.string()), ("loss", pa.bool_()), ("state", pa.string()),
+            ("valid", pa.bool_())
+        ]
+    )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, turn_no, segment_no = object(), "start", 0, 0
@@ -121,10 +133,18 @@ def format_chats(turns: DataFrame, template: ChatTemplate | None = None) -> Data
                     segment_no += 1
                 turn_no += 1
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column("conv_id").take(pa.array(of)), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True))], names=["conv_id", *schema.names])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("conv_id").take(pa.array(of)),
+                        *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True))
+                    ],
+                    names=["conv_id", *schema.names]
+                )
 
     own = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(write, f"conv_id {dict(turns.dtypes)['conv_id']}, {SEGMENTS}")
+    return own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(
+        write, f"conv_id {dict(turns.dtypes)['conv_id']}, {SEGMENTS}"
+    )
 
 
 def read_chats(segments: DataFrame, template: ChatTemplate | None = None, in_order: bool = False) -> DataFrame:
@@ -133,7 +153,12 @@ def read_chats(segments: DataFrame, template: ChatTemplate | None = None, in_ord
     in_order: the rows come straight from format_chats; else they are dealt out and sorted by conv_id and segment_no.
     """
     template = template or ChatTemplate()
-    out = pa.schema([("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_())])
+    out = pa.schema(
+        [
+            ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()),
+            ("formatted_chars", pa.int64()), ("valid", pa.bool_())
+        ]
+    )
 
     def close(pieces, valid):
         text = "".join(p for p, _ in pieces)
@@ -143,7 +168,10 @@ def read_chats(segments: DataFrame, template: ChatTemplate | None = None, in_ord
         return (len(turns), digest("".join(f"{r}\n{t}\n" for r, t in turns)), sum(map(len, told)), digest("".join(told)), len(text), valid)
 
     def told(ids, done, kind):
-        return pa.RecordBatch.from_arrays([pa.array(ids, kind), *(pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), out, strict=True))], names=["conv_id", *out.names])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, kind), *(pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), out, strict=True))],
+            names=["conv_id", *out.names]
+        )
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, pieces, valid, ids, done, kind = object(), [], False, [], [], None
@@ -168,7 +196,10 @@ def read_chats(segments: DataFrame, template: ChatTemplate | None = None, in_ord
 
     if not in_order:
         segments = segments.repartition("conv_id").sortWithinPartitions("conv_id", "segment_no")
-    return segments.mapInArrow(check, f"conv_id {dict(segments.dtypes)['conv_id']}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    return segments.mapInArrow(
+        check,
+        f"conv_id {dict(segments.dtypes)['conv_id']}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
+    )
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

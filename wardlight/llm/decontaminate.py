@@ -205,10 +205,18 @@ def contaminated_spans(docs: DataFrame, shard: PackedAutomaton, key: str = "doc_
                 found.append(sorted(who))
                 most.append(longest)
             kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-            out = pa.RecordBatch.from_arrays([batch.column(key), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(found, pa.list_(pa.string())), pa.array(most, pa.int64())], names=[key, "n_words", "spans", "items", "longest_match"])
+            out = pa.RecordBatch.from_arrays(
+                [
+                    batch.column(key), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(found, pa.list_(pa.string())),
+                    pa.array(most, pa.int64())
+                ],
+                names=[key, "n_words", "spans", "items", "longest_match"]
+            )
             yield out.filter(pa.array([bool(x) for x in spans])) if hits_only else out
 
-    return docs.select(key, "text").mapInArrow(scan, f"`{key}` {id_type}, n_words long, spans array<struct<a:long,b:long>>, items array<string>, longest_match long")
+    return docs.select(key, "text").mapInArrow(
+        scan, f"`{key}` {id_type}, n_words long, spans array<struct<a:long,b:long>>, items array<string>, longest_match long"
+    )
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, max_bytes: int = 8 << 20) -> DataFrame:
@@ -238,14 +246,19 @@ def _row_spans(rows: DataFrame, begun: list[PackedAutomaton], shards: Iterator[P
     found = contaminated_spans(rows, begun[0], key)
     for shard in chain(begun[1:], shards):
         found = found.unionByName(contaminated_spans(rows, shard, key, hits_only=True))
-    told = [F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest_match").alias("longest_match")]
+    told = [
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest_match").alias("longest_match")
+    ]
     return found.groupBy(key).agg(*told)
 
 
 def hit_count(spans: Column) -> Column:
     """Words in the union of spans that may overlap."""
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
-    step = lambda s, x: F.struct((s["n"] + F.greatest(x["b"] - F.greatest(x["a"], s["end"]), F.lit(0))).alias("n"), F.greatest(s["end"], x["b"]).alias("end"))
+    step = lambda s, x: F.struct(
+        (s["n"] + F.greatest(x["b"] - F.greatest(x["a"], s["end"]), F.lit(0))).alias("n"), F.greatest(s["end"], x["b"]).alias("end")
+    )
     return F.aggregate(F.array_sort(spans), zero, step, lambda s: s["n"])
 
 
@@ -309,7 +322,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     hit = hit_count(F.col("spans"))
     ids = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (hit > 0).alias("contaminated"))
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"),
+        (hit > 0).alias("contaminated")
+    )
 
 
 OP6_SQL = r"""

@@ -77,7 +77,13 @@ def sketches(docs: DataFrame) -> DataFrame:
                     tokens[full, i] = np.minimum.reduceat((spread * factors[i]) >> np.uint64(32), at)
                 digests[0, full] = np.add.reduceat(spread, at)
                 digests[1, full] = np.add.reduceat(mix(spread), at)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(size), *(pa.array(d.view(np.int64)) for d in digests), pa.array([t.tobytes() for t in tokens], pa.binary())], names=["row", "doc_id", "size", "h1", "h2", "sketch"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("row"), batch.column("doc_id"), pa.array(size), *(pa.array(d.view(np.int64)) for d in digests),
+                    pa.array([t.tobytes() for t in tokens], pa.binary())
+                ],
+                names=["row", "doc_id", "size", "h1", "h2", "sketch"]
+            )
 
     return docs.select("row", "doc_id", "text").mapInArrow(sketch, f"row long, doc_id {id_type}, size long, h1 long, h2 long, sketch binary")
 
@@ -100,7 +106,10 @@ def _children(nodes: DataFrame) -> DataFrame:
                 picked.append((picked[0] + 1 + more.astype(np.int64)) % COORDINATES)
             for at in picked:
                 token = tokens[rows, at].astype(np.uint64) | (at.astype(np.uint64) << np.uint64(32))
-                yield pa.RecordBatch.from_arrays([pa.array(mix(path + mix(token)).view(np.int64)), batch.column("rep"), batch.column("last")], names=["path", "rep", "last"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(mix(path + mix(token)).view(np.int64)), batch.column("rep"), batch.column("last")],
+                    names=["path", "rep", "last"]
+                )
 
     return nodes.select("path", "rep", "last", "sketch").mapInArrow(choose, f"path long, rep {id_type}, last boolean")
 
@@ -171,7 +180,10 @@ def _brute_force(members: DataFrame) -> DataFrame:
                 label = _least_labels(n, np.concatenate(firsts), np.concatenate(seconds))
                 hung = np.flatnonzero(label != np.arange(n))
                 reps = batch.column("rep")
-                yield pa.RecordBatch.from_arrays([reps.take(pa.array(hung)), reps.take(pa.array(label[hung])), batch.column("last").take(pa.array(hung))], names=["u", "v", "last"])
+                yield pa.RecordBatch.from_arrays(
+                    [reps.take(pa.array(hung)), reps.take(pa.array(label[hung])), batch.column("last").take(pa.array(hung))],
+                    names=["u", "v", "last"]
+                )
 
     dealt = members.repartition("bucket").sortWithinPartitions("bucket", "side", "rep")
     return dealt.select("bucket", "side", "rep", "last", "sketch").mapInArrow(force, f"u {id_type}, v {id_type}, last boolean")
@@ -188,7 +200,12 @@ def in_blocks(df: DataFrame, key: str, n: str, order: str, limit: int) -> DataFr
     own = F.pmod(F.xxhash64(order), blocks)
     sides = F.when(
         blocks > 1,
-        F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(own == j, 0).when(own < j, 1).otherwise(2).alias("side"))),
+        F.transform(
+            F.sequence(F.lit(0).cast("long"), blocks - 1),
+            lambda j: F.struct(
+                F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(own == j, 0).when(own < j, 1).otherwise(2).alias("side")
+            )
+        ),
     ).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"))))
     out = df.withColumn("_b", F.explode(sides))
     return out.withColumn("bucket", F.xxhash64(key, "_b.i", "_b.j")).withColumn("side", F.col("_b.side")).drop("_b")
@@ -201,9 +218,14 @@ def _from_pivot(members: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, pivot = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, COORDINATES) for c in ("sketch", "pivot_sketch"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "rep", "last", "pivot")), pa.array((own != pivot).sum(axis=1).astype(np.int32))], names=["path", "rep", "last", "pivot", "off"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("path", "rep", "last", "pivot")), pa.array((own != pivot).sum(axis=1).astype(np.int32))],
+                names=["path", "rep", "last", "pivot", "off"]
+            )
 
-    return members.select("path", "rep", "last", "sketch", "pivot", "pivot_sketch").mapInArrow(count, f"path long, rep {id_type}, last boolean, pivot {id_type}, off int")
+    return members.select("path", "rep", "last", "sketch", "pivot", "pivot_sketch").mapInArrow(
+        count, f"path long, rep {id_type}, last boolean, pivot {id_type}, off int"
+    )
 
 
 def _collapsed(large: DataFrame, sketch: DataFrame) -> DataFrame:
@@ -214,7 +236,9 @@ def _collapsed(large: DataFrame, sketch: DataFrame) -> DataFrame:
     APART + TIGHT at most, and is compared with the represented ones. A node's sets meet the pivot by path and a salt.
     """
     parts = F.ceil(F.col("n") / BUCKET).cast("int")
-    pivots = large.groupBy("path").agg(F.min("rep").alias("pivot"), F.max("n").alias("n")).join(sketch.select(F.col("rep").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
+    pivots = large.groupBy("path").agg(F.min("rep").alias("pivot"), F.max("n").alias("n")).join(
+        sketch.select(F.col("rep").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot"
+    )
     pivots = cut(pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n"))
     own = large.join(sketch, "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), parts).cast("int"))
     return cut(_from_pivot(own.join(pivots, ["path", "salt"])))
@@ -227,7 +251,9 @@ def _doubtful(near: DataFrame) -> DataFrame:
     sizes = cut(both.groupBy("path").agg(F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == 2).alias("b")).where("a > 0"))
     n = F.when(F.col("side") == 1, F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     own = F.pmod(F.xxhash64("rep"), F.ceil(n["a"] / BUCKET))
-    met = both.join(sizes, "path").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(n["b"] / BUCKET) - 1)))
+    met = both.join(sizes, "path").withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(n["b"] / BUCKET) - 1))
+    )
     first, second = (F.when(F.col("side") == k, F.col("own")).otherwise(F.col("other")) for k in (1, 2))
     return met.select(F.xxhash64("path", F.lit("doubtful"), first, second).alias("bucket"), F.col("side").cast("int").alias("side"), "rep", "last")
 
@@ -241,7 +267,9 @@ def _runs(sketch: DataFrame, runs: range) -> DataFrame:
     represents leave, and the rest is brute-forced or split again. What is larger still after LEVELS is brute-forced in
     blocks.
     """
-    nodes = sketch.withColumn("path", F.explode(F.array(*[F.lit(r + 1).cast("long") for r in runs]))).withColumn("last", F.col("path") == runs[-1] + 1)
+    nodes = sketch.withColumn(
+        "path", F.explode(F.array(*[F.lit(r + 1).cast("long") for r in runs]))
+    ).withColumn("last", F.col("path") == runs[-1] + 1)
     leaves, buckets, edges, made = [], [], [], []
     for level in range(1, LEVELS + 1):
         children = cut(_children(nodes))
@@ -255,7 +283,9 @@ def _runs(sketch: DataFrame, runs: range) -> DataFrame:
             break
         near = _collapsed(large, sketch)
         made.append(near)
-        edges.append(near.where((F.col("off") <= APART) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("u"), F.col("pivot").alias("v"), "last"))
+        edges.append(
+            near.where((F.col("off") <= APART) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("u"), F.col("pivot").alias("v"), "last")
+        )
         buckets.append(_doubtful(near))
         rest = near.where((F.col("off") > TIGHT) | (F.col("rep") == F.col("pivot"))).select("path", "rep", "last")
         sizes = cut(rest.groupBy("path").agg(F.count("*").alias("n")))
@@ -290,7 +320,11 @@ def candidate_groups(reps: DataFrame) -> DataFrame:
     further = found.where("last")
     while True:
         label = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias("c" + c))  # noqa: E731, B023
-        told = cut(further.join(label("u"), "u", "left").join(label("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
+        told = cut(
+            further.join(label("u"), "u", "left").join(label("v"), "v", "left").select(
+                F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")
+            )
+        )
         each = told.groupBy(F.least("u", "v").alias("g")).agg(F.bool_or(F.col("u") != F.col("v")).alias("fresh"))
         n = each.agg(F.count("*").alias("all"), F.count_if("fresh").alias("fresh")).first()
         if n.fresh:  # components of components, and sets that had been in none
@@ -398,27 +432,39 @@ def _by_centre(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = F.ceil(F.col("n") / BUCKET).cast("int")
     salt = F.pmod(F.xxhash64("rep"), parts).cast("int").alias("salt")
     each = F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt")
-    often = sets.select("grp", "n", F.explode("shingles").alias("s")).groupBy("grp", "s").agg(F.count("*").alias("c"), F.max("n").alias("n")).where("2 * c > n")
+    often = sets.select("grp", "n", F.explode("shingles").alias("s")).groupBy("grp", "s").agg(
+        F.count("*").alias("c"), F.max("n").alias("n")
+    ).where("2 * c > n")
     centres = cut(often.groupBy("grp").agg(F.collect_list("s").alias("centre"), F.max("n").alias("n")).select("grp", "centre", each))
     met = sets.select("*", salt).join(centres, ["grp", "salt"], "left")
     shared = F.size(F.array_intersect("shingles", F.coalesce("centre", F.array().cast("array<long>"))))
     off = 1 - shared / (F.size("shingles") + F.coalesce(F.size("centre"), F.lit(0)) - shared)
     placed = cut(met.select("rep", "grp", "n", "copies", "shingles", "salt", F.floor(off * BINS).cast("int").alias("bin")))
-    bins = placed.groupBy("grp", "bin").agg(F.count("*").alias("sets"), F.sum("copies").alias("copies"), F.min("rep").alias("least"), F.max("n").alias("n"))
+    bins = placed.groupBy("grp", "bin").agg(
+        F.count("*").alias("sets"), F.sum("copies").alias("copies"), F.min("rep").alias("least"), F.max("n").alias("n")
+    )
     plans = bins.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("bin", "sets", "copies", "least"))).alias("plan"), F.max("n").alias("n"))
     placed = placed.drop("n").join(cut(plans.select("grp", "plan", each)), ["grp", "salt"])
     reach = int((1 - THRESHOLD) * BINS + 1e-9)
     sure = lambda b: b["bin"] + F.col("bin") + 2 <= reach
     apart = lambda b: F.abs(b["bin"] - F.col("bin")) > reach
     linked = F.aggregate(F.filter("plan", sure), F.lit(0).cast("long"), lambda x, b: x + b["copies"])
-    known = placed.select("rep", (linked - F.when(2 * F.col("bin") + 2 <= reach, F.col("copies")).otherwise(0)).alias("links"), F.when(sure(F.col("plan")[0]), F.col("plan")[0]["least"]).otherwise(F.col("rep")).alias("label"))
-    blocks = lambda b: F.transform(F.sequence(F.lit(0), F.ceil(b["sets"] / BUCKET).cast("int") - 1), lambda k: F.struct(b["bin"].alias("bin"), k.alias("k")))
+    known = placed.select(
+        "rep", (linked - F.when(2 * F.col("bin") + 2 <= reach, F.col("copies")).otherwise(0)).alias("links"),
+        F.when(sure(F.col("plan")[0]), F.col("plan")[0]["least"]).otherwise(F.col("rep")).alias("label")
+    )
+    blocks = lambda b: F.transform(
+        F.sequence(F.lit(0), F.ceil(b["sets"] / BUCKET).cast("int") - 1), lambda k: F.struct(b["bin"].alias("bin"), k.alias("k"))
+    )
     others = F.flatten(F.transform(F.filter("plan", lambda b: ~sure(b) & ~apart(b)), blocks))
     own_bin = F.filter("plan", lambda b: b["bin"] == F.col("bin"))[0]
     own = F.struct(F.col("bin").alias("bin"), F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(own_bin["sets"] / BUCKET)).cast("int").alias("k"))
     rest = placed.select("grp", "rep", "copies", "shingles", own.alias("own"), F.explode(others).alias("other"))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    return known, rest.select(F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), side.alias("side"), "rep", "copies", "shingles")
+    return known, rest.select(
+        F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), side.alias("side"), "rep", "copies",
+        "shingles"
+    )
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -461,7 +507,9 @@ def near_duplicate_rows(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, limit=2 << 20):
             sets, offsets = shingle_sets(batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sets.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "grp", "n", "copies")), lists], names=["rep", "grp", "n", "copies", "shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("rep", "grp", "n", "copies")), lists], names=["rep", "grp", "n", "copies", "shingles"]
+            )
 
     sets = texts.select("rep", "grp", "n", "copies", "text").mapInArrow(sets_of, "rep long, grp long, n long, copies long, shingles array<long>")
     if sizes.where(F.col("n") > BUCKET).isEmpty():  # a group is one bucket, where links and the least set connected are known
@@ -475,15 +523,22 @@ def near_duplicate_rows(docs: DataFrame) -> DataFrame:
         drop(sets)
         links = one.unionByName(several.groupBy("rep").agg(F.sum("links").alias("links"), F.min("label").alias("label")))
         joined = connected_components(several.select(F.col("rep").alias("u"), F.col("label").alias("v")))
-        classes = one.select("rep", F.col("label").alias("cls")).unionByName(joined.select(F.col("node").alias("rep"), F.col("component").alias("cls")))
+        classes = one.select("rep", F.col("label").alias("cls")).unionByName(
+            joined.select(F.col("node").alias("rep"), F.col("component").alias("cls"))
+        )
     classes = cut(classes.join(reps.select("rep", "least"), "rep"))
     best = cut(classes.groupBy("cls").agg(F.min("least").alias("best")))
-    told = reps.select("h1", "h2", "size", "rep", "copies", "least").join(links.select("rep", "links"), "rep", "left").join(classes.select("rep", "cls").join(best, "cls"), "rep", "left")
+    told = reps.select("h1", "h2", "size", "rep", "copies", "least").join(links.select("rep", "links"), "rep", "left").join(
+        classes.select("rep", "cls").join(best, "cls"), "rep", "left"
+    )
     told = told.select("h1", "h2", "size", "copies", "links", F.coalesce("best", "least").alias("best"))
     found = sk.select("row", "doc_id", "size", "h1", "h2").join(told, ["h1", "h2", "size"], "left")
     n_links = F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long")
     alone = F.col("best").isNull()
-    return found.select("row", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("class_id"), n_links.alias("n_links"), (alone | (F.col("best.row") == F.col("row"))).alias("first"))
+    return found.select(
+        "row", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("class_id"), n_links.alias("n_links"),
+        (alone | (F.col("best.row") == F.col("row"))).alias("first")
+    )
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

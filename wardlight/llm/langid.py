@@ -145,7 +145,13 @@ def kneser_ney(counts: DataFrame, n_langs: int) -> tuple[DataFrame, float, list[
     orders = {ORDER: counts.select("lang", "gram", F.col("n").cast("double").alias("n"))}
     for k in range(ORDER - 1, 0, -1):
         orders[k] = cut(orders[k + 1].groupBy("lang", low("gram", k).alias("gram")).agg(F.count("*").cast("double").alias("n")))
-    once = [t.groupBy("lang").agg(F.lit(k).alias("k"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.sum("n").alias("total"), F.count("*").alias("kinds")) for k, t in orders.items()]
+    once = [
+        t.groupBy("lang").agg(
+            F.lit(k).alias("k"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"),
+            F.sum("n").alias("total"), F.count("*").alias("kinds")
+        ) for k,
+        t in orders.items()
+    ]
     discount = {k: [0.5] * n_langs for k in orders}
     unseen = [0.0] * n_langs
     alphabet = orders[1].select("gram").distinct().count() + 1
@@ -165,8 +171,12 @@ def kneser_ney(counts: DataFrame, n_langs: int) -> tuple[DataFrame, float, list[
         if k == 1:
             rows = rows.withColumn("p", first + F.col("gap") / alphabet)
         else:
-            found.append(gaps.select(F.lit(k - 1).alias("k"), F.lit(True).alias("context"), "lang", F.col("context").alias("key"), F.log("gap").alias("value")))
-            rows = rows.withColumn("lower", low("gram", k - 1)).join(below.select("lang", F.col("gram").alias("lower"), F.col("p").alias("q")), ["lang", "lower"]).withColumn("p", first + F.col("gap") * F.col("q"))
+            found.append(
+                gaps.select(F.lit(k - 1).alias("k"), F.lit(True).alias("context"), "lang", F.col("context").alias("key"), F.log("gap").alias("value"))
+            )
+            rows = rows.withColumn("lower", low("gram", k - 1)).join(
+                below.select("lang", F.col("gram").alias("lower"), F.col("p").alias("q")), ["lang", "lower"]
+            ).withColumn("p", first + F.col("gap") * F.col("q"))
         below = cut(rows.select("lang", "gram", "p"))
         found.append(below.select(F.lit(k).alias("k"), F.lit(False).alias("context"), "lang", F.col("gram").alias("key"), F.log("p").alias("value")))
     return reduce(DataFrame.unionByName, found), float(np.log(1.0 / alphabet)), unseen
@@ -189,7 +199,12 @@ def in_parts(table: DataFrame, unseen: list[float], most: int) -> list[LanguageM
         k, context, lang, key, value = (rows.column(c).to_numpy() for c in ("k", "context", "lang", "key", "value"))
         lang, key = np.searchsorted(np.array(langs), lang), key.view(np.uint64)
         of = lambda at: SparseTable.of(key[at], lang[at], value[at])  # noqa: E731, B023
-        parts.append(LanguageModels(langs, [of((k == i) & ~context) for i in range(ORDER + 1)], [of((k == i) & context) for i in range(ORDER)], np.array([unseen[x] for x in langs], np.float32)))
+        parts.append(
+            LanguageModels(
+                langs, [of((k == i) & ~context) for i in range(ORDER + 1)], [of((k == i) & context) for i in range(ORDER)],
+                np.array([unseen[x] for x in langs], np.float32)
+            )
+        )
     return parts
 
 
@@ -211,7 +226,10 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                     keys, sums = _summed(np.concatenate([held[lang][0], keys]), np.concatenate([held[lang][1], sums]))
                 held[lang] = keys, sums
         for lang, (keys, sums) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(sums, pa.int64())], names=["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(sums, pa.int64())],
+                names=["lang", "gram", "n"]
+            )
 
     return docs.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -248,7 +266,9 @@ def entropies(texts: pa.Array, models: LanguageModels, most: int = 1 << 23) -> t
     return -total / np.maximum(scored, 1)[:, None], scored, row_sums(letters[words], offsets)
 
 
-def train(docs: DataFrame, calibration_docs: int = 2_000, quantile: float = 0.999, slack: float = 2.0, part: int = 16_000_000) -> LanguageIdentifier | None:
+def train(
+    docs: DataFrame, calibration_docs: int = 2_000, quantile: float = 0.999, slack: float = 2.0, part: int = 16_000_000
+) -> LanguageIdentifier | None:
     """Models from labelled docs (doc_id, text, lang); None where no document has a language and text.
 
     For each language about calibration_docs documents drawn by hash of doc_id, a fifth of all at most, are set aside to
@@ -310,16 +330,22 @@ def _scored(docs: DataFrame, models: LanguageIdentifier, with_lang: bool = False
             for batch in slices(batches):
                 best, entropy, likely, scored, letters = _judged(batch, shared.value)
                 told = [pa.array(best, pa.int32()), pa.array(entropy), pa.array(likely), pa.array(scored, pa.int64()), pa.array(letters, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *told], names=[*others, "best", "entropy", "likely", "scored", "letters"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in others), *told], names=[*others, "best", "entropy", "likely", "scored", "letters"]
+                )
 
         schema = ", ".join(f"{c} {kinds[c]}" for c in others)
         found = docs.select(*others, "text").mapInArrow(score, f"{schema}, best int, entropy double, likely double, scored long, letters long")
         out = found if out is None else out.unionByName(found)
     if several:  # the best of the parts, and the likelihoods of all as a multiple of its own
         each = F.struct("entropy", "best", "likely", F.least("scored", F.lit(200)).alias("length"))
-        out = out.groupBy("_row").agg(F.array_sort(F.collect_list(each)).alias("e"), *[F.first(c).alias(c) for c in (*others[1:], "scored", "letters")])
+        out = out.groupBy("_row").agg(
+            F.array_sort(F.collect_list(each)).alias("e"), *[F.first(c).alias(c) for c in (*others[1:], "scored", "letters")]
+        )
         least = F.col("e")[0]
-        total = F.aggregate("e", F.lit(0.0), lambda s, x: s + x["likely"] * F.exp(-F.least((x["entropy"] - least["entropy"]) * x["length"], F.lit(700.0))))
+        total = F.aggregate(
+            "e", F.lit(0.0), lambda s, x: s + x["likely"] * F.exp(-F.least((x["entropy"] - least["entropy"]) * x["length"], F.lit(700.0)))
+        )
         out = out.select(*others[1:], least["best"].alias("best"), least["entropy"].alias("entropy"), total.alias("likely"), "scored", "letters")
     return out.withColumn("confidence", 1 / F.col("likely")).drop("likely")
 
@@ -342,11 +368,18 @@ def identify(docs: DataFrame, models: LanguageIdentifier | None) -> DataFrame:
     name; repeated rows and ids have a row each; an empty table gives an empty one; other columns are not read.
     """
     if models is None:
-        return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"), (~_lettered()).alias("rejected"))
+        return docs.select(
+            "doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"),
+            (~_lettered()).alias("rejected")
+        )
     found = _scored(docs.select("doc_id", "text"), models)
     names = F.array(*[F.lit(x) for x in models.names])
     blank = F.col("letters") == 0
-    return found.select("doc_id", F.when(blank, "und").otherwise(F.element_at(names, F.col("best") + 1)).alias("lang_pred"), F.when(blank, 0.0).otherwise(F.col("confidence")).alias("score"), F.when(~blank, F.col("entropy")).alias("entropy"), (blank | _strange(models)).alias("rejected"))
+    return found.select(
+        "doc_id", F.when(blank, "und").otherwise(F.element_at(names, F.col("best") + 1)).alias("lang_pred"),
+        F.when(blank, 0.0).otherwise(F.col("confidence")).alias("score"), F.when(~blank, F.col("entropy")).alias("entropy"),
+        (blank | _strange(models)).alias("rejected")
+    )
 
 
 def _lettered() -> Column:

@@ -223,7 +223,13 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = 4096,
             at = offsets[row] + start
             raw = ids.astype("<u4").data.cast("B")
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length),
+                    pa.array(crc, pa.int64())
+                ],
+                names=["doc_id", "piece", "start", "length", "ids_crc32"]
+            )
 
     return docs.select("doc_id", "text").mapInArrow(tokenize, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
 
@@ -335,7 +341,10 @@ def packed_matrices(docs: DataFrame, path: str | None = None, capacity: int = 40
 
         def batch_of(rows: list) -> pa.RecordBatch:
             kinds = [pa.int64(), pa.list_(state["kind"]), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["sequence_id", "doc_ids", "pieces", "starts", "cu_seqlens", "input_ids", "position_ids"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                names=["sequence_id", "doc_ids", "pieces", "starts", "cu_seqlens", "input_ids", "position_ids"]
+            )
 
         held, tokens = [], 0
         for batch in slices(batches):
@@ -348,7 +357,10 @@ def packed_matrices(docs: DataFrame, path: str | None = None, capacity: int = 40
                 held, tokens = [], 0
         yield from flush(held)
 
-    return docs.select("doc_id", "text").mapInArrow(pack, f"sequence_id long, doc_ids array<{id_type}>, pieces array<int>, starts array<long>, cu_seqlens array<int>, input_ids binary, position_ids binary")
+    return docs.select("doc_id", "text").mapInArrow(
+        pack,
+        f"sequence_id long, doc_ids array<{id_type}>, pieces array<int>, starts array<long>, cu_seqlens array<int>, input_ids binary, position_ids binary"
+    )
 
 
 def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

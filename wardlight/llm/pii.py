@@ -23,7 +23,10 @@ IBAN_LENGTHS = {
     23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM",
     28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
 }
-IBAN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items()) + r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+IBAN = "|".join(
+    f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])" for n,
+    c in IBAN_LENGTHS.items()
+) + r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 SECRET = r"AKIA[A-Z0-9]{16}|(?i:password|passwd|pwd|secret|token|api[_-]?key) ?[=:] ?\x22?[^\s\x22]{6,}"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
@@ -92,7 +95,10 @@ def feistel_text(key: Column, text: Column, kind: str) -> Column:
 
     def step(s: Column, k: Column) -> Column:
         even = k % 2 == 0
-        return F.struct(F.when(even, _shift(key, s["l"], s["r"], kind, k)).otherwise(s["l"]).alias("l"), F.when(even, s["r"]).otherwise(_shift(key, s["r"], s["l"], kind, k)).alias("r"))
+        return F.struct(
+            F.when(even, _shift(key, s["l"], s["r"], kind, k)).otherwise(s["l"]).alias("l"),
+            F.when(even, s["r"]).otherwise(_shift(key, s["r"], s["l"], kind, k)).alias("r")
+        )
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(s["l"], s["r"]))
 
@@ -105,7 +111,10 @@ def feistel_number(key: Column, value: Column, a: int | Column, b: int | Column,
     def step(s: Column, k: Column) -> Column:
         even = k % 2 == 0
         mixed = lambda own, other, n: F.pmod(own + _number(key, F.lit(kind), k.cast("string"), other.cast("string")), n)
-        return F.struct(F.when(even, mixed(s["l"], s["r"], a)).otherwise(s["l"]).alias("l"), F.when(even, s["r"]).otherwise(mixed(s["r"], s["l"], b)).alias("r"))
+        return F.struct(
+            F.when(even, mixed(s["l"], s["r"], a)).otherwise(s["l"]).alias("l"),
+            F.when(even, s["r"]).otherwise(mixed(s["r"], s["l"], b)).alias("r")
+        )
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: s["l"] * b + s["r"])
 
@@ -129,7 +138,9 @@ def national_number(key: Column, number: Column) -> Column:
     part = lambda at, n: F.substr(number, F.lit(at), F.lit(n)).cast("long")
     low = [part(1, 3) < 200, part(4, 3) < 200]
     first, many = ([F.when(x, v).otherwise(w) for x in low] for v, w in ((0, 200), (200, 800)))
-    moved = feistel_number(key, (part(1, 3) - first[0]) * many[1] * 10_000 + (part(4, 3) - first[1]) * 10_000 + part(7, 4), many[0], many[1] * 10_000, "phone")
+    moved = feistel_number(
+        key, (part(1, 3) - first[0]) * many[1] * 10_000 + (part(4, 3) - first[1]) * 10_000 + part(7, 4), many[0], many[1] * 10_000, "phone"
+    )
 
     def written(m: Column) -> Column:
         places = [F.floor(m / (many[1] * 10_000)).cast("long") + first[0], F.floor(m / 10_000).cast("long") % many[1] + first[1], m % 10_000]
@@ -149,7 +160,10 @@ def _refill(form: Column, digits: Column) -> Column:
 
     def step(s: Column, c: Column) -> Column:
         digit = c.rlike("^[0-9]$")
-        return F.struct(F.concat(s["out"], F.when(digit, F.substr(digits, s["at"], F.lit(1))).otherwise(c)).alias("out"), (s["at"] + F.when(digit, 1).otherwise(0)).alias("at"))
+        return F.struct(
+            F.concat(s["out"], F.when(digit, F.substr(digits, s["at"], F.lit(1))).otherwise(c)).alias("out"),
+            (s["at"] + F.when(digit, 1).otherwise(0)).alias("at")
+        )
 
     return F.aggregate(seen, zero, step, lambda s: s["out"])
 
@@ -157,7 +171,12 @@ def _refill(form: Column, digits: Column) -> Column:
 def luhn_sum(digits: Column) -> Column:
     """Luhn sum of digits, the last one being the check digit's place."""
     n = F.length(digits)
-    ds = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.when(F.pmod(n - i, F.lit(2)) == 1, 2 * F.substr(digits, i, F.lit(1)).cast("int")).otherwise(F.substr(digits, i, F.lit(1)).cast("int")))
+    ds = F.transform(
+        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+        lambda i: F.when(
+            F.pmod(n - i, F.lit(2)) == 1, 2 * F.substr(digits, i, F.lit(1)).cast("int")
+        ).otherwise(F.substr(digits, i, F.lit(1)).cast("int"))
+    )
     return F.aggregate(ds, F.lit(0), lambda s, d: s + F.when(d > 9, d - 9).otherwise(d))
 
 
@@ -170,7 +189,9 @@ def _mod97(text: Column) -> Column:
 
 def _day(text: Column) -> Column:
     """The date that text writes, year first, or day and month, with slashes month and day if that is a date; null if there is none from 1900 to 2099."""
-    parsed = F.when(text.rlike("^[0-9]{4}-"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))).when(F.contains(text, F.lit("/")), F.coalesce(F.try_to_timestamp(text, F.lit("M/d/yyyy")), F.try_to_timestamp(text, F.lit("d/M/yyyy")))).otherwise(F.try_to_timestamp(text, F.lit("d.M.yyyy"))).cast("date")
+    parsed = F.when(text.rlike("^[0-9]{4}-"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))).when(
+        F.contains(text, F.lit("/")), F.coalesce(F.try_to_timestamp(text, F.lit("M/d/yyyy")), F.try_to_timestamp(text, F.lit("d/M/yyyy")))
+    ).otherwise(F.try_to_timestamp(text, F.lit("d.M.yyyy"))).cast("date")
     return F.when(F.year(parsed).between(1900, 2099), parsed)
 
 
@@ -201,7 +222,10 @@ def _mark_cards(run: Column) -> Column:
         starts = lambda i: F.exists(cards, lambda t: t["i"] == i)
         ends = lambda i: F.exists(cards, lambda t: t["i"] + t["k"] - 1 == i)
         digits = lambda g: F.regexp_extract(g, "^[0-9]+", 0)
-        one = lambda g, at: F.concat(F.when(starts(at + 1), F.lit(MARKS[0])).otherwise(F.lit("")), F.when(ends(at + 1), F.concat(digits(g), F.lit(MARKS[1]), F.regexp_replace(g, "^[0-9]+", ""))).otherwise(g))
+        one = lambda g, at: F.concat(
+            F.when(starts(at + 1), F.lit(MARKS[0])).otherwise(F.lit("")),
+            F.when(ends(at + 1), F.concat(digits(g), F.lit(MARKS[1]), F.regexp_replace(g, "^[0-9]+", ""))).otherwise(g)
+        )
         return F.array_join(F.transform(groups, one), "")
 
     return F.element_at(F.transform(F.array(taken), written), 1)
@@ -209,7 +233,12 @@ def _mark_cards(run: Column) -> Column:
 
 def _woven(text: Column, pattern: str, found: Column) -> Column:
     """text with its matches of pattern replaced by found, in order."""
-    return _once(F.split(text, pattern, -1), lambda between: F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size(found)), found, lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1)))
+    return _once(
+        F.split(text, pattern, -1),
+        lambda between: F.concat(
+            F.array_join(F.zip_with(F.slice(between, 1, F.size(found)), found, lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1)
+        )
+    )
 
 
 def pseudonym(key: Column, value: Column) -> Column:
@@ -236,18 +265,31 @@ def pseudonym(key: Column, value: Column) -> Column:
     country = F.regexp_extract(value, r"^\+(?:[0-9]{1,3}(?=[ .(-])|1(?=[0-9]{10}$)|[0-9])", 0)
     rest = F.substr(value, F.length(country) + 1, F.length(value))
     national = country.isin("", "+1") & (F.length(_digits(rest)) == 10)
-    phone = F.concat(country, _refill(rest, F.when(national, national_number(key, _digits(rest))).otherwise(feistel_text(F.concat(key, country), _digits(rest), "phone"))))
+    phone = F.concat(
+        country,
+        _refill(rest, F.when(national, national_number(key, _digits(rest))).otherwise(feistel_text(F.concat(key, country), _digits(rest), "phone")))
+    )
     ssn = F.when(value.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), _refill(value, social_number(key, number))).otherwise(value)
     parts = F.transform(F.split(value, r"\."), lambda x: x.cast("long"))
     address = feistel_number(key, F.aggregate(parts, F.lit(0).cast("long"), lambda s, x: s * 256 + x), 65_536, 65_536, "ip")
-    quad = lambda a: F.array_join(F.transform(F.array(*map(F.lit, (24, 16, 8, 0))), lambda k: F.pmod(F.floor(a / F.pow(F.lit(2), k)).cast("long"), F.lit(256)).cast("string")), ".")
+    quad = lambda a: F.array_join(
+        F.transform(F.array(*map(F.lit, (24, 16, 8, 0))), lambda k: F.pmod(F.floor(a / F.pow(F.lit(2), k)).cast("long"), F.lit(256)).cast("string")),
+        "."
+    )
     ip = F.when(F.forall(parts, lambda x: x <= 255), _once(address, quad)).otherwise(value)
     day = _day(value)
-    moved = F.date_add(F.lit(FIRST_DAY).cast("date"), feistel_number(key, F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long"), *PARTS, "date").cast("int"))
+    moved = F.date_add(
+        F.lit(FIRST_DAY).cast("date"),
+        feistel_number(key, F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long"), *PARTS, "date").cast("int")
+    )
     short = value.rlike(r"^[0-9][./]|[./][0-9][./]")  # a day or month without a leading zero
     form = lambda m, padded, plain: F.when(short, F.date_format(m, plain)).otherwise(F.date_format(m, padded))
-    slashes = lambda m: F.when(F.try_to_timestamp(value, F.lit("M/d/yyyy")).isNotNull(), form(m, "MM/dd/yyyy", "M/d/yyyy")).otherwise(form(m, "dd/MM/yyyy", "d/M/yyyy"))
-    written = lambda m: F.when(value.rlike("^[0-9]{4}-"), F.date_format(m, "yyyy-MM-dd")).when(F.contains(value, F.lit("/")), slashes(m)).otherwise(form(m, "dd.MM.yyyy", "d.M.yyyy"))
+    slashes = lambda m: F.when(
+        F.try_to_timestamp(value, F.lit("M/d/yyyy")).isNotNull(), form(m, "MM/dd/yyyy", "M/d/yyyy")
+    ).otherwise(form(m, "dd/MM/yyyy", "d/M/yyyy"))
+    written = lambda m: F.when(
+        value.rlike("^[0-9]{4}-"), F.date_format(m, "yyyy-MM-dd")
+    ).when(F.contains(value, F.lit("/")), slashes(m)).otherwise(form(m, "dd.MM.yyyy", "d.M.yyyy"))
     date = F.when(day.isNotNull(), _once(moved, written)).otherwise(value)
     flat = F.regexp_replace(value, " ", "")
     account = feistel_text(key, F.substr(flat, F.lit(5), F.length(flat)), "iban")

@@ -110,7 +110,10 @@ def covered_words(longest: np.ndarray, offsets: np.ndarray, least: int) -> np.nd
     return row_sums((np.cumsum(change[:-1]) > 0).astype(np.int64), offsets)
 
 
-def quality_rules(docs: DataFrame, least: int = 10, max_covered: float = 0.6, max_repeat: int = 400, max_repeat_share: float = 0.5, min_words: int = 50, max_repeat_words_pct: int = 50) -> DataFrame:
+def quality_rules(
+    docs: DataFrame, least: int = 10, max_covered: float = 0.6, max_repeat: int = 400, max_repeat_share: float = 0.5, min_words: int = 50,
+    max_repeat_words_pct: int = 50
+) -> DataFrame:
     """docs (doc_id, text) → one row per input row with repetition figures and the verdict.
 
     For each text a suffix array over its words gives the longest repeated substring at each word. The spans of
@@ -138,8 +141,14 @@ def quality_rules(docs: DataFrame, least: int = 10, max_covered: float = 0.6, ma
             bad = (covered > max_covered * n) | (top > max_repeat) | ((top >= least) & (top > max_repeat_share * n))
             failed = (n < min_words) | (100 * triples > max_repeat_words_pct * n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), batch.column("word_chars"), batch.column("n_symbols"), batch.column("n_dup_lines"), pa.array(triples), pa.array(failed), pa.array(~failed & ~bad), pa.array(covered), pa.array(top)],
-                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "longest_repeat"],
+                [
+                    batch.column("doc_id"), pa.array(n), batch.column("word_chars"), batch.column("n_symbols"), batch.column("n_dup_lines"),
+                    pa.array(triples), pa.array(failed), pa.array(~failed & ~bad), pa.array(covered), pa.array(top)
+                ],
+                names=[
+                    "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words",
+                    "longest_repeat"
+                ],
             )
 
     text = F.coalesce("text", F.lit(""))
@@ -152,7 +161,10 @@ def quality_rules(docs: DataFrame, least: int = 10, max_covered: float = 0.6, ma
         F.when(F.contains(text, F.lit("\n")), F.size(lines) - F.size(F.array_distinct(lines))).otherwise(0).cast("long").alias("n_dup_lines"),
     )
     id_type = dict(docs.dtypes)["doc_id"]
-    return counted.mapInArrow(judge, f"doc_id {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, covered_words long, longest_repeat long")
+    return counted.mapInArrow(
+        judge,
+        f"doc_id {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, covered_words long, longest_repeat long"
+    )
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

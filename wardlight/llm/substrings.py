@@ -61,7 +61,10 @@ def _base(docs: DataFrame) -> DataFrame:
             hashes = word_hashes(distinct)[words]
             raw = distinct.cast(pa.binary()).to_pylist()
             at = words.tolist()
-            digests = [hashlib.sha256(b" ".join([raw[i] for i in at[a:b]])).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            digests = [
+                hashlib.sha256(b" ".join([raw[i] for i in at[a:b]])).digest() for a,
+                b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+            ]
             _, chosen = window_phrases(hashes, offsets)
             chosen = np.unique(chosen)
             rows, grams = row_of(offsets)[chosen], gram_hashes(hashes, PHRASE)[chosen]
@@ -73,7 +76,13 @@ def _base(docs: DataFrame) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=batch.num_rows))]).astype(np.int32)
             written = pa.array([b" ".join([raw[i] for i in at[p : p + PHRASE]]) for p in chosen.tolist()], pa.binary()).cast(pa.string())
             pairs = pa.StructArray.from_arrays([pa.array(grams.view(np.int64)), written], names=["phrase", "words"])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), batch.column("size"), pa.array(np.diff(offsets)), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pairs)], names=["doc_id", "h", "size", "n_words", "digest", "phrases"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), batch.column("h"), batch.column("size"), pa.array(np.diff(offsets)),
+                    pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pairs)
+                ],
+                names=["doc_id", "h", "size", "n_words", "digest", "phrases"]
+            )
 
     id_type = dict(docs.dtypes)["doc_id"]
     own = docs.select("doc_id", "h", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "text")
@@ -126,7 +135,10 @@ class _Phrases:
         known = np.fromiter((self.codes.get(w, -1) for w in distinct), np.int64, len(distinct))
         text = self.letters(known[words])
         bounds = (offsets * self.width).tolist()
-        hits = [(a + end + 1, k) for a, b in zip(bounds, bounds[1:], strict=False) if b - a >= self.width * WINDOW for end, k in self.automaton.iter(text[a:b])]
+        hits = [
+            (a + end + 1, k) for a, b in zip(bounds, bounds[1:], strict=False) if b - a >= self.width * WINDOW for end,
+            k in self.automaton.iter(text[a:b])
+        ]
         found = np.array(hits, np.int64).reshape(-1, 2)
         return found[:, 0] // self.width - PHRASE, found[:, 1]
 
@@ -156,16 +168,26 @@ def _occurrences(rows: DataFrame) -> DataFrame:
                 if blocks[lo] != block:
                     block, phrases, firsts = blocks[lo], _Phrases(), {}
                 if kind == 0:
-                    firsts.update(zip(zip(part.column("doc_id").to_pylist(), part.column("h").to_pylist(), strict=True), part.column("digest").to_pylist(), strict=True))
+                    firsts.update(
+                        zip(
+                            zip(part.column("doc_id").to_pylist(), part.column("h").to_pylist(), strict=True),
+                            part.column("digest").to_pylist(), strict=True
+                        )
+                    )
                 elif kind == 1:
-                    for told in zip(part.column("phrase").to_pylist(), part.column("salts").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                    for told in zip(
+                        part.column("phrase").to_pylist(), part.column("salts").to_pylist(),
+                        part.column("text").cast(pa.binary()).to_pylist(), strict=True
+                    ):
                         phrases.add(*told)
                 else:
                     if phrases.automaton is None:
                         phrases.compile()
                     digests = [firsts.pop(k, None) for k in zip(part.column("doc_id").to_pylist(), part.column("h").to_pylist(), strict=True)]
                     mine = np.flatnonzero([d is not None for d in digests])
-                    taken = part.take(pa.array(mine)).set_column(part.schema.get_field_index("digest"), "digest", pa.array([digests[i] for i in mine], pa.binary()))
+                    taken = part.take(pa.array(mine)).set_column(
+                        part.schema.get_field_index("digest"), "digest", pa.array([digests[i] for i in mine], pa.binary())
+                    )
                     for own in slices(iter([taken]), limit=2 << 20):
                         yield from places(own, phrases)
 
@@ -203,13 +225,27 @@ def _occurrences(rows: DataFrame) -> DataFrame:
         lists = [pa.ListArray.from_arrays(ends, pa.array(w[of_w])), pa.ListArray.from_arrays(ends, each)]
         figures, of = phrases.figures[which[first]], pa.array(rows_hit[row[first]])
         kind, digest = own.column("doc_id").type, own.column("digest")
-        yield pa.RecordBatch.from_arrays([pa.array(figures[:, 0]), pa.array(figures[:, 1].astype(np.int32)), digest.take(of), own.column("doc_id").take(of), *lists, pa.nulls(len(of), pa.string())], names=names)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(figures[:, 0]), pa.array(figures[:, 1].astype(np.int32)), digest.take(of), own.column("doc_id").take(of), *lists,
+                pa.nulls(len(of), pa.string())
+            ],
+            names=names
+        )
         held = pa.array(rows_hit)
         n = len(held)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), digest.take(held), pa.nulls(n, kind), pa.nulls(n, lists[0].type), pa.nulls(n, lists[1].type), own.column("text").take(held).cast(pa.string())], names=names)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), digest.take(held), pa.nulls(n, kind), pa.nulls(n, lists[0].type),
+                pa.nulls(n, lists[1].type), own.column("text").take(held).cast(pa.string())
+            ],
+            names=names
+        )
 
     dealt = rows.repartition("block").sortWithinPartitions("block", "kind")
-    return dealt.mapInArrow(locate, f"phrase long, salts int, digest binary, doc_id {id_type}, windows array<long>, starts array<array<int>>, text string")
+    return dealt.mapInArrow(
+        locate, f"phrase long, salts int, digest binary, doc_id {id_type}, windows array<long>, starts array<array<int>>, text string"
+    )
 
 
 def _contest(rows: DataFrame) -> DataFrame:
@@ -228,7 +264,9 @@ def _contest(rows: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             out = []
-            for *g, d, text, windows, starts, salts in zip(*(batch.column(c).to_pylist() for c in ("phrase", "salt", "doc_id", "digest", "windows", "starts", "salts")), strict=True):
+            for *g, d, text, windows, starts, salts in zip(
+                *(batch.column(c).to_pylist() for c in ("phrase", "salt", "doc_id", "digest", "windows", "starts", "salts")), strict=True
+            ):
                 if g != group:
                     group, least = g, {}
                 lost = []
@@ -244,7 +282,10 @@ def _contest(rows: DataFrame) -> DataFrame:
 
     def told(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.binary(), kind, pa.int64(), pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["phrase", "digest", "doc_id", "w", "starts"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
+            names=["phrase", "digest", "doc_id", "w", "starts"]
+        )
 
     own = rows.select("phrase", "salt", "doc_id", "digest", "windows", "starts", "salts")
     dealt = own.repartition("phrase", "salt").sortWithinPartitions("phrase", "salt", F.col("doc_id").asc_nulls_last(), "digest")
@@ -265,7 +306,11 @@ def lost_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Data
     """
     base = cut(_base(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "h")).alias("least")
-    reps = cut(base.where(F.col("n_words") >= WINDOW).groupBy("digest").agg(first, F.first("size").alias("size")).select("digest", "least.doc_id", "least.h", "size"))
+    reps = cut(
+        base.where(F.col("n_words") >= WINDOW).groupBy("digest").agg(first, F.first("size").alias("size")).select(
+            "digest", "least.doc_id", "least.h", "size"
+        )
+    )
     blocks = max(1, -(-(reps.agg(F.sum("size")).first()[0] or 0) // BLOCK))
     block = F.pmod(F.xxhash64("doc_id", "h"), F.lit(blocks)).cast("int").alias("block")
     chosen = base.where(F.col("n_words") >= WINDOW).select("digest", "doc_id", "h", F.inline("phrases"))
@@ -278,9 +323,15 @@ def lost_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Data
     id_type = dict(docs.dtypes)["doc_id"]
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     rows = reps.select(block, F.lit(0).alias("kind"), "doc_id", "h", "digest", none("long", "phrase"), none("int", "salts"), none("string", "text"))
-    rows = rows.unionByName(wanted.select("block", F.lit(1).alias("kind"), none(id_type, "doc_id"), none("long", "h"), none("binary", "digest"), "phrase", "salts", "text"))
+    rows = rows.unionByName(
+        wanted.select(
+            "block", F.lit(1).alias("kind"), none(id_type, "doc_id"), none("long", "h"), none("binary", "digest"), "phrase", "salts", "text"
+        )
+    )
     whole = docs.where(F.octet_length("text") >= 2 * WINDOW - 1)  # fewer bytes have no window
-    rows = rows.unionByName(whole.select(block, F.lit(2).alias("kind"), "doc_id", "h", none("binary", "digest"), none("long", "phrase"), none("int", "salts"), "text"))
+    rows = rows.unionByName(
+        whole.select(block, F.lit(2).alias("kind"), "doc_id", "h", none("binary", "digest"), none("long", "phrase"), none("int", "salts"), "text")
+    )
     found = cut(_occurrences(rows))
     rows_of = cut(base.select("doc_id", "h", "n_words", "digest"))
     drop(base)  # with the phrases' words
@@ -319,10 +370,16 @@ def kept_words(docs: DataFrame, texts: bool = False) -> DataFrame:
             gone = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + WINDOW, minlength=len(words) + 1)
             keep = np.cumsum(gone[:-1]) == 0
             raw = distinct.cast(pa.binary()).to_pylist()
-            left = [b" ".join([raw[i] for i in words[lo:hi][keep[lo:hi]].tolist()]) for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            left = [
+                b" ".join([raw[i] for i in words[lo:hi][keep[lo:hi]].tolist()]) for lo,
+                hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+            ]
             digests = [hashlib.sha256(x).hexdigest() for x in left]
             kept = pa.array(left, pa.binary()).cast(pa.string()) if texts else pa.nulls(len(left), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(row_sums((~keep).astype(np.int64), offsets)), pa.array(digests), kept], names=["digest", "n_removed", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("digest"), pa.array(row_sums((~keep).astype(np.int64), offsets)), pa.array(digests), kept],
+                names=["digest", "n_removed", "kept_sha256", "kept_text"]
+            )
 
     part = held.join(lost.hint("shuffle_hash"), "digest").mapInArrow(remove, "digest binary, n_removed long, kept_sha256 string, kept_text string")
     # A row a distinct text, written, so that many copies of one text are dealt as a skewed join.

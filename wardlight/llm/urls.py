@@ -53,14 +53,24 @@ def resolved(target: Column, url: Column) -> Column:
     root = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
     path = F.regexp_extract(t, r"(?s)^([^?#]*)", 1)
     folder = F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1)
-    whole = F.when(F.startswith(t, F.lit("/")), path).when(path == "", path_of(url)).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    whole = F.when(F.startswith(t, F.lit("/")), path).when(path == "", path_of(url)).otherwise(
+        F.concat(F.when(folder == "", "/").otherwise(folder), path)
+    )
     parts = F.slice(F.split(whole, "/"), 2, F.greatest(F.size(F.split(whole, "/")) - 1, F.lit(0)))
-    step = lambda up, x: F.when(x == "..", F.slice(up, 1, F.greatest(F.size(up) - 1, F.lit(0)))).when(x == ".", up).otherwise(F.array_append(up, x))
+    step = lambda up, x: F.when(
+        x == "..", F.slice(up, 1, F.greatest(F.size(up) - 1, F.lit(0)))
+    ).when(x == ".", up).otherwise(F.array_append(up, x))
     kept = F.aggregate(parts, F.array().cast("array<string>"), step)
     last = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
-    here = F.concat(root, F.when(whole == "", F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.size(kept) > 0, last).otherwise(F.lit("")))), F.substr(t, F.length(path) + 1, F.length(t)))
+    here = F.concat(
+        root,
+        F.when(whole == "", F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.size(kept) > 0, last).otherwise(F.lit("")))),
+        F.substr(t, F.length(path) + 1, F.length(t))
+    )
     scheme = F.regexp_extract(url, r"(?s)^(.*?):", 1)
-    return F.when(F.contains(t, F.lit("://")), t).when(F.startswith(t, F.lit("//")), F.concat(scheme, F.lit(":"), t)).when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (t == "") | (root == ""), None).otherwise(here)
+    return F.when(F.contains(t, F.lit("://")), t).when(F.startswith(t, F.lit("//")), F.concat(scheme, F.lit(":"), t)).when(
+        t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (t == "") | (root == ""), None
+    ).otherwise(here)
 
 
 def html_links(pages: DataFrame) -> DataFrame:
@@ -94,11 +104,16 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, redir
         found.append(html_links(base))
     # Every address that occurs, as a page's or as a target, is joined to its canonical form.
     every = reduce(DataFrame.unionByName, [base.select("url"), *(f.select(F.explode(F.array("a", "b")).alias("url")) for f in found)])
-    edges = reduce(DataFrame.unionByName, [every.select(F.col("url").alias("a"), F.concat(F.lit("http://"), canonical_url(F.col("url"))).alias("b")), *found])
+    edges = reduce(
+        DataFrame.unionByName,
+        [every.select(F.col("url").alias("a"), F.concat(F.lit("http://"), canonical_url(F.col("url"))).alias("b")), *found]
+    )
     edges = edges.where("a is not null and b is not null").where(F.contains(F.col("a"), F.lit("://")))
     edges = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     classes = cut(connected_components(edges))
-    ruled = classes.select("component", F.explode(F.array(rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"])).alias("told")).where("told is not null")
+    ruled = classes.select(
+        "component", F.explode(F.array(rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"])).alias("told")
+    ).where("told is not null")
     votes = ruled.groupBy("component").agg(F.min("told").alias("vote"))  # "allow" sorts before "block"
     voted = classes.join(votes, "component", "left").select(F.col("node").alias("url"), F.col("component").alias("alias_of"), "vote")
     out = base.select("page_id", "url").join(voted, "url", "left")
