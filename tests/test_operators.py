@@ -104,7 +104,9 @@ def test_gates_refuse_vacuous_passes(spark):
 
 def test_rings_touch_but_do_not_cross(spark):
     """Two squares that share a corner, a hole, and a boundary given in any order and direction."""
-    square = lambda x, y, n=1.0: [((x, y), (x + n, y)), ((x + n, y), (x + n, y + n)), ((x + n, y + n), (x, y + n)), ((x, y + n), (x, y))]
+    square = lambda x, y, n=1.0: [
+        ((x, y), (x + n, y)), ((x + n, y), (x + n, y + n)), ((x + n, y + n), (x, y + n)), ((x, y + n), (x, y))
+    ]
     edges = square(0, 0) + [(b, a) for a, b in square(1, 1)] + square(5, 5, 3.0) + square(6, 6)
     random.Random(4).shuffle(edges)
     df = spark.createDataFrame([(1, *map(float, (*a, *b))) for a, b in edges], "district int, x1 double, y1 double, x2 double, y2 double")
@@ -138,16 +140,23 @@ def test_despike_is_the_fixpoint_from_the_start(spark):
             x, y = pts[i % len(pts)]
             pts[i:i] = [(x + r.uniform(-3, 3), y + r.uniform(-3, 3)), (x + r.uniform(-0.05, 0.05), y)]
         rings.append((k, [*pts, pts[0]]))
-    df = spark.createDataFrame([(k, [{"x": x, "y": y} for x, y in ring]) for k, ring in rings], "feature_id int, ring array<struct<x:double,y:double>>")
+    df = spark.createDataFrame(
+        [(k, [{"x": x, "y": y} for x, y in ring]) for k, ring in rings], "feature_id int, ring array<struct<x:double,y:double>>"
+    )
     got = {x.feature_id: [(p.x, p.y) for p in x.ring] for x in G.despike(df, 0.5, 0.2).collect()}
     assert all(got[k] == naive_despike(ring, 0.5, 0.2) for k, ring in rings) and any(len(got[k]) < len(ring) for k, ring in rings)
 
 
 def test_cells_fit_the_features_whatever_their_units(spark):
-    f = layer(spark, (1, [[[[0.0, 0.0], [1200.0, 0.0], [1200.0, 1200.0], [0.0, 1200.0], [0.0, 0.0]]]]), (2, [[[[5e5, 0.0], [5e5 + 1, 0.0], [5e5 + 1, 2.0], [5e5, 0.0]]]]))
+    f = layer(
+        spark, (1, [[[[0.0, 0.0], [1200.0, 0.0], [1200.0, 1200.0], [0.0, 1200.0], [0.0, 0.0]]]]),
+        (2, [[[[5e5, 0.0], [5e5 + 1, 0.0], [5e5 + 1, 2.0], [5e5, 0.0]]]])
+    )
     one = f.where("feature_id = 1")
     assert P.cell_index(one, P.fitted_side(P.bounding_boxes(one))).count() < 100 and P.cell_index(f, P.fitted_side(P.bounding_boxes(f))).count() < 200
-    assert sorted((x.pid, x.feature_id) for x in P.classify(at(spark, (1, 1), (1199, 1199), (1201, 5), (5e5 + 0.9, 1)), f).collect()) == [(0, 1), (1, 1), (3, 2)]
+    assert sorted(
+        (x.pid, x.feature_id) for x in P.classify(at(spark, (1, 1), (1199, 1199), (1201, 5), (5e5 + 0.9, 1)), f).collect()
+    ) == [(0, 1), (1, 1), (3, 2)]
 
 
 def test_nearest_where_all_sites_are_on_one_spot(spark, monkeypatch):
@@ -173,12 +182,23 @@ def test_street_keys_stop_at_units_and_know_the_long_forms(spark):
 def test_names_and_domains_meet_within_their_edits(spark):
     from wardlight.operators.gates import domain_typo
 
-    a = spark.createDataFrame([(1, "x", "Ann Smith"), (2, "x", "Bo Li"), (3, "x", "Cy"), (4, "y", "Ann Smith"), (5, None, "Ann Smith"), (6, "x", "Al Jones")], "id int, block string, name string")
-    b = spark.createDataFrame([(11, "x", "Anna Smyth"), (12, "x", "Bob Smit"), (13, "x", "Bo Lie"), (14, "x", "Cy"), (15, "z", "Ann Smith"), (16, "x", "Al Jones"), (17, "x", "Al Jones")], "cid int, block string, name string")
+    a = spark.createDataFrame(
+        [(1, "x", "Ann Smith"), (2, "x", "Bo Li"), (3, "x", "Cy"), (4, "y", "Ann Smith"), (5, None, "Ann Smith"), (6, "x", "Al Jones")],
+        "id int, block string, name string"
+    )
+    b = spark.createDataFrame(
+        [
+            (11, "x", "Anna Smyth"), (12, "x", "Bob Smit"), (13, "x", "Bo Lie"), (14, "x", "Cy"), (15, "z", "Ann Smith"),
+            (16, "x", "Al Jones"), (17, "x", "Al Jones")
+        ],
+        "cid int, block string, name string"
+    )
     got = {r.id: (r.cid, r.n) for r in R.match_unique(a, b).collect()}
     assert got == {1: (11, 2), 2: (13, 1), 3: (14, 1), 4: (None, 0), 5: (None, 0), 6: (None, 2)}
     mails = ["a@city.org"] * 3 + ["b@ciyt.org", "c@town.org", "d@cities.org", "e@citt.or"]
-    assert {(r.domain, r.near) for r in domain_typo(spark.createDataFrame([(m,) for m in mails], "email string")).collect()} == {("ciyt.org", "city.org"), ("citt.or", "city.org")}
+    assert {
+        (r.domain, r.near) for r in domain_typo(spark.createDataFrame([(m,) for m in mails], "email string")).collect()
+    } == {("ciyt.org", "city.org"), ("citt.or", "city.org")}
 
 
 def test_numeric_order_of_keys(spark):
@@ -201,7 +221,10 @@ def test_overlay_areas_with_holes_parts_and_touching_sides(spark):
 
     box = lambda x, y, w, h: [[x, y], [x + w, y], [x + w, y + h], [x, y + h], [x, y]]
     a = layer(spark, (1, [[box(0.0, 0.0, 4.0, 4.0), box(1.0, 1.0, 1.0, 1.0)]]), (2, [[box(4.0, 0.0, 4.0, 4.0)], [box(100.0, 0.0, 1.0, 1.0)]]))
-    b = layer(spark, (7, [[box(0.5, 0.5, 2.0, 5.0)]]), (8, [[[[3.0, 0.0], [7.0, 4.0], [3.0, 4.0], [3.0, 0.0]]]]), (9, [[box(8.0, 0.0, 1.0, 1.0)], [box(100.5, 0.5, 9.0, 9.0)]]))
+    b = layer(
+        spark, (7, [[box(0.5, 0.5, 2.0, 5.0)]]), (8, [[[[3.0, 0.0], [7.0, 4.0], [3.0, 4.0], [3.0, 0.0]]]]),
+        (9, [[box(8.0, 0.0, 1.0, 1.0)], [box(100.5, 0.5, 9.0, 9.0)]])
+    )
     got = {(r.a_id, r.b_id): round(r.shared, 9) for r in overlay_areas(a, b).collect()}
     assert got == {(1, 7): 2 * 3.5 - 1, (1, 8): 3.5, (2, 8): 4.5, (2, 9): 0.25}
     assert overlay_areas(a, b.where("feature_id > 99")).count() == 0
@@ -219,7 +242,9 @@ def test_overlay_areas_against_sample_points(spark):
         pts = [(cx + f * math.cos(t), cy + f * math.sin(t)) for t, f in at]
         return np.array([(*p, *q) for p, q in zip(pts, pts[1:] + pts[:1], strict=True)])
 
-    inside = lambda e, x, y: (((e[:, 1] > y) != (e[:, 3] > y)) & (x < (e[:, 2] - e[:, 0]) * (y - e[:, 1]) / (e[:, 3] - e[:, 1]) + e[:, 0])).sum() % 2 == 1
+    inside = lambda e, x, y: (
+        ((e[:, 1] > y) != (e[:, 3] > y)) & (x < (e[:, 2] - e[:, 0]) * (y - e[:, 1]) / (e[:, 3] - e[:, 1]) + e[:, 0])
+    ).sum() % 2 == 1
     for _ in range(4):
         a, b = star(0, 0), star(r.uniform(-0.5, 0.5), 0.2)
         n = sum(inside(a, x, y) and inside(b, x, y) for x, y in ((-1 + (i + 0.5) / 50, -1 + (j + 0.5) / 50) for i in range(100) for j in range(100)))

@@ -49,12 +49,16 @@ def _words(c: Column) -> Column:
 
 def unit_title_case(c: Column) -> Column:
     roman = "^X{0,3}(IX|IV|V?I{0,3})$"
-    cap = lambda p: F.when(p.rlike("^[0-9]*$"), p).when((F.length(p) <= 4) & F.upper(p).rlike(roman), F.upper(p)).otherwise(F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1_000))))
+    cap = lambda p: F.when(p.rlike("^[0-9]*$"), p).when((F.length(p) <= 4) & F.upper(p).rlike(roman), F.upper(p)).otherwise(
+        F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1_000)))
+    )
     return F.array_join(F.transform(_words(c), lambda w: F.array_join(F.transform(F.split(w, "-"), cap), "-")), " ")
 
 
 def feed_title_case(c: Column, keep: Sequence[str] = KEEP_CAPS) -> Column:
-    cap = lambda w: F.when((F.length(w) == 1) | w.rlike("[0-9]") | w.isin(*keep), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000))))
+    cap = lambda w: F.when((F.length(w) == 1) | w.rlike("[0-9]") | w.isin(*keep), w).otherwise(
+        F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000)))
+    )
     return F.array_join(F.transform(_words(c), cap), " ")
 
 
@@ -63,15 +67,23 @@ def grade_range(c: Column, grades: Sequence[str] = GRADES) -> Column:
     order = F.array(*map(F.lit, grades))
     at = F.transform(F.split(c, r"\s*,\s*"), lambda g: F.array_position(order, F.trim(g)))
     n = F.size(at)
-    straight = (n > 1) & (F.array_min(at) > 0) & (F.element_at(at, -1) - F.element_at(at, 1) == n - 1) & (F.size(F.array_distinct(at)) == n) & (F.array_sort(at) == at)
-    return F.when(straight, F.concat(F.element_at(order, F.element_at(at, 1).cast("int")), F.lit("–"), F.element_at(order, F.element_at(at, -1).cast("int")))).otherwise(c)
+    straight = (n > 1) & (F.array_min(at) > 0) & (
+        F.element_at(at, -1) - F.element_at(at, 1) == n - 1
+    ) & (F.size(F.array_distinct(at)) == n) & (F.array_sort(at) == at)
+    return F.when(
+        straight,
+        F.concat(F.element_at(order, F.element_at(at, 1).cast("int")), F.lit("–"), F.element_at(order, F.element_at(at, -1).cast("int")))
+    ).otherwise(c)
 
 
 def uninvert_name(c: Column) -> Column:
     """`Last, First` → `First Last`; null where the name has another shape or ends in a suffix."""
     last, first = (F.trim(F.regexp_extract(F.trim(c), r"^([^,]+),([^,]+)$", i)) for i in (1, 2))
     plain = r"^[A-Za-z][A-Za-z .'’‘-]*$"
-    return F.when(last.rlike(plain) & first.rlike(plain) & ~F.lower(F.trim(F.regexp_replace(first, r"\.", ""))).isin(*SUFFIXES), F.concat_ws(" ", first, last))
+    return F.when(
+        last.rlike(plain) & first.rlike(plain) & ~F.lower(F.trim(F.regexp_replace(first, r"\.", ""))).isin(*SUFFIXES),
+        F.concat_ws(" ", first, last)
+    )
 
 
 def name_tokens(c: Column) -> Column:
@@ -82,7 +94,10 @@ def name_parts(c: Column) -> Column:
     """struct(first, last) without quoted nicknames, parentheses and suffixes."""
     bare = F.lower(F.regexp_replace(F.regexp_replace(c, r"\x22[^\x22]*\x22|\([^)]*\)", " "), "[.,]", " "))
     words = F.filter(F.split(bare, r"\s+"), lambda w: (w != "") & ~w.isin(*SUFFIXES))
-    return F.struct(F.coalesce(F.try_element_at(words, F.lit(1)), F.lit("")).alias("first"), F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit("")).alias("last"))
+    return F.struct(
+        F.coalesce(F.try_element_at(words, F.lit(1)), F.lit("")).alias("first"),
+        F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit("")).alias("last")
+    )
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -153,7 +168,9 @@ def iso_ts(c: Column) -> Column:
 
 def cron_days(c: Column) -> Column:
     parts = F.split(F.trim(c), r"\s+")
-    return F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(None).cast("int")).when(F.size(parts) != 5, 7).when(F.try_element_at(parts, F.lit(3)) != "*", 31).when(F.try_element_at(parts, F.lit(5)) != "*", 7).otherwise(1)
+    return F.when(
+        F.coalesce(F.trim(c), F.lit("")) == "", F.lit(None).cast("int")
+    ).when(F.size(parts) != 5, 7).when(F.try_element_at(parts, F.lit(3)) != "*", 31).when(F.try_element_at(parts, F.lit(5)) != "*", 7).otherwise(1)
 
 
 def age_days(then: Column, now: Column) -> Column:
@@ -220,7 +237,9 @@ def flatten_rings(polygons: Column) -> Column:
 
 def legal_name(c: Column) -> Column:
     form, base = F.regexp_extract(c, r"(?i)^(.*\S)\s+(village|city|town)$", 2), F.regexp_extract(c, r"(?i)^(.*\S)\s+(village|city|town)$", 1)
-    return F.when(c.rlike(r"(?i)^(village|city|town)\s+of\s"), c).when(form != "", F.concat(F.upper(F.substring(form, 1, 1)), F.lower(F.substring(form, 2, 20)), F.lit(" of "), base)).otherwise(c)
+    return F.when(c.rlike(r"(?i)^(village|city|town)\s+of\s"), c).when(
+        form != "", F.concat(F.upper(F.substring(form, 1, 1)), F.lower(F.substring(form, 2, 20)), F.lit(" of "), base)
+    ).otherwise(c)
 
 
 def strip_exact_prefix(c: Column, unit: Column) -> Column:
@@ -237,7 +256,9 @@ def split_ward(c: Column) -> Column:
     nth = r"(?i)^(.*?),\s*([0-9]+)(?:st|nd|rd|th)\s+(Ward|District)\s*$"
     named = r"^(.*?),\s*((?:Ward|District)\s+.+)$"
     body = F.when(c.rlike(nth), F.regexp_extract(c, nth, 1)).when(c.rlike(named), F.regexp_extract(c, named, 1)).otherwise(c)
-    ward = F.when(c.rlike(nth), F.concat_ws(" ", F.initcap(F.regexp_extract(c, nth, 3)), F.regexp_extract(c, nth, 2))).when(c.rlike(named), squash_space(F.regexp_extract(c, named, 2)))
+    ward = F.when(
+        c.rlike(nth), F.concat_ws(" ", F.initcap(F.regexp_extract(c, nth, 3)), F.regexp_extract(c, nth, 2))
+    ).when(c.rlike(named), squash_space(F.regexp_extract(c, named, 2)))
     return F.struct(squash_space(body).alias("body"), ward.alias("ward"))
 
 
@@ -251,7 +272,9 @@ def informative_lines(lines: Column, building_zip: str = "62706") -> Column:
 
     def says(line: Column) -> Column:
         t = F.trim(F.coalesce(line, F.lit("")))
-        bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"(?i)\b(IL|Illinois)\b", " "), r"\b[0-9]{5}(-[0-9]{4})?\b", " "), "[^A-Za-z0-9]+", "")
+        bare = F.regexp_replace(
+            F.regexp_replace(F.regexp_replace(t, r"(?i)\b(IL|Illinois)\b", " "), r"\b[0-9]{5}(-[0-9]{4})?\b", " "), "[^A-Za-z0-9]+", ""
+        )
         return (t != "") & F.when(t.rlike(r"^[\s()\-.0-9]+$"), F.length(F.regexp_replace(t, "[^0-9]", "")) >= 10).otherwise(bare != "")
 
     kept = F.filter(lines, says)

@@ -29,7 +29,10 @@ def retention(old: DataFrame, new: DataFrame, fields: Sequence[str], accepted: D
     rule = F.when((F.col("now") == 0) & (F.col("was") >= 2), "vanished").when((lost >= 3) & (F.col("now") <= F.col("was") * 0.5), "halved")
     by_field = f.select("file", F.lit(None).cast("string").alias("grp"), "field", rule.alias("rule"), "was", "now").where("rule is not null")
     records = f.groupBy("file").agg(F.max("old_records").alias("was"), F.max("new_records").alias("now")).where("was >= 3 and now < was * 0.5")
-    by_record = records.select("file", F.lit(None).cast("string").alias("grp"), F.lit(None).cast("string").alias("field"), F.lit("records").alias("rule"), "was", "now")
+    by_record = records.select(
+        "file", F.lit(None).cast("string").alias("grp"), F.lit(None).cast("string").alias("field"), F.lit("records").alias("rule"), "was",
+        "now"
+    )
     g = grown(["file", "grp"]).where("new_records is not null and old_records >= 3 and was >= 2 and now = 0")
     few = old.groupBy("file").agg(F.countDistinct("grp").alias("groups")).where("groups <= 200").select("file")
     by_group = g.join(few, "file", "left_semi").select("file", "grp", "field", F.lit("vanished").alias("rule"), "was", "now")
@@ -37,8 +40,13 @@ def retention(old: DataFrame, new: DataFrame, fields: Sequence[str], accepted: D
     if accepted is None:
         return out.withColumn("severity", F.lit("FAIL"))
     a = accepted.select(F.col("file").alias("_f"), F.col("grp").alias("_g"), F.col("field").alias("_d"), F.lit(True).alias("_ok")).distinct()
-    met = out.join(a, (F.col("file") == F.col("_f")) & (F.col("field") == F.col("_d")) & (F.col("_g").isNull() | F.col("grp").eqNullSafe(F.col("_g"))), "left")
-    return met.groupBy("file", "grp", "field", "rule", "was", "now").agg(F.max("_ok").alias("ok")).withColumn("severity", F.when(F.col("ok"), "OK-accepted").otherwise("FAIL")).drop("ok")
+    met = out.join(
+        a, (F.col("file") == F.col("_f")) & (F.col("field") == F.col("_d")) & (F.col("_g").isNull() | F.col("grp").eqNullSafe(F.col("_g"))),
+        "left"
+    )
+    return met.groupBy("file", "grp", "field", "rule", "was", "now").agg(F.max("_ok").alias("ok")).withColumn(
+        "severity", F.when(F.col("ok"), "OK-accepted").otherwise("FAIL")
+    ).drop("ok")
 
 
 def enough_compared(df: DataFrame, key: str, least: int = 40) -> DataFrame:
@@ -51,7 +59,9 @@ def carry_forward(new: DataFrame, shipped: DataFrame, key: str) -> tuple[DataFra
     kept = shipped.join(new, key, "left_anti")
     out = new.withColumn("carried", F.lit(False)).unionByName(kept.withColumn("carried", F.lit(True)))
     s = out.agg(F.count("*").alias("n"), F.count_if("carried").alias("carried"))
-    return out, s.withColumn("severity", F.when((F.col("carried") > 0) & (F.col("carried") >= F.greatest(F.lit(1.0), F.col("n") / 2)), "FAIL").otherwise("OK"))
+    return out, s.withColumn(
+        "severity", F.when((F.col("carried") > 0) & (F.col("carried") >= F.greatest(F.lit(1.0), F.col("n") / 2)), "FAIL").otherwise("OK")
+    )
 
 
 def preserve(fresh: DataFrame, shipped: DataFrame, failed: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -60,7 +70,9 @@ def preserve(fresh: DataFrame, shipped: DataFrame, failed: DataFrame, expected:
     carried = shipped.join(f, "source", "left_semi")
     both = fresh.join(f, "source", "left_semi").select("source", F.lit("also supplied fresh").alias("problem")).distinct()
     none = f.join(carried, "source", "left_anti").select("source", F.lit("nothing to carry").alias("problem"))
-    gone = expected.join(f, "source", "left_semi").join(carried.select("source", "place"), ["source", "place"], "left_anti").select("source", F.lit("expected place missing").alias("problem")).distinct()
+    gone = expected.join(f, "source", "left_semi").join(
+        carried.select("source", "place"), ["source", "place"], "left_anti"
+    ).select("source", F.lit("expected place missing").alias("problem")).distinct()
     return fresh.unionByName(carried), both.unionByName(none).unionByName(gone)
 
 
@@ -72,7 +84,15 @@ def preserve_enrichment(fresh: DataFrame, shipped: DataFrame, fields: Sequence[s
 def floors(df: DataFrame, spec: Mapping[str, tuple[Column, int | None, int | None]]) -> DataFrame:
     """spec: name → (condition, least, most). One row a rule: name, n, severity."""
     counts = df.agg(*[F.count_if(c).alias(k) for k, (c, _, _) in spec.items()])
-    rows = [F.struct(F.lit(k).alias("rule"), F.col(k).alias("n"), F.when((F.col(k) < lo if lo is not None else F.lit(False)) | (F.col(k) > hi if hi is not None else F.lit(False)), "FAIL").otherwise("OK").alias("severity")) for k, (_, lo, hi) in spec.items()]
+    rows = [
+        F.struct(
+            F.lit(k).alias("rule"), F.col(k).alias("n"),
+            F.when(
+                (F.col(k) < lo if lo is not None else F.lit(False)) | (F.col(k) > hi if hi is not None else F.lit(False)), "FAIL"
+            ).otherwise("OK").alias("severity")
+        ) for k,
+        (_, lo, hi) in spec.items()
+    ]
     return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
@@ -89,7 +109,12 @@ def watch(pages: DataFrame, recorded: DataFrame) -> DataFrame:
     """pages (url, html, links array), recorded (url, sha, link): gone / changed / link gone / same."""
     now = pages.select("url", F.sha2("html", 256).alias("now"), "links")
     met = recorded.join(now, "url", "left")
-    return met.select("url", F.when(F.col("now").isNull(), "gone").when(F.col("link").isNotNull() & ~F.array_contains("links", F.col("link")), "link gone").when(F.col("now") != F.col("sha"), "changed").otherwise("same").alias("state"))
+    return met.select(
+        "url",
+        F.when(F.col("now").isNull(), "gone").when(
+            F.col("link").isNotNull() & ~F.array_contains("links", F.col("link")), "link gone"
+        ).when(F.col("now") != F.col("sha"), "changed").otherwise("same").alias("state")
+    )
 
 
 def monotone_as_of(new: DataFrame, shipped: DataFrame, key: str) -> DataFrame:
@@ -103,32 +128,50 @@ def validate_registry(gaps: DataFrame, layers: DataFrame, counties: DataFrame) -
     gaps = gaps.withColumn("_times", F.count("*").over(Window.partitionBy("id")))
     text = F.coalesce("summary", F.lit(""))
     rules = [
-        (blank("id") | blank("summary"), "required"), (~F.col("kind").isin("no-source", "blocked", "data-quality"), "kind"), (F.length(text) > 240, "length"), (text.rlike(r"https?://|www\.|\b[a-z0-9-]+\.(com|org|gov|net)\b"), "address"),
-        (text.rlike(r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b"), "date"), (text.rlike(r"\b[A-Z]{5,}(\s+[A-Z]{4,}){2,}"), "shouting"), (F.col("_times") > 1, "repeated id"),
+        (blank("id") | blank("summary"), "required"), (~F.col("kind").isin("no-source", "blocked", "data-quality"), "kind"), (F.length(text) > 240, "length"), (
+            text.rlike(r"https?://|www\.|\b[a-z0-9-]+\.(com|org|gov|net)\b"), "address"
+        ),
+        (text.rlike(r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b"), "date"), (
+            text.rlike(r"\b[A-Z]{5,}(\s+[A-Z]{4,}){2,}"), "shouting"
+        ), (F.col("_times") > 1, "repeated id"),
     ]
     own = gaps.select("id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(p)) for c, p in rules]))).alias("problem"))
     l = gaps.join(layers.select("layer"), "layer", "left_anti").select("id", F.lit("layer").alias("problem"))
-    c = gaps.select("id", F.explode("counties").alias("county")).join(counties.select("county"), "county", "left_anti").select("id", F.lit("county").alias("problem")).distinct()
+    c = gaps.select("id", F.explode("counties").alias("county")).join(
+        counties.select("county"), "county", "left_anti"
+    ).select("id", F.lit("county").alias("problem")).distinct()
     return own.unionByName(l).unionByName(c)
 
 
 def freshness(sources: DataFrame, probes: DataFrame, newest: DataFrame) -> DataFrame:
     """sources (series, url, expect_blocked), probes (url, state, final_url), newest (series, severity) → series, finding, severity."""
     met = sources.join(probes, "url", "left").join(newest.select("series", F.col("severity").alias("edition")), "series", "left")
-    finding = F.when(F.col("expect_blocked") & (F.col("state") == "ok"), "reachable again").when(F.col("expect_blocked"), "blocked as expected").when(F.coalesce("state", F.lit("")) != "ok", "unreachable").when(F.col("final_url") != F.col("url"), "renamed").when(F.col("edition") == "WARN", "newer edition").otherwise("current")
-    return met.select("series", finding.alias("finding")).withColumn("severity", F.when(F.col("finding").isin("current", "blocked as expected"), "OK").when(F.col("finding") == "unreachable", "FAIL").otherwise("WARN"))
+    finding = F.when(
+        F.col("expect_blocked") & (F.col("state") == "ok"), "reachable again"
+    ).when(F.col("expect_blocked"), "blocked as expected").when(
+        F.coalesce("state", F.lit("")) != "ok", "unreachable"
+    ).when(F.col("final_url") != F.col("url"), "renamed").when(F.col("edition") == "WARN", "newer edition").otherwise("current")
+    return met.select("series", finding.alias("finding")).withColumn(
+        "severity",
+        F.when(F.col("finding").isin("current", "blocked as expected"), "OK").when(F.col("finding") == "unreachable", "FAIL").otherwise("WARN")
+    )
 
 
 def dataset_ranges(counts: DataFrame, spec: DataFrame) -> DataFrame:
     """counts (dataset, n), spec (dataset, lo, hi): missing and out-of-range data sets fail."""
     met = spec.join(counts, "dataset", "left")
-    return met.select("dataset", "n", F.when(F.col("n").isNull(), "missing").when((F.col("n") < F.col("lo")) | (F.col("n") > F.col("hi")), "range").otherwise("ok").alias("finding"))
+    return met.select(
+        "dataset", "n",
+        F.when(F.col("n").isNull(), "missing").when((F.col("n") < F.col("lo")) | (F.col("n") > F.col("hi")), "range").otherwise("ok").alias("finding")
+    )
 
 
 def exactly_one_list(files: DataFrame, lists: DataFrame) -> DataFrame:
     """files (file), lists (file, list): in no list, in several, or listed but unknown."""
     g = lists.groupBy("file").agg(F.count("*").alias("n"))
-    a = files.join(g, "file", "left").where("n is null or n > 1").select("file", F.when(F.col("n").isNull(), "unlisted").otherwise("several").alias("problem"))
+    a = files.join(g, "file", "left").where("n is null or n > 1").select(
+        "file", F.when(F.col("n").isNull(), "unlisted").otherwise("several").alias("problem")
+    )
     return a.unionByName(lists.join(files, "file", "left_anti").select("file", F.lit("unknown").alias("problem")).distinct())
 
 
@@ -145,9 +188,13 @@ def served_status(ring: DataFrame, dispatch: DataFrame, cards: DataFrame, gaps:
     """Per county of the ring: dispatch / card only / frontier / unresearched, its layers, its gaps, and whether an absence is unexplained."""
     d = dispatch.groupBy("county").agg(F.countDistinct("layer").alias("layers"))
     g = gaps.select(F.explode("counties").alias("county")).groupBy("county").agg(F.count("*").alias("gaps"))
-    out = ring.join(d, "county", "left").join(cards.select("county").distinct().withColumn("card", F.lit(True)), "county", "left").join(g, "county", "left")
+    out = ring.join(d, "county", "left").join(
+        cards.select("county").distinct().withColumn("card", F.lit(True)), "county", "left"
+    ).join(g, "county", "left")
     status = F.when(F.col("layers").isNotNull(), "dispatch").when(F.col("card"), "card only").when(F.col("gaps").isNotNull(), "frontier").otherwise("unresearched")
-    return out.select("county", status.alias("status"), F.coalesce("layers", F.lit(0)).alias("layers"), F.coalesce("gaps", F.lit(0)).alias("gaps")).withColumn("unexplained", F.col("status") == "unresearched")
+    return out.select(
+        "county", status.alias("status"), F.coalesce("layers", F.lit(0)).alias("layers"), F.coalesce("gaps", F.lit(0)).alias("gaps")
+    ).withColumn("unexplained", F.col("status") == "unresearched")
 
 
 def fleet_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -155,7 +202,10 @@ def fleet_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
     e = expected.select("site", "id", F.sha2("content", 256).alias("a"))
     s = actual.select("site", "id", F.sha2("content", 256).alias("b"))
     met = e.join(s, ["site", "id"], "full_outer")
-    return met.select("site", "id", F.when(F.col("b").isNull(), "unlisted").when(F.col("a").isNull(), "phantom").when(F.col("a") != F.col("b"), "content").alias("drift")).where("drift is not null")
+    return met.select(
+        "site", "id",
+        F.when(F.col("b").isNull(), "unlisted").when(F.col("a").isNull(), "phantom").when(F.col("a") != F.col("b"), "content").alias("drift")
+    ).where("drift is not null")
 
 
 def provenance(entries: DataFrame) -> DataFrame:
@@ -173,28 +223,44 @@ def closed_set(entries: DataFrame, reference: DataFrame, key: str) -> DataFrame:
 def link_findings(evidence: DataFrame, expected: DataFrame) -> DataFrame:
     """evidence (url, authored, state), expected (host): severity of each link; a published link is a WARN at most."""
     e = expected.select(F.col("host").alias("_h"), F.lit(True).alias("_e")).distinct()
-    met = evidence.withColumn("_host", F.coalesce(host_of(F.col("url")), F.col("url"))).join(e, F.col("_host") == F.col("_h"), "left").withColumn("_e", F.coalesce("_e", F.lit(False)))
+    met = evidence.withColumn(
+        "_host", F.coalesce(host_of(F.col("url")), F.col("url"))
+    ).join(e, F.col("_host") == F.col("_h"), "left").withColumn("_e", F.coalesce("_e", F.lit(False)))
     s = F.col("state")
-    raw = F.when(s == "ok", F.when(F.col("_e"), "WARN").otherwise("OK")).when(s == "blocked", F.when(F.col("_e") | ~F.col("authored"), "OK").otherwise("WARN")).when(s.isin("gone", "hollow"), "FAIL").when(s.isin("rate-limited", "root-redirect"), "WARN").when(F.col("_e"), "OK").otherwise("WARN")
+    raw = F.when(s == "ok", F.when(F.col("_e"), "WARN").otherwise("OK")).when(
+        s == "blocked", F.when(F.col("_e") | ~F.col("authored"), "OK").otherwise("WARN")
+    ).when(s.isin("gone", "hollow"), "FAIL").when(s.isin("rate-limited", "root-redirect"), "WARN").when(F.col("_e"), "OK").otherwise("WARN")
     return met.select("url", F.when((raw == "FAIL") & ~F.col("authored"), "WARN").otherwise(raw).alias("severity"))
 
 
 def districted_seat_check(roster: DataFrame, coverage: DataFrame) -> DataFrame:
     """roster (body, seats array<string>): bodies with ward geometry but no seat with a district: WARN."""
     named = F.exists("seats", lambda s: s.isNotNull() & ~F.lower(s).rlike("at.large"))
-    return roster.join(coverage.select("body").distinct(), "body", "left_semi").where(~F.coalesce(named, F.lit(False))).select("body", F.lit("WARN").alias("severity"))
+    return roster.join(
+        coverage.select("body").distinct(), "body", "left_semi"
+    ).where(~F.coalesce(named, F.lit(False))).select("body", F.lit("WARN").alias("severity"))
 
 
 def backfill_seats(roster: DataFrame, seats: DataFrame) -> DataFrame:
     """roster (district, members), seats (district, seats): seat counts stamped, vacancies, and FAIL where it is overfull. Idempotent."""
     own = roster.drop("seats", "vacancies", "severity") if "seats" in roster.columns else roster
     out = own.join(seats, "district", "left")
-    return out.withColumns({"vacancies": F.greatest(F.col("seats") - F.col("members"), F.lit(0)), "severity": F.when(F.col("members") > F.col("seats"), "FAIL").otherwise("OK")})
+    return out.withColumns(
+        {
+            "vacancies": F.greatest(F.col("seats") - F.col("members"), F.lit(0)),
+            "severity": F.when(F.col("members") > F.col("seats"), "FAIL").otherwise("OK")
+        }
+    )
 
 
 def source_pin(meta: DataFrame, pins: DataFrame) -> DataFrame:
     met = pins.join(meta.withColumnsRenamed({"edited": "now_edited", "names": "now_names"}), "source", "left")
-    return met.select("source", F.when(F.col("now_edited").isNull(), "missing").when(F.col("now_edited") != F.col("edited"), "edited").when(F.col("now_names") != F.col("names"), "names").otherwise("same").alias("state"))
+    return met.select(
+        "source",
+        F.when(F.col("now_edited").isNull(), "missing").when(
+            F.col("now_edited") != F.col("edited"), "edited"
+        ).when(F.col("now_names") != F.col("names"), "names").otherwise("same").alias("state")
+    )
 
 
 def switchboard(df: DataFrame) -> DataFrame:
@@ -207,13 +273,29 @@ def switchboard(df: DataFrame) -> DataFrame:
     return df.withColumn("office_line", has & ((one & (n > 1)) | (shared >= 3) | F.coalesce(F.col("phone") == F.col("hall"), F.lit(False))))
 
 
-def privacy(df: DataFrame, key: str, fields: Sequence[str], forbidden: Sequence[str] = ("home_address", "home_phone", "ssn", "birthdate")) -> DataFrame:
+def privacy(
+    df: DataFrame, key: str, fields: Sequence[str], forbidden: Sequence[str] = ("home_address", "home_phone", "ssn", "birthdate")
+) -> DataFrame:
     """Findings (key, field, problem): forbidden fields, street addresses in free fields, personal mailboxes."""
-    checks = [F.when(~blank(F.col(f).cast("string")), F.struct(F.lit(f).alias("field"), F.lit("forbidden").alias("problem"))) for f in forbidden if f in df.columns]
+    checks = [
+        F.when(
+            ~blank(F.col(f).cast("string")), F.struct(F.lit(f).alias("field"), F.lit("forbidden").alias("problem"))
+        ) for f in forbidden if f in df.columns
+    ]
     for f in fields:
         c = F.col(f)
-        checks.append(F.when(c.rlike(r"(?i)^\s*[0-9]{1,5}\s+\S.*\b(street|st|avenue|ave|road|rd|drive|dr|lane|ln|court|ct)\b"), F.struct(F.lit(f).alias("field"), F.lit("street address").alias("problem"))))
-        checks.append(F.when(F.lower(F.substring_index(c, "@", -1)).isin(*MAILBOXES) & F.contains(c, F.lit("@")), F.struct(F.lit(f).alias("field"), F.lit("personal mailbox").alias("problem"))))
+        checks.append(
+            F.when(
+                c.rlike(r"(?i)^\s*[0-9]{1,5}\s+\S.*\b(street|st|avenue|ave|road|rd|drive|dr|lane|ln|court|ct)\b"),
+                F.struct(F.lit(f).alias("field"), F.lit("street address").alias("problem"))
+            )
+        )
+        checks.append(
+            F.when(
+                F.lower(F.substring_index(c, "@", -1)).isin(*MAILBOXES) & F.contains(c, F.lit("@")),
+                F.struct(F.lit(f).alias("field"), F.lit("personal mailbox").alias("problem"))
+            )
+        )
     return df.select(key, F.explode(F.array_compact(F.array(*checks))).alias("f")).select(key, "f.field", "f.problem")
 
 
@@ -237,4 +319,7 @@ def verdict_counts(df: DataFrame, key: str) -> DataFrame:
 
 def severity_summary(findings: DataFrame, group: str) -> DataFrame:
     r = F.when(F.col("severity") == "FAIL", 0).when(F.col("severity") == "WARN", 1).otherwise(2)
-    return findings.groupBy(group).agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "FAIL").alias("fails"), F.element_at(F.array(F.lit("FAIL"), F.lit("WARN"), F.lit("OK")), F.min(r) + 1).alias("worst"))
+    return findings.groupBy(group).agg(
+        F.count("*").alias("n"), F.count_if(F.col("severity") == "FAIL").alias("fails"),
+        F.element_at(F.array(F.lit("FAIL"), F.lit("WARN"), F.lit("OK")), F.min(r) + 1).alias("worst")
+    )

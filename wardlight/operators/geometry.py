@@ -41,7 +41,9 @@ def chain_rings(edges: DataFrame) -> DataFrame:
         import pandas as pd
 
         rings = rings_of(np.stack([pdf[["x1", "y1"]].to_numpy(float), pdf[["x2", "y2"]].to_numpy(float)], axis=1), key[0])
-        return pd.DataFrame({"district": [key[0]] * len(rings), "ring_no": range(len(rings)), "ring": [[{"x": x, "y": y} for x, y in r] for r in rings]})
+        return pd.DataFrame(
+            {"district": [key[0]] * len(rings), "ring_no": range(len(rings)), "ring": [[{"x": x, "y": y} for x, y in r] for r in rings]}
+        )
 
     kind = dict(edges.dtypes)["district"]
     return edges.groupBy("district").applyInPandas(chain, f"district {kind}, ring_no int, ring array<struct<x:double,y:double>>")
@@ -83,12 +85,20 @@ def rings_of(edges: np.ndarray, name) -> list[list[list[float]]]:
 
 def nest_rings(rings: DataFrame, cell: float | None = None) -> DataFrame:
     """rings (feature_id, ring_no, ring) → with area, depth (larger rings of the feature that contain its first vertex) and hole (odd depth)."""
-    as_feature = rings.select(F.concat_ws("/", "feature_id", "ring_no").alias("feature_id"), F.col("feature_id").alias("owner"), F.col("ring_no").alias("outer_no"), F.array(F.array("ring")).alias("polygons"))
+    as_feature = rings.select(
+        F.concat_ws("/", "feature_id", "ring_no").alias("feature_id"), F.col("feature_id").alias("owner"),
+        F.col("ring_no").alias("outer_no"), F.array(F.array("ring")).alias("polygons")
+    )
     areas = ring_measures(as_feature).select(F.col("feature_id").alias("k"), F.abs("area").alias("area"))
     sized = rings.withColumn("k", F.concat_ws("/", "feature_id", "ring_no")).join(areas, "k").drop("k")
-    probes = sized.select(F.concat_ws("/", "feature_id", "ring_no").alias("pid"), F.col("feature_id").alias("own"), "ring_no", F.col("area").alias("small"), F.col("ring")[0]["x"].alias("x"), F.col("ring")[0]["y"].alias("y"))
+    probes = sized.select(
+        F.concat_ws("/", "feature_id", "ring_no").alias("pid"), F.col("feature_id").alias("own"), "ring_no", F.col("area").alias("small"),
+        F.col("ring")[0]["x"].alias("x"), F.col("ring")[0]["y"].alias("y")
+    )
     hits = classify(probes, as_feature.join(areas.withColumnRenamed("k", "feature_id"), "feature_id"), cell)
-    depth = hits.where("own = owner and ring_no <> outer_no and area > small").groupBy(F.col("own").alias("feature_id"), "ring_no").agg(F.count("*").alias("depth"))
+    depth = hits.where(
+        "own = owner and ring_no <> outer_no and area > small"
+    ).groupBy(F.col("own").alias("feature_id"), "ring_no").agg(F.count("*").alias("depth"))
     out = sized.join(depth, ["feature_id", "ring_no"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
     return out.withColumn("hole", F.col("depth") % 2 == 1)
 
@@ -147,7 +157,9 @@ def simplify_area(rings: DataFrame, keep: float) -> DataFrame:
         n = len(ring) - 1
         goal = max(3, round(n * keep))
         prev, nxt = [(i - 1) % n for i in range(n)], [(i + 1) % n for i in range(n)]
-        area = lambda i: abs((ring[i][0] - ring[prev[i]][0]) * (ring[nxt[i]][1] - ring[prev[i]][1]) - (ring[nxt[i]][0] - ring[prev[i]][0]) * (ring[i][1] - ring[prev[i]][1])) / 2
+        area = lambda i: abs(
+            (ring[i][0] - ring[prev[i]][0]) * (ring[nxt[i]][1] - ring[prev[i]][1]) - (ring[nxt[i]][0] - ring[prev[i]][0]) * (ring[i][1] - ring[prev[i]][1])
+        ) / 2
         now = [area(i) for i in range(n)]
         heap = [(a, i) for i, a in enumerate(now)]
         heapq.heapify(heap)
@@ -197,19 +209,36 @@ def spikes(edges: DataFrame, deviation: float, chord: float) -> DataFrame:
     ends = {c: F.coalesce(F.lag(c).over(w.orderBy("seq")), F.last(c).over(o)) for c in ("ax", "ay")}
     v = edges.withColumns({"px": ends["ax"], "py": ends["ay"]})
     off = chord_deviation(F.col("ax"), F.col("ay"), F.col("px"), F.col("py"), F.col("bx"), F.col("by"))
-    return v.where((off > deviation) & (F.hypot(F.col("bx") - F.col("px"), F.col("by") - F.col("py")) < chord)).select("feature_id", "polygon_idx", "ring_idx", "seq", F.col("ax").alias("x"), F.col("ay").alias("y"))
+    return v.where((off > deviation) & (F.hypot(F.col("bx") - F.col("px"), F.col("by") - F.col("py")) < chord)).select(
+        "feature_id", "polygon_idx", "ring_idx", "seq", F.col("ax").alias("x"), F.col("ay").alias("y")
+    )
 
 
 def check_anchors(anchors: DataFrame, features: DataFrame) -> DataFrame:
     """anchors (pid, x, y, expected; null: must miss) → with got, status and ok."""
     got = classify_status(anchors, features).select("pid", "status", F.col("feature_id").alias("got"))
-    return anchors.join(got, "pid").withColumn("ok", F.when(F.col("expected").isNull(), F.col("status") == "NONE").otherwise((F.col("status") == "OK") & (F.col("got") == F.col("expected"))))
+    return anchors.join(got, "pid").withColumn(
+        "ok",
+        F.when(F.col("expected").isNull(), F.col("status") == "NONE").otherwise((F.col("status") == "OK") & (F.col("got") == F.col("expected")))
+    )
 
 
 def check_envelope(features: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
     """One row a side: what the data reach, what is declared, and whether the declared box holds it."""
-    e = bounding_boxes(features).agg(F.min("min_x").alias("west"), F.min("min_y").alias("south"), F.max("max_x").alias("east"), F.max("max_y").alias("north"))
-    sides = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.col(n).alias("reach"), F.lit(float(v)).alias("declared"), (F.col(n) >= v if n in ("west", "south") else F.col(n) <= v).alias("ok")) for n, v in zip(("west", "south", "east", "north"), box, strict=True)]))
+    e = bounding_boxes(features).agg(
+        F.min("min_x").alias("west"), F.min("min_y").alias("south"), F.max("max_x").alias("east"), F.max("max_y").alias("north")
+    )
+    sides = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(n).alias("side"), F.col(n).alias("reach"), F.lit(float(v)).alias("declared"),
+                    (F.col(n) >= v if n in ("west", "south") else F.col(n) <= v).alias("ok")
+                ) for n,
+                v in zip(("west", "south", "east", "north"), box, strict=True)
+            ]
+        )
+    )
     return e.select(sides.alias("s")).select("s.*")
 
 
@@ -217,11 +246,16 @@ def agreement(points: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: points, share with equal status and key in both layers, and double hits in b."""
     sa = classify_status(points, a).select("pid", F.concat_ws("/", "status", "feature_id").alias("a"))
     sb = classify_status(points, b).select("pid", F.concat_ws("/", "status", "feature_id").alias("b"), F.col("n").alias("hits"))
-    return sa.join(sb, "pid").agg(F.count("*").alias("n"), F.avg(F.col("a").eqNullSafe(F.col("b")).cast("double")).alias("share"), F.count_if(F.col("hits") > 1).alias("doubles"))
+    return sa.join(sb, "pid").agg(
+        F.count("*").alias("n"), F.avg(F.col("a").eqNullSafe(F.col("b")).cast("double")).alias("share"),
+        F.count_if(F.col("hits") > 1).alias("doubles")
+    )
 
 
 def check_simplification(points: DataFrame, source: DataFrame, new: DataFrame, least: float = 0.995) -> DataFrame:
-    n = source.agg(F.count("*").alias("n_source")).withColumn("_k", F.lit(1)).join(new.agg(F.count("*").alias("n_new")).withColumn("_k", F.lit(1)), "_k")
+    n = source.agg(F.count("*").alias("n_source")).withColumn("_k", F.lit(1)).join(
+        new.agg(F.count("*").alias("n_new")).withColumn("_k", F.lit(1)), "_k"
+    )
     both = agreement(points, source, new).withColumn("_k", F.lit(1)).join(n, "_k").drop("_k")
     return both.withColumn("ok", (F.col("n_source") == F.col("n_new")) & (F.col("doubles") == 0) & (F.col("share") >= least))
 
@@ -235,9 +269,15 @@ def edge_multiplicity(units: DataFrame) -> DataFrame:
 
 def tiling_report(samples: DataFrame, features: DataFrame, outline: DataFrame) -> DataFrame:
     """One row over sample points: in the outline, covered once, never, more than once, and covered outside (spill)."""
-    inside = classify(samples.select("pid", "x", "y"), outline.select(F.col("feature_id").alias("o"), "polygons")).select("pid").distinct().withColumn("in_parent", F.lit(True))
+    inside = classify(
+        samples.select("pid", "x", "y"), outline.select(F.col("feature_id").alias("o"), "polygons")
+    ).select("pid").distinct().withColumn("in_parent", F.lit(True))
     s = classify_status(samples, features).join(inside, "pid", "left").withColumn("in_parent", F.coalesce("in_parent", F.lit(False)))
-    return s.agg(F.count_if("in_parent").alias("parent"), F.count_if(F.col("in_parent") & (F.col("n") == 1)).alias("once"), F.count_if(F.col("in_parent") & (F.col("n") == 0)).alias("cracks"), F.count_if(F.col("n") > 1).alias("overlaps"), F.count_if(~F.col("in_parent") & (F.col("n") > 0)).alias("spill"))
+    return s.agg(
+        F.count_if("in_parent").alias("parent"), F.count_if(F.col("in_parent") & (F.col("n") == 1)).alias("once"),
+        F.count_if(F.col("in_parent") & (F.col("n") == 0)).alias("cracks"), F.count_if(F.col("n") > 1).alias("overlaps"),
+        F.count_if(~F.col("in_parent") & (F.col("n") > 0)).alias("spill")
+    )
 
 
 def overlap_pairs(samples: DataFrame, features: DataFrame) -> DataFrame:
@@ -259,13 +299,17 @@ def fill_gaps(cells: DataFrame, features: DataFrame, reach: float | None = None)
 
 def _disc(radius: int) -> Column:
     r = range(-radius, radius + 1)
-    return F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in r for j in r if i * i + j * j <= radius * radius])
+    return F.array(
+        *[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in r for j in r if i * i + j * j <= radius * radius]
+    )
 
 
 def close_voids(cells: DataFrame, radius: int) -> DataFrame:
     """cells (district, cx, cy): dilate, then erode each district by a disc; contested ground is given up, raw ground never."""
     n = sum(i * i + j * j <= radius * radius for i in range(-radius, radius + 1) for j in range(-radius, radius + 1))
-    grow = lambda df: df.withColumn("o", F.explode(_disc(radius))).select("district", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+    grow = lambda df: df.withColumn("o", F.explode(_disc(radius))).select(
+        "district", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy")
+    )
     raw = cells.select("district", F.col("cx").cast("long"), F.col("cy").cast("long")).distinct()
     wide = grow(raw).distinct()
     closed = grow(wide).groupBy("district", "cx", "cy").agg(F.count("*").alias("n")).where(F.col("n") == n).drop("n")
@@ -282,7 +326,9 @@ def drop_slivers(features: DataFrame, least: float) -> DataFrame:
 
 def fill_holes(rings: DataFrame, probes: DataFrame) -> DataFrame:
     """rings (feature_id, ring_no, ring, hole) and interior points (pid: feature) of the districts: a hole is kept only if it holds another district's ground."""
-    holes = rings.where("hole").select(F.struct("feature_id", "ring_no").alias("h"), F.col("feature_id").alias("owner"), F.array(F.array("ring")).alias("polygons"))
+    holes = rings.where("hole").select(
+        F.struct("feature_id", "ring_no").alias("h"), F.col("feature_id").alias("owner"), F.array(F.array("ring")).alias("polygons")
+    )
     kept = classify(probes, holes).where("pid <> owner").select("h.feature_id", "h.ring_no").distinct()
     return rings.where("not hole").unionByName(rings.where("hole").join(kept, ["feature_id", "ring_no"], "left_semi"))
 
@@ -290,84 +336,135 @@ def fill_holes(rings: DataFrame, probes: DataFrame) -> DataFrame:
 def clip_report(samples: DataFrame, features: DataFrame, outline: DataFrame) -> DataFrame:
     """Per feature: sample points, and the share outside the parent."""
     hits = classify(samples.select("pid", "x", "y"), features.select("feature_id", "polygons"))
-    parent = classify(samples.select("pid", "x", "y"), outline.select(F.col("feature_id").alias("o"), "polygons")).select("pid").distinct().withColumn("inside", F.lit(1))
-    return hits.join(parent, "pid", "left").groupBy("feature_id").agg(F.count("*").alias("n"), F.avg(F.when(F.col("inside").isNull(), 1.0).otherwise(0.0)).alias("outside"))
+    parent = classify(
+        samples.select("pid", "x", "y"), outline.select(F.col("feature_id").alias("o"), "polygons")
+    ).select("pid").distinct().withColumn("inside", F.lit(1))
+    return hits.join(parent, "pid", "left").groupBy("feature_id").agg(
+        F.count("*").alias("n"), F.avg(F.when(F.col("inside").isNull(), 1.0).otherwise(0.0)).alias("outside")
+    )
 
 
 def iou(samples: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """Per key in either layer: intersection over union in sample points."""
-    h = lambda f, c: classify(samples.select("pid", "x", "y"), f.select("feature_id", "polygons")).select("pid", "feature_id", F.lit(True).alias(c))
+    h = lambda f, c: classify(
+        samples.select("pid", "x", "y"), f.select("feature_id", "polygons")
+    ).select("pid", "feature_id", F.lit(True).alias(c))
     both = h(a, "in_a").join(h(b, "in_b"), ["pid", "feature_id"], "full_outer")
-    return both.groupBy("feature_id").agg(F.count_if(F.col("in_a") & F.col("in_b")).alias("both"), F.count("*").alias("either")).withColumn("iou", F.col("both") / F.col("either"))
+    return both.groupBy("feature_id").agg(
+        F.count_if(F.col("in_a") & F.col("in_b")).alias("both"), F.count("*").alias("either")
+    ).withColumn("iou", F.col("both") / F.col("either"))
 
 
 def check_interior_points(units: DataFrame, districts: DataFrame, composition: DataFrame) -> DataFrame:
     """Each unit's interior point must hit its own district and no other: unit, district, status, got, ok."""
     p = interior_points(units).withColumnRenamed("feature_id", "pid")
     got = classify_status(p, districts).select(F.col("pid").alias("unit"), "status", F.col("feature_id").alias("got"))
-    return composition.select("unit", "district").join(got, "unit", "left").withColumn("ok", (F.col("status") == "OK") & F.col("got").eqNullSafe(F.col("district")))
+    return composition.select("unit", "district").join(got, "unit", "left").withColumn(
+        "ok", (F.col("status") == "OK") & F.col("got").eqNullSafe(F.col("district"))
+    )
 
 
 def whole_unit_probes(units: DataFrame, shrink: float = 0.03, grid: int = 12) -> DataFrame:
     """Probe points of units: their vertices drawn towards the box centre by `shrink`, and a grid over their boxes."""
-    boxes = bounding_boxes(units.select("feature_id", "polygons")).withColumns({"mx": (F.col("min_x") + F.col("max_x")) / 2, "my": (F.col("min_y") + F.col("max_y")) / 2})
-    v = ring_edges(units.select("feature_id", "polygons")).join(boxes, "feature_id").select("feature_id", F.concat(F.lit("v"), F.col("polygon_idx"), F.lit("/"), F.col("ring_idx"), F.lit("/"), F.col("seq")).alias("k"), (F.col("ax") + (F.col("mx") - F.col("ax")) * shrink).alias("x"), (F.col("ay") + (F.col("my") - F.col("ay")) * shrink).alias("y"))
+    boxes = bounding_boxes(units.select("feature_id", "polygons")).withColumns(
+        {"mx": (F.col("min_x") + F.col("max_x")) / 2, "my": (F.col("min_y") + F.col("max_y")) / 2}
+    )
+    v = ring_edges(units.select("feature_id", "polygons")).join(boxes, "feature_id").select(
+        "feature_id", F.concat(F.lit("v"), F.col("polygon_idx"), F.lit("/"), F.col("ring_idx"), F.lit("/"), F.col("seq")).alias("k"),
+        (F.col("ax") + (F.col("mx") - F.col("ax")) * shrink).alias("x"), (F.col("ay") + (F.col("my") - F.col("ay")) * shrink).alias("y")
+    )
     at = F.sequence(F.lit(0), F.lit(grid - 1))
-    g = boxes.withColumn("i", F.explode(at)).withColumn("j", F.explode(at)).select("feature_id", F.concat(F.lit("g"), F.col("i"), F.lit("/"), F.col("j")).alias("k"), (F.col("min_x") + (F.col("max_x") - F.col("min_x")) * (F.col("i") + 0.5) / grid).alias("x"), (F.col("min_y") + (F.col("max_y") - F.col("min_y")) * (F.col("j") + 0.5) / grid).alias("y"))
+    g = boxes.withColumn("i", F.explode(at)).withColumn("j", F.explode(at)).select(
+        "feature_id", F.concat(F.lit("g"), F.col("i"), F.lit("/"), F.col("j")).alias("k"),
+        (F.col("min_x") + (F.col("max_x") - F.col("min_x")) * (F.col("i") + 0.5) / grid).alias("x"),
+        (F.col("min_y") + (F.col("max_y") - F.col("min_y")) * (F.col("j") + 0.5) / grid).alias("y")
+    )
     return v.unionByName(g).select(F.concat_ws(":", "feature_id", "k").alias("pid"), F.col("feature_id").alias("probe_of"), "x", "y")
 
 
 def check_whole_units(fine: DataFrame, coarse: DataFrame, parts: DataFrame) -> DataFrame:
     """parts (coarse, fine): per coarse unit, the probes on which being in it and being in its fine units disagree."""
     p = whole_unit_probes(coarse)
-    in_coarse = classify(p, coarse.select(F.col("feature_id").alias("c"), "polygons")).where("c = probe_of").select("pid").distinct().withColumn("a", F.lit(True))
-    in_fine = classify(p, fine.select(F.col("feature_id").alias("fine"), "polygons")).join(parts, "fine").where("coarse = probe_of").select("pid").distinct().withColumn("b", F.lit(True))
+    in_coarse = classify(
+        p, coarse.select(F.col("feature_id").alias("c"), "polygons")
+    ).where("c = probe_of").select("pid").distinct().withColumn("a", F.lit(True))
+    in_fine = classify(
+        p, fine.select(F.col("feature_id").alias("fine"), "polygons")
+    ).join(parts, "fine").where("coarse = probe_of").select("pid").distinct().withColumn("b", F.lit(True))
     both = p.select("pid", "probe_of").join(in_coarse, "pid", "left").join(in_fine, "pid", "left")
-    return both.groupBy(F.col("probe_of").alias("coarse")).agg(F.count("*").alias("probes"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differ"))
+    return both.groupBy(F.col("probe_of").alias("coarse")).agg(
+        F.count("*").alias("probes"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differ")
+    )
 
 
 def adjudicate_blocks(blocks: DataFrame, pieces: DataFrame, expected: DataFrame) -> DataFrame:
     """blocks (pid, x, y, pop) → per piece: population by block points, the published one, ok; blocks in no piece come as a null piece."""
-    got = classify_status(blocks, pieces).join(blocks.select("pid", "pop"), "pid").groupBy(F.col("feature_id").alias("piece")).agg(F.sum("pop").alias("pop"), F.count("*").alias("blocks"))
+    got = classify_status(blocks, pieces).join(blocks.select("pid", "pop"), "pid").groupBy(F.col("feature_id").alias("piece")).agg(
+        F.sum("pop").alias("pop"), F.count("*").alias("blocks")
+    )
     e = expected.select("piece", F.col("pop").alias("expected"))
-    return got.join(e, got.piece.eqNullSafe(e.piece), "full_outer").select(F.coalesce(got.piece, e.piece).alias("piece"), "pop", "blocks", "expected").withColumn("ok", F.col("piece").isNotNull() & F.col("pop").eqNullSafe(F.col("expected")))
+    return got.join(e, got.piece.eqNullSafe(e.piece), "full_outer").select(F.coalesce(got.piece, e.piece).alias("piece"), "pop", "blocks", "expected").withColumn(
+        "ok", F.col("piece").isNotNull() & F.col("pop").eqNullSafe(F.col("expected"))
+    )
 
 
 def shared_borders(units: DataFrame) -> DataFrame:
     """Adjacent pairs a < b with the length of their common border."""
     e = ring_edges(units.select("feature_id", "polygons")).select("feature_id", *_key())
     sides = e.groupBy("x1", "y1", "x2", "y2").agg(F.array_sort(F.collect_set("feature_id")).alias("f")).where(F.size("f") == 2)
-    return sides.groupBy(F.col("f")[0].alias("a"), F.col("f")[1].alias("b")).agg(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("length"))
+    return sides.groupBy(F.col("f")[0].alias("a"), F.col("f")[1].alias("b")).agg(
+        F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("length")
+    )
 
 
 def check_descriptions(features: DataFrame, rules: DataFrame) -> DataFrame:
     """rules (a, b, side ∈ north/south/east/west): whether a's centroid lies on that side of b's."""
-    m = ring_measures(features).where("ring_idx = 0").groupBy("feature_id").agg((F.sum(F.col("cx") * F.col("area")) / F.sum("area")).alias("x"), (F.sum(F.col("cy") * F.col("area")) / F.sum("area")).alias("y"))
-    a, b = m.select(F.col("feature_id").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya")), m.select(F.col("feature_id").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"))
-    ok = F.when(F.col("side") == "north", F.col("ya") > F.col("yb")).when(F.col("side") == "south", F.col("ya") < F.col("yb")).when(F.col("side") == "east", F.col("xa") > F.col("xb")).when(F.col("side") == "west", F.col("xa") < F.col("xb"))
+    m = ring_measures(features).where("ring_idx = 0").groupBy("feature_id").agg(
+        (F.sum(F.col("cx") * F.col("area")) / F.sum("area")).alias("x"), (F.sum(F.col("cy") * F.col("area")) / F.sum("area")).alias("y")
+    )
+    a, b = m.select(
+        F.col("feature_id").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya")
+    ), m.select(F.col("feature_id").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"))
+    ok = F.when(
+        F.col("side") == "north", F.col("ya") > F.col("yb")
+    ).when(
+        F.col("side") == "south", F.col("ya") < F.col("yb")
+    ).when(F.col("side") == "east", F.col("xa") > F.col("xb")).when(F.col("side") == "west", F.col("xa") < F.col("xb"))
     return rules.join(a, "a").join(b, "b").select("a", "b", "side", ok.alias("ok"))
 
 
 def check_extent(features: DataFrame, outline: DataFrame, tol: float) -> DataFrame:
     """One row: the largest difference between the bounds of features and parent, and whether it is within tol."""
     sides = ["min_x", "min_y", "max_x", "max_y"]
-    agg = lambda df, p: bounding_boxes(df).agg(*[(F.min if s.startswith("min") else F.max)(s).alias(p + s) for s in sides]).withColumn("_k", F.lit(1))
+    agg = lambda df, p: bounding_boxes(df).agg(
+        *[(F.min if s.startswith("min") else F.max)(s).alias(p + s) for s in sides]
+    ).withColumn("_k", F.lit(1))
     both = agg(features, "a_").join(agg(outline, "b_"), "_k")
-    return both.select(F.greatest(*[F.abs(F.col("a_" + s) - F.col("b_" + s)) for s in sides]).alias("differ")).withColumn("ok", F.col("differ") <= tol)
+    return both.select(
+        F.greatest(*[F.abs(F.col("a_" + s) - F.col("b_" + s)) for s in sides]).alias("differ")
+    ).withColumn("ok", F.col("differ") <= tol)
 
 
 def check_disjoint_sources(features: DataFrame) -> DataFrame:
     """features with source: interior points of one source inside a feature of another — probe, probe_source, feature_id, source."""
-    p = interior_points(features).withColumnRenamed("feature_id", "pid").join(features.select(F.col("feature_id").alias("pid"), F.col("source").alias("probe_source")), "pid")
-    return classify(p, features.select("feature_id", "source", "polygons")).where("source <> probe_source").select(F.col("pid").alias("probe"), "probe_source", "feature_id", "source")
+    p = interior_points(features).withColumnRenamed("feature_id", "pid").join(
+        features.select(F.col("feature_id").alias("pid"), F.col("source").alias("probe_source")), "pid"
+    )
+    return classify(p, features.select("feature_id", "source", "polygons")).where("source <> probe_source").select(
+        F.col("pid").alias("probe"), "probe_source", "feature_id", "source"
+    )
 
 
 def corridor_median(lines: DataFrame, step: float) -> DataFrame:
     """lines (ax, ay, bx, by) of a bundle → x, y: the median crossing at scan-lines every `step`."""
-    ends = lines.withColumn("k0", F.ceil(F.least("ax", "bx") / step).cast("long")).withColumn("k1", F.floor(F.greatest("ax", "bx") / step).cast("long"))
+    ends = lines.withColumn("k0", F.ceil(F.least("ax", "bx") / step).cast("long")).withColumn(
+        "k1", F.floor(F.greatest("ax", "bx") / step).cast("long")
+    )
     spans = ends.where("k0 <= k1 and ax <> bx").withColumn("k", F.explode(F.sequence("k0", "k1")))
     y = F.col("ay") + (F.col("by") - F.col("ay")) * (F.col("k") * F.lit(step) - F.col("ax")) / (F.col("bx") - F.col("ax"))
-    return spans.select("k", y.alias("y")).groupBy("k").agg(F.median("y").alias("y"), F.count("*").alias("n")).select((F.col("k") * F.lit(step)).alias("x"), "y", "n", "k")
+    return spans.select("k", y.alias("y")).groupBy("k").agg(F.median("y").alias("y"), F.count("*").alias("n")).select(
+        (F.col("k") * F.lit(step)).alias("x"), "y", "n", "k"
+    )
 
 
 def sample_gaps(samples: DataFrame, step: float, order: str = "x") -> DataFrame:
@@ -394,11 +491,16 @@ def merge_same_name(features: DataFrame) -> DataFrame:
 
 def boundary_shift(a: DataFrame, b: DataFrame, step: float) -> DataFrame:
     """Median and greatest distance from samples every `step` on a's boundary to b's boundary, by feature of a."""
-    s = ring_edges(a.select("feature_id", "polygons")).select("feature_id", F.posexplode(densify(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), step)).alias("k", "p"), "polygon_idx", "ring_idx", "seq")
+    s = ring_edges(a.select("feature_id", "polygons")).select(
+        "feature_id", F.posexplode(densify(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), step)).alias("k", "p"), "polygon_idx",
+        "ring_idx", "seq"
+    )
     pts = s.select(F.struct("feature_id", "polygon_idx", "ring_idx", "seq", "k").alias("pid"), "p.x", "p.y")
     edges = ring_edges(b.select("feature_id", "polygons")).withColumn("eid", F.struct("feature_id", "polygon_idx", "ring_idx", "seq"))
     d = nearest_segment(pts, edges)
-    return d.groupBy(F.col("pid.feature_id").alias("feature_id")).agg(F.median("dist").alias("median"), F.max("dist").alias("greatest"), F.count("*").alias("samples"))
+    return d.groupBy(F.col("pid.feature_id").alias("feature_id")).agg(
+        F.median("dist").alias("median"), F.max("dist").alias("greatest"), F.count("*").alias("samples")
+    )
 
 
 def best_share(shares: DataFrame, floor: float) -> DataFrame:
@@ -409,18 +511,25 @@ def best_share(shares: DataFrame, floor: float) -> DataFrame:
 
 def membership(shares: DataFrame, split: float = 0.1) -> DataFrame:
     """Units with half or more in a district, and the districts of units that are split above `split`."""
-    return shares.groupBy("unit").agg(F.max(F.when(F.col("share") >= 0.5, F.col("district"))).alias("home"), F.array_sort(F.collect_set(F.when(F.col("share") > split, F.col("district")))).alias("districts"))
+    return shares.groupBy("unit").agg(
+        F.max(F.when(F.col("share") >= 0.5, F.col("district"))).alias("home"),
+        F.array_sort(F.collect_set(F.when(F.col("share") > split, F.col("district")))).alias("districts")
+    )
 
 
 def label_hits(labels: DataFrame, units: DataFrame) -> DataFrame:
     """labels (pid, x, y, names): whether the printed label falls in the unit it names."""
     got = classify_status(labels, units).select("pid", "feature_id")
-    return labels.join(got, "pid").select("pid", "names", F.col("feature_id").alias("got"), F.col("feature_id").eqNullSafe(F.col("names")).alias("ok"))
+    return labels.join(got, "pid").select(
+        "pid", "names", F.col("feature_id").alias("got"), F.col("feature_id").eqNullSafe(F.col("names")).alias("ok")
+    )
 
 
 def outline_difference(samples: DataFrame, features: DataFrame, outline: DataFrame) -> DataFrame:
     """One row: share of sample points in exactly one of the features' union and the outline."""
-    h = lambda f, c: classify(samples.select("pid", "x", "y"), f.select(F.col("feature_id").alias("f"), "polygons")).select("pid").distinct().withColumn(c, F.lit(True))
+    h = lambda f, c: classify(
+        samples.select("pid", "x", "y"), f.select(F.col("feature_id").alias("f"), "polygons")
+    ).select("pid").distinct().withColumn(c, F.lit(True))
     both = samples.select("pid").join(h(features, "a"), "pid", "left").join(h(outline, "b"), "pid", "left")
     return both.agg(F.count("*").alias("n"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differ"))
 
@@ -432,7 +541,10 @@ def first_owner(cells: DataFrame) -> DataFrame:
 
 
 def largest_part(features: DataFrame) -> DataFrame:
-    return ring_measures(features).where("ring_idx = 0").groupBy("feature_id").agg(F.max_by("polygon_idx", F.struct(F.abs("area").alias("a"), (-F.col("polygon_idx")).alias("p"))).alias("polygon_idx"), F.max(F.abs("area")).alias("area"))
+    return ring_measures(features).where("ring_idx = 0").groupBy("feature_id").agg(
+        F.max_by("polygon_idx", F.struct(F.abs("area").alias("a"), (-F.col("polygon_idx")).alias("p"))).alias("polygon_idx"),
+        F.max(F.abs("area")).alias("area")
+    )
 
 
 def check_fabric(units: DataFrame, composition: DataFrame, printed: DataFrame) -> DataFrame:
@@ -441,10 +553,15 @@ def check_fabric(units: DataFrame, composition: DataFrame, printed: DataFrame) -
     The fabric holds when names are one to one (a unit neither absent, unclaimed nor claimed twice) and each district's
     population is its printed total; then there is no finding. Units listed twice are counted once.
     """
-    names = reconcile_partition(composition, units).select("problem", F.col("unit").alias("subject"), F.lit(None).cast("long").alias("got"), F.lit(None).cast("long").alias("expected"))
+    names = reconcile_partition(composition, units).select(
+        "problem", F.col("unit").alias("subject"), F.lit(None).cast("long").alias("got"), F.lit(None).cast("long").alias("expected")
+    )
     key = lambda df, *others: df.select(norm_alnum(F.col("unit").cast("string")).alias("unit"), *others)
     sums = population_rollup(key(units, "pop").distinct(), key(composition, "district").distinct(), printed).where("not ok")
-    told = sums.select(F.lit("population").alias("problem"), F.col("district").cast("string").alias("subject"), F.col("pop").cast("long").alias("got"), F.col("printed").cast("long").alias("expected"))
+    told = sums.select(
+        F.lit("population").alias("problem"), F.col("district").cast("string").alias("subject"), F.col("pop").cast("long").alias("got"),
+        F.col("printed").cast("long").alias("expected")
+    )
     return names.unionByName(told)
 
 

@@ -12,7 +12,9 @@ from wardlight.operators.spatial import bounding_boxes, boxes_by_cell, fitted_si
 
 def _edges(polygons) -> np.ndarray:
     """Edges (n, 4: ax, ay, bx, by) of all rings that are not level, which is all that a scan-line crosses."""
-    rings = [np.array([(p["x"], p["y"]) for p in ring], float) for polygon in polygons if polygon is not None for ring in polygon if ring is not None and len(ring) > 2]
+    rings = [
+        np.array([(p["x"], p["y"]) for p in ring], float) for polygon in polygons if polygon is not None for ring in polygon if ring is not None and len(ring) > 2
+    ]
     if not rings:
         return np.zeros((0, 4))
     edges = np.concatenate([np.concatenate([r[:-1], r[1:]], axis=1) for r in rings])
@@ -77,13 +79,24 @@ def overlay_areas(a: DataFrame, b: DataFrame, least: float = 1e-12) -> DataFrame
     begins, so that nothing is made distinct afterwards. Rings of a feature count by the even-odd rule: holes are left
     out, and parts must not overlap each other. share_a: the part of a that lies in b.
     """
-    boxed = lambda df, p: bounding_boxes(df.select(F.col("feature_id").alias(p + "_id"), "polygons")).join(df.select(F.col("feature_id").alias(p + "_id"), F.col("polygons").alias(p + "_polygons")), p + "_id")
+    boxed = lambda df, p: bounding_boxes(df.select(F.col("feature_id").alias(p + "_id"), "polygons")).join(
+        df.select(F.col("feature_id").alias(p + "_id"), F.col("polygons").alias(p + "_polygons")), p + "_id"
+    )
     side = fitted_side(bounding_boxes(a.select("polygons")).unionByName(bounding_boxes(b.select("polygons"))))
-    renamed = lambda df, p: boxes_by_cell(df, side).withColumnsRenamed({c: f"{p}_{c}" for c in ("min_x", "min_y", "max_x", "max_y")}).drop("_side" if p == "b" else "")
+    renamed = lambda df, p: boxes_by_cell(df, side).withColumnsRenamed(
+        {c: f"{p}_{c}" for c in ("min_x", "min_y", "max_x", "max_y")}
+    ).drop("_side" if p == "b" else "")
     met = renamed(boxed(a, "a"), "a").join(renamed(boxed(b, "b"), "b"), ["cx", "cy"])
     begins = [F.floor(F.greatest(f"a_min_{c}", f"b_min_{c}") / F.col("_side")).cast("long") == F.col(f"c{c}") for c in ("x", "y")]
     meets = [F.greatest(f"a_min_{c}", f"b_min_{c}") <= F.least(f"a_max_{c}", f"b_max_{c}") for c in ("x", "y")]
     pairs = met.where(begins[0] & begins[1] & meets[0] & meets[1])
     own = lambda c: overlap_area(F.col(c), F.col(c))
-    out = pairs.select("a_id", "b_id", overlap_area("a_polygons", "b_polygons").alias("shared"), own("a_polygons").alias("area_a"), own("b_polygons").alias("area_b")).where(F.col("shared") > least)
-    return out.select("a_id", "b_id", "area_a", "area_b", "shared", (F.col("shared") / (F.col("area_a") + F.col("area_b") - F.col("shared"))).alias("iou"), (F.col("shared") / F.col("area_a")).alias("share_a"))
+    out = pairs.select(
+        "a_id", "b_id", overlap_area("a_polygons", "b_polygons").alias("shared"), own("a_polygons").alias("area_a"),
+        own("b_polygons").alias("area_b")
+    ).where(F.col("shared") > least)
+    return out.select(
+        "a_id", "b_id", "area_a", "area_b", "shared",
+        (F.col("shared") / (F.col("area_a") + F.col("area_b") - F.col("shared"))).alias("iou"),
+        (F.col("shared") / F.col("area_a")).alias("share_a")
+    )

@@ -48,13 +48,18 @@ def to_compact_json(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame
 def field_findings(df: DataFrame, key: str, required: Sequence[str], allowed: Mapping[str, Sequence[str]]) -> DataFrame:
     """One finding (key, field, problem) for each missing required field and each value outside its list."""
     checks = [F.when(blank(c), F.struct(F.lit(c).alias("field"), F.lit("missing").alias("problem"))) for c in required]
-    checks += [F.when(~blank(c) & ~F.col(c).isin(*v), F.struct(F.lit(c).alias("field"), F.lit("unknown").alias("problem"))) for c, v in allowed.items()]
+    checks += [
+        F.when(~blank(c) & ~F.col(c).isin(*v), F.struct(F.lit(c).alias("field"), F.lit("unknown").alias("problem"))) for c,
+        v in allowed.items()
+    ]
     return df.select(key, F.explode(F.array_compact(F.array(*checks))).alias("f")).select(key, "f.field", "f.problem")
 
 
 def drop_head_duplicate(df: DataFrame) -> DataFrame:
     """Rows (body, name, office): a row of another office that names the body's full head is dropped; an acting head keeps both."""
-    heads = df.where(F.lower("office").isin(*[h for h in HEADS if not h.startswith("acting")])).select("body", F.col("name").alias("name"), F.lit(True).alias("_h")).distinct()
+    heads = df.where(
+        F.lower("office").isin(*[h for h in HEADS if not h.startswith("acting")])
+    ).select("body", F.col("name").alias("name"), F.lit(True).alias("_h")).distinct()
     other = df.join(heads, ["body", "name"], "left")
     return other.where(F.col("_h").isNull() | F.lower("office").isin(*HEADS)).drop("_h").select(*df.columns)
 
@@ -74,7 +79,11 @@ def resolve_geoid(df: DataFrame, places: DataFrame, overrides: DataFrame) -> Dat
     met = df.withColumn("k", norm_source_place(F.col("place"))).join(o, ["county", "k"], "left").join(near, ["county", "k"], "left").join(wide, "k", "left")
     how = F.when(F.col("g0").isNotNull(), "override").when(F.col("n1") == 1, "county").when(F.col("n1") > 1, "ambiguous").when(F.col("n2") == 1, "state").when(F.col("n2") > 1, "ambiguous").otherwise("no match")
     met = met.withColumn("how", how)
-    return met.select("id", F.when(F.col("how") == "override", F.col("g0")).when(F.col("how") == "county", F.col("g1")).when(F.col("how") == "state", F.col("g2")).alias("geoid"), "how")
+    return met.select(
+        "id",
+        F.when(F.col("how") == "override", F.col("g0")).when(F.col("how") == "county", F.col("g1")).when(F.col("how") == "state", F.col("g2")).alias("geoid"),
+        "how"
+    )
 
 
 def _same_given(a: Column, b: Column) -> Column:
@@ -89,7 +98,9 @@ def enrich_people(base: DataFrame, extra: DataFrame, fields: Sequence[str]) -> D
     The same person has the same surname and a given name in common; failing that a surname that one person of the body
     has. Two possible holders, or two people of extra for one holder, leave it alone. Nothing is added or overwritten.
     """
-    t = lambda df: df.withColumn("_t", name_tokens(F.col("name"))).withColumns({"_s": F.try_element_at("_t", F.lit(-1)), "_g": F.slice("_t", 1, F.greatest(F.size("_t") - 1, F.lit(0)))}).drop("_t")
+    t = lambda df: df.withColumn("_t", name_tokens(F.col("name"))).withColumns(
+        {"_s": F.try_element_at("_t", F.lit(-1)), "_g": F.slice("_t", 1, F.greatest(F.size("_t") - 1, F.lit(0)))}
+    ).drop("_t")
     b = t(base).withColumn("_sole", F.count("*").over(Window.partitionBy("body", "_s")))
     e = t(extra).select("body", "_s", F.col("name").alias("_name"), F.col("_g").alias("_ge"), *[F.col(f).alias("_" + f) for f in fields])
     met = b.join(e, ["body", "_s"]).withColumn("_strong", _same_given(F.col("_g"), F.col("_ge")))
@@ -105,7 +116,10 @@ def enrich_people(base: DataFrame, extra: DataFrame, fields: Sequence[str]) -> D
 
 def without_one(c: Column) -> Column:
     """The text and all texts with one character less: texts within one edit of each other have one in common."""
-    shorter = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1, F.length(c))))
+    shorter = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))),
+        lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1, F.length(c)))
+    )
     return F.array_distinct(F.concat(F.array(c), shorter))
 
 
@@ -121,15 +135,22 @@ def match_unique(names: DataFrame, candidates: DataFrame) -> DataFrame:
     surnames are near, and equal names of many people are one pair.
     """
     a = names.select("id", "block", name_parts(F.col("name")).alias("p")).select("id", "block", "p.first", "p.last")
-    b = candidates.select("block", "cid", name_parts(F.col("name")).alias("q")).groupBy("block", F.col("q.first").alias("g"), F.col("q.last").alias("l")).agg(F.count("*").alias("c"), F.min("cid").alias("m"))
+    b = candidates.select("block", "cid", name_parts(F.col("name")).alias("q")).groupBy(
+        "block", F.col("q.first").alias("g"), F.col("q.last").alias("l")
+    ).agg(F.count("*").alias("c"), F.min("cid").alias("m"))
     keyed = lambda df, last: df.withColumn("k", F.explode(without_one(F.col(last))))
     own = a.where("last <> ''").select("block", "first", "last").distinct()
     pairs = keyed(own, "last").join(keyed(b, "l"), ["block", "k"]).where(within_one_edit(F.col("last"), F.col("l"))).drop("k").distinct()
     g, h = F.col("first"), F.col("g")
     close = (g == h) | F.startswith(g, h) | F.startswith(h, g) | (F.substring(g, 1, 1) == F.substring(h, 1, 1))
-    n = pairs.groupBy("block", "first", "last").agg(F.sum("c").alias("n"), F.min("m").alias("one"), F.sum(F.when(close, F.col("c")).otherwise(0)).alias("k"), F.min(F.when(close, F.col("m"))).alias("two"))
+    n = pairs.groupBy("block", "first", "last").agg(
+        F.sum("c").alias("n"), F.min("m").alias("one"), F.sum(F.when(close, F.col("c")).otherwise(0)).alias("k"),
+        F.min(F.when(close, F.col("m"))).alias("two")
+    )
     out = a.join(n, ["block", "first", "last"], "left")
-    return out.select("id", F.when(F.col("n") == 1, F.col("one")).when(F.col("k") == 1, F.col("two")).alias("cid"), F.coalesce("n", F.lit(0)).alias("n"))
+    return out.select(
+        "id", F.when(F.col("n") == 1, F.col("one")).when(F.col("k") == 1, F.col("two")).alias("cid"), F.coalesce("n", F.lit(0)).alias("n")
+    )
 
 
 def assign_role(members: DataFrame, officers: DataFrame) -> DataFrame:
@@ -142,15 +163,22 @@ def assign_role(members: DataFrame, officers: DataFrame) -> DataFrame:
 
 def match_two_way(page: DataFrame, certified: DataFrame) -> DataFrame:
     """page and certified (district, name, party) by (district, surname, initial), both ways: status same / party / page only / certified only."""
-    key = lambda df, p: df.select("district", name_parts(F.col("name"))["last"].alias("last"), F.substring(name_parts(F.col("name"))["first"], 1, 1).alias("initial"), F.col("name").alias(p + "name"), F.col("party").alias(p + "party"))
+    key = lambda df, p: df.select(
+        "district", name_parts(F.col("name"))["last"].alias("last"), F.substring(name_parts(F.col("name"))["first"], 1, 1).alias("initial"),
+        F.col("name").alias(p + "name"), F.col("party").alias(p + "party")
+    )
     both = key(page, "p_").join(key(certified, "c_"), ["district", "last", "initial"], "full_outer")
-    status = F.when(F.col("c_name").isNull(), "page only").when(F.col("p_name").isNull(), "certified only").when(F.col("p_party").eqNullSafe(F.col("c_party")), "same").otherwise("party")
+    status = F.when(F.col("c_name").isNull(), "page only").when(F.col("p_name").isNull(), "certified only").when(
+        F.col("p_party").eqNullSafe(F.col("c_party")), "same"
+    ).otherwise("party")
     return both.select("district", "last", "initial", status.alias("status"))
 
 
 def corroborated_office(chairs: DataFrame, officers: DataFrame, kinds: Sequence[str]) -> DataFrame:
     """chairs and officers (id, street_key, city_key, title): chairs whose place another office of a listed kind shares, and by which title."""
-    o = officers.where(F.col("title").isin(*kinds) & F.col("street_key").isNotNull()).select(F.col("id").alias("oid"), "street_key", "city_key", F.col("title").alias("by"))
+    o = officers.where(F.col("title").isin(*kinds) & F.col("street_key").isNotNull()).select(
+        F.col("id").alias("oid"), "street_key", "city_key", F.col("title").alias("by")
+    )
     met = chairs.where("street_key is not null").join(o, ["street_key", "city_key"]).where("oid <> id")
     return met.groupBy("id").agg(F.min("by").alias("confirmed_by"))
 
@@ -171,7 +199,9 @@ def cross_directory(cards: DataFrame, directory: DataFrame) -> DataFrame:
     names = cards.select(fold_letters(F.col("name")).alias("k")).distinct().withColumn("known", F.lit(True))
     both = c.join(d, "email", "full_outer").withColumn("k", fold_letters(F.col("d_name"))).join(names, "k", "left")
     same = (fold_letters(F.col("c_name")) == F.col("k")) & F.col("c_office").eqNullSafe(F.col("d_office"))
-    status = F.when(F.col("c_name").isNull(), F.when(F.col("known"), "other address").otherwise("leftover")).when(F.col("d_name").isNull(), "missing").when(same, "agree").otherwise("differs")
+    status = F.when(
+        F.col("c_name").isNull(), F.when(F.col("known"), "other address").otherwise("leftover")
+    ).when(F.col("d_name").isNull(), "missing").when(same, "agree").otherwise("differs")
     return both.select("email", status.alias("status"))
 
 
@@ -183,7 +213,9 @@ def apply_aliases(df: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFra
     have = df.select(F.col("unit").alias("u")).distinct()
     src, tgt = Window.partitionBy("source"), Window.partitionBy("target")
     a = aliases.withColumns({"ns": F.count("*").over(src), "nt": F.count("*").over(tgt)})
-    a = a.join(have.withColumnsRenamed({"u": "source"}).withColumn("here", F.lit(True)), "source", "left").join(have.withColumnsRenamed({"u": "target"}).withColumn("taken", F.lit(True)), "target", "left")
+    a = a.join(have.withColumnsRenamed({"u": "source"}).withColumn("here", F.lit(True)), "source", "left").join(
+        have.withColumnsRenamed({"u": "target"}).withColumn("taken", F.lit(True)), "target", "left"
+    )
     why = F.when(F.col("here").isNull(), "absent").when(F.col("taken"), "taken").when((F.col("ns") > 1) | (F.col("nt") > 1), "shared")
     a = a.withColumn("problem", why)
     good = a.where("problem is null").select(F.col("source").alias("unit"), "target")
@@ -217,7 +249,9 @@ def cross_check(names: DataFrame, rosters: DataFrame) -> DataFrame:
     member = match_unique(names, rosters).select("id", F.col("cid").alias("by_name"))
     checked = rosters.groupBy("block").agg(F.bool_or("badge").alias("has_badge"))
     out = names.select("id", "block").join(badge, "id").join(member, "id").join(checked, "block", "left")
-    verdict = F.when(F.col("has_badge").isNull(), "unchecked").when(F.col("has_badge"), F.when(F.col("by_badge").isNotNull(), "agrees").otherwise("differs")).when(F.col("by_name").isNotNull(), "agrees").otherwise("unchecked")
+    verdict = F.when(F.col("has_badge").isNull(), "unchecked").when(
+        F.col("has_badge"), F.when(F.col("by_badge").isNotNull(), "agrees").otherwise("differs")
+    ).when(F.col("by_name").isNotNull(), "agrees").otherwise("unchecked")
     return out.select("id", verdict.alias("verdict"))
 
 
@@ -241,12 +275,20 @@ def agreeing_contact(contact: DataFrame, holders: DataFrame) -> tuple[DataFrame,
 
 def compare_composition(published: DataFrame, shipped: DataFrame) -> DataFrame:
     """(district, base, part) both: a null part stands for all parts of its base. Differences: district, base, missing and surplus parts."""
-    g = lambda df, n: df.groupBy("district", "base").agg(F.array_sort(F.collect_set("part")).alias(n), F.bool_or(F.col("part").isNull()).alias(n + "_all"))
+    g = lambda df, n: df.groupBy("district", "base").agg(
+        F.array_sort(F.collect_set("part")).alias(n), F.bool_or(F.col("part").isNull()).alias(n + "_all")
+    )
     both = g(published, "p").join(g(shipped, "s"), ["district", "base"], "full_outer")
     none = F.array().cast("array<string>")
     p, s = F.coalesce("p", none), F.coalesce("s", none)
-    out = both.select("district", "base", F.array_except(p, s).alias("missing"), F.array_except(s, p).alias("surplus"), F.col("p").isNull().alias("only_shipped"), F.col("s").isNull().alias("only_published"), F.coalesce(F.col("p_all"), F.lit(False)).alias("pa"), F.coalesce(F.col("s_all"), F.lit(False)).alias("sa"))
-    return out.where("only_shipped or only_published or (not pa and not sa and (size(missing) > 0 or size(surplus) > 0))").select("district", "base", "missing", "surplus", "only_shipped", "only_published")
+    out = both.select(
+        "district", "base", F.array_except(p, s).alias("missing"), F.array_except(s, p).alias("surplus"),
+        F.col("p").isNull().alias("only_shipped"), F.col("s").isNull().alias("only_published"),
+        F.coalesce(F.col("p_all"), F.lit(False)).alias("pa"), F.coalesce(F.col("s_all"), F.lit(False)).alias("sa")
+    )
+    return out.where(
+        "only_shipped or only_published or (not pa and not sa and (size(missing) > 0 or size(surplus) > 0))"
+    ).select("district", "base", "missing", "surplus", "only_shipped", "only_published")
 
 
 def replace_whole_body(officials: DataFrame, override: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -263,27 +305,39 @@ def replace_whole_body(officials: DataFrame, override: DataFrame) -> tuple[DataF
 def population_rollup(units: DataFrame, composition: DataFrame, printed: DataFrame) -> DataFrame:
     """Population per district, the printed total, and whether they tie out."""
     got = composition.join(units.select("unit", "pop"), "unit").groupBy("district").agg(F.sum("pop").alias("pop"))
-    return got.join(printed.select("district", F.col("pop").alias("printed")), "district", "full_outer").withColumn("ok", F.col("pop").eqNullSafe(F.col("printed")))
+    return got.join(
+        printed.select("district", F.col("pop").alias("printed")), "district", "full_outer"
+    ).withColumn("ok", F.col("pop").eqNullSafe(F.col("printed")))
 
 
 def balance(district_pop: DataFrame, seats: Column | None = None) -> DataFrame:
     """Deviation of each district from the ideal per seat, in percent."""
     s = seats if seats is not None else F.lit(1)
     ideal = district_pop.agg((F.sum("pop") / F.sum(s)).alias("_ideal"))
-    return district_pop.join(F.broadcast(ideal)).withColumn("deviation", 100 * (F.col("pop") / s / F.col("_ideal") - 1)).drop("_ideal")  # one row by construction
+    return district_pop.join(F.broadcast(ideal)).withColumn(
+        "deviation", 100 * (F.col("pop") / s / F.col("_ideal") - 1)
+    ).drop("_ideal")  # one row by construction
 
 
 def balance_summary(district_pop: DataFrame) -> DataFrame:
-    return district_pop.agg(F.max("pop").alias("most"), F.min("pop").alias("least"), F.avg("pop").alias("ideal")).withColumn("spread", 100 * (F.col("most") - F.col("least")) / F.col("ideal"))
+    return district_pop.agg(
+        F.max("pop").alias("most"), F.min("pop").alias("least"), F.avg("pop").alias("ideal")
+    ).withColumn("spread", 100 * (F.col("most") - F.col("least")) / F.col("ideal"))
 
 
 def contact_counts(df: DataFrame, key: str) -> DataFrame:
-    return df.groupBy(key).agg(F.count("*").alias("members"), F.count_if(~blank("phone")).alias("with_phone"), F.count_if(~blank("email")).alias("with_email"), F.count_if(F.lower("role") == "chair").alias("chairs"))
+    return df.groupBy(key).agg(
+        F.count("*").alias("members"), F.count_if(~blank("phone")).alias("with_phone"), F.count_if(~blank("email")).alias("with_email"),
+        F.count_if(F.lower("role") == "chair").alias("chairs")
+    )
 
 
 def field_coverage(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Per key and field: records, and those with a non-empty value."""
-    rows = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), (~blank(F.col(f).cast("string"))).alias("full")) for f in fields])).alias("f"))
+    rows = df.select(
+        *keys,
+        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), (~blank(F.col(f).cast("string"))).alias("full")) for f in fields])).alias("f")
+    )
     return rows.groupBy(*keys, "f.field").agg(F.count("*").alias("records"), F.count_if("f.full").alias("n"))
 
 
@@ -291,10 +345,24 @@ def nest_roster(df: DataFrame) -> DataFrame:
     """(district, name, office, seat) → one row a district: head, board and officers sorted, seats, vacancies; several heads give none and heads > 1."""
     c = office_class(F.col("office"))
     vacant = F.lower(F.trim("name")).isin(*VACANT)
-    pick = lambda k: F.array_sort(F.collect_list(F.when((c == k) & ~vacant, F.struct(F.coalesce(F.regexp_extract("seat", "([0-9]+)", 1).try_cast("int"), F.lit(999_999)).alias("no"), F.col("name").alias("name")))))
-    out = df.groupBy("district").agg(F.count_if((c == "head") & ~vacant).alias("heads"), F.max(F.when((c == "head") & ~vacant, F.col("name"))).alias("head"), pick("board").alias("board"), pick("officer").alias("officers"), F.count_if(c == "board").alias("seats"), F.count_if(vacant).alias("vacancies"))
+    pick = lambda k: F.array_sort(
+        F.collect_list(
+            F.when(
+                (c == k) & ~vacant,
+                F.struct(F.coalesce(F.regexp_extract("seat", "([0-9]+)", 1).try_cast("int"), F.lit(999_999)).alias("no"), F.col("name").alias("name"))
+            )
+        )
+    )
+    out = df.groupBy("district").agg(
+        F.count_if((c == "head") & ~vacant).alias("heads"), F.max(F.when((c == "head") & ~vacant, F.col("name"))).alias("head"),
+        pick("board").alias("board"), pick("officer").alias("officers"), F.count_if(c == "board").alias("seats"),
+        F.count_if(vacant).alias("vacancies")
+    )
     names = lambda k: F.transform(k, lambda m: m["name"])
-    return out.select("district", "heads", F.when(F.col("heads") == 1, F.col("head")).alias("head"), names("board").alias("board"), names("officers").alias("officers"), "seats", "vacancies")
+    return out.select(
+        "district", "heads", F.when(F.col("heads") == 1, F.col("head")).alias("head"), names("board").alias("board"),
+        names("officers").alias("officers"), "seats", "vacancies"
+    )
 
 
 def coverage_matrix(dispatch: DataFrame) -> DataFrame:
@@ -304,7 +372,10 @@ def coverage_matrix(dispatch: DataFrame) -> DataFrame:
 
 def distance_quality(df: DataFrame) -> DataFrame:
     """One row: share within 50, and the median of those under 100."""
-    return df.agg(F.avg((F.col("dist") <= 50).cast("double")).alias("within"), F.median(F.when(F.col("dist") < 100, F.col("dist"))).alias("median"), F.count("*").alias("n"))
+    return df.agg(
+        F.avg((F.col("dist") <= 50).cast("double")).alias("within"), F.median(F.when(F.col("dist") < 100, F.col("dist"))).alias("median"),
+        F.count("*").alias("n")
+    )
 
 
 def distinct_locations(polling: DataFrame) -> DataFrame:
@@ -324,23 +395,33 @@ def modal_value(df: DataFrame, group: str, col: str, holder: str, order: str, le
     """The most common value of a group on `least` rows and holders or more; ties by first seen; else null."""
     v = df.where(~blank(col)).groupBy(group, col).agg(F.count("*").alias("n"), F.countDistinct(holder).alias("h"), F.min(order).alias("first"))
     best = v.groupBy(group).agg(F.max_by(F.struct(col, "n", "h"), F.struct("n", -F.col("first"))).alias("b"))
-    return df.select(group).distinct().join(best, group, "left").select(group, F.when((F.col("b.n") >= least) & (F.col("b.h") >= least), F.col(f"b.{col}")).alias(col), F.coalesce("b.n", F.lit(0)).alias("n"))
+    return df.select(group).distinct().join(best, group, "left").select(
+        group, F.when((F.col("b.n") >= least) & (F.col("b.h") >= least), F.col(f"b.{col}")).alias(col),
+        F.coalesce("b.n", F.lit(0)).alias("n")
+    )
 
 
 def contest_winner(candidates: DataFrame) -> DataFrame:
     """(district, candidate, votes text): the one with most votes; a tie or unread votes give no winner and a reason."""
     v = candidates.withColumn("v", F.regexp_replace("votes", ",", "").try_cast("long"))
-    g = v.groupBy("district").agg(F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("bad"), F.max("v").alias("top"), F.max_by("candidate", "v").alias("who"))
+    g = v.groupBy("district").agg(
+        F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("bad"), F.max("v").alias("top"),
+        F.max_by("candidate", "v").alias("who")
+    )
     tied = v.join(g.select("district", "top"), "district").where("v = top").groupBy("district").agg(F.count("*").alias("k"))
     out = g.join(tied, "district", "left")
     why = F.when((F.col("n") > 1) & (F.col("bad") > 0), "unread").when(F.col("k") > 1, "tie")
     lone = F.when(F.col("n") == 1, F.coalesce("who", "only"))
     one = candidates.groupBy("district").agg(F.min("candidate").alias("only"))
-    return out.join(one, "district").withColumn("finding", why).select("district", F.when(F.col("finding").isNull(), F.coalesce(lone, "who")).alias("winner"), "finding")
+    return out.join(one, "district").withColumn("finding", why).select(
+        "district", F.when(F.col("finding").isNull(), F.coalesce(lone, "who")).alias("winner"), "finding"
+    )
 
 
 def composition_from_results(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("district").agg(F.array_sort(F.collect_set("unit")).alias("units"), F.array_sort(F.collect_set("candidate")).alias("candidates"))
+    return rows.groupBy("district").agg(
+        F.array_sort(F.collect_set("unit")).alias("units"), F.array_sort(F.collect_set("candidate")).alias("candidates")
+    )
 
 
 def unanimous(df: DataFrame, key: str, col: str) -> DataFrame:
@@ -377,7 +458,10 @@ def newest_edition(catalog: DataFrame, in_use: DataFrame) -> DataFrame:
     top = y.groupBy("series").agg(F.max_by(F.struct("id", "year"), F.struct("year", "id")).alias("n"))
     own = in_use.join(y.select("series", "id", F.col("year").alias("own_year")), ["series", "id"], "left")
     out = top.join(own, "series", "left")
-    return out.select("series", F.col("n.id").alias("newest"), F.col("n.year").alias("year"), F.when((F.col("n.year") > F.col("own_year")) & (F.col("n.id") != F.col("id")), "WARN").otherwise("OK").alias("severity"))
+    return out.select(
+        "series", F.col("n.id").alias("newest"), F.col("n.year").alias("year"),
+        F.when((F.col("n.year") > F.col("own_year")) & (F.col("n.id") != F.col("id")), "WARN").otherwise("OK").alias("severity")
+    )
 
 
 def first_claim(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -388,7 +472,10 @@ def first_claim(df: DataFrame, key: str, order: str) -> DataFrame:
 def run_health(runs: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
     """runs (job, status, conclusion, created_at), jobs (job, cadence_days, state, created, code_at) → job, verdict, age."""
     done = runs.where("status = 'completed'")
-    g = done.groupBy("job").agg(F.max_by("conclusion", "created_at").alias("latest"), F.max("created_at").alias("latest_at"), F.max(F.when(F.col("conclusion") == "success", F.col("created_at"))).alias("ok_at"))
+    g = done.groupBy("job").agg(
+        F.max_by("conclusion", "created_at").alias("latest"), F.max("created_at").alias("latest_at"),
+        F.max(F.when(F.col("conclusion") == "success", F.col("created_at"))).alias("ok_at")
+    )
     j = jobs.join(g, "job", "left")
     days = lambda c: F.floor((F.unix_timestamp(now) - F.unix_timestamp(c)) / 86_400)
     cadence = F.coalesce("cadence_days", F.lit(7))
@@ -397,8 +484,12 @@ def run_health(runs: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
     stale = age.isNull() | (age > cadence * 2 + 2)
     failing = ~F.coalesce(F.col("latest"), F.lit("")).isin("success", "cancelled", "skipped")
     verdict = (
-        F.when(F.coalesce("state", F.lit("active")) != "active", "DISABLED").when(F.col("latest_at").isNull(), F.when(young, "NEW").otherwise("SILENT"))
-        .when(failing, F.when(F.col("code_at") > F.col("latest_at"), "UNPROVEN").otherwise("FAILING")).when(stale & young, "NEW").when(stale, "STALE").otherwise("OK")
+        F.when(F.coalesce("state", F.lit("active")) != "active", "DISABLED").when(
+            F.col("latest_at").isNull(), F.when(young, "NEW").otherwise("SILENT")
+        )
+        .when(
+            failing, F.when(F.col("code_at") > F.col("latest_at"), "UNPROVEN").otherwise("FAILING")
+        ).when(stale & young, "NEW").when(stale, "STALE").otherwise("OK")
     )
     return j.select("job", verdict.alias("verdict"), age.cast("long").alias("age"))
 
@@ -406,7 +497,9 @@ def run_health(runs: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
 def top_per_group(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
     """The first n of each group, and how many more there are."""
     w = Window.partitionBy(group)
-    return df.withColumns({"rank": F.row_number().over(w.orderBy(order)), "more": F.greatest(F.count("*").over(w) - n, F.lit(0))}).where(F.col("rank") <= n)
+    return df.withColumns(
+        {"rank": F.row_number().over(w.orderBy(order)), "more": F.greatest(F.count("*").over(w) - n, F.lit(0))}
+    ).where(F.col("rank") <= n)
 
 
 def merge_continuations(rows: DataFrame) -> DataFrame:
@@ -477,7 +570,10 @@ def overlay_union(layers: Mapping[str, DataFrame]) -> DataFrame:
 def served_algebra(ring: DataFrame, dispatch: DataFrame, card_only: DataFrame, gapped: DataFrame) -> DataFrame:
     """Each county (one column) of the ring as dispatch, card, judicial (neither) — and frontier: gapped counties not served."""
     served = dispatch.union(card_only).distinct()
-    parts = [("dispatch", ring.intersect(dispatch)), ("card", ring.intersect(card_only).subtract(dispatch)), ("judicial", ring.subtract(served)), ("frontier", gapped.subtract(served))]
+    parts = [
+        ("dispatch", ring.intersect(dispatch)), ("card", ring.intersect(card_only).subtract(dispatch)), ("judicial", ring.subtract(served)),
+        ("frontier", gapped.subtract(served))
+    ]
     out = None
     for name, df in parts:
         own = df.select("*", F.lit(name).alias("part"))

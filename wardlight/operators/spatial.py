@@ -19,7 +19,10 @@ PART = 4_096  # items of a cell's list that one row holds
 
 def ring_pairs(ring: Column) -> Column:
     """Consecutive vertex pairs of a ring as structs ax, ay, bx, by; pairs of equal points are dropped."""
-    pairs = F.zip_with(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
+    pairs = F.zip_with(
+        F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), lambda a,
+        b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"))
+    )
     return F.filter(pairs, lambda e: (e["ax"] != e["bx"]) | (e["ay"] != e["by"]))
 
 
@@ -88,7 +91,10 @@ def cell_index(features: DataFrame, cell: float | Column) -> DataFrame:
     however long the ring is; parity is unaffected.
     """
     others = [c for c in features.columns if c != "polygons"]
-    boxed = features.select(*others, F.transform("polygons", lambda rings: F.flatten(F.transform(rings, ring_pairs))).alias("parts"), *_bounds(F.flatten(F.flatten("polygons"))))
+    boxed = features.select(
+        *others, F.transform("polygons", lambda rings: F.flatten(F.transform(rings, ring_pairs))).alias("parts"),
+        *_bounds(F.flatten(F.flatten("polygons")))
+    )
     spans = boxes_by_cell(boxed, cell)
     x0, y0, y1 = F.col("cx") * F.col("_side"), F.col("cy") * F.col("_side"), (F.col("cy") + 1) * F.col("_side")
     near = lambda e: (F.greatest(e["ay"], e["by"]) >= y0) & (F.least(e["ay"], e["by"]) <= y1) & (F.greatest(e["ax"], e["bx"]) >= x0)
@@ -113,14 +119,21 @@ def bbox_prereject(points: DataFrame, features: DataFrame, cell: float | None =
     """(point, feature) pairs whose bounding box holds the point: the cheap reject before the ring test."""
     boxes = bounding_boxes(features)
     side = cell or fitted_side(boxes)
-    return _keyed(points, side).join(boxes_by_cell(boxes, side), ["cx", "cy"]).where("x between min_x and max_x and y between min_y and max_y").select("pid", "x", "y", "feature_id")
+    return _keyed(points, side).join(boxes_by_cell(boxes, side), ["cx", "cy"]).where(
+        "x between min_x and max_x and y between min_y and max_y"
+    ).select("pid", "x", "y", "feature_id")
 
 
 def classify_status(points: DataFrame, features: DataFrame, cell: float | None = None) -> DataFrame:
     """pid, n, status NONE / OK / MULTI, feature_id where it is the only one."""
-    hits = classify(points.select("pid", "x", "y"), features.select("feature_id", "polygons"), cell).groupBy("pid").agg(F.count("*").alias("n"), F.min("feature_id").alias("one"))
+    hits = classify(
+        points.select("pid", "x", "y"), features.select("feature_id", "polygons"), cell
+    ).groupBy("pid").agg(F.count("*").alias("n"), F.min("feature_id").alias("one"))
     n = F.coalesce("n", F.lit(0))
-    return points.select("pid").join(hits, "pid", "left").select("pid", n.alias("n"), F.when(n == 0, "NONE").when(n == 1, "OK").otherwise("MULTI").alias("status"), F.when(n == 1, F.col("one")).alias("feature_id"))
+    return points.select("pid").join(hits, "pid", "left").select(
+        "pid", n.alias("n"), F.when(n == 0, "NONE").when(n == 1, "OK").otherwise("MULTI").alias("status"),
+        F.when(n == 1, F.col("one")).alias("feature_id")
+    )
 
 
 def dispatch(points: DataFrame, entries: DataFrame, cell: float | None = None) -> DataFrame:
@@ -133,12 +146,18 @@ def dispatch(points: DataFrame, entries: DataFrame, cell: float | None = None) -
     first = hits.groupBy("pid").agg(F.min_by(F.struct("source", "feature_id"), F.struct("entry_order", "feature_id")).alias("won"))
     gap = entries.agg(F.coalesce(F.bool_or(~F.col("available")), F.lit(False)).alias("gap"))
     out = points.select("pid").join(first, "pid", "left").join(F.broadcast(gap))  # one row by construction
-    return out.select("pid", F.when(F.col("won").isNotNull(), "OK").when(F.col("gap"), "ERROR").otherwise("NONE").alias("status"), "won.source", "won.feature_id")
+    return out.select(
+        "pid", F.when(F.col("won").isNotNull(), "OK").when(F.col("gap"), "ERROR").otherwise("NONE").alias("status"), "won.source",
+        "won.feature_id"
+    )
 
 
 def covered(points: DataFrame, outlines: DataFrame, cell: float | None = None) -> DataFrame:
     """Points inside any outline."""
-    return points.join(classify(points.select("pid", "x", "y"), outlines.select("feature_id", "polygons"), cell).select("pid").distinct(), "pid", "left_semi")
+    return points.join(
+        classify(points.select("pid", "x", "y"), outlines.select("feature_id", "polygons"), cell).select("pid").distinct(), "pid",
+        "left_semi"
+    )
 
 
 def carve_out(points: DataFrame, include: DataFrame, exclude: DataFrame, cell: float | None = None) -> DataFrame:
@@ -157,14 +176,20 @@ def fitted_cell(items: DataFrame, boxes: list[Column], per_cell: int) -> float:
     boxes: the items' least x, greatest x, least y and greatest y. One row of aggregates comes to the driver.
     """
     x0, x1, y0, y1 = boxes
-    r = items.agg(F.count("*").alias("n"), (F.max(x1) - F.min(x0)).alias("w"), (F.max(y1) - F.min(y0)).alias("h"), F.avg(F.greatest(x1 - x0, y1 - y0)).alias("own")).first()
+    r = items.agg(
+        F.count("*").alias("n"), (F.max(x1) - F.min(x0)).alias("w"), (F.max(y1) - F.min(y0)).alias("h"),
+        F.avg(F.greatest(x1 - x0, y1 - y0)).alias("own")
+    ).first()
     span = max(r.w or 0.0, r.h or 0.0)
     if not span:
         return 1.0
     return max((max(r.w, span / 1000) * max(r.h, span / 1000) * per_cell / r.n) ** 0.5, r.own)
 
 
-def _expanding(points: DataFrame, items: DataFrame, boxes: list[Column], distance: Callable[[Column], Column], tie: str, n: int, cell: float | None, reach: Column) -> DataFrame:
+def _expanding(
+    points: DataFrame, items: DataFrame, boxes: list[Column], distance: Callable[[Column], Column], tie: str, n: int, cell: float | None,
+    reach: Column
+) -> DataFrame:
     """points (pid, x, y) → pid, best: the n nearest items as an array of (dist, tie), nearest first, ties by `tie`.
 
     Each cell lists the items whose box comes within one cell of it, in parts of about PART items; a point meets the
@@ -181,7 +206,9 @@ def _expanding(points: DataFrame, items: DataFrame, boxes: list[Column], distanc
     side = cell or fitted_cell(items, boxes, 2 * n)
     todo, done, bounds, first = points.where("x - x = 0 and y - y = 0"), None, None, True
     while True:
-        near = items.withColumn("cx", F.explode(F.sequence(cell_of(x0, side) - 1, cell_of(x1, side) + 1))).withColumn("cy", F.explode(F.sequence(cell_of(y0, side) - 1, cell_of(y1, side) + 1)))
+        near = items.withColumn(
+            "cx", F.explode(F.sequence(cell_of(x0, side) - 1, cell_of(x1, side) + 1))
+        ).withColumn("cy", F.explode(F.sequence(cell_of(y0, side) - 1, cell_of(y1, side) + 1)))
         keyed = _keyed(todo, side)
         if not first:  # few points are left: only their cells' lists are made
             near = near.join(keyed.select("cx", "cy").distinct(), ["cx", "cy"], "left_semi")
@@ -194,16 +221,22 @@ def _expanding(points: DataFrame, items: DataFrame, boxes: list[Column], distanc
         if parts.where("parts > 1").isEmpty():
             met = met.select("pid", "x", "y", "best")
         else:
-            several = met.where("parts > 1").groupBy("pid", "x", "y").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, n).alias("best"))
+            several = met.where("parts > 1").groupBy("pid", "x", "y").agg(
+                F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, n).alias("best")
+            )
             met = met.where("parts = 1").select("pid", "x", "y", "best").unionByName(several)
         sure = (F.size("best") == n) & (F.try_element_at("best", F.lit(n))["dist"] <= reach * side)
         met = written(met.withColumn("sure", F.coalesce(sure, F.lit(False))))
         todo = met.where(~F.col("sure")).select("pid", "x", "y")
-        left = todo.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+        left = todo.agg(
+            F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
+        ).first()
         everything = False
         if left.n:
             bounds = bounds or items.agg(F.min(x0).alias("x0"), F.max(x1).alias("x1"), F.min(y0).alias("y0"), F.max(y1).alias("y1")).first()
-            everything = bounds.x0 is None or side >= max(max(left.x1, bounds.x1) - min(left.x0, bounds.x0), max(left.y1, bounds.y1) - min(left.y0, bounds.y0))
+            everything = bounds.x0 is None or side >= max(
+                max(left.x1, bounds.x1) - min(left.x0, bounds.x0), max(left.y1, bounds.y1) - min(left.y0, bounds.y0)
+            )
         part = met.where("best is not null" if everything else "sure").select("pid", "best")
         done = part if done is None else done.unionByName(part)
         if everything or not left.n:
@@ -263,12 +296,16 @@ def assign_labels(features: DataFrame, labels: DataFrame, tolerance: float, cell
     A feature takes the label inside it, of several the nearest to its centroid (a tie gives none). If exactly one
     feature and one label are left, they are a pair when the label is within tolerance of the feature's bounding box.
     """
-    centres = ring_measures(features).groupBy("feature_id").agg((F.sum(F.col("cx") * F.col("area")) / F.sum("area")).alias("mx"), (F.sum(F.col("cy") * F.col("area")) / F.sum("area")).alias("my"))
+    centres = ring_measures(features).groupBy("feature_id").agg(
+        (F.sum(F.col("cx") * F.col("area")) / F.sum("area")).alias("mx"), (F.sum(F.col("cy") * F.col("area")) / F.sum("area")).alias("my")
+    )
     points = labels.select(F.col("label").alias("pid"), "x", "y")
     hits = classify(points, features.select("feature_id", "polygons"), cell).join(centres, "feature_id")
     d = F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my"))
     ranked = hits.withColumn("r", F.rank().over(Window.partitionBy("feature_id").orderBy(d))).where("r = 1")
-    sure = ranked.groupBy("feature_id").agg(F.count("*").alias("k"), F.min("pid").alias("label")).where("k = 1").select("feature_id", "label", F.lit("inside").alias("how"))
+    sure = ranked.groupBy("feature_id").agg(
+        F.count("*").alias("k"), F.min("pid").alias("label")
+    ).where("k = 1").select("feature_id", "label", F.lit("inside").alias("how"))
     left_f = bounding_boxes(features.select("feature_id", "polygons")).join(sure, "feature_id", "left_anti")
     left_l = labels.join(sure, "label", "left_anti")
     one = lambda df: df.agg(F.count("*").alias("_n"), F.first(F.struct(*df.columns)).alias("_r")).where("_n = 1").select("_r.*")
@@ -287,7 +324,9 @@ def edge_measures(edges: DataFrame, keys: list[str]) -> DataFrame:
     cross = F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")
     area = F.sum(cross) / 2
     return edges.groupBy(*keys).agg(
-        area.alias("area"), (F.sum((F.col("ax") + F.col("bx")) * cross) / (6 * area)).alias("cx"), (F.sum((F.col("ay") + F.col("by")) * cross) / (6 * area)).alias("cy"),
+        area.alias("area"), (
+            F.sum((F.col("ax") + F.col("bx")) * cross) / (6 * area)
+        ).alias("cx"), (F.sum((F.col("ay") + F.col("by")) * cross) / (6 * area)).alias("cy"),
         F.min("ax").alias("min_x"), F.min("ay").alias("min_y"), F.max("ax").alias("max_x"), F.max("ay").alias("max_y"), F.count("*").alias("vertices"),
     )
 
@@ -297,8 +336,17 @@ def interior_points(features: DataFrame) -> DataFrame:
     edges = ring_edges(features.select("feature_id", "polygons"))
     lines = edges.groupBy("feature_id").agg((F.min("ay") + (F.max("ay") - F.min("ay")) * F.lit(0.4997)).alias("y"))
     met = edges.join(lines, "feature_id").where((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y")))
-    xs = met.select("feature_id", "y", ((F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")).alias("x"))
+    xs = met.select(
+        "feature_id", "y", ((F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")).alias("x")
+    )
     w = Window.partitionBy("feature_id").orderBy("x")
-    spans = xs.select("feature_id", "y", "x", F.lead("x").over(w).alias("x2"), F.row_number().over(w).alias("k")).where("k % 2 = 1 and x2 is not null")
-    best = spans.groupBy("feature_id").agg(F.max_by(F.struct(((F.col("x") + F.col("x2")) / 2).alias("x"), "y"), F.struct((F.col("x2") - F.col("x")).alias("w"), (-F.col("x")).alias("l"))).alias("p"))
+    spans = xs.select(
+        "feature_id", "y", "x", F.lead("x").over(w).alias("x2"), F.row_number().over(w).alias("k")
+    ).where("k % 2 = 1 and x2 is not null")
+    best = spans.groupBy("feature_id").agg(
+        F.max_by(
+            F.struct(((F.col("x") + F.col("x2")) / 2).alias("x"), "y"),
+            F.struct((F.col("x2") - F.col("x")).alias("w"), (-F.col("x")).alias("l"))
+        ).alias("p")
+    )
     return best.select("feature_id", "p.x", "p.y")

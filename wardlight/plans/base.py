@@ -36,7 +36,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     pid = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pid")
     own = table(spark, sf_dir, "lineitem").select(pid).distinct()
-    return own.select("pid", (F.pmod(F.col("pid") * 7919, F.lit(100003)) * F.lit(5.0) / 100003).alias("x"), (F.pmod(F.col("pid") * 104729, F.lit(99991)) * F.lit(5.0) / 99991).alias("y"))
+    return own.select(
+        "pid", (F.pmod(F.col("pid") * 7919, F.lit(100003)) * F.lit(5.0) / 100003).alias("x"),
+        (F.pmod(F.col("pid") * 104729, F.lit(99991)) * F.lit(5.0) / 99991).alias("y")
+    )
 
 
 POINTS = "pts AS (SELECT pid, ((pid*7919)%100003)*5.0::DOUBLE/100003 AS x, ((pid*104729)%99991)*5.0::DOUBLE/99991 AS y FROM (SELECT DISTINCT l_orderkey*8+l_linenumber AS pid FROM lineitem))"
@@ -44,7 +47,10 @@ POINTS = "pts AS (SELECT pid, ((pid*7919)%100003)*5.0::DOUBLE/100003 AS x, ((pid
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(k.alias("sid"), "s_nationkey", (F.pmod(k * 7919, F.lit(100003)) * F.lit(5.0) / 100003).alias("sx"), (F.pmod(k * 104729, F.lit(99991)) * F.lit(5.0) / 99991).alias("sy"))
+    return table(spark, sf_dir, "supplier").select(
+        k.alias("sid"), "s_nationkey", (F.pmod(k * 7919, F.lit(100003)) * F.lit(5.0) / 100003).alias("sx"),
+        (F.pmod(k * 104729, F.lit(99991)) * F.lit(5.0) / 99991).alias("sy")
+    )
 
 
 SITES = "sites AS (SELECT s_suppkey AS sid, s_nationkey, ((s_suppkey*7919)%100003)*5.0::DOUBLE/100003 AS sx, ((s_suppkey*104729)%99991)*5.0::DOUBLE/99991 AS sy FROM supplier)"
@@ -57,8 +63,14 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     side_v = lambda c: F.when(c.isin(0, 5), 0.0).otherwise((F.pmod(c * 3 + j * 5, F.lit(7)) - 3) / 10.0)
     side_h = lambda r: F.when(r.isin(0, 5), 0.0).otherwise((F.pmod(i * 5 + r * 3, F.lit(7)) - 3) / 10.0)
     p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-    ring = F.array(p(i, j), p(i + 0.5, j + side_h(j)), p(i + 1, j), p(i + 1 + side_v(i + 1), j + 0.5), p(i + 1, j + 1), p(i + 0.5, j + 1 + side_h(j + 1)), p(i, j + 1), p(i + side_v(i), j + 0.5), p(i, j))
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("feature_id"), F.col("n_regionkey").alias("district"), F.col("n_name").alias("name"), F.array(F.array(ring)).alias("polygons"))
+    ring = F.array(
+        p(i, j), p(i + 0.5, j + side_h(j)), p(i + 1, j), p(i + 1 + side_v(i + 1), j + 0.5), p(i + 1, j + 1),
+        p(i + 0.5, j + 1 + side_h(j + 1)), p(i, j + 1), p(i + side_v(i), j + 0.5), p(i, j)
+    )
+    return table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("feature_id"), F.col("n_regionkey").alias("district"), F.col("n_name").alias("name"),
+        F.array(F.array(ring)).alias("polygons")
+    )
 
 
 _H = "CASE WHEN {r} IN (0,5) THEN 0.0::DOUBLE ELSE ((i*5+({r})*3)%7-3)/10.0::DOUBLE END"

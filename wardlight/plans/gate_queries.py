@@ -12,9 +12,17 @@ _CUT = "CASE WHEN {m} THEN NULL ELSE {c} END"
 
 
 def snapshots(spark, d):
-    o = table(spark, d, "orders").selectExpr("concat('f', o_orderkey % 6) as file", "concat('g', o_orderkey % 30) as grp", "o_orderkey as k", "o_orderstatus as status", "o_orderpriority as priority")
+    o = table(spark, d, "orders").selectExpr(
+        "concat('f', o_orderkey % 6) as file", "concat('g', o_orderkey % 30) as grp", "o_orderkey as k", "o_orderstatus as status",
+        "o_orderpriority as priority"
+    )
     old = o.where("k % 2 = 0")
-    new = old.where("not (file = 'f4' and k % 3 <> 0)").withColumns({"status": F.expr("CASE WHEN grp = 'g6' THEN null ELSE status END"), "priority": F.expr("CASE WHEN file = 'f2' OR (file = 'f0' AND k % 5 < 3) THEN ' ' ELSE priority END")})
+    new = old.where("not (file = 'f4' and k % 3 <> 0)").withColumns(
+        {
+            "status": F.expr("CASE WHEN grp = 'g6' THEN null ELSE status END"),
+            "priority": F.expr("CASE WHEN file = 'f2' OR (file = 'f0' AND k % 5 < 3) THEN ' ' ELSE priority END")
+        }
+    )
     return old, new
 
 
@@ -55,15 +63,24 @@ def preserved(spark, d):
 UNION ALL SELECT 'building', count(*) FILTER (seg = 'BUILDING'), CASE WHEN count(*) FILTER (seg = 'BUILDING') > 10 THEN 'FAIL' ELSE 'OK' END FROM p
 UNION ALL SELECT 'rich', count(*) FILTER (bal > 0), CASE WHEN count(*) FILTER (bal > 0) < 1000000 THEN 'FAIL' ELSE 'OK' END FROM p"""))
 def floors(spark, d):
-    return Q.floors(_p(spark, d, "id", "seg", "bal"), {"members": (F.lit(True), 1, None), "building": (F.col("seg") == "BUILDING", None, 10), "rich": (F.col("bal") > 0, 1_000_000, None)})
+    return Q.floors(
+        _p(spark, d, "id", "seg", "bal"),
+        {"members": (F.lit(True), 1, None), "building": (F.col("seg") == "BUILDING", None, 10), "rich": (F.col("bal") > 0, 1_000_000, None)}
+    )
 
 
-@query("q04_seats_per_district", sql("SELECT CASE WHEN id % 30 = 0 THEN -id ELSE id // 2 END AS district, count(*) AS n FROM p GROUP BY 1 HAVING count(*) <> 2"))
+@query(
+    "q04_seats_per_district",
+    sql("SELECT CASE WHEN id % 30 = 0 THEN -id ELSE id // 2 END AS district, count(*) AS n FROM p GROUP BY 1 HAVING count(*) <> 2")
+)
 def seats(spark, d):
     return Q.seats_per_district(_p(spark, d, "CASE WHEN id % 30 = 0 THEN -id ELSE id div 2 END as district", "id"), 2)
 
 
-@query("q05_drift", sql("SELECT id, name, 'fresh' AS side FROM p WHERE id % 50 = 0 UNION ALL SELECT id, upper(name), 'shipped' FROM p WHERE id % 50 = 0"))
+@query(
+    "q05_drift",
+    sql("SELECT id, name, 'fresh' AS side FROM p WHERE id % 50 = 0 UNION ALL SELECT id, upper(name), 'shipped' FROM p WHERE id % 50 = 0")
+)
 def drift(spark, d):
     return Q.drift(_p(spark, d, "id", "name"), _p(spark, d, "id", "CASE WHEN id % 50 = 0 THEN upper(name) ELSE name END as name"))
 
@@ -72,7 +89,10 @@ def drift(spark, d):
   WHEN page_id % 3 = 0 THEN 'changed' ELSE 'same' END AS state FROM pages""")
 def watched(spark, d):
     p = table(spark, d, "pages").selectExpr("page_id", "concat('k', page_id) as url", "html")
-    rec = p.selectExpr("url", "CASE WHEN page_id % 3 = 0 THEN 'old' ELSE sha2(html, 256) END as sha", "CASE WHEN page_id % 5 = 0 THEN '/nowhere' END as link")
+    rec = p.selectExpr(
+        "url", "CASE WHEN page_id % 3 = 0 THEN 'old' ELSE sha2(html, 256) END as sha",
+        "CASE WHEN page_id % 5 = 0 THEN '/nowhere' END as link"
+    )
     return Q.watch(p.where("page_id % 7 <> 0").select("url", "html", F.array(F.lit("/a")).alias("links")), rec)
 
 
@@ -109,7 +129,10 @@ def registry(spark, d):
 def fresh(spark, d):
     p = table(spark, d, "part")
     s = p.selectExpr("p_partkey as series", "concat('u', p_partkey) as url", "p_partkey % 5 = 0 as expect_blocked")
-    probes = p.selectExpr("concat('u', p_partkey) as url", "CASE WHEN p_partkey % 3 = 0 THEN 'ok' ELSE 'gone' END as state", "CASE WHEN p_partkey % 2 = 0 THEN 'other' ELSE concat('u', p_partkey) END as final_url")
+    probes = p.selectExpr(
+        "concat('u', p_partkey) as url", "CASE WHEN p_partkey % 3 = 0 THEN 'ok' ELSE 'gone' END as state",
+        "CASE WHEN p_partkey % 2 = 0 THEN 'other' ELSE concat('u', p_partkey) END as final_url"
+    )
     return Q.freshness(s, probes, p.selectExpr("p_partkey as series", "CASE WHEN p_partkey % 7 = 0 THEN 'WARN' ELSE 'OK' END as severity"))
 
 
@@ -125,7 +148,9 @@ def ranges(spark, d):
 UNION ALL SELECT 'x' || p_partkey::VARCHAR, 'unknown' FROM part WHERE p_partkey % 90 = 0""")
 def one_list(spark, d):
     p = table(spark, d, "part")
-    lists = p.where("p_partkey % 5 <> 0").selectExpr("concat('f', p_partkey) as file", "'weekly' as list").unionByName(p.where("p_partkey % 7 = 0 and p_partkey % 5 <> 0").selectExpr("concat('f', p_partkey) as file", "'yearly' as list")).unionByName(p.where("p_partkey % 90 = 0").selectExpr("concat('x', p_partkey) as file", "'weekly' as list"))
+    lists = p.where("p_partkey % 5 <> 0").selectExpr("concat('f', p_partkey) as file", "'weekly' as list").unionByName(
+        p.where("p_partkey % 7 = 0 and p_partkey % 5 <> 0").selectExpr("concat('f', p_partkey) as file", "'yearly' as list")
+    ).unionByName(p.where("p_partkey % 90 = 0").selectExpr("concat('x', p_partkey) as file", "'weekly' as list"))
     return Q.exactly_one_list(p.selectExpr("concat('f', p_partkey) as file"), lists)
 
 
@@ -134,9 +159,14 @@ UNION ALL SELECT 'only' || body::VARCHAR, 'does not dispatch' FROM (SELECT DISTI
 UNION ALL SELECT DISTINCT body::VARCHAR, 'repeated key' FROM p GROUP BY body, seg HAVING count(*) > 1
 UNION ALL SELECT DISTINCT body::VARCHAR, 'foreign loader' FROM p WHERE id % 100 = 0"""))
 def two_way(spark, d):
-    disp = _p(spark, d, "cast(body as string) as county", "seg as concept", "CASE WHEN id % 100 = 0 THEN 'other' ELSE concat(seg, '_load') END as loader")
+    disp = _p(
+        spark, d, "cast(body as string) as county", "seg as concept",
+        "CASE WHEN id % 100 = 0 THEN 'other' ELSE concat(seg, '_load') END as loader"
+    )
     bodies = people(spark, d).select("body").distinct()
-    ring = bodies.where("body % 5 <> 0").selectExpr("cast(body as string) as county").unionByName(bodies.where("body % 4 = 0").selectExpr("concat('only', body) as county"))
+    ring = bodies.where("body % 5 <> 0").selectExpr("cast(body as string) as county").unionByName(
+        bodies.where("body % 4 = 0").selectExpr("concat('only', body) as county")
+    )
     return Q.two_way_coverage(disp, ring)
 
 
@@ -148,18 +178,34 @@ SELECT county, CASE WHEN county % 3 = 0 THEN 'dispatch' WHEN county % 5 = 0 THEN
 def served(spark, d):
     rows = _p(spark, d, "id % 40 as county", "seg as layer")
     ring = rows.select("county").distinct()
-    return Q.served_status(ring, rows.where("county % 3 = 0"), ring.where("county % 5 = 0"), ring.where("county % 7 = 0").select(F.array("county").alias("counties")))
+    return Q.served_status(
+        ring, rows.where("county % 3 = 0"), ring.where("county % 5 = 0"),
+        ring.where("county % 7 = 0").select(F.array("county").alias("counties"))
+    )
 
 
 @query("q14_fleet_diff", sql("""SELECT body AS site, id, CASE WHEN id % 9 = 0 THEN 'unlisted' WHEN id % 7 = 0 THEN 'phantom' ELSE 'content' END AS drift FROM p
   WHERE (id % 9 = 0) <> (id % 7 = 0) OR (id % 4 = 0 AND id % 9 <> 0 AND id % 7 <> 0)"""))
 def fleet(spark, d):
-    return Q.fleet_diff(_p(spark, d, "body as site", "id", "name as content").where("id % 7 <> 0"), _p(spark, d, "body as site", "id", "CASE WHEN id % 4 = 0 THEN upper(name) ELSE name END as content").where("id % 9 <> 0"))
+    return Q.fleet_diff(
+        _p(spark, d, "body as site", "id", "name as content").where("id % 7 <> 0"),
+        _p(spark, d, "body as site", "id", "CASE WHEN id % 4 = 0 THEN upper(name) ELSE name END as content").where("id % 9 <> 0")
+    )
 
 
-@query("q15_provenance", sql("""SELECT id::VARCHAR || name AS key, CASE WHEN id % 4 = 0 OR id % 4 = 3 THEN 'source' ELSE 'name' END AS problem FROM p WHERE id % 4 IN (0, 3) OR id % 10 = 1"""))
+@query(
+    "q15_provenance",
+    sql(
+        """SELECT id::VARCHAR || name AS key, CASE WHEN id % 4 = 0 OR id % 4 = 3 THEN 'source' ELSE 'name' END AS problem FROM p WHERE id % 4 IN (0, 3) OR id % 10 = 1"""
+    )
+)
 def sources(spark, d):
-    return Q.provenance(_p(spark, d, "concat(id, name) as key", "CASE WHEN id % 10 = 1 THEN 'other' ELSE upper(name) END as name", "CASE WHEN id % 4 IN (0, 1) THEN 'u' END as source_url", "CASE WHEN id % 4 IN (0, 2) THEN 'd' END as source_doc"))
+    return Q.provenance(
+        _p(
+            spark, d, "concat(id, name) as key", "CASE WHEN id % 10 = 1 THEN 'other' ELSE upper(name) END as name",
+            "CASE WHEN id % 4 IN (0, 1) THEN 'u' END as source_url", "CASE WHEN id % 4 IN (0, 2) THEN 'd' END as source_doc"
+        )
+    )
 
 
 @query("q16_closed_set", sql("SELECT DISTINCT name FROM p WHERE name NOT IN (SELECT name FROM p WHERE id % 2 = 0)"))
@@ -199,7 +245,9 @@ def summary(spark, d):
 
 @query("q18_districted_seat_check", sql("SELECT body, 'WARN' AS severity FROM p WHERE body % 2 = 0 GROUP BY body HAVING NOT bool_or(id % 40 = 7)"))
 def districted(spark, d):
-    r = people(spark, d).groupBy("body").agg(F.collect_list(F.expr("CASE WHEN id % 40 = 7 THEN 'Ward 1' WHEN id % 2 = 0 THEN 'At-Large' END")).alias("seats"))
+    r = people(spark, d).groupBy("body").agg(
+        F.collect_list(F.expr("CASE WHEN id % 40 = 7 THEN 'Ward 1' WHEN id % 2 = 0 THEN 'At-Large' END")).alias("seats")
+    )
     return Q.districted_seat_check(r, people(spark, d).where("body % 2 = 0"))
 
 
@@ -215,7 +263,10 @@ def backfilled(spark, d):
   FROM (SELECT DISTINCT body FROM p)"""))
 def pins(spark, d):
     m = people(spark, d).groupBy(F.col("body").alias("source")).agg(F.max("id").alias("edited"), F.count("*").alias("names"))
-    p = m.selectExpr("source", "CASE WHEN source % 3 = 0 THEN edited - 1 ELSE edited END as edited", "CASE WHEN source % 4 = 0 THEN names + 1 ELSE names END as names")
+    p = m.selectExpr(
+        "source", "CASE WHEN source % 3 = 0 THEN edited - 1 ELSE edited END as edited",
+        "CASE WHEN source % 4 = 0 THEN names + 1 ELSE names END as names"
+    )
     return Q.source_pin(m.where("source % 5 <> 0"), p)
 
 
@@ -228,7 +279,11 @@ r AS (SELECT id, phone, count(*) OVER (PARTITION BY body, phone) AS c,
   count(phone) OVER (PARTITION BY body) AS n, min(phone) OVER (PARTITION BY body) = max(phone) OVER (PARTITION BY body) AS one FROM q)
 SELECT id, phone IS NOT NULL AND ((one AND n > 1) OR c >= 3 OR phone = 'hall') AS office_line FROM r"""))
 def lines(spark, d):
-    rows = _p(spark, d, "id", "body", "CASE WHEN id % 4 = 0 THEN null WHEN body % 6 = 0 THEN 'one' WHEN id % 9 = 1 THEN 'hall' ELSE concat('n', id % 37) END as phone", "'hall' as hall")
+    rows = _p(
+        spark, d, "id", "body",
+        "CASE WHEN id % 4 = 0 THEN null WHEN body % 6 = 0 THEN 'one' WHEN id % 9 = 1 THEN 'hall' ELSE concat('n', id % 37) END as phone",
+        "'hall' as hall"
+    )
     return Q.switchboard(rows).select("id", "office_line")
 
 
@@ -236,13 +291,21 @@ def lines(spark, d):
 UNION ALL SELECT id, 'note', 'street address' FROM p WHERE id % 7 = 0
 UNION ALL SELECT id, 'note', 'personal mailbox' FROM p WHERE id % 7 = 1"""))
 def private(spark, d):
-    rows = _p(spark, d, "id", "CASE WHEN id % 20 = 0 THEN '1' ELSE ' ' END as home_phone", "CASE WHEN id % 7 = 0 THEN concat(id, ' Elm Street') WHEN id % 7 = 1 THEN 'a@Gmail.com' ELSE 'room 4' END as note")
+    rows = _p(
+        spark, d, "id", "CASE WHEN id % 20 = 0 THEN '1' ELSE ' ' END as home_phone",
+        "CASE WHEN id % 7 = 0 THEN concat(id, ' Elm Street') WHEN id % 7 = 1 THEN 'a@Gmail.com' ELSE 'room 4' END as note"
+    )
     return Q.privacy(rows, "id", ["note"])
 
 
 @query("q23_seat_mailbox", sql("SELECT id, CASE WHEN id % 3 = 0 THEN 'off pattern' WHEN id % 3 = 1 THEN 'agrees' ELSE 'FAIL' END AS state FROM p"))
 def mailbox(spark, d):
-    return Q.seat_mailbox(_p(spark, d, "id", "body as district", "CASE WHEN id % 3 = 0 THEN 'clerk@x.org' WHEN id % 3 = 1 THEN concat('District0', body, '@x.org') ELSE concat('ward', body + 1, '@x.org') END as email"))
+    return Q.seat_mailbox(
+        _p(
+            spark, d, "id", "body as district",
+            "CASE WHEN id % 3 = 0 THEN 'clerk@x.org' WHEN id % 3 = 1 THEN concat('District0', body, '@x.org') ELSE concat('ward', body + 1, '@x.org') END as email"
+        )
+    )
 
 
 @query("q24_domain_typo", sql(""",
@@ -251,7 +314,10 @@ UNION ALL SELECT 'bodi' || min(body)::VARCHAR || '.example.org' FROM p),
 c AS (SELECT dom, count(*) AS n FROM q GROUP BY 1)
 SELECT a.dom AS domain, min(b.dom) AS near FROM c a JOIN c b ON a.n = 1 AND b.n >= 3 AND levenshtein(a.dom, b.dom) BETWEEN 1 AND 2 GROUP BY 1"""))
 def typos(spark, d):
-    rows = _p(spark, d, "concat('a@', CASE WHEN id % 100 = 0 THEN concat('vill', id, 'x.org') ELSE concat('body', body, '.example.org') END) as email")
+    rows = _p(
+        spark, d,
+        "concat('a@', CASE WHEN id % 100 = 0 THEN concat('vill', id, 'x.org') ELSE concat('body', body, '.example.org') END) as email"
+    )
     return Q.domain_typo(rows.unionByName(people(spark, d).agg(F.concat(F.lit("a@bodi"), F.min("body"), F.lit(".example.org")).alias("email"))))
 
 
@@ -268,13 +334,20 @@ def fabric(spark, d):
     from wardlight.operators.geometry import check_fabric
 
     n = table(spark, d, "nation").selectExpr("n_nationkey as k", "n_regionkey as district")
-    u = n.join(table(spark, d, "customer"), F.col("k") == F.col("c_nationkey"), "left").groupBy("k", "district").agg(F.count("c_custkey").alias("pop"))
+    u = n.join(
+        table(spark, d, "customer"), F.col("k") == F.col("c_nationkey"), "left"
+    ).groupBy("k", "district").agg(F.count("c_custkey").alias("pop"))
     own = n.where("k <> 4").selectExpr("district", "concat('n-', k) as unit")
     extra = n.where("k in (9, 10)").selectExpr("CASE k WHEN 9 THEN 0 ELSE 3 END as district", "CASE k WHEN 9 THEN 'N 9' ELSE 'n77' END as unit")
     return check_fabric(u.selectExpr("concat('N', k) as unit", "pop"), own.unionByName(extra), u.groupBy("district").agg(F.sum("pop").alias("pop")))
 
 
-@query("u05_merge_fresh_and_kept", sql("SELECT id, CASE WHEN id % 6 = 0 THEN upper(name) ELSE name END AS name, id % 6 = 0 AS carried FROM p WHERE id % 3 = 0 OR id % 2 = 0"))
+@query(
+    "u05_merge_fresh_and_kept",
+    sql("SELECT id, CASE WHEN id % 6 = 0 THEN upper(name) ELSE name END AS name, id % 6 = 0 AS carried FROM p WHERE id % 3 = 0 OR id % 2 = 0")
+)
 def merged(spark, d):
     fresh = _p(spark, d, "id", "name").where("id % 6 <> 0 and (id % 3 = 0 or id % 2 = 0)")
-    return Q.carry_forward(fresh, _p(spark, d, "id", "upper(name) as name").where("id % 3 = 0 or id % 2 = 0"), "id")[0].select("id", "name", "carried")
+    return Q.carry_forward(
+        fresh, _p(spark, d, "id", "upper(name) as name").where("id % 3 = 0 or id % 2 = 0"), "id"
+    )[0].select("id", "name", "carried")

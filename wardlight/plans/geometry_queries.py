@@ -31,7 +31,13 @@ def ring_rows(spark, d):
 
 
 def _shift(df, by):
-    return df.withColumn("polygons", F.transform("polygons", lambda p: F.transform(p, lambda r: F.transform(r, lambda v: F.struct((v["x"] + by).alias("x"), (v["y"] + by).alias("y"))))))
+    return df.withColumn(
+        "polygons",
+        F.transform(
+            "polygons",
+            lambda p: F.transform(p, lambda r: F.transform(r, lambda v: F.struct((v["x"] + by).alias("x"), (v["y"] + by).alias("y"))))
+        )
+    )
 
 
 @query("g01_dissolve", f"WITH {_DISS} SELECT district, x1, y1, x2, y2 FROM diss")
@@ -44,7 +50,9 @@ def chained_areas(spark, d):
     # Rings are chained from the dissolved edges; even-odd nesting gives each district's area back.
     rings = G.chain_rings(G.dissolve(units(spark, d), composition(spark, d))).withColumnRenamed("district", "feature_id")
     nested = G.nest_rings(rings)
-    return nested.groupBy(F.col("feature_id").alias("district")).agg(F.round(F.sum(F.when(F.col("hole"), -F.col("area")).otherwise(F.col("area"))), 9).alias("area"))
+    return nested.groupBy(F.col("feature_id").alias("district")).agg(
+        F.round(F.sum(F.when(F.col("hole"), -F.col("area")).otherwise(F.col("area"))), 9).alias("area")
+    )
 
 
 @query(
@@ -54,7 +62,10 @@ SELECT feature_id, k::INT AS ring_no, k::BIGINT AS depth, k % 2 = 1 AS hole, rou
 )
 def nest(spark, d):
     u = units(spark, d)
-    inner = lambda k: F.transform(F.col("polygons")[0][0], lambda v: F.struct((v["x"] * k + (F.col("cx") * (1 - k))).alias("x"), (v["y"] * k + F.col("cy") * (1 - k)).alias("y")))
+    inner = lambda k: F.transform(
+        F.col("polygons")[0][0],
+        lambda v: F.struct((v["x"] * k + (F.col("cx") * (1 - k))).alias("x"), (v["y"] * k + F.col("cy") * (1 - k)).alias("y"))
+    )
     m = P.ring_measures(u).select("feature_id", "cx", "cy")
     rings = u.join(m, "feature_id").select("feature_id", F.posexplode(F.array(inner(1.0), inner(0.5), inner(0.25))).alias("ring_no", "ring"))
     return G.nest_rings(rings).select("feature_id", "ring_no", F.col("depth").cast("long").alias("depth"), "hole", F.round("area", 9).alias("area"))
@@ -70,7 +81,10 @@ def _vertices(rings):
 _PUSHED = "CASE s WHEN 1 THEN abs(y - j) WHEN 3 THEN abs(x - (i + 1)) WHEN 5 THEN abs(y - (j + 1)) WHEN 7 THEN abs(x - i) END"
 
 
-@query("g03_simplify_dp", f"WITH {VERTS} SELECT feature_id, round(x, 9) AS x, round(y, 9) AS y FROM verts JOIN nat USING (feature_id) WHERE s % 2 = 0 OR {_PUSHED} > 0.15")
+@query(
+    "g03_simplify_dp",
+    f"WITH {VERTS} SELECT feature_id, round(x, 9) AS x, round(y, 9) AS y FROM verts JOIN nat USING (feature_id) WHERE s % 2 = 0 OR {_PUSHED} > 0.15"
+)
 def simplify(spark, d):
     return _vertices(G.simplify_dp(ring_rows(spark, d), 0.15))
 
@@ -133,7 +147,10 @@ def envelope(spark, d):
     return G.check_envelope(units(spark, d), (0.0, 0.5, 5.0, 4.5))
 
 
-@query("g07_check_simplification", f"WITH {POINTS} SELECT count(*) AS n, 1.0::DOUBLE AS share, 0::BIGINT AS doubles, 25::BIGINT AS n_source, 25::BIGINT AS n_new, true AS ok FROM pts")
+@query(
+    "g07_check_simplification",
+    f"WITH {POINTS} SELECT count(*) AS n, 1.0::DOUBLE AS share, 0::BIGINT AS doubles, 25::BIGINT AS n_source, 25::BIGINT AS n_new, true AS ok FROM pts"
+)
 def simplification(spark, d):
     u = units(spark, d)
     thin = G.simplify_dp(ring_rows(spark, d), 0.0).select("feature_id", F.array(F.array("ring")).alias("polygons"))
@@ -165,11 +182,16 @@ SELECT count(*) FILTER (inside) AS parent, count(*) FILTER (inside AND n = 1) AS
   count(*) FILTER (n > 1) AS overlaps, count(*) FILTER (NOT inside AND n > 0) AS spill FROM c JOIN par USING (pid)""")
 def tiling(spark, d):
     p = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
-    box = table(spark, d, "region").agg(F.min("r_regionkey").alias("feature_id")).select("feature_id", F.array(F.array(F.array(p(-1, -1), p(6, -1), p(6, 4), p(-1, 4), p(-1, -1)))).alias("polygons"))
+    box = table(spark, d, "region").agg(F.min("r_regionkey").alias("feature_id")).select(
+        "feature_id", F.array(F.array(F.array(p(-1, -1), p(6, -1), p(6, 4), p(-1, 4), p(-1, -1)))).alias("polygons")
+    )
     return G.tiling_report(points(spark, d), _overlaid(spark, d), box)
 
 
-@query("g08_overlap_pairs", f"""WITH {_OVER} SELECT a.feature_id AS a, b.feature_id AS b, count(*) AS n FROM oh a JOIN oh b ON a.pid = b.pid AND a.feature_id < b.feature_id GROUP BY 1, 2""")
+@query(
+    "g08_overlap_pairs",
+    f"""WITH {_OVER} SELECT a.feature_id AS a, b.feature_id AS b, count(*) AS n FROM oh a JOIN oh b ON a.pid = b.pid AND a.feature_id < b.feature_id GROUP BY 1, 2"""
+)
 def overlaps(spark, d):
     return G.overlap_pairs(points(spark, d), _overlaid(spark, d))
 
@@ -193,7 +215,9 @@ _CELLS = HITS + ", cells AS (SELECT DISTINCT h.district, floor(x*12)::BIGINT AS
 
 
 def cells(spark, d):
-    return P.classify(points(spark, d), units(spark, d)).select("district", F.floor(F.col("x") * 12).alias("cx"), F.floor(F.col("y") * 12).alias("cy")).distinct()
+    return P.classify(points(spark, d), units(spark, d)).select(
+        "district", F.floor(F.col("x") * 12).alias("cx"), F.floor(F.col("y") * 12).alias("cy")
+    ).distinct()
 
 
 @query("g10_close_voids", f"""WITH {_CELLS},
@@ -226,7 +250,9 @@ def holes(spark, d):
     u = units(spark, d)
     m = P.ring_measures(u).select("feature_id", "cx", "cy")
     inner = F.transform(F.col("polygons")[0][0], lambda v: F.struct(((v["x"] + F.col("cx")) / 2).alias("x"), ((v["y"] + F.col("cy")) / 2).alias("y")))
-    rings = u.join(m, "feature_id").select("feature_id", F.posexplode(F.array(F.col("polygons")[0][0], inner)).alias("ring_no", "ring")).withColumn("hole", F.col("ring_no") == 1)
+    rings = u.join(m, "feature_id").select(
+        "feature_id", F.posexplode(F.array(F.col("polygons")[0][0], inner)).alias("ring_no", "ring")
+    ).withColumn("hole", F.col("ring_no") == 1)
     probes = m.where("feature_id % 2 = 0").select((F.col("feature_id") + 1000).alias("pid"), F.col("cx").alias("x"), F.col("cy").alias("y"))
     return G.fill_holes(rings, probes).select("feature_id", "ring_no")
 
@@ -330,7 +356,9 @@ def whole(spark, d):
   WHEN feature_id = 3 THEN 0 ELSE sum(pid % 100) END::BIGINT AS expected, feature_id <> 3 AS ok FROM hits GROUP BY 1""")
 def blocks(spark, d):
     b = points(spark, d).withColumn("pop", F.col("pid") % 100)
-    told = P.classify(b, units(spark, d)).groupBy(F.col("feature_id").alias("piece")).agg(F.when(F.col("feature_id") == 3, F.lit(0)).otherwise(F.sum("pop")).alias("pop"))
+    told = P.classify(b, units(spark, d)).groupBy(F.col("feature_id").alias("piece")).agg(
+        F.when(F.col("feature_id") == 3, F.lit(0)).otherwise(F.sum("pop")).alias("pop")
+    )
     return G.adjudicate_blocks(b, units(spark, d), told)
 
 
@@ -349,7 +377,10 @@ r AS (SELECT n_nationkey AS a, (n_nationkey*7+3)%25 AS b, CASE n_nationkey%4 WHE
 SELECT a, b, side, CASE side WHEN 'north' THEN p.y > q.y WHEN 'south' THEN p.y < q.y WHEN 'east' THEN p.x > q.x ELSE p.x < q.x END AS ok FROM r
   JOIN m p ON p.feature_id = a JOIN m q ON q.feature_id = b WHERE a <> b""")
 def descriptions(spark, d):
-    r = table(spark, d, "nation").selectExpr("n_nationkey as a", "(n_nationkey*7+3)%25 as b", "CASE n_nationkey%4 WHEN 0 THEN 'north' WHEN 1 THEN 'south' WHEN 2 THEN 'east' ELSE 'west' END as side").where("a <> b")
+    r = table(spark, d, "nation").selectExpr(
+        "n_nationkey as a", "(n_nationkey*7+3)%25 as b",
+        "CASE n_nationkey%4 WHEN 0 THEN 'north' WHEN 1 THEN 'south' WHEN 2 THEN 'east' ELSE 'west' END as side"
+    ).where("a <> b")
     return G.check_descriptions(units(spark, d), r)
 
 
@@ -372,7 +403,9 @@ SELECT p AS probe, ps AS probe_source, feature_id, source FROM pr JOIN two ON (a
 def disjoint(spark, d):
     # The units as one source and ten of them, moved, as another: the moved ones reach into the first.
     u = units(spark, d).select("feature_id", "polygons")
-    two = u.withColumn("source", F.lit("a")).unionByName(_shift(u.where("feature_id < 10"), 0.3).select((F.col("feature_id") + 100).alias("feature_id"), "polygons", F.lit("b").alias("source")))
+    two = u.withColumn("source", F.lit("a")).unionByName(
+        _shift(u.where("feature_id < 10"), 0.3).select((F.col("feature_id") + 100).alias("feature_id"), "polygons", F.lit("b").alias("source"))
+    )
     return G.check_disjoint_sources(two)
 
 
@@ -388,7 +421,9 @@ def corridor(spark, d):
 @query("w08_sample_gaps", """WITH s AS (SELECT l_orderkey % 50 AS path, CAST(l_orderkey * 8 + l_linenumber AS DOUBLE) AS x FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem))
 SELECT path, before, after FROM (SELECT path, lag(x) OVER (PARTITION BY path ORDER BY x) AS before, x AS after FROM s) WHERE after - before > 450""")
 def gaps_in_samples(spark, d):
-    s = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct().selectExpr("l_orderkey % 50 as path", "cast(l_orderkey * 8 + l_linenumber as double) as x")
+    s = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct().selectExpr(
+        "l_orderkey % 50 as path", "cast(l_orderkey * 8 + l_linenumber as double) as x"
+    )
     return G.sample_gaps(s, 300.0)
 
 
@@ -412,7 +447,9 @@ def same_name(spark, d):
 @query("g26_boundary_shift", "SELECT n_nationkey AS feature_id, 0.0::DOUBLE AS median, 0.0::DOUBLE AS greatest FROM nation")
 def shifted(spark, d):
     # A unit's boundary against the whole layer's: every sample lies on it.
-    return G.boundary_shift(units(spark, d), units(spark, d), 0.1).select("feature_id", F.round("median", 9).alias("median"), F.round("greatest", 9).alias("greatest"))
+    return G.boundary_shift(units(spark, d), units(spark, d), 0.1).select(
+        "feature_id", F.round("median", 9).alias("median"), F.round("greatest", 9).alias("greatest")
+    )
 
 
 _SHARE = _PAIR + """,
@@ -425,12 +462,18 @@ def _shares(spark, d):
     return P.area_share(points(spark, d), u, _shift(u, 0.3))
 
 
-@query("g27_best_share", f"WITH {_SHARE} SELECT unit, CASE WHEN max(share) >= 0.55 THEN arg_max(district, share) END AS district, round(max(share), 9) AS share FROM sh GROUP BY 1")
+@query(
+    "g27_best_share",
+    f"WITH {_SHARE} SELECT unit, CASE WHEN max(share) >= 0.55 THEN arg_max(district, share) END AS district, round(max(share), 9) AS share FROM sh GROUP BY 1"
+)
 def best(spark, d):
     return G.best_share(_shares(spark, d), 0.55).withColumn("share", F.round("share", 9))
 
 
-@query("j14_membership", f"""WITH {_SHARE} SELECT unit, max(CASE WHEN share >= 0.5 THEN district END) AS home, string_agg(district::VARCHAR, ',' ORDER BY district) FILTER (share > 0.1) AS districts FROM sh GROUP BY 1""")
+@query(
+    "j14_membership",
+    f"""WITH {_SHARE} SELECT unit, max(CASE WHEN share >= 0.5 THEN district END) AS home, string_agg(district::VARCHAR, ',' ORDER BY district) FILTER (share > 0.1) AS districts FROM sh GROUP BY 1"""
+)
 def members(spark, d):
     return G.membership(_shares(spark, d)).withColumn("districts", F.array_join("districts", ","))
 

@@ -15,7 +15,10 @@ _PEOPLE = f"""SELECT c_custkey AS id, c_nationkey AS body, {_GIVEN} AS given, {_
 
 
 def people(spark, d):
-    return table(spark, d, "customer").selectExpr("c_custkey as id", "c_nationkey as body", f"{_GIVEN} as given", f"{_SUR} as sur", f"concat({_GIVEN}, ' ', {_SUR}) as name", "c_mktsegment as seg", "c_acctbal as bal")
+    return table(spark, d, "customer").selectExpr(
+        "c_custkey as id", "c_nationkey as body", f"{_GIVEN} as given", f"{_SUR} as sur", f"concat({_GIVEN}, ' ', {_SUR}) as name",
+        "c_mktsegment as seg", "c_acctbal as bal"
+    )
 
 
 def _p(spark, d, *cols):
@@ -32,19 +35,36 @@ _SEGNAME = "CASE WHEN id % 10 = 0 THEN 'City of Foo' ELSE name END"
 @query("p01_eligible", sql("""SELECT id, body::VARCHAR AS district, CASE WHEN id % 10 = 0 THEN NULL ELSE name END AS name FROM p WHERE id % 9 <> 0 AND id % 10 <> 0 AND id % 10 <> 5
   AND seg = 'BUILDING'"""))
 def eligible(spark, d):
-    rows = _p(spark, d, "id", "cast(body as string) as district", "CASE WHEN id % 10 = 0 THEN ' ' WHEN id % 10 = 5 THEN 'City of Foo' ELSE name END as name", "CASE WHEN id % 9 = 0 THEN 'timeout' END as error", "concat(lower(seg), ' clerk') as title")
+    rows = _p(
+        spark, d, "id", "cast(body as string) as district",
+        "CASE WHEN id % 10 = 0 THEN ' ' WHEN id % 10 = 5 THEN 'City of Foo' ELSE name END as name",
+        "CASE WHEN id % 9 = 0 THEN 'timeout' END as error", "concat(lower(seg), ' clerk') as title"
+    )
     return R.eligible(rows, excluded="CITY OF", title="BUILDING").select("id", "district", "name")
 
 
-@query("p02_split_vacant", sql("SELECT body AS district, count(*) FILTER (id % 6 = 0) AS vacancies, count(*) FILTER (id % 6 <> 0) AS people FROM p GROUP BY 1"))
+@query(
+    "p02_split_vacant",
+    sql("SELECT body AS district, count(*) FILTER (id % 6 = 0) AS vacancies, count(*) FILTER (id % 6 <> 0) AS people FROM p GROUP BY 1")
+)
 def vacant(spark, d):
-    rows = _p(spark, d, "id", "body as district", "CASE WHEN id % 6 = 0 THEN ' Vacant' WHEN id % 6 = 1 THEN cast(null as string) ELSE name END as name")
+    rows = _p(
+        spark, d, "id", "body as district",
+        "CASE WHEN id % 6 = 0 THEN ' Vacant' WHEN id % 6 = 1 THEN cast(null as string) ELSE name END as name"
+    )
     who, gone = R.split_vacant(rows)
     n = who.groupBy("district").agg(F.count("*").alias("people"))
-    return n.join(gone, "district", "full_outer").select("district", F.coalesce("vacancies", F.lit(0)).alias("vacancies"), F.coalesce("people", F.lit(0)).alias("people"))
+    return n.join(gone, "district", "full_outer").select(
+        "district", F.coalesce("vacancies", F.lit(0)).alias("vacancies"), F.coalesce("people", F.lit(0)).alias("people")
+    )
 
 
-@query("p03_compact", sql("SELECT id, CASE WHEN id % 3 = 0 THEN '{\"name\":\"' || name || '\"}' ELSE '{\"name\":\"' || name || '\",\"seg\":\"' || seg || '\"}' END AS json FROM p"))
+@query(
+    "p03_compact",
+    sql(
+        "SELECT id, CASE WHEN id % 3 = 0 THEN '{\"name\":\"' || name || '\"}' ELSE '{\"name\":\"' || name || '\",\"seg\":\"' || seg || '\"}' END AS json FROM p"
+    )
+)
 def compact(spark, d):
     return R.to_compact_json(_p(spark, d, "id", "name", "CASE WHEN id % 3 = 0 THEN ' ' ELSE seg END as seg"), "id", ["name", "seg"])
 
@@ -52,7 +72,9 @@ def compact(spark, d):
 @query("p08_field_findings", sql("""SELECT id, 'name' AS field, 'missing' AS problem FROM p WHERE id % 8 = 0
 UNION ALL SELECT id, 'seg', 'unknown' FROM p WHERE seg NOT IN ('BUILDING', 'MACHINERY')"""))
 def findings(spark, d):
-    return R.field_findings(_p(spark, d, "id", "CASE WHEN id % 8 = 0 THEN ' ' ELSE name END as name", "seg"), "id", ["name"], {"seg": ["BUILDING", "MACHINERY"]})
+    return R.field_findings(
+        _p(spark, d, "id", "CASE WHEN id % 8 = 0 THEN ' ' ELSE name END as name", "seg"), "id", ["name"], {"seg": ["BUILDING", "MACHINERY"]}
+    )
 
 
 _OFFICE = "CASE WHEN id % 12 = 0 THEN 'Mayor' WHEN id % 12 = 6 THEN 'Acting President' WHEN id % 3 = 1 THEN 'Clerk' ELSE 'Trustee' END"
@@ -78,10 +100,22 @@ SELECT id, CASE WHEN nk = 7 AND county = '2' THEN 'OVR' WHEN county = home THEN
   AND county = other) THEN 'county' WHEN twin THEN 'ambiguous' ELSE 'state' END AS how FROM q""")
 def geoids(spark, d):
     n = table(spark, d, "nation")
-    a = n.selectExpr("cast(n_regionkey as string) as county", "concat('Mt. ', substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', n_nationkey + 1, 1), CASE WHEN n_nationkey % 2 = 0 THEN ' city' ELSE ' village' END) as place", "concat('G', n_nationkey) as geoid")
-    b = n.where("n_nationkey % 4 = 0").selectExpr("cast((n_regionkey+1)%5 as string) as county", "concat('Mount ', substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', n_nationkey + 1, 1), ' town') as place", "concat('H', n_nationkey) as geoid")
-    rows = table(spark, d, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).selectExpr("c_custkey as id", "cast(c_custkey % 5 as string) as county", "concat('City of Mt ', substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', n_nationkey + 1, 1)) as place")
-    o = n.where("n_nationkey = 7").selectExpr("'2' as county", "concat('Mount ', substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', n_nationkey + 1, 1)) as place", "'OVR' as geoid")
+    a = n.selectExpr(
+        "cast(n_regionkey as string) as county",
+        "concat('Mt. ', substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', n_nationkey + 1, 1), CASE WHEN n_nationkey % 2 = 0 THEN ' city' ELSE ' village' END) as place",
+        "concat('G', n_nationkey) as geoid"
+    )
+    b = n.where("n_nationkey % 4 = 0").selectExpr(
+        "cast((n_regionkey+1)%5 as string) as county",
+        "concat('Mount ', substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', n_nationkey + 1, 1), ' town') as place", "concat('H', n_nationkey) as geoid"
+    )
+    rows = table(spark, d, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).selectExpr(
+        "c_custkey as id", "cast(c_custkey % 5 as string) as county",
+        "concat('City of Mt ', substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', n_nationkey + 1, 1)) as place"
+    )
+    o = n.where("n_nationkey = 7").selectExpr(
+        "'2' as county", "concat('Mount ', substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', n_nationkey + 1, 1)) as place", "'OVR' as geoid"
+    )
     return R.resolve_geoid(rows, a.unionByName(b), o)
 
 
@@ -95,8 +129,12 @@ SELECT b.body, b.name, CASE WHEN b.id % 5 = 0 THEN 'own' ELSE coalesce(u.phone,
 
 @query("j08_enrich_people", sql(_ENRICH))
 def enrich(spark, d):
-    base = people(spark, d).where("id % 3 <> 0").groupBy("body", "name").agg(F.min("id").alias("id")).selectExpr("body", "name", "CASE WHEN id % 5 = 0 THEN 'own' ELSE ' ' END as phone")
-    extra = people(spark, d).where("id % 3 = 0").selectExpr("body", "concat(substr(given, 1, 4), ' ', sur) as name", "concat('t', id) as phone").groupBy("body", "name").agg(F.min("phone").alias("phone"))
+    base = people(spark, d).where("id % 3 <> 0").groupBy("body", "name").agg(F.min("id").alias("id")).selectExpr(
+        "body", "name", "CASE WHEN id % 5 = 0 THEN 'own' ELSE ' ' END as phone"
+    )
+    extra = people(spark, d).where("id % 3 = 0").selectExpr(
+        "body", "concat(substr(given, 1, 4), ' ', sur) as name", "concat('t', id) as phone"
+    ).groupBy("body", "name").agg(F.min("phone").alias("phone"))
     return R.enrich_people(base, extra, ["phone"])
 
 
@@ -108,9 +146,17 @@ h AS (SELECT a.id, cid, a.g = c.g OR starts_with(a.g, c.g) OR starts_with(c.g, a
 g AS (SELECT id, count(*) AS n, min(cid) AS one, count(*) FILTER (close) AS k, min(cid) FILTER (close) AS two FROM h GROUP BY 1)"""
 
 
-@query("j09_match_unique", sql(_MATCH + " SELECT a.id, CASE WHEN n = 1 THEN one WHEN k = 1 THEN two END AS cid, coalesce(n, 0)::BIGINT AS n FROM a LEFT JOIN g ON g.id = a.id"))
+@query(
+    "j09_match_unique",
+    sql(
+        _MATCH + " SELECT a.id, CASE WHEN n = 1 THEN one WHEN k = 1 THEN two END AS cid, coalesce(n, 0)::BIGINT AS n FROM a LEFT JOIN g ON g.id = a.id"
+    )
+)
 def match(spark, d):
-    return R.match_unique(_p(spark, d, "id", "body as block", "name").where("id % 3 = 0"), _p(spark, d, "id as cid", "body as block", "name").where("cid % 3 = 1"))
+    return R.match_unique(
+        _p(spark, d, "id", "body as block", "name").where("id % 3 = 0"),
+        _p(spark, d, "id as cid", "body as block", "name").where("cid % 3 = 1")
+    )
 
 
 @query("j10_assign_role", sql(""",
@@ -118,7 +164,10 @@ m AS (SELECT *, count(*) OVER (PARTITION BY upper(name)) AS n FROM p),
 o AS (SELECT upper(name) AS k, min('role' || (id % 2)::VARCHAR) AS role, count(DISTINCT id % 2) AS r FROM p WHERE id % 5 = 0 GROUP BY 1)
 SELECT id, m.name, CASE WHEN n = 1 AND r = 1 THEN role END AS role FROM m LEFT JOIN o ON upper(m.name) = k"""))
 def roles(spark, d):
-    return R.assign_role(_p(spark, d, "id", "name"), _p(spark, d, "upper(name) as name", "concat('role', id % 2) as role", "id").where("id % 5 = 0").drop("id"))
+    return R.assign_role(
+        _p(spark, d, "id", "name"),
+        _p(spark, d, "upper(name) as name", "concat('role', id % 2) as role", "id").where("id % 5 = 0").drop("id")
+    )
 
 
 @query("j11_match_two_way", sql(""",
@@ -130,7 +179,9 @@ SELECT coalesce(a.district, b.district) AS district, coalesce(a.last, b.last) AS
   WHEN b.last IS NULL THEN 'page only' WHEN a.last IS NULL THEN 'certified only' WHEN a.party = b.party THEN 'same' ELSE 'party' END AS status FROM a FULL
   JOIN b ON a.district = b.district AND a.last = b.last AND a.initial = b.initial"""))
 def two_way(spark, d):
-    one = lambda k: people(spark, d).where(f"id % {k} = 0").groupBy("body", "sur", F.substring("given", 1, 1).alias("i")).agg(F.min("id").alias("id"), F.min("name").alias("name")).selectExpr("body as district", "name", f"CASE WHEN id % {k} = 0 THEN 'D' ELSE 'R' END as party")
+    one = lambda k: people(spark, d).where(f"id % {k} = 0").groupBy("body", "sur", F.substring("given", 1, 1).alias("i")).agg(F.min("id").alias("id"), F.min("name").alias("name")).selectExpr(
+        "body as district", "name", f"CASE WHEN id % {k} = 0 THEN 'D' ELSE 'R' END as party"
+    )
     return R.match_two_way(one(2), one(3))
 
 
@@ -140,7 +191,11 @@ def two_way(spark, d):
 def corroborated(spark, d):
     from wardlight.functions.scalars import city_key, street_key
 
-    rows = table(spark, d, "customer").selectExpr("c_custkey as id", "c_mktsegment as title", "CASE WHEN c_custkey % 9 = 0 THEN 'PO Box 1' WHEN c_custkey % 2 = 0 THEN concat(c_custkey % 97, ' N Main Street, Room 3') ELSE concat('#', c_custkey % 97, ' Main St') END as street", "concat(c_nationkey, ' Town, IL 6') as city")
+    rows = table(spark, d, "customer").selectExpr(
+        "c_custkey as id", "c_mktsegment as title",
+        "CASE WHEN c_custkey % 9 = 0 THEN 'PO Box 1' WHEN c_custkey % 2 = 0 THEN concat(c_custkey % 97, ' N Main Street, Room 3') ELSE concat('#', c_custkey % 97, ' Main St') END as street",
+        "concat(c_nationkey, ' Town, IL 6') as city"
+    )
     keyed = rows.withColumns({"street_key": street_key(F.col("street")), "city_key": city_key(F.col("city"))})
     return R.corroborated_office(keyed.where("id % 4 = 0"), keyed.where("id % 4 <> 0"), ["BUILDING", "MACHINERY"])
 
@@ -154,7 +209,9 @@ UNION ALL SELECT 'unclaimed', u FROM u WHERE u NOT IN (SELECT u FROM c)
 UNION ALL SELECT 'twice', u FROM c WHERE n > 1""")
 def partition(spark, d):
     c = table(spark, d, "customer")
-    comp = c.where("c_custkey % 7 <> 0").selectExpr("c_nationkey % 3 as district", "c_name as unit").unionByName(c.where("c_custkey % 11 = 1").selectExpr("(c_nationkey + 1) % 3 as district", "upper(c_name) as unit"))
+    comp = c.where("c_custkey % 7 <> 0").selectExpr("c_nationkey % 3 as district", "c_name as unit").unionByName(
+        c.where("c_custkey % 11 = 1").selectExpr("(c_nationkey + 1) % 3 as district", "upper(c_name) as unit")
+    )
     return R.reconcile_partition(comp, c.where("c_custkey % 5 <> 0").selectExpr("c_name as unit"))
 
 
@@ -164,7 +221,12 @@ d AS (SELECT 'a' || id::VARCHAR AS email, name, CASE WHEN id % 6 = 1 THEN 'X' EL
 SELECT coalesce(c.email, d.email) AS email, CASE WHEN c.email IS NULL THEN CASE WHEN d.name IN (SELECT name FROM c) THEN 'other address' ELSE 'leftover' END
   WHEN d.email IS NULL THEN 'missing' WHEN c.seg = d.seg THEN 'agree' ELSE 'differs' END AS status FROM c FULL JOIN d ON c.email = d.email"""))
 def directory(spark, d):
-    return R.cross_directory(_p(spark, d, "concat('A', id) as email", "name", "seg as office", "id").where("id % 4 <> 0").drop("id"), _p(spark, d, "concat('a', id) as email", "upper(name) as name", "CASE WHEN id % 6 = 1 THEN 'X' ELSE seg END as office", "id").where("id % 5 <> 0").drop("id"))
+    return R.cross_directory(
+        _p(spark, d, "concat('A', id) as email", "name", "seg as office", "id").where("id % 4 <> 0").drop("id"),
+        _p(
+            spark, d, "concat('a', id) as email", "upper(name) as name", "CASE WHEN id % 6 = 1 THEN 'X' ELSE seg END as office", "id"
+        ).where("id % 5 <> 0").drop("id")
+    )
 
 
 _ALIAS = """SELECT source, target FROM (SELECT 'u' || c_custkey::VARCHAR AS source, CASE WHEN c_custkey % 4 = 0 THEN 'u' || (c_custkey + 1)::VARCHAR
@@ -178,7 +240,10 @@ g AS (SELECT source, target FROM w WHERE source IN (SELECT unit FROM u) AND targ
 SELECT coalesce(target, unit) AS unit FROM u LEFT JOIN g ON source = unit""")
 def aliased(spark, d):
     c = table(spark, d, "customer")
-    a = c.where("c_custkey % 3 = 0").selectExpr("concat('u', c_custkey) as source", "CASE WHEN c_custkey % 4 = 0 THEN concat('u', c_custkey + 1) WHEN c_custkey % 4 = 1 THEN concat('new', c_custkey) WHEN c_custkey % 4 = 2 THEN concat('same', c_custkey div 16) ELSE concat('n', c_custkey) END as target")
+    a = c.where("c_custkey % 3 = 0").selectExpr(
+        "concat('u', c_custkey) as source",
+        "CASE WHEN c_custkey % 4 = 0 THEN concat('u', c_custkey + 1) WHEN c_custkey % 4 = 1 THEN concat('new', c_custkey) WHEN c_custkey % 4 = 2 THEN concat('same', c_custkey div 16) ELSE concat('n', c_custkey) END as target"
+    )
     return R.apply_aliases(c.where("c_custkey % 9 <> 0").selectExpr("concat('u', c_custkey) as unit"), a)[0]
 
 
@@ -188,7 +253,11 @@ u AS (SELECT CASE WHEN m = 0 OR b % 2 = 0 AND m = 1 THEN 'B' || b::VARCHAR || '
 b AS (SELECT split_part(unit, ' ', 1) AS base, min(unit) AS source, count(*) AS n FROM u WHERE strpos(unit, ' ') > 0 GROUP BY 1)
 SELECT source, base AS target FROM b WHERE n = 1 AND base NOT IN (SELECT unit FROM u)""")
 def numbered(spark, d):
-    return R.sole_numbered_aliases(table(spark, d, "customer").selectExpr("c_custkey div 3 as b", "c_custkey % 3 as m").selectExpr("CASE WHEN m = 0 OR b % 2 = 0 AND m = 1 THEN concat('B', b, ' ', m + 1) WHEN m = 2 AND b % 5 = 0 THEN concat('B', b) ELSE concat('C', m, 'x', b) END as unit"))
+    return R.sole_numbered_aliases(
+        table(spark, d, "customer").selectExpr("c_custkey div 3 as b", "c_custkey % 3 as m").selectExpr(
+            "CASE WHEN m = 0 OR b % 2 = 0 AND m = 1 THEN concat('B', b, ' ', m + 1) WHEN m = 2 AND b % 5 = 0 THEN concat('B', b) ELSE concat('C', m, 'x', b) END as unit"
+        )
+    )
 
 
 @query("j20_blocklist", sql("""SELECT id, CASE WHEN seg = 'BUILDING' THEN NULL ELSE seg END AS seg, 0 AS retired FROM p
@@ -240,7 +309,9 @@ def inverted(spark, d):
 
 @query("j24_agreeing_contact", sql("SELECT id, body AS district FROM p WHERE (body, name) IN (SELECT body, name FROM p WHERE id % 4 = 0)"))
 def agreeing(spark, d):
-    return R.agreeing_contact(_p(spark, d, "id", "body as district", "upper(name) as name"), _p(spark, d, "body as district", "name", "id").where("id % 4 = 0"))[0].select("id", "district")
+    return R.agreeing_contact(
+        _p(spark, d, "id", "body as district", "upper(name) as name"), _p(spark, d, "body as district", "name", "id").where("id % 4 = 0")
+    )[0].select("id", "district")
 
 
 @query("j25_compare_composition", """WITH a AS (SELECT c_nationkey AS district, 'B' || (c_custkey % 11)::VARCHAR AS base, CASE
@@ -251,8 +322,13 @@ gb AS (SELECT district, base, list_sort(list(DISTINCT part)) AS s FROM b GROUP B
 SELECT coalesce(ga.district, gb.district) AS district, coalesce(ga.base, gb.base) AS base, coalesce(array_to_string(list_sort(list_filter(coalesce(p, []), lambda x: NOT list_contains(coalesce(s, []), x))), ','), '') AS missing, s IS NULL AS only_published FROM ga FULL JOIN gb ON ga.district = gb.district AND ga.base = gb.base WHERE s IS NULL OR ga.base IS NULL OR (NOT w AND p <> s)""")
 def compositions(spark, d):
     c = table(spark, d, "customer")
-    a = c.selectExpr("c_nationkey as district", "concat('B', c_custkey % 11) as base", "CASE WHEN c_custkey % 13 = 0 THEN cast(null as string) ELSE cast(c_custkey % 5 as string) END as part")
-    b = c.where("c_custkey % 6 <> 0").selectExpr("c_nationkey as district", "concat('B', c_custkey % 11) as base", "cast(c_custkey % 5 as string) as part")
+    a = c.selectExpr(
+        "c_nationkey as district", "concat('B', c_custkey % 11) as base",
+        "CASE WHEN c_custkey % 13 = 0 THEN cast(null as string) ELSE cast(c_custkey % 5 as string) END as part"
+    )
+    b = c.where("c_custkey % 6 <> 0").selectExpr(
+        "c_nationkey as district", "concat('B', c_custkey % 11) as base", "cast(c_custkey % 5 as string) as part"
+    )
     return R.compare_composition(a, b).select("district", "base", F.array_join("missing", ",").alias("missing"), "only_published")
 
 
@@ -271,14 +347,18 @@ def replaced(spark, d):
 def rollup(spark, d):
     u = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("unit")).agg(F.count("*").alias("pop"))
     comp = table(spark, d, "nation").selectExpr("n_regionkey as district", "n_nationkey as unit")
-    printed = comp.join(u, "unit").groupBy("district").agg(F.sum("pop").alias("pop")).withColumn("pop", F.when(F.col("district") == 2, F.lit(0)).otherwise(F.col("pop")))
+    printed = comp.join(u, "unit").groupBy("district").agg(F.sum("pop").alias("pop")).withColumn(
+        "pop", F.when(F.col("district") == 2, F.lit(0)).otherwise(F.col("pop"))
+    )
     return R.population_rollup(u, comp, printed)
 
 
 @query("a02_balance", """WITH q AS (SELECT n_regionkey AS district, count(*) AS pop FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1)
 SELECT district, pop, round(100*(pop/(SELECT avg(pop) FROM q)-1), 6) AS deviation FROM q""")
 def balance(spark, d):
-    q = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).groupBy(F.col("n_regionkey").alias("district")).agg(F.count("*").alias("pop"))
+    q = table(spark, d, "customer").join(
+        table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")
+    ).groupBy(F.col("n_regionkey").alias("district")).agg(F.count("*").alias("pop"))
     return R.balance(q).withColumn("deviation", F.round("deviation", 6))
 
 
@@ -288,7 +368,13 @@ _CONTACT = "CASE WHEN id % 4 = 0 THEN ' ' ELSE 'x' END"
 @query("a03_contact_counts", sql("""SELECT body, count(*) AS members, count(*) FILTER (id % 4 <> 0) AS with_phone, count(*) FILTER (id % 3 <> 0) AS with_email,
   count(*) FILTER (id % 25 = 1) AS chairs FROM p GROUP BY 1"""))
 def contacts(spark, d):
-    return R.contact_counts(_p(spark, d, "body", f"{_CONTACT} as phone", "CASE WHEN id % 3 <> 0 THEN 'e' END as email", "CASE WHEN id % 25 = 1 THEN 'Chair' ELSE 'member' END as role"), "body")
+    return R.contact_counts(
+        _p(
+            spark, d, "body", f"{_CONTACT} as phone", "CASE WHEN id % 3 <> 0 THEN 'e' END as email",
+            "CASE WHEN id % 25 = 1 THEN 'Chair' ELSE 'member' END as role"
+        ),
+        "body"
+    )
 
 
 @query("a04_field_coverage", sql("""SELECT body, 'phone' AS field, count(*) AS records, count(*) FILTER (id % 4 <> 0) AS n FROM p GROUP BY 1
@@ -314,13 +400,17 @@ def nested(spark, d):
 q AS (SELECT body, CASE WHEN id % 40 = 0 THEN seg ELSE 'base' END AS seg FROM p)
 SELECT body AS county, string_agg(DISTINCT seg, ',' ORDER BY seg) AS layers, count(DISTINCT seg) AS n FROM q GROUP BY 1"""))
 def matrix(spark, d):
-    return R.coverage_matrix(_p(spark, d, "body as county", "CASE WHEN id % 40 = 0 THEN seg ELSE 'base' END as layer")).withColumn("layers", F.array_join("layers", ","))
+    return R.coverage_matrix(
+        _p(spark, d, "body as county", "CASE WHEN id % 40 = 0 THEN seg ELSE 'base' END as layer")
+    ).withColumn("layers", F.array_join("layers", ","))
 
 
 @query("a10_distance_quality", """SELECT round(avg((v <= 50)::INT), 9) AS within, round(median(v) FILTER (v < 100), 9) AS median, count(*) AS n FROM (SELECT abs(l_extendedprice) % 150 AS v
   FROM lineitem)""")
 def quality(spark, d):
-    return R.distance_quality(table(spark, d, "lineitem").selectExpr("abs(l_extendedprice) % 150 as dist")).select(F.round("within", 9).alias("within"), F.round("median", 9).alias("median"), "n")
+    return R.distance_quality(table(spark, d, "lineitem").selectExpr("abs(l_extendedprice) % 150 as dist")).select(
+        F.round("within", 9).alias("within"), F.round("median", 9).alias("median"), "n"
+    )
 
 
 @query("a11_distinct_locations", sql("""SELECT 'place' || (id % 31)::VARCHAR AS place, (id % 7)::VARCHAR AS address, count(DISTINCT body) AS units, count(DISTINCT body) > 1 AS shared FROM p
@@ -331,7 +421,10 @@ def locations(spark, d):
 
 @query("a12_richness", sql("SELECT id, CASE WHEN id % 3 = 0 THEN 2 WHEN id % 3 = 1 THEN 1 ELSE 0 END AS rich FROM p"))
 def rich(spark, d):
-    return _p(spark, d, "id", "CASE WHEN id % 3 < 2 THEN name END as head", "CASE WHEN id % 3 = 0 THEN array(name) WHEN id % 2 = 0 THEN cast(array() as array<string>) END as board").select("id", R.richness(F.col("head"), F.col("board")).alias("rich"))
+    return _p(
+        spark, d, "id", "CASE WHEN id % 3 < 2 THEN name END as head",
+        "CASE WHEN id % 3 = 0 THEN array(name) WHEN id % 2 = 0 THEN cast(array() as array<string>) END as board"
+    ).select("id", R.richness(F.col("head"), F.col("board")).alias("rich"))
 
 
 @query("a13_duplicates", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -357,7 +450,10 @@ k AS (SELECT district, count(*) AS k, min(candidate) AS who FROM v JOIN g USING
 SELECT district, CASE WHEN NOT (n > 1 AND bad > 0) AND coalesce(k, 0) <= 1 THEN coalesce(who, sole) END AS winner, CASE WHEN n > 1 AND bad > 0 THEN 'unread'
   WHEN k > 1 THEN 'tie' END AS finding FROM g LEFT JOIN k USING (district)""")
 def winners(spark, d):
-    rows = table(spark, d, "customer").where("c_custkey % 7 <> 0").selectExpr("c_custkey div 3 as district", "c_name as candidate", "CASE WHEN c_custkey % 17 = 0 THEN 'n/a' ELSE concat('1,', lpad(cast(c_custkey % 4 as string), 3, '0')) END as votes")
+    rows = table(spark, d, "customer").where("c_custkey % 7 <> 0").selectExpr(
+        "c_custkey div 3 as district", "c_name as candidate",
+        "CASE WHEN c_custkey % 17 = 0 THEN 'n/a' ELSE concat('1,', lpad(cast(c_custkey % 4 as string), 3, '0')) END as votes"
+    )
     return R.contest_winner(rows)
 
 
@@ -372,20 +468,27 @@ def results(spark, d):
 q AS (SELECT body, CASE WHEN body % 3 = 0 THEN 'one' WHEN body % 3 = 1 THEN 'v' || (id % 2)::VARCHAR WHEN id % 5 > 0 THEN 'one' END AS stamp FROM p)
 SELECT body, CASE WHEN count(DISTINCT stamp) = 1 AND count(*) = count(stamp) THEN min(stamp) END AS stamp FROM q GROUP BY 1"""))
 def stamps(spark, d):
-    return R.unanimous(_p(spark, d, "body", "CASE WHEN body % 3 = 0 THEN 'one' WHEN body % 3 = 1 THEN concat('v', id % 2) WHEN id % 5 > 0 THEN 'one' END as stamp"), "body", "stamp")
+    return R.unanimous(
+        _p(spark, d, "body", "CASE WHEN body % 3 = 0 THEN 'one' WHEN body % 3 = 1 THEN concat('v', id % 2) WHEN id % 5 > 0 THEN 'one' END as stamp"),
+        "body", "stamp"
+    )
 
 
 @query("w01_current_term", """WITH o AS (SELECT o_custkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r, o_orderkey FROM orders)
 SELECT o_custkey AS id, o_orderkey AS term FROM o WHERE r = 1 AND o_orderstatus = 'F'""")
 def terms(spark, d):
-    g = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", F.col("o_orderstatus").alias("type")))).alias("terms"))
+    g = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(
+        F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", F.col("o_orderstatus").alias("type")))).alias("terms")
+    )
     return R.current_term(g, "F").select("id", F.col("term.o_orderkey").alias("term"))
 
 
 @query("w02_seat_holder", sql("""SELECT body AS district, id AS member_id FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY (id % 29 = 3 AND body % 2 = 0) DESC, CASE
   WHEN id % 29 = 3 AND body % 2 = 0 THEN 100000 - id END, id DESC) AS r FROM p) WHERE r = 1"""))
 def holders(spark, d):
-    return R.seat_holder(_p(spark, d, "body as district", "id as member_id", "(id % 29 = 3 AND body % 2 = 0) as is_current", "100000 - id as input_order")).select("district", "member_id")
+    return R.seat_holder(
+        _p(spark, d, "body as district", "id as member_id", "(id % 29 = 3 AND body % 2 = 0) as is_current", "100000 - id as input_order")
+    ).select("district", "member_id")
 
 
 @query("w03_pick_source", sql(""",
@@ -393,7 +496,9 @@ e AS (SELECT (id % 200) AS geoid, 'C' || (id % 3)::VARCHAR AS county, max(id % 4
 SELECT geoid, county FROM (SELECT *, row_number() OVER (PARTITION BY geoid ORDER BY (geoid % 10 = 0 AND county = 'C1') DESC, rich DESC, CASE county
   WHEN 'C2' THEN 0 WHEN 'C0' THEN 1 ELSE 2 END, county) AS r FROM e) WHERE r = 1"""))
 def picked(spark, d):
-    e = people(spark, d).groupBy(F.expr("id % 200").alias("geoid"), F.expr("concat('C', id % 3)").alias("county")).agg(F.max(F.expr("id % 4 % 3")).alias("richness"))
+    e = people(spark, d).groupBy(
+        F.expr("id % 200").alias("geoid"), F.expr("concat('C', id % 3)").alias("county")
+    ).agg(F.max(F.expr("id % 4 % 3")).alias("richness"))
     o = e.select("geoid").distinct().where("geoid % 10 = 0").selectExpr("geoid", "'C1' as county", "'reviewed' as reason")
     return R.pick_source(e, o, {"C2": 0, "C0": 1})[0].select("geoid", "county")
 
@@ -413,8 +518,16 @@ def claims(spark, d):
 
 
 def health_input(spark, d):
-    ev = table(spark, d, "events").selectExpr("concat('job', user_id % 60) as job", "CASE WHEN event_id % 9 = 0 THEN 'queued' ELSE 'completed' END as status", "CASE WHEN event_id % 5 = 0 THEN 'failure' WHEN event_id % 11 = 0 THEN 'cancelled' ELSE 'success' END as conclusion", "cast(ts as timestamp) as created_at", "event_id")
-    jobs = ev.groupBy("job").agg(F.min("event_id").alias("k")).selectExpr("job", "cast(CASE WHEN k % 3 = 0 THEN null WHEN k % 3 = 1 THEN 1 ELSE 31 END as int) as cadence_days", "CASE WHEN k % 13 = 0 THEN 'disabled' ELSE 'active' END as state", "cast(null as timestamp) as created", "CASE WHEN k % 2 = 0 THEN timestamp'2030-01-01 00:00:00' END as code_at")
+    ev = table(spark, d, "events").selectExpr(
+        "concat('job', user_id % 60) as job", "CASE WHEN event_id % 9 = 0 THEN 'queued' ELSE 'completed' END as status",
+        "CASE WHEN event_id % 5 = 0 THEN 'failure' WHEN event_id % 11 = 0 THEN 'cancelled' ELSE 'success' END as conclusion",
+        "cast(ts as timestamp) as created_at", "event_id"
+    )
+    jobs = ev.groupBy("job").agg(F.min("event_id").alias("k")).selectExpr(
+        "job", "cast(CASE WHEN k % 3 = 0 THEN null WHEN k % 3 = 1 THEN 1 ELSE 31 END as int) as cadence_days",
+        "CASE WHEN k % 13 = 0 THEN 'disabled' ELSE 'active' END as state", "cast(null as timestamp) as created",
+        "CASE WHEN k % 2 = 0 THEN timestamp'2030-01-01 00:00:00' END as code_at"
+    )
     return ev.drop("event_id"), jobs
 
 
@@ -443,10 +556,15 @@ def tops(spark, d):
 g AS (SELECT *, CASE WHEN page - lag(page) OVER w = 1 THEN 0 ELSE 1 END AS n FROM r WINDOW w AS (PARTITION BY doc, key ORDER BY page))
 SELECT doc, key, page, sum(n) OVER (PARTITION BY doc, key ORDER BY page)::BIGINT AS entry_no, sum(n) OVER (PARTITION BY doc, key ORDER BY page) > 1 AS repeated FROM g""")
 def continued(spark, d):
-    return R.merge_continuations(table(spark, d, "lineitem").selectExpr("l_orderkey % 100 as doc", "l_partkey % 10 as key", "l_suppkey as page").distinct())
+    return R.merge_continuations(
+        table(spark, d, "lineitem").selectExpr("l_orderkey % 100 as doc", "l_partkey % 10 as key", "l_suppkey as page").distinct()
+    )
 
 
-@query("w13_attach_to_header", """SELECT user_id AS doc, event_id AS line_no, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS header FROM events""")
+@query(
+    "w13_attach_to_header",
+    """SELECT user_id AS doc, event_id AS line_no, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS header FROM events"""
+)
 def headed(spark, d):
     rows = table(spark, d, "events").selectExpr("user_id as doc", "event_id as line_no", "event_type", "value")
     return R.attach_to_header(rows, F.col("event_type") == "view", F.col("value")).select("doc", "line_no", "header")
@@ -464,10 +582,15 @@ def seats(spark, d):
     from pyspark.sql import Window
 
     rows = _p(spark, d, "id", "body", "name", _SEAT.replace("VARCHAR(9)", "STRING") + " as seat")
-    return rows.select("id", F.row_number().over(Window.partitionBy("body").orderBy(R.natural_seat_key(F.col("seat"), F.col("name")), "id")).alias("at"))
+    return rows.select(
+        "id", F.row_number().over(Window.partitionBy("body").orderBy(R.natural_seat_key(F.col("seat"), F.col("name")), "id")).alias("at")
+    )
 
 
-@query("s03_role_rank_order", sql("SELECT id, row_number() OVER (PARTITION BY body ORDER BY CASE id % 10 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, name, id)::INT AS at FROM p"))
+@query(
+    "s03_role_rank_order",
+    sql("SELECT id, row_number() OVER (PARTITION BY body ORDER BY CASE id % 10 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, name, id)::INT AS at FROM p")
+)
 def ranks(spark, d):
     from pyspark.sql import Window
 
@@ -475,7 +598,10 @@ def ranks(spark, d):
     return rows.select("id", F.row_number().over(Window.partitionBy("body").orderBy(R.role_rank_key(F.col("role"), F.col("name")), "id")).alias("at"))
 
 
-@query("s04_severity_order", sql("SELECT id, row_number() OVER (PARTITION BY body ORDER BY CASE id % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END, id)::INT AS at FROM p"))
+@query(
+    "s04_severity_order",
+    sql("SELECT id, row_number() OVER (PARTITION BY body ORDER BY CASE id % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END, id)::INT AS at FROM p")
+)
 def severities(spark, d):
     from pyspark.sql import Window
 
@@ -492,7 +618,12 @@ def diffs(spark, d):
 @query("u02_overlay_union", """SELECT n_nationkey AS k, n_name AS name, NULL::VARCHAR AS seg, 'nations' AS source FROM nation
 UNION ALL SELECT c_custkey, c_name, c_mktsegment, 'customers' FROM customer""")
 def overlays(spark, d):
-    return R.overlay_union({"nations": table(spark, d, "nation").selectExpr("cast(n_nationkey as bigint) as k", "n_name as name"), "customers": table(spark, d, "customer").selectExpr("c_custkey as k", "c_name as name", "c_mktsegment as seg")})
+    return R.overlay_union(
+        {
+            "nations": table(spark, d, "nation").selectExpr("cast(n_nationkey as bigint) as k", "n_name as name"),
+            "customers": table(spark, d, "customer").selectExpr("c_custkey as k", "c_name as name", "c_mktsegment as seg")
+        }
+    )
 
 
 @query("u03_served_algebra", """WITH r AS (SELECT c_custkey AS c FROM customer),

@@ -14,12 +14,17 @@ from wardlight.streaming import streams as T
 from wardlight.tables import scratch as _scratch
 
 
-@query("x01_read_features", f"WITH {EDGES} SELECT feature_id::VARCHAR AS feature_id, name, count(*)::BIGINT AS edges, round(sum(ax*by-bx*ay)/2, 6) AS area FROM edges GROUP BY 1, 2")
+@query(
+    "x01_read_features",
+    f"WITH {EDGES} SELECT feature_id::VARCHAR AS feature_id, name, count(*)::BIGINT AS edges, round(sum(ax*by-bx*ay)/2, 6) AS area FROM edges GROUP BY 1, 2"
+)
 def read_features(spark, d):
     docs = X.feature_collections(units(spark, d).withColumn("g", F.col("district")), "g")
     rows, _ = X.features_of(docs, "units", "feature_id")
     e = P.ring_edges(rows.select("feature_id", F.col("props")["name"].alias("name"), "polygons"))
-    return e.groupBy("feature_id", "name").agg(F.count("*").alias("edges"), F.round(F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")) / 2, 6).alias("area"))
+    return e.groupBy("feature_id", "name").agg(
+        F.count("*").alias("edges"), F.round(F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")) / 2, 6).alias("area")
+    )
 
 
 @query("x10_write_features", "SELECT n_nationkey::VARCHAR AS feature_id FROM nation WHERE n_nationkey % 5 = 2")
@@ -29,17 +34,25 @@ def write_features(spark, d):
     return X.write_features(units(spark, d).withColumns({"g": F.col("district"), "polygons": shape}), _scratch(spark), "g")
 
 
-@query("x10_write_keyed_json", "SELECT c_custkey::VARCHAR AS key, c_name AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS seg, true AS ok FROM customer")
+@query(
+    "x10_write_keyed_json",
+    "SELECT c_custkey::VARCHAR AS key, c_name AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS seg, true AS ok FROM customer"
+)
 def write_keyed(spark, d):
     """What was written, read again, and beside it the keys that the writer's own check would refuse: none."""
-    rows_, path = table(spark, d, "customer").selectExpr("c_nationkey as g", "c_custkey as k", "c_name as name", "CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END as seg"), _scratch(spark)
+    rows_, path = table(spark, d, "customer").selectExpr(
+        "c_nationkey as g", "c_custkey as k", "c_name as name", "CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END as seg"
+    ), _scratch(spark)
     bad = X.write_keyed_json(rows_, path, "g", "k")
     back = X.keyed_json(spark.read.text(path).withColumnRenamed("value", "text"), "name:string,seg:string")
     none = F.lit(None).cast("string")
     return back.withColumn("ok", F.lit(True)).unionByName(bad.select("key", none.alias("name"), none.alias("seg"), F.lit(False).alias("ok")))
 
 
-@query("x02_extract_links", "SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1))), ' ') AS links FROM pages")
+@query(
+    "x02_extract_links",
+    "SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1))), ' ') AS links FROM pages"
+)
 def links(spark, d):
     return X.extract_links(table(spark, d, "pages")).withColumn("links", F.array_join("links", " "))
 
@@ -48,16 +61,25 @@ def links(spark, d):
   FROM customer""")
 def rows(spark, d):
     tr = F.concat(F.lit("<tr class=x><td> <b>"), "c_name", F.lit("</b></td>\n<td>"), "c_mktsegment", F.lit(" </td></tr>"))
-    g = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", tr.alias("t")))).alias("ts"))
-    html = F.concat(F.lit("<p>x</p><table><tr><td>no</td></tr></table><TABLE border=0><tr><th>Name</th><th>Seg</th></tr>"), F.array_join(F.transform("ts", lambda t: t["t"]), ""), F.lit("</TABLE>"))
+    g = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("page_id")).agg(
+        F.array_sort(F.collect_list(F.struct("c_custkey", tr.alias("t")))).alias("ts")
+    )
+    html = F.concat(
+        F.lit("<p>x</p><table><tr><td>no</td></tr></table><TABLE border=0><tr><th>Name</th><th>Seg</th></tr>"),
+        F.array_join(F.transform("ts", lambda t: t["t"]), ""), F.lit("</TABLE>")
+    )
     return X.extract_table_rows(g.select("page_id", html.alias("html")), "Name").withColumn("cells", F.array_join("cells", "|"))
 
 
 @query("x03_split_terminated", """SELECT c_nationkey AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN 'Hall' WHEN c_custkey % 3 = 1 THEN 'Hall East' END AS label, CASE
   WHEN c_custkey % 3 = 2 THEN 'Room ' ELSE '' END || c_custkey::VARCHAR || ' Elm St' AS rest FROM customer""")
 def notices(spark, d):
-    row = F.expr("concat(CASE WHEN c_custkey % 3 = 0 THEN 'Hall ' WHEN c_custkey % 3 = 1 THEN 'HALL EAST ' ELSE 'Room ' END, c_custkey, ' Elm St; 6 am')")
-    docs = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("doc_id")).agg(F.concat(F.lit("x BEGIN "), F.array_join(F.collect_list(row), "\n"), F.lit(" END y")).alias("text"))
+    row = F.expr(
+        "concat(CASE WHEN c_custkey % 3 = 0 THEN 'Hall ' WHEN c_custkey % 3 = 1 THEN 'HALL EAST ' ELSE 'Room ' END, c_custkey, ' Elm St; 6 am')"
+    )
+    docs = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("doc_id")).agg(
+        F.concat(F.lit("x BEGIN "), F.array_join(F.collect_list(row), "\n"), F.lit(" END y")).alias("text")
+    )
     labels = table(spark, d, "region").where("r_regionkey < 2").selectExpr("CASE r_regionkey WHEN 0 THEN 'Hall' ELSE 'Hall East' END as label")
     return X.split_terminated(docs, labels, "BEGIN", "END", r"; 6 am\s*").select("doc_id", "label", "rest")
 
@@ -66,7 +88,10 @@ def notices(spark, d):
   WHEN 2 THEN 'East Fork 2' ELSE 'Grand 3' END ELSE 'Plain' END AS label FROM customer, (VALUES (2), (3), (5)) t(k) WHERE CASE
   WHEN c_custkey % 3 = 0 THEN true WHEN c_custkey % 3 = 1 THEN k <= 3 ELSE k = 2 END""")
 def expanded(spark, d):
-    rows_ = table(spark, d, "customer").selectExpr("c_custkey", "CASE WHEN c_custkey % 3 = 0 THEN 'N. Field 2,3 & 5' WHEN c_custkey % 3 = 1 THEN 'East Fork 2 & Grand 3' ELSE ' Plain ' END as t")
+    rows_ = table(spark, d, "customer").selectExpr(
+        "c_custkey",
+        "CASE WHEN c_custkey % 3 = 0 THEN 'N. Field 2,3 & 5' WHEN c_custkey % 3 = 1 THEN 'East Fork 2 & Grand 3' ELSE ' Plain ' END as t"
+    )
     return X.expand_grouped_labels(rows_, "t").select("c_custkey", "label")
 
 
@@ -74,8 +99,16 @@ def expanded(spark, d):
   FROM customer
 UNION ALL SELECT 'body' || n_nationkey::VARCHAR, '$/' || n_nationkey::VARCHAR FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)""")
 def walked(spark, d):
-    m = table(spark, d, "customer").groupBy("c_nationkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: F.struct(x["c_name"].alias("name"), x["c_custkey"].alias("no"))).alias("members"))
-    docs = X.keyed_documents(m.select(F.lit("all").alias("g"), F.col("c_nationkey").alias("k"), F.concat(F.lit("body"), "c_nationkey").alias("name"), "members"), "g", "k")
+    m = table(spark, d, "customer").groupBy("c_nationkey").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))),
+            lambda x: F.struct(x["c_name"].alias("name"), x["c_custkey"].alias("no"))
+        ).alias("members")
+    )
+    docs = X.keyed_documents(
+        m.select(F.lit("all").alias("g"), F.col("c_nationkey").alias("k"), F.concat(F.lit("body"), "c_nationkey").alias("name"), "members"),
+        "g", "k"
+    )
     return X.walk_records(docs).select(F.variant_get("record", "$.name", "string").alias("name"), "path")
 
 
@@ -90,21 +123,38 @@ def delimited(spark, d):
   WHEN 0 THEN 8 + n_nationkey * 4 / 2 ELSE 0.5 END, 9)::DOUBLE AS area FROM nation, range(2) t(k)""")
 def placemarks(spark, d):
     path = _scratch(spark)
-    pm = F.expr("concat('<Placemark><name>', n_name, '</name><ExtendedData><Data name=\"code\"><value>', n_nationkey, '</value></Data></ExtendedData><Polygon><outerBoundaryIs><LinearRing><coordinates>', n_nationkey, ',0 ', n_nationkey + 4, ',0 ', n_nationkey + 4, ',', n_nationkey + 4, ' ', n_nationkey, ',0</coordinates></LinearRing></outerBoundaryIs><innerBoundaryIs><LinearRing><coordinates>', n_nationkey + 3, ',1 ', n_nationkey + 4, ',1,0 ', n_nationkey + 4, ',2 ', n_nationkey + 3, ',1</coordinates></LinearRing></innerBoundaryIs></Polygon></Placemark>')")
+    pm = F.expr(
+        "concat('<Placemark><name>', n_name, '</name><ExtendedData><Data name=\"code\"><value>', n_nationkey, '</value></Data></ExtendedData><Polygon><outerBoundaryIs><LinearRing><coordinates>', n_nationkey, ',0 ', n_nationkey + 4, ',0 ', n_nationkey + 4, ',', n_nationkey + 4, ' ', n_nationkey, ',0</coordinates></LinearRing></outerBoundaryIs><innerBoundaryIs><LinearRing><coordinates>', n_nationkey + 3, ',1 ', n_nationkey + 4, ',1,0 ', n_nationkey + 4, ',2 ', n_nationkey + 3, ',1</coordinates></LinearRing></innerBoundaryIs></Polygon></Placemark>')"
+    )
     g = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.collect_list(pm), "").alias("b"))
-    g.select(F.concat(F.lit("<kml><Document><Folder><name>"), "n_regionkey", F.lit("</name>"), "b", F.lit("</Folder></Document></kml>")).alias("value")).write.text(path)
-    read = X.read_placemarks(spark, path).select("folder", "name", F.col("props")["code"].alias("code"), F.posexplode(F.flatten("polygons")).alias("ring", "r"))
+    g.select(
+        F.concat(F.lit("<kml><Document><Folder><name>"), "n_regionkey", F.lit("</name>"), "b", F.lit("</Folder></Document></kml>")).alias("value")
+    ).write.text(path)
+    read = X.read_placemarks(spark, path).select(
+        "folder", "name", F.col("props")["code"].alias("code"), F.posexplode(F.flatten("polygons")).alias("ring", "r")
+    )
     e = F.aggregate(P.ring_pairs(F.col("r")), F.lit(0.0), lambda s, e: s + (e["ax"] * e["by"] - e["bx"] * e["ay"]) / 2)
     return read.select("folder", "name", "code", "ring", F.col("r")[0]["x"].cast("long").alias("x"), F.round(e, 9).alias("area"))
 
 
-@query("x08_read_keyed_json", "SELECT c_custkey::VARCHAR AS key, c_name AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS seg FROM customer")
+@query(
+    "x08_read_keyed_json",
+    "SELECT c_custkey::VARCHAR AS key, c_name AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS seg FROM customer"
+)
 def keyed(spark, d):
-    docs = X.keyed_documents(table(spark, d, "customer").selectExpr("c_nationkey as g", "c_custkey as k", "c_name as name", "CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END as seg"), "g", "k")
+    docs = X.keyed_documents(
+        table(spark, d, "customer").selectExpr(
+            "c_nationkey as g", "c_custkey as k", "c_name as name", "CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END as seg"
+        ),
+        "g", "k"
+    )
     return X.keyed_json(docs, "name:string,seg:string")
 
 
-@query("x10_keyed_documents", """SELECT c_nationkey AS g, '{' || string_agg('\"' || c_custkey::VARCHAR || '\":{\"seg\":\"' || c_mktsegment || '\"}', ',' ORDER BY c_custkey::VARCHAR) || '}' AS text FROM customer GROUP BY 1""")
+@query(
+    "x10_keyed_documents",
+    """SELECT c_nationkey AS g, '{' || string_agg('\"' || c_custkey::VARCHAR || '\":{\"seg\":\"' || c_mktsegment || '\"}', ',' ORDER BY c_custkey::VARCHAR) || '}' AS text FROM customer GROUP BY 1"""
+)
 def documents(spark, d):
     return X.keyed_documents(table(spark, d, "customer").selectExpr("c_nationkey as g", "c_custkey as k", "c_mktsegment as seg"), "g", "k")
 
@@ -115,8 +165,13 @@ SELECT feature_id, p::INT AS polygon_idx, r::INT AS ring_idx, round(area * f, 9)
 def flat_rings(spark, d):
     u = units(spark, d)
     m = P.ring_measures(u).select("feature_id", "cx", "cy")
-    part = lambda k, dx=0.0: F.transform(F.col("polygons")[0][0], lambda v: F.struct((v["x"] * k + F.col("cx") * (1 - k) + dx).alias("x"), (v["y"] * k + F.col("cy") * (1 - k)).alias("y")))
-    rings = u.join(m, "feature_id").select("feature_id", F.posexplode(F.array(part(0.5), part(1.0), part(0.001, 9.0), part(0.2))).alias("ring_no", "ring"))
+    part = lambda k, dx=0.0: F.transform(
+        F.col("polygons")[0][0],
+        lambda v: F.struct((v["x"] * k + F.col("cx") * (1 - k) + dx).alias("x"), (v["y"] * k + F.col("cy") * (1 - k)).alias("y"))
+    )
+    rings = u.join(m, "feature_id").select(
+        "feature_id", F.posexplode(F.array(part(0.5), part(1.0), part(0.001, 9.0), part(0.2))).alias("ring_no", "ring")
+    )
     found = P.ring_measures(X.normalise_flat_rings(rings, 0.001)[0])
     return found.select("feature_id", "polygon_idx", "ring_idx", F.round(F.abs("area"), 9).alias("area"))
 
@@ -140,11 +195,19 @@ def l01(spark, d):
 @query("l02_school_zone_layer", f"""WITH {HITS}, {_STATUS} SELECT pid, status, district, CASE WHEN district IS NOT NULL THEN 'Zone' || CASE
   WHEN feature_id % 2 = 0 THEN ' HS (9–12)' ELSE ' Elementary (K, 2)' END END AS holder FROM s""")
 def l02(spark, d):
-    f = units(spark, d).withColumns({"school": F.when(F.col("feature_id") % 2 == 0, "ZONE HS").otherwise("ZONE ELEMENTARY"), "grades": F.when(F.col("feature_id") % 2 == 0, "9, 10, 11, 12").otherwise("K, 2")})
+    f = units(spark, d).withColumns(
+        {
+            "school": F.when(F.col("feature_id") % 2 == 0, "ZONE HS").otherwise("ZONE ELEMENTARY"),
+            "grades": F.when(F.col("feature_id") % 2 == 0, "9, 10, 11, 12").otherwise("K, 2")
+        }
+    )
     return L.school_zone_layer("school", f).query(points(spark, d))
 
 
-@query("l03_network_layer", f"WITH {HITS}, {_STATUS} SELECT pid, status, district, CASE WHEN district IS NOT NULL THEN 'chief of ' || name END AS holder FROM s")
+@query(
+    "l03_network_layer",
+    f"WITH {HITS}, {_STATUS} SELECT pid, status, district, CASE WHEN district IS NOT NULL THEN 'chief of ' || name END AS holder FROM s"
+)
 def l03(spark, d):
     return L.network_layer("network", units(spark, d).withColumn("chief", F.concat(F.lit("chief of "), "name")), "chief").query(points(spark, d))
 
@@ -169,7 +232,9 @@ c AS (SELECT DISTINCT pid FROM oh WHERE feature_id < 10)
 SELECT c.pid, 'OK' AS status, f::VARCHAR AS district, 'src' || (f % 4)::VARCHAR AS holder FROM c JOIN w USING (pid)""")
 def l06(spark, d):
     k = F.col("feature_id")
-    entries = _overlaid(spark, d).withColumns({"entry_order": k % 4, "source": F.concat(F.lit("src"), (k % 4).cast("string")), "available": F.lit(True)})
+    entries = _overlaid(spark, d).withColumns(
+        {"entry_order": k % 4, "source": F.concat(F.lit("src"), (k % 4).cast("string")), "available": F.lit(True)}
+    )
     return L.dispatched_layer("wards", entries, units(spark, d).where("feature_id < 10")).query(points(spark, d))
 
 
@@ -194,7 +259,10 @@ def l09(spark, d):
     def broken(p):
         raise ValueError("the source is away")
 
-    found = L.civic_profile(points(spark, d), [L.polygon_layer("unit", units(spark, d)), L.chamber_layer("chamber", units(spark, d), _roster(spark, d)), L.LayerSpec("broken", broken)])
+    found = L.civic_profile(
+        points(spark, d),
+        [L.polygon_layer("unit", units(spark, d)), L.chamber_layer("chamber", units(spark, d), _roster(spark, d)), L.LayerSpec("broken", broken)]
+    )
     return found.withColumn("holder", F.when(F.col("layer") != "broken", F.col("holder")))
 
 
@@ -238,11 +306,16 @@ def t03(spark, d):
     return spark.read.parquet(out).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query("t04_health_stream", """SELECT 'job' || (user_id % 60)::VARCHAR AS job, count(*) AS runs, count(*) FILTER (event_id % 5 = 0) AS failures FROM events WHERE event_id % 9 <> 0 GROUP BY 1""")
+@query(
+    "t04_health_stream",
+    """SELECT 'job' || (user_id % 60)::VARCHAR AS job, count(*) AS runs, count(*) FILTER (event_id % 5 = 0) AS failures FROM events WHERE event_id % 9 <> 0 GROUP BY 1"""
+)
 def t04(spark, d):
     runs, _ = health_input(spark, d)
     out = _scratch(spark)
-    T.health_stream(_stream(spark, runs)).writeStream.foreachBatch(lambda b, e: b.write.mode("overwrite").parquet(f"{out}/{e:09d}")).outputMode("complete").option("checkpointLocation", _scratch(spark)).trigger(availableNow=True).start().awaitTermination()
+    T.health_stream(_stream(spark, runs)).writeStream.foreachBatch(
+        lambda b, e: b.write.mode("overwrite").parquet(f"{out}/{e:09d}")
+    ).outputMode("complete").option("checkpointLocation", _scratch(spark)).trigger(availableNow=True).start().awaitTermination()
     fs = spark._jvm.org.apache.hadoop.fs.Path(out).getFileSystem(spark._jsc.hadoopConfiguration())
     last = max(s.getPath().toString() for s in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(out)))
     return spark.read.parquet(last).groupBy("job").agg(F.sum("runs").alias("runs"), F.sum("failures").alias("failures"))

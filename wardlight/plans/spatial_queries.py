@@ -24,8 +24,13 @@ def classify_counts(spark, d):
 # A layer with overlaps and gaps: units 0-9 again, moved by 0.3.
 def _overlaid(spark, d):
     own = units(spark, d)
-    moved = F.transform("polygons", lambda p: F.transform(p, lambda r: F.transform(r, lambda v: F.struct((v["x"] + 0.3).alias("x"), (v["y"] + 0.3).alias("y")))))
-    return own.where("feature_id < 20").select("feature_id", "polygons").unionByName(own.where("feature_id < 10").select((F.col("feature_id") + 100).alias("feature_id"), moved.alias("polygons")))
+    moved = F.transform(
+        "polygons",
+        lambda p: F.transform(p, lambda r: F.transform(r, lambda v: F.struct((v["x"] + 0.3).alias("x"), (v["y"] + 0.3).alias("y"))))
+    )
+    return own.where("feature_id < 20").select("feature_id", "polygons").unionByName(
+        own.where("feature_id < 10").select((F.col("feature_id") + 100).alias("feature_id"), moved.alias("polygons"))
+    )
 
 
 _OVER = EDGES + """,
@@ -45,7 +50,9 @@ SELECT p.pid, CASE WHEN f IS NULL THEN 'ERROR' ELSE 'OK' END AS status, 'src' ||
   JOIN won ON p.pid = won.pid""")
 def dispatched(spark, d):
     k = F.col("feature_id")
-    entries = _overlaid(spark, d).withColumns({"entry_order": k % 4, "source": F.concat(F.lit("src"), (k % 4).cast("string")), "available": k % 5 != 3})
+    entries = _overlaid(spark, d).withColumns(
+        {"entry_order": k % 4, "source": F.concat(F.lit("src"), (k % 4).cast("string")), "available": k % 5 != 3}
+    )
     return P.dispatch(points(spark, d), entries)
 
 
@@ -82,7 +89,10 @@ def nearest(spark, d):
     return P.nearest_n(points(spark, d), sites(spark, d), 3).withColumn("dist", F.round("dist", 9))
 
 
-@query("s05_top_k_nearest", f"""WITH {POINTS}, {SITES} SELECT sid, count(*) AS n FROM (SELECT pid, arg_min(sid, (x-sx)*(x-sx)+(y-sy)*(y-sy)) AS sid FROM pts, sites GROUP BY pid) GROUP BY sid""")
+@query(
+    "s05_top_k_nearest",
+    f"""WITH {POINTS}, {SITES} SELECT sid, count(*) AS n FROM (SELECT pid, arg_min(sid, (x-sx)*(x-sx)+(y-sy)*(y-sy)) AS sid FROM pts, sites GROUP BY pid) GROUP BY sid"""
+)
 def nearest_served(spark, d):
     return P.nearest_n(points(spark, d), sites(spark, d), 1).groupBy("sid").agg(F.count("*").alias("n"))
 
@@ -104,7 +114,9 @@ SELECT pid, feature_id, holder FROM hits LEFT JOIN r ON c_nationkey = feature_id
 def attach_roster(spark, d):
     from wardlight.operators.rosters import attach_roster as attach
 
-    roster = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").alias("feature_id")).agg(F.min("c_name").alias("holder"))
+    roster = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").groupBy(
+        F.col("c_nationkey").alias("feature_id")
+    ).agg(F.min("c_name").alias("holder"))
     return attach(P.classify(points(spark, d), units(spark, d)).select("pid", "feature_id"), roster, "feature_id")
 
 
@@ -128,7 +140,10 @@ _BOXES = """boxes AS (SELECT s_suppkey AS box_id, sx - 0.2 - (s_suppkey%5)/10.0:
 @query("j18_bbox_region", f"""WITH {POINTS}, {SITES}, {_BOXES} SELECT pid, arg_min(box_id, {{'d': pow(x-(x0+x1)/2,2)+pow(y-(y0+y1)/2,2), 'b': box_id}}) AS box_id FROM pts
   JOIN boxes ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 WHERE x0 < x1 AND y0 < y1 GROUP BY pid""")
 def regions(spark, d):
-    boxes = sites(spark, d).selectExpr("sid as box_id", "sx - 0.2D - (sid % 5) / 10.0D as min_x", "sy - 0.3D as min_y", "sx + CASE WHEN sid % 11 = 0 THEN -3D ELSE 0.4D END as max_x", "sy + 0.5D as max_y")
+    boxes = sites(spark, d).selectExpr(
+        "sid as box_id", "sx - 0.2D - (sid % 5) / 10.0D as min_x", "sy - 0.3D as min_y",
+        "sx + CASE WHEN sid % 11 = 0 THEN -3D ELSE 0.4D END as max_x", "sy + 0.5D as max_y"
+    )
     return P.bbox_region(points(spark, d), boxes)
 
 
@@ -141,13 +156,26 @@ def labels(spark, d):
     # One label lies just outside its unit's box; another unit has a second label that is farther from the centre... of nothing else.
     own = centre.join(u.select("feature_id", "name"), "feature_id")
     away = F.col("feature_id") == 7
-    return P.assign_labels(u, own.select(F.col("name").alias("label"), F.when(away, -0.05 + F.lit(0.0) * F.col("cx")).otherwise(F.col("cx")).alias("x"), F.when(away, F.lit(-0.05)).otherwise(F.col("cy")).alias("y")), 9.0)
-
-
-@query("a09_ring_measures", f"""WITH {EDGES} SELECT feature_id, round(sum(ax*by-bx*ay)/2, 9) AS area, round(sum((ax+bx)*(ax*by-bx*ay))/(3*sum(ax*by-bx*ay)), 9) AS cx, round(sum((ay+by)*(ax*by-bx*ay))/(3*sum(ax*by-bx*ay)), 9) AS cy, min(ax) AS min_x, max(ay) AS max_y, count(*) AS vertices FROM edges GROUP BY 1""")
+    return P.assign_labels(
+        u,
+        own.select(
+            F.col("name").alias("label"), F.when(away, -0.05 + F.lit(0.0) * F.col("cx")).otherwise(F.col("cx")).alias("x"),
+            F.when(away, F.lit(-0.05)).otherwise(F.col("cy")).alias("y")
+        ),
+        9.0
+    )
+
+
+@query(
+    "a09_ring_measures",
+    f"""WITH {EDGES} SELECT feature_id, round(sum(ax*by-bx*ay)/2, 9) AS area, round(sum((ax+bx)*(ax*by-bx*ay))/(3*sum(ax*by-bx*ay)), 9) AS cx, round(sum((ay+by)*(ax*by-bx*ay))/(3*sum(ax*by-bx*ay)), 9) AS cy, min(ax) AS min_x, max(ay) AS max_y, count(*) AS vertices FROM edges GROUP BY 1"""
+)
 def measures(spark, d):
     m = P.ring_measures(units(spark, d))
-    return m.select("feature_id", F.round("area", 9).alias("area"), F.round("cx", 9).alias("cx"), F.round("cy", 9).alias("cy"), "min_x", "max_y", "vertices")
+    return m.select(
+        "feature_id", F.round("area", 9).alias("area"), F.round("cx", 9).alias("cx"), F.round("cy", 9).alias("cy"), "min_x", "max_y",
+        "vertices"
+    )
 
 
 @query("w07_ring_edges", f"WITH {EDGES} SELECT feature_id, seq::INT AS seq, ax, ay, bx, by FROM edges")
@@ -160,13 +188,22 @@ def edges(spark, d):
 def rounded(spark, d):
     from wardlight.functions.scalars import flatten_rings, round_coords
 
-    thin = units(spark, d).select("feature_id", F.transform(flatten_rings(F.col("polygons")), lambda r: F.transform(F.slice(r, 1, 8), lambda v: F.struct((v["x"] / 3).alias("x"), (v["y"] / 7).alias("y")))).alias("rings"))
+    thin = units(spark, d).select(
+        "feature_id",
+        F.transform(
+            flatten_rings(F.col("polygons")),
+            lambda r: F.transform(F.slice(r, 1, 8), lambda v: F.struct((v["x"] / 3).alias("x"), (v["y"] / 7).alias("y")))
+        ).alias("rings")
+    )
     out = thin.select("feature_id", F.explode(round_coords(F.col("rings"), 3)).alias("r"))
     total = lambda k: F.round(F.aggregate("r", F.lit(0.0), lambda s, v: s + v[k]), 6)
     return out.select("feature_id", total("x").alias("sx"), total("y").alias("sy"), F.size("r").alias("n"))
 
 
-@query("f33_flatten_rings", f"WITH {VERTS} SELECT feature_id, s::INT AS at, x, y FROM verts UNION ALL SELECT feature_id, 8, x, y FROM verts WHERE s = 0")
+@query(
+    "f33_flatten_rings",
+    f"WITH {VERTS} SELECT feature_id, s::INT AS at, x, y FROM verts UNION ALL SELECT feature_id, 8, x, y FROM verts WHERE s = 0"
+)
 def flat(spark, d):
     from wardlight.functions.scalars import flatten_rings
 

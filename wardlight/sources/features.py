@@ -19,11 +19,16 @@ def features_of(documents: DataFrame, layer: str, key: str) -> tuple[DataFrame,
     Polygon and MultiPolygon alike become an array of polygons; a feature without geometry or rings is rejected, and so
     is a ring that is not closed.
     """
-    f = documents.select(F.explode(F.from_json("text", COLLECTION)["features"]).alias("f")).select("f.properties", "f.geometry.type", "f.geometry.coordinates")
+    f = documents.select(
+        F.explode(F.from_json("text", COLLECTION)["features"]).alias("f")
+    ).select("f.properties", "f.geometry.type", "f.geometry.coordinates")
     one = F.transform(F.from_json("coordinates", POLYGON), _ring)
     many = F.transform(F.from_json("coordinates", f"array<{POLYGON}>"), lambda p: F.transform(p, _ring))
     polygons = F.when(F.col("type") == "Polygon", F.array(one)).when(F.col("type") == "MultiPolygon", many)
-    rows = f.select(F.lit(layer).alias("layer"), F.col("properties")[key].alias("feature_id"), F.col("properties").alias("props"), polygons.alias("polygons"))
+    rows = f.select(
+        F.lit(layer).alias("layer"), F.col("properties")[key].alias("feature_id"), F.col("properties").alias("props"),
+        polygons.alias("polygons")
+    )
     empty = F.col("polygons").isNull() | (F.size(F.flatten("polygons")) == 0)
     open_ = F.exists(F.flatten("polygons"), lambda r: (F.size(r) < 4) | (r[0] != F.element_at(r, -1)))
     why = F.when(empty, "no geometry").when(open_, "open ring").when(F.col("feature_id").isNull(), "no key")
@@ -41,9 +46,15 @@ def feature_collections(features: DataFrame, group: str, key: str = "feature_id"
     near = lambda p: F.array(F.round(p["x"], places), F.round(p["y"], places))
     shape = F.transform("polygons", lambda p: F.transform(p, lambda r: F.transform(r, near)))
     props = [c for c in features.columns if c not in ("polygons", group)]
-    f = F.struct(F.lit("Feature").alias("type"), F.struct(*props).alias("properties"), F.struct(F.lit("MultiPolygon").alias("type"), shape.alias("coordinates")).alias("geometry"))
+    f = F.struct(
+        F.lit("Feature").alias("type"), F.struct(*props).alias("properties"),
+        F.struct(F.lit("MultiPolygon").alias("type"), shape.alias("coordinates")).alias("geometry")
+    )
     rows = features.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), f.alias("f")))).alias("fs"))
-    return rows.select(group, F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.transform("fs", lambda x: x["f"]).alias("features"))).alias("text"))
+    return rows.select(
+        group,
+        F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.transform("fs", lambda x: x["f"]).alias("features"))).alias("text")
+    )
 
 
 def write_features(features: DataFrame, path: str, group: str, key: str = "feature_id") -> DataFrame:
@@ -65,9 +76,17 @@ def read_keyed_json(spark: SparkSession, path: str, entry: str) -> DataFrame:
 def keyed_documents(df: DataFrame, group: str, key: str) -> DataFrame:
     """Rows → one {key: entry} document a group, keys in order, null fields left out."""
     fields = [c for c in df.columns if c not in (group, key)]
-    rows = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), F.to_json(F.struct(*fields)).alias("v")))).alias("es"))
+    rows = df.groupBy(group).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), F.to_json(F.struct(*fields)).alias("v")))).alias("es")
+    )
     quoted = lambda k: F.regexp_replace(k, r'(["\\])', r"\\$1")
-    return rows.select(group, F.concat(F.lit("{"), F.array_join(F.transform("es", lambda e: F.concat(F.lit('"'), quoted(e["k"]), F.lit('":'), e["v"])), ","), F.lit("}")).alias("text"))
+    return rows.select(
+        group,
+        F.concat(
+            F.lit("{"), F.array_join(F.transform("es", lambda e: F.concat(F.lit('"'), quoted(e["k"]), F.lit('":'), e["v"])), ","),
+            F.lit("}")
+        ).alias("text")
+    )
 
 
 def walk_records(documents: DataFrame, depth: int = 5) -> DataFrame:
@@ -82,7 +101,10 @@ def walk_records(documents: DataFrame, depth: int = 5) -> DataFrame:
         at = rows.select(F.explode("r").alias("r")).select("r.*")
         fields = F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))
         of_object = F.transform(fields, lambda e: one(F.concat(F.col("path"), F.lit("/"), e["key"]), e["value"], F.lit(True)))
-        of_array = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda e, i: one(F.concat(F.col("path"), F.lit("/"), i.cast("string")), e, F.lit(True)))
+        of_array = F.transform(
+            F.try_variant_get("v", "$", "array<variant>"), lambda e,
+            i: one(F.concat(F.col("path"), F.lit("/"), i.cast("string")), e, F.lit(True))
+        )
         kind = F.schema_of_variant("v")
         inner = F.when(kind.startswith("OBJECT"), of_object).when(kind.startswith("ARRAY"), of_array).otherwise(F.array().cast(member))
         inner = F.filter(inner, lambda e: F.schema_of_variant(e["v"]).startswith("OBJECT") | F.schema_of_variant(e["v"]).startswith("ARRAY"))
@@ -121,11 +143,19 @@ def read_placemarks(spark: SparkSession, path: str) -> DataFrame:
     schema = f"name string, ExtendedData struct<Data:array<struct<_name:string,value:string>>>, Polygon {poly}"
     blocks = lambda c, tag: F.regexp_extract_all(c, F.lit(f"(?s)<{tag}[ >].*?</{tag}>"), F.lit(0))
     folders = spark.read.text(path, wholetext=True).select(F.explode(blocks("value", "Folder")).alias("f"))
-    marks = folders.select(F.trim(F.regexp_extract("f", r"(?s)<name>(.*?)</name>", 1)).alias("folder"), F.explode(blocks("f", "Placemark")).alias("m"))
+    marks = folders.select(
+        F.trim(F.regexp_extract("f", r"(?s)<name>(.*?)</name>", 1)).alias("folder"), F.explode(blocks("f", "Placemark")).alias("m")
+    )
     p = marks.select("folder", F.from_xml("m", schema).alias("p"))
-    ring = lambda text: F.transform(F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != ""), lambda t: F.struct(F.split(t, ",")[0].cast("double").alias("x"), F.split(t, ",")[1].cast("double").alias("y")))
+    ring = lambda text: F.transform(
+        F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != ""),
+        lambda t: F.struct(F.split(t, ",")[0].cast("double").alias("x"), F.split(t, ",")[1].cast("double").alias("y"))
+    )
     outer = F.array(ring(F.col("p.Polygon.outerBoundaryIs.LinearRing.coordinates")))
-    inner = F.transform(F.coalesce(F.col("p.Polygon.innerBoundaryIs"), F.array().cast("array<struct<LinearRing:struct<coordinates:string>>>")), lambda i: ring(i["LinearRing"]["coordinates"]))
+    inner = F.transform(
+        F.coalesce(F.col("p.Polygon.innerBoundaryIs"), F.array().cast("array<struct<LinearRing:struct<coordinates:string>>>")),
+        lambda i: ring(i["LinearRing"]["coordinates"])
+    )
     props = F.map_from_entries(F.transform(F.col("p.ExtendedData.Data"), lambda x: F.struct(x["_name"], x["value"])))
     return p.select("folder", F.col("p.name").alias("name"), props.alias("props"), F.array(F.concat(outer, inner)).alias("polygons"))
 
@@ -141,13 +171,25 @@ def normalise_flat_rings(rings: DataFrame, least: float) -> tuple[DataFrame, Dat
 
     nested = nest_rings(rings)
     noise, good = nested.where(F.col("area") < least), nested.where(F.col("area") >= least)
-    outers = good.where("not hole").select(F.concat_ws("/", "feature_id", "ring_no").alias("k"), F.col("feature_id").alias("owner"), F.col("ring_no").alias("outer_no"), F.col("area").alias("outer_area"), F.array(F.array("ring")).alias("polygons"))
-    probes = good.where("hole").select(F.struct("feature_id", "ring_no").alias("pid"), F.col("ring")[0]["x"].alias("x"), F.col("ring")[0]["y"].alias("y"), F.col("feature_id").alias("own"), "area")
-    homes = classify(probes, outers).where("own = owner and outer_area > area").groupBy("pid").agg(F.min_by("outer_no", "outer_area").alias("outer_no"))
-    holes = good.where("hole").withColumn("pid", F.struct("feature_id", "ring_no")).join(homes, "pid").groupBy("feature_id", F.col("outer_no").alias("home")).agg(F.collect_list("ring").alias("hs"))
+    outers = good.where("not hole").select(
+        F.concat_ws("/", "feature_id", "ring_no").alias("k"), F.col("feature_id").alias("owner"), F.col("ring_no").alias("outer_no"),
+        F.col("area").alias("outer_area"), F.array(F.array("ring")).alias("polygons")
+    )
+    probes = good.where("hole").select(
+        F.struct("feature_id", "ring_no").alias("pid"), F.col("ring")[0]["x"].alias("x"), F.col("ring")[0]["y"].alias("y"),
+        F.col("feature_id").alias("own"), "area"
+    )
+    homes = classify(probes, outers).where("own = owner and outer_area > area").groupBy("pid").agg(
+        F.min_by("outer_no", "outer_area").alias("outer_no")
+    )
+    holes = good.where("hole").withColumn("pid", F.struct("feature_id", "ring_no")).join(homes, "pid").groupBy(
+        "feature_id", F.col("outer_no").alias("home")
+    ).agg(F.collect_list("ring").alias("hs"))
     o = good.where("not hole").select("feature_id", F.col("ring_no").alias("home"), "ring").join(holes, ["feature_id", "home"], "left")
     poly = F.concat(F.array("ring"), F.coalesce("hs", F.array().cast("array<array<struct<x:double,y:double>>>")))
-    out = o.select("feature_id", F.struct("home", poly.alias("p")).alias("hp")).groupBy("feature_id").agg(F.array_sort(F.collect_list("hp")).alias("hps"))
+    out = o.select(
+        "feature_id", F.struct("home", poly.alias("p")).alias("hp")
+    ).groupBy("feature_id").agg(F.array_sort(F.collect_list("hp")).alias("hps"))
     return out.select("feature_id", F.transform("hps", lambda h: h["p"]).alias("polygons")), noise.select("feature_id", "ring_no", "area")
 
 
@@ -169,16 +211,31 @@ def extract_table_rows(pages: DataFrame, header: str) -> DataFrame:
 def split_terminated(texts: DataFrame, labels: DataFrame, start: str, end: str, terminator: str) -> DataFrame:
     """texts (doc_id, text), labels (label) → doc_id, row_no, label, rest: the section between two markers cut at a terminator, each row with its longest known label."""
     section = F.regexp_extract("text", f"(?s){start}(.*?){end}", 1)
-    rows = texts.select("doc_id", F.posexplode(F.regexp_extract_all(section, F.lit(f"(?s)(.*?)(?:{terminator})"), F.lit(1))).alias("row_no", "row")).withColumn("row", F.trim("row")).where("row <> ''")
+    rows = texts.select(
+        "doc_id", F.posexplode(F.regexp_extract_all(section, F.lit(f"(?s)(.*?)(?:{terminator})"), F.lit(1))).alias("row_no", "row")
+    ).withColumn("row", F.trim("row")).where("row <> ''")
     first = lambda c: F.lower(F.regexp_extract(c, r"^(\S+)", 1))
-    met = rows.withColumn("_w", first(F.col("row"))).join(labels.select("label", first(F.col("label")).alias("_w")), "_w", "left").withColumn("label", F.when(F.startswith(F.lower("row"), F.lower("label")), F.col("label")))
+    met = rows.withColumn("_w", first(F.col("row"))).join(labels.select("label", first(F.col("label")).alias("_w")), "_w", "left").withColumn(
+        "label", F.when(F.startswith(F.lower("row"), F.lower("label")), F.col("label"))
+    )
     best = met.groupBy("doc_id", "row_no", "row").agg(F.max_by("label", F.coalesce(F.length("label"), F.lit(0))).alias("label"))
-    return best.select("doc_id", "row_no", "label", F.trim(F.when(F.col("label").isNull(), F.col("row")).otherwise(F.substr("row", F.length("label") + 1, F.length("row")))).alias("rest"))
+    return best.select(
+        "doc_id", "row_no", "label",
+        F.trim(F.when(F.col("label").isNull(), F.col("row")).otherwise(F.substr("row", F.length("label") + 1, F.length("row")))).alias("rest")
+    )
 
 
 def expand_grouped_labels(df: DataFrame, col: str) -> DataFrame:
     """`Base 2,3,5 & 6` → one row a number with the base's name, `Other 2` after an ampersand too; no number: the text as it is."""
     groups = F.regexp_extract_all(col, F.lit(r"([A-Za-z][A-Za-z.'’ ]*?)\s*([0-9]+(?:\s*(?:,|&|and)\s*[0-9]+)*)"), F.lit(0))
-    each = F.flatten(F.transform(groups, lambda g: F.transform(F.regexp_extract_all(g, F.lit(r"([0-9]+)"), F.lit(1)), lambda n: F.concat_ws(" ", F.trim(F.regexp_extract(g, r"^([A-Za-z][A-Za-z.'’ ]*?)\s*[0-9]", 1)), n))))
+    each = F.flatten(
+        F.transform(
+            groups,
+            lambda g: F.transform(
+                F.regexp_extract_all(g, F.lit(r"([0-9]+)"), F.lit(1)),
+                lambda n: F.concat_ws(" ", F.trim(F.regexp_extract(g, r"^([A-Za-z][A-Za-z.'’ ]*?)\s*[0-9]", 1)), n)
+            )
+        )
+    )
     return df.withColumn("label", F.explode(F.when(F.size(each) > 0, each).otherwise(F.array(F.trim(col)))))
 

@@ -36,10 +36,16 @@ def latest_only(selections: DataFrame, minutes: int | None = None) -> DataFrame:
             state.setTimeoutDuration(minutes * 60_000)
         yield fresh.tail(1)[columns]
 
-    return selections.groupBy("session").applyInPandasWithState(newer, selections.schema, "seq long", "append", GroupStateTimeout.NoTimeout if minutes is None else GroupStateTimeout.ProcessingTimeTimeout)
+    return selections.groupBy("session").applyInPandasWithState(
+        newer, selections.schema, "seq long", "append",
+        GroupStateTimeout.NoTimeout if minutes is None else GroupStateTimeout.ProcessingTimeTimeout
+    )
 
 
-def refresh(snapshots: DataFrame, gate: Callable[[DataFrame], DataFrame], publish: Callable[[DataFrame, int], None], hold: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):
+def refresh(
+    snapshots: DataFrame, gate: Callable[[DataFrame], DataFrame], publish: Callable[[DataFrame, int], None],
+    hold: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True
+):
     """Starts a query that judges each arriving batch: gate gives findings; a batch with a FAIL is held with them, others are published."""
 
     def judge(batch: DataFrame, epoch: int) -> None:
@@ -58,4 +64,7 @@ def refresh(snapshots: DataFrame, gate: Callable[[DataFrame], DataFrame], publis
 def health_stream(runs: DataFrame, width: str = "7 days", late: str = "1 day") -> DataFrame:
     """A stream of runs (job, status, conclusion, created_at) → per job and window: runs, failures, the latest run and the latest success."""
     done = runs.where("status = 'completed'").withWatermark("created_at", late)
-    return done.groupBy(F.window("created_at", width), "job").agg(F.count("*").alias("runs"), F.count_if(~F.col("conclusion").isin("success", "cancelled", "skipped")).alias("failures"), F.max("created_at").alias("latest_at"), F.max(F.when(F.col("conclusion") == "success", F.col("created_at"))).alias("ok_at"))
+    return done.groupBy(F.window("created_at", width), "job").agg(
+        F.count("*").alias("runs"), F.count_if(~F.col("conclusion").isin("success", "cancelled", "skipped")).alias("failures"),
+        F.max("created_at").alias("latest_at"), F.max(F.when(F.col("conclusion") == "success", F.col("created_at"))).alias("ok_at")
+    )
