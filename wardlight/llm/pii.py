@@ -42,6 +42,7 @@ IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"
 #: A card found within a run of digit groups stands between these two, which are no characters of any text.
 MARKS = "\ufdd0\ufdd1"
+IN_RUN = "\ufdd2"  # before a run that is searched once more
 MARKED = f"{MARKS[0]}[0-9 -]+{MARKS[1]}"
 #: The order decides at one place: the earlier form wins.
 FORMS = (("secret", SECRET), ("email", EMAIL), ("iban", IBAN), ("ip", IPV4), ("date", DATE), ("ssn", SSN), ("phone", PHONE), ("card", CARD))
@@ -65,88 +66,93 @@ def _number(key: Column, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", key, *parts), 256), 1, 8), 16, 10).cast("long")
 
 
-def _shift(key: Column, text: Column, other: Column, kind: str, round_: Column) -> Column:
+def _shift(key: Column, text: Column, other: Column, kind: Column, round_: Column) -> Column:
     """Adds a keyed amount to each digit, lower and upper case letter within its class; other characters stay.
 
     The amounts are parts of a digest for each HEXES characters, which depends on the key, the kind, the round, the
     other half and this half's length.
     """
     n = F.length(text)
-    letters = 6 if kind == "hex" else 26
-    digest = lambda b: F.sha2(F.concat_ws("|", key, F.lit(kind), round_.cast("string"), other, n.cast("string"), b.cast("string")), 512)
+    digest = lambda b: F.sha2(F.concat_ws("|", key, kind, round_.cast("string"), other, n.cast("string"), b.cast("string")), 512)
     digests = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / HEXES).cast("int")), digest)
 
     def one(all_: Column, i: Column) -> Column:
         hexes = F.substr(F.element_at(all_, F.floor(i / HEXES).cast("int") + 1), (i % HEXES) * 4 + 1, F.lit(4))
-        add, c = F.conv(hexes, 16, 10).cast("int"), F.substr(text, i + 1, F.lit(1))
+        c = F.substr(text, i + 1, F.lit(1))
         code = F.ascii(c)
-        turned = lambda first, m: F.char(F.lit(ord(first)) + F.pmod(code - ord(first) + add, F.lit(m)))
-        within = lambda first, last: code.between(ord(first), ord(last))
-        return F.when(within("0", "9"), turned("0", 10)).when(within("a", "z"), turned("a", letters)).when(within("A", "Z"), turned("A", letters)).otherwise(c)
+        first = F.when(code.between(48, 57), 48).when(code.between(97, 122), 97).when(code.between(65, 90), 65)
+        size = F.when(code <= 57, 10).when(kind == "hex", 6).otherwise(26)
+        return F.coalesce(F.char(first + F.pmod(code - first + F.conv(hexes, 16, 10).cast("int"), size)), c)
 
     shifted = _once(digests, lambda all_: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: one(all_, i)), ""))
     return F.when(n == 0, F.lit("")).otherwise(shifted)
 
 
-def feistel_text(key: Column, text: Column, kind: str) -> Column:
+def feistel_text(key: Column, text: Column, kind: Column) -> Column:
     """Keyed permutation of the strings with the same characters' classes: halves are shifted in turn by amounts drawn from the other half."""
     half = F.floor(F.length(text) / 2).cast("int")
-    start = F.struct(F.substr(text, F.lit(1), half).alias("l"), F.substr(text, half + 1, F.length(text)).alias("r"))
+    left, right = F.substr(text, F.lit(1), half), F.substr(text, half + 1, F.length(text))
+    start = F.struct(left.alias("l"), right.alias("r"))
 
     def step(s: Column, k: Column) -> Column:
         even = k % 2 == 0
-        return F.struct(
-            F.when(even, _shift(key, s["l"], s["r"], kind, k)).otherwise(s["l"]).alias("l"),
-            F.when(even, s["r"]).otherwise(_shift(key, s["r"], s["l"], kind, k)).alias("r")
-        )
+        own, other = (F.when(even, s[x]).otherwise(s[y]) for x, y in (("l", "r"), ("r", "l")))
+        moved = _shift(key, own, other, kind, k)
+        return _once(moved, lambda m: F.struct(F.when(even, m).otherwise(s["l"]).alias("l"), F.when(even, s["r"]).otherwise(m).alias("r")))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(s["l"], s["r"]))
 
 
-def feistel_number(key: Column, value: Column, a: int | Column, b: int | Column, kind: str) -> Column:
+def feistel_number(key: Column, value: Column, a: int | Column, b: int | Column, kind: str | Column) -> Column:
     """Keyed permutation of 0 .. a*b - 1 by an unbalanced network over value div b and value mod b."""
-    a, b = (F.lit(x).cast("long") for x in (a, b))
+    a, b = (x.cast("long") if isinstance(x, Column) else F.lit(x).cast("long") for x in (a, b))
+    kind = kind if isinstance(kind, Column) else F.lit(kind)
     start = F.struct(F.floor(value / b).cast("long").alias("l"), F.pmod(value, b).cast("long").alias("r"))
 
     def step(s: Column, k: Column) -> Column:
         even = k % 2 == 0
-        mixed = lambda own, other, n: F.pmod(own + _number(key, F.lit(kind), k.cast("string"), other.cast("string")), n)
-        return F.struct(
-            F.when(even, mixed(s["l"], s["r"], a)).otherwise(s["l"]).alias("l"),
-            F.when(even, s["r"]).otherwise(mixed(s["r"], s["l"], b)).alias("r")
-        )
+        own, other = (F.when(even, s[x]).otherwise(s[y]) for x, y in (("l", "r"), ("r", "l")))
+        moved = F.pmod(own + _number(key, kind, k.cast("string"), other.cast("string")), F.when(even, a).otherwise(b))
+        return _once(moved, lambda m: F.struct(F.when(even, m).otherwise(s["l"]).alias("l"), F.when(even, s["r"]).otherwise(m).alias("r")))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: s["l"] * b + s["r"])
 
 
-def social_number(key: Column, number: Column) -> Column:
-    """Keyed permutation of the valid social security numbers (nine digits): areas 001 to 899 but 666, groups and serials from 1."""
-    part = lambda at, n: F.substr(number, F.lit(at), F.lit(n)).cast("long")
-    area = part(1, 3) - F.when(part(1, 3) > 666, 2).otherwise(1)
-    moved = feistel_number(key, (area * 99 + part(4, 2) - 1) * 9_999 + part(6, 4) - 1, 898 * 99, 9_999, "ssn")
+def _part(number: Column, at: int, n: int) -> Column:
+    return F.substr(number, F.lit(at), F.lit(n)).cast("long")
 
-    def written(m: Column) -> Column:
-        place = F.floor(m / (99 * 9_999)).cast("long")
-        places = [place + F.when(place >= 665, 2).otherwise(1), F.floor(m / 9_999).cast("long") % 99 + 1, m % 9_999 + 1]
-        return F.concat(*[F.lpad(p.cast("string"), n, "0") for p, n in zip(places, (3, 2, 4), strict=True)])
 
-    return _once(moved, written)
+def _padded(*parts: tuple[Column, int]) -> Column:
+    return F.concat(*[F.lpad(p.cast("long").cast("string"), n, "0") for p, n in parts])
 
 
-def national_number(key: Column, number: Column) -> Column:
-    """Keyed permutation of telephone numbers of ten digits, in which codes that begin with 0 or 1, which aren't assigned, and others stay apart."""
-    part = lambda at, n: F.substr(number, F.lit(at), F.lit(n)).cast("long")
-    low = [part(1, 3) < 200, part(4, 3) < 200]
-    first, many = ([F.when(x, v).otherwise(w) for x in low] for v, w in ((0, 200), (200, 800)))
-    moved = feistel_number(
-        key, (part(1, 3) - first[0]) * many[1] * 10_000 + (part(4, 3) - first[1]) * 10_000 + part(7, 4), many[0], many[1] * 10_000, "phone"
-    )
+def social_place(number: Column) -> Column:
+    """Place of a valid social security number (nine digits) among all: areas 001 to 899 but 666, groups and serials from 1."""
+    area = _part(number, 1, 3) - F.when(_part(number, 1, 3) > 666, 2).otherwise(1)
+    return (area * 99 + _part(number, 4, 2) - 1) * 9_999 + _part(number, 6, 4) - 1
+
 
-    def written(m: Column) -> Column:
-        places = [F.floor(m / (many[1] * 10_000)).cast("long") + first[0], F.floor(m / 10_000).cast("long") % many[1] + first[1], m % 10_000]
-        return F.concat(*[F.lpad(p.cast("string"), n, "0") for p, n in zip(places, (3, 3, 4), strict=True)])
+def social_number(place: Column) -> Column:
+    area = F.floor(place / (99 * 9_999))
+    return _padded((area + F.when(area >= 665, 2).otherwise(1), 3), (F.floor(place / 9_999) % 99 + 1, 2), (place % 9_999 + 1, 4))
 
-    return _once(moved, written)
+
+def _codes(number: Column) -> tuple[list[Column], list[Column]]:
+    """First value and count of the area and exchange codes like those of a telephone number: 0 to 199, which aren't assigned, or 200 to 999."""
+    low = [_part(number, at, 3) < 200 for at in (1, 4)]
+    return [F.when(x, 0).otherwise(200) for x in low], [F.when(x, 200).otherwise(800) for x in low]
+
+
+def national_place(number: Column) -> Column:
+    """Place of a telephone number of ten digits among those with codes like its own."""
+    first, many = _codes(number)
+    return ((_part(number, 1, 3) - first[0]) * many[1] + _part(number, 4, 3) - first[1]) * 10_000 + _part(number, 7, 4)
+
+
+def national_number(place: Column, like: Column) -> Column:
+    first, many = _codes(like)
+    rest = F.floor(place / 10_000)
+    return _padded((F.floor(rest / many[1]) + first[0], 3), (rest % many[1] + first[1], 3), (place % 10_000, 4))
 
 
 def _digits(text: Column) -> Column:
@@ -251,57 +257,77 @@ def pseudonym(key: Column, value: Column) -> Column:
     to 2099 are permuted among the days and written in the form they had, with leading zeros or without; IPv4 addresses
     with parts up to 255 among all addresses, other values among those with the same classes of characters.
     """
-    is_ = lambda p: value.rlike(f"^(?:{p})$")
+    form = F.lit(None).cast("string")
+    for name, pattern in reversed(FORMS):
+        form = F.when(value.rlike(f"^(?:{PHONE_SHAPE if name == 'phone' else pattern})$"), name).otherwise(form)
+    return _once(form, lambda f: _pseudonym(key, value, f))
+
+
+def _pseudonym(key: Column, value: Column, form: Column) -> Column:
+    """pseudonym of a value of a known form: what is permuted is brought into one of two shapes, a text or a number, so that either network is written once."""
+    number, flat = _digits(value), F.regexp_replace(value, " ", "")
     label = F.regexp_extract(value, r"^(?i:(?:password|passwd|pwd|secret|token|api[_-]?key) ?[=:] ?\x22?|AKIA)", 0)
     bare = F.substr(value, F.length(label) + 1, F.length(value))
-    secret = F.concat(label, F.when(bare.rlike("^[0-9a-f]+$"), feistel_text(key, bare, "hex")).otherwise(feistel_text(key, bare, "secret")))
     last = F.regexp_extract(value, r"\.[A-Za-z0-9-]+$", 0)
-    email = F.concat(feistel_text(key, F.substr(value, F.lit(1), F.length(value) - F.length(last)), "email"), last)
-    number = _digits(value)
-    body = feistel_text(key, F.substr(number, F.lit(1), F.length(number) - 1), "card")
-    check = lambda b: F.pmod(10 - luhn_sum(F.concat(b, F.lit("0"))) % 10, F.lit(10)).cast("string")
-    card = F.when(luhn_sum(number) % 10 == 0, _refill(value, _once(body, lambda b: F.concat(b, check(b))))).otherwise(value)
     # A country code of its own, +1 before ten digits, or the first digit of a number without blanks stays.
-    country = F.regexp_extract(value, r"^\+(?:[0-9]{1,3}(?=[ .(-])|1(?=[0-9]{10}$)|[0-9])", 0)
+    country = F.when(form == "phone", F.regexp_extract(value, r"^\+(?:[0-9]{1,3}(?=[ .(-])|1(?=[0-9]{10}$)|[0-9])", 0)).otherwise("")
     rest = F.substr(value, F.length(country) + 1, F.length(value))
-    national = country.isin("", "+1") & (F.length(_digits(rest)) == 10)
-    phone = F.concat(
-        country,
-        _refill(rest, F.when(national, national_number(key, _digits(rest))).otherwise(feistel_text(F.concat(key, country), _digits(rest), "phone")))
-    )
-    ssn = F.when(value.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), _refill(value, social_number(key, number))).otherwise(value)
-    parts = F.transform(F.split(value, r"\."), lambda x: x.cast("long"))
-    address = feistel_number(key, F.aggregate(parts, F.lit(0).cast("long"), lambda s, x: s * 256 + x), 65_536, 65_536, "ip")
-    quad = lambda a: F.array_join(
-        F.transform(F.array(*map(F.lit, (24, 16, 8, 0))), lambda k: F.pmod(F.floor(a / F.pow(F.lit(2), k)).cast("long"), F.lit(256)).cast("string")),
-        "."
-    )
-    ip = F.when(F.forall(parts, lambda x: x <= 255), _once(address, quad)).otherwise(value)
+    national = (form == "phone") & country.isin("", "+1") & (F.length(_digits(rest)) == 10)
+    parts = F.transform(F.split(value, r"\."), lambda x: x.try_cast("long"))
     day = _day(value)
-    moved = F.date_add(
-        F.lit(FIRST_DAY).cast("date"),
-        feistel_number(key, F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long"), *PARTS, "date").cast("int")
-    )
-    short = value.rlike(r"^[0-9][./]|[./][0-9][./]")  # a day or month without a leading zero
-    form = lambda m, padded, plain: F.when(short, F.date_format(m, plain)).otherwise(F.date_format(m, padded))
-    slashes = lambda m: F.when(
-        F.try_to_timestamp(value, F.lit("M/d/yyyy")).isNotNull(), form(m, "MM/dd/yyyy", "M/d/yyyy")
-    ).otherwise(form(m, "dd/MM/yyyy", "d/M/yyyy"))
-    written = lambda m: F.when(
-        value.rlike("^[0-9]{4}-"), F.date_format(m, "yyyy-MM-dd")
-    ).when(F.contains(value, F.lit("/")), slashes(m)).otherwise(form(m, "dd.MM.yyyy", "d.M.yyyy"))
-    date = F.when(day.isNotNull(), _once(moved, written)).otherwise(value)
-    flat = F.regexp_replace(value, " ", "")
-    account = feistel_text(key, F.substr(flat, F.lit(5), F.length(flat)), "iban")
-    digits2 = lambda a: F.lpad((98 - _mod97(F.concat(a, F.substr(flat, F.lit(1), F.lit(2)), F.lit("00")))).cast("string"), 2, "0")
-    new_iban = _once(account, lambda a: F.concat(F.substr(flat, F.lit(1), F.lit(2)), digits2(a), a))
-    spaced = F.when(F.contains(value, F.lit(" ")), F.trim(F.regexp_replace(new_iban, "(.{4})", "$1 "))).otherwise(new_iban)
-    iban = F.when(_mod97(F.concat(F.substr(flat, F.lit(5), F.length(flat)), F.substr(flat, F.lit(1), F.lit(4)))) == 1, spaced).otherwise(value)
-    forms = {"secret": secret, "email": email, "iban": iban, "ip": ip, "date": date, "ssn": ssn, "phone": phone, "card": card}
-    out = value
-    for name, pattern in reversed(FORMS):
-        out = F.when(is_(PHONE_SHAPE if name == "phone" else pattern), forms[name]).otherwise(out)
-    return out
+    valid = (
+        F.when(form == "card", luhn_sum(number) % 10 == 0)
+        .when(form == "iban", _mod97(F.concat(F.substr(flat, F.lit(5), F.length(flat)), F.substr(flat, F.lit(1), F.lit(4)))) == 1)
+        .when(form == "ssn", value.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"))
+        .when(form == "ip", F.forall(parts, lambda x: x <= 255)).when(form == "date", day.isNotNull()).otherwise(form.isNotNull())
+    )
+
+    text = (
+        F.when(form == "secret", bare).when(form == "email", F.substr(value, F.lit(1), F.length(value) - F.length(last)))
+        .when(
+            form == "card", F.substr(number, F.lit(1), F.length(number) - 1)
+        ).when(form == "iban", F.substr(flat, F.lit(5), F.length(flat))).otherwise(_digits(rest))
+    )
+    kind = F.when((form == "secret") & bare.rlike("^[0-9a-f]+$"), "hex").otherwise(F.concat(form, country))
+
+    def of_text(t: Column) -> Column:
+        check = F.pmod(10 - luhn_sum(F.concat(t, F.lit("0"))) % 10, F.lit(10)).cast("string")
+        state = F.substr(flat, F.lit(1), F.lit(2))
+        account = F.concat(state, F.lpad((98 - _mod97(F.concat(t, state, F.lit("00")))).cast("string"), 2, "0"), t)
+        spaced = F.when(F.contains(value, F.lit(" ")), F.trim(F.regexp_replace(account, "(.{4})", "$1 "))).otherwise(account)
+        return F.when(form == "secret", F.concat(label, t)).when(form == "email", F.concat(t, last)).when(form == "card", F.concat(t, check)).when(form == "iban", spaced).otherwise(t)
+
+    first_day = F.lit(FIRST_DAY).cast("date")
+    place = (
+        F.when(form == "ssn", social_place(number)).when(national, national_place(_digits(rest)))
+        .when(form == "ip", F.aggregate(parts, F.lit(0).cast("long"), lambda s, x: s * 256 + x)).otherwise(F.datediff(day, first_day).cast("long"))
+    )
+    many = _codes(_digits(rest))[1]
+    a = F.when(form == "ssn", 898 * 99).when(national, many[0]).when(form == "ip", 65_536).otherwise(PARTS[0])
+    b = F.when(form == "ssn", 9_999).when(national, many[1] * 10_000).when(form == "ip", 65_536).otherwise(PARTS[1])
+
+    def of_number(m: Column) -> Column:
+        quad = F.array_join(
+            F.transform(
+                F.array(*map(F.lit, (24, 16, 8, 0))),
+                lambda k: F.pmod(F.floor(m / F.pow(F.lit(2), k)).cast("long"), F.lit(256)).cast("string")
+            ),
+            "."
+        )
+        short = value.rlike(r"^[0-9][./]|[./][0-9][./]")  # a day or month without a leading zero
+        month_first = F.contains(value, F.lit("/")) & F.try_to_timestamp(value, F.lit("M/d/yyyy")).isNotNull()
+        order = F.when(value.rlike("^[0-9]{4}-"), "yyyy-MM-dd").when(month_first, F.when(short, "M/d/yyyy").otherwise("MM/dd/yyyy")).when(
+            F.contains(value, F.lit("/")), F.when(short, "d/M/yyyy").otherwise("dd/MM/yyyy")
+        )
+        date = F.call_function(
+            "date_format", F.date_add(first_day, m.cast("int")), F.coalesce(order, F.when(short, "d.M.yyyy").otherwise("dd.MM.yyyy"))
+        )
+        return F.when(form == "ssn", social_number(m)).when(national, national_number(m, _digits(rest))).when(form == "ip", quad).otherwise(date)
+
+    numeric = form.isin("ssn", "ip", "date") | national
+    new = F.when(numeric, _once(feistel_number(key, place, a, b, form), of_number)).otherwise(_once(feistel_text(key, text, kind), of_text))
+    written = _once(new, lambda n: F.when(form.isin("card", "phone", "ssn"), F.concat(country, _refill(rest, n))).otherwise(n))
+    return F.when(valid, written).otherwise(value)
 
 
 def session_key(spark: SparkSession) -> str:
@@ -328,9 +354,19 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     text, secret = F.col("text"), F.lit(key)
     # A run of digits may hold cards beside other numbers: they are marked first, and the run is searched once more.
     run = lambda v: v.rlike(f"^(?:{RUN})$") & ~v.rlike(f"^(?:{EARLIER})$")
-    plain = lambda v: pseudonym(secret, F.translate(v, MARKS, ""))
-    in_run = lambda m: _woven(m, CANDIDATE, F.transform(F.regexp_extract_all(m, F.lit(CANDIDATE), F.lit(0)), plain))
-    new = lambda v: F.when(run(v), _once(_mark_cards(v), in_run)).otherwise(pseudonym(secret, v))
+
+    def searched(m: Column) -> Column:
+        """The candidates of a match and what is between them: those of a run with its cards marked, or the match itself."""
+        marked = F.contains(m, F.lit(IN_RUN))
+        parts = F.when(marked, F.regexp_extract_all(m, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array(m))
+        between = F.when(marked, F.split(m, CANDIDATE, -1)).otherwise(F.array(F.lit(""), F.lit("")))
+        plain = lambda v: pseudonym(secret, F.translate(v, MARKS, ""))
+        return F.translate(
+            F.concat(F.array_join(F.zip_with(between, F.transform(parts, plain), lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")),
+            IN_RUN, ""
+        )
+
+    new = lambda v: _once(F.when(run(v), F.concat(F.lit(IN_RUN), _mark_cards(v))).otherwise(v), searched)
     found = free_name(docs, "found")
     out = docs.withColumn(found, F.regexp_extract_all(text, F.lit(EARLIER_OR_RUN), F.lit(0)))
     out = out.withColumn("text", F.when(F.size(found) > 0, _woven(text, EARLIER_OR_RUN, F.transform(found, new))).otherwise(text)).drop(found)
