@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardlight.llm.common import cut, drop, gram_hashes, mix, numbered, read, row_of, slices, word_hashes, words_of
@@ -212,19 +212,19 @@ def in_blocks(df: DataFrame, key: str, n: str, order: str, limit: int) -> DataFr
 
 
 def _from_pivot(members: DataFrame) -> DataFrame:
-    """members (path, rep, last, sketch, pivot, pivot_sketch) → path, rep, last, pivot, off: the tokens in which a set differs from its node's pivot."""
+    """members (path, salt, rep, last, sketch, pivot, pivot_sketch) → path, salt, rep, last, pivot, off: the tokens in which a set differs from its node's pivot."""
     id_type = dict(members.dtypes)["rep"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, pivot = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, COORDINATES) for c in ("sketch", "pivot_sketch"))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("path", "rep", "last", "pivot")), pa.array((own != pivot).sum(axis=1).astype(np.int32))],
-                names=["path", "rep", "last", "pivot", "off"]
+                [*(batch.column(c) for c in ("path", "salt", "rep", "last", "pivot")), pa.array((own != pivot).sum(axis=1).astype(np.int32))],
+                names=["path", "salt", "rep", "last", "pivot", "off"]
             )
 
-    return members.select("path", "rep", "last", "sketch", "pivot", "pivot_sketch").mapInArrow(
-        count, f"path long, rep {id_type}, last boolean, pivot {id_type}, off int"
+    return members.select("path", "salt", "rep", "last", "sketch", "pivot", "pivot_sketch").mapInArrow(
+        count, f"path long, salt int, rep {id_type}, last boolean, pivot {id_type}, off int"
     )
 
 
@@ -287,9 +287,11 @@ def _runs(sketch: DataFrame, runs: range) -> DataFrame:
             near.where((F.col("off") <= APART) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("u"), F.col("pivot").alias("v"), "last")
         )
         buckets.append(_doubtful(near))
-        rest = near.where((F.col("off") > TIGHT) | (F.col("rep") == F.col("pivot"))).select("path", "rep", "last")
-        sizes = cut(rest.groupBy("path").agg(F.count("*").alias("n")))
-        rest = cut(rest.join(sizes, "path"))
+        rest = near.where((F.col("off") > TIGHT) | (F.col("rep") == F.col("pivot"))).select("path", "salt", "rep", "last")
+        # A node's rest is counted by its salts, of which there are few, and told its size by path and salt.
+        sizes = rest.groupBy("path", "salt").agg(F.count("*").alias("n"))
+        sizes = cut(sizes.select("path", "salt", F.sum("n").over(Window.partitionBy("path")).alias("n")))
+        rest = cut(rest.join(sizes, ["path", "salt"]).drop("salt"))
         made += [sizes, rest]
         if level == LEVELS:
             leaves.append(rest)
