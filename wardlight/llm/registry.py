@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardlight.llm import chat, decontaminate, jaccard, langid, packing, pii, quality, substrings, urls
+from wardlight.llm import chat, decontaminate, jaccard, langid, merkle, packing, pii, quality, substrings, urls
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii_pseudonyms": pii.op8_pii_pseudonyms,
     "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op5_chat_formatting": chat.OP5_SQL,
     "op6_benchmark_decontamination": decontaminate.OP6_SQL,
     "op9_substring_dedup": substrings.OP9_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
 }
