@@ -180,3 +180,10 @@ def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def spread(df: DataFrame, column: str) -> DataFrame:
     """Hash partitioning with sorted partitions, for operators that stream over groups."""
     return df.repartition(F.col(column)).sortWithinPartitions(column)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a text of ASCII characters."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    turn = "CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    return f"xor(list_reduce([4294967295] || {steps}, lambda a, x: {turn}), 4294967295)"

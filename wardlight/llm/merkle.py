@@ -5,13 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import cut, read
-from wardlight.llm.order import ranked
+from wardlight.llm.common import crc32_sql, cut, read
+from wardlight.llm.order import ranked, runs
 
 BLOCK_LEVELS = 12  # a block is an aligned subtree of at most 4,096 nodes
 STEP = pa.struct([("sibling", pa.binary()), ("left", pa.bool_())])
@@ -68,30 +67,11 @@ class OpenSubtrees:
         return node[1]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The rows of each run of equal keys (numbers), which may begin in one batch and end in another."""
-    held, last = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        own = np.stack([batch.column(k).to_numpy() for k in keys])
-        edges = [0, *(np.flatnonzero((own[:, 1:] != own[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(edges, edges[1:], strict=False):
-            key = tuple(own[:, a])
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _blocks(nodes: DataFrame, levels: int) -> DataFrame:
     """nodes (…, group_no, rank, size, digest) → with block, witness within the block, and top: the block's root, on its first row."""
 
     def append(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, ["group_no", "block"]):
+        for run in runs(batches, ["group_no", "block"]):
             tree = OpenSubtrees()
             for digest in run.column("digest").to_pylist():
                 tree.append(digest)
@@ -183,13 +163,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-_CRC_STEPS = "flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
 _H = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
 _LEAF = "sha256(" + " || ".join(_H.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
 
 OP11_SQL = f"""
-WITH RECURSIVE d AS (SELECT *, xor(list_reduce([4294967295] || {_CRC_STEPS}, lambda a, x: CASE WHEN x >= 0 THEN xor(a, x)
-   WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) AS crc FROM documents),
+WITH RECURSIVE d AS (SELECT *, {crc32_sql('doc_id::VARCHAR')} AS crc FROM documents),
 l AS (SELECT doc_id, lang, {_LEAF.format(n="n_chars")} AS leaf,
   CASE WHEN crc % 7 = 0 THEN {_LEAF.format(n="(n_chars + 1)")} ELSE {_LEAF.format(n="n_chars")} END AS forged FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n,

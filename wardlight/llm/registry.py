@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardlight.llm import chat, decontaminate, jaccard, langid, merkle, packing, pii, quality, substrings, urls
+from wardlight.llm import chat, decontaminate, jaccard, langid, merkle, packing, pii, quality, repair, substrings, urls
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_conversation_repair": repair.op12_conversation_repair,
 }
 
 ORACLE_SQL = {
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op6_benchmark_decontamination": decontaminate.OP6_SQL,
     "op9_substring_dedup": substrings.OP9_SQL,
     "op11_merkle_manifest": merkle.OP11_SQL,
+    "op12_conversation_repair": repair.OP12_SQL,
 }
