@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardlight.llm import chat, decontaminate, jaccard, langid, merkle, packing, pii, quality, repair, substrings, urls
+from wardlight.llm import chat, decontaminate, jaccard, langid, merkle, packing, pii, quality, repair, substrings, toxicity, urls
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_conversation_repair": repair.op12_conversation_repair,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 
 ORACLE_SQL = {
