@@ -7,11 +7,13 @@ points: pid, x, y; a pid stands for one place (deduplicate first).
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlight.functions.scalars import haversine, segment_foot
+from wardlight.operators.cells import KEYS, Grid, cell_of, grid_of
 from wardlight.tables import written
 
 PART = 4_096  # items of a cell's list that one row holds
@@ -56,10 +58,6 @@ def inside(parts: Column, x: Column, y: Column) -> Column:
     return F.exists(parts, odd)
 
 
-def cell_of(v: Column, cell: float | Column) -> Column:
-    return F.floor(v / cell).cast("long")
-
-
 def fitted_side(boxes: DataFrame, per_box: int = 16) -> Column:
     """Side of square cells so that boxes (min_x, min_y, max_x, max_y) meet some per_box of them on average, whatever the coordinates' units.
 
@@ -84,8 +82,24 @@ def _keyed(points: DataFrame, side: float | Column) -> DataFrame:
     return points.withColumns({"cx": cell_of(F.col("x"), side), "cy": cell_of(F.col("y"), side)})
 
 
-def cell_index(features: DataFrame, cell: float | Column) -> DataFrame:
-    """features → rows (cx, cy, …, parts): for each cell that a bounding box meets, the edges a ray from the cell can cross.
+def _grid(boxes: DataFrame, cell: float | None) -> Grid:
+    """The boxes' grid, or where `cell` is given one level of cells of that side."""
+    if cell is None:
+        return grid_of(boxes)
+    return _OneLevel(boxes_by_cell(boxes, cell).withColumnsRenamed({"cx": "_cx", "cy": "_cy"}).withColumn("_level", F.lit(0)), [0], cell)
+
+
+@dataclass
+class _OneLevel(Grid):
+    side: float
+
+    def keyed(self, points: DataFrame) -> DataFrame:
+        side = F.lit(float(self.side))
+        return points.withColumns({"_level": F.lit(0), "_cx": cell_of(F.col("x"), side), "_cy": cell_of(F.col("y"), side)})
+
+
+def cell_index(features: DataFrame, cell: float | None = None) -> tuple[DataFrame, Grid]:
+    """features → rows (_level, _cx, _cy, …, parts), for each cell that a bounding box meets the edges a ray from the cell can cross; and their grid.
 
     A cell keeps the edges that reach its band and do not lie wholly to its left, so that a point tests few edges
     however long the ring is; parity is unaffected.
@@ -95,33 +109,30 @@ def cell_index(features: DataFrame, cell: float | Column) -> DataFrame:
         *others, F.transform("polygons", lambda rings: F.flatten(F.transform(rings, ring_pairs))).alias("parts"),
         *_bounds(F.flatten(F.flatten("polygons")))
     )
-    spans = boxes_by_cell(boxed, cell)
-    x0, y0, y1 = F.col("cx") * F.col("_side"), F.col("cy") * F.col("_side"), (F.col("cy") + 1) * F.col("_side")
+    grid = _grid(boxed, cell)
+    x0, y0, y1 = F.col("_cx") * F.col("_side"), F.col("_cy") * F.col("_side"), (F.col("_cy") + 1) * F.col("_side")
     near = lambda e: (F.greatest(e["ay"], e["by"]) >= y0) & (F.least(e["ay"], e["by"]) <= y1) & (F.greatest(e["ax"], e["bx"]) >= x0)
-    return spans.select("cx", "cy", *others, F.transform("parts", lambda p: F.filter(p, near)).alias("parts"))
+    return grid.boxes.select(*KEYS, *others, F.transform("parts", lambda p: F.filter(p, near)).alias("parts")), grid
 
 
 def classify(points: DataFrame, features: DataFrame, cell: float | None = None) -> DataFrame:
     """Every (point, feature that contains it): the points' columns and the features' columns but polygons.
 
-    Points meet the cells of the features by an equi-join on (cx, cy) and test the cell's edges within the row, so that
-    nothing is grouped afterwards: with a small layer, which adaptive execution broadcasts, points are never shuffled.
-    The cells' side is fitted to the features' boxes unless it is given, so that the index has a bounded number of rows
-    for each feature on average.
+    Points meet the cells of the features by an equi-join and test the cell's edges within the row, so that nothing is
+    grouped afterwards: with a small layer, which adaptive execution broadcasts, points are never shuffled. The cells are
+    those of a grid of many levels (see cells.grid_of), so that a cell has few features where large and small ones are
+    mixed and where they are dense; a point is looked up once for each level in use. cell: one level of that side instead.
     """
     others = [c for c in features.columns if c != "polygons"]
-    side = cell or fitted_side(bounding_boxes(features.select("polygons")))
-    met = _keyed(points, side).join(cell_index(features, side), ["cx", "cy"])
+    index, grid = cell_index(features, cell)
+    met = grid.keyed(points).join(index, KEYS)
     return met.where(inside(F.col("parts"), F.col("x"), F.col("y"))).select(*points.columns, *others)
 
 
 def bbox_prereject(points: DataFrame, features: DataFrame, cell: float | None = None) -> DataFrame:
     """(point, feature) pairs whose bounding box holds the point: the cheap reject before the ring test."""
-    boxes = bounding_boxes(features)
-    side = cell or fitted_side(boxes)
-    return _keyed(points, side).join(boxes_by_cell(boxes, side), ["cx", "cy"]).where(
-        "x between min_x and max_x and y between min_y and max_y"
-    ).select("pid", "x", "y", "feature_id")
+    grid = _grid(bounding_boxes(features), cell)
+    return grid.keyed(points).join(grid.boxes, KEYS).where("x between min_x and max_x and y between min_y and max_y").select("pid", "x", "y", "feature_id")
 
 
 def classify_status(points: DataFrame, features: DataFrame, cell: float | None = None) -> DataFrame:
@@ -283,9 +294,8 @@ def area_share(samples: DataFrame, units: DataFrame, districts: DataFrame, cell:
 
 def bbox_region(points: DataFrame, boxes: DataFrame, cell: float | None = None) -> DataFrame:
     """The box (box_id, min_x, min_y, max_x, max_y) that holds a point, of several the one with the nearest centre; malformed boxes are skipped."""
-    good = boxes.where("min_x < max_x and min_y < max_y")
-    side = cell or fitted_side(good)
-    met = _keyed(points, side).join(boxes_by_cell(good, side), ["cx", "cy"]).where("x between min_x and max_x and y between min_y and max_y")
+    grid = _grid(boxes.where("min_x < max_x and min_y < max_y"), cell)
+    met = grid.keyed(points).join(grid.boxes, KEYS).where("x between min_x and max_x and y between min_y and max_y")
     far = F.pow(F.col("x") - (F.col("min_x") + F.col("max_x")) / 2, 2) + F.pow(F.col("y") - (F.col("min_y") + F.col("max_y")) / 2, 2)
     return met.groupBy("pid").agg(F.min_by("box_id", F.struct(far.alias("d"), F.col("box_id").alias("b"))).alias("box_id"))
 
