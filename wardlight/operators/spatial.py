@@ -204,18 +204,20 @@ def _expanding(
     """points (pid, x, y) → pid, best: the n nearest items as an array of (dist, tie), nearest first, ties by `tie`.
 
     Each cell lists the items whose box comes within one cell of it, in parts of about PART items; a point meets the
-    parts of its own cell's list and keeps the n nearest of each, so that no row grows with the items of a dense place.
-    Where the list is one part, as it is where the grid fits, points are neither multiplied nor grouped, and a short list
-    of cells is broadcast. A point is settled when its n-th item is nearer than one cell (`reach`: the distance that a
-    side of 1 stands for); the grid doubles its side for the others, and only for the cells that they lie in, until one
-    cell and its neighbours hold every item and what a point has is all there is. The first side is fitted to the number
-    of items, so that lists stay short however many there are. Each round is written to the shared folder. Points
-    without finite coordinates have no neighbours.
+    parts of its own cell's list and sorts those of each that are within one cell (`reach`: the distance that a side of 1
+    stands for), so that no row grows with the items of a dense place. A point with n such items is settled, since
+    nothing outside can be nearer; the grid doubles its side for the others, and only for the cells that they lie in,
+    until one cell and its neighbours hold every item: then a point has all there is. The first side is fitted to the
+    number of items, so that lists stay short however many there are. Where every list is one part, as where the grid
+    fits, points are neither multiplied nor grouped. Points are dealt out evenly first, since each costs a list. Each
+    round is written to the shared folder. Points without finite coordinates have no neighbours.
     """
+    spark = points.sparkSession
     x0, x1, y0, y1 = boxes
     items = items.where(" and ".join(f"{c} - {c} = 0" for c in items.columns if c != tie))
-    side = cell or fitted_cell(items, boxes, 2 * n)
-    todo, done, bounds, first = points.where("x - x = 0 and y - y = 0"), None, None, True
+    side = cell or fitted_cell(items, boxes, n + 1)
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    todo, done, bounds, first, everything = points.where("x - x = 0 and y - y = 0").repartition(tasks), None, None, True, False
     while True:
         near = items.withColumn(
             "cx", F.explode(F.sequence(cell_of(x0, side) - 1, cell_of(x1, side) + 1))
@@ -226,33 +228,33 @@ def _expanding(
         parts = near.groupBy("cx", "cy").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
         dealt = near.join(parts, ["cx", "cy"]).withColumn("part", F.pmod(F.xxhash64(tie), F.col("parts")).cast("int"))
         lists = dealt.groupBy("cx", "cy", "part").agg(F.first("parts").alias("parts"), F.collect_list(F.struct(*items.columns)).alias("near"))
-        sorted_ = F.array_sort(F.transform("near", lambda s: F.struct(distance(s).alias("dist"), s[tie].alias(tie))))
-        best = F.slice(sorted_, 1, n).alias("best")
+        told = F.transform("near", lambda s: F.struct(distance(s).alias("dist"), s[tie].alias(tie)))
+        told = told if everything else F.filter(told, lambda b: b["dist"] <= reach * side)  # noqa: B023
+        best = F.slice(F.sort_array(told), 1, n).alias("best")
         met = keyed.join(lists, ["cx", "cy"], "left").select("pid", "x", "y", F.coalesce("parts", F.lit(1)).alias("parts"), best)
         if parts.where("parts > 1").isEmpty():
             met = met.select("pid", "x", "y", "best")
         else:
             several = met.where("parts > 1").groupBy("pid", "x", "y").agg(
-                F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, n).alias("best")
+                F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, n).alias("best")
             )
             met = met.where("parts = 1").select("pid", "x", "y", "best").unionByName(several)
-        sure = (F.size("best") == n) & (F.try_element_at("best", F.lit(n))["dist"] <= reach * side)
-        met = written(met.withColumn("sure", F.coalesce(sure, F.lit(False))))
+        met = written(met.withColumn("sure", F.coalesce(F.size("best") == n, F.lit(False))))
+        part = met.where("best is not null and size(best) > 0" if everything else "sure").select("pid", "best")
+        done = part if done is None else done.unionByName(part)
+        if everything:
+            return done
         todo = met.where(~F.col("sure")).select("pid", "x", "y")
         left = todo.agg(
             F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
         ).first()
-        everything = False
-        if left.n:
-            bounds = bounds or items.agg(F.min(x0).alias("x0"), F.max(x1).alias("x1"), F.min(y0).alias("y0"), F.max(y1).alias("y1")).first()
-            everything = bounds.x0 is None or side >= max(
-                max(left.x1, bounds.x1) - min(left.x0, bounds.x0), max(left.y1, bounds.y1) - min(left.y0, bounds.y0)
-            )
-        part = met.where("best is not null" if everything else "sure").select("pid", "best")
-        done = part if done is None else done.unionByName(part)
-        if everything or not left.n:
+        if not left.n:
             return done
+        bounds = bounds or items.agg(F.min(x0).alias("x0"), F.max(x1).alias("x1"), F.min(y0).alias("y0"), F.max(y1).alias("y1")).first()
         side, first = side * 2, False
+        everything = bounds.x0 is None or side >= max(
+            max(left.x1, bounds.x1) - min(left.x0, bounds.x0), max(left.y1, bounds.y1) - min(left.y0, bounds.y0)
+        )
 
 
 def nearest_n(points: DataFrame, sites: DataFrame, n: int = 3, cell: float | None = None) -> DataFrame:

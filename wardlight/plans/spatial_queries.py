@@ -101,11 +101,11 @@ def nearest_served(spark, d):
 e AS (SELECT feature_id*8+seq AS eid, * FROM edges),
 f AS (SELECT sid, eid, greatest(0, least(1, ((sx-ax)*(bx-ax)+(sy-ay)*(by-ay))/((bx-ax)*(bx-ax)+(by-ay)*(by-ay)))) AS t, sx, sy, ax, ay, bx, by FROM sites, e),
 g AS (SELECT sid, eid, sqrt(pow(sx-(ax+t*(bx-ax)),2)+pow(sy-(ay+t*(by-ay)),2)) AS dist FROM f)
-SELECT sid AS pid, round(min(dist), 9) AS dist FROM g GROUP BY sid""")
+SELECT sid AS pid, arg_min(eid, {{'d': dist, 'e': eid}}) AS eid, round(min(dist), 9) AS dist FROM g GROUP BY sid""")
 def nearest_edge(spark, d):
     edges = P.ring_edges(units(spark, d)).withColumn("eid", F.col("feature_id") * 8 + F.col("seq"))
     own = sites(spark, d).select(F.col("sid").alias("pid"), F.col("sx").alias("x"), F.col("sy").alias("y"))
-    return P.nearest_segment(own, edges).select("pid", F.round("dist", 9).alias("dist"))
+    return P.nearest_segment(own, edges).select("pid", "eid", F.round("dist", 9).alias("dist"))
 
 
 @query("j13_attach_roster", f"""WITH {HITS},
