@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from wardlight.functions.scalars import chord_deviation, densify, norm_alnum
+from wardlight.operators.components import components
 from wardlight.operators.rosters import population_rollup, reconcile_partition
 from wardlight.operators.spatial import bounding_boxes, classify, classify_status, edge_measures, interior_points, nearest_segment, ring_edges, ring_measures
+from wardlight.tables import written
 
 RING = ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))
 
@@ -297,6 +299,39 @@ def fill_gaps(cells: DataFrame, features: DataFrame, reach: float | None = None)
     return own.select("pid", F.col("eid.feature_id").alias("owner"), "dist")
 
 
+def fill_gap_pieces(cells: DataFrame, features: DataFrame, most: int, reach: float | None = None) -> DataFrame:
+    """cells (cx, cy, x, y: a grid and its centres) that no feature owns → cx, cy, piece, cells, neighbours, owner, how.
+
+    Unowned cells that share a side are a piece, named by its least cell. A piece's contact with a feature is the number of
+    sides that it shares with the feature's cells. A piece with one neighbour goes to it (`only`); one of at most `most`
+    cells goes whole to the neighbour of the largest contact, of several the least (`whole`); the cells of a larger one go
+    each to the nearest boundary, distances being told apart to nine digits, if within reach (`split`, else `far`). Ground
+    that several features claim is nobody's neighbour. A piece without a neighbour has a null owner where it isn't split.
+    """
+    owned = classify_status(cells.select(F.struct("cx", "cy").alias("pid"), "x", "y"), features)
+    known = written(owned.select("pid", "n", F.col("feature_id").alias("own")))
+    free = known.where("n = 0").select(F.col("pid").alias("u"))
+    beside = lambda dx, dy: F.struct((F.col("u.cx") + dx).alias("cx"), (F.col("u.cy") + dy).alias("cy"))
+    forward = free.select("u", F.explode(F.array(beside(1, 0), beside(0, 1))).alias("v"))
+    piece = written(components(free, forward.join(free.select(F.col("u").alias("v")), "v", "left_semi")))
+    sides = piece.select("component", F.explode(F.array(beside(1, 0), beside(-1, 0), beside(0, 1), beside(0, -1))).alias("v"))
+    contact = sides.join(known.where("n = 1").select(F.col("pid").alias("v"), "own"), "v").groupBy("component", "own").agg(F.count("*").alias("c"))
+    told = contact.groupBy("component").agg(
+        F.count("*").alias("neighbours"), F.min_by("own", F.struct((-F.col("c")).alias("c"), "own")).alias("best")
+    )
+    size = piece.groupBy("component").agg(F.count("*").alias("cells")).join(told, "component", "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0)))
+    whole = (F.col("neighbours") == 1) | (F.col("cells") <= most)
+    sized = written(piece.join(size, "component"))
+    large = cells.select(F.struct("cx", "cy").alias("pid"), "x", "y").join(sized.where(~whole).select(F.col("u").alias("pid")), "pid", "left_semi")
+    edges = ring_edges(features.select("feature_id", "polygons")).withColumn("eid", F.struct("feature_id", "polygon_idx", "ring_idx", "seq"))
+    near = nearest_segment(large, edges, digits=9).select(F.col("pid").alias("u"), F.col("eid.feature_id").alias("near"), "dist")
+    close = F.lit(True) if reach is None else F.col("dist") <= reach
+    how = F.when(F.col("neighbours") == 1, "only").when(whole, "whole").when(close, "split").otherwise("far")
+    return sized.join(near, "u", "left").select(
+        "u.cx", "u.cy", F.col("component").alias("piece"), "cells", "neighbours", F.when(whole, F.col("best")).when(close, F.col("near")).alias("owner"), how.alias("how")
+    )
+
+
 def _disc(radius: int) -> Column:
     r = range(-radius, radius + 1)
     return F.array(
@@ -409,11 +444,15 @@ def adjudicate_blocks(blocks: DataFrame, pieces: DataFrame, expected: DataFrame)
 
 
 def shared_borders(units: DataFrame) -> DataFrame:
-    """Adjacent pairs a < b with the length of their common border."""
+    """Adjacent pairs a < b with the length of their common border, and its share of either's outline."""
     e = ring_edges(units.select("feature_id", "polygons")).select("feature_id", *_key())
     sides = e.groupBy("x1", "y1", "x2", "y2").agg(F.array_sort(F.collect_set("feature_id")).alias("f")).where(F.size("f") == 2)
-    return sides.groupBy(F.col("f")[0].alias("a"), F.col("f")[1].alias("b")).agg(
-        F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("length")
+    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    outline = e.groupBy("feature_id").agg(F.sum(length).alias("whole"))
+    whole = lambda c: outline.select(F.col("feature_id").alias(c), F.col("whole").alias(f"whole_{c}"))
+    pairs = sides.groupBy(F.col("f")[0].alias("a"), F.col("f")[1].alias("b")).agg(F.sum(length).alias("length"))
+    return pairs.join(whole("a"), "a").join(whole("b"), "b").select(
+        "a", "b", "length", (F.col("length") / F.col("whole_a")).alias("share_a"), (F.col("length") / F.col("whole_b")).alias("share_b")
     )
 
 
@@ -504,8 +543,8 @@ def boundary_shift(a: DataFrame, b: DataFrame, step: float) -> DataFrame:
 
 
 def best_share(shares: DataFrame, floor: float) -> DataFrame:
-    """shares (unit, district, share) → each unit's district of the largest share, if it reaches the floor."""
-    best = shares.groupBy("unit").agg(F.max_by("district", F.struct("share", -F.col("district"))).alias("district"), F.max("share").alias("share"))
+    """shares (unit, district, share) → each unit's district of the largest share, of several the least, if it reaches the floor."""
+    best = shares.groupBy("unit").agg(F.min_by("district", F.struct((-F.col("share")).alias("s"), "district")).alias("district"), F.max("share").alias("share"))
     return best.withColumn("district", F.when(F.col("share") >= floor, F.col("district")))
 
 

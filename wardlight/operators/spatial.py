@@ -278,9 +278,10 @@ def _ranked(points: DataFrame, sites: DataFrame, far: Callable[[Column], Column]
     return best.select("pid", F.posexplode("best").alias("rank", "b")).select("pid", (F.col("rank") + 1).alias("rank"), "b.sid", "b.dist")
 
 
-def nearest_segment(points: DataFrame, edges: DataFrame, cell: float | None = None) -> DataFrame:
-    """points × edges (eid, ax, ay, bx, by) → pid, eid, dist: the nearest segment, ties by eid."""
-    far = lambda s: segment_foot(F.col("x"), F.col("y"), s["ax"], s["ay"], s["bx"], s["by"])["dist"]
+def nearest_segment(points: DataFrame, edges: DataFrame, cell: float | None = None, digits: int | None = None) -> DataFrame:
+    """points × edges (eid, ax, ay, bx, by) → pid, eid, dist: the nearest segment, ties by eid; digits: distances are rounded to so many first."""
+    raw = lambda s: segment_foot(F.col("x"), F.col("y"), s["ax"], s["ay"], s["bx"], s["by"])["dist"]
+    far = raw if digits is None else lambda s: F.round(raw(s), digits)
     boxes = [F.least("ax", "bx"), F.greatest("ax", "bx"), F.least("ay", "by"), F.greatest("ay", "by")]
     best = _expanding(points.select("pid", "x", "y"), edges.select("eid", "ax", "ay", "bx", "by"), boxes, far, "eid", 1, cell, F.lit(1.0))
     return best.select("pid", F.col("best")[0]["eid"].alias("eid"), F.col("best")[0]["dist"].alias("dist"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from wardlight.operators import geometry as G
 from wardlight.operators import spatial as P
-from wardlight.operators.overlay import overlay_areas
+from wardlight.operators import topology as T
+from wardlight.operators.overlay import clip_areas, outline_difference_area, overlay_areas, tiling_areas
 from wardlight.plans.base import EDGES, HITS, POINTS, VERTS, points, query, sites, table, units
 from wardlight.plans.spatial_queries import _OVER, _overlaid
 
@@ -113,6 +114,62 @@ def simplify_area(spark, d):
     return _vertices(G.simplify_area(ring_rows(spark, d), 0.75))
 
 
+@query(
+    "g03_simplify_shared",
+    f"WITH {VERTS} SELECT feature_id, round(x, 9) AS x, round(y, 9) AS y FROM verts JOIN nat USING (feature_id) WHERE s % 2 = 0 OR {_PUSHED} > 0.15"
+)
+def simplify_shared(spark, d):
+    # Chains between the corners where units meet: the same vertices as by ring, but each border is simplified once.
+    return _vertices(_rings(T.simplify_shared(units(spark, d), tol=0.15)))
+
+
+def _rings(features):
+    return features.select("feature_id", F.explode(F.flatten("polygons")).alias("ring"))
+
+
+@query(
+    "g04_simplify_area_shared",
+    f"WITH {VERTS} SELECT feature_id, round(x, 9) AS x, round(y, 9) AS y FROM verts JOIN nat USING (feature_id) WHERE s % 2 = 0 OR {_PUSHED} / 2 >= 0.08"
+)
+def simplify_area_shared(spark, d):
+    return _vertices(_rings(T.simplify_shared(units(spark, d), least_area=0.08)))
+
+
+@query(
+    "g03_shared_multiplicity",
+    f"""WITH {VERTS}, kept AS (SELECT feature_id, s, x, y FROM verts JOIN nat USING (feature_id) WHERE s % 2 = 0 OR {_PUSHED} > 0.15),
+nx AS (SELECT feature_id, x AS ax, y AS ay, coalesce(lead(x) OVER w, first_value(x) OVER w) AS bx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS by FROM kept WINDOW w AS (PARTITION BY feature_id ORDER BY s)),
+k AS (SELECT least((ax, ay), (bx, by)) AS p, greatest((ax, ay), (bx, by)) AS q, CASE WHEN (ax, ay) < (bx, by) THEN 1 ELSE -1 END AS d FROM nx)
+SELECT n, turn, count(*) AS edges FROM (SELECT count(*) AS n, sum(d)::BIGINT AS turn FROM k GROUP BY p, q) GROUP BY 1, 2""",
+)
+def shared_multiplicity(spark, d):
+    # Every inner border is still walked once from either side.
+    return G.edge_multiplicity(T.simplify_shared(units(spark, d), tol=0.15)).groupBy("n", "turn").agg(F.count("*").alias("edges"))
+
+
+def _shaken(spark, d):
+    """The units with noise up to 1e-7, and without the vertices of even units that lie on a straight inner side."""
+    k = F.col("feature_id")
+    r = F.col("polygons")[0][0]
+    straight = lambda v, at: (F.abs(r[at - 1]["x"] + r[at + 1]["x"] - 2 * v["x"]) < 1e-9) & (F.abs(r[at - 1]["y"] + r[at + 1]["y"] - 2 * v["y"]) < 1e-9)
+    inner = lambda v: ~v["x"].isin(0.0, 5.0) & ~v["y"].isin(0.0, 5.0)
+    less = F.filter(r, lambda v, at: ~F.when((k % 2 == 0) & (at % 2 == 1), straight(v, at) & inner(v)).otherwise(False))
+    noise = lambda v, c, m: (v[c] + ((k * m) % 5 - 2) * 2e-8).alias(c)
+    return units(spark, d).withColumn("polygons", F.array(F.array(F.transform(less, lambda v: F.struct(noise(v, "x", 3), noise(v, "y", 7))))))
+
+
+@query(
+    "g01_dissolve_noded",
+    f"WITH {_DISS} SELECT district, round(x1, 5) AS x1, round(y1, 5) AS y1, round(x2, 5) AS x2, round(y2, 5) AS y2 FROM diss"
+)
+def dissolve_noded(spark, d):
+    # Units whose borders differ by a vertex and by noise dissolve to the clean boundary.
+    edges = G.dissolve(T.noded(_shaken(spark, d), 1e-5), composition(spark, d))
+    near = lambda k: F.struct((F.round(f"x{k}", 5) + 0.0).alias("x"), (F.round(f"y{k}", 5) + 0.0).alias("y"))
+    a, b = F.least(near(1), near(2)), F.greatest(near(1), near(2))
+    return edges.select("district", a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
+
+
 def _spiked(spark, d):
     r = ring_rows(spark, d)
     tip = F.struct((F.col("ring")[0]["x"] + 0.01).alias("x"), (F.col("ring")[0]["y"] + 0.4).alias("y"))
@@ -181,11 +238,14 @@ c AS (SELECT p.pid, count(o.feature_id) AS n FROM pts p LEFT JOIN oh o ON p.pid
 SELECT count(*) FILTER (inside) AS parent, count(*) FILTER (inside AND n = 1) AS once, count(*) FILTER (inside AND n = 0) AS cracks,
   count(*) FILTER (n > 1) AS overlaps, count(*) FILTER (NOT inside AND n > 0) AS spill FROM c JOIN par USING (pid)""")
 def tiling(spark, d):
+    return G.tiling_report(points(spark, d), _overlaid(spark, d), _box(spark, d))
+
+
+def _box(spark, d):
     p = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
-    box = table(spark, d, "region").agg(F.min("r_regionkey").alias("feature_id")).select(
+    return table(spark, d, "region").agg(F.min("r_regionkey").alias("feature_id")).select(
         "feature_id", F.array(F.array(F.array(p(-1, -1), p(6, -1), p(6, 4), p(-1, 4), p(-1, -1)))).alias("polygons")
     )
-    return G.tiling_report(points(spark, d), _overlaid(spark, d), box)
 
 
 @query(
@@ -211,6 +271,33 @@ def gaps(spark, d):
     return G.fill_gaps(points(spark, d), units(spark, d).where("feature_id < 20")).select("pid", F.round("dist", 9).alias("dist"))
 
 
+# A grid of a twelfth of a unit wherever there are points; the ground of units 7 and 13, which does not meet, and of the top row is unowned.
+_FREE = f"""{EDGES}, {POINTS}, grid AS (SELECT DISTINCT floor(x*12)::BIGINT AS cx, floor(y*12)::BIGINT AS cy FROM pts),
+cell AS (SELECT cx, cy, (cx+0.5)/12 AS x, (cy+0.5)/12 AS y FROM grid), own AS (SELECT * FROM edges WHERE feature_id < 20 AND feature_id NOT IN (7, 13)),
+h AS (SELECT cx, cy, feature_id FROM cell JOIN own ON (ay > y) <> (by > y) AND x < (bx-ax)*(y-ay)/(by-ay)+ax GROUP BY 1, 2, feature_id HAVING count(*)%2 = 1),
+free AS (SELECT * FROM cell WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.cx = cell.cx AND h.cy = cell.cy)), steps AS (SELECT * FROM (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) t(dx, dy)),
+meet AS (SELECT f.cx, f.cy, g.cx AS nx, g.cy AS ny FROM free f, steps JOIN free g ON g.cx = f.cx + dx AND g.cy = f.cy + dy),
+reach AS (SELECT cx, cy, cx AS px, cy AS py FROM free UNION SELECT m.nx, m.ny, px, py FROM reach r JOIN meet m ON m.cx = r.cx AND m.cy = r.cy),
+pc AS (SELECT cx, cy, min((px, py)) AS piece FROM reach GROUP BY 1, 2),
+ct AS (SELECT piece, h.feature_id AS own, count(*) AS c FROM pc, steps JOIN h ON h.cx = pc.cx + dx AND h.cy = pc.cy + dy GROUP BY 1, 2),
+sz AS (SELECT piece, count(*) AS cells, (SELECT count(*) FROM ct WHERE ct.piece = pc.piece) AS neighbours, (SELECT arg_min(own, (-c, own)) FROM ct WHERE ct.piece = pc.piece) AS best FROM pc GROUP BY 1),
+ds AS (SELECT cx, cy, feature_id, round(min(sqrt(pow(x-(ax+t*(bx-ax)),2)+pow(y-(ay+t*(by-ay)),2))), 9) AS dist FROM (SELECT cx, cy, feature_id, x, y, ax, ay, bx, by, {_FOOT} FROM free, own) GROUP BY 1, 2, 3),
+nr AS (SELECT cx, cy, arg_min(feature_id, (dist, feature_id)) AS near, min(dist) AS dist FROM ds GROUP BY 1, 2)"""
+
+
+@query(
+    "g09_fill_gap_pieces",
+    f"""WITH RECURSIVE {_FREE} SELECT cx, cy, cells, neighbours, CASE WHEN neighbours = 1 OR cells <= 150 THEN best WHEN dist <= 0.4 THEN near END AS owner,
+ CASE WHEN neighbours = 1 THEN 'only' WHEN cells <= 150 THEN 'whole' WHEN dist <= 0.4 THEN 'split' ELSE 'far' END AS how FROM pc JOIN sz USING (piece) JOIN nr USING (cx, cy)""",
+)
+def gap_pieces(spark, d):
+    twelfth = lambda c: F.floor(F.col(c) * 12).alias("c" + c)
+    grid = points(spark, d).select(twelfth("x"), twelfth("y")).distinct()
+    centres = grid.select("cx", "cy", ((F.col("cx") + 0.5) / 12).alias("x"), ((F.col("cy") + 0.5) / 12).alias("y"))
+    own = units(spark, d).where("feature_id < 20 and feature_id not in (7, 13)")
+    return G.fill_gap_pieces(centres, own, 150, 0.4).select("cx", "cy", "cells", "neighbours", "owner", "how")
+
+
 _CELLS = HITS + ", cells AS (SELECT DISTINCT h.district, floor(x*12)::BIGINT AS cx, floor(y*12)::BIGINT AS cy FROM hits h JOIN pts p ON h.pid = p.pid)"
 
 
@@ -308,6 +395,40 @@ def overlay(spark, d):
     return overlay_areas(u, _shift(u, 0.3), 1e-9).select("a_id", "b_id", *[F.round(c, 7).alias(c) for c in ("shared", "iou", "share_a")])
 
 
+_WIDE = _OVERLAY.replace("AS a, ax, ay, bx, by FROM edges WHERE feature_id < 10", "AS a, ax, ay, bx, by FROM edges WHERE feature_id < 20")
+
+
+@query(
+    "g08_tiling_areas",
+    f"""WITH {_WIDE}, t AS (SELECT sum(area) FILTER (feature_id < 20) + sum(area) FILTER (feature_id < 10) AS claimed, (SELECT sum(shared) FROM sh) AS twice, (SELECT max(shared) FROM sh) AS worst,
+ (SELECT sum(greatest(y - (j + 1), 0)) / 2 FROM verts JOIN nat USING (feature_id) WHERE s = 5 AND j = 3) AS over FROM ar)
+SELECT 35.0::DOUBLE AS parent, round(claimed - 2 * twice - over, 7) AS once, round(35 - (claimed - twice - over), 7) AS cracks, round(twice, 7) AS overlaps, round(over, 7) AS spill,
+ round(worst, 7) AS worst, round((claimed - twice - over) / 35, 7) AS coverage FROM t""",
+)
+def tiling_by_area(spark, d):
+    told = tiling_areas(_overlaid(spark, d), _box(spark, d))
+    return told.select(*[F.round(c, 7).alias(c) for c in ("parent", "once", "cracks", "overlaps", "spill", "worst", "coverage")])
+
+
+@query(
+    "g12_clip_areas",
+    f"WITH {_OVERLAY} SELECT feature_id, round(area, 7) AS area, round(1 - (SELECT sum(shared) FROM sh WHERE sh.b = feature_id) / area, 7) AS outside FROM ar WHERE feature_id < 10"
+)
+def clip_by_area(spark, d):
+    u = units(spark, d).where("feature_id < 10")
+    return clip_areas(_shift(u, 0.3), u).select("feature_id", F.round("area", 7).alias("area"), F.round("outside", 7).alias("outside"))
+
+
+@query(
+    "g29_outline_difference_area",
+    f"""WITH {_OVERLAY}, t AS (SELECT sum(area) AS a, (SELECT sum(shared) FROM sh) AS s FROM ar WHERE feature_id < 10)
+SELECT round(2 * a - 2 * s, 7) AS differ, round((2 * a - 2 * s) / (2 * a - s), 7) AS share FROM t""",
+)
+def outlines_by_area(spark, d):
+    u = units(spark, d).where("feature_id < 10")
+    return outline_difference_area(u, _shift(u, 0.3)).select(F.round("differ", 7).alias("differ"), F.round("share", 7).alias("share"))
+
+
 @query("g29_outline_difference", f"""WITH {_PAIR} SELECT count(*) AS n, count(*) FILTER ((a.pid IS NULL) <> (b.pid IS NULL)) AS differ FROM pts LEFT JOIN (SELECT DISTINCT pid
   FROM ua) a USING (pid) LEFT JOIN (SELECT DISTINCT pid FROM ub) b USING (pid)""")
 def outlines(spark, d):
@@ -363,11 +484,14 @@ def blocks(spark, d):
 
 
 @query("g18_shared_borders", f"""WITH {EDGES},
-ke AS ({_KEYED})
-SELECT p.feature_id AS a, q.feature_id AS b, round(sum(sqrt(pow(p.x2-p.x1,2)+pow(p.y2-p.y1,2))), 9) AS length FROM ke p
+ke AS ({_KEYED}),
+ol AS (SELECT feature_id, sum(sqrt(pow(x2-x1,2)+pow(y2-y1,2))) AS whole FROM ke GROUP BY 1)
+SELECT p.feature_id AS a, q.feature_id AS b, round(sum(sqrt(pow(p.x2-p.x1,2)+pow(p.y2-p.y1,2))), 9) AS length,
+ round(sum(sqrt(pow(p.x2-p.x1,2)+pow(p.y2-p.y1,2))) / (SELECT whole FROM ol WHERE ol.feature_id = p.feature_id), 9) AS share_a,
+ round(sum(sqrt(pow(p.x2-p.x1,2)+pow(p.y2-p.y1,2))) / (SELECT whole FROM ol WHERE ol.feature_id = q.feature_id), 9) AS share_b FROM ke p
   JOIN ke q ON p.feature_id < q.feature_id AND p.x1=q.x1 AND p.y1=q.y1 AND p.x2=q.x2 AND p.y2=q.y2 GROUP BY 1, 2""")
 def borders(spark, d):
-    return G.shared_borders(units(spark, d)).withColumn("length", F.round("length", 9))
+    return G.shared_borders(units(spark, d)).select("a", "b", *[F.round(c, 9).alias(c) for c in ("length", "share_a", "share_b")])
 
 
 @query("g19_check_descriptions", f"""WITH {EDGES},
