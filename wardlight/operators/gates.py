@@ -184,17 +184,25 @@ def two_way_coverage(dispatch: DataFrame, ring: DataFrame) -> DataFrame:
     return a.unionByName(b).unionByName(c).unionByName(e)
 
 
-def served_status(ring: DataFrame, dispatch: DataFrame, cards: DataFrame, gaps: DataFrame) -> DataFrame:
-    """Per county of the ring: dispatch / card only / frontier / unresearched, its layers, its gaps, and whether an absence is unexplained."""
+def served_status(counties: DataFrame, dispatch: DataFrame, cards: DataFrame, gaps: DataFrame, ring: DataFrame | None = None) -> DataFrame:
+    """Per county: dispatch / card only / judicial / frontier / unresearched, its layers, its gaps, and whether an absence is unexplained.
+
+    ring: the counties that are served by declaration; one of them that neither dispatches nor has a card is judicial, and
+    outside tells a county that is served but not in the ring. Without it no county is judicial or outside. A county named by
+    dispatch, cards, gaps or the ring but not among the counties is not told.
+    """
     d = dispatch.groupBy("county").agg(F.countDistinct("layer").alias("layers"))
     g = gaps.select(F.explode("counties").alias("county")).groupBy("county").agg(F.count("*").alias("gaps"))
-    out = ring.join(d, "county", "left").join(
-        cards.select("county").distinct().withColumn("card", F.lit(True)), "county", "left"
-    ).join(g, "county", "left")
-    status = F.when(F.col("layers").isNotNull(), "dispatch").when(F.col("card"), "card only").when(F.col("gaps").isNotNull(), "frontier").otherwise("unresearched")
+    flag = lambda df, name: df.select("county").distinct().withColumn(name, F.lit(True))
+    out = counties.join(d, "county", "left").join(flag(cards, "card"), "county", "left").join(g, "county", "left")
+    out = out.withColumn("own", F.lit(False)) if ring is None else out.join(flag(ring, "own"), "county", "left")
+    own = F.coalesce("own", F.lit(False))
+    status = F.when(F.col("layers").isNotNull(), "dispatch").when(F.col("card"), "card only").when(own, "judicial").when(F.col("gaps").isNotNull(), "frontier").otherwise("unresearched")
+    outside = F.lit(False) if ring is None else status.isin("dispatch", "card only") & ~own
     return out.select(
-        "county", status.alias("status"), F.coalesce("layers", F.lit(0)).alias("layers"), F.coalesce("gaps", F.lit(0)).alias("gaps")
-    ).withColumn("unexplained", F.col("status") == "unresearched")
+        "county", status.alias("status"), F.coalesce("layers", F.lit(0)).alias("layers"), F.coalesce("gaps", F.lit(0)).alias("gaps"),
+        (status == "unresearched").alias("unexplained"), outside.alias("outside")
+    )
 
 
 def fleet_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -472,6 +472,28 @@ def check_descriptions(features: DataFrame, rules: DataFrame) -> DataFrame:
     return rules.join(a, "a").join(b, "b").select("a", "b", "side", ok.alias("ok"))
 
 
+def _centroids(features: DataFrame) -> DataFrame:
+    m = ring_measures(features).where("ring_idx = 0").groupBy("feature_id")
+    return m.agg((F.sum(F.col("cx") * F.col("area")) / F.sum("area")).alias("x"), (F.sum(F.col("cy") * F.col("area")) / F.sum("area")).alias("y"))
+
+
+def check_bands(features: DataFrame, bands: DataFrame) -> DataFrame:
+    """bands (feature_id, min_x, min_y, max_x, max_y; a null bound is open) → feature_id, x, y (centroid), ok: whether it lies in its band."""
+    met = bands.join(_centroids(features), "feature_id", "left")
+    within = lambda v, lo, hi: F.coalesce(F.col(v) >= F.col(lo), F.lit(True)) & F.coalesce(F.col(v) <= F.col(hi), F.lit(True))
+    ok = F.col("x").isNotNull() & within("x", "min_x", "max_x") & within("y", "min_y", "max_y")
+    return met.select("feature_id", "x", "y", ok.alias("ok"))
+
+
+def check_area_shares(features: DataFrame, rules: DataFrame) -> DataFrame:
+    """rules (a, b, share, slack) → a, b, got, ok: whether a's area is that share of both areas together, give or take the slack."""
+    area = ring_measures(features).where("ring_idx = 0").groupBy("feature_id").agg(F.sum(F.abs("area")).alias("area"))
+    own = lambda c: area.select(F.col("feature_id").alias(c), F.col("area").alias(f"area_{c}"))
+    got = F.col("area_a") / (F.col("area_a") + F.col("area_b"))
+    met = rules.join(own("a"), "a", "left").join(own("b"), "b", "left").withColumn("got", got)
+    return met.select("a", "b", "got", F.coalesce(F.abs(F.col("got") - F.col("share")) <= F.col("slack"), F.lit(False)).alias("ok"))
+
+
 def check_extent(features: DataFrame, outline: DataFrame, tol: float) -> DataFrame:
     """One row: the largest difference between the bounds of features and parent, and whether it is within tol."""
     sides = ["min_x", "min_y", "max_x", "max_y"]
@@ -506,6 +528,35 @@ def corridor_median(lines: DataFrame, step: float) -> DataFrame:
     )
 
 
+def corridor_channel(lines: DataFrame, step: float, gap: float) -> DataFrame:
+    """lines (path, ax, ay, bx, by) of bundles → path, k, x, y, channels: a line through each bundle that keeps to its channel.
+
+    The crossings at a scan-line (every `step`) fall into channels where they lie more than `gap` apart; the middle of a
+    channel is half way between its outer crossings. The line begins in the middle of the channel with most crossings
+    (of several the lowest) and goes on in that whose middle is nearest to the one before, so that a side arm does not move
+    it. The fold is over a path's scan-lines, which are one row.
+    """
+    ends = lines.withColumn("k0", F.ceil(F.least("ax", "bx") / step).cast("long")).withColumn("k1", F.floor(F.greatest("ax", "bx") / step).cast("long"))
+    spans = ends.where("k0 <= k1 and ax <> bx").withColumn("k", F.explode(F.sequence("k0", "k1")))
+    y = F.col("ay") + (F.col("by") - F.col("ay")) * (F.col("k") * F.lit(step) - F.col("ax")) / (F.col("bx") - F.col("ax"))
+    own = Window.partitionBy("path", "k").orderBy("y")
+    parted = spans.select("path", "k", y.alias("y")).withColumn("new", (F.coalesce(F.col("y") - F.lag("y").over(own), F.lit(0.0)) > gap).cast("int"))
+    at = parted.withColumn("channel", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    middles = at.groupBy("path", "k", "channel").agg(((F.min("y") + F.max("y")) / 2).alias("m"), F.count("*").alias("n"))
+    rows = middles.groupBy("path", "k").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("few"), "m"))).alias("c"))
+    lists = rows.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("s"))
+    out = "array<struct<k:bigint,y:double,channels:int>>"
+    empty = F.struct(F.lit(None).cast("double").alias("y"), F.array().cast(out).alias("out"))
+
+    def follow(now, line):
+        nearest = F.sort_array(F.transform(line["c"], lambda c: F.struct(F.abs(c["m"] - now["y"]).alias("d"), c["m"].alias("m"))))[0]["m"]
+        y = F.when(now["y"].isNull(), line["c"][0]["m"]).otherwise(nearest)
+        return F.struct(y.alias("y"), F.concat(now["out"], F.array(F.struct(line["k"].alias("k"), y.alias("y"), F.size(line["c"]).alias("channels")))).alias("out"))
+
+    told = lists.select("path", F.explode(F.aggregate("s", empty, follow)["out"]).alias("o"))
+    return told.select("path", "o.k", (F.col("o.k") * F.lit(step)).alias("x"), "o.y", "o.channels")
+
+
 def sample_gaps(samples: DataFrame, step: float, order: str = "x") -> DataFrame:
     """Where consecutive samples are more than 1.5 steps apart: before, after. For one path; partition by path id for many."""
     keys = [c for c in samples.columns if c == "path"]

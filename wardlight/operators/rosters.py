@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -205,6 +207,17 @@ def cross_directory(cards: DataFrame, directory: DataFrame) -> DataFrame:
     return both.select("email", status.alias("status"))
 
 
+def check_directory(statuses: DataFrame, max_drift: int) -> DataFrame:
+    """What cross_directory gives → status, n, severity: a difference or a name under another address fails; those that only one side has are borne up to max_drift in all."""
+    n = statuses.groupBy("status").agg(F.count("*").alias("n"))
+    one_sided = F.col("status").isin("leftover", "missing")
+    drift = F.sum(F.when(one_sided, F.col("n"))).over(Window.partitionBy(F.lit(0)))  # five statuses at most
+    return n.select(
+        "status", "n",
+        F.when(F.col("status") == "agree", "OK").when(one_sided, F.when(drift > max_drift, "FAIL").otherwise("WARN")).otherwise("FAIL").alias("severity")
+    )
+
+
 def apply_aliases(df: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """df (unit, …), aliases (source, target) → (renamed, findings): a rename, never a merge.
 
@@ -370,6 +383,11 @@ def coverage_matrix(dispatch: DataFrame) -> DataFrame:
     return dispatch.groupBy("county").agg(F.array_sort(F.collect_set("layer")).alias("layers"), F.countDistinct("layer").alias("n"))
 
 
+def layer_coverage(dispatch: DataFrame) -> DataFrame:
+    """layer → its counties, and how many."""
+    return dispatch.groupBy("layer").agg(F.array_sort(F.collect_set("county")).alias("counties"), F.countDistinct("county").alias("n"))
+
+
 def distance_quality(df: DataFrame) -> DataFrame:
     """One row: share within 50, and the median of those under 100."""
     return df.agg(
@@ -391,13 +409,19 @@ def duplicates(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def modal_value(df: DataFrame, group: str, col: str, holder: str, order: str, least: int = 2) -> DataFrame:
-    """The most common value of a group on `least` rows and holders or more; ties by first seen; else null."""
+def modal_value(df: DataFrame, group: str, col: str, holder: str, order: str, least: int = 2, refuse: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The most common value of a group on `least` rows and holders or more; ties by first seen, then by value; else null and a finding.
+
+    refuse: tells values that must not be used, such as a residence. finding: `none` (no value), `few` (too few rows or
+    holders) or `refused`; null where there is a value. order may be of any type that sorts.
+    """
     v = df.where(~blank(col)).groupBy(group, col).agg(F.count("*").alias("n"), F.countDistinct(holder).alias("h"), F.min(order).alias("first"))
-    best = v.groupBy(group).agg(F.max_by(F.struct(col, "n", "h"), F.struct("n", -F.col("first"))).alias("b"))
+    best = v.groupBy(group).agg(F.min_by(F.struct(col, "n", "h"), F.struct((-F.col("n")).alias("n"), "first", col)).alias("b"))
+    few = (F.col("b.n") < least) | (F.col("b.h") < least)
+    bad = F.lit(False) if refuse is None else F.coalesce(refuse(F.col(f"b.{col}")), F.lit(False))
+    finding = F.when(F.col("b").isNull(), "none").when(few, "few").when(bad, "refused")
     return df.select(group).distinct().join(best, group, "left").select(
-        group, F.when((F.col("b.n") >= least) & (F.col("b.h") >= least), F.col(f"b.{col}")).alias(col),
-        F.coalesce("b.n", F.lit(0)).alias("n")
+        group, F.when(finding.isNull(), F.col(f"b.{col}")).alias(col), F.coalesce("b.n", F.lit(0)).alias("n"), finding.alias("finding")
     )
 
 

@@ -181,7 +181,21 @@ def served(spark, d):
     return Q.served_status(
         ring, rows.where("county % 3 = 0"), ring.where("county % 5 = 0"),
         ring.where("county % 7 = 0").select(F.array("county").alias("counties"))
-    )
+    ).drop("outside")
+
+
+@query("q13_judicial_status", sql(""",
+r AS (SELECT DISTINCT id % 40 AS county FROM p),
+s AS (SELECT county, CASE WHEN county % 3 = 0 THEN 'dispatch' WHEN county % 5 = 0 THEN 'card only' WHEN county % 4 <> 1 THEN 'judicial'
+  WHEN county % 7 = 0 THEN 'frontier' ELSE 'unresearched' END AS status FROM r)
+SELECT county, status, status IN ('dispatch', 'card only') AND county % 4 = 1 AS outside FROM s"""))
+def judicial(spark, d):
+    # The ring holds three counties in four; one that is served without being in it is told.
+    rows = _p(spark, d, "id % 40 as county", "seg as layer")
+    all_ = rows.select("county").distinct()
+    gaps = all_.where("county % 7 = 0").select(F.array("county").alias("counties"))
+    found = Q.served_status(all_, rows.where("county % 3 = 0"), all_.where("county % 5 = 0"), gaps, all_.where("county % 4 <> 1"))
+    return found.select("county", "status", "outside")
 
 
 @query("q14_fleet_diff", sql("""SELECT body AS site, id, CASE WHEN id % 9 = 0 THEN 'unlisted' WHEN id % 7 = 0 THEN 'phantom' ELSE 'content' END AS drift FROM p

@@ -204,14 +204,20 @@ def envelope(spark, d):
     return G.check_envelope(units(spark, d), (0.0, 0.5, 5.0, 4.5))
 
 
+# Points in the units before and after their shared borders are simplified.
+_THIN = f"""{HITS}, kept AS (SELECT feature_id, s, x, y FROM verts JOIN nat USING (feature_id) WHERE s % 2 = 0 OR {_PUSHED} > 0.15),
+thin AS (SELECT feature_id, x AS ax, y AS ay, coalesce(lead(x) OVER w, first_value(x) OVER w) AS bx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS by FROM kept WINDOW w AS (PARTITION BY feature_id ORDER BY s)),
+h2 AS (SELECT pid, feature_id FROM pts JOIN thin ON (ay > y) <> (by > y) AND x < (bx-ax)*(y-ay)/(by-ay)+ax GROUP BY pid, feature_id HAVING count(*)%2 = 1)"""
+
+
 @query(
     "g07_check_simplification",
-    f"WITH {POINTS} SELECT count(*) AS n, 1.0::DOUBLE AS share, 0::BIGINT AS doubles, 25::BIGINT AS n_source, 25::BIGINT AS n_new, true AS ok FROM pts"
+    f"""WITH {_THIN}, t AS (SELECT count(*) AS n, avg((h.feature_id IS NOT DISTINCT FROM h2.feature_id)::INT) AS share FROM pts LEFT JOIN hits h USING (pid) LEFT JOIN h2 USING (pid))
+SELECT n, round(share, 9) AS share, (SELECT count(*) FROM (SELECT pid FROM h2 GROUP BY 1 HAVING count(*) > 1)) AS doubles, 25::BIGINT AS n_source, 25::BIGINT AS n_new, share >= 0.995 AS ok FROM t"""
 )
 def simplification(spark, d):
     u = units(spark, d)
-    thin = G.simplify_dp(ring_rows(spark, d), 0.0).select("feature_id", F.array(F.array("ring")).alias("polygons"))
-    return G.check_simplification(points(spark, d), u, thin)
+    return G.check_simplification(points(spark, d), u, T.simplify_shared(u, tol=0.15)).withColumn("share", F.round("share", 9))
 
 
 @query("a08_agreement", f"""WITH {EDGES}, {POINTS},
@@ -508,6 +514,26 @@ def descriptions(spark, d):
     return G.check_descriptions(units(spark, d), r)
 
 
+@query("g19_check_bands", f"""WITH {EDGES},
+m AS (SELECT feature_id, sum((ax+bx)*(ax*by-bx*ay))/(3*sum(ax*by-bx*ay)) AS x, sum((ay+by)*(ax*by-bx*ay))/(3*sum(ax*by-bx*ay)) AS y FROM edges GROUP BY 1)
+SELECT feature_id, round(x, 9) AS x, round(y, 9) AS y, x >= feature_id % 5 + 0.48 AND (feature_id % 3 = 0 OR y <= feature_id // 5 + 0.52) AS ok FROM m""")
+def bands(spark, d):
+    b = table(spark, d, "nation").selectExpr(
+        "n_nationkey as feature_id", "n_nationkey % 5 + 0.48D as min_x", "cast(null as double) as min_y", "cast(null as double) as max_x",
+        "CASE WHEN n_nationkey % 3 <> 0 THEN floor(n_nationkey / 5) + 0.52D END as max_y"
+    )
+    return G.check_bands(units(spark, d), b).select("feature_id", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"), "ok")
+
+
+@query("g19_check_area_shares", f"""WITH {EDGES},
+m AS (SELECT feature_id, abs(sum(ax*by-bx*ay)/2) AS area FROM edges GROUP BY 1)
+SELECT p.feature_id AS a, q.feature_id AS b, round(p.area / (p.area + q.area), 9) AS got, abs(p.area / (p.area + q.area) - 0.5) <= 0.03 AS ok FROM m p JOIN m q ON q.feature_id = (p.feature_id*7+3)%25
+WHERE p.feature_id <> q.feature_id""")
+def area_shares(spark, d):
+    r = table(spark, d, "nation").selectExpr("n_nationkey as a", "(n_nationkey*7+3)%25 as b", "0.5D as share", "0.03D as slack").where("a <> b")
+    return G.check_area_shares(units(spark, d), r).withColumn("got", F.round("got", 9))
+
+
 @query("g21_check_extent", f"""WITH {EDGES},
 m AS (SELECT greatest(abs(min(ax + 0.3) - min(ax)), abs(max(ax + 0.3) - max(ax)), abs(min(ay + 0.3) - min(ay)), abs(max(ay + 0.3) - max(ay))) AS m FROM edges)
 SELECT round(m, 9) AS differ, m <= 0.1 AS ok FROM m""")
@@ -542,6 +568,26 @@ def corridor(spark, d):
     return G.corridor_median(lines, 0.25).select("k", F.round("y", 9).alias("y"), "n")
 
 
+@query("g23_corridor_channel", """WITH RECURSIVE s AS (SELECT s_suppkey AS k, s_suppkey % 3 AS path, ((s_suppkey*7919)%100003)*5.0::DOUBLE/100003 AS x, (s_suppkey%7)/10.0::DOUBLE AS y FROM supplier),
+l AS (SELECT path, x AS ax, CASE WHEN k % 4 = 0 THEN y + 5 ELSE y END AS ay, x+1 AS bx, CASE WHEN k % 4 = 0 THEN y + 6 ELSE y+0.2 END AS by FROM s),
+c AS (SELECT path, unnest(range(ceil(ax/0.25)::BIGINT, floor(bx/0.25)::BIGINT + 1)) AS k, ax, ay, bx, by FROM l),
+y AS (SELECT path, k, ay+(by-ay)*(k*0.25::DOUBLE-ax)/(bx-ax) AS y FROM c),
+n AS (SELECT *, (coalesce(y - lag(y) OVER (PARTITION BY path, k ORDER BY y), 0) > 1)::INT AS new FROM y),
+ch AS (SELECT *, sum(new) OVER (PARTITION BY path, k ORDER BY y ROWS UNBOUNDED PRECEDING) AS channel FROM n),
+m AS (SELECT path, k, (min(y) + max(y)) / 2 AS m, count(*) AS n FROM ch GROUP BY path, k, channel),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY path ORDER BY k) AS i, count(*) OVER (PARTITION BY path, k) AS channels FROM m),
+f AS (SELECT path, k, i, arg_min(m, (-n, m)) AS y, any_value(channels) AS channels FROM r WHERE i = 1 GROUP BY 1, 2, 3
+  UNION ALL SELECT r.path, r.k, r.i, arg_min(r.m, (abs(r.m - f.y), r.m)), any_value(r.channels) FROM f JOIN r ON r.path = f.path AND r.i = f.i + 1 GROUP BY r.path, r.k, r.i)
+SELECT path, k, round(y, 9) AS y, channels::INT AS channels FROM f""")
+def channel(spark, d):
+    # A fourth of the strands is a side arm far above, which the line must not follow.
+    lines = sites(spark, d).selectExpr(
+        "sid % 3 as path", "sx as ax", "(sid % 7) / 10.0D + CASE WHEN sid % 4 = 0 THEN 5D ELSE 0D END as ay", "sx + 1 as bx",
+        "(sid % 7) / 10.0D + CASE WHEN sid % 4 = 0 THEN 6D ELSE 0.2D END as by"
+    )
+    return G.corridor_channel(lines, 0.25, 1.0).select("path", "k", F.round("y", 9).alias("y"), "channels")
+
+
 @query("w08_sample_gaps", """WITH s AS (SELECT l_orderkey % 50 AS path, CAST(l_orderkey * 8 + l_linenumber AS DOUBLE) AS x FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem))
 SELECT path, before, after FROM (SELECT path, lag(x) OVER (PARTITION BY path ORDER BY x) AS before, x AS after FROM s) WHERE after - before > 450""")
 def gaps_in_samples(spark, d):

@@ -229,6 +229,18 @@ def directory(spark, d):
     )
 
 
+@query("j16_check_directory", sql(""",
+c AS (SELECT 'a' || id::VARCHAR AS email, name, seg FROM p WHERE id % 4 <> 0),
+d AS (SELECT 'a' || id::VARCHAR AS email, name, CASE WHEN id % 6 = 1 THEN 'X' ELSE seg END AS seg FROM p WHERE id % 5 <> 0),
+s AS (SELECT CASE WHEN c.email IS NULL THEN CASE WHEN d.name IN (SELECT name FROM c) THEN 'other address' ELSE 'leftover' END
+  WHEN d.email IS NULL THEN 'missing' WHEN c.seg = d.seg THEN 'agree' ELSE 'differs' END AS status FROM c FULL JOIN d ON c.email = d.email),
+n AS (SELECT status, count(*) AS n FROM s GROUP BY 1)
+SELECT status, n, CASE WHEN status = 'agree' THEN 'OK' WHEN status IN ('leftover', 'missing') THEN CASE WHEN (SELECT sum(n) FROM n WHERE status IN ('leftover', 'missing')) > 50
+  THEN 'FAIL' ELSE 'WARN' END ELSE 'FAIL' END AS severity FROM n"""))
+def check_directory(spark, d):
+    return R.check_directory(directory(spark, d), 50)
+
+
 _ALIAS = """SELECT source, target FROM (SELECT 'u' || c_custkey::VARCHAR AS source, CASE WHEN c_custkey % 4 = 0 THEN 'u' || (c_custkey + 1)::VARCHAR
   WHEN c_custkey % 4 = 1 THEN 'new' || c_custkey::VARCHAR WHEN c_custkey % 4 = 2 THEN 'same' || (c_custkey // 16)::VARCHAR ELSE 'n' || c_custkey::VARCHAR END AS target, c_custkey FROM customer WHERE c_custkey % 3 = 0)"""
 
@@ -405,6 +417,12 @@ def matrix(spark, d):
     ).withColumn("layers", F.array_join("layers", ","))
 
 
+@query("a06_layer_coverage", sql("""SELECT seg AS layer, string_agg(DISTINCT body::VARCHAR, ',' ORDER BY body::VARCHAR) AS counties, count(DISTINCT body) AS n FROM p GROUP BY 1"""))
+def layers(spark, d):
+    own = _p(spark, d, "cast(body as string) as county", "seg as layer")
+    return R.layer_coverage(own).withColumn("counties", F.array_join("counties", ","))
+
+
 @query("a10_distance_quality", """SELECT round(avg((v <= 50)::INT), 9) AS within, round(median(v) FILTER (v < 100), 9) AS median, count(*) AS n FROM (SELECT abs(l_extendedprice) % 150 AS v
   FROM lineitem)""")
 def quality(spark, d):
@@ -438,7 +456,19 @@ b AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY n DESC, f) AS r FR
 SELECT body, CASE WHEN n >= 2 AND h >= 2 THEN seg END AS seg, coalesce(n, 0)::BIGINT AS n FROM (SELECT DISTINCT body FROM p) LEFT JOIN (SELECT * FROM b
   WHERE r = 1) USING (body)"""))
 def modal(spark, d):
-    return R.modal_value(_p(spark, d, "body", "CASE WHEN id % 12 = 0 THEN seg ELSE ' ' END as seg", "name", "id"), "body", "seg", "name", "id")
+    return R.modal_value(_p(spark, d, "body", "CASE WHEN id % 12 = 0 THEN seg ELSE ' ' END as seg", "name", "id"), "body", "seg", "name", "id").drop("finding")
+
+
+@query("a14_modal_finding", sql(""",
+v AS (SELECT body, seg, count(*) AS n, count(DISTINCT name) AS h, min('k' || id::VARCHAR) AS f FROM p WHERE id % 6 = 0 GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY n DESC, f, seg) AS r FROM v),
+o AS (SELECT body, seg, n, CASE WHEN n IS NULL THEN 'none' WHEN n < 2 OR h < 2 THEN 'few' WHEN seg LIKE 'HOUSE%' THEN 'refused' END AS finding FROM (SELECT DISTINCT body FROM p) LEFT JOIN
+ (SELECT * FROM b WHERE r = 1) USING (body))
+SELECT body, CASE WHEN finding IS NULL THEN seg END AS seg, coalesce(n, 0)::BIGINT AS n, finding FROM o"""))
+def modal_finding(spark, d):
+    # Ties by a text, and values that are refused.
+    own = _p(spark, d, "body", "CASE WHEN id % 6 = 0 THEN seg END as seg", "name", "concat('k', id) as id")
+    return R.modal_value(own, "body", "seg", "name", "id", refuse=lambda c: F.startswith(c, F.lit("HOUSE")))
 
 
 _VOTES = """SELECT c_custkey // 3 AS district, c_name AS candidate, CASE WHEN c_custkey % 17 = 0 THEN 'n/a' ELSE '1,' || lpad((c_custkey % 4)::VARCHAR, 3, '0') END AS votes FROM customer WHERE c_custkey % 7 <> 0"""

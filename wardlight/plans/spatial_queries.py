@@ -149,20 +149,20 @@ def regions(spark, d):
 
 @query("j19_assign_labels", f"""WITH {EDGES},
 m AS (SELECT feature_id, sum((ax+bx)*(ax*by-bx*ay))/(3*sum(ax*by-bx*ay)) AS cx, sum((ay+by)*(ax*by-bx*ay))/(3*sum(ax*by-bx*ay)) AS cy FROM edges GROUP BY 1)
-SELECT feature_id, name AS label, CASE WHEN feature_id = 7 THEN 'leftover' ELSE 'inside' END AS how FROM m JOIN nation ON n_nationkey = feature_id""".replace("name AS label", "n_name AS label"))
+SELECT feature_id, name AS label, CASE WHEN feature_id = 2 THEN 'leftover' ELSE 'inside' END AS how FROM m JOIN nation ON n_nationkey = feature_id""".replace("name AS label", "n_name AS label"))
 def labels(spark, d):
     u = units(spark, d)
     centre = P.ring_measures(u).select("feature_id", "cx", "cy", "max_x", "max_y")
-    # One label lies just outside its unit's box; another unit has a second label that is farther from the centre... of nothing else.
+    # One label lies just below the map, outside its unit's box by a little less than the tolerance.
     own = centre.join(u.select("feature_id", "name"), "feature_id")
-    away = F.col("feature_id") == 7
+    away = F.col("feature_id") == 2
     return P.assign_labels(
         u,
         own.select(
-            F.col("name").alias("label"), F.when(away, -0.05 + F.lit(0.0) * F.col("cx")).otherwise(F.col("cx")).alias("x"),
+            F.col("name").alias("label"), F.col("cx").alias("x"),
             F.when(away, F.lit(-0.05)).otherwise(F.col("cy")).alias("y")
         ),
-        9.0
+        0.06
     )
 
 

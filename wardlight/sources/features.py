@@ -57,11 +57,32 @@ def feature_collections(features: DataFrame, group: str, key: str = "feature_id"
     )
 
 
-def write_features(features: DataFrame, path: str, group: str, key: str = "feature_id") -> DataFrame:
-    """Writes one collection a group and line under path and returns the keys that do not read back (none, if all is well)."""
-    feature_collections(features, group, key).select("text").write.mode("error").text(path)
+def write_features(features: DataFrame, path: str, group: str, key: str = "feature_id", places: int = 6) -> DataFrame:
+    """Writes one collection a group and line under path and returns the keys that do not read back as they were (none, if all is well).
+
+    Keys and rounded coordinates are compared, and a feature with a ring that has fewer than three different vertices left
+    after rounding is returned too.
+    """
+    feature_collections(features, group, key, places).select("text").write.mode("error").text(path)
     back, _ = read_features(features.sparkSession, path, "", key, lines=True)
-    return features.select(F.col(key).cast("string")).exceptAll(back.select(F.col("feature_id")))
+    near = F.transform("polygons", lambda p: F.transform(p, lambda r: F.transform(r, lambda v: F.struct(F.round(v["x"], places).alias("x"), F.round(v["y"], places).alias("y")))))
+    own = features.select(F.col(key).cast("string").alias(key), near.alias("polygons"))
+    collapsed = own.where(F.exists(F.flatten("polygons"), lambda r: F.size(F.array_distinct(r)) < 3))
+    lost = own.exceptAll(back.select(F.col("feature_id").alias(key), "polygons"))
+    return lost.select(key).unionByName(collapsed.select(key)).distinct()
+
+
+def read_large_features(spark: SparkSession, path: str, layer: str, key: str, begins: str = '{"type":"Feature",') -> tuple[DataFrame, DataFrame]:
+    """read_features for collections too large for one task: features layer and rejects.
+
+    The text is cut where a feature begins, which must be written as `begins` throughout and nowhere within a feature, so
+    that a file is read in splits by as many tasks as its size asks for, and a task holds a feature at a time. What comes
+    before the first feature is dropped; what follows a feature's end is not read.
+    """
+    parts = spark.read.option("lineSep", begins).text(path).where(F.col("value").rlike(r'"geometry"\s*:'))
+    one = F.regexp_replace(F.concat(F.lit(begins), "value"), r"[\s,\]]*(\}\s*)?$", "")  # the comma, or the end of the collection
+    whole = lambda text: F.concat(F.lit('{"type":"FeatureCollection","features":['), text, F.lit("]}"))
+    return features_of(parts.select(whole(F.concat(F.regexp_replace(one, r"[\s,\]]*$", ""))).alias("text")), layer, key)
 
 
 def keyed_json(documents: DataFrame, entry: str) -> DataFrame:
