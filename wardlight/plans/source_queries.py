@@ -27,6 +27,19 @@ def read_features(spark, d):
     )
 
 
+@query(
+    "x01_read_large_features",
+    """SELECT n_nationkey::VARCHAR AS feature_id, n_name AS name, n_regionkey::VARCHAR AS district FROM nation"""
+)
+def read_large(spark, d):
+    """One collection of all units, read in splits that are cut where a feature begins."""
+    path = _scratch(spark)
+    docs = X.feature_collections(units(spark, d).withColumn("g", F.lit(1)), "g")
+    docs.select("text").coalesce(1).write.text(path)
+    found, _ = X.read_large_features(spark, path, "units", "feature_id")
+    return found.select("feature_id", F.col("props")["name"].alias("name"), F.col("props")["district"].alias("district"))
+
+
 @query("x10_write_features", "SELECT n_nationkey::VARCHAR AS feature_id FROM nation WHERE n_nationkey % 5 = 2")
 def write_features(spark, d):
     """Keys that do not read back after writing: those of features whose rings were taken away."""
@@ -254,16 +267,20 @@ def l08(spark, d):
 
 @query("l09_civic_profile", f"""WITH {HITS}, {_STATUS}, {_BUILD} SELECT pid, 'unit' AS layer, status, district, name AS holder FROM s
 UNION ALL SELECT pid, 'chamber', status, district, holder FROM s LEFT JOIN r ON c_nationkey = feature_id
-UNION ALL SELECT pid, 'broken', 'ERROR', NULL, NULL FROM pts""")
+UNION ALL SELECT pid, k, 'ERROR', NULL, NULL FROM pts, (VALUES ('broken'), ('failing')) t(k)""")
 def l09(spark, d):
+    # One layer cannot be planned, and one fails while it runs.
     def broken(p):
         raise ValueError("the source is away")
 
-    found = L.civic_profile(
-        points(spark, d),
-        [L.polygon_layer("unit", units(spark, d)), L.chamber_layer("chamber", units(spark, d), _roster(spark, d)), L.LayerSpec("broken", broken)]
-    )
-    return found.withColumn("holder", F.when(F.col("layer") != "broken", F.col("holder")))
+    def failing(p):
+        told = F.when(F.col("pid") % 2 == 0, F.raise_error(F.lit("a row cannot be read"))).otherwise(F.lit(None).cast("string"))
+        return p.select("pid", F.lit("OK").alias("status"), told.alias("district"), F.lit(None).cast("string").alias("holder"))
+
+    u = units(spark, d)
+    layers = [L.polygon_layer("unit", u), L.chamber_layer("chamber", u, _roster(spark, d)), L.LayerSpec("broken", broken), L.LayerSpec("failing", failing)]
+    found = L.civic_profile(points(spark, d), layers)
+    return found.withColumn("holder", F.when(F.col("status") != "ERROR", F.col("holder")))
 
 
 # Streams: a table written as files, read as a stream to its end

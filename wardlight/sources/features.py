@@ -77,12 +77,14 @@ def read_large_features(spark: SparkSession, path: str, layer: str, key: str, be
 
     The text is cut where a feature begins, which must be written as `begins` throughout and nowhere within a feature, so
     that a file is read in splits by as many tasks as its size asks for, and a task holds a feature at a time. What comes
-    before the first feature is dropped; what follows a feature's end is not read.
+    before the first feature is dropped; the last feature is followed by the list's
+    end, after which no other list may come.
     """
-    parts = spark.read.option("lineSep", begins).text(path).where(F.col("value").rlike(r'"geometry"\s*:'))
-    one = F.regexp_replace(F.concat(F.lit(begins), "value"), r"[\s,\]]*(\}\s*)?$", "")  # the comma, or the end of the collection
-    whole = lambda text: F.concat(F.lit('{"type":"FeatureCollection","features":['), text, F.lit("]}"))
-    return features_of(parts.select(whole(F.concat(F.regexp_replace(one, r"[\s,\]]*$", ""))).alias("text")), layer, key)
+    parts = spark.read.option("lineSep", begins).text(path).where(F.col("value").contains('"geometry"'))
+    text = F.concat(F.lit(begins), "value")
+    one = F.when(text.rlike(r",\s*$"), F.regexp_replace(text, r",\s*$", "")).otherwise(F.regexp_replace(text, r"\][^\]]*$", ""))  # the last one: the collection's end
+    whole = F.concat(F.lit('{"features":['), one, F.lit("]}"))
+    return features_of(parts.select(whole.alias("text")), layer, key)
 
 
 def keyed_json(documents: DataFrame, entry: str) -> DataFrame:
