@@ -234,3 +234,75 @@ def outline_difference_area(features: DataFrame, outline: DataFrame) -> DataFram
     sets = cover_areas(features, outline)
     differ = F.coalesce(F.sum(F.when((F.size("members") > 0) != F.col("in_parent"), F.col("area"))), F.lit(0.0))
     return sets.agg(differ.alias("differ"), (differ / F.sum("area")).alias("share"))
+
+
+def _half(ring: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The part of a ring (open, n × 2) on the left of the line from a to b; a concave ring keeps its area, with edges along the line."""
+    if not len(ring):
+        return ring
+    side = (b[0] - a[0]) * (ring[:, 1] - a[1]) - (b[1] - a[1]) * (ring[:, 0] - a[0])
+    nxt, after = np.roll(ring, -1, axis=0), np.roll(side, -1)
+    out = []
+    for p, q, s, t in zip(ring, nxt, side, after, strict=True):
+        if s >= 0:
+            out.append(p)
+        if (s > 0 > t) or (s < 0 < t):
+            out.append(p + (q - p) * (s / (s - t)))
+    return np.array(out).reshape(-1, 2)
+
+
+def _ring_area(ring: np.ndarray) -> float:
+    x, y = ring[:, 0] - (ring[0, 0] if len(ring) else 0), ring[:, 1] - (ring[0, 1] if len(ring) else 0)
+    return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum() / 2)
+
+
+def split_polygons(features: DataFrame, path: DataFrame) -> DataFrame:
+    """features and a path (k, x, y; x grows with k) → feature_id, side (above, below, off), part, ring, area: the features cut along the path.
+
+    A ring is cut at the path's vertices into upright strips, and each strip by the path's edge; ground left and right of the
+    path is `off`. area is signed like the ring, so that holes are taken away; the areas of a ring's parts add up to its own.
+    Edges of the path meet features by cells along x, so that a feature is cut by those over it only; a row is a feature.
+    """
+    nxt = path.alias("p").join(path.alias("q"), F.col("q.k") == F.col("p.k") + 1).select(
+        F.col("p.x").alias("x0"), F.col("p.y").alias("y0"), F.col("q.x").alias("x1"), F.col("q.y").alias("y1")
+    )
+    ends = path.agg(F.min("x").alias("first"), F.max("x").alias("last"))
+    boxed = bounding_boxes(features.select("feature_id", F.col("polygons").alias("own"), "polygons"))
+    side = boxed.agg(F.coalesce(F.nullif(F.avg(F.col("max_x") - F.col("min_x")), F.lit(0.0)), F.lit(1.0)).alias("s")).scalar()
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / side).cast("long"), F.floor(F.col(hi) / side).cast("long")))
+    keyed = boxed.select("feature_id", "min_x", "max_x").withColumn("cx", cells("min_x", "max_x"))
+    met = keyed.join(nxt.withColumn("cx", cells("x0", "x1")), "cx").where("x0 < max_x and x1 > min_x").select("feature_id", F.struct("x0", "y0", "x1", "y1").alias("e"))
+    over = met.distinct().groupBy("feature_id").agg(F.sort_array(F.collect_list("e")).alias("edges"))
+    rows = boxed.join(over, "feature_id", "left").join(F.broadcast(ends)).select("feature_id", F.explode(F.flatten("own")).alias("ring"), "edges", "first", "last")  # ends: one row
+    kind = dict(features.dtypes)["feature_id"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far = 1.0
+        for batch in batches:
+            of, sides, parts, rings, areas = [], [], [], [], []
+            for i, r in enumerate(batch.select(["ring", "edges", "first", "last"]).to_pylist()):
+                ring = np.array([(p["x"], p["y"]) for p in r["ring"][:-1]], float)
+
+                def keep(name, piece, i=i):
+                    if len(piece) > 2 and (area := _ring_area(piece)):
+                        of.append(i)
+                        sides.append(name)
+                        parts.append(parts[-1] + 1 if len(of) > 1 and of[-2] == i else 0)
+                        rings.append([{"x": x, "y": y} for x, y in [*piece.tolist(), piece[0].tolist()]])
+                        areas.append(area)
+
+                up = lambda x: (np.array([x, 0.0]), np.array([x, far]))  # noqa: E731  what is left of it has smaller x
+                keep("off", _half(ring, *up(r["first"])))
+                for e in r["edges"] or []:
+                    strip = _half(_half(ring, *up(e["x1"])), *up(e["x0"])[::-1])
+                    a, b = np.array([e["x0"], e["y0"]]), np.array([e["x1"], e["y1"]])
+                    keep("above", _half(strip, a, b))
+                    keep("below", _half(strip, b, a))
+                keep("off", _half(ring, *up(r["last"])[::-1]))
+            kinds = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("feature_id").take(pa.array(of, pa.int64())), pa.array(sides, pa.string()), pa.array(parts, pa.int32()), pa.array(rings, kinds), pa.array(areas, pa.float64())],
+                names=["feature_id", "side", "part", "ring", "area"]
+            )
+
+    return rows.mapInArrow(cut, f"feature_id {kind}, side string, part int, ring array<struct<x:double,y:double>>, area double")

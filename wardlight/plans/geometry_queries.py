@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wardlight.operators import geometry as G
 from wardlight.operators import spatial as P
 from wardlight.operators import topology as T
-from wardlight.operators.overlay import clip_areas, outline_difference_area, overlay_areas, tiling_areas
+from wardlight.operators.overlay import clip_areas, outline_difference_area, overlay_areas, split_polygons, tiling_areas
 from wardlight.plans.base import EDGES, HITS, POINTS, VERTS, points, query, sites, table, units
 from wardlight.plans.spatial_queries import _OVER, _overlaid
 
@@ -607,6 +607,31 @@ def split_line(spark, d):
     return G.split_by_line(cells_, line, 0.25)
 
 
+# A path with teeth: the ground above it, below it and beyond its end as polygons (without their level sides) to overlay the units with.
+_TOOTHED = """pt AS (SELECT k, k*0.25::DOUBLE AS x, 1 + k*0.15::DOUBLE + (k%2)*0.2::DOUBLE AS y FROM range(0, 19) t(k)),
+sg AS (SELECT p.x AS ax, p.y AS ay, q.x AS bx, q.y AS by FROM pt p JOIN pt q ON q.k = p.k + 1)"""
+_SIDES = """SELECT b, ax, ay, bx, by FROM sg, (VALUES (1), (2)) t(b) UNION ALL SELECT 1, x, y, x, 10 FROM pt WHERE k IN (0, 18) UNION ALL SELECT 2, x, y, x, -10 FROM pt WHERE k IN (0, 18)
+ UNION ALL SELECT 3, x, -10, x, 10 FROM (VALUES (4.5::DOUBLE), (10.0::DOUBLE)) t(x)"""
+_CUT = (
+    _OVERLAY.replace("FROM edges WHERE feature_id < 10),\neb AS", "FROM edges), " + _TOOTHED + ",\neb AS")
+    .replace("SELECT feature_id AS b, ax+0.3::DOUBLE AS ax, ay+0.3::DOUBLE AS ay, bx+0.3::DOUBLE AS bx, by+0.3::DOUBLE AS by FROM edges WHERE feature_id < 10", _SIDES)
+)
+
+
+@query(
+    "g24_split_polygons",
+    f"""WITH {_CUT}, c AS (SELECT a, CASE b WHEN 1 THEN 'above' WHEN 2 THEN 'below' ELSE 'off' END AS side, shared FROM sh WHERE shared > 1e-9)
+SELECT a AS feature_id, side, round(shared, 7) AS area, true AS whole FROM c"""
+)
+def split_by_path(spark, d):
+    path = spark.range(19).selectExpr("id as k", "id * 0.25D as x", "1 + id * 0.15D + (id % 2) * 0.2D as y")
+    u = units(spark, d)
+    parts = split_polygons(u, path).groupBy("feature_id", "side").agg(F.sum("area").alias("area"))
+    own = P.ring_measures(u).select("feature_id", F.col("area").alias("own"))
+    sums = parts.groupBy("feature_id").agg(F.sum("area").alias("total")).join(own, "feature_id").select("feature_id", (F.abs(F.col("total") - F.col("own")) < 1e-9).alias("whole"))
+    return parts.join(sums, "feature_id").where("area > 1e-9").select("feature_id", "side", F.round("area", 7).alias("area"), "whole")
+
+
 @query("g25_merge_same_name", """SELECT CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE 'D' || (n_nationkey % 4)::VARCHAR END AS name, count(*) AS rows, count(*)::INT AS parts FROM nation
   GROUP BY 1""")
 def same_name(spark, d):
@@ -614,11 +639,16 @@ def same_name(spark, d):
     return G.merge_same_name(f).select("name", "rows", F.size("polygons").alias("parts"))
 
 
-@query("g26_boundary_shift", "SELECT n_nationkey AS feature_id, 0.0::DOUBLE AS median, 0.0::DOUBLE AS greatest FROM nation")
+@query("g26_boundary_shift", f"""WITH {EDGES}, l AS (SELECT *, greatest(ceil(sqrt(pow(bx-ax,2)+pow(by-ay,2))/0.13::DOUBLE), 1)::INT AS n FROM edges WHERE feature_id < 10),
+s AS (SELECT feature_id, seq, k, ax+(bx-ax)*k/n AS x, ay+(by-ay)*k/n AS y FROM l, range(0, n+1) t(k)),
+o AS (SELECT ax+0.3::DOUBLE AS ax, ay+0.3::DOUBLE AS ay, bx+0.3::DOUBLE AS bx, by+0.3::DOUBLE AS by FROM edges WHERE feature_id < 10),
+f AS (SELECT feature_id, seq, k, x, y, ax, ay, bx, by, {_FOOT} FROM s, o), d AS (SELECT feature_id, seq, k, {_DIST} AS d FROM f GROUP BY 1, 2, 3)
+SELECT feature_id, round(median(d), 9) AS median, round(max(d), 9) AS greatest, count(*) AS samples FROM d GROUP BY 1""")
 def shifted(spark, d):
-    # A unit's boundary against the whole layer's: every sample lies on it.
-    return G.boundary_shift(units(spark, d), units(spark, d), 0.1).select(
-        "feature_id", F.round("median", 9).alias("median"), F.round("greatest", 9).alias("greatest")
+    # The boundaries of ten units against the same ones moved by 0.3.
+    u = units(spark, d).where("feature_id < 10")
+    return G.boundary_shift(u, _shift(u, 0.3), 0.13).select(
+        "feature_id", F.round("median", 9).alias("median"), F.round("greatest", 9).alias("greatest"), "samples"
     )
 
 
