@@ -292,7 +292,7 @@ def test_language_models(spark, sf):
     edge = {x.doc_id: x for x in langid.identify(docs(spark, [None, "", "12 !? 34", "the and of that"]), models).collect()}
     assert [edge[i].lang_pred for i in range(3)] == ["und"] * 3 and all(edge[i].rejected for i in range(3)) and edge[3].lang_pred == "en"
     # Probabilities of all known characters after a known context sum to 1, less what one unknown character is left.
-    part = models.parts[0]
+    part = models.parts[0].value
     ctx = part.gaps[1].keys[part.gaps[1].keys != 32][0]
     last = part.grams[1].keys
     gram = (np.uint64(32) << np.uint64(48)) | (np.uint64(32) << np.uint64(32)) | (ctx << np.uint64(16)) | last
@@ -364,7 +364,7 @@ def test_language_models_against_a_slow_version(spark):
     counts = counts.replace({k: str(v) for k, v in number.items()}, subset=["lang"]).withColumn("lang", F.col("lang").cast("int"))
     table, _, unseen = langid.kneser_ney(counts, 3)
     p = slow_kneser_ney(texts)
-    for part in langid.in_parts(table, unseen, 10_000) + langid.in_parts(table, unseen, 300):
+    for part in [*langid.in_parts(table, unseen, 10_000), *langid.in_parts(table, unseen, 300)]:
         grams = ["   a", "  ab", " abc", "abcd", "xyé ", "  é ", "edcb", "abab", "   z", "zzzz", "   7", "  b "]
         coded = np.array([sum(ord(c) << (16 * (3 - i)) for i, c in enumerate(g)) for g in grams], np.uint64)
         got = np.exp(part.score(coded))
