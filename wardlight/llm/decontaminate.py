@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
@@ -10,10 +11,11 @@ from itertools import chain
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import free_name, numbered, read, slices
+from wardlight.llm.common import cut, free_name, numbered, read, slices
 
 #: Bytes of words: digits, letters, and everything outside ASCII; A-Z become a-z and the other bytes a blank.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -176,24 +178,60 @@ def unite(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _shards(items: DataFrame, max_bytes: int, width: int) -> Iterator[PackedAutomaton]:
-    """An automaton of each shard of the items, which comes to the driver; a shard has max_bytes of text at most, or one longer item."""
+def _shards(items: DataFrame, max_bytes: int, width: int) -> Iterator[Broadcast]:
+    """An automaton of each shard of the items, broadcast as bytes; a shard has max_bytes / 2 of text on average, or one longer item.
+
+    The automata are built by the executors, a shard in a task, and written to the shared folder; their bytes come to the
+    driver one after the other, which neither builds nor unpacks any.
+    """
     own = items.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // max(1, max_bytes // 2)))
+    send = items.sparkSession.sparkContext.broadcast
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def built() -> pa.RecordBatch:
+            rows.sort(key=lambda r: (r[0] is None, r[0] or "", r[1]))
+            auto = SuffixAutomaton([(item, normal_words(text)) for item, text in rows], width).packed()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([pickle.dumps(auto)], pa.binary())], names=["shard", "automaton"])
+
+        for batch in batches:
+            for shard, item, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "item_id", "text")), strict=True):
+                if shard != now:
+                    if rows:
+                        yield built()
+                    now, rows = shard, []
+                rows.append((item, text))
+        if rows:
+            yield built()
+
+    dealt = own.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
+    table = cut(dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(build, "shard int, automaton binary"))
     for part in range(parts):
-        rows = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect() if parts > 1 else own.collect()
-        rows.sort(key=lambda r: (r.item_id is None, r.item_id or "", r.text))
-        yield SuffixAutomaton([(r.item_id, normal_words(r.text)) for r in rows], width).packed()
+        found = table.where(F.col("shard") == part).select("automaton").first()
+        if found or not part:
+            yield send(bytes(found[0]) if found else pickle.dumps(SuffixAutomaton([], width).packed()))
+
+
+_LAST: list = []
+
+
+def _unpacked(shared: Broadcast) -> PackedAutomaton:
+    """A broadcast automaton, unpacked once a worker: it holds the last one only."""
+    raw = shared.value
+    if not _LAST or _LAST[0] is not raw:
+        _LAST[:] = [raw, pickle.loads(raw)]
+    return _LAST[1]
 
 
-def contaminated_spans(docs: DataFrame, shard: PackedAutomaton, key: str = "doc_id", hits_only: bool = False) -> DataFrame:
+def contaminated_spans(docs: DataFrame, shared: Broadcast, key: str = "doc_id", hits_only: bool = False) -> DataFrame:
     """docs (key, text) → key, n_words, spans of words hit, items, longest_match by one shard: one row per document, or per document with a hit."""
     id_type = dict(docs.dtypes)[key]
-    shared = docs.sparkSession.sparkContext.broadcast(shard)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = shared.value
+        auto = _unpacked(shared)
         number = auto.words.get
         for batch in slices(batches, limit=4 << 20):
             n, spans, found, most = [], [], [], []
@@ -224,7 +262,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, max_bytes:
 
     Words are runs of ASCII letters and digits and of anything outside ASCII, A-Z lower-cased. A window is `width`
     consecutive words of an item, or the whole of a shorter item; a word inside an occurrence of a window is hit.
-    A shard of items has max_bytes / 2 of text at most; its automaton is built once, on the driver, and broadcast. More
+    A shard of items has max_bytes / 2 of text on average; its automaton is built once, in a task, and broadcast. More
     items give more shards, each a pass over the documents; the results of a row meet by a key of its own, so that they
     do not depend on the number of shards.
 
@@ -241,7 +279,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, max_bytes:
     return rows.select("row", "doc_id").join(_row_spans(rows, [first, second], shards, "row"), "row").drop("row")
 
 
-def _row_spans(rows: DataFrame, begun: list[PackedAutomaton], shards: Iterator[PackedAutomaton], key: str) -> DataFrame:
+def _row_spans(rows: DataFrame, begun: list[Broadcast], shards: Iterator[Broadcast], key: str) -> DataFrame:
     """contaminated_spans of all shards together, by row: of all but the first shard only what is hit."""
     found = contaminated_spans(rows, begun[0], key)
     for shard in chain(begun[1:], shards):
@@ -278,10 +316,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, max_covera
         rows = numbered(docs, key)
         spans = _row_spans(rows, [first, second], shards, key).select(key, F.col("spans").alias(told))
         docs = rows.join(spans.where(F.size(told) > 0), key, "left").select(*names, told)
-    shared = docs.sparkSession.sparkContext.broadcast(first if alone else None)
+    shared = first if alone else None
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = shared.value
+        auto = _unpacked(shared) if alone else None
         for batch in slices(batches, limit=4 << 20):
             keep, texts, changed = [], [], False
             known = [None] * batch.num_rows if alone else batch.column(told).to_pylist()
