@@ -96,6 +96,27 @@ def test_one_large_collection_is_read_by_several_tasks(spark):
     assert got == sorted((r.feature_id, str(r.props), str(r.polygons)) for r in whole.collect()) and len(got) == 400
 
 
+def test_one_placemark_file_is_read_by_several_tasks(spark):
+    from wardlight.sources import features as X
+
+    mark = lambda k, n: f"<Placemark><name>m{k}.{n}</name><Polygon><outerBoundaryIs><LinearRing><coordinates>0,0 {k},0 {k},{n} 0,0</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>"
+    folders = "\n".join(f"<Folder>\n<name> f{k} </name>{''.join(mark(k, n) for n in range(1, 4))}\n</Folder>" for k in range(1, 101))
+    path = tempfile.mkdtemp(prefix="spark-") + "/one.kml"
+    with open(path, "w") as f:
+        f.write(f"<kml><Document><name>all</name>{folders}</Document></kml>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = X.read_placemarks(spark, path)
+        assert found.rdd.getNumPartitions() > 3
+        got = sorted((r.folder, r.name, len(r.polygons[0][0]), r.polygons[0][0][2].y) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert got == sorted((f"f{k}", f"m{k}.{n}", 4, float(n)) for k in range(1, 101) for n in range(1, 4))
+
+
 def test_written_geometry_is_compared(spark):
     """A ring that rounds to a point is told, though its key reads back."""
     from wardlight.sources import features as X

@@ -161,11 +161,16 @@ def unique_key(df: DataFrame, key: str) -> DataFrame:
 
 
 def read_placemarks(spark: SparkSession, path: str) -> DataFrame:
-    """Placemark files, each one document: folder, name, props and polygons (outer ring first)."""
+    """Placemark files: folder, name, props and polygons (outer ring first).
+
+    The text is cut at the ends of folders, so that a file is read in splits by as many tasks as its size asks for, and a
+    task holds a folder at a time. Of nested folders the inner one's marks are told under the outer one's name.
+    """
     poly = "struct<outerBoundaryIs:struct<LinearRing:struct<coordinates:string>>,innerBoundaryIs:array<struct<LinearRing:struct<coordinates:string>>>>"
     schema = f"name string, ExtendedData struct<Data:array<struct<_name:string,value:string>>>, Polygon {poly}"
     blocks = lambda c, tag: F.regexp_extract_all(c, F.lit(f"(?s)<{tag}[ >].*?</{tag}>"), F.lit(0))
-    folders = spark.read.text(path, wholetext=True).select(F.explode(blocks("value", "Folder")).alias("f"))
+    text = spark.read.option("lineSep", "</Folder>").text(path)
+    folders = text.select(F.regexp_extract("value", r"(?s)<Folder[ >].*", 0).alias("f")).where("f <> ''")
     marks = folders.select(
         F.trim(F.regexp_extract("f", r"(?s)<name>(.*?)</name>", 1)).alias("folder"), F.explode(blocks("f", "Placemark")).alias("m")
     )
