@@ -12,11 +12,10 @@ _CUT = "CASE WHEN {m} THEN NULL ELSE {c} END"
 
 
 def snapshots(spark, d):
-    o = table(spark, d, "orders").selectExpr(
+    old = table(spark, d, "orders").selectExpr(
         "concat('f', o_orderkey % 6) as file", "concat('g', o_orderkey % 30) as grp", "o_orderkey as k", "o_orderstatus as status",
         "o_orderpriority as priority"
     )
-    old = o.where("k % 2 = 0")
     new = old.where("not (file = 'f4' and k % 3 <> 0)").withColumns(
         {
             "status": F.expr("CASE WHEN grp = 'g6' THEN null ELSE status END"),
@@ -26,7 +25,7 @@ def snapshots(spark, d):
     return old, new
 
 
-@query("q01_retention", """WITH o AS (SELECT 'f' || (o_orderkey % 6)::VARCHAR AS file, 'g' || (o_orderkey % 30)::VARCHAR AS grp, o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 0),
+@query("q01_retention", """WITH o AS (SELECT 'f' || (o_orderkey % 6)::VARCHAR AS file, 'g' || (o_orderkey % 30)::VARCHAR AS grp, o_orderkey AS k FROM orders),
 n AS (SELECT *, grp <> 'g6' AS st, NOT (file = 'f2' OR (file = 'f0' AND k % 5 < 3)) AS pr FROM o WHERE NOT (file = 'f4' AND k % 3 <> 0)),
 f AS (SELECT o.file, count(*) AS was, (SELECT count(*) FROM n WHERE n.file = o.file) AS recs, (SELECT count(*) FILTER (st) FROM n WHERE n.file = o.file) AS st, (SELECT count(*) FILTER (pr) FROM n WHERE n.file = o.file) AS pr FROM o GROUP BY 1),
 x AS (SELECT file, NULL AS grp, 'status' AS field, was, st AS now FROM f UNION ALL SELECT file, NULL, 'priority', was, pr FROM f),
