@@ -150,6 +150,9 @@ def format_chats(turns: DataFrame, template: ChatTemplate | None = None) -> Data
 def read_chats(segments: DataFrame, template: ChatTemplate | None = None, in_order: bool = False) -> DataFrame:
     """Segments → one row per conversation: what its formatted text and loss mask give back. A task holds one conversation at a time.
 
+    Segments are those of format_chats, whose texts are not null; an empty table gives no rows, other columns are ignored,
+    and a null conv_id is a conversation of its own. Conversations whose segments repeat, or do not read as turns by the
+    template, raise.
     in_order: the rows come straight from format_chats; else they are dealt out and sorted by conv_id and segment_no.
     """
     template = template or ChatTemplate()
