@@ -59,3 +59,15 @@ def test_no_boxes_and_null_bounds(spark):
     none = boxes_df(spark, []).unionByName(boxes_df(spark, [(0, 0, 1, 1)]).withColumn("min_x", F.lit(None).cast("double")))
     grid = C.grid_of(none)
     assert grid.levels == [] and grid.boxes.count() == 0
+
+
+def test_pairs_of_mixed_sizes_meet_once(spark):
+    """A county, lots and their shifted copies: every pair whose boxes meet, once; the pairs tried stay near the pairs that meet."""
+    rnd = random.Random(5)
+    own = [(0, 0, 1000, 1000), *((x, y, x + s, y + s) for x, y, s in ((rnd.uniform(500, 520), rnd.uniform(500, 520), rnd.choice([0.01, 0.5, 4])) for _ in range(700)))]
+    other = [(x0 + 0.3, y0 + 0.3, x1 + 0.3, y1 + 0.3) for x0, y0, x1, y1 in own] + [(5000, 5000, 5001, 5001)]
+    side = lambda boxes, p: boxes_df(spark, boxes).withColumnsRenamed({"feature_id": f"{p}_id", **{c: f"{p}_{c}" for c in C.BOUNDS}})
+    got = sorted((r.a_id, r.b_id) for r in C.pairs_by_cell(side(own, "a"), side(other, "b")).collect())
+    meet = lambda p, q: max(p[0], q[0]) <= min(p[2], q[2]) and max(p[1], q[1]) <= min(p[3], q[3])
+    assert got == sorted((i, k) for i, p in enumerate(own) for k, q in enumerate(other) if meet(p, q))
+    assert C.pairs_by_cell(side([], "a"), side(other, "b")).count() == 0

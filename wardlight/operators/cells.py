@@ -56,6 +56,40 @@ def _parts(dense: DataFrame) -> DataFrame:
 BOUNDS = ["min_x", "min_y", "max_x", "max_y"]
 
 
+def level_of() -> Column:
+    """The level of a box: that of its longer side."""
+    size = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+    far = F.greatest(*[F.abs(c) for c in BOUNDS])
+    return F.ceil(F.log(F.greatest(size, far * 1e-9, F.lit(1e-12)) / 1.3) / F.log(F.lit(4.0))).cast("int")
+
+
+def _span(lo: str, hi: str) -> tuple[Column, Column]:
+    return cell_of(F.col(lo), F.col("_side")), cell_of(F.col(hi), F.col("_side"))
+
+
+def pairs_by_cell(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a, b with bounds (a_min_x, …; b_min_x, …) → pairs of rows whose boxes meet, each once.
+
+    A box lies in the cells of its own level and of each coarser level in use; a pair meets at the coarser of its two
+    levels, in the cell where the boxes' common part begins. So ten thousand lots under one county are paired with it, and
+    with each other only where they are near. The levels in use come to the driver, one row each.
+    """
+    own = {p: df.withColumnsRenamed({f"{p}_{c}": c for c in BOUNDS}).where("min_x <= max_x and min_y <= max_y").withColumn("_own", level_of()) for p, df in (("a", a), ("b", b))}
+    levels = sorted(r._own for r in own["a"].select("_own").unionByName(own["b"].select("_own")).distinct().collect())
+    used = F.array(*[F.lit(x) for x in levels]).cast("array<int>")
+
+    def spread(p: str) -> DataFrame:
+        at = own[p].withColumn("_level", F.explode(F.filter(used, lambda x: x >= F.col("_own")))).withColumn("_side", side_of(F.col("_level")))
+        every = _spread(at, _span("min_x", "max_x"), _span("min_y", "max_y")).withColumnsRenamed({c: f"{p}_{c}" for c in (*BOUNDS, "_own")})
+        return every.drop("_side")
+
+    side = side_of(F.col("_level"))
+    begins = [cell_of(F.greatest(f"a_min_{c}", f"b_min_{c}"), side) == F.col(f"_c{c}") for c in ("x", "y")]
+    meets = [F.greatest(f"a_min_{c}", f"b_min_{c}") <= F.least(f"a_max_{c}", f"b_max_{c}") for c in ("x", "y")]
+    met = spread("a").join(spread("b"), KEYS).where(begins[0] & begins[1] & meets[0] & meets[1] & (F.greatest("a__own", "b__own") == F.col("_level")))
+    return met.drop(*KEYS, "a__own", "b__own")
+
+
 def grid_of(boxes: DataFrame, most: int = MOST) -> Grid:
     """boxes (min_x, min_y, max_x, max_y, …) → their grid. Boxes with a null bound are left out.
 
@@ -66,13 +100,9 @@ def grid_of(boxes: DataFrame, most: int = MOST) -> Grid:
     another stay together. Splitting works on the different bounds alone, in tables of the shared folder, FINEST times at
     most; one row a level comes to the driver, and one more for each turn.
     """
-    size = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
-    far = F.greatest(*[F.abs(c) for c in BOUNDS])
-    level = F.ceil(F.log(F.greatest(size, far * 1e-9, F.lit(1e-12)) / 1.3) / F.log(F.lit(4.0))).cast("int")
-    span = lambda lo, hi: (cell_of(F.col(lo), F.col("_side")), cell_of(F.col(hi), F.col("_side")))
     good = boxes.where("min_x <= max_x and min_y <= max_y")
     spread = lambda df: _spread(
-        df.withColumn("_level", level).withColumn("_side", side_of(F.col("_level"))), span("min_x", "max_x"), span("min_y", "max_y")
+        df.withColumn("_level", level_of()).withColumn("_side", side_of(F.col("_level"))), _span("min_x", "max_x"), _span("min_y", "max_y")
     )
     cuts = ~(
         (F.col("min_x") <= F.col("_cx") * F.col("_side")) & (F.col("max_x") >= (F.col("_cx") + 1) * F.col("_side")) &

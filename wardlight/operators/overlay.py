@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from wardlight.operators.cells import BOUNDS, pairs_by_cell
 from wardlight.operators.spatial import bounding_boxes, boxes_by_cell, fitted_side, ring_pairs
 from wardlight.tables import written
 
@@ -78,21 +79,13 @@ def overlap_area(a: pa.Array, b: pa.Array) -> pa.Array:
 def overlay_areas(a: DataFrame, b: DataFrame, least: float = 1e-12) -> DataFrame:
     """a, b (feature_id, polygons) → a_id, b_id, area_a, area_b, shared, iou, share_a: pairs that share more than `least`.
 
-    Pairs meet by the cells that their boxes have in common and are tried once, in the cell where the boxes' common part
-    begins, so that nothing is made distinct afterwards. Rings of a feature count by the even-odd rule: holes are left
+    Pairs whose boxes meet are tried once (see cells.pairs_by_cell), so that nothing is made distinct afterwards. Rings of a feature count by the even-odd rule: holes are left
     out, and parts must not overlap each other. share_a: the part of a that lies in b.
     """
     boxed = lambda df, p: bounding_boxes(
         df.select(F.col("feature_id").alias(p + "_id"), edge_list(F.col("polygons")).alias(p + "_edges"), "polygons")
-    )
-    side = fitted_side(bounding_boxes(a.select("polygons")).unionByName(bounding_boxes(b.select("polygons"))))
-    renamed = lambda df, p: boxes_by_cell(df, side).withColumnsRenamed(
-        {c: f"{p}_{c}" for c in ("min_x", "min_y", "max_x", "max_y")}
-    ).drop("_side" if p == "b" else "")
-    met = renamed(boxed(a, "a"), "a").join(renamed(boxed(b, "b"), "b"), ["cx", "cy"])
-    begins = [F.floor(F.greatest(f"a_min_{c}", f"b_min_{c}") / F.col("_side")).cast("long") == F.col(f"c{c}") for c in ("x", "y")]
-    meets = [F.greatest(f"a_min_{c}", f"b_min_{c}") <= F.least(f"a_max_{c}", f"b_max_{c}") for c in ("x", "y")]
-    pairs = met.where(begins[0] & begins[1] & meets[0] & meets[1])
+    ).withColumnsRenamed({c: f"{p}_{c}" for c in BOUNDS})
+    pairs = pairs_by_cell(boxed(a, "a"), boxed(b, "b"))
     own = lambda c: overlap_area(F.col(c), F.col(c))
     out = pairs.select(
         "a_id", "b_id", overlap_area("a_edges", "b_edges").alias("shared"), own("a_edges").alias("area_a"),
