@@ -261,15 +261,18 @@ def repair(turns: DataFrame) -> DataFrame:
 
 def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A conversation's edits, then its rows in order → the edited rows."""
-    now, edits, faults, at, row, state = object(), "", "", 0, 0, 0
+    now, parts, edits, faults, at, row, state = object(), [], "", "", 0, 0, 0
     for batch in batches:
         out, of = [], []
         for i, (conv, more, marks, role, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("conv_id", "edits", "faults", "role", "text")), strict=True)):
             if conv != now:
-                now, edits, faults, at, row, state = conv, "", "", 0, 0, 0
+                now, parts, at, row, state = conv, [], 0, 0, 0
             if more is not None:
-                edits, faults = edits + more, faults + marks
+                parts.append((more, marks))
                 continue
+            if parts:  # the conversation's first row: all its edits have come
+                edits, faults = ("".join(x) for x in zip(*parts, strict=True))
+                parts = []
             last = row + 1 == len(faults)
             while True:
                 edit = edits[at]
