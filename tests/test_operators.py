@@ -249,3 +249,8 @@ def test_overlay_areas_against_sample_points(spark):
         a, b = star(0, 0), star(r.uniform(-0.5, 0.5), 0.2)
         n = sum(inside(a, x, y) and inside(b, x, y) for x, y in ((-1 + (i + 0.5) / 50, -1 + (j + 0.5) / 50) for i in range(100) for j in range(100)))
         assert abs(shared_area(a, b) - n * 4e-4) < 0.02
+
+
+def test_a_long_house_number_is_an_address(spark):
+    rows = spark.createDataFrame([(1, "1234567 Elm Street"), (2, "12 Oak Ave"), (3, "room 4")], "id int, note string")
+    assert sorted(r.id for r in Q.privacy(rows, "id", ["note"]).collect()) == [1, 2]

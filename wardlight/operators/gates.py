@@ -294,7 +294,7 @@ def privacy(
         c = F.col(f)
         checks.append(
             F.when(
-                c.rlike(r"(?i)^\s*[0-9]{1,5}\s+\S.*\b(street|st|avenue|ave|road|rd|drive|dr|lane|ln|court|ct)\b"),
+                c.rlike(r"(?i)^\s*[0-9]+\s+\S.*\b(street|st|avenue|ave|road|rd|drive|dr|lane|ln|court|ct)\b"),
                 F.struct(F.lit(f).alias("field"), F.lit("street address").alias("problem"))
             )
         )
