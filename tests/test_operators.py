@@ -254,3 +254,23 @@ def test_overlay_areas_against_sample_points(spark):
 def test_a_long_house_number_is_an_address(spark):
     rows = spark.createDataFrame([(1, "1234567 Elm Street"), (2, "12 Oak Ave"), (3, "room 4")], "id int, note string")
     assert sorted(r.id for r in Q.privacy(rows, "id", ["note"]).collect()) == [1, 2]
+
+
+def test_a_segment_walked_both_ways_is_judged_as_in_sql(spark):
+    """Both directions of a border round differently; the distances are SQL's to the last digit, and so is the nearest."""
+    k = F.col("id")
+    ends = spark.range(8).select(
+        F.explode(F.array(F.lit(0), F.lit(100))).alias("turn"), k.alias("k"), (k * 0.61).alias("x0"), (k * 0.37 + 0.1).alias("y0"), (k * 0.53 + 0.7).alias("x1"), (k * 0.71 + 0.3).alias("y1")
+    )
+    edges = ends.selectExpr(
+        "k + turn as eid", "if(turn = 0, x0, x1) as ax", "if(turn = 0, y0, y1) as ay", "if(turn = 0, x1, x0) as bx", "if(turn = 0, y1, y0) as by"
+    )
+    points = spark.range(3000).select(k.alias("pid"), (k * 7919 % 1009 * 5.0 / 1009).alias("x"), (k * 104729 % 997 * 5.0 / 997).alias("y"))
+    p, e = points.toPandas(), edges.toPandas()  # noqa: F841  DuckDB reads them
+    sql = """WITH f AS (SELECT *, greatest(0, least(1, ((x-ax)*(bx-ax)+(y-ay)*("by"-ay))/((bx-ax)*(bx-ax)+("by"-ay)*("by"-ay)))) AS t FROM p, e),
+        g AS (SELECT pid, eid, sqrt(pow(x-(ax+t*(bx-ax)),2)+pow(y-(ay+t*("by"-ay)),2)) AS dist FROM f)
+        SELECT pid, arg_min(eid, {'d': dist, 'e': eid}), min(dist) FROM g GROUP BY pid"""
+    import duckdb
+
+    want = sorted(duckdb.sql(sql).fetchall())
+    assert sorted(tuple(r) for r in P.nearest_segment(points, edges).collect()) == want

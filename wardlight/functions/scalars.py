@@ -217,12 +217,19 @@ def densify(ax: Column, ay: Column, bx: Column, by: Column, step: float) -> Colu
     return F.transform(F.sequence(F.lit(0), n), lambda k: F.struct((ax + (bx - ax) * k / n).alias("x"), (ay + (by - ay) * k / n).alias("y")))
 
 
+def distance(dx: Column, dy: Column) -> Column:
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def segment_foot(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """struct(x, y, dist): the nearest point of a segment, clamped to its ends."""
+    """struct(x, y, dist): the nearest point of a segment, clamped to its ends.
+
+    dist is the root of the squares, as in SQL, and not hypot, whose last digit may differ and decide between equal neighbours.
+    """
     dx, dy = bx - ax, by - ay
     span = dx * dx + dy * dy
     t = F.when(span == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / span)))
-    return F.struct((ax + t * dx).alias("x"), (ay + t * dy).alias("y"), F.hypot(px - (ax + t * dx), py - (ay + t * dy)).alias("dist"))
+    return F.struct((ax + t * dx).alias("x"), (ay + t * dy).alias("y"), distance(px - (ax + t * dx), py - (ay + t * dy)).alias("dist"))
 
 
 def chord_deviation(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
