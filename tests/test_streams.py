@@ -48,6 +48,23 @@ def test_time_alone_changes_verdicts(spark):
         assert now.verdict == verdict, (job, at)
 
 
+def test_runs_of_one_time_are_judged_together(spark):
+    """Copies of a run and a failed run beside a good one at its time tell one verdict, the same in the batch operator."""
+    schema = "job string, status string, conclusion string, created_at timestamp"
+    run = lambda at, c: ("a", "completed", c, day(at))
+    runs = [run(0, "success"), run(1, "success"), run(1, "failure"), run(1, "cancelled"), run(2, "cancelled"), run(2, "success"), run(3, "success")]
+    jobs = spark.createDataFrame(
+        [("a", 7, "active", None, None)], "job string, cadence_days int, state string, created timestamp, code_at timestamp"
+    )
+    out = tempfile.mkdtemp(prefix="spark-")
+    found = T.health_verdicts(batches(spark, schema, runs), jobs, "1 hour")
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", tempfile.mkdtemp(prefix="spark-")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.job, r.at, r.verdict) for r in spark.read.parquet(out).collect())
+    assert got == [("a", day(0), "OK"), ("a", day(1), "FAILING"), ("a", day(2), "OK")]
+    now = run_health(spark.createDataFrame([r for r in runs if r[3] <= day(1)], schema), jobs, F.lit(day(1))).where("job = 'a'").first()
+    assert now.verdict == "FAILING"
+
+
 def test_an_epoch_is_published_once(spark):
     """Replayed from a lost checkpoint nothing is published again; an epoch that was begun and not finished is repeated, over what it wrote."""
     stream = lambda: batches(spark, "x int", [(1,), (2,)], [(3,)])

@@ -494,10 +494,11 @@ def first_claim(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def run_health(runs: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
-    """runs (job, status, conclusion, created_at), jobs (job, cadence_days, state, created, code_at) → job, verdict, age."""
+    """runs (job, status, conclusion, created_at), jobs (job, cadence_days, state, created, code_at) → job, verdict, age. Of runs at one time a failed one is the latest."""
+    passing = ["success", "cancelled", "skipped"]
     done = runs.where("status = 'completed'")
     g = done.groupBy("job").agg(
-        F.max_by("conclusion", "created_at").alias("latest"), F.max("created_at").alias("latest_at"),
+        F.max_by("conclusion", F.struct("created_at", (~F.coalesce("conclusion", F.lit("")).isin(passing)).alias("fails"))).alias("latest"), F.max("created_at").alias("latest_at"),
         F.max(F.when(F.col("conclusion") == "success", F.col("created_at"))).alias("ok_at")
     )
     j = jobs.join(g, "job", "left")
@@ -506,7 +507,7 @@ def run_health(runs: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
     age = days(F.col("ok_at"))
     young = F.coalesce(days(F.col("created")) <= cadence, F.lit(False))
     stale = age.isNull() | (age > cadence * 2 + 2)
-    failing = ~F.coalesce(F.col("latest"), F.lit("")).isin("success", "cancelled", "skipped")
+    failing = ~F.coalesce(F.col("latest"), F.lit("")).isin(passing)
     verdict = (
         F.when(F.coalesce("state", F.lit("active")) != "active", "DISABLED").when(
             F.col("latest_at").isNull(), F.when(young, "NEW").otherwise("SILENT")
