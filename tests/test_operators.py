@@ -274,3 +274,19 @@ def test_a_segment_walked_both_ways_is_judged_as_in_sql(spark):
 
     want = sorted(duckdb.sql(sql).fetchall())
     assert sorted(tuple(r) for r in P.nearest_segment(points, edges).collect()) == want
+
+
+def test_points_keep_their_rows_while_lists_are_dealt_in_parts(spark, monkeypatch):
+    """With lists of two features, levels and parts are met one after the other; no point is grouped, joined with itself or lost, null and repeated ids not."""
+    monkeypatch.setattr(P, "PART", 2)
+    box = lambda a, s: [[[a, a], [a + s, a], [a + s, a + s], [a, a + s], [a, a]]]
+    f = layer(spark, *[(k, [box(0.0, 4.0)]) for k in range(7)], (50, [box(0.0, 200.0)]), (60, [box(1.0, 0.125)]))
+    pts = spark.createDataFrame([(1, 1.0625, 1.0625), (2, 3.0, 3.0), (3, 100.0, 9.0), (None, 100.0, 9.0), (3, -1.0, 1.0), (4, None, 1.0)], "pid long, x double, y double")
+    got = P.classify_status(pts, f)
+    want = [(1, 9, "MULTI", None), (2, 8, "MULTI", None), (3, 1, "OK", 50), (None, 1, "OK", 50), (3, 0, "NONE", None), (4, 0, "NONE", None)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [pid" not in plan and "Join LeftOuter, (pid" not in plan
+    first = f.withColumns({"entry_order": F.lit(1) + F.col("feature_id") % 3, "source": F.lit("s"), "available": F.lit(True)})
+    assert sorted((r.pid, r.feature_id) for r in P.dispatch(pts.where("pid < 4 and x > 0"), first).collect()) == [(1, 0), (2, 0), (3, 50)]
+    assert sorted(r.pid for r in P.carve_out(pts.where("pid < 4 and x > 0"), f.where("feature_id = 50"), f.where("feature_id < 7")).collect()) == [3]

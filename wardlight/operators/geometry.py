@@ -10,7 +10,9 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from wardlight.functions.scalars import chord_deviation, densify, norm_alnum
 from wardlight.operators.components import components
 from wardlight.operators.rosters import population_rollup, reconcile_partition
-from wardlight.operators.spatial import bounding_boxes, classify, classify_status, edge_measures, interior_points, nearest_segment, ring_edges, ring_measures
+from wardlight.operators.spatial import (
+    bounding_boxes, classify, classify_status, edge_measures, fold_hits, interior_points, nearest_segment, ring_edges, ring_measures, with_held, with_status
+)
 from wardlight.tables import written
 
 RING = ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))
@@ -218,8 +220,8 @@ def spikes(edges: DataFrame, deviation: float, chord: float) -> DataFrame:
 
 def check_anchors(anchors: DataFrame, features: DataFrame) -> DataFrame:
     """anchors (pid, x, y, expected; null: must miss) → with got, status and ok."""
-    got = classify_status(anchors, features).select("pid", "status", F.col("feature_id").alias("got"))
-    return anchors.join(got, "pid").withColumn(
+    got = with_status(anchors, features).withColumnRenamed("feature_id", "got").drop("n")
+    return got.withColumn(
         "ok",
         F.when(F.col("expected").isNull(), F.col("status") == "NONE").otherwise((F.col("status") == "OK") & (F.col("got") == F.col("expected")))
     )
@@ -246,9 +248,9 @@ def check_envelope(features: DataFrame, box: tuple[float, float, float, float])
 
 def agreement(points: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: points, share with equal status and key in both layers, and double hits in b."""
-    sa = classify_status(points, a).select("pid", F.concat_ws("/", "status", "feature_id").alias("a"))
-    sb = classify_status(points, b).select("pid", F.concat_ws("/", "status", "feature_id").alias("b"), F.col("n").alias("hits"))
-    return sa.join(sb, "pid").agg(
+    sa = with_status(points.select("x", "y"), a).select("x", "y", F.concat_ws("/", "status", "feature_id").alias("a"))
+    sb = with_status(sa, b).select("a", F.concat_ws("/", "status", "feature_id").alias("b"), F.col("n").alias("hits"))
+    return sb.agg(
         F.count("*").alias("n"), F.avg(F.col("a").eqNullSafe(F.col("b")).cast("double")).alias("share"),
         F.count_if(F.col("hits") > 1).alias("doubles")
     )
@@ -271,10 +273,7 @@ def edge_multiplicity(units: DataFrame) -> DataFrame:
 
 def tiling_report(samples: DataFrame, features: DataFrame, outline: DataFrame) -> DataFrame:
     """One row over sample points: in the outline, covered once, never, more than once, and covered outside (spill)."""
-    inside = classify(
-        samples.select("pid", "x", "y"), outline.select(F.col("feature_id").alias("o"), "polygons")
-    ).select("pid").distinct().withColumn("in_parent", F.lit(True))
-    s = classify_status(samples, features).join(inside, "pid", "left").withColumn("in_parent", F.coalesce("in_parent", F.lit(False)))
+    s = with_status(with_held(samples.select("x", "y"), outline, "in_parent"), features)
     return s.agg(
         F.count_if("in_parent").alias("parent"), F.count_if(F.col("in_parent") & (F.col("n") == 1)).alias("once"),
         F.count_if(F.col("in_parent") & (F.col("n") == 0)).alias("cracks"), F.count_if(F.col("n") > 1).alias("overlaps"),
@@ -284,17 +283,19 @@ def tiling_report(samples: DataFrame, features: DataFrame, outline: DataFrame) -
 
 def overlap_pairs(samples: DataFrame, features: DataFrame) -> DataFrame:
     """Sample points that two features share, by pair."""
-    hits = classify(samples.select("pid", "x", "y"), features.select("feature_id", "polygons"))
-    sets = hits.groupBy("pid").agg(F.array_sort(F.collect_set("feature_id")).alias("s")).where(F.size("s") > 1)
+    ids = features.select("feature_id", "polygons")
+    none = F.array().cast(ids.select(F.array("feature_id").alias("s")).schema["s"].dataType)
+    hits = fold_hits(samples.select("x", "y"), ids, {"s": none}, lambda found: {"s": F.concat("s", F.transform(found, lambda f: f["feature_id"]))})
+    sets = hits.select(F.array_sort(F.array_distinct("s")).alias("s")).where(F.size("s") > 1)
     pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     return sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
 
 
 def fill_gaps(cells: DataFrame, features: DataFrame, reach: float | None = None) -> DataFrame:
     """cells (pid, x, y) that no feature owns → pid, owner: the feature whose boundary is nearest (within reach, if given)."""
-    free = classify_status(cells, features).where("n = 0").select("pid")
+    free = with_status(cells, features).where("n = 0").select(*cells.columns)
     edges = ring_edges(features.select("feature_id", "polygons")).withColumn("eid", F.struct("feature_id", "polygon_idx", "ring_idx", "seq"))
-    found = nearest_segment(cells.join(free, "pid", "left_semi"), edges)
+    found = nearest_segment(free, edges)
     own = found if reach is None else found.where(F.col("dist") <= reach)
     return own.select("pid", F.col("eid.feature_id").alias("owner"), "dist")
 
@@ -370,13 +371,8 @@ def fill_holes(rings: DataFrame, probes: DataFrame) -> DataFrame:
 
 def clip_report(samples: DataFrame, features: DataFrame, outline: DataFrame) -> DataFrame:
     """Per feature: sample points, and the share outside the parent."""
-    hits = classify(samples.select("pid", "x", "y"), features.select("feature_id", "polygons"))
-    parent = classify(
-        samples.select("pid", "x", "y"), outline.select(F.col("feature_id").alias("o"), "polygons")
-    ).select("pid").distinct().withColumn("inside", F.lit(1))
-    return hits.join(parent, "pid", "left").groupBy("feature_id").agg(
-        F.count("*").alias("n"), F.avg(F.when(F.col("inside").isNull(), 1.0).otherwise(0.0)).alias("outside")
-    )
+    hits = classify(with_held(samples.select("x", "y"), outline, "inside"), features.select("feature_id", "polygons"))
+    return hits.groupBy("feature_id").agg(F.count("*").alias("n"), F.avg(F.when(F.col("inside"), 0.0).otherwise(1.0)).alias("outside"))
 
 
 def iou(samples: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
@@ -434,7 +430,7 @@ def check_whole_units(fine: DataFrame, coarse: DataFrame, parts: DataFrame) -> D
 
 def adjudicate_blocks(blocks: DataFrame, pieces: DataFrame, expected: DataFrame) -> DataFrame:
     """blocks (pid, x, y, pop) → per piece: population by block points, the published one, ok; blocks in no piece come as a null piece."""
-    got = classify_status(blocks, pieces).join(blocks.select("pid", "pop"), "pid").groupBy(F.col("feature_id").alias("piece")).agg(
+    got = with_status(blocks.select("x", "y", "pop"), pieces).groupBy(F.col("feature_id").alias("piece")).agg(
         F.sum("pop").alias("pop"), F.count("*").alias("blocks")
     )
     e = expected.select("piece", F.col("pop").alias("expected"))
@@ -609,19 +605,15 @@ def membership(shares: DataFrame, split: float = 0.1) -> DataFrame:
 
 def label_hits(labels: DataFrame, units: DataFrame) -> DataFrame:
     """labels (pid, x, y, names): whether the printed label falls in the unit it names."""
-    got = classify_status(labels, units).select("pid", "feature_id")
-    return labels.join(got, "pid").select(
+    return with_status(labels.select("pid", "x", "y", "names"), units).select(
         "pid", "names", F.col("feature_id").alias("got"), F.col("feature_id").eqNullSafe(F.col("names")).alias("ok")
     )
 
 
 def outline_difference(samples: DataFrame, features: DataFrame, outline: DataFrame) -> DataFrame:
     """One row: share of sample points in exactly one of the features' union and the outline."""
-    h = lambda f, c: classify(
-        samples.select("pid", "x", "y"), f.select(F.col("feature_id").alias("f"), "polygons")
-    ).select("pid").distinct().withColumn(c, F.lit(True))
-    both = samples.select("pid").join(h(features, "a"), "pid", "left").join(h(outline, "b"), "pid", "left")
-    return both.agg(F.count("*").alias("n"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differ"))
+    both = with_held(with_held(samples.select("x", "y"), features, "a"), outline, "b")
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("a") != F.col("b")).alias("differ"))
 
 
 def first_owner(cells: DataFrame) -> DataFrame:
