@@ -290,3 +290,24 @@ def test_points_keep_their_rows_while_lists_are_dealt_in_parts(spark, monkeypatc
     first = f.withColumns({"entry_order": F.lit(1) + F.col("feature_id") % 3, "source": F.lit("s"), "available": F.lit(True)})
     assert sorted((r.pid, r.feature_id) for r in P.dispatch(pts.where("pid < 4 and x > 0"), first).collect()) == [(1, 0), (2, 0), (3, 50)]
     assert sorted(r.pid for r in P.carve_out(pts.where("pid < 4 and x > 0"), f.where("feature_id = 50"), f.where("feature_id < 7")).collect()) == [3]
+
+
+def test_boxes_on_one_another_are_asked_by_their_centres(spark, monkeypatch):
+    """The box of the nearest centre that holds the point, as comparing all finds it; points outside, far ones and malformed boxes too, and few points reach the grid."""
+    draw = random.Random(5)
+    boxes = [(k, *(a := (draw.uniform(0, 5), draw.uniform(0, 5))), a[0] + draw.uniform(0.5, 1), a[1] + draw.uniform(0.5, 1)) for k in range(600)]
+    boxes += [(900, -50.0, -50.0, 60.0, 60.0), (901, 1.0, 1.0, 1.0, 2.0), (902, 20.0, 20.0, 20.001, 40.0), (903, 2.0, 3.0, 2.5, 3.5), (904, 2.0, 3.0, 2.5, 3.5)]
+    pts = [(i, draw.uniform(-1, 7), draw.uniform(-1, 7)) for i in range(500)] + [(1000, 20.0005, 39.0), (1001, 99.0, 1.0), (1002, 2.25, 3.25)]
+    keyed, seen = P.Grid.keyed, []
+    monkeypatch.setattr(P.Grid, "keyed", lambda self, p: seen.append(p.count()) or keyed(self, p))
+    got = P.bbox_region(
+        spark.createDataFrame(pts, "pid long, x double, y double"),
+        spark.createDataFrame(boxes, "box_id long, min_x double, min_y double, max_x double, max_y double")
+    )
+    want = {}
+    for i, x, y in pts:
+        held = [((x - (a + c) / 2) ** 2 + (y - (b + e) / 2) ** 2, k) for k, a, b, c, e in boxes if a < c and b < e and a <= x <= c and b <= y <= e]
+        if held:
+            want[i] = min(held)[1]
+    assert {r.pid: r.box_id for r in got.collect()} == want and got.count() == len(want)
+    assert seen and max(seen) < 300

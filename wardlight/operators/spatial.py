@@ -17,6 +17,7 @@ from wardlight.operators.cells import KEYS, Grid, cell_of, grid_of
 from wardlight.tables import written
 
 PART = 4_096  # items of a cell's list that one row holds
+ROUNDS = 3  # of nearest centres before a box is looked for by its extent
 
 
 def ring_pairs(ring: Column) -> Column:
@@ -242,18 +243,19 @@ def fitted_cell(items: DataFrame, boxes: list[Column], per_cell: int) -> float:
 
 def _expanding(
     points: DataFrame, items: DataFrame, boxes: list[Column], far: Callable[[Column], Column], tie: str, n: int, cell: float | None,
-    reach: Column
+    reach: Callable[[float], Column], rest: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
     """points (pid, x, y) → pid, best: the n nearest items as an array of (dist, tie), nearest first, ties by `tie`.
 
     Each cell lists the items whose box comes within one cell of it, in parts of about PART items; a point meets the
-    parts of its own cell's list and sorts those of each that are within one cell (`reach`: the distance that a side of 1
+    parts of its own cell's list and sorts those of each that are within one cell (`reach`: the distance that a side
     stands for), so that no row grows with the items of a dense place. A point with n such items is settled, since
     nothing outside can be nearer; the grid doubles its side for the others, and only for the cells that they lie in,
     until one cell and its neighbours hold every item: then a point has all there is. The first side is fitted to the
     number of items, so that lists stay short however many there are. Where every list is one part, as where the grid
     fits, points are neither multiplied nor grouped. Points are dealt out evenly first, since each costs a list. Each
-    round is written to the shared folder. Points without finite coordinates have no neighbours.
+    round is written to the shared folder. Points without finite coordinates have no neighbours. An item whose distance is
+    null is none for the point. rest: what answers the points that ROUNDS rounds have not settled.
     """
     spark = points.sparkSession
     x0, x1, y0, y1 = boxes
@@ -261,6 +263,7 @@ def _expanding(
     side = cell or fitted_cell(items, boxes, n + 1)
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     todo, done, bounds, first, everything = points.where("x - x = 0 and y - y = 0").repartition(tasks), None, None, True, False
+    turn = 0
     while True:
         near = items.withColumn(
             "cx", F.explode(F.sequence(cell_of(x0, side) - 1, cell_of(x1, side) + 1))
@@ -272,7 +275,7 @@ def _expanding(
         dealt = near.join(parts, ["cx", "cy"]).withColumn("part", F.pmod(F.xxhash64(tie), F.col("parts")).cast("int"))
         lists = dealt.groupBy("cx", "cy", "part").agg(F.first("parts").alias("parts"), F.collect_list(F.struct(*items.columns)).alias("near"))
         told = F.transform("near", lambda s: F.struct(far(s).alias("dist"), s[tie].alias(tie)))
-        told = told if everything else F.filter(told, lambda b: b["dist"] <= reach * side)  # noqa: B023
+        told = F.filter(told, (lambda b: b["dist"].isNotNull()) if everything else lambda b: b["dist"] <= reach(side))  # noqa: B023
         best = F.slice(F.sort_array(told), 1, n).alias("best")
         met = keyed.join(lists, ["cx", "cy"], "left").select("pid", "x", "y", F.coalesce("parts", F.lit(1)).alias("parts"), best)
         if parts.where("parts > 1").isEmpty():
@@ -293,6 +296,9 @@ def _expanding(
         ).first()
         if not left.n:
             return done
+        turn += 1
+        if rest and turn == ROUNDS:
+            return done.unionByName(rest(todo))
         bounds = bounds or items.agg(F.min(x0).alias("x0"), F.max(x1).alias("x1"), F.min(y0).alias("y0"), F.max(y1).alias("y1")).first()
         side, first = side * 2, False
         everything = bounds.x0 is None or side >= max(
@@ -303,7 +309,7 @@ def _expanding(
 def nearest_n(points: DataFrame, sites: DataFrame, n: int = 3, cell: float | None = None) -> DataFrame:
     """points (pid, x, y) × sites (sid, sx, sy) → pid, rank, sid, dist: the n nearest, ties by sid, planar distance; fewer where there are no more."""
     far = lambda s: distance(F.col("x") - s["sx"], F.col("y") - s["sy"])
-    return _ranked(points, sites, far, n, cell, F.lit(1.0))
+    return _ranked(points, sites, far, n, cell, F.lit)
 
 
 def nearest_n_globe(points: DataFrame, sites: DataFrame, n: int = 3, cell: float | None = None) -> DataFrame:
@@ -312,20 +318,20 @@ def nearest_n_globe(points: DataFrame, sites: DataFrame, n: int = 3, cell: float
     A cell is at least as wide as its narrower side at 60 degrees of latitude, which bounds what lies outside.
     """
     far = lambda s: haversine(F.col("y"), F.col("x"), s["sy"], s["sx"])
-    return _ranked(points, sites, far, n, cell, F.lit(110_000.0) * F.cos(F.radians(F.lit(60.0))))
+    return _ranked(points, sites, far, n, cell, lambda side: F.lit(110_000.0 * side) * F.cos(F.radians(F.lit(60.0))))
 
 
 def nearest_lists(points: DataFrame, sites: DataFrame, n: int = 3, cell: float | None = None) -> DataFrame:
     """pid, best: nearest_n's sites of a point as one array of (dist, sid), nearest first; points without any are absent."""
-    return _nearest(points, sites, lambda s: distance(F.col("x") - s["sx"], F.col("y") - s["sy"]), n, cell, F.lit(1.0))
+    return _nearest(points, sites, lambda s: distance(F.col("x") - s["sx"], F.col("y") - s["sy"]), n, cell, F.lit)
 
 
-def _nearest(points: DataFrame, sites: DataFrame, far: Callable[[Column], Column], n: int, cell: float | None, reach: Column) -> DataFrame:
+def _nearest(points: DataFrame, sites: DataFrame, far: Callable[[Column], Column], n: int, cell: float | None, reach: Callable[[float], Column]) -> DataFrame:
     sx, sy = F.col("sx"), F.col("sy")
     return _expanding(points.select("pid", "x", "y"), sites.select("sid", "sx", "sy"), [sx, sx, sy, sy], far, "sid", n, cell, reach)
 
 
-def _ranked(points: DataFrame, sites: DataFrame, far: Callable[[Column], Column], n: int, cell: float | None, reach: Column) -> DataFrame:
+def _ranked(points: DataFrame, sites: DataFrame, far: Callable[[Column], Column], n: int, cell: float | None, reach: Callable[[float], Column]) -> DataFrame:
     best = _nearest(points, sites, far, n, cell, reach)
     return best.select("pid", F.posexplode("best").alias("rank", "b")).select("pid", (F.col("rank") + 1).alias("rank"), "b.sid", "b.dist")
 
@@ -335,7 +341,7 @@ def nearest_segment(points: DataFrame, edges: DataFrame, cell: float | None = No
     raw = lambda s: segment_foot(F.col("x"), F.col("y"), s["ax"], s["ay"], s["bx"], s["by"])["dist"]
     far = raw if digits is None else lambda s: F.round(raw(s), digits)
     boxes = [F.least("ax", "bx"), F.greatest("ax", "bx"), F.least("ay", "by"), F.greatest("ay", "by")]
-    best = _expanding(points.select("pid", "x", "y"), edges.select("eid", "ax", "ay", "bx", "by"), boxes, far, "eid", 1, cell, F.lit(1.0))
+    best = _expanding(points.select("pid", "x", "y"), edges.select("eid", "ax", "ay", "bx", "by"), boxes, far, "eid", 1, cell, F.lit)
     return best.select("pid", F.col("best")[0]["eid"].alias("eid"), F.col("best")[0]["dist"].alias("dist"))
 
 
@@ -348,11 +354,26 @@ def area_share(samples: DataFrame, units: DataFrame, districts: DataFrame, cell:
 
 
 def bbox_region(points: DataFrame, boxes: DataFrame, cell: float | None = None) -> DataFrame:
-    """The box (box_id, min_x, min_y, max_x, max_y) that holds a point, of several the one with the nearest centre; malformed boxes are skipped."""
-    grid = _grid(boxes.where("min_x < max_x and min_y < max_y"), cell)
-    met = grid.keyed(points).join(grid.boxes, KEYS).where("x between min_x and max_x and y between min_y and max_y")
-    far = F.pow(F.col("x") - (F.col("min_x") + F.col("max_x")) / 2, 2) + F.pow(F.col("y") - (F.col("min_y") + F.col("max_y")) / 2, 2)
-    return met.groupBy("pid").agg(F.min_by("box_id", F.struct(far.alias("d"), F.col("box_id").alias("b"))).alias("box_id"))
+    """The box (box_id, min_x, min_y, max_x, max_y) that holds a point, of several the one with the nearest centre; malformed boxes are skipped.
+
+    Where boxes lie on one another a point is in very many of them, but one of the nearest centres mostly holds it: those
+    are asked first, ROUNDS times in cells fitted to the number of boxes. The grid of boxes answers the points that are left.
+    """
+    good = boxes.where("min_x < max_x and min_y < max_y").select(
+        "box_id", "min_x", "min_y", "max_x", "max_y", ((F.col("min_x") + F.col("max_x")) / 2).alias("mx"), ((F.col("min_y") + F.col("max_y")) / 2).alias("my")
+    )
+    x, y, mx, my = F.col("x"), F.col("y"), F.col("mx"), F.col("my")
+    square = lambda bx, by: (x - bx) * (x - bx) + (y - by) * (y - by)
+    far = lambda b: F.when(x.between(b["min_x"], b["max_x"]) & y.between(b["min_y"], b["max_y"]), square(b["mx"], b["my"]))
+
+    def by_extent(todo: DataFrame) -> DataFrame:
+        grid = _grid(good, cell)
+        met = grid.keyed(todo).join(grid.boxes, KEYS).where("x between min_x and max_x and y between min_y and max_y")
+        return met.groupBy("pid").agg(F.array(F.min(F.struct(square(mx, my).alias("dist"), "box_id"))).alias("best"))
+
+    within = lambda side: F.lit(side * side * (1 - 1e-9))
+    best = _expanding(points.select("pid", "x", "y"), good, [mx, mx, my, my], far, "box_id", 1, cell, within, by_extent)
+    return best.select("pid", F.col("best")[0]["box_id"].alias("box_id"))
 
 
 def assign_labels(features: DataFrame, labels: DataFrame, tolerance: float, cell: float | None = None) -> DataFrame:
