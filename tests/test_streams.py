@@ -65,6 +65,15 @@ def test_runs_of_one_time_are_judged_together(spark):
     assert now.verdict == "FAILING"
 
 
+def test_a_session_tells_its_newest_row(spark):
+    """Of each batch the newest row above all before it, nulls aside."""
+    rows = [[("a", 3), ("a", 5), ("a", 5), ("b", None), ("b", 2), ("c", None)], [("a", 4), ("b", 3), ("b", 1), ("c", 0)]]
+    out = tempfile.mkdtemp(prefix="spark-")
+    found = T.latest_only(batches(spark, "session string, seq long", *rows))
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", tempfile.mkdtemp(prefix="spark-")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [("a", 5), ("b", 2), ("b", 3), ("c", 0)]
+
+
 def test_an_epoch_is_published_once(spark):
     """Replayed from a lost checkpoint nothing is published again; an epoch that was begun and not finished is repeated, over what it wrote."""
     stream = lambda: batches(spark, "x int", [(1,), (2,)], [(3,)])

@@ -29,12 +29,17 @@ def latest_only(selections: DataFrame, minutes: int | None = None) -> DataFrame:
             state.remove()
             return
         seen = state.get[0] if state.exists else -1
-        rows = pd.concat(list(parts)).sort_values("seq")
-        fresh = rows[rows["seq"] > seen].drop_duplicates("seq")
-        state.update((max(seen, int(rows["seq"].max())),))
+        newest, best = None, seen
+        for part in parts:
+            seqs = part["seq"].to_numpy()
+            at = seqs.argmax() if seqs.dtype.kind == "i" else part["seq"].fillna(-1).to_numpy().argmax()
+            if seqs[at] > best:
+                newest, best = part.iloc[[at]], int(seqs[at])
+        state.update((best,))
         if minutes is not None:
             state.setTimeoutDuration(minutes * 60_000)
-        yield fresh.tail(1)[columns]
+        if newest is not None:
+            yield newest[columns]
 
     return selections.groupBy("session").applyInPandasWithState(
         newer, selections.schema, "seq long", "append",
