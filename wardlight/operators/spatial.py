@@ -225,7 +225,7 @@ def envelope_filter(points: DataFrame, min_x: float, min_y: float, max_x: float,
     return points.where(F.col("x").between(min_x, max_x) & F.col("y").between(min_y, max_y))
 
 
-def fitted_cell(items: DataFrame, boxes: list[Column], per_cell: int) -> float:
+def fitted_cell(items: DataFrame, boxes: list[Column], per_cell: float) -> float:
     """Side of a square cell that holds about per_cell items over their bounding box, no smaller than the average item.
 
     boxes: the items' least x, greatest x, least y and greatest y. One row of aggregates comes to the driver.
@@ -260,7 +260,7 @@ def _expanding(
     spark = points.sparkSession
     x0, x1, y0, y1 = boxes
     items = items.where(" and ".join(f"{c} - {c} = 0" for c in items.columns if c != tie))
-    side = cell or fitted_cell(items, boxes, n + 1)
+    side = cell or fitted_cell(items, boxes, (n + 1) / 2)
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     todo, done, bounds, first, everything = points.where("x - x = 0 and y - y = 0").repartition(tasks), None, None, True, False
     turn = 0
