@@ -311,3 +311,13 @@ def test_boxes_on_one_another_are_asked_by_their_centres(spark, monkeypatch):
             want[i] = min(held)[1]
     assert {r.pid: r.box_id for r in got.collect()} == want and got.count() == len(want)
     assert seen and max(seen) < 300
+
+
+def test_points_are_dealt_out_by_their_count_before_they_are_made_distinct(spark, sf, monkeypatch):
+    from wardlight.plans import base
+
+    monkeypatch.setattr(base, "POINTS_A_TASK", 500)
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    own = base.points(spark, sf)
+    assert own.rdd.getNumPartitions() == -(-n // 500) > spark.sparkContext.defaultParallelism
+    assert own.count() == own.select("pid").distinct().count()
