@@ -321,3 +321,17 @@ def test_points_are_dealt_out_by_their_count_before_they_are_made_distinct(spark
     own = base.points(spark, sf)
     assert own.rdd.getNumPartitions() == -(-n // 500) > spark.sparkContext.defaultParallelism
     assert own.count() == own.select("pid").distinct().count()
+
+
+def test_a_layer_under_a_layer_of_polygons_joins_no_points(spark):
+    from wardlight.operators import layers as L
+
+    square = lambda i, x: (i, f"u{i}", [[[(x, 0.0), (x + 1, 0.0), (x + 1, 1.0), (x, 1.0), (x, 0.0)]]])
+    f = spark.createDataFrame([square(1, 0.0), square(2, 1.0)], "feature_id long, name string, polygons array<array<array<struct<x:double,y:double>>>>")
+    p = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 0.5), (3, 9.0, 9.0)], "pid long, x double, y double")
+    parent = L.polygon_layer("parent", f.where("feature_id = 2"))
+    found = L.sub_layer(L.polygon_layer("child", f), parent).query(p)
+    assert [tuple(r) for r in found.collect()] == [(2, "OK", "2", "u2")]
+    assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()
+    bare = L.LayerSpec("bare", parent.query)  # a layer that tells its hits only as rows
+    assert L.sub_layer(L.polygon_layer("child", f), bare).query(p).collect() == found.collect()
