@@ -335,3 +335,16 @@ def test_a_layer_under_a_layer_of_polygons_joins_no_points(spark):
     assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()
     bare = L.LayerSpec("bare", parent.query)  # a layer that tells its hits only as rows
     assert L.sub_layer(L.polygon_layer("child", f), bare).query(p).collect() == found.collect()
+
+
+def test_points_with_lists_of_officers_come_unit_by_unit(spark):
+    from wardlight.operators import layers as L
+
+    f = layer(spark, *[(k, [[[[float(k), 0.0], [k + 1.0, 0.0], [k + 1.0, 1.0], [float(k), 1.0], [float(k), 0.0]]]]) for k in range(5)])
+    pts = at(spark, *[(i % 6 + 0.5, 0.5) for i in range(600)])
+    officers = spark.createDataFrame([(k, f"n{k}{i}") for k in range(4) for i in (1, 0)], "district int, name string")
+    found = L.identity_layer("unit", f, officers).query(pts).withColumn("task", F.spark_partition_id()).collect()
+    want = {k: ("OK", str(k), f"n{k}0, n{k}1" if k < 4 else None) for k in range(5)} | {5: ("NONE", None, None)}
+    assert sorted((r.pid, r.status, r.district, r.holder) for r in found) == [(i, *want[i % 6]) for i in range(600)]
+    runs = [(r.task, r.district) for i, r in enumerate(found) if not i or (r.task, r.district) != (found[i - 1].task, found[i - 1].district)]
+    assert len(runs) == len(set(runs)) and len({t for t, _ in runs}) > 1
