@@ -780,3 +780,16 @@ def test_pipeline_stages_on_empty_tables_nulls_and_clashing_columns(spark, sf):
             assert out.where("doc_id is null").count() == 3 and out.where("text is null").count() == 2
         if name == "ngram_jaccard_join":
             assert n < some.count() and out.where("doc_id < 5 and trim(text) <> ''").groupBy("doc_id").count().where("count > 1").count() == 0
+
+
+def test_salts_meet_in_rows_of_many_windows(spark, monkeypatch):
+    """One passage in 120 contexts: what its salts keep is listed, not a row for each of a text's windows."""
+    monkeypatch.setattr(substrings, "PER_SALT", 40)
+    shared, contest, seen = words(55, 904, 3000), substrings._contest, []
+    monkeypatch.setattr(substrings, "_contest", lambda rows: seen.append((rows.count(), (out := contest(rows)).count())) or out)
+    rows = [(i, " ".join([*words(45, 2 * i, 3000), *shared, *words(45, 2 * i + 1, 3000)])) for i in range(120)]
+    want = [len(gone) for gone in windows_lost(rows, lambda d: d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [x.n_removed for x in substrings.kept_words(df).orderBy("doc_id").collect()] == want and sum(want) >= 119 * 55
+    (of, made), = seen
+    assert made <= 3 * of

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight.llm.common import cut, drop, gram_hashes, ragged, read, row_of, row_sums, slices, word_hashes, words_of
@@ -15,6 +15,7 @@ from wardlight.llm.common import cut, drop, gram_hashes, ragged, read, row_of, r
 WINDOW = 50
 PHRASE = 8  # words of a phrase; any WINDOW words hold at least one phrase chosen by their content alone
 PER_SALT = 500  # documents with one phrase that one group of a round takes
+BUCKETS = 1_024  # of a phrase's window hashes at most, when the salts' winners meet
 BLOCK = 4 << 20  # bytes of text that share one automaton
 DIGITS = 32  # of an automaton's letters; a node's children are searched one by one, so they must be few
 
@@ -252,49 +253,94 @@ def _contest(rows: DataFrame) -> DataFrame:
     """Within each (phrase, salt) the least doc_id of each window hash keeps the window; later ones lose it.
 
     rows are dealt by (phrase, salt) and sorted with doc_id (null last), so that the first row with a hash has the least
-    doc_id: a task streams, holding the hashes of one phrase's windows. Gives phrase, digest, doc_id, w, starts: the
-    windows lost in a place (w null) and, for phrases with several salts, which have yet to meet, one row for each window
-    hash w that a text keeps, with all its starts there.
+    doc_id: a task streams, holding the hashes of one phrase's windows. Gives phrase, bucket, digest, starts, kept: a row
+    for each text that loses windows (kept null) and, for phrases with several salts, which have yet to meet, one row for
+    each bucket of window hashes with all that the salt's texts keep there. So rows never outnumber texts much, however
+    many windows they hold.
     """
     id_type = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, least = None, {}
+        group, least, kept = None, {}, {}
+        kind = None
+
+        def buckets() -> list[tuple]:
+            return [(group[0], b, None, None, own) for b, own in sorted(kept.items())]
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out = []
+            out, kind = [], batch.schema.field("doc_id").type
             for *g, d, text, windows, starts, salts in zip(
                 *(batch.column(c).to_pylist() for c in ("phrase", "salt", "doc_id", "digest", "windows", "starts", "salts")), strict=True
             ):
                 if g != group:
-                    group, least = g, {}
+                    out += buckets()
+                    group, least, kept = g, {}, {}
                 lost = []
                 for h, at in zip(windows, starts, strict=True):
                     if least.setdefault(h, d) != d:
                         lost += at
                     elif salts > 1:
-                        out.append((g[0], text, d, h, at))
+                        kept.setdefault(h % min(8 * salts, BUCKETS), []).append({"w": h, "doc_id": d, "digest": text, "starts": at})
                 if lost:
-                    out.append((g[0], text, d, None, lost))
+                    out.append((g[0], None, text, lost, None))
             if out:
-                yield told(out, batch.schema.field("doc_id").type)
+                yield told(out, kind)
+        if kept:
+            yield told(buckets(), kind)
 
     def told(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.binary(), kind, pa.int64(), pa.list_(pa.int32())]
+        entry = pa.struct([("w", pa.int64()), ("doc_id", kind), ("digest", pa.binary()), ("starts", pa.list_(pa.int32()))])
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(entry)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
-            names=["phrase", "digest", "doc_id", "w", "starts"]
+            [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["phrase", "bucket", "digest", "starts", "kept"]
         )
 
     own = rows.select("phrase", "salt", "doc_id", "digest", "windows", "starts", "salts")
     dealt = own.repartition("phrase", "salt").sortWithinPartitions("phrase", "salt", F.col("doc_id").asc_nulls_last(), "digest")
-    return dealt.mapInArrow(run, f"phrase long, digest binary, doc_id {id_type}, w long, starts array<int>")
+    entry = f"struct<w:long,doc_id:{id_type},digest:binary,starts:array<int>>"
+    return dealt.mapInArrow(run, f"phrase long, bucket int, digest binary, starts array<int>, kept array<{entry}>")
 
 
-def _missing(doc_id: str = "doc_id"):
-    """A doc_id as it is compared: null after all others."""
-    return F.struct(F.col(doc_id).isNull().alias("missing"), F.col(doc_id).alias("doc_id"))
+def _rivals(kept: DataFrame) -> DataFrame:
+    """What the salts of one phrase kept (phrase, bucket, kept) → digest, starts: the windows whose least doc_id is another salt's.
+
+    A bucket has a share of the phrase's window hashes, and of each at most one doc_id a salt, so that no group grows with the phrase.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            out = []
+            for *g, own in zip(*(batch.column(c).to_pylist() for c in ("phrase", "bucket", "kept")), strict=True):
+                if g != group:
+                    out += lost(held)
+                    group, held = g, []
+                held += own
+            if out:
+                yield told(out)
+        if out := lost(held):
+            yield told(out)
+
+    def lost(held: list[dict]) -> list[tuple]:
+        least, gone = {}, {}
+        order = lambda e: (e["doc_id"] is None, e["doc_id"])  # noqa: E731  null after all others
+        for e in held:
+            now = least.get(e["w"])
+            if now is None or order(e) < now:
+                least[e["w"]] = order(e)
+        for e in held:
+            if order(e) != least[e["w"]]:
+                gone.setdefault(e["digest"], []).extend(e["starts"])
+        return list(gone.items())
+
+    def told(out: list[tuple]) -> pa.RecordBatch:
+        digests, starts = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(starts, pa.list_(pa.int32()))], names=["digest", "starts"])
+
+    dealt = kept.select("phrase", "bucket", "kept").repartition("phrase", "bucket").sortWithinPartitions("phrase", "bucket")
+    return dealt.mapInArrow(run, "digest binary, starts array<int>")
 
 
 def lost_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -337,10 +383,8 @@ def lost_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Data
     drop(base)  # with the phrases' words
     salted = found.where("phrase is not null").withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("salts").cast("long")).cast("int"))
     kept = cut(_contest(salted))
-    once = kept.where("w is null").select("digest", "starts")
-    # What the salts of one phrase kept meets window by window: at most one row a salt and doc_id, so no group grows with the phrase.
-    least = F.min(_missing()).over(Window.partitionBy("phrase", "w"))
-    twice = kept.where("w is not null").withColumn("least", least).where(_missing() != F.col("least")).select("digest", "starts")
+    once = kept.where("kept is null").select("digest", "starts")
+    twice = _rivals(kept.where("kept is not null"))
     lost = once.unionByName(twice).groupBy("digest").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     return rows_of, reps, found.where("phrase is null").select("digest", "text"), lost
 
