@@ -10,6 +10,7 @@ from wardlight.plans.registry import QUERIES
 #: Queries whose largest task held a table of its points for each step that grouped or joined them by pid.
 BY_ROW = [
     "g17_adjudicate_blocks",
+    "a08_agreement",
 ]
 
 
