@@ -11,6 +11,7 @@ from wardlight.plans.registry import QUERIES
 BY_ROW = [
     "g17_adjudicate_blocks",
     "a08_agreement",
+    "g08_tiling_report",
 ]
 
 
