@@ -12,6 +12,7 @@ BY_ROW = [
     "g17_adjudicate_blocks",
     "a08_agreement",
     "g08_tiling_report",
+    "g09_fill_gaps",
     "l02_school_zone_layer",
     "l03_network_layer",
     "l04_chamber_layer",
