@@ -13,6 +13,7 @@ BY_ROW = [
     "a08_agreement",
     "g08_tiling_report",
     "g09_fill_gaps",
+    "l01_polygon_layer",
     "l02_school_zone_layer",
     "l03_network_layer",
     "l04_chamber_layer",
