@@ -65,6 +65,32 @@ def test_runs_of_one_time_are_judged_together(spark):
     assert now.verdict == "FAILING"
 
 
+def test_of_one_milliseconds_runs_the_first_in_the_table_counts(spark):
+    """As in the query's SQL, whose order is by milliseconds: a failed run does not count before one that stands ahead of it, nor in a later batch."""
+    import duckdb
+    from conftest import same
+
+    from wardlight.plans.registry import ORACLE_SQL, QUERIES
+
+    path = tempfile.mkdtemp(prefix="spark-")
+    at = lambda n, us: DAY0 + dt.timedelta(hours=n, microseconds=us)
+    # job1 and job2, each with pairs of runs in one millisecond: failed last, failed first, and with one not completed (ids divisible by 9).
+    runs = [(1, 0, 0, 1), (4, 5, 1, 1), (5, 5, 9, 1), (7, 30, 0, 1), (10, 60, 3, 1), (12, 60, 700, 1), (13, 90, 0, 1), (45, 95, 0, 1), (46, 95, 1, 1), (2, 1, 0, 2), (8, 2, 0, 2), (15, 2, 5, 2), (18, 40, 0, 2), (20, 40, 0, 2), (22, 99, 0, 2)]
+    rows = [(i, at(n, us), u, "view", 1.0, "{}") for i, n, us, u in sorted(runs)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{path}/events.parquet/*.parquet') order by event_id")
+    df = QUERIES["t04_health_verdicts"](spark, path)
+    assert same(df.collect(), df.columns, con.sql(ORACLE_SQL["t04_health_verdicts"]))
+    schema = "job string, status string, conclusion string, created_at timestamp, k long"
+    jobs = spark.createDataFrame([("a", 7, "active", None, None)], "job string, cadence_days int, state string, created timestamp, code_at timestamp")
+    late = [("a", "completed", "failure", DAY0, 2)], [("a", "completed", "success", DAY0, 1)], [("a", "completed", "failure", DAY0, 3)]
+    out = tempfile.mkdtemp(prefix="spark-")
+    found = T.health_verdicts(batches(spark, schema, *late), jobs, "1 hour", "k")
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", tempfile.mkdtemp(prefix="spark-")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.verdict for r in spark.read.parquet(out).collect()) == ["FAILING", "OK"]
+
+
 def test_a_session_tells_its_newest_row(spark):
     """Of each batch the newest row above all before it, nulls aside."""
     rows = [[("a", 3), ("a", 5), ("a", 5), ("b", None), ("b", 2), ("c", None)], [("a", 4), ("b", 3), ("b", 1), ("c", 0)]]

@@ -558,7 +558,7 @@ def health_input(spark, d):
         "CASE WHEN k % 13 = 0 THEN 'disabled' ELSE 'active' END as state", "cast(null as timestamp) as created",
         "CASE WHEN k % 2 = 0 THEN timestamp'2030-01-01 00:00:00' END as code_at"
     )
-    return ev.drop("event_id"), jobs
+    return ev, jobs
 
 
 @query("w06_run_health", """WITH e AS (SELECT 'job' || (user_id % 60)::VARCHAR AS job, event_id % 9 <> 0 AS done, CASE WHEN event_id % 5 = 0 THEN 'failure'
