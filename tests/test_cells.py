@@ -55,6 +55,16 @@ def test_dense_cells_are_split(spark):
     assert inside == sorted((i, k, "own") for i, x, y in at for k, b in enumerate(both) if b[0] <= x < b[2] and b[1] <= y < b[3])
 
 
+def test_staggered_boxes_on_one_another_are_not_split_without_end(spark):
+    """Boxes that begin a little apart: each split would list the boxes that cover the cell in all its parts; a box lies in at most 256 cells."""
+    rnd = random.Random(3)
+    boxes = [(x, y, x + 0.8, y + 0.8) for x, y in ((rnd.uniform(0, 1.5), rnd.uniform(0, 1.5)) for _ in range(1200))]
+    assert C.grid_of(boxes_df(spark, boxes)).boxes.count() <= 256 * len(boxes)
+    at = [(i, rnd.uniform(0, 2.3), rnd.uniform(0, 2.3)) for i in range(60)]
+    got = sorted((r.pid, r.feature_id) for r in P.bbox_prereject(spark.createDataFrame(at, "pid int, x double, y double"), squares(spark, boxes)).collect())
+    assert got == sorted((i, k) for i, x, y in at for k, b in enumerate(boxes) if b[0] <= x <= b[2] and b[1] <= y <= b[3])
+
+
 def test_no_boxes_and_null_bounds(spark):
     none = boxes_df(spark, []).unionByName(boxes_df(spark, [(0, 0, 1, 1)]).withColumn("min_x", F.lit(None).cast("double")))
     grid = C.grid_of(none)

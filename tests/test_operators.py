@@ -313,6 +313,21 @@ def test_boxes_on_one_another_are_asked_by_their_centres(spark, monkeypatch):
     assert seen and max(seen) < 300
 
 
+def test_centres_are_asked_on_while_rounds_settle_their_points(spark, monkeypatch):
+    """Points beside a dense field of centres, whose boxes hold them: a fourth round settles them all, and the grid is not made."""
+    made, grid = [], P._grid
+    monkeypatch.setattr(P, "_grid", lambda *a: made.append(1) or grid(*a))
+    boxes = [(i * 50 + j, i / 49 - 0.2, j / 49 - 0.2, i / 49 + 0.2, j / 49 + 0.2) for i in range(50) for j in range(50)]
+    pts = [(k, 0.003 + (k * 37 % 100) / 101, -0.1 * (k + 0.5) / 100) for k in range(100)]
+    got = P.bbox_region(
+        spark.createDataFrame(pts, "pid long, x double, y double"),
+        spark.createDataFrame(boxes, "box_id long, min_x double, min_y double, max_x double, max_y double")
+    ).collect()
+    far = lambda x, y, b: ((x - (b[1] + b[3]) / 2) ** 2 + (y - (b[2] + b[4]) / 2) ** 2, b[0])
+    want = {k: min(far(x, y, b) for b in boxes if b[1] <= x <= b[3] and b[2] <= y <= b[4])[1] for k, x, y in pts}
+    assert {r.pid: r.box_id for r in got} == want and len(got) == 100 and not made
+
+
 def test_points_are_dealt_out_by_their_count_before_they_are_made_distinct(spark, sf, monkeypatch):
     from wardlight.plans import base
 

@@ -100,8 +100,9 @@ def grid_of(boxes: DataFrame, most: int = MOST) -> Grid:
     A box's level is that of its longer side, in steps of four, so that it meets 81 cells at most and the boxes of a cell
     are of like size: one county and ten thousand lots are two levels, not one grid that suits neither. A cell that more
     than `most` different boxes meet without covering it whole is split in 16, and its parts again, where that helps: the
-    fullest part has half of its boxes at most, or the parts together no more than twice as many. Boxes that lie on one
-    another stay together. Splitting works on the different bounds alone, in tables of the shared folder, FINEST times at
+    fullest part has half of its boxes at most, or the parts together no more than twice as many. A cell that half as many
+    boxes cover whole is not split, since its points are in those whatever its size, and each of its parts would list them:
+    so boxes that lie on one another stay together, staggered ones too. Splitting works on the different bounds alone, in tables of the shared folder, FINEST times at
     most; one row a level comes to the driver, and one more for each turn.
     """
     good = boxes.where("min_x <= max_x and min_y <= max_y")
@@ -114,13 +115,14 @@ def grid_of(boxes: DataFrame, most: int = MOST) -> Grid:
     )
     now, cells, levels = spread(good.select(*BOUNDS).distinct()), None, set()
     for turn in range(FINEST + 1):
-        counts = now.groupBy(*KEYS).agg(F.count_if(cuts).alias("n"))
-        worst = counts.groupBy("_level").agg(F.max("n").alias("n")).collect()
+        counts = now.groupBy(*KEYS).agg(F.count_if(cuts).alias("n"), F.count_if(~cuts).alias("whole"))
+        full = (F.col("n") > most) & (F.col("n") > F.col("whole") * 2)
+        worst = counts.groupBy("_level").agg(F.bool_or(full).alias("full")).collect()
         levels |= {r._level for r in worst}
-        if turn == FINEST or all(r.n <= most for r in worst):
+        if turn == FINEST or not any(r.full for r in worst):
             break
         now = written(now) if turn == 0 else now
-        dense = now.groupBy(*KEYS).agg(F.count_if(cuts).alias("n")).where(F.col("n") > most)
+        dense = now.groupBy(*KEYS).agg(F.count_if(cuts).alias("n"), F.count_if(~cuts).alias("whole")).where(full).select(*KEYS, "n")
         parts = written(_parts(now.join(dense.select(*KEYS), KEYS, "left_semi")))
         old = [(F.col("_level") + 1).alias("_level"), F.col("_wx").alias("_cx"), F.col("_wy").alias("_cy")]
         fuller = parts.groupBy("_level", "_wx", "_wy", "_cx", "_cy").agg(F.count_if(cuts).alias("n")).groupBy("_level", "_wx", "_wy").agg(

@@ -17,7 +17,8 @@ from wardlight.operators.cells import KEYS, Grid, cell_of, grid_of
 from wardlight.tables import written
 
 PART = 4_096  # items of a cell's list that one row holds
-ROUNDS = 3  # of nearest centres before a box is looked for by its extent
+ROUNDS = 3  # of nearest centres before a box may be looked for by its extent
+HELD = 100_000  # items whose lists each executor can hold, some 70 MB
 
 
 def ring_pairs(ring: Column) -> Column:
@@ -255,7 +256,8 @@ def _expanding(
     number of items, so that lists stay short however many there are. Where every list is one part, as where the grid
     fits, points are neither multiplied nor grouped. Points are dealt out evenly first, since each costs a list. Each
     round is written to the shared folder. Points without finite coordinates have no neighbours. An item whose distance is
-    null is none for the point. rest: what answers the points that ROUNDS rounds have not settled.
+    null is none for the point. Lists of up to HELD items are broadcast, so that points are not shuffled and sorted by
+    cell. rest: what answers the points that are left when ROUNDS rounds are over and one has settled less than half.
     """
     spark = points.sparkSession
     x0, x1, y0, y1 = boxes
@@ -263,7 +265,7 @@ def _expanding(
     side = cell or fitted_cell(items, boxes, (n + 1) / 2)
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     todo, done, bounds, first, everything = points.where("x - x = 0 and y - y = 0").repartition(tasks), None, None, True, False
-    turn = 0
+    turn, before, held = 0, 0, items.count() <= HELD
     while True:
         near = items.withColumn(
             "cx", F.explode(F.sequence(cell_of(x0, side) - 1, cell_of(x1, side) + 1))
@@ -277,7 +279,7 @@ def _expanding(
         told = F.transform("near", lambda s: F.struct(far(s).alias("dist"), s[tie].alias(tie)))
         told = F.filter(told, (lambda b: b["dist"].isNotNull()) if everything else lambda b: b["dist"] <= reach(side))  # noqa: B023
         best = F.slice(F.sort_array(told), 1, n).alias("best")
-        met = keyed.join(lists, ["cx", "cy"], "left").select("pid", "x", "y", F.coalesce("parts", F.lit(1)).alias("parts"), best)
+        met = keyed.join(F.broadcast(lists) if held else lists, ["cx", "cy"], "left").select("pid", "x", "y", F.coalesce("parts", F.lit(1)).alias("parts"), best)
         if parts.where("parts > 1").isEmpty():
             met = met.select("pid", "x", "y", "best")
         else:
@@ -297,8 +299,9 @@ def _expanding(
         if not left.n:
             return done
         turn += 1
-        if rest and turn == ROUNDS:
+        if rest and turn >= ROUNDS and left.n * 2 > before:
             return done.unionByName(rest(todo))
+        before = left.n
         bounds = bounds or items.agg(F.min(x0).alias("x0"), F.max(x1).alias("x1"), F.min(y0).alias("y0"), F.max(y1).alias("y1")).first()
         side, first = side * 2, False
         everything = bounds.x0 is None or side >= max(
@@ -357,7 +360,8 @@ def bbox_region(points: DataFrame, boxes: DataFrame, cell: float | None = None)
     """The box (box_id, min_x, min_y, max_x, max_y) that holds a point, of several the one with the nearest centre; malformed boxes are skipped.
 
     Where boxes lie on one another a point is in very many of them, but one of the nearest centres mostly holds it: those
-    are asked first, ROUNDS times in cells fitted to the number of boxes. The grid of boxes answers the points that are left.
+    are asked first, ROUNDS times in cells fitted to the number of boxes, and on while a round settles half of its points. The
+    grid of boxes answers the points that are left.
     """
     good = boxes.where("min_x < max_x and min_y < max_y").select(
         "box_id", "min_x", "min_y", "max_x", "max_y", ((F.col("min_x") + F.col("max_x")) / 2).alias("mx"), ((F.col("min_y") + F.col("max_y")) / 2).alias("my")
